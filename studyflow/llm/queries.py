@@ -7,21 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op1_benchmark_decontamination
+from .extraction import op9_html_extraction
 from .jaccard import op5_ngram_jaccard_join
 from .licenses import op3_license_scan
 from .lines import OP4_SQL, op4_line_dedup
 from .mixing import OP7_SQL, op7_mixing_sources
 from .quality import op2_quality_rules
 from .sharding import op10_sharding
+from .urls import OP6_SQL, op6_url_filters
+from .warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_benchmark_decontamination, op2_quality_rules, op3_license_scan, op4_line_dedup, op5_ngram_jaccard_join,
-        op7_mixing_sources, op10_sharding,
+        op6_url_filters, op7_mixing_sources, op8_warc, op9_html_extraction, op10_sharding,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op7_mixing_sources": OP7_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op6_url_filters": OP6_SQL, "op7_mixing_sources": OP7_SQL, "op8_warc": OP8_SQL}
