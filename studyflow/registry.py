@@ -1,4 +1,4 @@
-"""Queries over the driver's tables, with equivalent DuckDB SQL, gathered from the modules in :mod:`studyflow.plans`."""
+"""All queries over the driver's tables, with equivalent DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import bank, base, corpus, exam, learning, ops, tagging, taxonomy, verify  # noqa: F401  their queries register themselves
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.SQL)
