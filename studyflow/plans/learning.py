@@ -1 +1,158 @@
-"""Queries."""
+"""Queries of learning analytics."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import learning as X
+from ..operators import tagging
+from .base import query, table, tables
+
+NOW = "2024-02-01 00:00:00"
+_BOOK = """w AS (SELECT *, sum(CASE WHEN is_correct THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, question_id ORDER BY submitted_at, id) AS w FROM answers WHERE answered),
+k AS (SELECT user_id, question_id, max(w)::BIGINT AS wrong_count, max(submitted_at) FILTER (WHERE is_correct IS NOT TRUE) AS last_wrong, max(submitted_at) AS last_practiced FROM w WHERE w > 0 GROUP BY ALL),
+book AS (SELECT k.*, (SELECT count(*) FROM w WHERE w.user_id = k.user_id AND w.question_id = k.question_id AND w.w = k.wrong_count AND w.is_correct) AS streak FROM k)"""
+_DUE = _BOOK + f""", du AS (SELECT *, last_practiced + to_days(CASE streak WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 3 END::INT) AS due FROM book WHERE streak < 2),
+due AS (SELECT * FROM (SELECT user_id, question_id, due, wrong_count, row_number() OVER (PARTITION BY user_id ORDER BY due, wrong_count DESC, question_id) AS place,
+  CASE streak WHEN 0 THEN 'wrong' WHEN 1 THEN 'confirm' ELSE 'refresh' END AS reason FROM du WHERE due <= TIMESTAMP '{NOW}') WHERE place <= 20)"""
+_MASTERY = """ma AS (SELECT a.user_id, q.point_id, count(*) AS answered, count(*) FILTER (WHERE is_correct) AS correct, max(a.submitted_at)::DATE AS last_day, round_even(100 * count(*) FILTER (WHERE is_correct)::DOUBLE / count(*), 2) AS score
+  FROM answers a JOIN question_points q ON q.question_id = a.question_id WHERE answered AND session_id IN (SELECT id FROM sessions WHERE subject_id IS NOT NULL AND status = 'submitted') GROUP BY 1, 2),
+weak AS (SELECT * FROM (SELECT user_id, point_id, score, answered, row_number() OVER (PARTITION BY user_id ORDER BY score, answered DESC, point_id) AS place FROM ma) WHERE place <= 3)"""
+_SUM = """ss AS (SELECT s.id, s.user_id, s.status, count(*) AS items, count(*) FILTER (WHERE answered) AS answered, count(*) FILTER (WHERE answered AND is_correct) AS correct,
+  round_even(100 * count(*) FILTER (WHERE answered AND is_correct)::DOUBLE / count(*), 2) AS accuracy, greatest(floor(epoch(s.submitted_at))::BIGINT - floor(epoch(s.started_at))::BIGINT, 0) AS seconds, count(*) FILTER (WHERE answered) < count(*) AS incomplete
+  FROM sessions s JOIN answers a ON a.session_id = s.id GROUP BY s.id, s.user_id, s.status, s.submitted_at, s.started_at)"""
+_TOP = """sw AS (SELECT *, bool_or(answered AND is_correct = false) OVER (PARTITION BY session_id) AS any_wrong FROM answers),
+tc AS (SELECT session_id, point_id, count(*) AS n FROM sw JOIN question_points q ON q.question_id = sw.question_id WHERE is_correct = false OR NOT coalesce(any_wrong, false) GROUP BY ALL),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, point_id) AS place FROM tc) WHERE place <= 3)"""
+
+
+def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.wrong_book(table(spark, sf_dir, "answers"))
+
+
+def _mastery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.mastery(*tables(spark, sf_dir, "answers", "sessions", "question_points"))
+
+
+def _due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.review_due(_book(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz"))
+
+
+def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sessions, answers = tables(spark, sf_dir, "sessions", "answers")
+    return X.session_summary(sessions, answers).join(sessions.select("id", "status"), "id")
+
+
+@query("h1_candidates", """SELECT id, min(l.sort_order) AS ord FROM bank_items i JOIN bank_links l ON l.bank_question_id = i.id WHERE i.status = 'active' AND node_role <> 'group' AND l.status = 'active' AND l.paper_id = 7 GROUP BY id""")
+def h1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.candidates(*tables(spark, sf_dir, "bank_items", "bank_links"), paper_id=7)
+
+
+@query("h2_sessions", """WITH r AS (SELECT DISTINCT user_id AS request_id, user_id % 5 AS subject_id FROM events WHERE event_type = 'signup')
+SELECT request_id, item_no, id AS question_id FROM (SELECT request_id, i.id, row_number() OVER (PARTITION BY request_id ORDER BY md5(request_id || ':' || i.id || ':1'), i.id) AS item_no
+FROM r JOIN bank_items i ON i.subject_id = r.subject_id AND i.status = 'active' AND i.node_role <> 'group') WHERE item_no <= 10""")
+def h2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, links, events = tables(spark, sf_dir, "bank_items", "bank_links", "events")
+    requests = events.where("event_type = 'signup'").select(F.col("user_id").alias("request_id"), (F.col("user_id") % 5).alias("subject_id"), F.lit(10).alias("n")).distinct()
+    return X.assemble_sessions(X.candidates(items, links).join(items.select("id", "subject_id"), "id"), requests)
+
+
+@query("h3_snapshot", """WITH r AS (SELECT l.bank_question_id, t.point_id, CASE WHEN t.status = 'confirmed' THEN 0 ELSE 1 END AS s, t.rank_no, t.tag_id FROM bank_links l JOIN question_tags t ON t.question_id = l.source_question_id
+  WHERE l.status = 'active' AND t.status IN ('confirmed', 'suggested')), o AS (SELECT bank_question_id, point_id, min((s, rank_no, tag_id)) AS o FROM r GROUP BY ALL),
+f AS (SELECT bank_question_id, min((paper_id, source_question_id)) AS s FROM bank_links WHERE status = 'active' GROUP BY 1), g AS (SELECT bank_question_id, string_agg(point_id, ',' ORDER BY o, point_id) AS points FROM o GROUP BY 1)
+SELECT i.id, question_type, stem_text, s[1] AS paper_id, s[2] AS source_question_id, points FROM bank_items i LEFT JOIN f ON f.bank_question_id = i.id LEFT JOIN g ON g.bank_question_id = i.id WHERE node_role <> 'group'""")
+def h3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, links, tags = tables(spark, sf_dir, "bank_items", "bank_links", "question_tags")
+    return X.question_snapshot(items, links, tagging.item_points(links, tags))
+
+
+@query("h4_grade", """WITH a AS (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'multiple_choice' ELSE 'single' END AS t, CASE event_id % 7 WHEN 0 THEN ' b a ' WHEN 1 THEN '' WHEN 2 THEN 'ab' ELSE chr(65 + (event_id % 4)::INT) END AS actual,
+  CASE WHEN event_id % 3 = 0 THEN 'AB' ELSE chr(65 + (user_id % 4)::INT) END AS expected FROM events), n AS (SELECT id, t, nullif(upper(regexp_replace(actual, '\\s+', '', 'g')), '') AS a, nullif(upper(expected), '') AS e FROM a)
+SELECT id, CASE WHEN t = 'multiple_choice' THEN array_to_string(list_sort(list_distinct(regexp_extract_all(a, '[A-Z]'))), '') = e ELSE a = e END AS is_correct FROM n""")
+def h4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    actual = F.expr("CASE event_id % 7 WHEN 0 THEN ' b a ' WHEN 1 THEN '' WHEN 2 THEN 'ab' ELSE char(65 + event_id % 4) END")
+    expected = F.expr("CASE WHEN event_id % 3 = 0 THEN 'AB' ELSE char(65 + user_id % 4) END")
+    kind = F.expr("CASE WHEN event_id % 3 = 0 THEN 'multiple_choice' ELSE 'single' END")
+    return e.select(F.col("event_id").alias("id"), X.grade(actual, expected, kind).alias("is_correct"))
+
+
+@query("h5_session_summary", f"WITH {_SUM} SELECT id, user_id, items, answered, correct, accuracy, seconds, incomplete FROM ss")
+def h5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.session_summary(*tables(spark, sf_dir, "sessions", "answers"))
+
+
+@query("h6_reasons", """WITH a AS (SELECT session_id, unnest(CASE id % 4 WHEN 0 THEN ['careless', 'careless', 'noise'] WHEN 1 THEN ['concept', 'time'] WHEN 2 THEN ['noise'] ELSE ['misread', 'concept', 'memory', 'time', 'careless'] END) AS reason, id FROM answers WHERE is_correct = false),
+d AS (SELECT DISTINCT id, session_id, reason FROM a WHERE reason IN ('concept', 'careless', 'misread', 'calculation', 'memory', 'time') AND NOT (id % 4 = 3 AND reason = 'careless')), c AS (SELECT session_id, reason, count(*) AS n FROM d GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, reason) AS place FROM c""")
+def h6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reasons = F.expr("CASE id % 4 WHEN 0 THEN array('careless', 'careless', 'noise') WHEN 1 THEN array('concept', 'time') WHEN 2 THEN array('noise') ELSE array('misread', 'concept', 'memory', 'time', 'careless') END")
+    return X.reason_counts(table(spark, sf_dir, "answers").where("is_correct = false").withColumn("reasons", reasons))
+
+
+@query("h6_mask_solutions", "SELECT a.id, CASE WHEN s.status = 'submitted' OR (a.user_id % 2 = 0 AND answered) THEN 'S' || question_id END AS solution FROM answers a JOIN sessions s ON s.id = a.session_id")
+def h6_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers, sessions = tables(spark, sf_dir, "answers", "sessions")
+    rows = answers.withColumn("solution", F.concat(F.lit("S"), "question_id")).join(sessions.select(F.col("id").alias("session_id"), "status"), "session_id")
+    return X.mask_solutions(rows, F.col("status") == "submitted", F.col("user_id") % 2 == 0, F.col("answered")).select("id", "solution")
+
+
+@query("h7_wrong_book", f"WITH {_BOOK} SELECT user_id, question_id, wrong_count, streak, streak >= 2 AS mastered, last_wrong, last_practiced FROM book")
+def h7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _book(spark, sf_dir)
+
+
+@query("h8_mastery", f"WITH {_MASTERY} SELECT user_id, point_id, answered, correct, last_day, score FROM ma")
+def h8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mastery(spark, sf_dir)
+
+
+@query("h9_review_due", f"WITH {_DUE} SELECT * FROM due")
+def h9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _due(spark, sf_dir)
+
+
+@query("h10_weakest_points", f"WITH {_MASTERY} SELECT * FROM weak")
+def h10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.weakest_points(_mastery(spark, sf_dir))
+
+
+@query("h11_daily_plan", f"""WITH {_DUE}, {_MASTERY}, {_SUM}, re AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id DESC) AS r FROM ss),
+la AS (SELECT user_id, max_by(accuracy, id) AS accuracy FROM re WHERE r <= 5 AND status = 'submitted' GROUP BY 1),
+t AS (SELECT DISTINCT user_id, 'review' AS task, 'high' AS priority FROM due UNION ALL SELECT user_id, 'weak_point', CASE WHEN score < 60 THEN 'high' ELSE 'normal' END FROM weak WHERE place = 1 UNION ALL SELECT user_id, 'stabilise', 'normal' FROM la WHERE accuracy < 75)
+SELECT * FROM t UNION ALL SELECT DISTINCT user_id, 'keep_going', 'low' FROM events WHERE user_id NOT IN (SELECT user_id FROM t)""")
+def h11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weak = X.weakest_points(_mastery(spark, sf_dir))
+    return X.daily_plan(_due(spark, sf_dir), weak, _summaries(spark, sf_dir), table(spark, sf_dir, "events").select("user_id").distinct())
+
+
+@query("h12_session_top_points", f"WITH {_TOP} SELECT session_id, point_id, n, place FROM top")
+def h12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.session_top_points(*tables(spark, sf_dir, "answers", "question_points"))
+
+
+@query("h13_similar_questions", f"""WITH {_TOP}, sh AS (SELECT DISTINCT t.point_id, l.bank_question_id FROM bank_links l JOIN question_tags t ON t.question_id = l.source_question_id JOIN bank_items i ON i.id = l.bank_question_id
+  WHERE l.status = 'active' AND t.status IN ('confirmed', 'suggested') AND i.status = 'active' AND i.node_role <> 'group'),
+r AS (SELECT DISTINCT top.session_id, sh.bank_question_id AS question_id FROM top JOIN sh ON sh.point_id = top.point_id WHERE NOT EXISTS (SELECT 1 FROM answers a WHERE a.session_id = top.session_id AND a.question_id = sh.bank_question_id))
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY question_id DESC) AS place FROM r) WHERE place <= 5""")
+def h13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers, points, links, tags, items = tables(spark, sf_dir, "answers", "question_points", "bank_links", "question_tags", "bank_items")
+    return X.similar_questions(X.session_top_points(answers, points), tagging.item_points(links, tags), items, answers.select("session_id", "question_id").distinct())
+
+
+@query("h14_retry_wrong", "SELECT session_id, question_id, place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY submitted_at, id) AS place FROM answers WHERE answered AND is_correct = false) WHERE place <= 10")
+def h14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.retry_wrong(table(spark, sf_dir, "answers"))
+
+
+@query("h15_suggestions", f"""WITH {_DUE}, {_MASTERY}, {_SUM}, n AS (SELECT user_id, count(*) AS n FROM due GROUP BY 1), h AS (SELECT ss.id, list_filter([CASE WHEN accuracy < 60 THEN 'rebuild the basics' WHEN accuracy < 80 THEN 'review the wrong answers' ELSE 'try harder questions' END,
+  'due: ' || n.n, 'weakest point: ' || w.point_id], lambda x: x IS NOT NULL) AS hints FROM ss LEFT JOIN n USING (user_id) LEFT JOIN weak w ON w.user_id = ss.user_id AND w.place = 1)
+SELECT id, (generate_subscripts(hints, 1) - 1)::INT AS place, unnest(hints) AS hint FROM h""")
+def h15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.review_suggestions(_summaries(spark, sf_dir), _due(spark, sf_dir), X.weakest_points(_mastery(spark, sf_dir)))
+
+
+@query("h16_recent_sessions", "SELECT id, user_id, status, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id DESC) AS place FROM sessions) WHERE place <= 50")
+def h16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.newest(table(spark, sf_dir, "sessions"), "user_id", 50).select("id", "user_id", "status", "place")
