@@ -1 +1,122 @@
-"""Queries."""
+"""Queries of the question bank."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import bank as X
+from .base import query, table, tables
+
+_QUESTIONS = """q AS (SELECT id, parent_id, node_role, CASE WHEN id % 3 = 0 THEN 'pending' ELSE 'approved' END AS status, CASE WHEN id % 11 = 0 THEN ' ' ELSE stem_text END AS stem_text, CASE WHEN id % 2 = 0 THEN 'm' END AS material_text,
+  CASE WHEN id % 5 = 0 THEN NULL ELSE 'A' END AS answer_text, CASE WHEN id % 7 = 0 THEN '' ELSE 'x' END AS analysis_text, question_type, 'No. ' || (id % 40) AS question_no FROM bank_items)"""
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "bank_items").selectExpr(
+        "id", "parent_id", "node_role", "CASE WHEN id % 3 = 0 THEN 'pending' ELSE 'approved' END AS status", "CASE WHEN id % 11 = 0 THEN ' ' ELSE stem_text END AS stem_text",
+        "CASE WHEN id % 2 = 0 THEN 'm' END AS material_text", "CASE WHEN id % 5 = 0 THEN NULL ELSE 'A' END AS answer_text", "CASE WHEN id % 7 = 0 THEN '' ELSE 'x' END AS analysis_text",
+        "question_type", "concat('No. ', id % 40) AS question_no",
+    )
+
+
+@query("f1_bank_ready", f"""WITH {_QUESTIONS}, o AS (SELECT *, list_filter([CASE WHEN trim(stem_text) = '' THEN 'stem_text' END, CASE WHEN trim(coalesce(answer_text, '')) = '' THEN 'answer_text' END, CASE WHEN trim(analysis_text) = '' THEN 'analysis_text' END], lambda x: x IS NOT NULL) AS lacks FROM q),
+c AS (SELECT parent_id, count(*) AS n, bool_and(status = 'approved' AND len(lacks) = 0) AS ok FROM o WHERE parent_id IS NOT NULL GROUP BY 1),
+m AS (SELECT o.id, list_filter(list_concat([CASE WHEN status <> 'approved' THEN 'approved' END], CASE WHEN node_role = 'group' THEN [CASE WHEN trim(stem_text) = '' AND material_text IS NULL THEN 'stem_text' END, CASE WHEN n IS NULL THEN 'children' END, CASE WHEN NOT ok THEN 'children_ready' END] ELSE lacks END), lambda x: x IS NOT NULL) AS missing
+  FROM o LEFT JOIN c ON c.parent_id = o.id WHERE o.parent_id IS NULL)
+SELECT id, len(missing) = 0 AS ready, array_to_string(missing, ',') AS missing FROM m""")
+def f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.bank_ready(_questions(spark, sf_dir))
+
+
+@query("f2_fingerprint", f"""WITH {_QUESTIONS}, s AS (SELECT *, concat_ws('|', node_role, lower(regexp_replace(question_type, '\\s+', '', 'g')), lower(regexp_replace(stem_text, '\\s+', '', 'g')), lower(coalesce(answer_text, ''))) AS sig FROM q),
+k AS (SELECT parent_id, string_agg(sig, '||' ORDER BY (id % 40), question_no, id) AS kids FROM s WHERE parent_id IS NOT NULL GROUP BY 1)
+SELECT s.id, sha1(concat_ws('||', sig, kids)) AS fingerprint, 'QB' || substr(sha1(concat_ws('||', sig, kids)), 1, 24) AS uid FROM s LEFT JOIN k ON k.parent_id = s.id""")
+def f2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.bank_fingerprint(_questions(spark, sf_dir))
+
+
+def _merge(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "bank_links").join(table(spark, sf_dir, "bank_items").select(F.col("id").alias("bank_question_id"), "stem_text", "subject_id"), "bank_question_id")
+    rows = rows.select(F.md5("stem_text").alias("fingerprint"), (F.col("source_question_id") % 2).cast("string").alias("source_type"), "source_question_id", "subject_id", "stem_text", F.struct("created_at", "paper_id", "bank_question_id").alias("ord"))
+    old = rows.where("source_question_id % 3 = 0").groupBy("fingerprint").agg(F.max_by(F.struct(F.when(F.col("source_question_id") % 5 > 0, F.col("subject_id")).alias("subject_id"), "stem_text"), "ord").alias("n"))
+    old_links = rows.where("source_question_id % 3 = 0").groupBy("source_type", "source_question_id").agg(F.max_by("fingerprint", "ord").alias("fingerprint"))
+    return X.bank_merge(old.select("fingerprint", "n.*"), old_links, rows.where("source_question_id % 3 <> 0 OR source_question_id % 7 = 0"))
+
+
+_MERGE = """r AS (SELECT md5(stem_text) AS fingerprint, (source_question_id % 2)::VARCHAR AS source_type, source_question_id, subject_id, stem_text, (created_at, paper_id, bank_question_id) AS ord FROM bank_links l JOIN bank_items i ON i.id = l.bank_question_id),
+o AS (SELECT fingerprint, max_by({'s': CASE WHEN source_question_id % 5 > 0 THEN subject_id END, 't': stem_text}, ord) AS n FROM r WHERE source_question_id % 3 = 0 GROUP BY 1),
+ol AS (SELECT source_type, source_question_id, max_by(fingerprint, ord) AS fingerprint FROM r WHERE source_question_id % 3 = 0 GROUP BY 1, 2), i AS (SELECT * FROM r WHERE source_question_id % 3 <> 0 OR source_question_id % 7 = 0),
+il AS (SELECT fingerprint, max_by({'s': subject_id, 't': stem_text}, ord) AS n FROM i GROUP BY 1), mv AS (SELECT source_type, source_question_id, max_by(fingerprint, ord) AS fingerprint FROM i GROUP BY 1, 2),
+al AS (SELECT * FROM ol WHERE NOT EXISTS (SELECT 1 FROM mv WHERE mv.source_type = ol.source_type AND mv.source_question_id = ol.source_question_id) UNION ALL SELECT * FROM mv)"""
+
+
+@query("f3_merge_items", f"""WITH {_MERGE} SELECT coalesce(o.fingerprint, il.fingerprint) AS fingerprint, coalesce(o.n.s, il.n.s) AS subject_id, coalesce(il.n.t, o.n.t) AS stem_text,
+  (SELECT count(*) FROM al WHERE al.fingerprint = coalesce(o.fingerprint, il.fingerprint)) AS source_count FROM o FULL JOIN il ON o.fingerprint = il.fingerprint""")
+def f3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merge(spark, sf_dir)[0]
+
+
+@query("f3_merge_links", f"WITH {_MERGE} SELECT * FROM al")
+def f3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merge(spark, sf_dir)[1]
+
+
+@query("f4_search", """WITH h AS (SELECT *, contains(lower(stem_text), 'red') OR contains(lower(question_type), 'red') AS hit FROM bank_items) SELECT id FROM h WHERE parent_id IS NULL AND status = 'active' AND (hit OR id IN (SELECT parent_id FROM h WHERE hit AND parent_id IS NOT NULL)) ORDER BY id DESC LIMIT 50""")
+def f4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.search_bank(table(spark, sf_dir, "bank_items"), "red", "active")
+
+
+@query("f5_status_counts", "SELECT status, count(*) AS n FROM bank_items WHERE parent_id IS NULL GROUP BY 1")
+def f5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.status_counts(table(spark, sf_dir, "bank_items"))
+
+
+@query("f6_item_sources", """SELECT coalesce(i.parent_id, i.id) AS root, l.bank_question_id, l.paper_id, p.exam_year, l.source_question_id,
+  row_number() OVER (PARTITION BY coalesce(i.parent_id, i.id) ORDER BY l.created_at, l.source_question_id, l.bank_question_id, l.paper_id) AS place FROM bank_links l JOIN bank_items i ON i.id = l.bank_question_id LEFT JOIN papers p ON p.id = l.paper_id WHERE l.status = 'active'""")
+def f6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.item_sources(*tables(spark, sf_dir, "bank_items", "bank_links", "papers"))
+
+
+@query("f7_export_papers", """SELECT l.paper_id, coalesce(p.exam_year, 0)::INT AS exam_year, count(DISTINCT bank_question_id) AS items FROM bank_links l JOIN bank_items i ON i.id = l.bank_question_id JOIN papers p ON p.id = l.paper_id
+  WHERE l.status = 'active' AND i.parent_id IS NULL AND i.status = 'active' GROUP BY ALL""")
+def f7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.export_papers(*tables(spark, sf_dir, "bank_items", "bank_links", "papers"))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links, items, papers = tables(spark, sf_dir, "bank_links", "bank_items", "papers")
+    reviews = links.where("source_question_id % 4 = 0").groupBy("source_question_id").agg(F.lit("review stem").alias("review_stem"), F.concat(F.lit("R"), F.min("sort_order")).alias("review_no"))
+    return X.export_records(links, items.withColumn("stem_text", F.when(F.col("id") % 6 > 0, F.col("stem_text"))), reviews, papers)
+
+
+_RECORDS = """v AS (SELECT source_question_id, 'review stem' AS review_stem, 'R' || min(sort_order) AS review_no FROM bank_links WHERE source_question_id % 4 = 0 GROUP BY 1),
+rec AS (SELECT l.paper_id, p.exam_year, row_number() OVER w AS place, coalesce(review_no, (row_number() OVER w)::VARCHAR) AS question_no, coalesce(CASE WHEN i.id % 6 > 0 THEN stem_text END, review_stem) AS stem, question_type, bank_question_id
+  FROM bank_links l JOIN bank_items i ON i.id = l.bank_question_id LEFT JOIN v ON v.source_question_id = l.source_question_id JOIN papers p ON p.id = l.paper_id WHERE l.status = 'active'
+  WINDOW w AS (PARTITION BY l.paper_id ORDER BY l.sort_order, l.source_question_id, l.bank_question_id))"""
+
+
+@query("f8_export_records", f"WITH {_RECORDS} SELECT * FROM rec")
+def f8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(spark, sf_dir)
+
+
+@query("f9_shared_stem", """WITH r AS (SELECT id, trim(question_type || ' ' || stem_text) AS stem, CASE WHEN id % 2 = 0 THEN stem_text ELSE 'other' END AS own FROM bank_items)
+SELECT id, CASE WHEN ends_with(stem, own) THEN trim(substr(stem, 1, length(stem) - length(own))) END AS shared_stem, CASE WHEN ends_with(stem, own) THEN own ELSE stem END AS own_stem FROM r""")
+def f9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "bank_items").selectExpr("id", "concat(question_type, ' ', stem_text) AS stem_text", "concat(id % 9, '. ', CASE WHEN id % 2 = 0 THEN stem_text ELSE 'other' END, '\\nA. one\\nB. two\\n答案: A') AS source_raw_text")
+    return X.split_shared_stem(rows)
+
+
+@query("f10_markdown", f"""WITH {_RECORDS}, m AS (SELECT *, CASE WHEN question_type IS DISTINCT FROM lag(question_type) OVER (PARTITION BY paper_id ORDER BY place) THEN '## ' || question_type || chr(10) || chr(10) ELSE '' END || question_no || '. ' || coalesce(stem, '') AS md FROM rec)
+SELECT paper_id, 'paper-' || paper_id || '.md' AS file, '# Paper ' || paper_id || chr(10) || chr(10) || string_agg(md, chr(10) || chr(10) ORDER BY place) AS markdown FROM m GROUP BY paper_id""")
+def f10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.export_markdown(_records(spark, sf_dir))
+
+
+@query("f11_delete_items", """WITH g AS (SELECT id FROM bank_items WHERE id % 4 = 0 OR parent_id % 4 = 0) SELECT 'items' AS kind, count(*) AS left_rows FROM bank_items WHERE id NOT IN (SELECT id FROM g)
+UNION ALL SELECT 'links', count(*) FROM bank_links WHERE bank_question_id NOT IN (SELECT id FROM g)""")
+def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, links = tables(spark, sf_dir, "bank_items", "bank_links")
+    kept, kept_links = X.delete_items(items, links, items.where("id % 4 = 0").select(F.col("id").alias("gone_id")))
+    return kept.agg(F.count(F.lit(1)).alias("left_rows")).select(F.lit("items").alias("kind"), "left_rows").unionByName(kept_links.agg(F.count(F.lit(1)).alias("left_rows")).select(F.lit("links").alias("kind"), "left_rows"))
