@@ -2,8 +2,8 @@
 
 Plan: explode every text into lines; keep, for lines whose key is long enough, only (document, position, hash of the
 key); count documents and take the largest document id by hash (partial aggregation first, so a line that a third of
-all documents hold is no hot group); keep the hashes of at least ``min_docs`` documents and join them back to the line
-places; gather the places to drop by document, and reassemble the text in order of position without them.
+all documents hold is no hot group); write the hashes of at least ``min_docs`` documents as a table of their own and
+join it back to the line places, both sides dealt out for the join alone, so that Spark splits a hot hash; gather the places to drop by document, and reassemble the text in order of position without them.
 
 Keys are known by 128 bits (two 64-bit hashes with different seeds).  A row of the documents is known by its id and the
 hash of its text, so repeated rows, which get the same result, share one list of places.
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 MIN_CHARS, MIN_DOCS = 20, 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,9 +48,9 @@ def frequent_lines(places: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Per document row: doc_id, n_lines, n_dropped, text (without the dropped lines)."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    places = line_places(rows, min_chars)
+    places = written(line_places(rows, min_chars))
     lost = (
-        places.join(frequent_lines(places, min_docs), ["h1", "h2"])
+        places.join(written(frequent_lines(places, min_docs)), ["h1", "h2"])
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy("doc_id", "text_hash")
         .agg(F.collect_set("pos").alias("lost"))
