@@ -1 +1,78 @@
-"""Queries."""
+"""Queries of operational tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import ops as X
+from .base import query, table, tables
+
+
+@query("k1_search_library", "SELECT id, title, file_type FROM files WHERE file_type = 'en' AND (contains(lower(title), 'license') OR contains(lower(text), 'license'))")
+def k1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.search_library(table(spark, sf_dir, "files"), "License", "en").select("id", "title", "file_type")
+
+
+@query("k2_keep_latest", """SELECT id, topic_id, seq, back = 1 AS is_latest FROM (SELECT id, topic_id, row_number() OVER (PARTITION BY topic_id ORDER BY created_at, id) AS seq, row_number() OVER (PARTITION BY topic_id ORDER BY created_at DESC, id DESC) AS back FROM topic_events) WHERE back <= 2""")
+def k2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.keep_latest(table(spark, sf_dir, "topic_events"), "topic_id", ["created_at", "id"]).select("id", "topic_id", "seq", "is_latest")
+
+
+@query("k3_versions", "SELECT id, topic_id, status, row_number() OVER w AS version, topic_id || ':' || row_number() OVER w AS version_id FROM topic_events WINDOW w AS (PARTITION BY topic_id ORDER BY created_at, id)")
+def k3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.version_events(table(spark, sf_dir, "topic_events")).select("id", "topic_id", "status", "version", "version_id")
+
+
+_STATE = "st AS (SELECT topic_id, max_by(status, (created_at, id)) AS status, max_by({'d': scheduled_date}, (created_at, id)).d AS scheduled_date, max(created_at) AS updated_at, count(*) AS versions FROM topic_events GROUP BY 1)"
+
+
+@query("k3_latest_state", f"WITH {_STATE} SELECT * FROM st")
+def k3_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.latest_state(table(spark, sf_dir, "topic_events"))
+
+
+@query("k4_list_topics", f"WITH {_STATE} SELECT * FROM st WHERE scheduled_date >= DATE '2024-01-10'")
+def k4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.list_topics(X.latest_state(table(spark, sf_dir, "topic_events")), F.lit("2024-01-10").cast("date"))
+
+
+@query("k4_board", f"WITH {_STATE} SELECT status, count(*) AS topics, count(scheduled_date) AS dated FROM st GROUP BY 1")
+def k4_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.board(X.latest_state(table(spark, sf_dir, "topic_events")))
+
+
+@query("k5_reconcile", """WITH j AS (SELECT l_orderkey AS paper_id, max_by(CASE l_linenumber % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' WHEN 2 THEN 'running' ELSE 'queued' END, l_orderkey * 10 + l_linenumber) AS s FROM lineitem WHERE l_orderkey % 3 > 0 GROUP BY 1),
+n AS (SELECT id, status AS old_status, s, CASE WHEN s = 'done' THEN 'parsed' WHEN s IN ('failed', 'running') THEN 'failed' WHEN s = 'queued' THEN 'pending' ELSE status END AS status FROM papers LEFT JOIN j ON j.paper_id = papers.id)
+SELECT id, status, CASE WHEN s = 'running' THEN 'interrupted' END AS reason, status IS DISTINCT FROM old_status AS changed FROM n""")
+def k5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 > 0").selectExpr("l_orderkey AS paper_id", "l_orderkey * 10 + l_linenumber AS id", "CASE l_linenumber % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' WHEN 2 THEN 'running' ELSE 'queued' END AS status")
+    return X.reconcile(jobs, table(spark, sf_dir, "papers"))
+
+
+@query("k6_orphans", """WITH e AS (SELECT id, CASE WHEN id % 3 = 0 THEN file_type END AS namespace, CASE WHEN id % 7 > 0 THEN sha256 END AS sha256 FROM files), n AS (SELECT DISTINCT file_type AS namespace FROM files WHERE file_type <> 'de'), h AS (SELECT DISTINCT sha256 FROM files WHERE id % 2 = 0)
+SELECT CASE WHEN namespace IS NOT NULL THEN CASE WHEN namespace IN (SELECT namespace FROM n) THEN 'kept' ELSE 'orphan' END WHEN sha256 IS NOT NULL THEN CASE WHEN sha256 IN (SELECT sha256 FROM h) THEN 'kept' ELSE 'orphan' END ELSE 'unmarked' END AS state, count(*) AS n FROM e GROUP BY 1""")
+def k6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "files").select("id", "file_type", "sha256")
+    entries = files.select("id", F.when(F.col("id") % 3 == 0, F.col("file_type")).alias("namespace"), F.when(F.col("id") % 7 > 0, F.col("sha256")).alias("sha256"))
+    return X.orphan_entries(entries, files.where("file_type <> 'de'").select(F.col("file_type").alias("namespace")), files.where("id % 2 = 0"))
+
+
+@query("k7_removable_assets", "SELECT DISTINCT asset_id FROM papers WHERE status = 'F' AND asset_id NOT IN (SELECT asset_id FROM papers WHERE status <> 'F')")
+def k7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers = table(spark, sf_dir, "papers")
+    return X.removable_assets(papers, papers.where("status = 'F'").select("id"))
+
+
+@query("k8_audit_feed", """SELECT e.event_id AS id, e.event_type AS module, c.c_name AS user_name, CASE WHEN e.event_id % 2 = 0 THEN '***' END AS api_token, json_extract_string(props, '$.k') AS k FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id""")
+def k8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, users = tables(spark, sf_dir, "events", "customer")
+    payload = F.map_concat(F.from_json("props", "map<string,string>"), F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("api_token"), F.lit("s3"))).otherwise(F.create_map().cast("map<string,string>")))
+    logs = events.select(F.col("event_id").alias("id"), F.col("event_type").alias("module"), "user_id", payload.alias("payload"))
+    found = X.audit_feed(logs, users.select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("user_name")))
+    return found.select("id", "module", "user_name", F.try_element_at("payload", F.lit("api_token")).alias("api_token"), F.try_element_at("payload", F.lit("k")).alias("k"))
+
+
+@query("k9_list_papers", "SELECT id, exam_year FROM papers WHERE status = 'O'")
+def k9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.list_papers(table(spark, sf_dir, "papers"), "O").select("id", "exam_year")

@@ -1 +1,85 @@
-"""Queries."""
+"""Queries of taxonomies."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import taxonomy as X
+from .base import query, table, tables
+
+
+def _outline_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An outline per part type: brands as chapters, sizes as sections, names as items."""
+    part = table(spark, sf_dir, "part").selectExpr("p_type AS doc_id", "p_partkey", "p_brand", "p_size", "p_name")
+    text = F.expr("CASE WHEN p_partkey % 7 = 0 THEN concat('# ', p_brand) WHEN p_partkey % 7 < 4 THEN concat('## ', p_size) WHEN p_partkey % 7 = 6 AND p_partkey % 3 = 0 THEN '```' ELSE concat('- ', p_name) END")
+    return part.select("doc_id", F.col("p_partkey").alias("line_no"), text.alias("text"))
+
+
+_OUTLINE = """o AS (SELECT p_type AS doc_id, p_partkey AS line_no, CASE WHEN p_partkey % 7 = 0 THEN 1 WHEN p_partkey % 7 < 4 THEN 2 WHEN p_partkey % 7 = 6 AND p_partkey % 3 = 0 THEN -1 ELSE 0 END AS kind,
+  CASE WHEN p_partkey % 7 = 0 THEN p_brand WHEN p_partkey % 7 < 4 THEN p_size::VARCHAR ELSE p_name END AS name FROM part),
+o2 AS (SELECT *, sum((kind = -1)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) % 2 = 1 AS code FROM o), o3 AS (SELECT *, last_value(nullif(kind, 0) IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS above FROM o2 WHERE NOT code AND kind >= 0),
+dr AS (SELECT doc_id, line_no, CASE WHEN kind > 0 THEN kind ELSE coalesce(above, 0) + 1 END::INT AS level, name FROM o3)"""
+
+
+@query("j1_parse_outlines", f"WITH {_OUTLINE} SELECT * FROM dr")
+def j1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.parse_outlines(_outline_lines(spark, sf_dir)).select("doc_id", "line_no", "level", "name")
+
+
+@query("j2_resolve_outline", f"""WITH {_OUTLINE}, a AS (SELECT *, max(CASE WHEN level = 1 THEN line_no END) OVER w AS l1, max(CASE WHEN level = 2 THEN line_no END) OVER w AS l2 FROM dr WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
+SELECT doc_id, line_no, level, CASE level WHEN 2 THEN l1 WHEN 3 THEN CASE WHEN l2 > coalesce(l1, -1) THEN l2 END END AS parent_line, level = 1 OR CASE level WHEN 2 THEN l1 WHEN 3 THEN CASE WHEN l2 > coalesce(l1, -1) THEN l2 END END IS NOT NULL AS ok FROM a""")
+def j2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.resolve_outline(X.parse_outlines(_outline_lines(spark, sf_dir))).select("doc_id", "line_no", "level", "parent_line", "ok")
+
+
+@query("j3_merge_nodes", """WITH e AS (SELECT parent_id, lower(regexp_replace(name, '[^A-Za-z0-9]+', '', 'g')) AS k, row_number() OVER (PARTITION BY parent_id ORDER BY id) AS so FROM chapters),
+d AS (SELECT s_nationkey % 5 + 1 AS parent_id, lower(regexp_replace(s_name, '[^A-Za-z0-9]+', '', 'g')) AS k, s_name AS name, s_suppkey AS ord FROM supplier UNION ALL SELECT 1, 'algeria', 'Al geria', 0),
+n AS (SELECT parent_id, k, min((ord, name)) AS m FROM d WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.parent_id = d.parent_id AND e.k = d.k) GROUP BY ALL)
+SELECT parent_id, m[2] AS name, (coalesce((SELECT max(so) FROM e WHERE e.parent_id = n.parent_id), 0) + row_number() OVER (PARTITION BY parent_id ORDER BY m))::BIGINT AS sort_order FROM n""")
+def j3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chapters, supplier = tables(spark, sf_dir, "chapters", "supplier")
+    from pyspark.sql import Window
+
+    old = chapters.withColumn("sort_order", F.row_number().over(Window.partitionBy("parent_id").orderBy("id")))
+    drafts = supplier.select((F.col("s_nationkey") % 5 + 1).alias("parent_id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("ord"))
+    drafts = drafts.union(chapters.where("id = 1").select(F.lit(1), F.lit("Al geria"), F.lit(0)))
+    return X.merge_nodes(old, drafts)
+
+
+@query("j5_auto_keywords", """WITH w AS (SELECT p_partkey AS id, list_filter(list_concat([p_name, p_brand, p_type, NULL], regexp_split_to_array(p_name, '[\\s/,]+')), lambda x: length(trim(x)) >= 2) AS l FROM part),
+u AS (SELECT id, unnest(l) AS keyword, generate_subscripts(l, 1) AS o FROM w), f AS (SELECT id, keyword, min(o) AS o FROM u GROUP BY ALL)
+SELECT id, (row_number() OVER (PARTITION BY id ORDER BY o) - 1)::INT AS place, keyword FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY o) <= 8""")
+def j5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_name AS name", "p_brand AS chapter", "p_type AS subject", "CAST(NULL AS STRING) AS category")
+    return X.auto_keywords(part)
+
+
+@query("j6_sync_tree", "SELECT id, id AS root_id, 1::INT AS level, name AS path FROM chapters WHERE parent_id IS NULL UNION ALL SELECT c.id, p.id, 2::INT, p.name || '/' || c.name FROM chapters c JOIN chapters p ON p.id = c.parent_id")
+def j6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.walk(table(spark, sf_dir, "chapters"))
+
+
+@query("j7_descendants", 'SELECT id AS "of", id, 0::INT AS distance FROM chapters WHERE id <= 2 UNION ALL SELECT parent_id, id, 1::INT FROM chapters WHERE parent_id <= 2')
+def j7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chapters = table(spark, sf_dir, "chapters")
+    return X.descendants(chapters, chapters.where("id <= 2").select("id"))
+
+
+@query("j8_cascade", """WITH g AS (SELECT id FROM chapters WHERE id <= 2 OR parent_id <= 2) SELECT 'customers' AS table_name, count(*) AS n FROM customer WHERE c_nationkey + 100 IN (SELECT id FROM g) UNION ALL SELECT 'suppliers', count(*) FROM supplier WHERE s_nationkey + 100 IN (SELECT id FROM g)""")
+def j8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chapters, customer, supplier = tables(spark, sf_dir, "chapters", "customer", "supplier")
+    gone = X.descendants(chapters, chapters.where("id <= 2").select("id")).select("id")
+    return X.cascade_counts(gone, {"customers": (customer.withColumn("chapter_id", F.col("c_nationkey") + 100), "chapter_id"), "suppliers": (supplier.withColumn("chapter_id", F.col("s_nationkey") + 100), "chapter_id")})
+
+
+@query("j9_dependency_counts", "SELECT subject_id, 'items' AS table_name, count(*) AS n FROM bank_items GROUP BY 1 UNION ALL SELECT subject_id, 'sessions', count(*) FROM sessions WHERE subject_id IS NOT NULL GROUP BY 1")
+def j9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, sessions = tables(spark, sf_dir, "bank_items", "sessions")
+    return X.dependency_counts({"items": (items, "subject_id"), "sessions": (sessions, "subject_id")})
+
+
+@query("j10_tag_value", "SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN p_type END AS category FROM part")
+def j10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = F.when(F.col("p_size") % 2 == 0, F.array(F.concat(F.lit("brand:"), "p_brand"), F.concat(F.lit("category:"), "p_type"), F.lit("category:x"))).otherwise(F.array("p_brand"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.tag_value(tags, "category").alias("category"))
