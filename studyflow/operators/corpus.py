@@ -1,0 +1,213 @@
+"""Corpus cleaning: pages to lines, noise lines, ordered merges, scores, budgets and chunks."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import normalize_text, strip, token_estimate
+
+#: Hints of noise lines, and marks of lines that are never noise (fixed values).
+HINTS = ("微信公众号", "扫码", "关注公众号", "版权所有", "更多资料", "www.", "http://", "https://")
+HIGH_SIGNAL = r"^(第[0-9一二三四五六七八九十]+[章节]|[0-9]{1,3}[.、．]|[（(][0-9一二三四五六七八九十]+[)）]|[A-H][.、．]|【?(答案|解析)】?[:：]?|[借贷][:：])"
+
+
+def to_lines(docs: DataFrame, document_id: str = "document_id", page: str = "page_number", text: str = "text") -> DataFrame:
+    """(document_id, page_number, line_no, text): lines that are not blank, stripped, without quote marks; numbers count all lines."""
+    rows = docs.select(F.col(document_id).alias("document_id"), F.col(page).alias("page_number"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "raw"))
+    return rows.select("document_id", "page_number", "line_no", strip(F.regexp_replace("raw", r"^\s*>+\s?", "")).alias("text")).where("text <> ''")
+
+
+def reading_order(blocks: DataFrame) -> DataFrame:
+    """Blocks (document_id, page_number, block_id, x, y) with their place: by y, x, id; those without a box last, and in input order where no block has one."""
+    far = F.lit(1e9)
+    place = F.row_number().over(Window.partitionBy("document_id", "page_number").orderBy(F.coalesce("y", far), F.coalesce("x", far), "block_id"))
+    return blocks.withColumn("place", place.cast("long"))
+
+
+def crop_margins(blocks: DataFrame, header: float, footer: float, slack: float = 0.01) -> DataFrame:
+    """Adds ``kept``: false for blocks within the top or bottom share of their page (0: off)."""
+    high = F.max("y2").over(Window.partitionBy("document_id", "page_number"))
+    top = (F.lit(header) > 0) & (F.col("y2") <= high * (header + slack))
+    bottom = (F.lit(footer) > 0) & (F.col("y") >= high * (1 - footer - slack))
+    return blocks.withColumn("kept", ~F.coalesce(top | bottom, F.lit(False)))
+
+
+def noise_key(c: Column) -> Column:
+    return strip(F.regexp_replace(F.regexp_replace(c, r"[0-9]+", "#"), r"^[>#\-*\s]+|[>#\-*\s]+$", ""))
+
+
+def high_signal(c: Column) -> Column:
+    return c.rlike(HIGH_SIGNAL)
+
+
+def repeated_noise(lines: DataFrame, min_hits: int = 2, min_pages: int = 2, max_chars: int = 80) -> DataFrame:
+    """(document_id, key) of short keys that repeat over pages and are no structural line.
+
+    Counts are per (document, page, key) before they meet, so a line on every page of a large document is no hot group.
+    """
+    keyed = lines.where((F.length("text") <= max_chars) & ~high_signal(F.col("text"))).withColumn("key", noise_key(F.col("text"))).where("key <> ''")
+    pages = keyed.groupBy("document_id", "page_number", "key").agg(F.count(F.lit(1)).alias("n"))
+    counts = pages.groupBy("document_id", "key").agg(F.sum("n").alias("hits"), F.count(F.lit(1)).alias("pages"))
+    return counts.where((F.col("hits") >= min_hits) & (F.col("pages") >= min_pages))
+
+
+def repeated_noise_pages(lines: DataFrame, min_pages: int = 3) -> DataFrame:
+    """Lines left after those whose key is on at least ``min_pages`` pages of the document are dropped."""
+    gone = repeated_noise(lines, 1, min_pages).where(F.col("key").rlike(r"\p{L}")).select("document_id", "key")
+    return lines.withColumn("key", noise_key(F.col("text"))).join(gone, ["document_id", "key"], "left_anti").drop("key")
+
+
+def classify_lines(lines: DataFrame, noise: DataFrame) -> DataFrame:
+    """Adds ``reason`` (null: keep): the first of repeated_noise, page_number, symbols and hint that holds; structural lines are never noise."""
+    marked = lines.withColumn("key", noise_key(F.col("text"))).join(noise.select("document_id", "key", F.lit(True).alias("rep")), ["document_id", "key"], "left")
+    text = F.col("text")
+    hint = F.lit(False)
+    for h in HINTS:
+        hint = hint | F.contains(text, F.lit(h))
+    reason = (
+        F.when(high_signal(text), None).when(F.col("rep"), "repeated_noise").when(text.rlike(r"^[-—\s]*(第?\s*[0-9]{1,4}\s*页?|[0-9]{1,4}\s*/\s*[0-9]{1,4})[-—\s]*$"), "page_number")
+        .when(~text.rlike(r"[\p{L}\p{N}]"), "symbols").when(hint, "hint")
+    )
+    return marked.withColumn("reason", reason).drop("key", "rep")
+
+
+_OPTION_RUN = re.compile(r"(?=(?:^|\s)[A-H][.、．])")
+_STOP = re.compile(r"[。！？!?；;：:]$")
+_STARTS = re.compile(r"^(第[0-9一二三四五六七八九十]+[章节]|[0-9]{1,3}[.、．]|[（(][0-9一二三四五六七八九十]+[)）]|[A-H][.、．]|【?(?:答案|解析)】?|[借贷][:：]|[#|>*-])")
+
+
+def split_structural(line: str) -> list[str]:
+    """A dense line cut before answer and analysis marks, and before each option of a run that begins with A and B."""
+    parts = [p for p in re.split(r"(?=【?(?:答案|解析)】?[:：])", line) if p.strip()]
+    out = []
+    for part in parts:
+        marks = re.findall(r"(?:^|\s)([A-H])[.、．]", part)
+        out += [p.strip() for p in _OPTION_RUN.split(part) if p.strip()] if marks[:2] == ["A", "B"] else [part.strip()]
+    return out
+
+
+def merge_wrapped(lines: list[str], width: int = 18) -> list[str]:
+    """Lines joined to the one before, where that is long, has no stop at its end, and the line starts no structure: a fold over the output."""
+    out: list[str] = []
+    for line in lines:
+        last = out[-1] if out else ""
+        if last and len(last) >= width and not _STOP.search(last) and not _STARTS.match(line) and not _STARTS.match(last[:1] if last[:1] in "#|" else " "):
+            joint = "" if ord(last[-1]) > 0x2E80 or ord(line[0]) > 0x2E80 else " "
+            out[-1] = last + joint + line
+        else:
+            out.append(line)
+    return out
+
+
+def clean_pages(lines: DataFrame) -> DataFrame:
+    """(document_id, page_number, line_no, text) after splits and merges; each page is folded on its own, in order of lines."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("line_no", kind="stable")
+        out = merge_wrapped([p for t in pdf["text"] for p in split_structural(t)])
+        return pd.DataFrame({"document_id": pdf["document_id"].iloc[0], "page_number": pdf["page_number"].iloc[0], "line_no": range(len(out)), "text": out})
+
+    kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
+    schema = f"document_id {kinds['document_id']}, page_number {kinds['page_number']}, line_no long, text string"
+    return lines.groupBy("document_id", "page_number").applyInPandas(fold, schema)
+
+
+def cleanup_report(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Per document: lines and characters before and after, and lines removed."""
+    count = lambda rows, tag: rows.groupBy("document_id").agg(F.count(F.lit(1)).alias(f"lines_{tag}"), F.sum(F.length("text")).alias(f"chars_{tag}"))
+    rows = count(before, "in").join(count(after, "out"), "document_id", "left").na.fill(0, ["lines_out", "chars_out"])
+    return rows.withColumn("removed", F.col("lines_in") - F.col("lines_out"))
+
+
+def reason_counts(classified: DataFrame) -> DataFrame:
+    return classified.where("reason IS NOT NULL").groupBy("document_id", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def quality_score(docs: DataFrame) -> DataFrame:
+    """(document_id, score) in 0..1: capped signals of structure, less a penalty for short lines."""
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    n = F.size(lines)
+    short = F.size(F.filter(lines, lambda x: F.length(F.trim(x)) <= 2))
+    marks = F.regexp_count("text", F.lit(r"[.!?。！？]")).cast("long")
+    raw = 0.4 + F.least(F.lit(0.3), marks / 50) + F.least(F.lit(0.3), F.length("text") / 5000) - F.least(F.lit(0.4), F.coalesce(F.try_divide(short, n), F.lit(0.0)))
+    return docs.select("document_id", F.bround(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 9), 2).alias("score"))
+
+
+def parse_score(c: Column) -> Column:
+    """0..10: text characters and lines, each capped; 0 for text of fewer than 24 text characters."""
+    chars = F.regexp_count(c, F.lit(r"[A-Za-z0-9\x{4E00}-\x{9FFF}]")).cast("long")
+    return F.when(chars < 24, F.lit(0.0)).otherwise(F.bround(F.round(F.least(F.lit(6.0), chars / 200) + F.least(F.lit(4.0), F.size(F.split(c, "\n")) / 10), 9), 2))
+
+
+def pick_best(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The better scored of two parses (document_id, text) per document; the first of equals."""
+    rows = a.select("document_id", "text", F.lit(0).alias("o")).unionByName(b.select("document_id", "text", F.lit(1).alias("o"))).withColumn("score", parse_score(F.col("text")))
+    return rows.groupBy("document_id").agg(F.max_by(F.struct("text", "score", "o"), F.struct("score", -F.col("o"))).alias("m")).select("document_id", "m.text", "m.score", (F.col("m.o") == 1).alias("second"))
+
+
+def should_clean(provider: Column, used_ocr: Column, raw_mode: Column) -> Column:
+    """Clean where OCR was used or the provider is one, and not in raw mode."""
+    return ~F.coalesce(raw_mode, F.lit(False)) & (F.coalesce(used_ocr, F.lit(False)) | F.coalesce(F.lower(provider).rlike("ocr|structure|rapidocr|paddle"), F.lit(False)))
+
+
+def context_budget(sources: DataFrame, limit: int) -> DataFrame:
+    """(request_id, tokens, over) of sources (request_id, text)."""
+    return sources.groupBy("request_id").agg(F.sum(token_estimate(F.col("text"))).alias("tokens")).withColumn("over", F.col("tokens") > limit)
+
+
+def chunk_text(text: str, size: int, floor: int = 4000) -> list[str]:
+    """Blocks between blank lines packed to at most ``size`` characters; a longer block is cut at its last stop past half."""
+    out: list[str] = []
+    now = ""
+    for block in (b for b in re.split(r"\n\s*\n", text) if b.strip()):
+        while len(block) > size:
+            if now:
+                out.append(now)
+                now = ""
+            at = max(block.rfind(c, min(size // 2, floor), size) for c in ("\n", "。", "；"))
+            at = at + 1 if at >= 0 else size
+            out.append(block[:at])
+            block = block[at:]
+        if now and len(now) + 2 + len(block) > size:
+            out.append(now)
+            now = block
+        else:
+            now = f"{now}\n\n{block}" if now else block
+    return [*out, now] if now else out
+
+
+def chunk(docs: DataFrame, size: int) -> DataFrame:
+    """(document_id, chunk_no, text) of each document's chunks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            cut = [chunk_text(t or "", size) for t in pdf["text"]]
+            yield pd.DataFrame({"document_id": pdf["document_id"].repeat([len(c) for c in cut]).to_numpy(), "chunk_no": [k for c in cut for k in range(len(c))], "text": [x for c in cut for x in c]})
+
+    kind = docs.schema["document_id"].dataType.simpleString()
+    return docs.select("document_id", "text").mapInPandas(run, f"document_id {kind}, chunk_no long, text string")
+
+
+def retention_gate(pairs: DataFrame) -> DataFrame:
+    """(id, ok, text) of pairs (id, source, cleaned): a cleaned text that lost too much falls back to its source."""
+    starts = lambda c: F.regexp_count(c, F.lit(r"(?m)^\s*[0-9]{1,3}[.、．]")).cast("long")
+    source, cleaned = F.length(F.trim("source")), F.length(F.trim("cleaned"))
+    long_enough = (source < 200) | (cleaned >= F.greatest(F.lit(80), source * 0.25))
+    enough = (starts(F.col("source")) < 3) | (starts(F.col("cleaned")) >= starts(F.col("source")) * 0.5)
+    ok = F.coalesce((cleaned > 0) & long_enough & enough, F.lit(False))
+    return pairs.select("id", ok.alias("ok"), F.when(ok, F.col("cleaned")).otherwise(F.col("source")).alias("text"))
+
+
+def preview(c: Column, n: int = 200) -> Column:
+    return F.struct(F.substring(c, 1, n).alias("preview"), (F.length(c) > n).alias("truncated"))
+
+
+def normalized(docs: DataFrame) -> DataFrame:
+    return docs.select("document_id", normalize_text(F.col("text")).alias("text"))
+
+

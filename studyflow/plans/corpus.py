@@ -1 +1,214 @@
-"""Queries."""
+"""Queries of corpus cleaning and line classifiers.  Documents are pages of their source."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import markdown_to_text, token_estimate
+from ..operators import corpus as X
+from ..operators import lineclf as C
+from .base import query, table
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("page_number"), "text")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.to_lines(_docs(spark, sf_dir))
+
+
+_LINES = """l0 AS (SELECT source AS document_id, doc_id AS page_number, string_split(text, chr(10)) AS ls FROM documents),
+l1 AS (SELECT document_id, page_number, (generate_subscripts(ls, 1) - 1)::INT AS line_no, unnest(ls) AS raw FROM l0),
+l AS (SELECT document_id, page_number, line_no, regexp_replace(regexp_replace(raw, '^\\s*>+\\s?', ''), '^[\\s\\x{00A0}\\x{3000}]+|[\\s\\x{00A0}\\x{3000}]+$', '', 'g') AS text FROM l1),
+ln AS (SELECT * FROM l WHERE text <> '')"""
+_HIGH = "regexp_matches(text, '" + X.HIGH_SIGNAL.replace("'", "''") + "')"
+_KEY = "regexp_replace(regexp_replace(regexp_replace(text, '[0-9]+', '#', 'g'), '^[>#\\-*\\s]+|[>#\\-*\\s]+$', '', 'g'), '^[\\s\\x{00A0}\\x{3000}]+|[\\s\\x{00A0}\\x{3000}]+$', '', 'g')"
+_NOISE = _LINES + f""", kd AS (SELECT *, {_KEY} AS key FROM ln), rn AS (SELECT document_id, key, count(*)::BIGINT AS hits, count(DISTINCT page_number) AS pages FROM kd WHERE length(text) <= 80 AND NOT {_HIGH} AND key <> '' GROUP BY 1, 2 HAVING count(*) >= 2 AND count(DISTINCT page_number) >= 2)"""
+
+
+@query("b1_normalize")
+def b1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.normalized(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text"))
+
+
+@query("b2_to_lines", f"WITH {_LINES} SELECT * FROM ln")
+def b2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir)
+
+
+@query("b3_reading_order", "SELECT l_orderkey AS document_id, l_suppkey AS page_number, l_partkey AS block_id, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY CASE WHEN l_linenumber % 3 > 0 THEN l_quantity ELSE 1e9 END, CASE WHEN l_linenumber % 3 > 0 THEN l_extendedprice ELSE 1e9 END, l_partkey) AS place FROM lineitem")
+def b3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS document_id", "l_suppkey AS page_number", "l_partkey AS block_id", "CASE WHEN l_linenumber % 3 > 0 THEN l_extendedprice END AS x", "CASE WHEN l_linenumber % 3 > 0 THEN l_quantity END AS y")
+    return X.reading_order(blocks).select("document_id", "page_number", "block_id", "place")
+
+
+@query("b4_crop_margins", "SELECT l_orderkey AS document_id, l_partkey AS block_id, NOT (l_quantity + 2 <= max(l_quantity + 2) OVER (PARTITION BY l_orderkey) * (0.1::DOUBLE + 0.01::DOUBLE) OR l_quantity >= max(l_quantity + 2) OVER (PARTITION BY l_orderkey) * (1 - 0.1::DOUBLE - 0.01::DOUBLE)) AS kept FROM lineitem")
+def b4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS document_id", "1 AS page_number", "l_partkey AS block_id", "l_quantity AS y", "l_quantity + 2 AS y2")
+    return X.crop_margins(blocks, 0.1, 0.1).select("document_id", "block_id", "kept")
+
+
+@query("b5_repeated_noise", f"WITH {_NOISE} SELECT * FROM rn")
+def b5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.repeated_noise(_lines(spark, sf_dir))
+
+
+@query("b6_noise_pages", f"WITH {_NOISE} SELECT document_id, page_number, line_no, text FROM kd WHERE NOT EXISTS (SELECT 1 FROM (SELECT document_id, key FROM kd WHERE length(text) <= 80 AND NOT {_HIGH} AND regexp_matches(key, '\\p{{L}}') GROUP BY 1, 2 HAVING count(DISTINCT page_number) >= 3) g WHERE g.document_id = kd.document_id AND g.key = kd.key)")
+def b6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.repeated_noise_pages(_lines(spark, sf_dir)).select("document_id", "page_number", "line_no", "text")
+
+
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    return X.classify_lines(lines, X.repeated_noise(lines))
+
+
+_CLASS = _NOISE + f""", cl AS (SELECT kd.*, CASE WHEN {_HIGH} THEN NULL WHEN rn.key IS NOT NULL THEN 'repeated_noise' WHEN regexp_matches(text, '^[-—\\s]*(第?\\s*[0-9]{{1,4}}\\s*页?|[0-9]{{1,4}}\\s*/\\s*[0-9]{{1,4}})[-—\\s]*$') THEN 'page_number'
+  WHEN NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}]') THEN 'symbols' WHEN {' OR '.join(f"contains(text, '{h}')" for h in X.HINTS)} THEN 'hint' END AS reason FROM kd LEFT JOIN rn ON rn.document_id = kd.document_id AND rn.key = kd.key)"""
+
+
+@query("b7_classify_lines", f"WITH {_CLASS} SELECT document_id, page_number, line_no, reason FROM cl")
+def b7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir).select("document_id", "page_number", "line_no", "reason")
+
+
+@query("b10_clean_pages")
+def b10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.clean_pages(_classified(spark, sf_dir).where("reason IS NULL").drop("reason"))
+
+
+@query("b11_cleanup_report", f"""WITH {_CLASS} SELECT document_id, count(*) AS lines_in, sum(length(text))::BIGINT AS chars_in, count(*) FILTER (WHERE reason IS NULL) AS lines_out, coalesce(sum(length(text)) FILTER (WHERE reason IS NULL), 0)::BIGINT AS chars_out,
+  count(*) FILTER (WHERE reason IS NOT NULL) AS removed FROM cl GROUP BY 1""")
+def b11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _classified(spark, sf_dir)
+    return X.cleanup_report(rows, rows.where("reason IS NULL"))
+
+
+@query("b11_reasons", f"WITH {_CLASS} SELECT document_id, reason, count(*) AS n FROM cl WHERE reason IS NOT NULL GROUP BY ALL")
+def b11_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.reason_counts(_classified(spark, sf_dir))
+
+
+@query("b12_quality_score", """WITH d AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents)
+SELECT doc_id AS document_id, round_even(round(greatest(0::DOUBLE, least(1::DOUBLE, 0.4::DOUBLE + least(0.3::DOUBLE, len(regexp_extract_all(text, '[.!?。！？]'))::DOUBLE / 50) + least(0.3::DOUBLE, length(text)::DOUBLE / 5000) - least(0.4::DOUBLE, coalesce(len(list_filter(ls, lambda x: length(trim(x)) <= 2))::DOUBLE / nullif(len(ls), 0), 0)))), 9), 2) AS score FROM d""")
+def b12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.quality_score(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text"))
+
+
+@query("b13_pick_best", """WITH s AS (SELECT doc_id, text, substr(text, 1, (length(text) * (doc_id % 3) / 2)::BIGINT) AS t2 FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS text FROM documents)), k AS (SELECT doc_id, text, t2,
+  len(regexp_extract_all(text, '[A-Za-z0-9\\x{4E00}-\\x{9FFF}]')) AS c1, len(regexp_extract_all(t2, '[A-Za-z0-9\\x{4E00}-\\x{9FFF}]')) AS c2 FROM s),
+z AS (SELECT doc_id, CASE WHEN c1 < 24 THEN 0 ELSE round_even(round(least(6::DOUBLE, c1::DOUBLE / 200) + least(4::DOUBLE, len(string_split(text, chr(10)))::DOUBLE / 10), 9), 2) END AS s1, CASE WHEN c2 < 24 THEN 0 ELSE round_even(round(least(6::DOUBLE, c2::DOUBLE / 200) + least(4::DOUBLE, len(string_split(t2, chr(10)))::DOUBLE / 10), 9), 2) END AS s2 FROM k)
+SELECT doc_id AS document_id, greatest(s1, s2) AS score, s2 > s1 AS second FROM z""")
+def b13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS document_id", "CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS text")
+    other = docs.select("document_id", F.substr("text", F.lit(1), F.expr("CAST(length(text) * (document_id % 3) / 2 + 0.0000001 AS INT)")).alias("text"))
+    return X.pick_best(docs, other).select("document_id", "score", "second")
+
+
+@query("b14_should_clean", "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN false ELSE doc_id % 3 = 0 OR doc_id % 4 = 1 END AS clean FROM documents")
+def b14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    provider = F.when(F.col("doc_id") % 4 == 1, "Paddle-Structure").otherwise("plain")
+    return table(spark, sf_dir, "documents").select("doc_id", X.should_clean(provider, F.col("doc_id") % 3 == 0, F.col("doc_id") % 10 == 0).alias("clean"))
+
+
+@query("b15_markdown_to_text", "SELECT doc_id, regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288)), chr(10) || '{3,}', chr(10) || chr(10), 'g') AS text FROM documents WHERE NOT regexp_matches(text, '[*_`#>+\\[-]')")
+def b15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[*_`#>+\[-]"))
+    marked = F.concat(F.lit("![x](y.png)\n## "), F.trim("text"))
+    return docs.select("doc_id", markdown_to_text(marked).alias("text"))
+
+
+@query("b16_token_estimate", "SELECT doc_id, (len(regexp_extract_all(text, '[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{F900}-\\x{FAFF}]')) + ceil((length(text) - len(regexp_extract_all(text, '[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{F900}-\\x{FAFF}]')))::DOUBLE / 4))::BIGINT AS tokens FROM documents")
+def b16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("b17_context_budget", "SELECT conv_id AS request_id, sum(ceil(length(text)::DOUBLE / 4))::BIGINT AS tokens, sum(ceil(length(text)::DOUBLE / 4)) > 400 AS over FROM conversations WHERE NOT regexp_matches(text, '[\\x{3400}-\\x{9FFF}]') GROUP BY 1")
+def b17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[\x{3400}-\x{9FFF}]")).select(F.col("conv_id").alias("request_id"), "text")
+    return X.context_budget(rows, 400)
+
+
+@query("b18_chunk")
+def b18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.chunk(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text"), 1200)
+
+
+@query("b19_retention_gate", "SELECT doc_id AS id, length(trim(cleaned)) > 0 AND (length(trim(text)) < 200 OR length(trim(cleaned)) >= greatest(80, length(trim(text)) * 0.25::DOUBLE)) AS ok FROM (SELECT doc_id, text, substr(text, 1, ((doc_id % 4) * length(text)) // 8) AS cleaned FROM documents)")
+def b19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("source"), F.substr("text", F.lit(1), F.expr("((doc_id % 4) * length(text)) div 8").cast("int")).alias("cleaned"))
+    return X.retention_gate(docs).select("id", "ok")
+
+
+@query("b20_preview", "SELECT doc_id, substr(text, 1, 200) AS preview, length(text) > 200 AS truncated FROM documents")
+def b20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", X.preview(F.col("text")).alias("p")).select("doc_id", "p.*")
+
+
+# Line classifiers: lines of good documents are kept, of others deleted.
+
+_LABELLED = _LINES + f""", lb AS (SELECT ln.*, page_number * 10000 + line_no AS id, CASE WHEN quality = 1 THEN 'keep' ELSE 'delete' END AS label FROM ln JOIN labels ON labels.doc_id = page_number),
+ft AS (SELECT *, list_filter(['len' || CASE WHEN length(text) <= 2 THEN '0' WHEN length(text) <= 8 THEN '1' WHEN length(text) <= 20 THEN '2' WHEN length(text) <= 60 THEN '3' WHEN length(text) <= 150 THEN '4' ELSE '5' END,
+  CASE WHEN {' OR '.join(f"contains(text, '{h}')" for h in X.HINTS)} THEN 'hint' END, CASE WHEN regexp_matches(text, '^[-—\\s]*[0-9]{{1,4}}[-—\\s]*$') THEN 'page' END, CASE WHEN NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}]') THEN 'symbols' END,
+  CASE WHEN regexp_matches(text, '(?i)https?://|www[.]') THEN 'url' END, CASE WHEN regexp_matches(text, '^[A-H][.、．]') THEN 'option' END, CASE WHEN regexp_matches(text, '^[0-9]{{1,3}}[.、．]') THEN 'start' END,
+  CASE WHEN len(regexp_extract_all(text, '[0-9]'))::DOUBLE / length(text) >= 0.5 THEN 'digits' END, CASE WHEN regexp_matches(text, '[.!?]$') THEN 'stop' END, CASE WHEN regexp_matches(text, '[|#*$%&]') THEN 'marks' END, CASE WHEN regexp_matches(text, '^\\p{{Lu}}') THEN 'capital' END], lambda x: x IS NOT NULL) AS f FROM lb),
+fc AS (SELECT feature, label, count(*) AS n FROM (SELECT label, unnest(f) AS feature FROM ft) GROUP BY ALL), lc AS (SELECT label, count(*) AS n FROM ft GROUP BY 1)"""
+_SCORED = _LABELLED + f""", k AS (SELECT (SELECT n FROM lc WHERE label = 'delete') AS nd, (SELECT n FROM lc WHERE label = 'keep') AS nk), w AS (SELECT feature, ln((coalesce(sum(n) FILTER (WHERE label = 'delete'), 0) + 1)::DOUBLE / (any_value(nd) + 2) / ((coalesce(sum(n) FILTER (WHERE label = 'keep'), 0) + 1)::DOUBLE / (any_value(nk) + 2))) AS w FROM fc, k GROUP BY 1),
+sc AS (SELECT ft.id, ft.text, ft.label, round(ln((nd + 1)::DOUBLE / (nd + nk + 2)) - ln((nk + 1)::DOUBLE / (nd + nk + 2)) + (SELECT sum(w) FROM w WHERE list_contains(ft.f, w.feature)), 6) AS score FROM ft, k),
+pr AS (SELECT *, score >= 0 AND NOT {_HIGH} AS predicted FROM sc)"""
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_number"), F.when(F.col("quality") == 1, "keep").otherwise("delete").alias("label"))
+    return _lines(spark, sf_dir).join(labels, "page_number").withColumn("id", F.col("page_number") * 10000 + F.col("line_no"))
+
+
+@query("c1_label_lines", f"WITH {_LINES}, t AS (SELECT source AS document_id, doc_id AS page_number, regexp_replace(substr(text, 1, length(text) // 2), '[\\s\\x{{00A0}}\\x{{3000}}]+', '', 'g') AS target FROM documents) SELECT ln.document_id, ln.page_number, line_no, CASE WHEN contains(target, regexp_replace(text, '[\\s\\x{{00A0}}\\x{{3000}}]+', '', 'g')) THEN 'keep' ELSE 'delete' END AS label FROM ln JOIN t ON t.page_number = ln.page_number AND t.document_id = ln.document_id")
+def c1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = _docs(spark, sf_dir).select("document_id", "page_number", F.substr("text", F.lit(1), F.expr("length(text) div 2").cast("int")).alias("target"))
+    return C.label_lines(_lines(spark, sf_dir), targets).select("document_id", "page_number", "line_no", "label")
+
+
+@query("c2_line_features", f"WITH {_LABELLED} SELECT id, unnest(f) AS feature FROM ft")
+def c2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(spark, sf_dir).select("id", F.explode(C.line_features(F.col("text"))).alias("feature"))
+
+
+@query("c3_train", f"WITH {_LABELLED} SELECT * FROM fc")
+def c3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.train_nb(_labelled(spark, sf_dir))[1]
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _labelled(spark, sf_dir)
+    return C.score_nb(rows, *C.train_nb(rows))
+
+
+@query("c4_score", f"WITH {_SCORED} SELECT id, round(score, 4) AS score FROM pr")
+def c4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select("id", F.round("score", 4).alias("score"))
+
+
+def _ratio(a: str, b: str) -> str:
+    return f"round_even(coalesce(({a})::DOUBLE / nullif({b}, 0), 0), 4)"
+
+
+@query("c5_evaluate", f"""WITH {_SCORED}, e AS (SELECT count(*) FILTER (WHERE label = 'delete' AND predicted) AS tp, count(*) FILTER (WHERE label <> 'delete' AND predicted) AS fp, count(*) FILTER (WHERE label = 'delete' AND NOT predicted) AS fn, count(*) FILTER (WHERE label <> 'delete' AND NOT predicted) AS tn FROM pr)
+SELECT tp, fp, fn, tn, {_ratio('tp + tn', 'tp + fp + fn + tn')} AS accuracy, {_ratio('tp', 'tp + fp')} AS precision, {_ratio('tp', 'tp + fn')} AS recall, {_ratio('2 * tp', '2 * tp + fp + fn')} AS f1 FROM e""")
+def c5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.evaluate(_scored(spark, sf_dir), F.col("label") == "delete", F.col("predicted"))
+
+
+@query("c6_probability", f"WITH {_SCORED} SELECT id, round(1 / (1 + exp(-greatest(-50, least(50, score)))), 4) AS p, 1 / (1 + exp(-greatest(-50, least(50, score)))) >= 0.55::DOUBLE AS start FROM pr")
+def c6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = C.probability(F.col("score"))
+    return _scored(spark, sf_dir).select("id", F.round(p, 4).alias("p"), (p >= 0.55).alias("start"))
+
+
+@query("c7_publish_gate", """SELECT l_suppkey AS run_id, count(*) FILTER (WHERE 1 - l_discount / 2 >= 0.92::DOUBLE) AS samples, round(avg((l_linenumber > 1)::INT::DOUBLE), 6) AS pass_rate, round(avg(1 - l_discount / 2), 6) AS confidence,
+  count(*) FILTER (WHERE 1 - l_discount / 2 >= 0.92::DOUBLE) >= 20 AND avg((l_linenumber > 1)::INT::DOUBLE) >= 0.95::DOUBLE AND avg(1 - l_discount / 2) >= 0.92::DOUBLE AND avg((l_linenumber > 1)::INT::DOUBLE) > 0.9::DOUBLE AS publish FROM lineitem GROUP BY 1""")
+def c7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("run_id"), (1 - F.col("l_discount") / 2).alias("confidence"), (F.col("l_linenumber") > 1).alias("passed"))
+    return C.publish_gate(runs, 0.9)
