@@ -141,7 +141,7 @@ def quality_score(docs: DataFrame) -> DataFrame:
 def parse_score(c: Column) -> Column:
     """0..10: text characters and lines, each capped; 0 for text of fewer than 24 text characters."""
     chars = F.regexp_count(c, F.lit(r"[A-Za-z0-9\x{4E00}-\x{9FFF}]")).cast("long")
-    return F.when(chars < 24, F.lit(0.0)).otherwise(F.bround(F.round(F.least(F.lit(6.0), chars / 200) + F.least(F.lit(4.0), F.size(F.split(c, "\n")) / 10), 9), 2))
+    return F.when(chars < 24, F.lit(0.0)).otherwise(F.bround((F.least(F.lit(6000), chars * 5) + F.least(F.lit(4000), F.size(F.split(c, "\n")) * 100)) / 10, 0) / 100)
 
 
 def pick_best(a: DataFrame, b: DataFrame) -> DataFrame:

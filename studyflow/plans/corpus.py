@@ -99,7 +99,7 @@ def b12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("b13_pick_best", """WITH s AS (SELECT doc_id, text, substr(text, 1, (length(text) * (doc_id % 3) / 2)::BIGINT) AS t2 FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS text FROM documents)), k AS (SELECT doc_id, text, t2,
   len(regexp_extract_all(text, '[A-Za-z0-9\\x{4E00}-\\x{9FFF}]')) AS c1, len(regexp_extract_all(t2, '[A-Za-z0-9\\x{4E00}-\\x{9FFF}]')) AS c2 FROM s),
-z AS (SELECT doc_id, CASE WHEN c1 < 24 THEN 0 ELSE round_even(round(least(6::DOUBLE, c1::DOUBLE / 200) + least(4::DOUBLE, len(string_split(text, chr(10)))::DOUBLE / 10), 9), 2) END AS s1, CASE WHEN c2 < 24 THEN 0 ELSE round_even(round(least(6::DOUBLE, c2::DOUBLE / 200) + least(4::DOUBLE, len(string_split(t2, chr(10)))::DOUBLE / 10), 9), 2) END AS s2 FROM k)
+z AS (SELECT doc_id, CASE WHEN c1 < 24 THEN 0::DOUBLE ELSE round_even((least(6000, c1 * 5) + least(4000, len(string_split(text, chr(10))) * 100))::DOUBLE / 10, 0) / 100 END AS s1, CASE WHEN c2 < 24 THEN 0::DOUBLE ELSE round_even((least(6000, c2 * 5) + least(4000, len(string_split(t2, chr(10))) * 100))::DOUBLE / 10, 0) / 100 END AS s2 FROM k)
 SELECT doc_id AS document_id, greatest(s1, s2) AS score, s2 > s1 AS second FROM z""")
 def b13(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS document_id", "CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS text")

@@ -1 +1,107 @@
-"""Queries."""
+"""Queries of content verification: assistant turns are checked against the other turns of their conversation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import verify as X
+from .base import query, table
+
+_BASE = """dc AS (SELECT conv_id AS doc_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations WHERE role = 'assistant' GROUP BY 1),
+so AS (SELECT conv_id AS doc_id, turn AS label, text FROM conversations WHERE role <> 'assistant'), st AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY label, text) AS source FROM so GROUP BY 1),
+cs AS (SELECT doc_id, list_transform(list_filter(list_transform(regexp_split_to_array(text, '[。！？!?；;.\\n]+'), lambda x: trim(x)), lambda x: length(x) >= 8), lambda x: substr(x, 1, 220))[1:8] AS c FROM dc),
+cl AS (SELECT doc_id, (generate_subscripts(c, 1) - 1)::INT AS claim_no, unnest(c) AS text FROM cs),
+ci AS (SELECT doc_id, claim_no, CASE WHEN claim_no = 4 THEN -1 ELSE (SELECT min(label) FROM so WHERE so.doc_id = cl.doc_id) END AS label FROM cl WHERE (doc_id + claim_no) % 7 > 0),
+cc AS (SELECT doc_id, count(*) AS claims, count(*) FILTER (WHERE (doc_id + claim_no) % 7 = 0) AS missing,
+  (SELECT count(*) FROM ci WHERE ci.doc_id = cl.doc_id AND NOT EXISTS (SELECT 1 FROM so WHERE so.doc_id = ci.doc_id AND so.label = ci.label)) AS invalid FROM cl GROUP BY 1)"""
+_ENTAIL = r"""tk AS (SELECT doc_id, claim_no, regexp_extract_all(lower(text), '[\x{4E00}-\x{9FFF}]{2,}|[a-z0-9à-ÿ]{3,}') AS t FROM cl), tu AS (SELECT doc_id, claim_no, unnest(t) AS w, generate_subscripts(t, 1) AS o FROM tk),
+tf AS (SELECT doc_id, claim_no, w, row_number() OVER (PARTITION BY doc_id, claim_no ORDER BY min(o)) AS r FROM tu GROUP BY doc_id, claim_no, w),
+te AS (SELECT tf.doc_id, claim_no, count(*) FILTER (WHERE contains(lower(coalesce(source, '')), w))::DOUBLE / count(*) AS share FROM tf LEFT JOIN st ON st.doc_id = tf.doc_id WHERE r <= 12 GROUP BY 1, 2),
+en AS (SELECT cl.doc_id, cl.claim_no, round_even(coalesce(share, 0), 2) AS score FROM cl LEFT JOIN te ON te.doc_id = cl.doc_id AND te.claim_no = cl.claim_no)"""
+_NUMBERS = r"""nu AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?%?')) AS number FROM cl), nn AS (SELECT nu.doc_id, count(*) AS numbers, count(*) FILTER (WHERE NOT contains(source, number)) AS unsupported FROM nu JOIN st ON st.doc_id = nu.doc_id GROUP BY 1)"""
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    return table(spark, sf_dir, "conversations").where("role = 'assistant'").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").where("role <> 'assistant'").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("label"), "text")
+
+
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.extract_claims(_docs(spark, sf_dir))
+
+
+def _citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = _sources(spark, sf_dir).groupBy("doc_id").agg(F.min("label").alias("first"))
+    rows = _claims(spark, sf_dir).where((F.col("doc_id") + F.col("claim_no")) % 7 > 0).join(first, "doc_id", "left")
+    return rows.select("doc_id", "claim_no", F.when(F.col("claim_no") == 4, -1).otherwise(F.col("first")).alias("label"))
+
+
+@query("i1_claims", f"WITH {_BASE} SELECT * FROM cl")
+def i1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _claims(spark, sf_dir)
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.check_citations(_claims(spark, sf_dir), _citations(spark, sf_dir), _sources(spark, sf_dir))
+
+
+@query("i2_citations", f"WITH {_BASE} SELECT *, missing = 0 AND invalid = 0 AS passed FROM cc")
+def i2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir)
+
+
+@query("i3_entailment", f"WITH {_BASE}, {_ENTAIL} SELECT *, score >= 0.35::DOUBLE AS entailed FROM en")
+def i3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.entail(_claims(spark, sf_dir), _sources(spark, sf_dir))
+
+
+@query("i4_numbers", f"WITH {_BASE}, {_NUMBERS} SELECT * FROM nn")
+def i4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.check_numbers(_claims(spark, sf_dir), _sources(spark, sf_dir))
+
+
+_YEARS = "(19|20)[0-9]{2}"
+
+
+@query("i5_years", """WITH d AS (SELECT o_orderkey AS doc_id, 'in ' || year(o_orderdate) || ' and ' || (year(o_orderdate) + o_orderkey % 3) || ' of 12345' AS text, 'from ' || year(o_orderdate) AS source FROM orders)
+SELECT doc_id, (regexp_extract(source, '([0-9]{4})', 1)::INT + doc_id % 3)::VARCHAR AS years FROM d WHERE doc_id % 3 > 0""")
+def i5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", "year(o_orderdate) AS y")
+    docs = o.select("doc_id", F.concat(F.lit("in "), "y", F.lit(" and "), F.col("y") + F.col("doc_id") % 3, F.lit(" of 12345")).alias("text"))
+    return X.check_years(docs, o.select("doc_id", F.lit(1).alias("label"), F.concat(F.lit("from "), "y").alias("text")))
+
+
+@query("i6_review_report", f"""WITH {_BASE}, {_ENTAIL}, {_NUMBERS}, we AS (SELECT doc_id, count(*) FILTER (WHERE score < 0.35::DOUBLE) AS weak, count(*) AS n FROM en GROUP BY 1),
+r AS (SELECT cc.doc_id, list_filter([CASE WHEN missing > 0 THEN 'citation_missing' END, CASE WHEN invalid > 0 THEN 'citation_invalid' END, CASE WHEN weak > n::DOUBLE / 2 THEN 'not_entailed' END, CASE WHEN unsupported > 0 THEN 'number_unsupported' END], lambda x: x IS NOT NULL) AS i
+  FROM cc LEFT JOIN we ON we.doc_id = cc.doc_id LEFT JOIN nn ON nn.doc_id = cc.doc_id)
+SELECT doc_id, array_to_string(i, ',') AS issues, array_to_string(list_transform(i, lambda x, k: 'ri_' || k || '_' || substr(sha1(x), 1, 10)), ',') AS item_ids, len(i) = 0 AS passed FROM r""")
+def i6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims, sources = _claims(spark, sf_dir), _sources(spark, sf_dir)
+    years = X.check_years(_docs(spark, sf_dir), sources).where("false")
+    return X.review_report(_checked(spark, sf_dir), X.entail(claims, sources), X.check_numbers(claims, sources), years)
+
+
+@query("i7_locate_quotes", "SELECT doc_id, 0::BIGINT AS quote_no, (position(substr(text, 30, 40) IN text) - 1)::BIGINT AS start, length(substr(text, 30, 40)) AS length FROM documents WHERE length(text) > 30")
+def i7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where(F.length("text") > 30).select("doc_id", "text")
+    return X.locate_quotes(docs, docs.select("doc_id", F.lit(0).cast("long").alias("quote_no"), F.substring("text", 30, 40).alias("quote")))
+
+
+@query("i8_top_k", """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 10), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(q, embedding::DOUBLE[]), 6) AS score FROM q, embeddings WHERE vec_id <> query_id)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s) WHERE place <= 5""")
+def i8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return X.top_k_similar(vectors.where("vec_id < 10"), vectors)
+
+
+@query("i9_publish_fields", """WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents), u AS (SELECT doc_id, unnest(l[2:]) AS p, generate_subscripts(l[2:], 1) AS o FROM l),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY min(o)) AS r FROM u WHERE length(p) >= 8 GROUP BY doc_id, p),
+g AS (SELECT doc_id, string_agg(p, chr(10) ORDER BY r) AS points, count(*) AS n_points FROM f WHERE r <= 8 GROUP BY 1)
+SELECT l.doc_id, substr(l[1], 1, 20) AS title, coalesce(points, '') AS points, coalesce(n_points, 0) AS n_points FROM l LEFT JOIN g ON g.doc_id = l.doc_id""")
+def i9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.publish_fields(table(spark, sf_dir, "documents"))
