@@ -8,18 +8,21 @@ needs no exact counts, only to be the same everywhere).  A set of n shingles is
 n - ceil(t*n) + 1 shingles and indexed with its first n - ceil(2t/(1+t)*n) + 1: of a linked pair, the smaller set's
 index part meets the larger one's probe part.
 
-Index-level skipping.  Per shingle an aggregate keeps the positions' blocks: how small and large the sets are that have
-it in their index part.  A list without such a set, or with only one set, is skipped whole; a probe-only entry is
-skipped if no indexed set of fitting size is in its list.  What is left hangs on the list's smallest node, which is linear in the
-list, and the components of these stars (*blocks*) hold every link between them.
+Index-level skipping.  Lists are held in two blocks by position, index part and probe-only part.  A list with one set,
+or with no entry in its index part, is skipped whole (an aggregate finds the others, a filter of fixed size passes
+their entries on); an entry is skipped where no set of fitting size is in the block that it must meet.
 
-Answer-level skipping.  In a block, a set's overlaps with all others are derived from those of a highly similar set
-already answered: only lists of the shingles in which the two differ are read.  Blocks of more than ``block_sets`` sets are
-cut into parts by hash.  Each part is joined with one part of pivots first; what that connects needs no further answer
-among itself.  Sets outside the block's largest component then meet all parts, and components are taken again.
+Short lists (up to ``short`` entries) give their pairs, at most ``short`` for an entry.  Longer lists come from groups
+of similar texts; there each set hangs on the list's smallest one, which is linear in the list, and the components of
+these stars (*blocks*) hold every pair that the lists have.  Blocks are cut into parts by hash; each part is answered
+together with one part of pivots, and what that connects needs no answer among itself.  Only the sets outside a
+block's largest component then meet its other sets.
 
-Everything that moves between tasks is linear in the shingles, except the last step, where sets that no pivot connected
-are sent to every part of their block.
+Before sets are compared, bit maps of about one bit a shingle rule out most pairs that cannot link (two sets differ in
+at least as many shingles as their maps in bits).
+
+Answer-level skipping.  Within a task, a set's overlaps with all others are derived from those of a highly similar set
+already answered: only lists of the shingles in which the two differ are read.
 
 Defined results: words by ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered, of whole texts; a text of fewer words than a
 shingle has its whole sequence as its one shingle; null and empty texts have an empty set and link with nothing;
@@ -34,19 +37,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import lists, map_text, offsets, steps, text_bytes, text_column, written
+from .shared import dropped, lists, map_text, steps, text_bytes, text_column, written
 from .tokens import SPACED_LOWER, mix, shingle_sets, split_words
 
 SHINGLE, PERCENT = 4, 85
 #: Buckets of the counting sketch, in chunks; bits of the filter that holds the nodes in blocks.
 _BUCKETS, _CHUNK, _FILTER_BITS = 1 << 20, 1 << 16, 1 << 23
-#: Sets, and shingles, that a part of a block holds, about.
-BLOCK_SETS, BLOCK_SHINGLES = 64, 1 << 20
+#: Entries up to which the pairs of a list are made; sets, and shingles, that a part of a block holds; sets of a part when outsiders ask.
+SHORT, BLOCK_SETS, BLOCK_SHINGLES, ASK_SETS = 16, 64, 1 << 20, 512
 
 
 def _sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,8 +119,29 @@ def _least_part(n: int, num: int, den: int) -> int:
     return n + (-n * num) // den + 1
 
 
+def _bitmap(h: np.ndarray) -> bytes:
+    """Bits that the shingles of a set flip, about one a shingle; the first half of a map, xor the second, is the map of half the size."""
+    size = max(64, 1 << int(len(h) - 1).bit_length())
+    flips = np.bincount(((h >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _can_link(n: int, bits: bytes, m: int, other: bytes, percent: int) -> bool:
+    """False only if the two sets cannot link: they differ in at least as many shingles as their maps in bits."""
+    if n * 100 < m * percent or m * 100 < n * percent:
+        return False
+    while len(bits) > len(other):
+        half = len(bits) // 2
+        bits = (int.from_bytes(bits[:half]) ^ int.from_bytes(bits[half:])).to_bytes(half)
+    while len(other) > len(bits):
+        half = len(other) // 2
+        other = (int.from_bytes(other[:half]) ^ int.from_bytes(other[half:])).to_bytes(half)
+    apart = (int.from_bytes(bits) ^ int.from_bytes(other)).bit_count()
+    return (100 + percent) * (n + m - apart) >= 2 * percent * (n + m)
+
+
 def _postings(docs: DataFrame, sketch: np.ndarray, shingle: int, percent: int) -> DataFrame:
-    """(node, n, tokens, indexed): the probe part of each set, rarest first, of which the first ``indexed`` are its index part."""
+    """(node, n, indexed, tokens, bits): the probe part of each set, rarest first, of which the first ``indexed`` are its index part, and its bit map."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def step(batch: pa.RecordBatch, column: pa.Array) -> dict[str, object] | None:
@@ -124,52 +149,110 @@ def _postings(docs: DataFrame, sketch: np.ndarray, shingle: int, percent: int) -
         rank = (sent.value[_bucket(h)].astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
         _, rows = np.unique(node, return_index=True)
         rows = rows[node[rows] != 0]
-        tokens = []
+        tokens, bits = [], []
         for i in rows.tolist():
-            a, b = at[i], at[i + 1]
-            p = _least_part(int(b - a), percent, 100)
-            own, ranks = h[a:b], rank[a:b]
+            own, ranks = h[at[i] : at[i + 1]], rank[at[i] : at[i + 1]]
+            p = _least_part(len(own), percent, 100)
             rare = np.flatnonzero(ranks <= np.partition(ranks, p - 1)[p - 1])
             tokens.append(own[rare[np.lexsort((own[rare], ranks[rare]))][:p]])
+            bits.append(_bitmap(own))
         n = np.diff(at)[rows]
         flat = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)
-        return {"node": node[rows], "n": n, "indexed": [_least_part(int(k), 2 * percent, 100 + percent) for k in n], "tokens": lists(flat, np.array([len(t) for t in tokens], np.int64))}
+        indexed = [_least_part(int(k), 2 * percent, 100 + percent) for k in n]
+        return {"node": node[rows], "n": n, "indexed": indexed, "tokens": lists(flat, np.array([len(t) for t in tokens], np.int64)), "bits": bits}
+
+    return map_text(docs.select("text"), "text", "node bigint, n int, indexed int, tokens array<bigint>, bits binary", step)
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """A bit table of fixed size in which the bits of all ``keys`` (a column of longs) are set."""
+    bit = F.pmod(F.col(keys.columns[0]), F.lit(_FILTER_BITS))
+    words = keys.select(F.shiftright(bit, 5).alias("w"), F.pmod(bit, F.lit(32)).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"))
+    table = np.zeros(_FILTER_BITS // 32, np.uint32)
+    for r in words.collect():  # at most a word for each 32 bits of the filter
+        table[r.w] = r.bits
+    return table
+
 
-    return map_text(docs.select("text"), "text", "node bigint, n int, indexed int, tokens array<bigint>", step)
+def _maybe(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False only for keys that were not among those of the filter."""
+    bits = keys % _FILTER_BITS
+    return (table[bits >> 5] >> (bits & 31).astype(np.uint32)) & 1 == 1
 
 
-def _stars(postings: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) from each node to the smallest node of every list that index-level skipping leaves it in."""
-    rows = postings.select("node", "n", "indexed", F.posexplode("tokens").alias("pos", "token"))
-    rows = written(rows.select("node", "n", (F.col("pos") < F.col("indexed")).alias("low"), "token"))
+def _entries(postings: DataFrame) -> DataFrame:
+    """(token, node, n, low, held): entries of the lists that index-level skipping leaves; ``held``: entries of the list."""
+    rows = postings.select("node", "n", "indexed", F.posexplode("tokens").alias("pos", "token")).select("node", "n", (F.col("pos") < F.col("indexed")).alias("low"), "token")
+    found = rows.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.max("low").alias("low"), F.count(F.lit(1)).alias("held"))
+    shared = written(found.where((F.col("first") < F.col("last")) & F.col("low")).select(F.col("token").alias("t"), "held"))
+    sent = rows.sparkSession.sparkContext.broadcast(_filter(shared))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_maybe(sent.value, batch.column(3).to_numpy())))
+
+    left = written(rows.mapInArrow(run, rows.schema).join(shared, F.col("token") == F.col("t")).drop("t"))
+    dropped(shared)
+    return left
+
+
+def _short_pairs(entries: DataFrame, percent: int, short: int) -> DataFrame:
+    """(a, b), a < b: the pairs of lists of at most ``short`` entries that position and size allow."""
+    lists_ = entries.where(F.col("held") <= short).groupBy("token").agg(F.collect_set(F.struct("node", "n", "low")).alias("e"))
+
+    def fits(x, y):
+        smaller = F.when(x["n"] < y["n"], x["low"]).when(x["n"] > y["n"], y["low"]).otherwise(x["low"] | y["low"])
+        return (x["node"] < y["node"]) & smaller & (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent)
+
+    pairs = F.flatten(F.transform("e", lambda x: F.transform(F.filter("e", lambda y: fits(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+    return lists_.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+
+
+def _stars(entries: DataFrame, percent: int, short: int) -> DataFrame:
+    """Edges (a, b) from each node to the smallest node of every longer list, over the entries that position and size allow."""
+    left = entries.where(F.col("held") > short)
     only = lambda c: F.when(F.col("low"), F.col(c))
-    found = rows.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.min(only("n")).alias("least"), F.max(only("n")).alias("most"), F.min(only("node")).alias("leader"))
-    blocks = found.where((F.col("first") < F.col("last")) & F.col("leader").isNotNull()).select(F.col("token").alias("t"), "least", "most", "leader")
+    blocks = left.groupBy(F.col("token").alias("t")).agg(F.min(only("n")).alias("least"), F.max(only("n")).alias("most"), F.min(only("node")).alias("leader"))
     fits = F.col("low") | ((F.col("least") <= F.col("n")) & (F.col("most") * 100 >= F.col("n") * percent))
-    return rows.join(blocks, F.col("token") == F.col("t")).where(fits & (F.col("node") != F.col("leader"))).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    edges = left.join(blocks, F.col("token") == F.col("t")).where(fits & (F.col("node") != F.col("leader")))
+    return edges.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the bit maps of ``nodes`` (node, n, bits) do not rule out."""
+    left = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), "a")
+    both = left.join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb")), "b").select("a", "b", "na", "xa", "nb", "xb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [_can_link(*row, percent) for row in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a bigint, b bigint")
 
 
 def _held(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, tokens) of the nodes in blocks, one row each; a filter of fixed size keeps most other texts from being read twice."""
-    bit = F.pmod(F.col("node"), F.lit(_FILTER_BITS))
-    words = nodes.select(F.shiftright(bit, 5).alias("w"), F.pmod(bit, F.lit(32)).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"))
-    table = np.zeros(_FILTER_BITS // 32, np.uint32)
-    for r in words.collect():  # at most a word for each 32 bits of the filter
-        table[r.w] = r.bits
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+    """(node, packed) of the nodes in blocks, one row each: a text of the node, compressed, which is shorter than its hashed set."""
+    sent = docs.sparkSession.sparkContext.broadcast(_filter(nodes.select("node")))
 
     def step(batch: pa.RecordBatch, column: pa.Array) -> dict[str, object] | None:
-        h, at, node = _sets(column, shingle)
-        bits = node % _FILTER_BITS
-        inside = (sent.value[bits >> 5] >> (bits & 31).astype(np.uint32)) & 1
+        node = _sets(column, shingle)[2]
         _, rows = np.unique(node, return_index=True)
-        rows = rows[(inside[rows] == 1) & (node[rows] != 0)]
-        if not len(rows):
-            return None
-        return {"node": node[rows], "tokens": lists(np.concatenate([h[at[i] : at[i + 1]] for i in rows]).view(np.int64), np.diff(at)[rows])}
+        rows = rows[_maybe(sent.value, node[rows]) & (node[rows] != 0)]
+        packer = zstandard.ZstdCompressor(level=3)
+        return {"node": node[rows], "packed": [packer.compress(column[i].as_buffer()) for i in rows.tolist()]} if len(rows) else None
 
-    found = map_text(docs.select("text"), "text", "node bigint, tokens array<bigint>", step)
-    return found.groupBy("node").agg(F.first("tokens").alias("tokens"))
+    found = map_text(docs.select("text"), "text", "node bigint, packed binary", step)
+    return found.groupBy("node").agg(F.first("packed").alias("packed"))
+
+
+def _unpacked(packed: list[bytes], shingle: int) -> list[np.ndarray]:
+    """The sets of compressed texts."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    texts = [unpack(p) for p in packed]
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    h, first = shingle_sets(split_words(np.frombuffer(b"".join(texts), np.uint8), at, SPACED_LOWER), shingle)
+    return [h[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
 
 
 def links_within(node: np.ndarray, sets: list[np.ndarray], percent: int, asked: np.ndarray | None = None) -> np.ndarray:
@@ -216,17 +299,13 @@ def links_within(node: np.ndarray, sets: list[np.ndarray], percent: int, asked:
     return node[order][first[1]][np.searchsorted(first[0], label)]
 
 
-def _joined(parts: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """(node, root) by :func:`links_within` for the rows (node, tokens, asked) of equal keys, one group after another."""
+def _joined(parts: DataFrame, keys: list[str], shingle: int, percent: int) -> DataFrame:
+    """(node, root) by :func:`links_within` for the rows (node, packed, asked) of equal keys, one group after another."""
 
     def answer(group: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
         node = np.concatenate([g.column(0).to_numpy(zero_copy_only=False) for g in group])
         asked = np.concatenate([g.column(2).to_numpy(zero_copy_only=False) for g in group])
-        sets = []
-        for g in group:
-            at = offsets(g.column(1))
-            flat = g.column(1).values.to_numpy(zero_copy_only=False)
-            sets += [flat[x:y] for x, y in zip(at[:-1], at[1:])]
+        sets = _unpacked([p for g in group for p in g.column(1).to_pylist()], shingle)
         return node, links_within(node, sets, percent, None if asked.all() else asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +327,7 @@ def _joined(parts: DataFrame, keys: list[str], percent: int) -> DataFrame:
         if held:
             yield _answers([answer(held)])
 
-    dealt = parts.select("node", "tokens", "asked", *keys).repartition(*keys).sortWithinPartitions(*keys)
+    dealt = parts.select("node", "packed", "asked", *keys).repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, "node bigint, root bigint")
 
 
@@ -258,33 +337,70 @@ def _answers(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(root[other])], names=["node", "root"])
 
 
-def set_components(docs: DataFrame, first: DataFrame, shingle: int, percent: int, block_sets: int = BLOCK_SETS) -> DataFrame:
+def _verified(pairs: DataFrame, held: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Edges (node, root) of the pairs (a, b) that link: each ``a`` is answered among all its ``b``."""
+    rows = pairs.select(F.col("a").alias("group"), F.col("b").alias("node"), F.lit(False).alias("asked")).union(pairs.select("a", "a", F.lit(True)).distinct())
+    return _joined(rows.join(held, "node"), ["group"], shingle, percent)
+
+
+def _outside_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): sets of a block outside its largest component with all its sets of other components, if their bit maps allow.
+
+    ``members`` is (node, n, bits, block, root, asked).  The sets of a block, and those that ask, are cut by hash into parts of
+    ``ASK_SETS``; each part of askers meets each part of sets in a task of its own.
+    """
+    sizes = members.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / ASK_SETS).cast("int").alias("parts"), F.ceil(F.count_if("asked") / ASK_SETS).cast("int").alias("askers"))
+    rows = members.join(sizes.where("askers > 0"), "block")
+    part = lambda seed, c: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(c)).cast("int")
+    column = ["node", "n", "bits", "root"]
+    targets = rows.select(*column, F.lit(False).alias("asked"), "block", part(1, "parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("to"))
+    asking = rows.where("asked").select(*column, "asked", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), part(2, "askers").alias("to"))
+    dealt = targets.union(asking).repartition("block", "part", "to").sortWithinPartitions("block", "part", "to", F.desc("asked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, askers = None, []
+        for batch in batches:
+            out = []
+            for node, n, bits, root, asked, *own in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != key:
+                    key, askers = own, []
+                if asked:
+                    askers.append((node, n, bits, root))
+                else:
+                    out += [(a, node) for a, m, other, there in askers if there != root and _can_link(n, bits, m, other, percent)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def set_components(docs: DataFrame, first: DataFrame, shingle: int, percent: int, block_sets: int = BLOCK_SETS, short: int = SHORT) -> DataFrame:
     """(node, root) of the nodes that links connect with others."""
-    spark = docs.sparkSession
-    blocks = written(connected_components(_stars(_postings(docs, _sketch(first), shingle, percent), percent)).withColumnRenamed("root", "block"))
-    sized = blocks.join(first.where("node != 0").groupBy("node").agg(F.first("n_shingles").alias("n")), "node")
+    postings = written(_postings(docs, _sketch(first), shingle, percent))
+    maps = postings.select("node", "n", "bits").dropDuplicates(["node"])
+    entries = _entries(postings)
+    pairs = written(_possible(_short_pairs(entries, percent, short), maps, percent))
+    blocks = written(connected_components(_stars(entries, percent, short)).withColumnRenamed("root", "block"))
+    dropped(entries)
+    sized = blocks.join(maps.select("node", "n"), "node")
     size = sized.groupBy("block").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    named = blocks.join(size, "block").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    held = written(_held(docs, blocks, shingle).join(named, "node"))
-    # Each part meets part 0, whose sets are the pivots.
+    named = written(blocks.join(size, "block").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(named.select("node")).distinct()
+    held = written(_held(docs, needed, shingle))
+    by_pair = written(_verified(pairs, held, shingle, percent))
+    # Each part of a block meets part 0, whose sets are the pivots.
     goes = F.when(F.col("part") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
-    first_round = written(_joined(held.select("node", "tokens", "block", F.lit(True).alias("asked"), F.explode(goes).alias("to")), ["block", "to"], percent))
-    large = held.where("parts > 1").select("node", "block", "part", "parts")
+    meets = named.select("node", "block", F.explode(goes).alias("to")).join(held, "node").withColumn("asked", F.lit(True))
+    edges = written(by_pair.union(_joined(meets, ["block", "to"], shingle, percent))).select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = written(connected_components(edges))
+    large = named.where("parts > 1").select("node", "block")
     if not large.take(1):
-        return first_round.select("node", "root").union(first_round.select(F.col("root").alias("node"), "root")).distinct()
-    roots = written(connected_components(first_round.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        return roots
     state = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    counts = state.groupBy("block", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = counts.groupBy("block").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-    outside = written(state.join(main, "block").where(F.col("root") != F.col("main")).select("node", F.lit(True).alias("asked"), "block"))
-    many = outside.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / block_sets).cast("int").alias("askers"))
-    rest = held.join(many, "block").join(outside.select("node", "asked"), "node", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-    ask = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("askers")).cast("int")
-    members = rest.select("node", "tokens", "block", F.lit(False).alias("asked"), "part", F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("to"))
-    askers = rest.where("asked").select("node", "tokens", "block", "asked", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), ask.alias("to"))
-    second = _joined(members.unionByName(askers), ["block", "part", "to"], percent)
-    edges = first_round.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    return connected_components(edges)
+    main = state.groupBy("block", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("block").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
+    members = state.join(main, "block").withColumn("asked", F.col("root") != F.col("main")).join(maps, "node")
+    late = _verified(written(_outside_pairs(members, percent)), held, shingle, percent)
+    return connected_components(edges.union(late.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, block_sets: int = BLOCK_SETS) -> DataFrame:
