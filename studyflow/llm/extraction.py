@@ -127,8 +127,8 @@ def labelled_pages(n: int = MADE_PAGES, seed: int = 5) -> list[str]:
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     pages = []
     for _ in range(n):
-        inner = "".join(_filled(rng, pick(CONTENT), "1") + (_filled(rng, pick(BOILERPLATE), "0") if rng.random() < 0.12 else "") for _ in range(int(rng.integers(1, 9))))
-        around = [_filled(rng, pick(BOILERPLATE), "0") for _ in range(int(rng.integers(2, 8)))]
+        inner = "".join(_filled(rng, pick(CONTENT), "1") + (_filled(rng, pick(BOILERPLATE), "0") if rng.random() < 0.12 else "") for _ in range(int(rng.integers(1, 3 if rng.random() < 0.3 else 9))))
+        around = [_filled(rng, pick(BOILERPLATE), "0") for _ in range(int(rng.integers(0, 8)))]
         cut = int(rng.integers(len(around) + 1))
         pages.append(f"<html><body>{''.join(around[:cut])}{pick(WRAPS).format(inner)}{''.join(around[cut:])}</body></html>")
     return pages

@@ -164,6 +164,8 @@ def parse(page: str) -> list[Node]:
         stack.append(_Open(tag, node, top.skip, top.link))
     add(page[at:])
     flush()
+    if all(n.tag != "body" for n in nodes):
+        nodes[0].tag = "body"  # left out in the page, as it may be
     for k in range(len(nodes) - 1, 0, -1):
         nodes[nodes[k].parent].length += nodes[k].length
         nodes[nodes[k].parent].linked += nodes[k].linked
