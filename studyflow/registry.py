@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import bank, base, corpus, exam, ingest, learning, ops, tagging, taxonomy, verify  # noqa: F401  their queries register themselves
+from .plans import bank, base, corpus, exam, ingest, learning, ops, streams, tagging, taxonomy, verify  # noqa: F401  their queries register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
