@@ -180,3 +180,9 @@ def review_suggestions(summaries: DataFrame, due: DataFrame, weak: DataFrame) ->
 def newest(rows: DataFrame, by: str, n: int) -> DataFrame:
     """The n newest rows (largest id) per key, with their place."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("id"))).cast("long")).where(F.col("place") <= n)
+
+
+def wrong_book_list(book: DataFrame, n: int = 100) -> DataFrame:
+    """Per user the n unmastered entries with the latest wrong answer."""
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("last_wrong"), "question_id"))
+    return book.where(~F.col("mastered")).withColumn("place", rank.cast("long")).where(F.col("place") <= n)

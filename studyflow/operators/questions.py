@@ -138,3 +138,25 @@ def bulk_review(questions: DataFrame, changes: DataFrame, ready: DataFrame) -> D
     one = mapped.where("root_id IS NOT NULL").groupBy("root_id").agg(F.max_by("status", "id").alias("status")).join(ready.select(F.col("id").alias("root_id"), "missing"), "root_id", "left")
     bad = (F.col("status") == "approved") & (F.coalesce("missing", F.lit("")) != "")
     return one.select("root_id", "status", (~bad).alias("ok"), F.when(bad, F.col("missing")).alias("reason")).unionByName(missing)
+
+
+def workspace(questions: DataFrame, tags: DataFrame) -> DataFrame:
+    """(id, status, stem_text, children, confirmed, suggested): root questions with their children's ids and stems, and points of the whole group by state, in order."""
+    child = questions.where("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("child_id"), F.col("stem_text").alias("stem"), "status"))).alias("children"))
+    root = questions.select(F.col("id").alias("question_id"), F.coalesce("parent_id", "id").alias("root_id"))
+    points = lambda s: F.array_join(F.array_sort(F.collect_set(F.when(F.col("status") == s, F.col("point_id")))), ",").alias(s)
+    shown = tags.join(root, "question_id").groupBy(F.col("root_id").alias("id")).agg(points("confirmed"), points("suggested"))
+    rows = questions.where("parent_id IS NULL").join(child, "id", "left").join(shown, "id", "left")
+    return rows.select("id", "status", "stem_text", F.coalesce("children", F.array().cast("array<struct<child_id:bigint,stem:string,status:string>>")).alias("children"), "confirmed", "suggested")
+
+
+def filter_workspace(rows: DataFrame, status: str | None = None, child_status: str | None = None, keyword: str | None = None) -> DataFrame:
+    """Rows by review status, by the status of the root or any child (``pending``: none), and by a keyword in any of their texts."""
+    out = rows if status is None else rows.where(F.coalesce("status", F.lit("pending")) == status)
+    if child_status is not None:
+        same = lambda c: F.coalesce(c, F.lit("pending")) == child_status
+        out = out.where(same(F.col("status")) | F.exists("children", lambda c: same(c["status"])))
+    if keyword is not None:
+        has = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(keyword.lower()))
+        out = out.where(has(F.col("stem_text")) | F.exists("children", lambda c: has(c["stem"])))
+    return out

@@ -120,3 +120,36 @@ def dependency_counts(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 def tag_value(tags: Column, prefix: str) -> Column:
     """Value of the first tag ``prefix:value``."""
     return F.get(F.transform(F.filter(tags, lambda t: t.startswith(f"{prefix}:")), lambda t: F.trim(F.substr(t, F.lit(len(prefix) + 2)))), 0)
+
+
+#: Words that no chapter heading has (fixed values).
+NOT_CHAPTERS = ("目录", "前言", "附录", "参考文献", "版权")
+
+
+def textbook_outline(lines: DataFrame, max_chapters: int = 40, max_points: int = 12) -> DataFrame:
+    """(doc_id, chapter_no, chapter, point_no, point) from lines (doc_id, line_no, text) of books.
+
+    Headings are marked lines of at most 64 characters without a noise word, each name once, the first ``max_chapters``;
+    the lines of 2 to 40 characters from one heading to the next are its points, each once, the first ``max_points``.
+    A chapter without points has one row with a null point.
+    """
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    text = F.trim("text")
+    marked = text.rlike(r"^(#\s+|第\s*[0-9一二三四五六七八九十百]+\s*章)")
+    noisy = F.lit(False)
+    for w in NOT_CHAPTERS:
+        noisy = noisy | F.contains(text, F.lit(w))
+    name = F.trim(F.regexp_replace(text, r"^(#\s+)?(第\s*[0-9一二三四五六七八九十百]+\s*章)?\s*", ""))
+    rows = lines.withColumn("head", marked & ~noisy & (F.length(text) <= 64) & (name != "")).withColumn("name", name).withColumn("segment", F.sum(F.col("head").cast("int")).over(order))
+    heads = rows.where("head").groupBy("doc_id", "name").agg(F.min("segment").alias("segment"))
+    heads = heads.withColumn("chapter_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("segment")).cast("long")).where(F.col("chapter_no") <= max_chapters)
+    point = F.trim(F.regexp_replace(text, r"^([-*+]|##+|[0-9]+[.、])\s+", ""))
+    points = rows.where("NOT head AND segment > 0").select("doc_id", "segment", point.alias("point"), "line_no").where((F.length("point") >= 2) & (F.length("point") <= 40))
+    points = points.groupBy("doc_id", "segment", "point").agg(F.min("line_no").alias("at"))
+    points = points.withColumn("point_no", F.row_number().over(Window.partitionBy("doc_id", "segment").orderBy("at")).cast("long")).where(F.col("point_no") <= max_points)
+    return heads.join(points, ["doc_id", "segment"], "left").select("doc_id", "chapter_no", F.col("name").alias("chapter"), "point_no", "point")
+
+
+def outline_tasks(outline: DataFrame, open_tasks: DataFrame) -> DataFrame:
+    """One review task per book with an outline, unless one is open."""
+    return outline.select("doc_id").distinct().join(open_tasks.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit("review_outline").alias("task"))

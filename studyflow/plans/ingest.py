@@ -193,3 +193,23 @@ def d14(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = rows.where("id % 2 = 0").select("id", F.when(F.col("id") % 3 == 0, "approved").otherwise("rejected").alias("status"))
     changes = changes.union(rows.agg(F.lit(-1).cast("long").alias("id"), F.lit("approved").alias("status")))
     return Q.bulk_review(rows, changes, B.bank_ready(rows)).select("root_id", "status")
+
+
+_SPACE = f"""{_REVIEW}, ro AS (SELECT id, coalesce(parent_id, id) AS root_id FROM rv), tg AS (SELECT l_partkey AS question_id, l_suppkey % 25 + 1 AS point_id, CASE l_returnflag WHEN 'A' THEN 'confirmed' WHEN 'N' THEN 'suggested' ELSE 'rejected' END AS status FROM lineitem),
+sh AS (SELECT root_id, coalesce(array_to_string(list_sort(list(DISTINCT point_id) FILTER (WHERE tg.status = 'confirmed')), ','), '') AS confirmed, coalesce(array_to_string(list_sort(list(DISTINCT point_id) FILTER (WHERE tg.status = 'suggested')), ','), '') AS suggested FROM tg JOIN ro ON ro.id = tg.question_id GROUP BY 1),
+ch AS (SELECT parent_id, count(*) AS n, bool_or(coalesce(status, 'pending') = 'odd') AS odd, bool_or(contains(lower(stem_text), 'red')) AS red FROM rv WHERE parent_id IS NOT NULL GROUP BY 1)"""
+
+
+def _workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = table(spark, sf_dir, "lineitem").selectExpr("l_partkey AS question_id", "l_suppkey % 25 + 1 AS point_id", "CASE l_returnflag WHEN 'A' THEN 'confirmed' WHEN 'N' THEN 'suggested' ELSE 'rejected' END AS status")
+    return Q.workspace(_review(spark, sf_dir), tags)
+
+
+@query("d11_workspace", f"WITH {_SPACE} SELECT rv.id, status, coalesce(n, 0)::BIGINT AS children, confirmed, suggested FROM rv LEFT JOIN ch ON ch.parent_id = rv.id LEFT JOIN sh ON sh.root_id = rv.id WHERE rv.parent_id IS NULL")
+def d11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _workspace(spark, sf_dir).select("id", "status", F.size("children").cast("long").alias("children"), "confirmed", "suggested")
+
+
+@query("d12_filter_workspace", f"WITH {_SPACE} SELECT rv.id FROM rv LEFT JOIN ch ON ch.parent_id = rv.id WHERE rv.parent_id IS NULL AND (status = 'odd' OR odd) AND (contains(lower(stem_text), 'red') OR red)")
+def d12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.filter_workspace(_workspace(spark, sf_dir), child_status="odd", keyword="RED").select("id")

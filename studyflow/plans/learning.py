@@ -156,3 +156,8 @@ def h15(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("h16_recent_sessions", "SELECT id, user_id, status, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id DESC) AS place FROM sessions) WHERE place <= 50")
 def h16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.newest(table(spark, sf_dir, "sessions"), "user_id", 50).select("id", "user_id", "status", "place")
+
+
+@query("h16_wrong_book_list", f"WITH {_BOOK} SELECT * FROM (SELECT user_id, question_id, wrong_count, row_number() OVER (PARTITION BY user_id ORDER BY last_wrong DESC, question_id) AS place FROM book WHERE streak < 2) WHERE place <= 100")
+def h16_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.wrong_book_list(_book(spark, sf_dir)).select("user_id", "question_id", "wrong_count", "place")

@@ -83,3 +83,20 @@ def j9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j10(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.when(F.col("p_size") % 2 == 0, F.array(F.concat(F.lit("brand:"), "p_brand"), F.concat(F.lit("category:"), "p_type"), F.lit("category:x"))).otherwise(F.array("p_brand"))
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.tag_value(tags, "category").alias("category"))
+
+
+_BOOKS = """b0 AS (SELECT p_type AS doc_id, p_partkey AS line_no, p_partkey % 7 = 0 AS head, CASE WHEN p_partkey % 7 = 0 THEN p_brand WHEN p_partkey % 7 < 4 THEN p_size::VARCHAR WHEN p_partkey % 7 = 6 AND p_partkey % 3 = 0 THEN '```' ELSE p_name END AS name FROM part),
+b1 AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS segment FROM b0), h0 AS (SELECT doc_id, name, min(segment) AS segment FROM b1 WHERE head GROUP BY 1, 2),
+h1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY segment) AS chapter_no FROM h0), p0 AS (SELECT doc_id, segment, name AS point, min(line_no) AS fst FROM b1 WHERE NOT head AND segment > 0 AND length(name) BETWEEN 2 AND 40 GROUP BY 1, 2, 3),
+p1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, segment ORDER BY fst) AS point_no FROM p0)"""
+
+
+@query("j4_textbook_outline", f"WITH {_BOOKS} SELECT h1.doc_id, chapter_no, h1.name AS chapter, point_no, point FROM h1 LEFT JOIN p1 ON p1.doc_id = h1.doc_id AND p1.segment = h1.segment AND point_no <= 12 WHERE chapter_no <= 40")
+def j4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.textbook_outline(_outline_lines(spark, sf_dir))
+
+
+@query("j4_outline_tasks", "SELECT DISTINCT p_type AS doc_id, 'review_outline' AS task FROM part WHERE p_type NOT IN (SELECT min(p_type) FROM part)")
+def j4_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _outline_lines(spark, sf_dir)
+    return X.outline_tasks(X.textbook_outline(lines), lines.agg(F.min("doc_id").alias("doc_id")))
