@@ -113,11 +113,13 @@ def b14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.should_clean(provider, F.col("doc_id") % 3 == 0, F.col("doc_id") % 10 == 0).alias("clean"))
 
 
-@query("b15_markdown_to_text", "SELECT doc_id, regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288)), chr(10) || '{3,}', chr(10) || chr(10), 'g') AS text FROM documents WHERE NOT regexp_matches(text, '[*_`#>+\\[-]')")
+_STRIP = "regexp_replace({}, '^[\\s\\x{{00A0}}\\x{{3000}}]+|[\\s\\x{{00A0}}\\x{{3000}}]+$', '', 'g')"
+_PLAIN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '(?m)^\\s{0,3}(#{1,6}|>|[-*+])\\s+', '', 'g'), '\\*\\*|__|`+', '', 'g')"
+
+
+@query("b15_markdown_to_text", "SELECT doc_id, " + _STRIP.format("regexp_replace(" + _PLAIN + ", '\\n{3,}', chr(10) || chr(10), 'g')") + " AS text FROM (SELECT doc_id, '![x](y.png)' || chr(10) || '## ' || text AS text FROM documents)")
 def b15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[*_`#>+\[-]"))
-    marked = F.concat(F.lit("![x](y.png)\n## "), F.trim("text"))
-    return docs.select("doc_id", markdown_to_text(marked).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", markdown_to_text(F.concat(F.lit("![x](y.png)\n## "), "text")).alias("text"))
 
 
 @query("b16_token_estimate", "SELECT doc_id, (len(regexp_extract_all(text, '[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{F900}-\\x{FAFF}]')) + ceil((length(text) - len(regexp_extract_all(text, '[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{F900}-\\x{FAFF}]')))::DOUBLE / 4))::BIGINT AS tokens FROM documents")
@@ -125,10 +127,12 @@ def b16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("b17_context_budget", "SELECT conv_id AS request_id, sum(ceil(length(text)::DOUBLE / 4))::BIGINT AS tokens, sum(ceil(length(text)::DOUBLE / 4)) > 400 AS over FROM conversations WHERE NOT regexp_matches(text, '[\\x{3400}-\\x{9FFF}]') GROUP BY 1")
+_CJK = "len(regexp_extract_all(text, '[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{F900}-\\x{FAFF}]'))"
+
+
+@query("b17_context_budget", f"SELECT conv_id AS request_id, sum({_CJK} + ceil((length(text) - {_CJK})::DOUBLE / 4))::BIGINT AS tokens, sum({_CJK} + ceil((length(text) - {_CJK})::DOUBLE / 4)) > 400 AS over FROM conversations GROUP BY 1")
 def b17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[\x{3400}-\x{9FFF}]")).select(F.col("conv_id").alias("request_id"), "text")
-    return X.context_budget(rows, 400)
+    return X.context_budget(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), "text"), 400)
 
 
 @query("b18_chunk")
