@@ -6,7 +6,8 @@ ones before it.  An index, written as Parquet, maps a page to its bundle, frame,
 
 Of records with equal payloads of at least ``min_revisit`` bytes, the one with the largest page id is the response and
 the others are revisits that refer to it.  Which it is follows from an aggregate by digest (combined before the
-shuffle) joined back to the pages.
+shuffle) joined back to the pages; each task of that join writes its own bundles, so pages move once, and Spark splits
+a task of many equal payloads.
 
 Bundles are written by the tasks through pyarrow's file systems below the cluster's shared folder.  A file's name
 holds the hash of its content, and only the index of successful tasks names files, so a task that runs again or twice
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from .shared import shared_dir
 
 MIN_REVISIT = 1000
-#: Plain bytes after which a frame, compressed bytes after which a bundle, is closed; pages' bytes that a task writes, about.
-FRAME_BYTES, BUNDLE_BYTES, TASK_BYTES = 256 << 10, 64 << 20, 128 << 20
+#: Plain bytes after which a frame, and compressed bytes after which a bundle, is closed.
+FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 64 << 20
 #: Fixed values of the seekable format: magic numbers of the skippable frame and of the footer.
 _SKIPPABLE, _FOOTER = 0x184D2A5E, 0x8F92EAB1
 INDEX = "page_id bigint, bundle string, frame int, at bigint, length bigint"
@@ -159,12 +160,10 @@ def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["page_id", "bundle", "frame", "at", "length"])
 
 
-def write_warc(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, task_bytes: int = TASK_BYTES) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """Write the pages' records into bundles below ``folder`` and return their index (page_id, bundle, frame, at, length)."""
     spark = pages.sparkSession
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    tasks = max(int(total // task_bytes) + 1, spark.sparkContext.defaultParallelism)
-    kinds = record_kinds(pages, min_revisit).repartition(tasks, F.xxhash64("page_id", "digest"))
+    kinds = record_kinds(pages, min_revisit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = None
