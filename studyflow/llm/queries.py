@@ -12,6 +12,7 @@ from .jaccard import op5_ngram_jaccard_join
 from .licenses import op3_license_scan
 from .lines import OP4_SQL, op4_line_dedup
 from .mixing import OP7_SQL, op7_mixing_sources
+from .oracles import OP1_SQL, OP2_SQL, OP5_SQL
 from .quality import op2_quality_rules
 from .sharding import op10_sharding
 from .urls import OP6_SQL, op6_url_filters
@@ -27,4 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op6_url_filters": OP6_SQL, "op7_mixing_sources": OP7_SQL, "op8_warc": OP8_SQL}
+    return {
+        "op1_benchmark_decontamination": OP1_SQL, "op2_quality_rules": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_ngram_jaccard_join": OP5_SQL,
+        "op6_url_filters": OP6_SQL, "op7_mixing_sources": OP7_SQL, "op8_warc": OP8_SQL,
+    }
