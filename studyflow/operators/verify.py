@@ -102,15 +102,26 @@ def locate_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(quotes, "doc_id").select("doc_id", "quote_no", "text", "quote").mapInPandas(run, f"doc_id {kind}, quote_no long, start long, length long")
 
 
-def top_k_similar(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """The k most similar vectors (cosine) per query, by exact search: a stated query set against all rows."""
+def top_k_similar(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 5000) -> DataFrame:
+    """The k most similar vectors (cosine) per query, by exact search: a stated query set against all rows.
+
+    Queries reach the tasks in blocks of about ``block``, so what is broadcast has a fixed bound; more queries take more
+    passes over the vectors.  Each task keeps its k best per query before they meet.
+    """
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda a: F.sqrt(dot(a, a))
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).withColumn("qn", norm(F.col("q")))
-    rows = vectors.withColumn("vn", norm(F.col("embedding"))).crossJoin(F.broadcast(q)).where(F.col("vec_id") != F.col("query_id"))  # the query set is bounded by the caller
-    scored = rows.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")) / (F.col("qn") * F.col("vn")), 6).alias("score"))
+    rows = vectors.withColumn("vn", norm(F.col("embedding")))
+    blocks = max(1, -(-queries.count() // block))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("place", rank.cast("long")).where(F.col("place") <= k)
+    out = None
+    for part in range(blocks):
+        asked = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == part)
+        met = rows.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id"))
+        scored = met.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")) / (F.col("qn") * F.col("vn")), 6).alias("score"))
+        best = scored.withColumn("place", rank.cast("long")).where(F.col("place") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def publish_fields(docs: DataFrame) -> DataFrame:
