@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import written
 
@@ -44,10 +45,13 @@ def _number(splits: Column, key: Column) -> Column:
     return F.size(F.filter(splits, lambda s: s <= key)).cast("long")
 
 
-def _splitters(keyed: DataFrame, full: DataFrame, least: int, range_bytes: int) -> DataFrame:
-    """(of, splits) for each range of ``full`` (of, bytes): the quantiles of a size-weighted sample of its keys."""
-    want = F.least(F.greatest(F.ceil(F.col("bytes") * 2 / range_bytes), F.lit(least)), F.lit(_FAN))
-    drawn = keyed.join(full.withColumn("want", want), F.col("range") == F.col("of"))
+def _splitters(keyed: DataFrame, full: DataFrame | None, total: int, range_bytes: int) -> DataFrame:
+    """(of, splits): the quantiles of a size-weighted sample of the keys of each range in ``full`` (of, bytes); of all keys, as range 0, if that is None."""
+    if full is None:
+        drawn = keyed.select("*", F.lit(0).cast("long").alias("of"), F.lit(max(total, 1)).cast("long").alias("bytes"), F.lit(_wanted(total, _LEAST, range_bytes)).alias("want"))
+    else:
+        want = F.least(F.ceil(F.col("bytes") * 2 / range_bytes), F.lit(_FAN))
+        drawn = keyed.join(full.withColumn("want", want), F.col("range") == F.col("of"))
     drawn = drawn.where(_chance(F.col("key")) < F.col("want") * SAMPLES_PER_RANGE * F.col("size") / F.col("bytes"))
     of = Window.partitionBy("of")
     ranked = drawn.select("of", "key", "want", F.row_number().over(of.orderBy("key")).alias("r"), F.count(F.lit(1)).over(of).alias("n"))
@@ -55,9 +59,16 @@ def _splitters(keyed: DataFrame, full: DataFrame, least: int, range_bytes: int)
     return ranked.where(quantile & (F.col("r") < F.col("n"))).groupBy("of").agg(F.array_sort(F.collect_set("key")).alias("splits"))
 
 
-def _ranges(keyed: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """``keyed`` (with a column ``key``) with the column ``range`` that the splitters of all levels give; ranges sort as keys do."""
-    out = keyed.withColumn("range", F.lit(0).cast("long"))
+def _wanted(total: int, least: int, range_bytes: int) -> int:
+    return min(max(-(-2 * total // range_bytes), least), _FAN)
+
+
+def _ranges(keyed: DataFrame, top: Column, levels: list[DataFrame]) -> DataFrame:
+    """``keyed`` (with a column ``key``) with the column ``range`` that the splitters of all levels give; ranges sort as keys do.
+
+    The first level's splitters, at most ``_FAN``, are a literal; those of ranges that were cut again join by range.
+    """
+    out = keyed.withColumn("range", _number(top, F.col("key")))
     for splits in levels:
         number = F.coalesce(_number(F.col("splits"), F.col("key")), F.lit(0))
         out = out.join(splits, F.col("range") == F.col("of"), "left").withColumn("range", F.col("range") * (_FAN + 1) + number).drop("of", "splits")
@@ -80,22 +91,23 @@ def assign_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     key = F.struct(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("h"), F.col(doc_id).alias("id"))
     keyed = written(docs.select(key.alias("key"), record_size(F.col(text)).alias("size")))
     total = keyed.agg(F.sum("size")).first()[0] or 0
+    kind = keyed.schema["key"].dataType
+    drawn = _splitters(keyed, None, total, range_bytes).collect()
+    top = F.array(*(F.struct(F.lit(k.h).alias("h"), F.lit(k.id).cast(kind["id"].dataType).alias("id")) for k in (drawn[0].splits if drawn else []))).cast(T.ArrayType(kind))
     levels: list[DataFrame] = []
-    full = keyed.sparkSession.createDataFrame([(0, total)], "of long, bytes long") if total else None
-    for level in range(_LEVELS):
-        if full is None:
+    for _ in range(_LEVELS):
+        sums = _ranges(keyed, top, levels).groupBy("range").agg(F.sum("size").alias("bytes"), F.min("key").alias("low"), F.max("key").alias("high"))
+        full = written(sums.where((F.col("bytes") > range_bytes) & (F.col("low") < F.col("high"))).select(F.col("range").alias("of"), "bytes"))
+        if not full.count():
             break
-        levels.append(written(_splitters(_ranges(keyed, levels), full, 1 if level else _LEAST, range_bytes)))
-        sums = _ranges(keyed, levels).groupBy("range").agg(F.sum("size").alias("bytes"), F.min("key").alias("low"), F.max("key").alias("high"))
-        over = written(sums.where((F.col("bytes") > range_bytes) & (F.col("low") < F.col("high"))).select(F.col("range").alias("of"), "bytes"))
-        full = over if over.count() else None
-    sums = _ranges(keyed, levels).groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+        levels.append(written(_splitters(_ranges(keyed, top, levels), full, total, range_bytes)))
+    sums = _ranges(keyed, top, levels).groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range, no more than all bytes by range_bytes allow
     before = written(sums.select(F.col("range").alias("of"), *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("bytes", "rows"))))
-    first = {r.shard: r.first for r in _placed(_ranges(keyed, levels), before, shards, total).groupBy("shard").agg(F.min("index").alias("first")).collect()}
+    first = {r.shard: r.first for r in _placed(_ranges(keyed, top, levels), before, shards, total).groupBy("shard").agg(F.min("index").alias("first")).collect()}
     record = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("record"), key.alias("key"), record_size(F.col(text)).alias("size"))
     starts = F.array(*(F.lit(first.get(s, 0)).cast("long") for s in range(shards)))
-    placed = _placed(_ranges(record, levels), before, shards, total)
+    placed = _placed(_ranges(record, top, levels), before, shards, total)
     return placed.select("record", "size", "shard", (F.col("index") - F.element_at(starts, F.col("shard") + 1)).alias("slot"))
 
 
