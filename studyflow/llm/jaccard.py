@@ -214,7 +214,7 @@ def _stars(entries: DataFrame, percent: int, short: int) -> DataFrame:
     only = lambda c: F.when(F.col("low"), F.col(c))
     blocks = left.groupBy(F.col("token").alias("t")).agg(F.min(only("n")).alias("least"), F.max(only("n")).alias("most"), F.min(only("node")).alias("leader"))
     fits = F.col("low") | ((F.col("least") <= F.col("n")) & (F.col("most") * 100 >= F.col("n") * percent))
-    edges = left.join(blocks, F.col("token") == F.col("t")).where(fits & (F.col("node") != F.col("leader")))
+    edges = left.join(written(blocks), F.col("token") == F.col("t")).where(fits & (F.col("node") != F.col("leader")))
     return edges.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
 
 
