@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from studyflow.llm import decontaminate, jaccard, mixing, quality, sharding
 from studyflow.llm.shared import fresh, written
 
+#: Words of a shingle, and least similarity in percent, of near duplicates (op5's query has its own).
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
@@ -20,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the smallest id, of each group that links of similar shingle sets connect."""
-    return jaccard.keep_one_each(docs)
+    """One document, the one of the smallest id, of each group that links of similar sets of five-word shingles connect."""
+    return jaccard.keep_one_each(docs, shingle=NEAR_SHINGLE, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

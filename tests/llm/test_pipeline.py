@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -32,3 +34,19 @@ def test_stages(spark):
 def test_run_agrees(spark):
     a, b = (sorted(map(repr, corpus_pipeline.run(spark, SF).select("doc_id", "shard").collect())) for _ in range(2))
     assert a == b and a
+
+
+def test_near_duplicates_take_five_words_and_80_percent(spark):
+    rng = random.Random(2)
+    rows = []
+    for k in range(12):
+        base = [f"w{k}_{j}" for j in range(200)]
+        rows.append((10 * k, " ".join(base)))
+        rows.append((10 * k + 1, " ".join(base + [f"a{k}_{j}" for j in range(44)])))  # appended: 0.82
+        at = rng.randrange(20, 160)
+        rows.append((10 * k + 2, " ".join(base[:at] + [f"b{k}_{j}" for j in range(17)] + base[at + 17 :])))  # a block of 8.5 % replaced: 0.81
+        rows.append((10 * k + 3, " ".join(base + [f"c{k}_{j}" for j in range(60)])))  # 0.77: another document
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.doc_id for r in corpus_pipeline.ngram_jaccard(spark, frame, SF).collect())
+    assert got == sorted({c for _, _, c in brute_components(rows, 5, 80)})
+    assert got != sorted({c for _, _, c in brute_components(rows)})
