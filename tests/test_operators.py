@@ -157,3 +157,13 @@ def test_ingest_and_decoding(spark):
     assert {r.id: (r.stored_id, r.is_new) for r in first.collect()} == {1: (1, True), 2: (1, False), 3: (3, True)}
     again = files.ingest(new, first.where("is_new").select("id", "sha256"))
     assert again.where("is_new").count() == 0
+
+
+def test_review_reports_years_of_no_source(spark, tmp_path):
+    rows = [(1, 0, "user", "The treaty was signed in 1998 by both of the sides."), (1, 1, "assistant", "The treaty was signed in 2003 by both of the sides."), (2, 0, "user", "It ended in 1998 they said."), (2, 1, "assistant", "It ended in 1998 they said.")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    from studyflow.plans.verify import i6
+
+    got = {r.doc_id: (r.issues.split(","), r.item_ids.split(","), r.passed) for r in i6(spark, str(tmp_path)).collect()}
+    assert got[1][0][-1] == "year_conflict" and len(got[1][1]) == len(got[1][0]) and not got[1][2]
+    assert "year_conflict" not in got[2][0]
