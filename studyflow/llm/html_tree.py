@@ -35,6 +35,8 @@ CLOSES = {
     "thead": (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",)), "tbody": (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",)),
     "tfoot": (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",)),
 }
+#: Elements that may stand in a head; any other start tag, and text, ends an open one.
+_IN_HEAD = frozenset("title meta link base basefont bgsound script style noscript noframes template head".split())
 #: Void elements that part words.
 _INLINE_SPACE = frozenset("br hr img input".split())
 
@@ -95,9 +97,16 @@ def parse(page: str) -> list[Node]:
             flush()
         del stack[k:]
 
+    def end_head() -> None:
+        """The head ends, closed or not, where something begins that cannot stand in it."""
+        if stack[-1].tag == "head":
+            stack.pop()
+
     at = 0
     while (m := _TOKEN.search(page, at)) is not None:
         if m.start() > at:
+            if not page[at : m.start()].isspace():
+                end_head()
             add(page[at : m.start()])
         at = m.end()
         tag = m[2]
@@ -112,6 +121,8 @@ def parse(page: str) -> list[Node]:
                 if stack[k].tag in ("td", "th", "table") and tag not in BLOCKS:
                     break
             continue
+        if tag not in _IN_HEAD:
+            end_head()
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             at = len(page) if end is None else end.start()
@@ -162,6 +173,8 @@ def parse(page: str) -> list[Node]:
             nodes.append(Node(tag, top.node, " ".join(names), label, depth=nodes[top.node].depth + 1))
             node = len(nodes) - 1
         stack.append(_Open(tag, node, top.skip, top.link))
+    if page[at:].strip():
+        end_head()
     add(page[at:])
     flush()
     if all(n.tag != "body" for n in nodes):

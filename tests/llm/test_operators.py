@@ -335,3 +335,12 @@ def test_extraction_query(spark, model):
         want = "\n\n".join(x for y in re.split(r"</?(?:p|h1)[^>]*>", body) if (x := " ".join(html.unescape(re.sub(r"<[^>]+>", " " if "br" in y else "", y)).split())))
         right += got[r.page_id].text.replace(" ", "") == want.replace(" ", "")
     assert right >= math.floor(0.95 * pages.count())
+
+
+def test_head_ends_without_tags():
+    words = lambda page: [n.text for n in parse(page) if not n.tag and n.text]
+    head = "<!doctype html><html><head>\n<meta charset=utf-8><title>t</title><link href=x><script>s</script><style>p{}</style><noscript><p>n</p></noscript><template><p>m</p></template>"
+    assert words(head + "<article><p>one</p><p>two</p></article>") == ["one", "two"]
+    assert words(head + " plain <b>text</b>") == ["plain text"] and words("<head><title>t</title>tail") == ["tail"]
+    assert words(head + "<a href=x>link</a>") == ["link"]
+    assert words(head + "</head><body><p>one") == ["one"] and words(head + "<body><p>one") == ["one"] and words(head) == []
