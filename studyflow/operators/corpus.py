@@ -95,15 +95,59 @@ def merge_wrapped(lines: list[str], width: int = 18) -> list[str]:
     """Lines joined to the one before, where that is long, has no stop at its end, and the line starts no structure: a fold over the output."""
     out: list[str] = []
     for line in lines:
-        last = out[-1] if out else ""
-        if last and len(last) >= width and not _STOP.search(last) and not _STARTS.match(line) and not _STARTS.match(last[:1] if last[:1] in "#|" else " "):
-            joint = "" if ord(last[-1]) > 0x2E80 or ord(line[0]) > 0x2E80 else " "
-            out[-1] = last + joint + line
-        else:
-            out.append(line)
+        _append(out, line, width)
     return out
 
 
+def _append(out: list[str], line: str, width: int = 18) -> None:
+    last = out[-1] if out else ""
+    if last and len(last) >= width and not _STOP.search(last) and not _STARTS.match(line) and not _STARTS.match(last[:1] if last[:1] in "#|" else " "):
+        joint = "" if ord(last[-1]) > 0x2E80 or ord(line[0]) > 0x2E80 else " "
+        out[-1] = last + joint + line
+    else:
+        out.append(line)
+
+
+_ENTRY = re.compile(r"\s*[借贷]\s*[:：]")
+
+
+def entry_numbers(texts: list[str], reasons: list[str | None]) -> list[bool]:
+    """Which lines of a page are numbers of up to three digits after an output line, or before a line, that begins an accounting entry."""
+    out: list[str] = []
+    held = []
+    for k, (line, reason) in enumerate(zip(texts, reasons)):
+        bare = re.sub(r"\s+", "", line)
+        near = (out and _ENTRY.match(out[-1])) or (k + 1 < len(texts) and _ENTRY.match(texts[k + 1]))
+        held.append(bool(bare.isdigit() and len(bare) <= 3 and near))
+        if held[-1]:
+            _append(out, line)
+        elif reason is None:
+            for part in split_structural(line):
+                _append(out, part)
+    return held
+
+
+def keep_entry_numbers(classified: DataFrame) -> DataFrame:
+    """The classified lines, without a reason where a short number belongs to an accounting entry.
+
+    Only pages with both a short number and an entry are folded; the others' lines pass as they are.
+    """
+    page = ["document_id", "page_number"]
+    both = classified.groupBy(*page).agg(F.bool_or(F.col("text").rlike(r"^(\s*\p{Nd}){1,3}\s*$")).alias("n"), F.bool_or(F.col("text").rlike(r"[借贷]\s*[:：]")).alias("e")).where("n AND e").select(*(F.col(c).alias(f"_{c}") for c in page))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("line_no", kind="stable")
+        held = entry_numbers(pdf["text"].tolist(), [r if isinstance(r, str) else None for r in pdf["reason"]])
+        return pdf.loc[held, [*page, "line_no"]].set_axis(["_document_id", "_page_number", "_line_no"], axis=1)
+
+    kinds = {f.name: f.dataType.simpleString() for f in classified.schema}
+    schema = f"_document_id {kinds['document_id']}, _page_number {kinds['page_number']}, _line_no {kinds['line_no']}"
+    same = lambda names: [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]
+    held = classified.join(both, same(page), "left_semi").select(*page, "line_no", "text", "reason").groupBy(*page).applyInPandas(fold, schema)
+    rows = classified.join(held, same([*page, "line_no"]), "left")
+    return rows.withColumn("reason", F.when(F.col("_line_no").isNull(), F.col("reason"))).select(*classified.columns)
+
+
 def clean_pages(lines: DataFrame) -> DataFrame:
     """(document_id, page_number, line_no, text) after splits and merges; each page is folded on its own, in order of lines."""
 

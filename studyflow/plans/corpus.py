@@ -62,7 +62,7 @@ def b6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _lines(spark, sf_dir)
-    return X.classify_lines(lines, X.repeated_noise(lines))
+    return X.keep_entry_numbers(X.classify_lines(lines, X.repeated_noise(lines)))
 
 
 _CLASS = _NOISE + f""", cl AS (SELECT kd.*, CASE WHEN {_HIGH} THEN NULL WHEN rn.key IS NOT NULL THEN 'repeated_noise' WHEN regexp_matches(text, '^[-—\\s]*(第?\\s*[0-9]{{1,4}}\\s*页?|[0-9]{{1,4}}\\s*/\\s*[0-9]{{1,4}})[-—\\s]*$') THEN 'page_number'

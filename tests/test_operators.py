@@ -167,3 +167,16 @@ def test_review_reports_years_of_no_source(spark, tmp_path):
     got = {r.doc_id: (r.issues.split(","), r.item_ids.split(","), r.passed) for r in i6(spark, str(tmp_path)).collect()}
     assert got[1][0][-1] == "year_conflict" and len(got[1][1]) == len(got[1][0]) and not got[1][2]
     assert "year_conflict" not in got[2][0]
+
+
+def test_short_numbers_of_entries_stay(spark):
+    page = ["借：银行存款", "500", "12", "说明文字", "7", "贷：收入", "页脚", "33"]
+    rows = [("d", 1, k, t) for k, t in enumerate(page)] + [("d", 2, k, t) for k, t in enumerate(["正文一", "44", "正文二"])] + [(None, 3, k, t) for k, t in enumerate(["借：库存", "81"])]
+    lines = spark.createDataFrame(rows, "document_id string, page_number long, line_no int, text string")
+    classified = corpus.classify_lines(lines, corpus.repeated_noise(lines))
+    kept = corpus.keep_entry_numbers(classified)
+    assert kept.columns == classified.columns and kept.count() == len(rows)
+    assert {(r.page_number, r.text) for r in kept.where("reason IS NOT NULL").collect()} == {(1, "12"), (1, "33"), (2, "44")}
+    cleaned = corpus.clean_pages(kept.where("reason IS NULL").drop("reason"))
+    assert [r.text for r in cleaned.where("page_number = 1").orderBy("line_no").collect()] == ["借：银行存款", "500", "说明文字", "7", "贷：收入", "页脚"]
+    assert {r.reason: r.n for r in corpus.reason_counts(kept).where("document_id = 'd'").collect()} == {"page_number": 3}
