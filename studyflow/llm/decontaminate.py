@@ -8,7 +8,8 @@ bound and the positional bound (the window must fit in the document around the s
 words of the window are compared.
 
 The benchmark side is sent to the tasks in blocks of at most ``max_windows`` windows, so what is broadcast has a fixed
-bound; a larger benchmark takes more blocks, each a pass over the documents, and no shuffle of the documents.
+bound; a larger benchmark takes more blocks, each a pass over the documents that is written before the next block is
+collected, and no shuffle of the documents.  The driver and the workers hold one block at a time.
 
 Defined results: null and empty texts have no words, are never hit and stay; an item without words or with a null id
 matches nothing; items of equal id count once; repeated document rows are judged each on its own; an empty benchmark
@@ -19,15 +20,16 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import filter_text, lists, map_text, text_bytes
+from .shared import dropped, filter_text, lists, map_text, text_bytes, written
 from .tokens import ALNUM_LOWER, Words, split_words, windows
 
 WINDOW, SHINGLE, MAX_WINDOWS = 10, 5, 100_000
@@ -137,19 +139,38 @@ class WindowIndex:
                         yield text, a, window
 
 
-def window_indexes(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, window: int, shingle: int, max_windows: int) -> list[WindowIndex]:
-    """The benchmark's windows in blocks of about ``max_windows``, each indexed by its rarest shingles."""
+def window_indexes(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, window: int, shingle: int, max_windows: int) -> Iterator[tuple[WindowIndex, bool]]:
+    """The benchmark's windows in blocks of about ``max_windows``, each indexed by its rarest shingles, and whether it is the last."""
     found = item_windows(benchmark, item_id, item_text, window, shingle)
-    blocks = math.ceil(found.count() / max_windows)
-    out = []
+    blocks = max(1, math.ceil(found.count() / max_windows))
     for block in range(blocks):
-        rows = found.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block).collect()
-        wanted = defaultdict(set)
-        for r in rows:
-            wanted[min(shingle, r.length)].update(r.shingles)
-        sets = {k: np.array(sorted(v), np.int64).view(np.uint64) for k, v in wanted.items()}
-        df = {(r.k, r.shingle): r.df for r in shingle_frequencies(docs, text, sets).collect()} if sets else {}
-        out.append(WindowIndex([tuple(r) for r in rows], df, shingle))
+        yield _block_index(docs, text, found.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block), shingle), block == blocks - 1
+
+
+def _block_index(docs: DataFrame, text: str, found: DataFrame, shingle: int) -> WindowIndex:
+    rows = found.collect()
+    wanted = defaultdict(set)
+    for r in rows:
+        wanted[min(shingle, r.length)].update(r.shingles)
+    sets = {k: np.array(sorted(v), np.int64).view(np.uint64) for k, v in wanted.items()}
+    df = {(r.k, r.shingle): r.df for r in shingle_frequencies(docs, text, sets).collect()} if sets else {}
+    return WindowIndex([tuple(r) for r in rows], df, shingle)
+
+
+def _in_passes(docs: DataFrame, blocks: Iterator[tuple[WindowIndex, bool]], step: Callable[[DataFrame, Broadcast, int], DataFrame]) -> DataFrame:
+    """``docs`` after ``step`` with each block; all passes but the last are written, and their block let go, before the next block is made."""
+    out, before, k = docs, None, 0
+    for index, last in blocks:  # enumerate would hold the block while the next is made
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+        del index
+        out = step(out, sent, k)
+        k += 1
+        if not last:
+            out = written(out)
+            sent.destroy()
+            if before is not None:
+                dropped(before)
+            before = out
     return out
 
 
@@ -158,14 +179,13 @@ def find_contamination(
     window: int = WINDOW, shingle: int = SHINGLE, max_windows: int = MAX_WINDOWS,
 ) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside any occurrence), spans (first word and word after, merged), items (ids as sorted strings)."""
-    indexes = window_indexes(docs, benchmark, text, item_id, item_text, window, shingle, max_windows) or [WindowIndex([], {}, shingle)]
     kind = docs.schema[doc_id].dataType
     out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     carried = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("text", T.StringType()), *carried])
-    for k, index in enumerate(indexes):
-        out = map_text(out, "text", schema, _hits(docs.sparkSession.sparkContext.broadcast(index), k > 0))
-    return out.drop("text")
+    blocks = window_indexes(docs, benchmark, text, item_id, item_text, window, shingle, max_windows)
+    found = _in_passes(out, blocks, lambda rows, sent, k: map_text(rows, "text", schema, _hits(sent, k > 0)))
+    return found.drop("text")
 
 
 def _hits(sent, again: bool):
@@ -207,19 +227,17 @@ def _merged(spans: list[tuple[int, int]]) -> list[int]:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """The documents, with all their columns, in which no window of the benchmark occurs."""
-    out = docs
-    for index in window_indexes(docs, benchmark, text, item_id, item_text, window, shingle, max_windows):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
 
-        def keep(column: pa.Array, sent=sent) -> np.ndarray:
+    def drop(rows: DataFrame, sent: Broadcast, _: int) -> DataFrame:
+        def keep(column: pa.Array) -> np.ndarray:
             clean = np.ones(len(column), bool)
             for hit, _, _ in sent.value.occurrences(split_words(*text_bytes(column), ALNUM_LOWER)):
                 clean[hit] = False
             return clean
 
-        out = filter_text(out, text, keep)
-    return out
+        return filter_text(rows, text, keep)
 
+    return _in_passes(docs, window_indexes(docs, benchmark, text, item_id, item_text, window, shingle, max_windows), drop)
 
 
 def op1_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import html
 import math
 import re
+import weakref
 from collections import Counter, defaultdict
 
 import pytest
@@ -344,3 +345,22 @@ def test_head_ends_without_tags():
     assert words(head + " plain <b>text</b>") == ["plain text"] and words("<head><title>t</title>tail") == ["tail"]
     assert words(head + "<a href=x>link</a>") == ["link"]
     assert words(head + "</head><body><p>one") == ["one"] and words(head + "<body><p>one") == ["one"] and words(head) == []
+
+
+def test_blocks_of_the_benchmark_are_held_one_at_a_time(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, " ".join(f"w{k + j}" for j in range(30))) for k in range(0, 300, 20)], "doc_id long, text string")
+    bench = spark.createDataFrame([(f"i{k}", " ".join(f"w{k + j}" for j in range(25))) for k in (5, 100, 281, 900)], "item_id string, text string")
+    alive, most, made = weakref.WeakSet(), [0], decontaminate.WindowIndex.__init__
+
+    def init(self, *a):
+        made(self, *a)
+        alive.add(self)
+        most[0] = max(most[0], len(alive))
+
+    whole = sorted(map(repr, decontaminate.find_contamination(docs, bench).collect()))
+    clean = sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect())
+    assert 0 < len(clean) < docs.count()
+    monkeypatch.setattr(decontaminate.WindowIndex, "__init__", init)
+    assert sorted(map(repr, decontaminate.find_contamination(docs, bench, max_windows=20).collect())) == whole
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench, max_windows=20).collect()) == clean
+    assert most[0] == 1
