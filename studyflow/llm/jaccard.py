@@ -27,7 +27,10 @@ already answered: only lists of the shingles in which the two differ are read.
 Defined results: words by ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered, of whole texts; a text of fewer words than a
 shingle has its whole sequence as its one shingle; null and empty texts have an empty set and link with nothing;
 repeated rows and equal texts are in one component; null ids take part, but a component's id is its smallest non-null one;
-an empty table has an empty result.  Sets are known by 64-bit hashes of their shingles' 64-bit hashes.
+an empty table has an empty result.
+
+Shingles are known by 64-bit hashes.  Sets are known by 128 bits: a node is a 64-bit hash of a set, and where two sets
+with different second hashes share one, which an aggregate finds, the second hash goes into their nodes.
 """
 
 from __future__ import annotations
@@ -43,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import dropped, lists, map_text, steps, text_bytes, text_column, written
+from .shared import dropped, fresh, lists, map_text, steps, text_bytes, text_column, written
 from .tokens import SPACED_LOWER, mix, shingle_sets, split_words
 
 SHINGLE, PERCENT = 4, 85
@@ -51,15 +54,29 @@ SHINGLE, PERCENT = 4, 85
 _BUCKETS, _CHUNK, _FILTER_BITS = 1 << 20, 1 << 16, 1 << 23
 #: Entries up to which the pairs of a list are made; sets, and shingles, that a part of a block holds; sets of a part when outsiders ask.
 SHORT, BLOCK_SETS, BLOCK_SHINGLES, ASK_SETS = 16, 64, 1 << 20, 512
+#: Parts that the rows of a block are dealt out in where they join what is said of the block.
+_SALTS = 32
+
+
+_NO_CLASH = np.zeros(0, np.int64)
+
+
+def _set_hash(h: np.ndarray, at: np.ndarray, salt: int) -> np.ndarray:
+    """A 64-bit hash of each set, from its size and the sum of its shingles' mixed hashes."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(salt)))])
+    return mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def _apart(node: np.ndarray, check: np.ndarray, clash: np.ndarray) -> np.ndarray:
+    """The nodes, with the second hash in those that different sets share."""
+    return np.where(np.isin(node, clash), mix(node.view(np.uint64) ^ mix(check.view(np.uint64))).view(np.int64), node) if len(clash) else node
 
 
-def _sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles of the texts' sets, where each begins, and each set's node (0: empty)."""
+def _sets(column: pa.Array, shingle: int, clash: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of the texts' sets, where each begins, each set's node (0: empty), and its second hash."""
     h, at = shingle_sets(split_words(*text_bytes(column), SPACED_LOWER), shingle)
-    n = np.diff(at)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h))])
-    node = mix(sums[at[1:]] - sums[at[:-1]] + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-    return h, at, np.where(n > 0, node, 0)
+    node, check = _set_hash(h, at, 0), _set_hash(h, at, 0x6A09E667F3BCC909)
+    return h, at, np.where(np.diff(at) > 0, _apart(node, check, clash), 0), check
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -67,23 +84,25 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 
 
 def _first_pass(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n_shingles, node) of every document, and each task's counts of shingles by bucket in rows with a chunk."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T._parse_datatype_string("n_shingles bigint, node bigint, chunk int, counts binary").fields])
+    """The columns of every document but its text, n_shingles, node and check; and each task's counts of shingles by bucket in rows with a chunk."""
+    carried = [f for f in docs.schema.fields if f.name != "text"]
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in carried), *T._parse_datatype_string("n_shingles bigint, node bigint, check bigint, chunk int, counts binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(_BUCKETS, np.uint32)
-        ids = None
+        some = False
         for batch in batches:
             column = text_column(batch, "text")
             for a, b in steps(column):
-                h, at, node = _sets(column.slice(a, b - a), shingle)
+                h, at, node, check = _sets(column.slice(a, b - a), shingle, _NO_CLASH)
                 counts += np.bincount(_bucket(h).astype(np.int64), minlength=_BUCKETS).astype(np.uint32)
-                ids = batch.column(0).slice(a, b - a)
-                none = pa.nulls(b - a)
-                yield _batch(schema, ids, np.diff(at), node, none.cast(pa.int32()), none.cast(pa.binary()))
-        for k in range(_BUCKETS // _CHUNK) if ids is not None else ():
+                own = [batch.column(batch.schema.get_field_index(f.name)).slice(a, b - a) for f in carried]
+                none = [None] * (b - a)
+                some = True
+                yield _batch(schema, *own, np.diff(at), node, check, none, none)
+        for k in range(_BUCKETS // _CHUNK) if some else ():
             part = zlib.compress(counts[k * _CHUNK : (k + 1) * _CHUNK].tobytes(), 1)
-            yield _batch(schema, pa.nulls(1, ids.type), [None], [None], [k], [part])
+            yield _batch(schema, *([[None]] * (len(carried) + 3)), [k], [part])
 
     return docs.mapInArrow(run, schema)
 
@@ -95,6 +114,27 @@ def _batch(schema: T.StructType, *columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, type=f.type) for c, f in zip(columns, kinds)], schema=kinds)
 
 
+def _clashes(first: DataFrame) -> np.ndarray:
+    """Nodes that different sets share: as many as 64-bit hashes collide, which is next to none."""
+    by = first.where("node <> 0").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high"))
+    return np.array(sorted(r.node for r in by.where("low < high").select("node").collect()), np.int64)
+
+
+def _set_apart(first: DataFrame, clash: np.ndarray) -> DataFrame:
+    """The documents' rows of the first pass, with their final nodes."""
+    own = first.where("chunk IS NULL").drop("chunk", "counts")
+    if not len(clash):
+        return own.drop("check")
+    place = own.columns.index("node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, check = (batch.column(k).to_numpy(zero_copy_only=False) for k in (place, place + 1))
+            yield batch.set_column(place, "node", pa.array(np.where(node != 0, _apart(node, check, clash), 0)))
+
+    return own.mapInArrow(run, own.schema).drop("check")
+
+
 def _sketch(first: DataFrame) -> np.ndarray:
     """The tasks' counts, summed as they stream by; the result has a fixed size."""
 
@@ -140,12 +180,12 @@ def _can_link(n: int, bits: bytes, m: int, other: bytes, percent: int) -> bool:
     return (100 + percent) * (n + m - apart) >= 2 * percent * (n + m)
 
 
-def _postings(docs: DataFrame, sketch: np.ndarray, shingle: int, percent: int) -> DataFrame:
+def _postings(docs: DataFrame, sketch: np.ndarray, shingle: int, percent: int, clash: np.ndarray) -> DataFrame:
     """(node, n, indexed, tokens, bits): the probe part of each set, rarest first, of which the first ``indexed`` are its index part, and its bit map."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def step(batch: pa.RecordBatch, column: pa.Array) -> dict[str, object] | None:
-        h, at, node = _sets(column, shingle)
+        h, at, node, _ = _sets(column, shingle, clash)
         rank = (sent.value[_bucket(h)].astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
         _, rows = np.unique(node, return_index=True)
         rows = rows[node[rows] != 0]
@@ -231,12 +271,12 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def _held(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+def _held(docs: DataFrame, nodes: DataFrame, shingle: int, clash: np.ndarray) -> DataFrame:
     """(node, packed) of the nodes in blocks, one row each: a text of the node, compressed, which is shorter than its hashed set."""
     sent = docs.sparkSession.sparkContext.broadcast(_filter(nodes.select("node")))
 
     def step(batch: pa.RecordBatch, column: pa.Array) -> dict[str, object] | None:
-        node = _sets(column, shingle)[2]
+        node = _sets(column, shingle, clash)[2]
         _, rows = np.unique(node, return_index=True)
         rows = rows[_maybe(sent.value, node[rows]) & (node[rows] != 0)]
         packer = zstandard.ZstdCompressor(level=3)
@@ -343,40 +383,76 @@ def _verified(pairs: DataFrame, held: DataFrame, shingle: int, percent: int) ->
     return _joined(rows.join(held, "node"), ["group"], shingle, percent)
 
 
+def _by_block(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows (node, block, ...) with what ``right`` says of their block, a row each; a block of many rows is dealt out by a salt."""
+    salted = left.withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(_SALTS)).cast("int"))
+    return salted.join(right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))), ["block", "salt"]).drop("salt")
+
+
+def _folded(maps: np.ndarray, size: int) -> np.ndarray:
+    """Bit maps, a row each, brought down to ``size`` bytes."""
+    while maps.shape[1] > size:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+def possible_pairs(askers: list[tuple], others: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """(node, node) of the pairs of askers and others, rows (node, n, bits, root) each, with different roots whose bit maps let them link."""
+    out = []
+    for size in {len(o[2]) for o in others}:
+        rows = [o for o in others if len(o[2]) == size]
+        node, n, root = (np.array([o[k] for o in rows]) for k in (0, 1, 3))
+        maps = np.frombuffer(b"".join(o[2] for o in rows), np.uint8).reshape(len(rows), size)
+        small: dict[int, np.ndarray] = {}
+        for a, m, bits, there in askers:
+            fits = np.flatnonzero((n * 100 >= m * percent) & (m * 100 >= n * percent) & (root != there))
+            if len(fits):
+                at = min(size, len(bits))
+                if at not in small:
+                    small[at] = np.ascontiguousarray(_folded(maps, at)).view(np.uint64)
+                own = np.ascontiguousarray(_folded(np.frombuffer(bits, np.uint8)[None], at)).view(np.uint64)
+                apart = np.bitwise_count(small[at][fits] ^ own).sum(axis=1, dtype=np.int64)
+                both = n[fits] + m
+                out += [(a, x) for x in node[fits[(100 + percent) * (both - apart) >= 2 * percent * both]].tolist()]
+    return out
+
+
 def _outside_pairs(members: DataFrame, percent: int) -> DataFrame:
     """(a, b): sets of a block outside its largest component with all its sets of other components, if their bit maps allow.
 
-    ``members`` is (node, n, bits, block, root, asked).  The sets of a block, and those that ask, are cut by hash into parts of
-    ``ASK_SETS``; each part of askers meets each part of sets in a task of its own.
+    ``members`` is (node, n, bits, block, root, asked, parts, askers).  The sets of a block, and those that ask, are cut by hash
+    into parts of ``ASK_SETS``; each part of askers meets each part of sets in a task of its own.
     """
-    sizes = members.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / ASK_SETS).cast("int").alias("parts"), F.ceil(F.count_if("asked") / ASK_SETS).cast("int").alias("askers"))
-    rows = members.join(sizes.where("askers > 0"), "block")
     part = lambda seed, c: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(c)).cast("int")
     column = ["node", "n", "bits", "root"]
-    targets = rows.select(*column, F.lit(False).alias("asked"), "block", part(1, "parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("to"))
-    asking = rows.where("asked").select(*column, "asked", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), part(2, "askers").alias("to"))
+    targets = members.select(*column, F.lit(False).alias("asked"), "block", part(1, "parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("to"))
+    asking = members.where("asked").select(*column, "asked", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), part(2, "askers").alias("to"))
     dealt = targets.union(asking).repartition("block", "part", "to").sortWithinPartitions("block", "part", "to", F.desc("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, askers = None, []
+        key, askers, others = None, [], []
         for batch in batches:
             out = []
             for node, n, bits, root, asked, *own in zip(*(c.to_pylist() for c in batch.columns)):
                 if own != key:
-                    key, askers = own, []
-                if asked:
-                    askers.append((node, n, bits, root))
-                else:
-                    out += [(a, node) for a, m, other, there in askers if there != root and _can_link(n, bits, m, other, percent)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+                    out += possible_pairs(askers, others, percent)
+                    key, askers, others = own, [], []
+                (askers if asked else others).append((node, n, bits, root))
+            yield from _pairs(out)
+        yield from _pairs(possible_pairs(askers, others, percent))
 
     return dealt.mapInArrow(run, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def set_components(docs: DataFrame, first: DataFrame, shingle: int, percent: int, block_sets: int = BLOCK_SETS, short: int = SHORT) -> DataFrame:
+def _pairs(out: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+
+def set_components(docs: DataFrame, first: DataFrame, shingle: int, percent: int, clash: np.ndarray = _NO_CLASH, block_sets: int = BLOCK_SETS, short: int = SHORT) -> DataFrame:
     """(node, root) of the nodes that links connect with others."""
-    postings = written(_postings(docs, _sketch(first), shingle, percent))
+    postings = written(_postings(docs, _sketch(first), shingle, percent, clash))
     maps = postings.select("node", "n", "bits").dropDuplicates(["node"])
     entries = _entries(postings)
     pairs = written(_possible(_short_pairs(entries, percent, short), maps, percent))
@@ -384,9 +460,9 @@ def set_components(docs: DataFrame, first: DataFrame, shingle: int, percent: int
     dropped(entries)
     sized = blocks.join(maps.select("node", "n"), "node")
     size = sized.groupBy("block").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    named = written(blocks.join(size, "block").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
+    named = written(_by_block(blocks, size).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(named.select("node")).distinct()
-    held = written(_held(docs, needed, shingle))
+    held = written(_held(docs, needed, shingle, clash))
     by_pair = written(_verified(pairs, held, shingle, percent))
     # Each part of a block meets part 0, whose sets are the pivots.
     goes = F.when(F.col("part") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
@@ -397,35 +473,46 @@ def set_components(docs: DataFrame, first: DataFrame, shingle: int, percent: int
     if not large.take(1):
         return roots
     state = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    main = state.groupBy("block", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("block").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-    members = state.join(main, "block").withColumn("asked", F.col("root") != F.col("main")).join(maps, "node")
+    sums = state.groupBy("block", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("block").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all"))
+    cut = sums.where("all > most").select("block", "main", F.ceil(F.col("all") / ASK_SETS).cast("int").alias("parts"), F.ceil((F.col("all") - F.col("most")) / ASK_SETS).cast("int").alias("askers"))
+    members = _by_block(state, cut).withColumn("asked", F.col("root") != F.col("main")).join(maps, "node")
     late = _verified(written(_outside_pairs(members, percent)), held, shingle, percent)
     return connected_components(edges.union(late.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
+def _own_and_roots(rows: DataFrame, shingle: int, percent: int, block_sets: int) -> tuple[DataFrame, DataFrame]:
+    """The columns of ``rows`` but the text, with n_shingles and node; and (node, root) of the nodes that others link with."""
+    first = written(_first_pass(rows, shingle))
+    clash = _clashes(first)
+    return _set_apart(first, clash), set_components(rows.select("text"), first, shingle, percent, clash, block_sets)
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, block_sets: int = BLOCK_SETS) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id (the smallest id that links reach)."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    first = written(_first_pass(rows, shingle))
-    own = first.where("chunk is null").select("doc_id", "n_shingles", "node")
-    roots = set_components(rows, first, shingle, percent, block_sets)
-    nodes = own.where("node != 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own, roots = _own_and_roots(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle, percent, block_sets)
+    nodes = own.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     nodes = written(nodes)
     lowest = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = nodes.join(lowest, "root").select("node", "component_id")
-    joined = own.join(ids, "node", "left")
+    joined = own.join(nodes.join(lowest, "root").select("node", "component_id"), "node", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents, with all their columns, that are the smallest id of their component; of rows with that id, one.
+    """One row of each component, with all its columns: the one of the smallest id, null ids last; of texts that share this id, the one of the smallest hash.
 
-    Rows with a null id have nothing to be known by and stay, as do texts with an empty set (once an id).
+    Texts with an empty set link with nothing and stay, once an id and text.  Of rows that share id and text, the one
+    of the smallest hash over all columns is taken.  Rows are known by 128 bits of id and text.
     """
-    found = jaccard_components(docs, doc_id, text, shingle, percent)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_id")).distinct()
-    one = docs.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
-    return one.join(kept, F.col(doc_id) == F.col("_kept_id"), "left_semi").unionByName(docs.where(F.col(doc_id).isNull()))
+    low, high, row = fresh(docs, "low", "high", "row")
+    keyed = docs.withColumn(low, F.xxhash64(doc_id, text)).withColumn(high, F.xxhash64(F.lit(7), text, doc_id))
+    own, roots = _own_and_roots(keyed.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(low).alias("low"), F.col(high).alias("high")), shingle, percent, BLOCK_SETS)
+    first = lambda r: F.min(r).alias("r")
+    nodes = own.where("node <> 0").groupBy("node").agg(first(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "low", "high"))).join(roots, "node", "left")
+    chosen = nodes.groupBy(F.coalesce("root", "node").alias("c")).agg(first(F.col("r"))).select("r.low", "r.high")
+    kept = chosen.unionByName(own.where("node = 0").select("low", "high")).distinct()
+    hashable = [f.name for f in docs.schema.fields if "map<" not in (kind := f.dataType.simpleString()) and "variant" not in kind]
+    one = keyed.groupBy(low, high).agg(F.min_by(F.struct(*(F.col(c) for c in docs.columns)), F.xxhash64(*hashable)).alias(row))
+    return one.join(kept, (F.col(low) == F.col("low")) & (F.col(high) == F.col("high")), "left_semi").select(f"{row}.*")
 
 
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

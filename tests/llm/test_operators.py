@@ -9,6 +9,7 @@ import re
 import weakref
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,18 +201,48 @@ def near_copies(n, words=60, changed=3):
 def test_jaccard(spark, docs, odd, short, block, monkeypatch):
     monkeypatch.setattr(jaccard, "SHORT", short)
     monkeypatch.setattr(jaccard, "ASK_SETS", 16)
-    monkeypatch.setattr(jaccard.set_components, "__defaults__", (block, short))
+    monkeypatch.setattr(jaccard.set_components, "__defaults__", (jaccard._NO_CLASH, block, short))
     rows = texts(docs) + [(d, t) for d, t, _, _ in ODD] + near_copies(40, changed=1) + [(5000 + d, t) for d, t in near_copies(40, 80, 2)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame, block_sets=block).collect()), key=repr)
     assert got == brute_components(rows)
 
 
-def test_jaccard_keeps_one_each(odd, empty):
+def test_jaccard_sets_of_one_hash_stay_apart(spark, docs, monkeypatch):
+    first = spark.createDataFrame([(1, 5, 7, 1, None, None), (2, 5, 7, 2, None, None), (3, 5, 9, 3, None, None), (4, 5, 9, 3, None, None), (5, 0, 0, 4, None, None), (6, 0, 0, 5, None, None), (None, None, None, None, 0, b"")], "doc_id long, n_shingles long, node long, check long, chunk int, counts binary")
+    clash = jaccard._clashes(first)
+    assert clash.tolist() == [7]
+    node = {r.doc_id: r.node for r in jaccard._set_apart(first, clash).collect()}
+    assert len(node) == 6 and node[1] != node[2] and {node[1], node[2]}.isdisjoint({0, 7, 9}) and node[3] == node[4] == 9 and node[5] == node[6] == 0
+    # The same in the operator, with every node taken for one that sets share.
+    nodes = jaccard._clashes
+    monkeypatch.setattr(jaccard, "_clashes", lambda first: np.array(sorted(r.node for r in first.where("node <> 0").select("node").distinct().collect())))
+    rows = texts(docs) + near_copies(20, changed=1) + [(None, None), (7000, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame).collect()), key=repr)
+    assert got == brute_components(rows) and len(nodes(jaccard._first_pass(frame, 4))) == 0
+
+
+def brute_kept(rows, shingle=4, percent=85):
+    """How many rows stay, and their smallest ids: a row a component (by row number), and each pair of id and text without words once."""
+    worded = sorted({(d is None, d or 0, d, t) for d, t in rows if SPACED.search(t or "")})
+    found = brute_components([(k, t) for k, (*_, t) in enumerate(worded)], shingle, percent)
+    bare = {(d, t) for d, t in rows if not SPACED.search(t or "")}
+    return sorted([worded[k][2] for k in {c for _, _, c in found}] + [d for d, _ in bare], key=repr)
+
+
+def test_jaccard_keeps_one_each(spark, odd, empty):
     kept = jaccard.keep_one_each(odd)
     assert kept.columns == odd.columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 5, 6, 7]
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == brute_kept([(d, t) for d, t, _, _ in ODD])
     assert jaccard.jaccard_components(empty).count() == 0 and jaccard.keep_one_each(empty).count() == 0
+    near = dict(near_copies(3, changed=1))
+    rows = [(1, near[1000], 1), (5, near[1001], 2), (5, "a text of its own that shares an id", 3), (5, "a text of its own that shares an id", 3), (None, near[1002], 4), (None, "one more text of its own", 5), (7, None, 6), (7, "", 7)]
+    clash = spark.createDataFrame(rows, "doc_id long, text string, _kept_id long").withColumns({"low": F.lit(1), "_low": F.lit(2), "node": F.lit(3), "chunk": F.lit(4), "m": F.create_map(F.lit("a"), F.lit(1))})
+    kept = jaccard.keep_one_each(clash)
+    assert kept.dtypes == clash.dtypes
+    assert sorted((r._kept_id for r in kept.collect())) == [1, 3, 5, 6, 7]
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == brute_kept([r[:2] for r in rows])
 
 
 def test_connected_components(spark):
