@@ -236,7 +236,7 @@ def test_jaccard_keeps_one_each(spark, odd, empty):
     assert kept.columns == odd.columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == brute_kept([(d, t) for d, t, _, _ in ODD])
     assert jaccard.jaccard_components(empty).count() == 0 and jaccard.keep_one_each(empty).count() == 0
-    near = dict(near_copies(3, changed=1))
+    near = dict(near_copies(3, 200, 1))
     rows = [(1, near[1000], 1), (5, near[1001], 2), (5, "a text of its own that shares an id", 3), (5, "a text of its own that shares an id", 3), (None, near[1002], 4), (None, "one more text of its own", 5), (7, None, 6), (7, "", 7)]
     clash = spark.createDataFrame(rows, "doc_id long, text string, _kept_id long").withColumns({"low": F.lit(1), "_low": F.lit(2), "node": F.lit(3), "chunk": F.lit(4), "m": F.create_map(F.lit("a"), F.lit(1))})
     kept = jaccard.keep_one_each(clash)
