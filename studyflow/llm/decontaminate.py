@@ -141,10 +141,11 @@ class WindowIndex:
 
 def window_indexes(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, window: int, shingle: int, max_windows: int) -> Iterator[tuple[WindowIndex, bool]]:
     """The benchmark's windows in blocks of about ``max_windows``, each indexed by its rarest shingles, and whether it is the last."""
-    found = item_windows(benchmark, item_id, item_text, window, shingle)
+    found = written(item_windows(benchmark, item_id, item_text, window, shingle))
     blocks = max(1, math.ceil(found.count() / max_windows))
     for block in range(blocks):
         yield _block_index(docs, text, found.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block), shingle), block == blocks - 1
+    dropped(found)
 
 
 def _block_index(docs: DataFrame, text: str, found: DataFrame, shingle: int) -> WindowIndex:
@@ -157,14 +158,14 @@ def _block_index(docs: DataFrame, text: str, found: DataFrame, shingle: int) ->
     return WindowIndex([tuple(r) for r in rows], df, shingle)
 
 
-def _in_passes(docs: DataFrame, blocks: Iterator[tuple[WindowIndex, bool]], step: Callable[[DataFrame, Broadcast, int], DataFrame]) -> DataFrame:
-    """``docs`` after ``step`` with each block; all passes but the last are written, and their block let go, before the next block is made."""
-    out, before, k = docs, None, 0
+def _in_passes(docs: DataFrame, blocks: Iterator[tuple[WindowIndex, bool]], step: Callable[[DataFrame, Broadcast, bool, bool], DataFrame]) -> DataFrame:
+    """``docs`` after ``step`` with each block (and whether it is the first, and the last); all passes but the last are written, and their block let go, before the next block is made."""
+    out, before, first = docs, None, True
     for index, last in blocks:  # enumerate would hold the block while the next is made
         sent = docs.sparkSession.sparkContext.broadcast(index)
         del index
-        out = step(out, sent, k)
-        k += 1
+        out = step(out, sent, first, last)
+        first = False
         if not last:
             out = written(out)
             sent.destroy()
@@ -182,10 +183,9 @@ def find_contamination(
     kind = docs.schema[doc_id].dataType
     out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     carried = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("text", T.StringType()), *carried])
+    schema = lambda last: T.StructType([T.StructField("doc_id", kind), *carried, *[T.StructField("text", T.StringType())] * (not last)])
     blocks = window_indexes(docs, benchmark, text, item_id, item_text, window, shingle, max_windows)
-    found = _in_passes(out, blocks, lambda rows, sent, k: map_text(rows, "text", schema, _hits(sent, k > 0)))
-    return found.drop("text")
+    return _in_passes(out, blocks, lambda rows, sent, first, last: map_text(rows, "text", schema(last), _hits(sent, not first)))
 
 
 def _hits(sent, again: bool):
@@ -196,7 +196,7 @@ def _hits(sent, again: bool):
         spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         items: list[set[str]] = [set() for _ in range(n)]
         if again:
-            for i, (s, found) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+            for i, (s, found) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist())):
                 spans[i] = list(zip(s[::2], s[1::2]))
                 items[i] = set(found)
         for text, a, w in index.occurrences(words):
@@ -206,7 +206,7 @@ def _hits(sent, again: bool):
         merged = [_merged(s) for s in spans]
         flat = [x for s in merged for x in s]
         return {
-            "doc_id": batch.column(0), "text": batch.column(1), "n_words": words.counts,
+            "doc_id": batch.column("doc_id"), "text": column, "n_words": words.counts,
             "n_hit": [sum(s[1::2]) - sum(s[::2]) for s in merged],
             "spans": lists(np.array(flat, np.int64), np.array([len(s) for s in merged])),
             "items": lists(pa.array([x for s in items for x in sorted(s)], pa.string()), np.array([len(s) for s in items])),
@@ -228,7 +228,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[int]:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """The documents, with all their columns, in which no window of the benchmark occurs."""
 
-    def drop(rows: DataFrame, sent: Broadcast, _: int) -> DataFrame:
+    def drop(rows: DataFrame, sent: Broadcast, first: bool, last: bool) -> DataFrame:
         def keep(column: pa.Array) -> np.ndarray:
             clean = np.ones(len(column), bool)
             for hit, _, _ in sent.value.occurrences(split_words(*text_bytes(column), ALNUM_LOWER)):
