@@ -3,7 +3,8 @@
 Plan: explode every text into lines; keep, for lines whose key is long enough, only (document, position, hash of the
 key); count documents and take the largest document id by hash (partial aggregation first, so a line that a third of
 all documents hold is no hot group); write the hashes of at least ``min_docs`` documents as a table of their own and
-join it back to the line places, both sides dealt out for the join alone, so that Spark splits a hot hash; gather the places to drop by document, and reassemble the text in order of position without them.
+join it back to the line places, both sides dealt out for the join alone, so that Spark splits a hot hash; gather the
+places to drop by document, and reassemble the text from the runs of lines between them, in time linear in its lines.
 
 Keys are known by 128 bits (two 64-bit hashes with different seeds).  A row of the documents is known by its id and the
 hash of its text, so repeated rows, which get the same result, share one list of places.
@@ -45,6 +46,15 @@ def frequent_lines(places: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return by_doc.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).drop("n")
 
 
+def _without(text: Column, lost: Column) -> Column:
+    """The text without the lines at the sorted places ``lost``: the slices between them, so each line is copied once."""
+    ends = F.concat(lost, F.array(F.size(_lines(text))))
+    begins = F.concat(F.array(F.lit(0)), F.transform(lost, lambda p: p + 1))
+    # The lines are bound by a lambda, so that the text is split once and not for every slice.
+    runs = lambda lines: F.flatten(F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda r: F.slice(lines, r["a"] + 1, r["b"] - r["a"])))
+    return F.get(F.transform(F.array(_lines(text)), lambda lines: F.array_join(runs(lines), "\n")), 0)
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Per document row: doc_id, n_lines, n_dropped, text (without the dropped lines)."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
@@ -53,11 +63,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
         places.join(written(frequent_lines(places, min_docs)), ["h1", "h2"])
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy("doc_id", "text_hash")
-        .agg(F.collect_set("pos").alias("lost"))
+        .agg(F.array_sort(F.collect_set("pos")).alias("lost"))
         .select(F.col("doc_id").alias("lost_id"), F.col("text_hash").alias("lost_hash"), "lost")
     )
     joined = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("text_hash") == F.col("lost_hash")), "left")
-    kept = F.array_join(F.filter(_lines(F.col("text")), lambda _, pos: ~F.array_contains("lost", pos)), "\n")
+    kept = _without(F.col("text"), F.col("lost"))
     return joined.select(
         "doc_id",
         F.size(_lines(F.col("text"))).cast("long").alias("n_lines"),
