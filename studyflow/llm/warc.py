@@ -11,8 +11,8 @@ a task of many equal payloads.
 
 Bundles are written by the tasks through pyarrow's file systems below the cluster's shared folder.  A file's name
 holds the hash of its content, and only the index of successful tasks names files, so a task that runs again or twice
-writes the same file again, or one that nothing refers to.  Nothing larger than a frame's records is held in a task
-besides its input batch.
+writes the same file again, or one that nothing refers to.  A task holds the plain records of a frame, and the compressed
+frames of a bundle (``BUNDLE_BYTES`` and a frame at most, since its name needs its content), besides its input batch.
 
 Defined results: null html has an empty payload; null urls are written as empty; records with a null page id are
 written, but are never chosen as response before one with an id; if none has one, all are responses; repeated rows of
@@ -37,6 +37,8 @@ from .shared import shared_dir
 MIN_REVISIT = 1000
 #: Plain bytes after which a frame, and compressed bytes after which a bundle, is closed.
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 64 << 20
+#: Plain bytes that a task reads back, as a goal and at least; neighbouring frames that go to one task.
+READ_BYTES, READ_LEAST, GROUP_FRAMES = 256 << 20, 1 << 20, 8
 #: Fixed values of the seekable format: magic numbers of the skippable frame and of the footer.
 _SKIPPABLE, _FOOTER = 0x184D2A5E, 0x8F92EAB1
 INDEX = "page_id bigint, bundle string, frame int, at bigint, length bigint"
@@ -123,21 +125,23 @@ class _Writer:
         self.packer = zstandard.ZstdCompressor(level=3)
         self.plain, self.pending = bytearray(), []
         self.frames: list[tuple[int, int]] = []
-        self.body, self.rows = bytearray(), []
+        self.body: list[bytes] = []
+        self.held, self.rows = 0, []
 
     def add(self, page_id: int | None, record: bytes) -> Iterator[list[tuple]]:
         self.pending.append((page_id, len(self.frames), len(self.plain), len(record)))
         self.plain += record
         if len(self.plain) >= FRAME_BYTES:
             self._frame()
-            if len(self.body) >= BUNDLE_BYTES:
+            if self.held >= BUNDLE_BYTES:
                 yield self.close()
 
     def _frame(self) -> None:
         if self.plain:
             packed = self.packer.compress(bytes(self.plain))
             self.frames.append((len(packed), len(self.plain)))
-            self.body += packed
+            self.body.append(packed)
+            self.held += len(packed)
             self.rows += self.pending
             self.plain, self.pending = bytearray(), []
 
@@ -146,12 +150,16 @@ class _Writer:
         self._frame()
         if not self.rows:
             return []
-        whole = bytes(self.body) + seek_table(self.frames)
-        name = f"{hashlib.sha256(whole).hexdigest()[:40]}.warc.zst"
+        parts = [*self.body, seek_table(self.frames)]
+        digest = hashlib.sha256()
+        for part in parts:
+            digest.update(part)
+        name = f"{digest.hexdigest()[:40]}.warc.zst"
         with self.fs.open_output_stream(f"{self.folder}/{name}", compression=None) as out:
-            out.write(whole)
+            for part in parts:
+                out.write(part)
         rows = [(page, name, frame, at, n) for page, frame, at, n in self.rows]
-        self.frames, self.body, self.rows = [], bytearray(), []
+        self.frames, self.body, self.held, self.rows = [], [], 0, []
         return rows
 
 
@@ -183,7 +191,10 @@ def write_warc(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT) ->
 
 def read_warc(index: DataFrame, folder: str, payload: bool = False) -> DataFrame:
     """The records that the index names, read by seeking to their frames: page_id, payload_bytes, payload_digest, record_type, refers_to, and the payload if asked."""
-    dealt = index.repartition(F.col("bundle"), F.floor(F.col("frame") / 32)).sortWithinPartitions("bundle", "frame", "at")
+    # A row of the index stands for a record to decompress, so the tasks follow the records' bytes, not the index's.
+    total = index.agg(F.sum("length")).first()[0] or 0
+    least = min(2 * index.sparkSession.sparkContext.defaultParallelism, -(-total // READ_LEAST))
+    dealt = index.repartition(max(1, least, -(-total // READ_BYTES)), F.col("bundle"), F.floor(F.col("frame") / GROUP_FRAMES)).sortWithinPartitions("bundle", "frame", "at")
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * payload
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.binary()] * payload
 
