@@ -10,7 +10,8 @@ texts lie side by side and a group of copies, however large, is still cut by id.
    range; shard = floor(bytes before it * shards / all bytes), so boundaries between shards are exact, wherever the
    sample put the ranges.  The slot counts up from 0 within the shard.
 
-No task handles more than a range, and the ranges, not the shards, set how much that is.
+Ranges, not shards, set what a task handles: they are dealt out by hash over as many tasks as there are ranges, or,
+where those are more than Spark's number of shuffle partitions, over enough for ``TASK_RANGES`` full ranges each.
 
 Defined results: a null text has no bytes; null ids sort first; repeated rows are ties, placed side by side in any
 order, which changes no set of rows of the result; an empty table has an empty result.  A single (text, id) pair
@@ -28,6 +29,8 @@ from .shared import written
 SHARDS, RANGE_BYTES, SAMPLES_PER_RANGE = 40, 128 << 20, 50
 #: Ranges that a level of splitters makes at most of one; those that the first makes at least; levels at most.
 _FAN, _LEAST, _LEVELS = 256, 64, 6
+#: Full ranges that a task handles where there are many.
+TASK_RANGES = 4
 
 
 def record_size(text: Column) -> Column:
@@ -75,11 +78,11 @@ def _ranges(keyed: DataFrame, top: Column, levels: list[DataFrame]) -> DataFrame
     return out
 
 
-def _placed(ranged: DataFrame, before: DataFrame, shards: int, total: int) -> DataFrame:
+def _placed(ranged: DataFrame, before: DataFrame, shards: int, total: int, tasks: int) -> DataFrame:
     """Adds shard and index (place among all records) to records with key, size and range."""
     within = Window.partitionBy("range").orderBy("key")
     running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = ranged.join(before, F.col("range") == F.col("of"))
+    joined = ranged.join(before, F.col("range") == F.col("of")).repartition(tasks, "range")
     start = F.col("bytes_before") + F.sum("size").over(running) - F.col("size")
     placed = joined.select("*", start.alias("start"), (F.col("rows_before") + F.row_number().over(running) - 1).alias("index"))
     shard = F.least(F.expr(f"(start * {shards}) div {max(total, 1)}"), F.lit(shards - 1)).cast("int")
@@ -104,10 +107,11 @@ def assign_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     sums = _ranges(keyed, top, levels).groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range, no more than all bytes by range_bytes allow
     before = written(sums.select(F.col("range").alias("of"), *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("bytes", "rows"))))
-    first = {r.shard: r.first for r in _placed(_ranges(keyed, top, levels), before, shards, total).groupBy("shard").agg(F.min("index").alias("first")).collect()}
+    tasks = max(min(before.count(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-total // (TASK_RANGES * range_bytes)), 1)
+    first = {r.shard: r.first for r in _placed(_ranges(keyed, top, levels), before, shards, total, tasks).groupBy("shard").agg(F.min("index").alias("first")).collect()}
     record = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("record"), key.alias("key"), record_size(F.col(text)).alias("size"))
     starts = F.array(*(F.lit(first.get(s, 0)).cast("long") for s in range(shards)))
-    placed = _placed(_ranges(record, top, levels), before, shards, total)
+    placed = _placed(_ranges(record, top, levels), before, shards, total, tasks)
     return placed.select("record", "size", "shard", (F.col("index") - F.element_at(starts, F.col("shard") + 1)).alias("slot"))
 
 
