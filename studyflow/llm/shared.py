@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,9 +17,11 @@ STEP_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset, as in tests, a local one is set first."""
+    """A new folder below ``spark.checkpoint.dir``; where that is unset, a session on one machine gets a local one, and a cluster an error."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="studyflow-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/llm-{uuid.uuid4().hex}"
