@@ -163,6 +163,16 @@ def test_lines_odd(spark, odd, empty):
     assert lines.dedup_lines(odd).count() == len(ODD) and lines.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_a_very_long_text(spark):
+    """A million lines, of which many are lost: in time linear in the lines."""
+    n, step = 1_000_000, 50
+    long = "\n".join(f"line {k} of a very long text that goes on" if k % step else "a line that is found in many documents" for k in range(n))
+    rows = spark.createDataFrame([(1, long), (2, "a line that is found in many documents\nx"), (3, "a line that is found in many documents")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lines.dedup_lines(rows).collect()}
+    assert (got[1].n_lines, got[1].n_dropped) == (n, n // step) and got[2].text == "x" and got[3].n_dropped == 0
+    assert got[1].text == "\n".join(f"line {k} of a very long text that goes on" for k in range(n) if k % step)
+
+
 def brute_components(rows, shingle=4, percent=85):
     sets = {}
     for k, (_, text) in enumerate(rows):
@@ -263,6 +273,20 @@ def test_urls(spark):
     assert urls.filter_urls(pages, bad.where("false")).where("verdict is null").count() == 0
 
 
+def test_url_rules_and_suffixes_as_tables(spark):
+    rows = [(1, "http://A.example.com/en/x?y"), (2, "http://www.example.com/en/"), (3, "https://x.net/es/1"), (4, "http://x.net"), (5, None), (6, "http://a.b.co.uk/q"), (7, "http://c.b.co.uk/"), (8, "http://co.uk/"), (9, "http://z.org.uk")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    good = spark.createDataFrame([(6, 0)] * 30 + [(1, 1)] * 30 + [(9, 1)] * 5, "id long, good int")
+    table = spark.createDataFrame([*urls.RULES.items(), (None, "block"), ("com/", "block")], "rule string, verdict string")
+    plain = sorted(map(repr, urls.filter_urls(pages, good).collect()))
+    assert plain == sorted(map(repr, urls.filter_urls(pages, good, rules=table, suffixes=spark.createDataFrame([(s,) for s in (*urls.DEEP_SUFFIXES, None)], "suffix string")).collect()))
+    assert urls.filter_urls(pages, good, rules=table.where("false"), suffixes=()).where("rule IS NOT NULL").count() == urls.filter_urls(pages, good, rules={}).where("rule IS NOT NULL").count() == 0
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("uk",), ("",), ("x.y.com",), ("com",)], "host string")
+    want = {"a.b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "uk": ("uk", "uk"), "": ("", ""), "x.y.com": ("com", "y.com"), "com": ("com", "com")}
+    for suffixes in (urls.DEEP_SUFFIXES, spark.createDataFrame([("co.uk",), ("uk",)], "suffix string")):
+        assert {r.host: (r.suffix, r.domain) for r in urls.with_domains(hosts, suffixes).collect()} == want
+
+
 def test_mixing(odd, empty):
     rated, n = mixing.mix_rates(odd)
     got = rated.collect()
