@@ -8,17 +8,20 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import normalize_text, strip, token_estimate
+from ..functions import marks as M
+from ..functions.text import SPACE, normalize_text, strip, token_estimate
+from .pages import clean_page, split_structural
 
-#: Hints of noise lines, and marks of lines that are never noise (fixed values).
-HINTS = ("微信公众号", "扫码", "关注公众号", "版权所有", "更多资料", "www.", "http://", "https://")
-HIGH_SIGNAL = r"^(第[0-9一二三四五六七八九十]+[章节]|[0-9]{1,3}[.、．]|[（(][0-9一二三四五六七八九十]+[)）]|[A-H][.、．]|【?(答案|解析)】?[:：]?|[借贷][:：])"
 
+def to_lines(docs: DataFrame, document_id: str = "document_id", page: str = "page_number", text: str = "text", normalize: bool = False) -> DataFrame:
+    """(document_id, page_number, line_no, text): lines that are not blank, stripped, without quote marks; numbers count all lines.
 
-def to_lines(docs: DataFrame, document_id: str = "document_id", page: str = "page_number", text: str = "text") -> DataFrame:
-    """(document_id, page_number, line_no, text): lines that are not blank, stripped, without quote marks; numbers count all lines."""
-    rows = docs.select(F.col(document_id).alias("document_id"), F.col(page).alias("page_number"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "raw"))
+    ``normalize`` brings the texts into the form of :func:`normalize_text` first.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(document_id).alias("document_id"), F.col(page).alias("page_number"), F.posexplode(F.split(normalize_text(whole) if normalize else whole, "\n")).alias("line_no", "raw"))
     return rows.select("document_id", "page_number", "line_no", strip(F.regexp_replace("raw", r"^\s*>+\s?", "")).alias("text")).where("text <> ''")
 
 
@@ -37,94 +40,94 @@ def crop_margins(blocks: DataFrame, header: float, footer: float, slack: float =
     return blocks.withColumn("kept", ~F.coalesce(top | bottom, F.lit(False)))
 
 
+def _one_line(c: Column) -> Column:
+    return F.regexp_replace(strip(c), f"{SPACE}+", " ")
+
+
 def noise_key(c: Column) -> Column:
-    return strip(F.regexp_replace(F.regexp_replace(c, r"[0-9]+", "#"), r"^[>#\-*\s]+|[>#\-*\s]+$", ""))
+    """A line with its digits as #, without the marks and white space that it begins with."""
+    return F.regexp_replace(F.regexp_replace(_one_line(c), r"[0-9]+", "#"), r"^[>#\-*\s]+", "")
+
+
+def _has(c: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(c, F.lit(w))
+    return out
 
 
 def high_signal(c: Column) -> Column:
-    return c.rlike(HIGH_SIGNAL)
+    """Question starts, section heads, options, and lines with several options or with answers or analyses."""
+    return c.rlike(M.QUESTION) | c.rlike(M.SECTION) | c.rlike(M.OPTION) | (F.regexp_count(c, F.lit(M.LABEL)) >= 2) | _has(c, ("答案", "解析"))
 
 
 def repeated_noise(lines: DataFrame, min_hits: int = 2, min_pages: int = 2, max_chars: int = 80) -> DataFrame:
-    """(document_id, key) of short keys that repeat over pages and are no structural line.
+    """(document_id, key, hits, pages) of short keys that repeat over pages and carry no structure.
 
     Counts are per (document, page, key) before they meet, so a line on every page of a large document is no hot group.
     """
-    keyed = lines.where((F.length("text") <= max_chars) & ~high_signal(F.col("text"))).withColumn("key", noise_key(F.col("text"))).where("key <> ''")
+    keyed = lines.withColumn("key", noise_key(F.col("text"))).where((F.col("key") != "") & (F.length("key") <= max_chars))
     pages = keyed.groupBy("document_id", "page_number", "key").agg(F.count(F.lit(1)).alias("n"))
     counts = pages.groupBy("document_id", "key").agg(F.sum("n").alias("hits"), F.count(F.lit(1)).alias("pages"))
-    return counts.where((F.col("hits") >= min_hits) & (F.col("pages") >= min_pages))
+    return counts.where((F.col("hits") >= min_hits) & (F.col("pages") >= min_pages) & ~high_signal(F.col("key")))
 
 
-def repeated_noise_pages(lines: DataFrame, min_pages: int = 3) -> DataFrame:
-    """Lines left after those whose key is on at least ``min_pages`` pages of the document are dropped."""
-    gone = repeated_noise(lines, 1, min_pages).where(F.col("key").rlike(r"\p{L}")).select("document_id", "key")
-    return lines.withColumn("key", noise_key(F.col("text"))).join(gone, ["document_id", "key"], "left_anti").drop("key")
+def page_noise_key(c: Column) -> Column:
+    return F.regexp_replace(_one_line(c), r"[0-9]+", "#")
 
 
-def classify_lines(lines: DataFrame, noise: DataFrame) -> DataFrame:
-    """Adds ``reason`` (null: keep): the first of repeated_noise, page_number, symbols and hint that holds; structural lines are never noise."""
-    marked = lines.withColumn("key", noise_key(F.col("text"))).join(noise.select("document_id", "key", F.lit(True).alias("rep")), ["document_id", "key"], "left")
-    text = F.col("text")
-    hint = F.lit(False)
-    for h in HINTS:
-        hint = hint | F.contains(text, F.lit(h))
-    reason = (
-        F.when(high_signal(text), None).when(F.col("rep"), "repeated_noise").when(text.rlike(r"^[-—\s]*(第?\s*[0-9]{1,4}\s*页?|[0-9]{1,4}\s*/\s*[0-9]{1,4})[-—\s]*$"), "page_number")
-        .when(~text.rlike(r"[\p{L}\p{N}]"), "symbols").when(hint, "hint")
-    )
-    return marked.withColumn("reason", reason).drop("key", "rep")
-
-
-_OPTION_RUN = re.compile(r"(?=(?:^|\s)[A-H][.、．])")
-_STOP = re.compile(r"[。！？!?；;：:]$")
-_STARTS = re.compile(r"^(第[0-9一二三四五六七八九十]+[章节]|[0-9]{1,3}[.、．]|[（(][0-9一二三四五六七八九十]+[)）]|[A-H][.、．]|【?(?:答案|解析)】?|[借贷][:：]|[#|>*-])")
-
-
-def split_structural(line: str) -> list[str]:
-    """A dense line cut before answer and analysis marks, and before each option of a run that begins with A and B."""
-    parts = [p for p in re.split(r"(?=【?(?:答案|解析)】?[:：])", line) if p.strip()]
-    out = []
-    for part in parts:
-        marks = re.findall(r"(?:^|\s)([A-H])[.、．]", part)
-        out += [p.strip() for p in _OPTION_RUN.split(part) if p.strip()] if marks[:2] == ["A", "B"] else [part.strip()]
+def exam_structure(key: Column) -> Column:
+    """Whether a key is a line of exams that may well repeat."""
+    bare = F.regexp_replace(key, f"{SPACE}+", "")
+    out = F.lit(False)
+    for pattern, c in [*((p, bare) for p in M.STRUCTURE), *((p, key) for p in M.STRUCTURE_LINE)]:
+        out = out | c.rlike(pattern)
     return out
 
 
-def merge_wrapped(lines: list[str], width: int = 18) -> list[str]:
-    """Lines joined to the one before, where that is long, has no stop at its end, and the line starts no structure: a fold over the output."""
-    out: list[str] = []
-    for line in lines:
-        _append(out, line, width)
-    return out
+def page_noise(lines: DataFrame, min_pages: int = 3, max_chars: int = 80) -> DataFrame:
+    """(document_id, page_key) of short lines that are on at least ``min_pages`` pages and are no exam structure."""
+    keyed = lines.select("document_id", "page_number", page_noise_key(F.col("text")).alias("page_key")).where(F.length("page_key") <= max_chars).distinct()
+    found = keyed.groupBy("document_id", "page_key").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
+    return found.where(~exam_structure(F.col("page_key"))).drop("pages")
 
 
-def _append(out: list[str], line: str, width: int = 18) -> None:
-    last = out[-1] if out else ""
-    if last and len(last) >= width and not _STOP.search(last) and not _STARTS.match(line) and not _STARTS.match(last[:1] if last[:1] in "#|" else " "):
-        joint = "" if ord(last[-1]) > 0x2E80 or ord(line[0]) > 0x2E80 else " "
-        out[-1] = last + joint + line
-    else:
-        out.append(line)
+def repeated_noise_pages(lines: DataFrame, min_pages: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The lines without those of :func:`page_noise`, and those."""
+    keyed = lines.withColumn("page_key", page_noise_key(F.col("text")))
+    gone = page_noise(lines, min_pages)
+    return keyed.join(gone, ["document_id", "page_key"], "left_anti").select(*lines.columns), keyed.join(gone, ["document_id", "page_key"], "left_semi").select(*lines.columns)
 
 
-_ENTRY = re.compile(r"\s*[借贷]\s*[:：]")
+def trim_prefix(c: Column) -> Column:
+    """A line cut back to an answer, analysis or entry, where only noise stands before it."""
+    cut = []
+    for mark in M.PREFIXED:
+        at = F.instr(c, mark)
+        before = strip(F.substr(c, F.lit(1), at - 1))
+        bare = F.regexp_replace(before, f"{SPACE}+", "")
+        few = (F.length(bare) <= 12) & (F.regexp_count(bare, F.lit(M.SIGN)) <= 4)
+        noise = (bare != "") & ~before.rlike(M.OPTION) & (bare.rlike(M.SYMBOLS) | _has(bare, M.HINTS) | _has(F.lower(bare), ("http", "www.")) | few)
+        cut.append(F.when((at > 1) & noise, strip(F.substr(c, at))))
+    return F.when(_has(c, M.PREFIXED), F.coalesce(*cut, c)).otherwise(c)
 
 
-def entry_numbers(texts: list[str], reasons: list[str | None]) -> list[bool]:
-    """Which lines of a page are numbers of up to three digits after an output line, or before a line, that begins an accounting entry."""
-    out: list[str] = []
-    held = []
-    for k, (line, reason) in enumerate(zip(texts, reasons)):
-        bare = re.sub(r"\s+", "", line)
-        near = (out and _ENTRY.match(out[-1])) or (k + 1 < len(texts) and _ENTRY.match(texts[k + 1]))
-        held.append(bool(bare.isdigit() and len(bare) <= 3 and near))
-        if held[-1]:
-            _append(out, line)
-        elif reason is None:
-            for part in split_structural(line):
-                _append(out, part)
-    return held
+def classify_lines(lines: DataFrame, noise: DataFrame, drop: Column | None = None) -> DataFrame:
+    """The lines, cut back to their marks, with a ``reason`` (null: keep): the first of repeated_noise, page_number, symbols, hint and noise that holds.
+
+    Lines that carry structure, and accounting entries, are noise only where they repeat.  ``drop``, over the column
+    ``text``, is what a trained model would drop.
+    """
+    trimmed = lines.withColumn("text", trim_prefix(F.col("text"))).withColumn("key", noise_key(F.col("text")))
+    marked = trimmed.join(noise.select("document_id", "key", F.lit(True).alias("rep")), ["document_id", "key"], "left")
+    text = F.col("text")
+    reason = (
+        F.when(F.col("rep"), "repeated_noise").when(high_signal(text) | text.rlike(M.ENTRY), None)
+        .when(text.rlike(M.PAGE_NUMBER) | text.rlike(M.PAGE_OF) | text.rlike(M.SHORT_NUMBER), "page_number").when(text.rlike(M.SYMBOLS), "symbols").when(_has(text, M.HINTS), "hint")
+        .when(F.lit(False) if drop is None else drop, "noise").when(text.rlike("^[0-9]{2,}$"), None)
+        .when((F.regexp_count(text, F.lit(M.SIGN)) <= 1) & (F.length(text) <= 8), "noise")
+    )
+    return marked.withColumn("reason", reason).drop("key", "rep")
 
 
 def keep_entry_numbers(classified: DataFrame) -> DataFrame:
@@ -137,7 +140,7 @@ def keep_entry_numbers(classified: DataFrame) -> DataFrame:
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("line_no", kind="stable")
-        held = entry_numbers(pdf["text"].tolist(), [r if isinstance(r, str) else None for r in pdf["reason"]])
+        held = clean_page(pdf["text"].tolist(), [r if isinstance(r, str) else None for r in pdf["reason"]]).numbers
         return pdf.loc[held, [*page, "line_no"]].set_axis(["_document_id", "_page_number", "_line_no"], axis=1)
 
     kinds = {f.name: f.dataType.simpleString() for f in classified.schema}
@@ -148,50 +151,120 @@ def keep_entry_numbers(classified: DataFrame) -> DataFrame:
     return rows.withColumn("reason", F.when(F.col("_line_no").isNull(), F.col("reason"))).select(*classified.columns)
 
 
-def clean_pages(lines: DataFrame) -> DataFrame:
-    """(document_id, page_number, line_no, text) after splits and merges; each page is folded on its own, in order of lines."""
+def split_lines(lines: DataFrame) -> DataFrame:
+    """The rows of lines (with a column ``text``), one for each part that a dense line is cut into, with its place ``part_no``."""
+    schema = T.StructType([*(f for f in lines.schema.fields if f.name != "text"), T.StructField("part_no", T.LongType()), T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parts = [list(enumerate(split_structural(t or ""))) for t in pdf["text"]]
+            out = pdf.drop(columns="text").loc[pdf.index.repeat([len(p) for p in parts])]
+            yield out.assign(part_no=[k for p in parts for k, _ in p], text=[x for p in parts for _, x in p])[schema.fieldNames()]
+
+    return lines.mapInPandas(run, schema)
+
+
+def folded_pages(classified: DataFrame) -> DataFrame:
+    """(document_id, page_number, line_no, text, merged, split): cleaned lines, and per page a row without text that counts merges and splits."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("line_no", kind="stable")
-        out = merge_wrapped([p for t in pdf["text"] for p in split_structural(t)])
-        return pd.DataFrame({"document_id": pdf["document_id"].iloc[0], "page_number": pdf["page_number"].iloc[0], "line_no": range(len(out)), "text": out})
+        found = clean_page(pdf["text"].tolist(), [r if isinstance(r, str) else None for r in pdf["reason"]])
+        n = len(found.lines)
+        return pd.DataFrame({
+            "document_id": pdf["document_id"].iloc[0], "page_number": pdf["page_number"].iloc[0], "line_no": [*range(n), -1], "text": [*found.lines, None],
+            "merged": [0] * n + [found.merged], "split": [0] * n + [found.split],
+        })
+
+    kinds = {f.name: f.dataType.simpleString() for f in classified.schema}
+    schema = f"document_id {kinds['document_id']}, page_number {kinds['page_number']}, line_no long, text string, merged long, split long"
+    return classified.select("document_id", "page_number", "line_no", "text", "reason").groupBy("document_id", "page_number").applyInPandas(fold, schema)
 
-    kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
-    schema = f"document_id {kinds['document_id']}, page_number {kinds['page_number']}, line_no long, text string"
-    return lines.groupBy("document_id", "page_number").applyInPandas(fold, schema)
 
+def clean_pages(classified: DataFrame) -> DataFrame:
+    """(document_id, page_number, line_no, text) of classified lines (all of them, noise too) after splits and merges; each page is folded on its own, in order of lines."""
+    return folded_pages(classified).where("text IS NOT NULL").select("document_id", "page_number", "line_no", "text")
 
-def cleanup_report(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Per document: lines and characters before and after, and lines removed."""
-    count = lambda rows, tag: rows.groupBy("document_id").agg(F.count(F.lit(1)).alias(f"lines_{tag}"), F.sum(F.length("text")).alias(f"chars_{tag}"))
-    rows = count(before, "in").join(count(after, "out"), "document_id", "left").na.fill(0, ["lines_out", "chars_out"])
-    return rows.withColumn("removed", F.col("lines_in") - F.col("lines_out"))
+
+def cleanup_report(classified: DataFrame, folded: DataFrame, noise: DataFrame) -> DataFrame:
+    """Per document: lines and characters before and after, lines removed, merged and split off, repeated keys, and the score."""
+    before = classified.groupBy("document_id").agg(F.count(F.lit(1)).alias("lines_in"), F.sum(F.length("text")).alias("chars_in"), F.count("reason").alias("removed"))
+    pages = folded.groupBy("document_id", "page_number").agg(
+        F.count("text").alias("lines_out"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars_out"), F.sum("merged").alias("merged"), F.sum("split").alias("split"),
+        *(c.alias(f"s{k}") for k, c in enumerate(_score_sums(F.col("text")))), F.count_if(F.regexp_count("text", F.lit(M.SIGN)) <= 1).alias("short"),
+    )
+    after = pages.groupBy("document_id").agg(*(F.sum(c).alias(c) for c in ("lines_out", "chars_out", "merged", "split", "short", *(f"s{k}" for k in range(5)))))
+    keys = noise.groupBy("document_id").agg(F.count(F.lit(1)).alias("repeated"))
+    rows = before.join(after, "document_id", "left").join(keys, "document_id", "left").na.fill(0)
+    score = _score([F.col(f"s{k}") for k in range(5)], F.col("short"), F.col("lines_out"), F.col("removed"), F.col("lines_in"))
+    return rows.select("document_id", "lines_in", "chars_in", "lines_out", "chars_out", "removed", "merged", "split", "repeated", F.when(F.col("lines_out") > 0, score).otherwise(0.0).alias("score"))
 
 
 def reason_counts(classified: DataFrame) -> DataFrame:
     return classified.where("reason IS NOT NULL").groupBy("document_id", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Signals of structure: signs, question starts, options, answers, analyses.
+SIGNALS = (M.SIGN, r"(?m)^\s*[0-9]{1,3}\s*[.、．)]", r"(?m)^\s*[A-H][.、．)]", M.ANSWER, rf"{M.ANALYSIS}\s*[:：]")
+#: Of each signal, the most it adds to the quality score, and what one adds (fixed values); the score's base, and the weight of penalties.
+WORTH = ((0.42, 1 / 1200), (0.18, 0.05), (0.14, 0.03), (0.12, 0.04), (0.12, 0.04))
+BASE, PENALTY, MOST_REMOVED, MOST_SHORT = 0.18, 0.18, 0.2, 0.18
+#: The same for the score of parses; signs that a text needs to be one.
+PARSE_WORTH = ((3.0, 1 / 160), (3.0, 0.9), (2.0, 0.25), (1.0, 0.5), (1.0, 0.5))
+MEANINGFUL = 24
+
+
+def _signals(c: Column) -> list[Column]:
+    return [F.coalesce(F.regexp_count(c, F.lit(p)), F.lit(0)).cast("long") for p in SIGNALS]
+
+
+def _score_sums(line: Column) -> list[Column]:
+    return [F.sum(c) for c in _signals(line)]
+
+
+def _capped(signals: list[Column], worth: tuple[tuple[float, float], ...]) -> Column:
+    out = F.lit(0.0)
+    for n, (most, each) in zip(signals, worth):
+        out = out + F.least(F.lit(most), n * F.lit(each) if each < 1 / 100 else F.round(n * F.lit(each), 9))
+    return out
+
+
+def _score(signals: list[Column], short: Column, lines: Column, removed: Column, lines_in: Column) -> Column:
+    lost = F.least(F.lit(MOST_REMOVED), removed / F.greatest(lines_in, F.lit(1)) * PENALTY) + F.least(F.lit(MOST_SHORT), short / F.greatest(lines, F.lit(1)) * PENALTY)
+    raw = F.lit(BASE) + _capped(signals, WORTH) - lost
+    return F.bround(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 9), 2)
+
+
+def _line_list(c: Column) -> Column:
+    return F.filter(F.split(c, "\n"), lambda x: strip(x) != "")
+
+
 def quality_score(docs: DataFrame) -> DataFrame:
-    """(document_id, score) in 0..1: capped signals of structure, less a penalty for short lines."""
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    n = F.size(lines)
-    short = F.size(F.filter(lines, lambda x: F.length(F.trim(x)) <= 2))
-    marks = F.regexp_count("text", F.lit(r"[.!?。！？]")).cast("long")
-    raw = 0.4 + F.least(F.lit(0.3), marks / 50) + F.least(F.lit(0.3), F.length("text") / 5000) - F.least(F.lit(0.4), F.coalesce(F.try_divide(short, n), F.lit(0.0)))
-    return docs.select("document_id", F.bround(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 9), 2).alias("score"))
+    """(document_id, score) of cleaned texts (document_id, text, lines_in, removed), in 0..1: capped signals of structure, less penalties for removed and for short lines; 0 for a blank text."""
+    lines = _line_list(F.col("text"))
+    short = F.size(F.filter(lines, lambda x: F.regexp_count(x, F.lit(M.SIGN)) <= 1))
+    score = _score(_signals(F.col("text")), short, F.size(lines), F.col("removed"), F.col("lines_in"))
+    return docs.select("document_id", F.when(strip(F.coalesce("text", F.lit(""))) == "", 0.0).otherwise(score).alias("score"))
 
 
 def parse_score(c: Column) -> Column:
-    """0..10: text characters and lines, each capped; 0 for text of fewer than 24 text characters."""
-    chars = F.regexp_count(c, F.lit(r"[A-Za-z0-9\x{4E00}-\x{9FFF}]")).cast("long")
-    return F.when(chars < 24, F.lit(0.0)).otherwise(F.bround((F.least(F.lit(6000), chars * 5) + F.least(F.lit(4000), F.size(F.split(c, "\n")) * 100)) / 10, 0) / 100)
+    """0..10: capped signals of structure, less a penalty for lines of three signs or fewer; 0 for a blank text."""
+    lines = _line_list(c)
+    short = F.size(F.filter(lines, lambda x: F.regexp_count(x, F.lit(M.SIGN)) <= 3)) / F.greatest(F.size(lines), F.lit(1))
+    raw = _capped(_signals(strip(c)), PARSE_WORTH) - F.least(F.lit(2.0), short * 2)
+    return F.when(strip(F.coalesce(c, F.lit(""))) == "", 0.0).otherwise(F.greatest(F.lit(0.0), F.bround(F.round(raw, 9), 2)))
+
+
+def meaningful(c: Column) -> Column:
+    """Whether a text has enough signs to be one."""
+    return F.coalesce(F.regexp_count(c, F.lit(M.SIGN)) >= MEANINGFUL, F.lit(False))
 
 
 def pick_best(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The better scored of two parses (document_id, text) per document; the first of equals."""
-    rows = a.select("document_id", "text", F.lit(0).alias("o")).unionByName(b.select("document_id", "text", F.lit(1).alias("o"))).withColumn("score", parse_score(F.col("text")))
-    return rows.groupBy("document_id").agg(F.max_by(F.struct("text", "score", "o"), F.struct("score", -F.col("o"))).alias("m")).select("document_id", "m.text", "m.score", (F.col("m.o") == 1).alias("second"))
+    """The better scored of two parses (document_id, text) per document, one with meaningful text before one without; the first of equals."""
+    rows = a.select("document_id", "text", F.lit(0).alias("o")).unionByName(b.select("document_id", "text", F.lit(1).alias("o")))
+    rows = rows.withColumn("score", parse_score(F.col("text"))).withColumn("real", meaningful(F.col("text")))
+    return rows.groupBy("document_id").agg(F.max_by(F.struct("text", "score", "o"), F.struct("real", "score", -F.col("o"))).alias("m")).select("document_id", "m.text", "m.score", (F.col("m.o") == 1).alias("second"))
 
 
 def should_clean(provider: Column, used_ocr: Column, raw_mode: Column) -> Column:
@@ -199,34 +272,60 @@ def should_clean(provider: Column, used_ocr: Column, raw_mode: Column) -> Column
     return ~F.coalesce(raw_mode, F.lit(False)) & (F.coalesce(used_ocr, F.lit(False)) | F.coalesce(F.lower(provider).rlike("ocr|structure|rapidocr|paddle"), F.lit(False)))
 
 
-def context_budget(sources: DataFrame, limit: int) -> DataFrame:
-    """(request_id, tokens, over) of sources (request_id, text)."""
-    return sources.groupBy("request_id").agg(F.sum(token_estimate(F.col("text"))).alias("tokens")).withColumn("over", F.col("tokens") > limit)
+#: Marks of a layout text that holds its sources itself (fixed values).
+SELF_CONTAINED = ("[Library Sources]", "[New Uploads]", "[Source Content]", "Source content:")
+
+
+def context_budget(requests: DataFrame, sources: DataFrame, limit: int) -> DataFrame:
+    """(request_id, tokens, over) of requests (request_id, notes, layout) and their sources (request_id, text): notes, layout and sources count, or a self-contained layout alone."""
+    layout = strip(F.coalesce("layout", F.lit("")))
+    alone = _has(layout, SELF_CONTAINED)
+    own = F.array_join(F.filter(F.array(F.col("notes"), layout), lambda x: x != ""), "\n")
+    by = sources.groupBy("request_id").agg(F.sum(token_estimate(F.col("text"))).alias("n"))
+    rows = requests.join(by, "request_id", "left")
+    tokens = F.when(alone, token_estimate(layout)).otherwise(F.coalesce("n", F.lit(0)) + token_estimate(own))
+    return rows.select("request_id", tokens.alias("tokens")).withColumn("over", F.col("tokens") > limit)
 
 
-def chunk_text(text: str, size: int, floor: int = 4000) -> list[str]:
-    """Blocks between blank lines packed to at most ``size`` characters; a longer block is cut at its last stop past half."""
+#: Least size of a chunk (fixed value).
+CHUNK_LEAST = 4000
+
+
+def _long_block(block: str, size: int) -> Iterator[str]:
+    """A block in pieces of at most ``size``, each but the last cut after its last line end or stop past its half, if it has one there."""
+    at = 0
+    while len(block) - at > size:
+        last = max(block.rfind(c, at, at + size) for c in "\n。；")
+        after = last + 1 if last > at + size // 2 else at + size
+        yield block[at:after]
+        at = after
+    yield block[at:]
+
+
+def chunk_text(text: str, size: int) -> list[str]:
+    """A text that fits as it is; else its blocks between blank lines, packed with a blank line between to chunks of ``size`` at most, long blocks by themselves in pieces."""
+    size = max(CHUNK_LEAST, size)
+    if len(text) <= size:
+        return [text]
     out: list[str] = []
-    now = ""
-    for block in (b for b in re.split(r"\n\s*\n", text) if b.strip()):
-        while len(block) > size:
-            if now:
-                out.append(now)
-                now = ""
-            at = max(block.rfind(c, min(size // 2, floor), size) for c in ("\n", "。", "；"))
-            at = at + 1 if at >= 0 else size
-            out.append(block[:at])
-            block = block[at:]
-        if now and len(now) + 2 + len(block) > size:
-            out.append(now)
-            now = block
+    packed: list[str] = []
+    held = 0
+    for block in filter(None, (b.strip() for b in re.split(r"\n{2,}", text))):
+        if packed and held + len(block) + 2 > size:
+            out.append("\n\n".join(packed))
+            packed, held = [], 0
+        if len(block) > size:
+            out += filter(None, (p.strip() for p in _long_block(block, size)))
         else:
-            now = f"{now}\n\n{block}" if now else block
-    return [*out, now] if now else out
+            packed.append(block)
+            held += len(block) + 2
+    if packed:
+        out.append("\n\n".join(packed))
+    return out or [text]
 
 
 def chunk(docs: DataFrame, size: int) -> DataFrame:
-    """(document_id, chunk_no, text) of each document's chunks."""
+    """(document_id, chunk_no, text) of each document's chunks, of 4000 characters at least where the text is long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -238,15 +337,25 @@ def chunk(docs: DataFrame, size: int) -> DataFrame:
 
 
 def retention_gate(pairs: DataFrame) -> DataFrame:
-    """(id, ok, text) of pairs (id, source, cleaned): a cleaned text that lost too much falls back to its source."""
-    starts = lambda c: F.regexp_count(c, F.lit(r"(?m)^\s*[0-9]{1,3}[.、．]")).cast("long")
-    source, cleaned = F.length(F.trim("source")), F.length(F.trim("cleaned"))
-    long_enough = (source < 200) | (cleaned >= F.greatest(F.lit(80), source * 0.25))
-    enough = (starts(F.col("source")) < 3) | (starts(F.col("cleaned")) >= starts(F.col("source")) * 0.5)
-    ok = F.coalesce((cleaned > 0) & long_enough & enough, F.lit(False))
+    """(id, ok, text) of pairs (id, source, cleaned): a cleaned text without signs, or that lost too much, falls back to its source."""
+    starts = lambda c: F.regexp_count(c, F.lit(f"(?m){M.QUESTION}")).cast("long")
+    source, cleaned = F.length("source"), F.length("cleaned")
+    long_enough = (source < 200) | (cleaned >= F.greatest(F.lit(80), F.floor(source * 0.25)))
+    enough = (starts(F.col("source")) < 3) | (starts(F.col("cleaned")) >= F.greatest(F.lit(1), F.floor(starts(F.col("source")) * 0.5)))
+    ok = F.coalesce(F.col("cleaned").rlike(M.SIGN) & long_enough & enough, F.lit(False))
     return pairs.select("id", ok.alias("ok"), F.when(ok, F.col("cleaned")).otherwise(F.col("source")).alias("text"))
 
 
+def retention_report(gated: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Per document of gated chunks (id, ok, text) and chunks (id, document_id, chunk_no, source): chunks, those used and those that fell back, characters in and out (chunks joined by blank lines)."""
+    rows = chunks.select("id", "document_id", "chunk_no", F.length("source").alias("n")).join(gated, "id")
+    sums = rows.groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("chunks"), F.count_if("ok").alias("used"), F.sum("n").alias("input_chars"),
+        (F.sum(F.length("text")) + 2 * (F.count_if(F.length("text") > 0) - 1)).alias("out"),
+    )
+    return sums.select("document_id", "chunks", "used", (F.col("chunks") - F.col("used")).alias("fell_back"), "input_chars", F.greatest(F.col("out"), F.lit(0)).alias("output_chars"), (F.col("used") > 0).alias("used_any"))
+
+
 def preview(c: Column, n: int = 200) -> Column:
     return F.struct(F.substring(c, 1, n).alias("preview"), (F.length(c) > n).alias("truncated"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import markdown_to_text, token_estimate
+from ..functions import marks as M
+from ..functions.text import markdown_to_text, strip_images, strip_tables, token_estimate
 from ..operators import corpus as X
 from ..operators import lineclf as C
 from .base import query, table
@@ -23,9 +24,38 @@ _LINES = """l0 AS (SELECT source AS document_id, doc_id AS page_number, string_s
 l1 AS (SELECT document_id, page_number, (generate_subscripts(ls, 1) - 1)::INT AS line_no, unnest(ls) AS raw FROM l0),
 l AS (SELECT document_id, page_number, line_no, regexp_replace(regexp_replace(raw, '^\\s*>+\\s?', ''), '^[\\s\\x{00A0}\\x{3000}]+|[\\s\\x{00A0}\\x{3000}]+$', '', 'g') AS text FROM l1),
 ln AS (SELECT * FROM l WHERE text <> '')"""
-_HIGH = "regexp_matches(text, '" + X.HIGH_SIGNAL.replace("'", "''") + "')"
-_KEY = "regexp_replace(regexp_replace(regexp_replace(text, '[0-9]+', '#', 'g'), '^[>#\\-*\\s]+|[>#\\-*\\s]+$', '', 'g'), '^[\\s\\x{00A0}\\x{3000}]+|[\\s\\x{00A0}\\x{3000}]+$', '', 'g')"
-_NOISE = _LINES + f""", kd AS (SELECT *, {_KEY} AS key FROM ln), rn AS (SELECT document_id, key, count(*)::BIGINT AS hits, count(DISTINCT page_number) AS pages FROM kd WHERE length(text) <= 80 AND NOT {_HIGH} AND key <> '' GROUP BY 1, 2 HAVING count(*) >= 2 AND count(DISTINCT page_number) >= 2)"""
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[\\s\\x{{00A0}}\\x{{3000}}]+|[\\s\\x{{00A0}}\\x{{3000}}]+$', '', 'g')"
+
+
+def _like(x: str, *patterns: str) -> str:
+    return "(" + " OR ".join(f"regexp_matches({x}, '{p}')" for p in patterns) + ")"
+
+
+def _has(x: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
+
+
+def _n(x: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({x}, '{pattern}'))"
+
+
+def _bare(x: str) -> str:
+    return f"regexp_replace({x}, '[\\s\\x{{00A0}}\\x{{3000}}]+', '', 'g')"
+
+
+def _one(x: str) -> str:
+    return f"regexp_replace({_strip(x)}, '[\\s\\x{{00A0}}\\x{{3000}}]+', ' ', 'g')"
+
+
+def _high(x: str) -> str:
+    return f"({_like(x, M.QUESTION, M.SECTION, M.OPTION)} OR {_n(x, M.LABEL)} >= 2 OR {_has(x, ('答案', '解析'))})"
+
+
+_PAGE_KEY = f"regexp_replace({_one('text')}, '[0-9]+', '#', 'g')"
+_KEY = f"regexp_replace({_PAGE_KEY}, '^[>#\\-*\\s]+', '')"
+_NOISE = _LINES + f""", kd AS (SELECT *, {_KEY} AS key FROM ln),
+rn AS (SELECT document_id, key, count(*)::BIGINT AS hits, count(DISTINCT page_number) AS pages FROM kd WHERE key <> '' AND length(key) <= 80 GROUP BY 1, 2 HAVING count(*) >= 2 AND count(DISTINCT page_number) >= 2 AND NOT {_high('key')})"""
 
 
 @query("b1_normalize")
@@ -55,9 +85,16 @@ def b5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.repeated_noise(_lines(spark, sf_dir))
 
 
-@query("b6_noise_pages", f"WITH {_NOISE} SELECT document_id, page_number, line_no, text FROM kd WHERE NOT EXISTS (SELECT 1 FROM (SELECT document_id, key FROM kd WHERE length(text) <= 80 AND NOT {_HIGH} AND regexp_matches(key, '\\p{{L}}') GROUP BY 1, 2 HAVING count(DISTINCT page_number) >= 3) g WHERE g.document_id = kd.document_id AND g.key = kd.key)")
+_BARE_KEY = _bare("page_key")
+_STRUCTURED = f"({_like(_BARE_KEY, *M.STRUCTURE)} OR {_like('page_key', *M.STRUCTURE_LINE)})"
+_PAGES = _LINES + f""", pk AS (SELECT *, {_PAGE_KEY} AS page_key FROM ln), pn AS (SELECT document_id, page_key FROM pk WHERE length(page_key) <= 80 AND NOT {_STRUCTURED} GROUP BY 1, 2 HAVING count(DISTINCT page_number) >= 3)"""
+
+
+@query("b6_noise_pages", f"WITH {_PAGES} SELECT document_id, page_number, line_no, text, EXISTS (SELECT 1 FROM pn WHERE pn.document_id = pk.document_id AND pn.page_key = pk.page_key) AS removed FROM pk")
 def b6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.repeated_noise_pages(_lines(spark, sf_dir)).select("document_id", "page_number", "line_no", "text")
+    kept, gone = X.repeated_noise_pages(_lines(spark, sf_dir))
+    rows = kept.withColumn("removed", F.lit(False)).unionByName(gone.withColumn("removed", F.lit(True)))
+    return rows.select("document_id", "page_number", "line_no", "text", "removed")
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,25 +102,71 @@ def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.keep_entry_numbers(X.classify_lines(lines, X.repeated_noise(lines)))
 
 
-_CLASS = _NOISE + f""", cl AS (SELECT kd.*, CASE WHEN {_HIGH} THEN NULL WHEN rn.key IS NOT NULL THEN 'repeated_noise' WHEN regexp_matches(text, '^[-—\\s]*(第?\\s*[0-9]{{1,4}}\\s*页?|[0-9]{{1,4}}\\s*/\\s*[0-9]{{1,4}})[-—\\s]*$') THEN 'page_number'
-  WHEN NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}]') THEN 'symbols' WHEN {' OR '.join(f"contains(text, '{h}')" for h in X.HINTS)} THEN 'hint' END AS reason FROM kd LEFT JOIN rn ON rn.document_id = kd.document_id AND rn.key = kd.key)"""
+def _cut(mark: str) -> str:
+    before = _strip(f"substr(text, 1, strpos(text, '{mark}') - 1)")
+    noise = f"({_like('b', M.SYMBOLS)} OR {_has('b', M.HINTS)} OR {_has('lower(b)', ('http', 'www.'))} OR (length(b) <= 12 AND {_n('b', M.SIGN)} <= 4))"
+    return f"(SELECT CASE WHEN strpos(text, '{mark}') > 1 AND b <> '' AND NOT {_like('p', M.OPTION)} AND {noise} THEN {_strip(f"substr(text, strpos(text, '{mark}'))")} END FROM (SELECT p, {_bare('p')} AS b FROM (SELECT {before} AS p)))"
+
 
+_CLASS = _NOISE + f""", tr AS (SELECT document_id, page_number, line_no, CASE WHEN {_has('text', M.PREFIXED)} THEN coalesce({', '.join(map(_cut, M.PREFIXED))}, text) ELSE text END AS text FROM ln), tk AS (SELECT *, {_KEY} AS key FROM tr),
+cr AS (SELECT tk.*, CASE WHEN rn.key IS NOT NULL THEN 'repeated_noise' WHEN {_high('text')} OR {_like('text', M.ENTRY)} THEN NULL WHEN {_like('text', M.PAGE_NUMBER, M.PAGE_OF, M.SHORT_NUMBER)} THEN 'page_number'
+  WHEN {_like('text', M.SYMBOLS)} THEN 'symbols' WHEN {_has('text', M.HINTS)} THEN 'hint' WHEN {_like('text', '^[0-9]{2,}$')} THEN NULL WHEN {_n('text', M.SIGN)} <= 1 AND length(text) <= 8 THEN 'noise' END AS reason FROM tk LEFT JOIN rn ON rn.document_id = tk.document_id AND rn.key = tk.key),
+cn AS (SELECT *, {_like(_bare('text'), M.SHORT_NUMBER)} AS num, {_like('text', M.ENTRY)} AS entry, {_like('text', M.ENTRY)} AND {_n('text', M.LABEL)} < 2 AND NOT {_like('text', M.ANSWER, M.ANALYSIS)} AS whole FROM cr),
+cw AS (SELECT *, coalesce(lead(entry) OVER p, false) AS near, count(*) FILTER (WHERE reason IS NULL AND NOT num) OVER p AS g, coalesce(last_value(CASE WHEN reason IS NULL AND NOT num THEN whole END IGNORE NULLS) OVER p, false) AS after FROM cn WINDOW p AS (PARTITION BY document_id, page_number ORDER BY line_no)),
+cl AS (SELECT * REPLACE (CASE WHEN num AND (near OR (after AND row_number() OVER (PARTITION BY document_id, page_number, g, num ORDER BY line_no) = 1)) THEN NULL ELSE reason END AS reason) FROM cw)"""
 
-@query("b7_classify_lines", f"WITH {_CLASS} SELECT document_id, page_number, line_no, reason FROM cl")
+
+@query("b7_classify_lines", f"WITH {_CLASS} SELECT document_id, page_number, line_no, text, reason FROM cl")
 def b7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _classified(spark, sf_dir).select("document_id", "page_number", "line_no", "reason")
+    return _classified(spark, sf_dir).select("document_id", "page_number", "line_no", "text", "reason")
+
+
+@query("b8_entry_numbers", """WITH l AS (SELECT l_orderkey AS document_id, l_suppkey % 3 AS page_number, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS line_no,
+  CASE l_linenumber % 4 WHEN 0 THEN '借：' || p_name WHEN 1 THEN (l_quantity::INT * 7)::VARCHAR WHEN 2 THEN '贷: ' || p_type || ' 8' ELSE p_name END AS text FROM lineitem JOIN part ON p_partkey = l_partkey),
+n AS (SELECT *, regexp_matches(text, '^[0-9]{1,3}$') AS num, regexp_matches(text, '^[借贷][:：]') AS entry FROM l),
+w AS (SELECT *, coalesce(lead(entry) OVER p, false) AS near, count(*) FILTER (WHERE NOT num) OVER p AS g, coalesce(last_value(CASE WHEN NOT num THEN entry END IGNORE NULLS) OVER p, false) AS after FROM n WINDOW p AS (PARTITION BY document_id, page_number ORDER BY line_no))
+SELECT document_id, page_number, line_no, NOT num OR near OR (after AND row_number() OVER (PARTITION BY document_id, page_number, g, num ORDER BY line_no) = 1) AS kept FROM w""")
+def b8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers between accounting entries, made of order lines."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    lines = rows.selectExpr(
+        "l_orderkey AS document_id", "l_suppkey % 3 AS page_number", "CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS BIGINT) AS line_no",
+        "CASE l_linenumber % 4 WHEN 0 THEN concat('借：', p_name) WHEN 1 THEN CAST(CAST(l_quantity AS INT) * 7 AS STRING) WHEN 2 THEN concat('贷: ', p_type, ' 8') ELSE p_name END AS text",
+    )
+    none = lines.select("document_id", F.lit("").alias("key")).where("false")
+    return X.keep_entry_numbers(X.classify_lines(lines, none)).select("document_id", "page_number", "line_no", F.col("reason").isNull().alias("kept"))
+
+
+@query("b9_split_lines", """SELECT l_orderkey AS document_id, (l_linenumber - 1) * 0 + unnest(range(7)) AS part_no, unnest(['下列关于' || p_name || '的说法正确的是()。', 'A. ' || p_brand, 'B. ' || p_type, 'C. ' || p_size::VARCHAR, '答案:A', '解析:' || p_name || '。', '2. ' || p_type || '是下列']) AS text,
+  l_linenumber AS line_no, l_partkey AS part_key FROM lineitem JOIN part ON p_partkey = l_partkey""")
+def b9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense lines with a question, its options, answer and analysis, and the next question, made of parts: each is cut into seven."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    lines = rows.selectExpr("l_orderkey AS document_id", "l_linenumber AS line_no", "l_partkey AS part_key", "concat('下列关于', p_name, '的说法正确的是()。A. ', p_brand, 'B、 ', p_type, ' C) ', p_size, '答案:A解析:', p_name, '。2. ', p_type, '是下列') AS text")
+    return X.split_lines(lines).select("document_id", "line_no", "part_key", "part_no", "text")
 
 
 @query("b10_clean_pages")
 def b10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.clean_pages(_classified(spark, sf_dir).where("reason IS NULL").drop("reason"))
+    lines = X.to_lines(_docs(spark, sf_dir), normalize=True)
+    return X.clean_pages(X.classify_lines(lines, X.repeated_noise(lines)))
 
 
-@query("b11_cleanup_report", f"""WITH {_CLASS} SELECT document_id, count(*) AS lines_in, sum(length(text))::BIGINT AS chars_in, count(*) FILTER (WHERE reason IS NULL) AS lines_out, coalesce(sum(length(text)) FILTER (WHERE reason IS NULL), 0)::BIGINT AS chars_out,
-  count(*) FILTER (WHERE reason IS NOT NULL) AS removed FROM cl GROUP BY 1""")
+@query("b11_cleanup_report", f"""WITH {_CLASS} SELECT cl.document_id, count(*) AS lines_in, sum(length(text))::BIGINT AS chars_in, count(reason) AS removed, coalesce((SELECT count(*) FROM rn WHERE rn.document_id = cl.document_id), 0) AS repeated FROM cl GROUP BY 1""")
 def b11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _classified(spark, sf_dir)
-    return X.cleanup_report(rows, rows.where("reason IS NULL"))
+    return _report(spark, sf_dir).select("document_id", "lines_in", "chars_in", "removed", "repeated")
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    noise = X.repeated_noise(lines)
+    rows = X.keep_entry_numbers(X.classify_lines(lines, noise))
+    return X.cleanup_report(rows, X.folded_pages(rows), noise)
+
+
+@query("b11_full_report")
+def b11_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir)
 
 
 @query("b11_reasons", f"WITH {_CLASS} SELECT document_id, reason, count(*) AS n FROM cl WHERE reason IS NOT NULL GROUP BY ALL")
@@ -91,16 +174,40 @@ def b11_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.reason_counts(_classified(spark, sf_dir))
 
 
-@query("b12_quality_score", """WITH d AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents)
-SELECT doc_id AS document_id, round_even(round(greatest(0::DOUBLE, least(1::DOUBLE, 0.4::DOUBLE + least(0.3::DOUBLE, len(regexp_extract_all(text, '[.!?。！？]'))::DOUBLE / 50) + least(0.3::DOUBLE, length(text)::DOUBLE / 5000) - least(0.4::DOUBLE, coalesce(len(list_filter(ls, lambda x: length(trim(x)) <= 2))::DOUBLE / nullif(len(ls), 0), 0)))), 9), 2) AS score FROM d""")
+def _capped(worth: tuple[tuple[float, float], ...], x: str) -> str:
+    out = "0::DOUBLE"
+    for p, (most, each) in zip(X.SIGNALS, worth):
+        n = _n(x, p)
+        out += f" + least({most}::DOUBLE, " + (f"{n} * {each!r}::DOUBLE)" if each < 1 / 100 else f"round({n} * {each}::DOUBLE, 9))")
+    return out
+
+
+def _short(most: int) -> str:
+    return f"len(list_filter(ls, lambda x: {_n('x', M.SIGN)} <= {most}))"
+
+
+@query("b12_quality_score", f"""WITH {_CLASS}, r AS (SELECT page_number, count(*) AS lines_in, count(reason) AS removed FROM cl GROUP BY 1),
+d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: {_strip('x')} <> '') AS ls, coalesce(lines_in, 0) AS lines_in, coalesce(removed, 0) AS removed FROM documents LEFT JOIN r ON page_number = doc_id)
+SELECT doc_id AS document_id, CASE WHEN {_strip('text')} = '' THEN 0 ELSE round_even(round(greatest(0::DOUBLE, least(1::DOUBLE, 0.18::DOUBLE + ({_capped(X.WORTH, 'text')})
+  - (least(0.2::DOUBLE, removed::DOUBLE / greatest(lines_in, 1) * 0.18::DOUBLE) + least(0.18::DOUBLE, {_short(1)}::DOUBLE / greatest(len(ls), 1) * 0.18::DOUBLE)))), 9), 2) END AS score FROM d""")
 def b12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.quality_score(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text"))
+    counts = _classified(spark, sf_dir).groupBy(F.col("page_number").alias("document_id")).agg(F.count(F.lit(1)).alias("lines_in"), F.count("reason").alias("removed"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return X.quality_score(docs.join(counts, "document_id", "left").na.fill(0, ["lines_in", "removed"]))
+
+
+def _parse(x: str, ls: str) -> str:
+    signs = f"len(list_filter({ls}, lambda x: {_n('x', M.SIGN)} <= 3))"
+    return f"CASE WHEN {_strip(x)} = '' THEN 0 ELSE greatest(0::DOUBLE, round_even(round(({_capped(X.PARSE_WORTH, _strip(x))}) - least(2::DOUBLE, {signs}::DOUBLE / greatest(len({ls}), 1) * 2), 9), 2)) END"
+
 
+def _ls(x: str) -> str:
+    return f"list_filter(string_split({x}, chr(10)), lambda x: {_strip('x')} <> '')"
 
-@query("b13_pick_best", """WITH s AS (SELECT doc_id, text, substr(text, 1, (length(text) * (doc_id % 3) / 2)::BIGINT) AS t2 FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS text FROM documents)), k AS (SELECT doc_id, text, t2,
-  len(regexp_extract_all(text, '[A-Za-z0-9\\x{4E00}-\\x{9FFF}]')) AS c1, len(regexp_extract_all(t2, '[A-Za-z0-9\\x{4E00}-\\x{9FFF}]')) AS c2 FROM s),
-z AS (SELECT doc_id, CASE WHEN c1 < 24 THEN 0::DOUBLE ELSE round_even((least(6000, c1 * 5) + least(4000, len(string_split(text, chr(10))) * 100))::DOUBLE / 10, 0) / 100 END AS s1, CASE WHEN c2 < 24 THEN 0::DOUBLE ELSE round_even((least(6000, c2 * 5) + least(4000, len(string_split(t2, chr(10))) * 100))::DOUBLE / 10, 0) / 100 END AS s2 FROM k)
-SELECT doc_id AS document_id, greatest(s1, s2) AS score, s2 > s1 AS second FROM z""")
+
+@query("b13_pick_best", f"""WITH s AS (SELECT doc_id, text, substr(text, 1, (length(text) * (doc_id % 3) / 2)::BIGINT) AS t2 FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS text FROM documents)),
+k AS (SELECT doc_id, text, t2, {_ls('text')} AS l1, {_ls('t2')} AS l2, {_n('text', M.SIGN)} >= 24 AS r1, {_n('t2', M.SIGN)} >= 24 AS r2 FROM s), z AS (SELECT doc_id, r1, r2, {_parse('text', 'l1')} AS s1, {_parse('t2', 'l2')} AS s2 FROM k)
+SELECT doc_id AS document_id, CASE WHEN (r2, s2) > (r1, s1) THEN s2 ELSE s1 END AS score, (r2, s2) > (r1, s1) AS second FROM z""")
 def b13(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS document_id", "CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS text")
     other = docs.select("document_id", F.substr("text", F.lit(1), F.expr("CAST(length(text) * (document_id % 3) / 2 + 0.0000001 AS INT)")).alias("text"))
@@ -113,13 +220,22 @@ def b14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.should_clean(provider, F.col("doc_id") % 3 == 0, F.col("doc_id") % 10 == 0).alias("clean"))
 
 
-_STRIP = "regexp_replace({}, '^[\\s\\x{{00A0}}\\x{{3000}}]+|[\\s\\x{{00A0}}\\x{{3000}}]+$', '', 'g')"
-_PLAIN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '(?m)^\\s{0,3}(#{1,6}|>|[-*+])\\s+', '', 'g'), '\\*\\*|__|`+', '', 'g')"
+_MD = "'![x](y.png) [a](b)' || chr(10) || '## |a|' || chr(10) || '```' || chr(10) || 'x' || chr(10) || '```' || chr(10) || text"
+_PLAIN = "regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', '', 'g'), '!\\[[^\\]]*\\]\\([^)]+\\)', ' ', 'g'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g')"
+_PLAIN = f"replace(regexp_replace({_PLAIN}, '(?m)^[>#\\-*\\s|]+', '', 'g'), '|', ' ')"
 
 
-@query("b15_markdown_to_text", "SELECT doc_id, " + _STRIP.format("regexp_replace(" + _PLAIN + ", '\\n{3,}', chr(10) || chr(10), 'g')") + " AS text FROM (SELECT doc_id, '![x](y.png)' || chr(10) || '## ' || text AS text FROM documents)")
+@query("b15_markdown_to_text", f"SELECT doc_id, {_strip(f"regexp_replace({_PLAIN}, '\\n{{3,}}', chr(10) || chr(10), 'g')")} AS text FROM (SELECT doc_id, {_MD} AS text FROM documents)")
 def b15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", markdown_to_text(F.concat(F.lit("![x](y.png)\n## "), "text")).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", markdown_to_text(F.concat(F.lit("![x](y.png) [a](b)\n## |a|\n```\nx\n```\n"), "text")).alias("text"))
+
+
+@query("b15_strip_markup", f"SELECT doc_id, {_strip("regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g')")} AS text FROM (SELECT doc_id, regexp_replace('a' || chr(10) || {_strip("regexp_replace(regexp_replace(text, '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")}, '^$', '') AS text FROM documents)")
+def b15_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images and tables put before the texts are gone again."""
+    image = F.concat(F.lit("![x](imgs/a.png)<img class='p' src=\"imgs/b.png\" />imgs/c.png\n"), "text")
+    tables = F.array(F.struct(F.lit("<table>1</table>").alias("html"), F.lit("|1|").alias("markdown")))
+    return table(spark, sf_dir, "documents").select("doc_id", strip_tables(F.concat(F.lit('a<div style="text-align: center;"><table>1</table></div>|1|\n'), strip_images(image)), tables).alias("text"))
 
 
 @query("b16_token_estimate", "SELECT doc_id, (len(regexp_extract_all(text, '[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{F900}-\\x{FAFF}]')) + ceil((length(text) - len(regexp_extract_all(text, '[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{F900}-\\x{FAFF}]')))::DOUBLE / 4))::BIGINT AS tokens FROM documents")
@@ -130,20 +246,50 @@ def b16(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CJK = "len(regexp_extract_all(text, '[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{F900}-\\x{FAFF}]'))"
 
 
-@query("b17_context_budget", f"SELECT conv_id AS request_id, sum({_CJK} + ceil((length(text) - {_CJK})::DOUBLE / 4))::BIGINT AS tokens, sum({_CJK} + ceil((length(text) - {_CJK})::DOUBLE / 4)) > 400 AS over FROM conversations GROUP BY 1")
+def _tokens(x: str) -> str:
+    cjk = _CJK.replace("text", x)
+    return f"({cjk} + ceil((length({x}) - {cjk})::DOUBLE / 4))::BIGINT"
+
+
+@query("b17_context_budget", f"""WITH s AS (SELECT conv_id, sum({_tokens('text')})::BIGINT AS n FROM conversations WHERE role <> 'user' GROUP BY 1), q AS (SELECT conv_id, max(text) AS notes FROM conversations WHERE role = 'user' GROUP BY 1),
+r AS (SELECT q.conv_id, notes, CASE WHEN q.conv_id % 5 = 0 THEN 'Source content: ' || notes WHEN q.conv_id % 5 = 1 THEN 'two columns' END AS layout, coalesce(n, 0) AS n FROM q LEFT JOIN s ON s.conv_id = q.conv_id),
+t AS (SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN {_tokens("layout")} ELSE n + {_tokens("concat_ws(chr(10), nullif(notes, ''), layout)")} END AS tokens FROM r) SELECT conv_id AS request_id, tokens, tokens > 400 AS over FROM t""")
 def b17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.context_budget(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), "text"), 400)
+    turns = table(spark, sf_dir, "conversations")
+    requests = turns.where("role = 'user'").groupBy(F.col("conv_id").alias("request_id")).agg(F.max("text").alias("notes"))
+    requests = requests.selectExpr("*", "CASE request_id % 5 WHEN 0 THEN concat('Source content: ', notes) WHEN 1 THEN 'two columns' END AS layout")
+    return X.context_budget(requests, turns.where("role <> 'user'").select(F.col("conv_id").alias("request_id"), "text"), 400)
 
 
 @query("b18_chunk")
 def b18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.chunk(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text"), 1200)
+    return X.chunk(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text"), 4000)
+
+
+def _starts_in(x: str) -> str:
+    return _n(x, f"(?m){M.QUESTION}")
+
 
+_GATED = f"""g AS (SELECT id, chunk_no, document_id, source, cleaned, regexp_matches(cleaned, '{M.SIGN}') AND (length(source) < 200 OR length(cleaned) >= greatest(80, floor(length(source) * 0.25::DOUBLE)))
+  AND ({_starts_in('source')} < 3 OR {_starts_in('cleaned')} >= greatest(1, floor({_starts_in('source')} * 0.5::DOUBLE))) AS ok
+  FROM (SELECT doc_id AS id, doc_id AS chunk_no, source AS document_id, t AS source, substr(t, 1, ((doc_id % 4) * length(t)) // 8) AS cleaned FROM (SELECT doc_id, source, replace(text, '. ', chr(10) || '1. ') AS t FROM documents)))"""
 
-@query("b19_retention_gate", "SELECT doc_id AS id, length(trim(cleaned)) > 0 AND (length(trim(text)) < 200 OR length(trim(cleaned)) >= greatest(80, length(trim(text)) * 0.25::DOUBLE)) AS ok FROM (SELECT doc_id, text, substr(text, 1, ((doc_id % 4) * length(text)) // 8) AS cleaned FROM documents)")
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("chunk_no"), F.col("source").alias("document_id"), F.replace("text", F.lit(". "), F.lit("\n1. ")).alias("source"))
+    return docs.withColumn("cleaned", F.substr("source", F.lit(1), F.expr("((id % 4) * length(source)) div 8").cast("int")))
+
+
+@query("b19_retention_gate", f"WITH {_GATED} SELECT id, ok, CASE WHEN ok THEN cleaned ELSE source END AS text FROM g")
 def b19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("source"), F.substr("text", F.lit(1), F.expr("((doc_id % 4) * length(text)) div 8").cast("int")).alias("cleaned"))
-    return X.retention_gate(docs).select("id", "ok")
+    return X.retention_gate(_chunks(spark, sf_dir))
+
+
+@query("b19_retention_report", f"""WITH {_GATED}, t AS (SELECT *, length(CASE WHEN ok THEN cleaned ELSE source END) AS n FROM g) SELECT document_id, count(*) AS chunks, count(*) FILTER (WHERE ok) AS used, count(*) FILTER (WHERE NOT ok) AS fell_back,
+  sum(length(source))::BIGINT AS input_chars, greatest(sum(n) + 2 * (count(*) FILTER (WHERE n > 0) - 1), 0)::BIGINT AS output_chars, bool_or(ok) AS used_any FROM t GROUP BY 1""")
+def b19_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _chunks(spark, sf_dir)
+    return X.retention_report(X.retention_gate(chunks), chunks)
 
 
 @query("b20_preview", "SELECT doc_id, substr(text, 1, 200) AS preview, length(text) > 200 AS truncated FROM documents")
@@ -153,25 +299,52 @@ def b20(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Line classifiers: lines of good documents are kept, of others deleted.
 
-_LABELLED = _LINES + f""", lb AS (SELECT ln.*, page_number * 10000 + line_no AS id, CASE WHEN quality = 1 THEN 'keep' ELSE 'delete' END AS label FROM ln JOIN labels ON labels.doc_id = page_number),
-ft AS (SELECT *, list_filter(['len' || CASE WHEN length(text) <= 2 THEN '0' WHEN length(text) <= 8 THEN '1' WHEN length(text) <= 20 THEN '2' WHEN length(text) <= 60 THEN '3' WHEN length(text) <= 150 THEN '4' ELSE '5' END,
-  CASE WHEN {' OR '.join(f"contains(text, '{h}')" for h in X.HINTS)} THEN 'hint' END, CASE WHEN regexp_matches(text, '^[-—\\s]*[0-9]{{1,4}}[-—\\s]*$') THEN 'page' END, CASE WHEN NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}]') THEN 'symbols' END,
-  CASE WHEN regexp_matches(text, '(?i)https?://|www[.]') THEN 'url' END, CASE WHEN regexp_matches(text, '^[A-H][.、．]') THEN 'option' END, CASE WHEN regexp_matches(text, '^[0-9]{{1,3}}[.、．]') THEN 'start' END,
-  CASE WHEN len(regexp_extract_all(text, '[0-9]'))::DOUBLE / length(text) >= 0.5 THEN 'digits' END, CASE WHEN regexp_matches(text, '[.!?]$') THEN 'stop' END, CASE WHEN regexp_matches(text, '[|#*$%&]') THEN 'marks' END, CASE WHEN regexp_matches(text, '^\\p{{Lu}}') THEN 'capital' END], lambda x: x IS NOT NULL) AS f FROM lb),
-fc AS (SELECT feature, label, count(*) AS n FROM (SELECT label, unnest(f) AS feature FROM ft) GROUP BY ALL), lc AS (SELECT label, count(*) AS n FROM ft GROUP BY 1)"""
-_SCORED = _LABELLED + f""", k AS (SELECT (SELECT n FROM lc WHERE label = 'delete') AS nd, (SELECT n FROM lc WHERE label = 'keep') AS nk), w AS (SELECT feature, ln((coalesce(sum(n) FILTER (WHERE label = 'delete'), 0) + 1)::DOUBLE / (any_value(nd) + 2) / ((coalesce(sum(n) FILTER (WHERE label = 'keep'), 0) + 1)::DOUBLE / (any_value(nk) + 2))) AS w FROM fc, k GROUP BY 1),
-sc AS (SELECT ft.id, ft.text, ft.label, round(ln((nd + 1)::DOUBLE / (nd + nk + 2)) - ln((nk + 1)::DOUBLE / (nd + nk + 2)) + (SELECT sum(w) FROM w WHERE list_contains(ft.f, w.feature)), 6) AS score FROM ft, k),
-pr AS (SELECT *, score >= 0 AND NOT {_HIGH} AS predicted FROM sc)"""
+def _features(x: str, bare: str, found: list[tuple[str, str]]) -> str:
+    size = " ".join(f"WHEN length({bare}) <= {m} THEN 'len:<= {m}'" for m in C.LENGTHS)
+    names = ", ".join([f"CASE {size} ELSE 'len:> {C.LENGTHS[-1]}' END", *(f"CASE WHEN {c} THEN '{name}' END" for c, name in found)])
+    return f"CASE WHEN {x} = '' THEN ['empty'] ELSE list_filter([{names}], lambda x: x IS NOT NULL) END"
+
+
+_LINE_FEATURES = _features("t", "b", [
+    (_has("t", M.HINTS), "noise_hint"), (_like("t", M.PAGE_NUMBER, M.PAGE_OF), "page_number"), (_like("t", M.SYMBOLS), "symbol_only"), (_like("t", "(?i)https?://|www\\\\."), "url"), (_has("lower(t)", ("<img", "imgs/")), "image_ref"),
+    (_like("t", M.OPTION), "option_line"), (_like("t", M.QUESTION), "question_start"), (_like("t", M.SECTION_START), "section_header"), (_has("t", ("答案",)), "answer_marker"), (_has("t", ("解析",)), "analysis_marker"),
+    (_like("b", M.SHORT_NUMBER), "digits_only_short"), (f"{_n('b', '[0-9]')}::DOUBLE / greatest(length(b), 1) >= 0.65::DOUBLE", "mostly_digits"), (_like("t", M.HAN), "has_chinese"),
+    (f"{_n('b', M.HAN)}::DOUBLE / greatest(length(b), 1) >= 0.45::DOUBLE", "mostly_chinese"), (f"{_n('t', M.LABEL)} >= 2", "dense_options"),
+])
+_START_FEATURES = _features("t", "b", [
+    (_like("t", M.QUESTION), "regex_question_start"), (_like("t", M.SECTION_START), "section_header"), (_like("t", M.OPTION), "option_line"), (_like("t", M.ANSWER_HEAD), "answer_line"), (_like("t", M.ANALYSIS_LINE), "analysis_line"),
+    (f"{_n('t', M.LABEL)} >= 2", "dense_options"), (_has("t", ("（）", "()")) + " OR contains(b, '()')", "blank_slot"), (_has("t", C.ASKING), "question_prompt_word"), (_has("t", C.SHARED), "shared_context_word"), (_like("b", M.SHORT_NUMBER), "digits_only"),
+])
+_ALONE = f"(t = '' OR {_like('t', M.QUESTION, M.SECTION_START, M.OPTION)} OR {_n('t', M.LABEL)} >= 2 OR {_has('t', ('答案', '解析'))})"
+
+
+def _bayes(features: str, target: str, other: str) -> str:
+    """From the rows ``lb`` (id, text, label): features, counts, and the log odds of ``target``."""
+    return f""", ft AS (SELECT id, text, label, {features} AS f, {_ALONE} AS alone FROM (SELECT id, text, label, {_one('text')} AS t, {_bare('text')} AS b FROM lb)),
+fc AS (SELECT feature, label, count(*) AS n FROM (SELECT label, unnest(f) AS feature FROM ft) GROUP BY ALL), lc AS (SELECT label, count(*) AS n FROM ft GROUP BY 1),
+k AS (SELECT coalesce((SELECT n FROM lc WHERE label = '{target}'), 0) AS nt, coalesce((SELECT n FROM lc WHERE label = '{other}'), 0) AS no),
+w AS (SELECT feature, ln((coalesce(sum(n) FILTER (WHERE label = '{target}'), 0) + 1)::DOUBLE / (any_value(nt) + 2) / ((coalesce(sum(n) FILTER (WHERE label = '{other}'), 0) + 1)::DOUBLE / (any_value(no) + 2))) AS w FROM fc, k GROUP BY 1),
+fs AS (SELECT f, (SELECT sum(w) FROM w WHERE list_contains(u.f, w.feature)) AS s FROM (SELECT DISTINCT f FROM ft) u),
+sc AS (SELECT ft.id, ft.text, ft.label, ft.alone, round(ln((nt + 1)::DOUBLE / (nt + no + 2)) - ln((no + 1)::DOUBLE / (nt + no + 2)) + fs.s, 6) AS score FROM ft JOIN fs ON fs.f = ft.f, k)"""
+
+
+_LABELLED = _LINES + ", lb AS (SELECT concat(page_number, ':', line_no) AS id, text, CASE WHEN quality = 1 THEN 'keep' ELSE 'delete' END AS label FROM ln JOIN labels ON labels.doc_id = page_number)" + _bayes(_LINE_FEATURES, "delete", "keep")
+_SCORED = _LABELLED + ", pr AS (SELECT *, score >= 0 AND NOT alone AS predicted FROM sc)"
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_number"), F.when(F.col("quality") == 1, "keep").otherwise("delete").alias("label"))
-    return _lines(spark, sf_dir).join(labels, "page_number").withColumn("id", F.col("page_number") * 10000 + F.col("line_no"))
+    return _lines(spark, sf_dir).join(labels, "page_number").withColumn("id", F.concat("page_number", F.lit(":"), "line_no"))
 
 
-@query("c1_label_lines", f"WITH {_LINES}, t AS (SELECT source AS document_id, doc_id AS page_number, regexp_replace(substr(text, 1, length(text) // 2), '[\\s\\x{{00A0}}\\x{{3000}}]+', '', 'g') AS target FROM documents) SELECT ln.document_id, ln.page_number, line_no, CASE WHEN contains(target, regexp_replace(text, '[\\s\\x{{00A0}}\\x{{3000}}]+', '', 'g')) THEN 'keep' ELSE 'delete' END AS label FROM ln JOIN t ON t.page_number = ln.page_number AND t.document_id = ln.document_id")
+@query("c1_label_lines", f"""WITH {_LINES}, t AS (SELECT source AS document_id, doc_id AS page_number, substr(text, 1, length(text) // 2) || chr(10) || substr(text, length(text) // 2 + 9) AS target FROM documents),
+u AS (SELECT document_id, page_number, {_bare('target')} AS whole, list_filter(list_transform(string_split(target, chr(10)), lambda x: {_bare('x')}), lambda x: length(x) >= 12) AS parts FROM t), b AS (SELECT *, {_bare('text')} AS c FROM ln)
+SELECT b.document_id, b.page_number, line_no, CASE WHEN contains(whole, c) OR (length(c) >= 12 AND len(list_filter(parts, lambda x: contains(c, x))) > 0) THEN 'keep' ELSE 'delete' END AS label
+FROM b JOIN u ON u.page_number = b.page_number AND u.document_id = b.document_id WHERE whole <> '' AND c <> ''""")
 def c1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = _docs(spark, sf_dir).select("document_id", "page_number", F.substr("text", F.lit(1), F.expr("length(text) div 2").cast("int")).alias("target"))
+    """Against texts that lack eight characters in the middle."""
+    half = "CAST(length(text) div 2 AS INT)"
+    targets = _docs(spark, sf_dir).selectExpr("document_id", "page_number", f"concat(substr(text, 1, {half}), '\\n', substr(text, {half} + 9)) AS target")
     return C.label_lines(_lines(spark, sf_dir), targets).select("document_id", "page_number", "line_no", "label")
 
 
@@ -185,14 +358,10 @@ def c3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.train_nb(_labelled(spark, sf_dir))[1]
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _labelled(spark, sf_dir)
-    return C.score_nb(rows, *C.train_nb(rows))
-
-
 @query("c4_score", f"WITH {_SCORED} SELECT id, round(score, 4) AS score FROM pr")
 def c4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).select("id", F.round("score", 4).alias("score"))
+    rows = _labelled(spark, sf_dir)
+    return C.score_nb(rows, *C.train_nb(rows)).select("id", F.round("score", 4).alias("score"))
 
 
 def _ratio(a: str, b: str) -> str:
@@ -202,13 +371,34 @@ def _ratio(a: str, b: str) -> str:
 @query("c5_evaluate", f"""WITH {_SCORED}, e AS (SELECT count(*) FILTER (WHERE label = 'delete' AND predicted) AS tp, count(*) FILTER (WHERE label <> 'delete' AND predicted) AS fp, count(*) FILTER (WHERE label = 'delete' AND NOT predicted) AS fn, count(*) FILTER (WHERE label <> 'delete' AND NOT predicted) AS tn FROM pr)
 SELECT tp, fp, fn, tn, {_ratio('tp + tn', 'tp + fp + fn + tn')} AS accuracy, {_ratio('tp', 'tp + fp')} AS precision, {_ratio('tp', 'tp + fn')} AS recall, {_ratio('2 * tp', '2 * tp + fp + fn')} AS f1 FROM e""")
 def c5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.evaluate(_scored(spark, sf_dir), F.col("label") == "delete", F.col("predicted"))
+    sets = C.feature_sets(_labelled(spark, sf_dir)).persist()  # a row for each set of features and label
+    return C.evaluate_sets(sets, *C.train_sets(sets))
+
+
+# Question starts: order lines as lines of a paper, of which some are numbered stems that the gold questions have.
+_PAPER_LINE = "CASE l_linenumber % 5 WHEN 0 THEN concat('根据上述资料', p_name) WHEN 1 THEN concat(l_linenumber, '. 下列关于', p_name, '的说法（）') WHEN 2 THEN concat('A. ', p_name, ' B. ', p_type) WHEN 3 THEN concat(l_linenumber, '、', p_type) ELSE concat('答案：', p_brand) END"
+_PAPER = f"SELECT l_orderkey AS document_id, concat(l_orderkey, ':', l_linenumber, ':', l_partkey, ':', l_suppkey) AS id, {_PAPER_LINE} AS text FROM lineitem JOIN part ON p_partkey = l_partkey"
+_GOLD = "SELECT l_orderkey AS document_id, CAST(l_linenumber AS {string}) AS question_no, CASE l_linenumber % 5 WHEN 1 THEN concat(' 下列关于', p_name, '的说法（） ') ELSE p_brand END AS stem_text FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag <> 'R'"
+_STARTS_SQL = f"""pl AS ({_PAPER}), gq AS ({_GOLD.format(string='VARCHAR')}), gk AS (SELECT DISTINCT document_id, unnest([{_bare(f"question_no || ':' || substr({_strip('stem_text')}, 1, 32)")}, question_no]) AS key FROM gq),
+pk AS (SELECT *, CASE WHEN {_like('text', M.QUESTION)} THEN {_bare(f"concat(regexp_extract(text, '^\\s*(?:#+\\s*)?(?:第\\s*)?({M.NUMBER})', 1), CASE WHEN q <> '' THEN ':' || substr(q, 1, 32) END)")} END AS key FROM (SELECT *, {_strip(f"regexp_replace(text, '{M.QUESTION}', '')")} AS q FROM pl)),
+lb AS (SELECT id, text, CASE WHEN EXISTS (SELECT 1 FROM gk WHERE gk.document_id = pk.document_id AND gk.key = pk.key) THEN 'question_start' ELSE 'other' END AS label FROM pk WHERE document_id IN (SELECT document_id FROM gq))""" + _bayes(_START_FEATURES, "question_start", "other")
+
+
+def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    lines, gold = (spark.sql(sql.replace("FROM lineitem JOIN part", "FROM {line} JOIN {part}"), line=line, part=part) for sql in (_PAPER, _GOLD.format(string="STRING")))
+    return C.label_starts(lines, gold)
+
+
+@query("c6_start_features", f"WITH {_STARTS_SQL} SELECT id, label, unnest(f) AS feature FROM ft")
+def c6_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _starts(spark, sf_dir).select("id", "label", F.explode(C.start_features(F.col("text"))).alias("feature"))
 
 
-@query("c6_probability", f"WITH {_SCORED} SELECT id, round(1 / (1 + exp(-greatest(-50, least(50, score)))), 4) AS p, 1 / (1 + exp(-greatest(-50, least(50, score)))) >= 0.55::DOUBLE AS start FROM pr")
+@query("c6_probability", f"WITH {_STARTS_SQL}, p AS (SELECT id, label, 1 / (1 + exp(-greatest(-50, least(50, score)))) AS p FROM sc) SELECT id, label, round(p, 4) AS p, p >= 0.55::DOUBLE AS start FROM p")
 def c6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = C.probability(F.col("score"))
-    return _scored(spark, sf_dir).select("id", F.round(p, 4).alias("p"), (p >= 0.55).alias("start"))
+    rows = _starts(spark, sf_dir)
+    return C.score_starts(rows, *C.train_nb(rows, C.start_features)).select("id", "label", F.round("p", 4).alias("p"), "start")
 
 
 @query("c7_publish_gate", """SELECT l_suppkey AS run_id, count(*) FILTER (WHERE 1 - l_discount / 2 >= 0.92::DOUBLE) AS samples, round(avg((l_linenumber > 1)::INT::DOUBLE), 6) AS pass_rate, round(avg(1 - l_discount / 2), 6) AS confidence,

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
 from studyflow.functions import text as X
-from studyflow.operators import bank, corpus, exam, learning, lineclf, questions, tagging, taxonomy, verify
+from studyflow.operators import bank, corpus, exam, learning, lineclf, pages, questions, tagging, taxonomy, verify
 from studyflow.sources import files
 
 
@@ -68,39 +70,116 @@ def test_shares_sum_to_one(spark):
 
 
 def test_text_functions(spark):
-    assert one(spark, X.normalize_text(F.lit("​Ａ①\r\n\r\n\r\n\r\nb\t c "))) == "A①\n\nb c"
-    assert one(spark, X.markdown_to_text(F.lit("# T\n![a](b)[x](y) **z** `c`\n> q"))) == "T\nx z c\nq"
+    assert one(spark, X.normalize_text(F.lit("\u200bＡ①❶\u200e\r\n\r\n\r\n\r\nb\t c\x07 "))) == "A①❶\n\nb c"
+    assert one(spark, X.markdown_to_text(F.lit("# T\n![a](b)[x](y) **z**|\n```\ncode\n```\n> q"))) == "T\nx **z** \nq"
+    assert one(spark, X.strip_images(F.lit("a![i](data:x,y)b ![j](http://h/k.png)\nimgs/z.png  \nc"))) == "ab ![j](http://h/k.png)\n\nc"
     assert one(spark, X.token_estimate(F.lit("中文 abcd"))) == 4
 
 
-def test_cleaning_splits_and_merges():
-    assert corpus.split_structural("1. 题干 A. 甲 B. 乙 答案：A 解析：略") == ["1. 题干", "A. 甲", "B. 乙", "答案：A", "解析：略"]
-    assert corpus.split_structural("A. alone") == ["A. alone"]
-    assert corpus.merge_wrapped(["这是一个很长的行它没有任何结束的标点符号因此", "继续在这里。", "2. 新题"]) == ["这是一个很长的行它没有任何结束的标点符号因此继续在这里。", "2. 新题"]
-    assert corpus.merge_wrapped([]) == []
+def test_normalize_text_over_the_fixture(spark):
+    """Against Python's own NFKC."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("document_id"), F.concat(F.lit("　ﬁ①\r"), "text", F.lit("\t\tＡ\n\n\n\n½ ")).alias("text"))
+    keep = {c for a, b in ((0x2460, 0x2473), (0x24EA, 0x24EA), (0x24F5, 0x24FF), (0x2776, 0x2793), (0x3251, 0x325F), (0x32B1, 0x32BF)) for c in map(chr, range(a, b + 1))}
 
+    def want(t):
+        t = re.sub("[\u200b-\u200f\u202a-\u202e\ufeff]", "", t)
+        t = re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ", t)
+        t = "".join(c if c in keep else unicodedata.normalize("NFKC", c) for c in t) if keep & set(t) else unicodedata.normalize("NFKC", t)
+        return re.sub("\n{3,}", "\n\n", re.sub("[ \t]+", " ", t.replace("\r\n", "\n").replace("\r", "\n"))).strip()
 
-def test_structural_lines_are_never_noise(spark):
-    rows = [("d", p, k, t) for p in range(3) for k, t in enumerate(["页眉", "1. 题目", f"第 {p} 页", "***", "扫码关注"])]
-    lines = spark.createDataFrame(rows, "document_id string, page_number long, line_no int, text string")
-    got = {r.text: r.reason for r in corpus.classify_lines(lines, corpus.repeated_noise(lines)).where("page_number = 1").collect()}
-    assert got["页眉"] == "repeated_noise" and got["1. 题目"] is None
+    assert {r.document_id: r.text for r in corpus.normalized(docs).collect()} == {r.document_id: want(r.text) for r in docs.collect()}
+
+
+DENSE = "1. 下列说法正确的是()。A. 甲B. 乙C. 丙D. 丁答案:A解析:因为甲正确。"
+
+
+def test_dense_lines_are_cut():
+    assert pages.split_structural(DENSE) == ["1. 下列说法正确的是()。", "A. 甲", "B. 乙", "C. 丙", "D. 丁", "答案:A", "解析:因为甲正确。"]
+    assert pages.split_structural(DENSE + DENSE.replace("1. ", "2. "))[6:8] == ["解析:因为甲正确。", "2. 下列说法正确的是()。"]
+    assert pages.split_structural("A. alone") == ["A. alone"] and pages.split_structural("按 A. 甲 B. 乙 计") == ["按 A. 甲 B. 乙 计"] and pages.split_structural("") == []
+    assert pages.split_structural("税率为 3. 5%。") == ["税率为 3. 5%。"] and pages.split_structural("解析:甲。答案:B") == ["答案:B"]
+    assert pages.split_structural("单项选择题1. 关于资产") == ["单项选择题", "1. 关于资产"]
+
+
+def test_wrapped_lines_are_joined():
+    text = ["单项选择题", "1. 下列各项中,关于会计主体假设的说法", "正确的是()。A. 法律主体必然是会计主体B. 会计主体可以是企业内部部门答案:B解析:会计主体限定核算空间。2. 下列处理正确的是()。A. 甲B. 乙"]
+    page = pages.clean_page(text, [None] * 3)
+    assert page.lines == ["单项选择题", "1. 下列各项中,关于会计主体假设的说法 正确的是()。", "A. 法律主体必然是会计主体", "B. 会计主体可以是企业内部部门", "答案:B", "解析:会计主体限定核算空间。", "2. 下列处理正确的是()。", "A. 甲", "B. 乙"]
+    assert (page.merged, page.split) == (1, 7)
+    assert pages.goes_on("短行", "下一行") and not pages.goes_on("字" * 70 + "。", "下一行") and pages.goes_on("字" * 40 + "，", "下一行") and pages.goes_on("字" * 40, "下一行")
+    assert not pages.goes_on("字" * 40 + "。", "下一行") and not pages.goes_on("A. 甲", "下一行") and not pages.goes_on("短行", "113")
+    assert pages.clean_page([], []).lines == []
+
+
+def test_pages_lose_noise_and_repeated_footers(spark):
+    rows = [("d", 1, "第1页\n单项选择题\nA. 甲 B. 乙 C. 丙 D. 丁\n版权所有"), ("d", 2, "第2页\n答案：A\n版权所有\n根据资料①和资料②，下列说法正确的是（）。")]
+    lines = corpus.to_lines(spark.createDataFrame(rows, "document_id string, page_number long, text string"), normalize=True)
+    noise = corpus.repeated_noise(lines)
+    classified = corpus.classify_lines(lines, noise)
+    assert {r.text: r.reason for r in classified.collect()} == {"第1页": "repeated_noise", "第2页": "repeated_noise", "版权所有": "repeated_noise", "单项选择题": None, "A. 甲 B. 乙 C. 丙 D. 丁": None, "答案:A": None, "根据资料①和资料②,下列说法正确的是()。": None}
+    folded = corpus.folded_pages(classified)
+    assert [r.text for r in corpus.clean_pages(classified).orderBy("page_number", "line_no").collect()] == ["单项选择题", "A. 甲", "B. 乙", "C. 丙", "D. 丁", "答案:A", "根据资料①和资料②,下列说法正确的是()。"]
+    r = corpus.cleanup_report(classified, folded, noise).first()
+    assert (r.lines_in, r.lines_out, r.removed, r.merged, r.split, r.repeated) == (8, 7, 4, 0, 3, 2)
+    signs = 5 + 2 * 4 + 3 + 16  # letters and characters of the kept lines
+    assert r.score == round(0.18 + signs / 1200 + 0.12 + 0.04 - min(0.2, 4 / 8 * 0.18), 2)
+
+
+def test_lines_are_told_apart(spark):
+    texts = ["二维码在此", "—— · ——", "3 / 12", "Page 3/12", "12345", "甲 ★", "正文一句话", "借:银行存款", "123", "微信扫描二维码,在线查看 贷:原材料85", "广告 答案:B", "这一行前面的文字很长也不是广告 答案:B"]
+    lines = spark.createDataFrame([("d", 1, k, t) for k, t in enumerate(texts)], "document_id string, page_number long, line_no int, text string")
+    got = [(r.text, r.reason) for r in corpus.classify_lines(lines, corpus.repeated_noise(lines)).orderBy("line_no").collect()]
+    assert got == [(texts[0], "hint"), (texts[1], "symbols"), (texts[2], "page_number"), (texts[3], "page_number"), (texts[4], "page_number"), (texts[5], "noise"), (texts[6], None), (texts[7], None), (texts[8], "page_number"), ("贷:原材料85", None), ("答案:B", None), (texts[11], None)]
+    dropped = corpus.classify_lines(lines, corpus.repeated_noise(lines), F.contains("text", F.lit("正文"))).where("reason = 'noise'").select("text").collect()
+    assert {r.text for r in dropped} == {texts[5], texts[6]}
+
+
+def test_repeated_lines_of_exams_stay(spark):
+    block = ["第1小题", "A.495", "答案与解析", "答案解析", "慢炖知识铺"]
+    lines = spark.createDataFrame([("d", p, k, t) for p in (1, 2) for k, t in enumerate(block)], "document_id string, page_number long, line_no int, text string")
+    kept, gone = corpus.repeated_noise_pages(lines, 2)
+    assert {r.text for r in kept.collect()} == set(block[:4]) and {r.text for r in gone.collect()} == {"慢炖知识铺"} and kept.columns == lines.columns
 
 
 def test_chunks_hold_everything():
-    text = "\n\n".join("x" * n for n in (10, 30, 100, 5, 5)) + "\n\n" + "句。" * 60
-    cut = corpus.chunk_text(text, 40, floor=20)
-    assert all(len(c) <= 40 for c in cut) and "".join(cut).replace("\n", "") == text.replace("\n", "")
-    assert corpus.chunk_text("", 10) == []
+    text = "\n\n".join("x" * n for n in (1000, 2500, 700, 5, 5)) + "\n\n\n" + "句。" * 6000
+    cut = corpus.chunk_text(text, 10)
+    assert all(0 < len(c) <= 4000 for c in cut) and "".join(cut).replace("\n", "") == text.replace("\n", "")
+    assert cut[:2] == ["x" * 1000 + "\n\n" + "x" * 2500, "x" * 700 + "\n\n" + "xxxxx\n\nxxxxx"] and all(c.endswith("。") for c in cut[2:])
+    assert corpus.chunk_text("", 10) == [""] and corpus.chunk_text(" short\n\n", 10) == [" short\n\n"] and corpus.chunk_text("字" * 9000, 4000) == ["字" * 4000, "字" * 4000, "字" * 1000]
 
 
 def test_naive_bayes_learns(spark):
     rows = [(k, "A good line of words.", "keep") for k in range(30)] + [(100 + k, "***", "delete") for k in range(30)]
     lines = spark.createDataFrame(rows, "id long, text string, label string")
-    scored = lineclf.score_nb(lines, *lineclf.train_nb(lines))
+    model = lineclf.train_nb(lines)
+    scored = lineclf.score_nb(lines, *model)
     e = lineclf.evaluate(scored, F.col("label") == "delete", F.col("predicted")).first()
     assert (e.tp, e.fp, e.fn, e.tn, e.f1) == (30, 0, 0, 30, 1.0)
+    assert lineclf.evaluate_sets(lineclf.feature_sets(lines), *model).first() == e
     assert lineclf.evaluate(scored.where("false"), F.col("label") == "delete", F.col("predicted")).first().f1 == 0.0
+    assert lines.where(lineclf.dropped_by(*model)).count() == 30
+
+
+def test_line_features(spark):
+    rows = ["  ", "第 3 页", "12", "A. 甲 B. 乙", "一、单项选择题（每题1分）", "<img src='imgs/a'>", "3. 下列关于（）的计算要求"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, text string")
+    got = [(set(r.a), set(r.b)) for r in df.orderBy("k").select(lineclf.line_features(F.col("text")).alias("a"), lineclf.start_features(F.col("text")).alias("b")).collect()]
+    assert got[0] == ({"empty"}, {"empty"}) and got[1][0] == {"len:<= 4", "page_number", "has_chinese", "mostly_chinese"} and got[2] == ({"len:<= 4", "page_number", "digits_only_short", "mostly_digits"}, {"len:<= 4", "digits_only"})
+    assert got[3] == ({"len:<= 8", "option_line", "dense_options", "has_chinese"}, {"len:<= 8", "option_line", "dense_options"})
+    assert got[4][0] == {"len:<= 16", "question_start", "section_header", "has_chinese", "mostly_chinese"} and got[5][0] == {"len:<= 32", "image_ref"}
+    assert got[6][1] == {"len:<= 16", "regex_question_start", "blank_slot", "question_prompt_word", "shared_context_word"}
+
+
+def test_question_starts_are_labelled_by_gold_keys(spark):
+    gold = spark.createDataFrame([("p", "1", " 下列 说法"), ("p", "2", "长" * 50), ("p", "", "x"), ("q", "3", "y")], "document_id string, question_no string, stem_text string")
+    rows = [("p", "1. 下列说法"), ("p", "2、" + "长" * 40), ("p", "1. 另一题"), ("p", "第2题"), ("p", "正文"), ("r", "3. y"), ("q", "三、y")]
+    lines = spark.createDataFrame(rows, "document_id string, text string")
+    got = {(r.document_id, r.text): r.label for r in lineclf.label_starts(lines, gold).collect()}
+    assert got == {rows[0]: "question_start", rows[1]: "question_start", rows[2]: "other", rows[3]: "question_start", rows[4]: "other", rows[6]: "other"}
+    labelled = lineclf.label_starts(lines, gold)
+    scored = lineclf.score_starts(labelled, *lineclf.train_nb(labelled, lineclf.start_features))
+    assert all(0 <= r.p <= 1 and r.start == (r.p >= 0.55) for r in scored.collect())
 
 
 def test_tag_matches_keep_the_first_reason(spark):
@@ -177,6 +256,6 @@ def test_short_numbers_of_entries_stay(spark):
     kept = corpus.keep_entry_numbers(classified)
     assert kept.columns == classified.columns and kept.count() == len(rows)
     assert {(r.page_number, r.text) for r in kept.where("reason IS NOT NULL").collect()} == {(1, "12"), (1, "33"), (2, "44")}
-    cleaned = corpus.clean_pages(kept.where("reason IS NULL").drop("reason"))
+    cleaned = corpus.clean_pages(classified)
     assert [r.text for r in cleaned.where("page_number = 1").orderBy("line_no").collect()] == ["借：银行存款", "500", "说明文字", "7", "贷：收入", "页脚"]
     assert {r.reason: r.n for r in corpus.reason_counts(kept).where("document_id = 'd'").collect()} == {"page_number": 3}
