@@ -21,13 +21,16 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
 
 
-def nfkc(c: Column) -> Column:
-    """NFKC, but circled numbers stay as they are (Spark has no such function)."""
+def nfkc(c: Column, circled: bool = False) -> Column:
+    """NFKC (Spark has no such function); circled numbers stay as they are unless asked for."""
+    keep = {} if circled else _KEEP
 
     def one(t: str | None) -> str | None:
         if t is None or t.isascii():
             return t
-        return "".join(x if ord(x) in _KEEP else unicodedata.normalize("NFKC", x) for x in t) if any(ord(x) in _KEEP for x in t) else unicodedata.normalize("NFKC", t)
+        if any(ord(x) in keep for x in t):
+            return "".join(x if ord(x) in keep else unicodedata.normalize("NFKC", x) for x in t)
+        return unicodedata.normalize("NFKC", t)
 
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(one)
@@ -42,6 +45,12 @@ def normalize_text(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
+def source_text(c: Column) -> Column:
+    """A text with \\n line ends, single blanks, at most one blank line, and nothing around it."""
+    c = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\x{FEFF}", ""), r"\r\n?", "\n"), r"[ \t]+", " ")
+    return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+
+
 def markdown_to_text(c: Column) -> Column:
     """Text without code blocks, images, link targets, table bars, and the marks that lines begin with."""
     c = F.regexp_replace(c, r"(?s)```.*?```", "")

@@ -5,40 +5,81 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions import fields as N
+from ..functions.text import source_text, strip
 
-#: Schema of a prediction (sections, questions, subquestions).
-PREDICTION = """sections array<struct<title string, section_type string, questions array<struct<question_no string, node_role string, question_type string, group_stem string,
-    stem_text string, answer_text string, subquestions array<struct<question_no string, stem_text string, answer_text string>>>>>>"""
-#: Words that stand for a missing value, and for true and false (fixed values).
-MISSING = ("无", "暂无", "略", "null", "none", "n/a", "-")
-TRUE_WORDS, FALSE_WORDS = ("对", "正确", "√", "t", "true"), ("错", "错误", "×", "f", "false")
+_SUB = "question_no string, question_type string, stem_text string, options array<string>, answer_text string, analysis_text string, source_raw_text string"
+#: Schema of a prediction (sections, questions, subquestions); analyses that are lists or maps arrive as JSON text.
+PREDICTION = f"""sections array<struct<title string, section_title string, section_type string, shared_stem string, sort_order int, section_no int, question_count int, questions array<struct<{_SUB}, node_role string,
+    group_stem string, shared_stem string, material_text string, subquestions array<struct<{_SUB}>>>>>>"""
+#: Types where none is given, and the name of a section without one (fixed values).
+MIXED, GROUP_TYPE, SECTION_NAME = "mixed", "material_analysis", "分区 "
 
 
 def _empty(c: Column) -> Column:
     return F.coalesce(F.trim(c), F.lit("")) == ""
 
 
+def _first(*cs: Column) -> Column:
+    """The first that is not blank, else an empty text."""
+    return F.coalesce(*(F.when(~_empty(c), c) for c in cs), F.lit(""))
+
+
+def _text(c: Column) -> Column:
+    return source_text(F.coalesce(c, F.lit("")))
+
+
+def _body(q: Column) -> list[Column]:
+    """Number, type, options and answer of a question or subquestion; its analysis is flattened later."""
+    options = F.filter(F.transform(F.coalesce(q["options"], F.array().cast("array<string>")), _text), lambda o: o != "")
+    return [F.trim(F.coalesce(q["question_no"], F.lit(""))).alias("question_no"), options.alias("options"), _text(q["answer_text"]).alias("answer_text"), q["analysis_text"].alias("analysis_text"), _text(q["source_raw_text"]).alias("raw")]
+
+
 def normalize_prediction(docs: DataFrame) -> DataFrame:
-    """(paper_id, sections) of JSON predictions: default titles, inherited group stems, inferred roles; questions without any stem are dropped."""
+    """(paper_id, sections, question_count) of JSON predictions (paper_id, prediction).
+
+    Sections without a list of questions are left out; titles, types and orders get defaults.  A question's shared stem is
+    its own or its section's; it is a group if it says so or has subquestions.  A group's stem is its own, the shared one
+    or its material, and its subquestions inherit shared stem and material.  What has no stem is dropped, and counts are
+    made anew: a group counts its subquestions.
+    """
     parsed = docs.select("paper_id", F.from_json("prediction", PREDICTION).alias("p"))
-    return parsed.select("paper_id", F.filter(F.transform(F.coalesce("p.sections", F.array()), lambda s, i: F.struct(
-        F.when(_empty(s["title"]), F.concat(F.lit("section "), (i + 1).cast("string"))).otherwise(F.trim(s["title"])).alias("title"),
-        F.filter(F.transform(F.coalesce(s["questions"], F.array()), lambda q: F.struct(
-            q["question_no"].alias("question_no"),
-            F.when(F.size(F.coalesce(q["subquestions"], F.array())) > 0, "group").otherwise("standalone").alias("node_role"),
-            F.when(_empty(q["stem_text"]), q["group_stem"]).otherwise(q["stem_text"]).alias("stem_text"), q["answer_text"].alias("answer_text"),
-            F.filter(F.coalesce(q["subquestions"], F.array()), lambda c: ~_empty(c["stem_text"])).alias("subquestions"))), lambda q: ~_empty(q["stem_text"])).alias("questions"))), lambda s: F.size(s["questions"]) > 0).alias("sections"))
+    subs = lambda q: F.coalesce(q["subquestions"], F.array().cast(f"array<struct<{_SUB}>>"))
+
+    def question(q: Column, section: Column) -> Column:
+        shared, material = _text(_first(q["group_stem"], q["shared_stem"], section["shared_stem"])), _text(q["material_text"])
+        role = F.when(~_empty(q["node_role"]), F.trim(q["node_role"])).otherwise(F.when(F.size(subs(q)) > 0, "group").otherwise("standalone"))
+        group = role == "group"
+        children = F.filter(F.transform(subs(q), lambda c: F.struct(*_body(c), _first(c["question_type"], F.lit(MIXED)).alias("question_type"), _text(c["stem_text"]).alias("stem_text"))), lambda c: c["stem_text"] != "")
+        own = _text(q["stem_text"])
+        return F.struct(
+            *_body(q), F.when(group, "group").otherwise("standalone").alias("node_role"), _first(q["question_type"], F.when(group, GROUP_TYPE).otherwise(MIXED)).alias("question_type"), shared.alias("group_stem"), material.alias("material_text"),
+            F.when(group, _first(own, shared, material)).otherwise(own).alias("stem_text"), F.when(group, children).otherwise(F.filter(children, lambda c: F.lit(False))).alias("subquestions"),
+        )
+
+    def section(s: Column, i: Column) -> Column:
+        questions = F.filter(F.transform(s["questions"], lambda q: question(q, s)), lambda q: q["stem_text"] != "")
+        title = _first(F.trim(s["title"]), F.trim(s["section_title"]), F.concat(F.lit(SECTION_NAME), (i + 1).cast("string")))
+        return F.struct(
+            title.alias("title"), F.trim(_first(s["section_type"], F.lit(MIXED))).alias("section_type"), F.coalesce(F.nullif(s["sort_order"], F.lit(0)), F.nullif(s["section_no"], F.lit(0)), i + 1).alias("sort_order"),
+            _text(s["shared_stem"]).alias("shared_stem"), F.coalesce(s["question_count"], F.size(questions)).alias("question_count"), questions.alias("questions"),
+        )
+
+    made = F.filter(F.transform(F.coalesce("p.sections", F.array()), section), lambda s: s["questions"].isNotNull())
+    leaves = lambda q: F.when(q["node_role"] == "group", F.size(q["subquestions"])).otherwise(1)
+    total = F.aggregate(F.flatten(F.transform("sections", lambda s: s["questions"])), F.lit(0), lambda n, q: n + leaves(q))
+    return parsed.select("paper_id", made.alias("sections")).withColumn("question_count", F.coalesce(total, F.lit(0)).cast("long"))
 
 
 def flatten_questions(docs: DataFrame) -> DataFrame:
-    """(paper_id, section, question_no, parent_no, node_role, stem, sort_order): parents, each followed by its children; children inherit the group's stem."""
-    rows = docs.select("paper_id", F.posexplode("sections").alias("s", "section")).select("paper_id", "s", F.col("section.title").alias("section"), F.posexplode("section.questions").alias("q", "question"))
-    parents = rows.select("paper_id", "s", "section", "q", F.lit(-1).alias("c"), "question.question_no", F.lit(None).cast("string").alias("parent_no"), "question.node_role", F.col("question.stem_text").alias("stem"), F.lit(None).cast("string").alias("material"))
-    children = rows.select("paper_id", "s", "section", "q", F.col("question.question_no").alias("parent_no"), F.col("question.stem_text").alias("material"), F.posexplode("question.subquestions").alias("c", "sub"))
-    children = children.select("paper_id", "s", "section", "q", "c", "sub.question_no", "parent_no", F.lit("child").alias("node_role"), F.col("sub.stem_text").alias("stem"), "material")
-    order = F.row_number().over(Window.partitionBy("paper_id").orderBy("s", "q", "c"))
-    return parents.unionByName(children).withColumn("sort_order", order.cast("long")).drop("s", "q", "c")
+    """(paper_id, section, question_no, parent_no, node_role, stem, material, sort_order): parents in order of sections, each followed by its children; children inherit the group's stem."""
+    rows = docs.select("paper_id", F.posexplode("sections").alias("s", "section")).select("paper_id", "section.sort_order", "s", F.col("section.title").alias("section"), F.posexplode("section.questions").alias("q", "question"))
+    keys = ["paper_id", "sort_order", "s", "section", "q"]
+    parents = rows.select(*keys, F.lit(-1).alias("c"), "question.question_no", F.lit(None).cast("string").alias("parent_no"), "question.node_role", F.col("question.stem_text").alias("stem"), F.lit(None).cast("string").alias("material"))
+    children = rows.select(*keys, F.col("question.question_no").alias("parent_no"), F.col("question.stem_text").alias("material"), F.posexplode("question.subquestions").alias("c", "sub"))
+    children = children.select(*keys, "c", "sub.question_no", "parent_no", F.lit("subquestion").alias("node_role"), F.col("sub.stem_text").alias("stem"), "material")
+    order = F.row_number().over(Window.partitionBy("paper_id").orderBy("sort_order", "s", "q", "c"))
+    return parents.unionByName(children).withColumn("place", order.cast("long")).drop("s", "q", "c", "sort_order").withColumnRenamed("place", "sort_order")
 
 
 def number_sections(questions: DataFrame) -> DataFrame:
@@ -50,29 +91,43 @@ def number_sections(questions: DataFrame) -> DataFrame:
 
 
 def review_fingerprint(paper: Column, section: Column, number: Column, raw: Column) -> tuple[Column, Column]:
-    """SHA-1 of section, number and the first 2000 characters of the bare text, and the question's uid."""
-    bare = F.lower(F.regexp_replace(F.coalesce(raw, F.lit("")), r"[\s\x{00A0}\x{3000}]+", ""))
-    digest = F.sha1(F.encode(F.concat_ws("|", F.coalesce(section, F.lit("")), F.coalesce(number, F.lit("")), F.substring(bare, 1, 2000)), "UTF-8"))
+    """SHA-1 of section (0: none), number and the first 2000 characters of the text in lower case with single blanks, and the question's uid."""
+    digest = F.sha1(F.encode(F.concat_ws("|", F.coalesce(section.cast("string"), F.lit("0")), F.trim(F.coalesce(number, F.lit(""))), F.substring(N.match_text(raw), 1, 2000)), "UTF-8"))
     return digest, F.concat(F.lit("PRQ"), paper.cast("string"), F.lit("-"), F.substring(digest, 1, 24))
 
 
-def compose_raw(number: Column, stem: Column, options: Column, answer: Column, analysis: Column) -> Column:
-    """Text of a question from its parts."""
-    parts = F.array(F.when(~_empty(stem), F.concat_ws(". ", number, stem)), F.array_join(options, "\n"), F.when(~_empty(answer), F.concat(F.lit("答案："), answer)), F.when(~_empty(analysis), F.concat(F.lit("解析："), analysis)))
-    return F.array_join(F.filter(parts, lambda p: p.isNotNull() & (p != "")), "\n")
+def compose_raw(number: Column, stem: Column, options: Column, answer: Column, analysis: Column, role: Column | None = None, group_stem: Column | None = None, material: Column | None = None) -> Column:
+    """Text of a question from its parts: a group's shared stem and material first, its own stem without a number; then options, answer and analysis."""
+    none = F.lit(None).cast("string")
+    group = F.lit(False) if role is None else F.coalesce(role == "group", F.lit(False))
+    lines = F.filter(F.transform(F.coalesce(options, F.array().cast("array<string>")), lambda o: F.trim(o)), lambda o: o != "")
+    parts = F.array(
+        F.when(group, none if group_stem is None else group_stem), F.when(group, none if material is None else material), F.when(~_empty(stem), F.when(group, stem).otherwise(F.concat(number, F.lit(". "), stem))),
+        F.array_join(lines, "\n"), F.when(~_empty(answer), F.concat(F.lit("答案："), F.trim(answer))), F.when(~_empty(analysis), F.concat(F.lit("解析："), analysis)),
+    )
+    return strip(F.array_join(F.filter(parts, lambda p: p.isNotNull() & (p != "")), "\n"))
+
+
+#: States of parsing that a change of fields ends (fixed values).
+OPEN_STATES = ("pending", "parsed", "needs_review", "manual_updated")
 
 
 def normalize_fields(questions: DataFrame) -> DataFrame:
-    """Adds ``new_stem``, ``new_answer`` and ``changed``: stems lose their number, answers become letters, true or false, or null where they stand for nothing."""
-    stem = strip(F.regexp_replace("stem_text", r"^\s*[0-9]{1,3}\s*[.、．]\s*", ""))
-    bare = F.lower(strip(F.col("answer_text")))
-    letters = F.array_join(F.array_distinct(F.regexp_extract_all(F.upper("answer_text"), F.lit("[A-H]"), 0)), "")
-    answer = (
-        F.when(bare.isNull() | (bare == "") | bare.isin(*MISSING), None).when(bare.isin(*TRUE_WORDS), "true").when(bare.isin(*FALSE_WORDS), "false")
-        .when(F.upper("answer_text").rlike(r"^[\sA-H,，、;；]+$"), letters).otherwise(strip(F.col("answer_text")))
-    )
-    rows = questions.withColumn("new_stem", stem).withColumn("new_answer", answer)
-    return rows.withColumn("changed", ~(F.col("new_stem").eqNullSafe(F.col("stem_text")) & F.col("new_answer").eqNullSafe(F.col("answer_text"))))
+    """Questions (question_no, question_type, stem_text, options, answer_text, analysis_text, parse_status) with normalised fields and ``changed``.
+
+    A stem that would become empty stays; a change moves an open parse status on to ``normalized``.
+    """
+    kind = F.col("question_type")
+    stem = N.stem(F.col("stem_text"), F.col("question_no"))
+    new = {
+        "stem_text": F.when(stem != "", stem).otherwise(F.col("stem_text")), "options": N.options(F.col("options"), kind), "answer_text": N.answer(F.col("answer_text"), kind),
+        "analysis_text": N.analysis(F.col("analysis_text")),
+    }
+    rows = questions.withColumns({f"_{c}": x for c, x in new.items()})
+    same = lambda c: F.col(f"_{c}").eqNullSafe(F.coalesce(c, F.array().cast("array<string>")) if c == "options" else F.col(c))
+    rows = rows.withColumn("changed", ~(same("stem_text") & same("options") & same("answer_text") & same("analysis_text")))
+    status = F.when(F.col("changed") & F.col("parse_status").isin(*OPEN_STATES), "normalized").otherwise(F.col("parse_status"))
+    return rows.select(*(F.col(f"_{c}").alias(c) if c in new else status.alias(c) if c == "parse_status" else F.col(c) for c in questions.columns), "changed")
 
 
 def apply_proposals(questions: DataFrame, proposals: DataFrame, fields: list[str]) -> DataFrame:
@@ -95,6 +150,18 @@ def sync_questions(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return rows.select("paper_id", "fingerprint", action.alias("action"), F.coalesce("review_status", F.lit("pending")).alias("review_status"), "stem")
 
 
+def sync_tags(tags: DataFrame, synced: DataFrame) -> DataFrame:
+    """Tags (paper_id, fingerprint, ...) without those of questions that a sync deleted."""
+    return tags.join(synced.where("action = 'deleted'").select("paper_id", "fingerprint"), ["paper_id", "fingerprint"], "left_anti")
+
+
+def synced_papers(synced: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Per paper after a sync: leaf questions that came in (incoming has node_role), and how many were inserted, updated and deleted."""
+    leaves = incoming.groupBy("paper_id", "fingerprint").agg(F.max_by("node_role", "sort_order").alias("role")).where("role <> 'group'").groupBy("paper_id").agg(F.count(F.lit(1)).alias("leaves"))
+    by = synced.groupBy("paper_id").agg(*(F.count_if(F.col("action") == a).alias(a) for a in ("inserted", "updated", "deleted")))
+    return by.join(leaves, "paper_id", "left").na.fill(0, ["leaves"])
+
+
 def roots(questions: DataFrame, depth: int = 20) -> DataFrame:
     """(id, root_id): the topmost ancestor, at most ``depth`` up, so cycles end; children with a missing parent are their own root."""
     parent = questions.select("id", "parent_id")
@@ -113,12 +180,13 @@ def leaf_counts(questions: DataFrame) -> DataFrame:
 
 
 def review_summary(questions: DataFrame) -> DataFrame:
-    """Per paper: root questions by review status (unknown ones are pending), and leaves without a solution."""
-    status = F.when(F.col("status").isin("approved", "rejected", "pending"), F.col("status")).otherwise("pending")
-    root = F.col("parent_id").isNull()
-    leaf = F.col("node_role") != "group"
+    """Per paper: root questions by review status (unknown ones are pending), groups, roots that a model flagged or reviewed, leaves, and those without a solution."""
+    status = F.coalesce(F.trim("status"), F.lit("pending"))
+    root, leaf = F.col("parent_id").isNull(), F.col("node_role") != "group"
+    named = ("approved", "needs_revision", "rejected")
     return questions.groupBy("paper_id").agg(
-        F.count_if(root).alias("roots"), *(F.count_if(root & (status == s)).alias(s) for s in ("approved", "rejected", "pending")),
+        F.count_if(root).alias("roots"), *(F.count_if(root & (status == s)).alias(s) for s in named), F.count_if(root & ~status.isin(*named)).alias("pending"), F.count_if(root & ~leaf).alias("groups"), F.count_if(leaf).alias("leaves"),
+        F.count_if(root & F.col("ai_status").isin("needs_revision", "rejected")).alias("ai_flagged"), F.count_if(root & F.col("ai_reviewed_at").isNotNull()).alias("ai_reviewed"),
         F.count_if(leaf & (_empty(F.col("answer_text")) | _empty(F.col("analysis_text")))).alias("missing_solution"),
     )
 
@@ -140,23 +208,38 @@ def bulk_review(questions: DataFrame, changes: DataFrame, ready: DataFrame) -> D
     return one.select("root_id", "status", (~bad).alias("ok"), F.when(bad, F.col("missing")).alias("reason")).unionByName(missing)
 
 
-def workspace(questions: DataFrame, tags: DataFrame) -> DataFrame:
-    """(id, status, stem_text, children, confirmed, suggested): root questions with their children's ids and stems, and points of the whole group by state, in order."""
-    child = questions.where("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("child_id"), F.col("stem_text").alias("stem"), "status"))).alias("children"))
+#: Texts of a root, and of a child, that a search in the workspace reads.
+ROOT_TEXTS = ("question_no", "section_name", "group_stem", "material_text", "stem_text", "answer_text", "analysis_text")
+CHILD_TEXTS = ("question_no", "stem_text", "answer_text", "analysis_text")
+
+
+def workspace(questions: DataFrame, tags: DataFrame, sections: DataFrame) -> DataFrame:
+    """Root questions with their children (in order of sort_order and id), and the points of the whole group by state, as sorted arrays.
+
+    ``questions`` is (id, paper_id, parent_id, sort_order, status, ai_status, section_id) with the texts above.  A missing
+    section id is filled from ``sections`` (id, paper_id, name) by the trimmed name, the largest id of equal ones.
+    """
+    named = sections.where("trim(coalesce(name, '')) <> ''").groupBy("paper_id", F.trim("name").alias("section_name")).agg(F.max("id").alias("named_id"))
+    rows = questions.withColumn("section_name", F.trim(F.coalesce("section_name", F.lit("")))).join(named, ["paper_id", "section_name"], "left").withColumn("section_id", F.coalesce("section_id", "named_id"))
+    text = lambda names: F.lower(F.concat_ws("\n", *names))
+    each = F.struct("sort_order", F.col("id").alias("child_id"), F.col("stem_text").alias("stem"), "status", "ai_status", "section_id", text(CHILD_TEXTS).alias("search"))
+    child = rows.where("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_list(each)).alias("children"))
     root = questions.select(F.col("id").alias("question_id"), F.coalesce("parent_id", "id").alias("root_id"))
-    points = lambda s: F.array_join(F.array_sort(F.collect_set(F.when(F.col("status") == s, F.col("point_id")))), ",").alias(s)
+    points = lambda s: F.array_sort(F.collect_set(F.when(F.col("status") == s, F.col("point_id")))).alias(s)
     shown = tags.join(root, "question_id").groupBy(F.col("root_id").alias("id")).agg(points("confirmed"), points("suggested"))
-    rows = questions.where("parent_id IS NULL").join(child, "id", "left").join(shown, "id", "left")
-    return rows.select("id", "status", "stem_text", F.coalesce("children", F.array().cast("array<struct<child_id:bigint,stem:string,status:string>>")).alias("children"), "confirmed", "suggested")
-
-
-def filter_workspace(rows: DataFrame, status: str | None = None, child_status: str | None = None, keyword: str | None = None) -> DataFrame:
-    """Rows by review status, by the status of the root or any child (``pending``: none), and by a keyword in any of their texts."""
-    out = rows if status is None else rows.where(F.coalesce("status", F.lit("pending")) == status)
-    if child_status is not None:
-        same = lambda c: F.coalesce(c, F.lit("pending")) == child_status
-        out = out.where(same(F.col("status")) | F.exists("children", lambda c: same(c["status"])))
-    if keyword is not None:
-        has = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(keyword.lower()))
-        out = out.where(has(F.col("stem_text")) | F.exists("children", lambda c: has(c["stem"])))
+    found = rows.where("parent_id IS NULL").withColumn("search", text(ROOT_TEXTS)).join(child, "id", "left").join(shown, "id", "left")
+    return found.select("id", "paper_id", "section_id", "section_name", "status", "ai_status", "stem_text", "search", "children", "confirmed", "suggested")
+
+
+def filter_workspace(rows: DataFrame, status: str | None = None, ai_status: str | None = None, section_id: int | None = None, keyword: str | None = None) -> DataFrame:
+    """Rows by review status, by the model's status of the root or any child (``pending``: none has one), by section, and by a keyword in the texts of root and children."""
+    out = rows if status is None else rows.where(F.col("status") == status)
+    held = F.array_compact(F.concat(F.array("ai_status"), F.coalesce(F.transform("children", lambda c: c["ai_status"]), F.array().cast("array<string>"))))
+    if ai_status is not None:
+        out = out.where(F.size(F.filter(held, lambda s: s != "")) == 0 if ai_status == "pending" else F.array_contains(held, ai_status))
+    if section_id is not None:
+        out = out.where(F.col("section_id") == section_id)
+    if keyword is not None and keyword.strip():
+        word = F.lit(keyword.strip().lower())
+        out = out.where(F.contains("search", word) | F.coalesce(F.exists("children", lambda c: F.contains(c["search"], word)), F.lit(False)))
     return out

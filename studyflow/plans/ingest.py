@@ -101,8 +101,8 @@ def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select("paper_id", F.concat(F.lit('{"sections":['), first, F.lit(","), second, F.lit("]}")).alias("prediction"))
 
 
-_FLAT = f"""{_LINES}, fl AS (SELECT paper_id, 'section 1' AS section, n::VARCHAR AS question_no, NULL::VARCHAR AS parent_no, 'standalone' AS node_role, 'stem ' || n AS stem, NULL::VARCHAR AS material, 0 AS s, n AS o FROM q WHERE n % 2 = 1
-UNION ALL SELECT DISTINCT paper_id, 'reading', 'G', NULL, 'group', 'shared', NULL, 1, -1 FROM q WHERE n % 2 = 0 UNION ALL SELECT paper_id, 'reading', n::VARCHAR, 'G', 'child', 'sub ' || n, 'shared', 1, n FROM q WHERE n % 2 = 0),
+_FLAT = f"""{_LINES}, fl AS (SELECT paper_id, '分区 1' AS section, n::VARCHAR AS question_no, NULL::VARCHAR AS parent_no, 'standalone' AS node_role, 'stem ' || n AS stem, NULL::VARCHAR AS material, 0 AS s, n AS o FROM q WHERE n % 2 = 1
+UNION ALL SELECT DISTINCT paper_id, 'reading', 'G', NULL, 'group', 'shared', NULL, 1, -1 FROM q WHERE n % 2 = 0 UNION ALL SELECT paper_id, 'reading', n::VARCHAR, 'G', 'subquestion', 'sub ' || n, 'shared', 1, n FROM q WHERE n % 2 = 0),
 fo AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY s, o) AS sort_order FROM fl)"""
 
 
@@ -110,6 +110,19 @@ def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.flatten_questions(Q.normalize_prediction(_predictions(spark, sf_dir)))
 
 
+@query("d1_normalize_prediction", f"""WITH {_LINES}, c AS (SELECT paper_id, count(*) FILTER (WHERE n % 2 = 1) AS odd, count(*) FILTER (WHERE n % 2 = 0) AS even FROM q GROUP BY 1),
+r AS (SELECT paper_id, '分区 1' AS title, 'mixed' AS section_type, n::VARCHAR AS question_no, 'standalone' AS node_role, 'mixed' AS question_type, '' AS group_stem, 'stem ' || n AS stem_text, 0 AS children, '' AS answers, 1 AS s FROM q WHERE n % 2 = 1
+  UNION ALL SELECT paper_id, 'reading', 'mixed', 'G', 'group', 'material_analysis', 'shared', 'shared', count(*), string_agg('A', ''), 2 FROM q WHERE n % 2 = 0 GROUP BY 1)
+SELECT r.paper_id, title, section_type, CASE s WHEN 1 THEN odd ELSE 1 END::INT AS section_questions, r.question_no, node_role, question_type, group_stem, stem_text, children::INT AS children, answers, odd + even AS question_count FROM r JOIN c ON c.paper_id = r.paper_id""")
+def d1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = Q.normalize_prediction(_predictions(spark, sf_dir)).select("paper_id", "question_count", F.explode("sections").alias("s"))
+    rows = found.select("paper_id", "question_count", "s.title", "s.section_type", F.col("s.question_count").alias("section_questions"), F.explode("s.questions").alias("q"))
+    return rows.select(
+        "paper_id", "title", "section_type", "section_questions", "q.question_no", "q.node_role", "q.question_type", "q.group_stem", "q.stem_text", F.size("q.subquestions").alias("children"),
+        F.array_join(F.transform("q.subquestions", lambda c: c["answer_text"]), "").alias("answers"), "question_count",
+    )
+
+
 @query("d2_flatten_questions", f"WITH {_FLAT} SELECT paper_id, section, question_no, parent_no, node_role, stem, material, sort_order FROM fo")
 def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(spark, sf_dir)
@@ -121,24 +134,35 @@ def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.number_sections(_flat(spark, sf_dir))
 
 
-@query("d4_fingerprint", f"WITH {_FLAT} SELECT paper_id, sort_order, sha1(concat_ws('|', section, question_no, replace(stem, ' ', ''))) AS fingerprint, 'PRQ' || paper_id || '-' || substr(sha1(concat_ws('|', section, question_no, replace(stem, ' ', ''))), 1, 24) AS uid FROM fo")
+@query("d4_fingerprint", f"WITH {_FLAT} SELECT paper_id, sort_order, sha1(concat_ws('|', section, question_no, stem)) AS fingerprint, 'PRQ' || paper_id || '-' || substr(sha1(concat_ws('|', section, question_no, stem)), 1, 24) AS uid FROM fo")
 def d4(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest, uid = Q.review_fingerprint(F.col("paper_id"), F.col("section"), F.col("question_no"), F.col("stem"))
     return _flat(spark, sf_dir).select("paper_id", "sort_order", digest.alias("fingerprint"), uid.alias("uid"))
 
 
-@query("d5_compose_raw", f"WITH {_FLAT} SELECT paper_id, sort_order, question_no || '. ' || stem || chr(10) || 'A. x' || chr(10) || 'B. y' || chr(10) || '答案：A' AS raw FROM fo")
+@query("d5_compose_raw", f"WITH {_FLAT} SELECT paper_id, sort_order, CASE WHEN node_role = 'group' THEN 'all below' || chr(10) || 'a table' || chr(10) || stem ELSE question_no || '. ' || stem END || chr(10) || 'A. x' || chr(10) || 'B. y' || chr(10) || '答案：A' AS raw FROM fo")
 def d5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = Q.compose_raw(F.col("question_no"), F.col("stem"), F.array(F.lit("A. x"), F.lit("B. y")), F.lit("A"), F.lit(" "))
+    raw = Q.compose_raw(F.col("question_no"), F.col("stem"), F.array(F.lit("A. x"), F.lit(" "), F.lit(" B. y")), F.lit("A "), F.lit(" "), F.col("node_role"), F.lit("all below"), F.lit("a table"))
     return _flat(spark, sf_dir).select("paper_id", "sort_order", raw.alias("raw"))
 
 
-@query("d6_normalize_fields", """WITH r AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 50 || '. ' || p_name ELSE p_name END AS stem_text, CASE p_partkey % 5 WHEN 0 THEN '对' WHEN 1 THEN ' 略 ' WHEN 2 THEN 'a, b a' WHEN 3 THEN '× ' END AS answer_text, p_name FROM part),
-n AS (SELECT *, p_name AS new_stem, CASE id % 5 WHEN 0 THEN 'true' WHEN 2 THEN 'AB' WHEN 3 THEN 'false' END AS new_answer FROM r)
-SELECT id, new_stem, new_answer, NOT (new_stem IS NOT DISTINCT FROM stem_text AND new_answer IS NOT DISTINCT FROM answer_text) AS changed FROM n""")
+_FIELDS = """SELECT p_partkey AS id, CAST(p_partkey % 50 AS {string}) AS question_no, CASE p_partkey % 3 WHEN 0 THEN 'single_choice' WHEN 1 THEN 'judge' ELSE 'short_answer' END AS question_type,
+  CASE p_partkey % 4 WHEN 0 THEN concat(p_partkey % 50, '. ', p_name) WHEN 1 THEN concat('第', p_partkey % 50, '、 ', p_name) WHEN 2 THEN concat(p_name, {nl}, '第3页', {nl}, {nl}, {nl}, '(  )') ELSE p_name END AS stem_text,
+  CASE WHEN p_partkey % 7 > 0 THEN {list}(concat('A. ', p_type), concat('b) ', p_brand), concat('C、 ', upper(p_type)), '无', '扫码公众号') END AS options,
+  CASE p_partkey % 5 WHEN 0 THEN '答案: c, a c' WHEN 1 THEN ' 无 ' WHEN 2 THEN '不正确' WHEN 3 THEN '√' END AS answer_text,
+  CASE p_partkey % 4 WHEN 0 THEN concat('["one","two', {esc}, 'nmore"]') WHEN 1 THEN '{{"要点":"a"}}' WHEN 2 THEN '解析:  b' ELSE 'plain' END AS analysis_text, CASE p_partkey % 2 WHEN 0 THEN 'parsed' ELSE 'approved' END AS parse_status FROM part"""
+
+
+@query("d6_normalize_fields", f"""WITH r AS ({_FIELDS.format(string='VARCHAR', nl='chr(10)', list='list_value', esc='chr(92)')}),
+n AS (SELECT r.*, CASE r.id % 4 WHEN 2 THEN p_name || chr(10) || chr(10) || '（ ）' ELSE p_name END AS s, CASE WHEN r.id % 3 = 1 THEN ['正确', '错误'] WHEN r.id % 7 > 0 THEN [p_type, p_brand] ELSE [] END AS o,
+  CASE r.id % 5 WHEN 0 THEN CASE r.id % 3 WHEN 0 THEN 'CA' ELSE 'c, a c' END WHEN 2 THEN CASE r.id % 3 WHEN 1 THEN '错误' ELSE '不正确' END WHEN 3 THEN CASE r.id % 3 WHEN 1 THEN '正确' ELSE '√' END END AS a,
+  CASE r.id % 4 WHEN 0 THEN '1. one' || chr(10) || '2. two' || chr(10) || '   more' WHEN 1 THEN '要点：a' WHEN 2 THEN 'b' ELSE 'plain' END AS y FROM r JOIN part ON p_partkey = r.id),
+c AS (SELECT *, s <> stem_text OR o <> coalesce(options, []) OR a IS DISTINCT FROM answer_text OR y <> analysis_text AS changed FROM n)
+SELECT id, s AS stem_text, array_to_string(o, '|') AS options, a AS answer_text, y AS analysis_text, CASE WHEN changed AND parse_status = 'parsed' THEN 'normalized' ELSE parse_status END AS parse_status, changed FROM c""")
 def d6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "CASE WHEN p_partkey % 2 = 0 THEN concat(p_partkey % 50, '. ', p_name) ELSE p_name END AS stem_text", "CASE p_partkey % 5 WHEN 0 THEN '对' WHEN 1 THEN ' 略 ' WHEN 2 THEN 'a, b a' WHEN 3 THEN '× ' END AS answer_text")
-    return Q.normalize_fields(rows).select("id", "new_stem", "new_answer", "changed")
+    sql = _FIELDS.format(string="STRING", nl="char(10)", list="array", esc="char(92)").replace("FROM part", "FROM {part}").replace('\'{"要点":"a"}\'', '\'{{"要点":"a"}}\'')
+    found = Q.normalize_fields(spark.sql(sql, part=table(spark, sf_dir, "part")))
+    return found.select("id", "stem_text", F.array_join("options", "|").alias("options"), "answer_text", "analysis_text", "parse_status", "changed")
 
 
 @query("d7_apply_proposals", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 AND p_size > 10 THEN p_type ELSE p_name END AS stem_text, p_partkey % 3 = 0 AND p_size > 10 AS changed FROM part")
@@ -157,6 +181,31 @@ def d8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.sync_questions(old, rows.where("sort_order % 3 > 0"))
 
 
+def _synced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS paper_id", "CAST(l_partkey % 50 AS STRING) AS fingerprint", "l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey AS sort_order", "l_linenumber % 3 AS kind")
+    rows = rows.withColumn("stem", F.lit("s")).withColumn("node_role", F.when(F.col("kind") == 0, "group").otherwise("standalone"))
+    old = rows.where("sort_order % 3 = 0").select("paper_id", "fingerprint", F.lit("approved").alias("review_status")).distinct()
+    new = rows.where("sort_order % 3 > 0")
+    return Q.sync_questions(old, new), new, old.select("paper_id", "fingerprint", F.col("fingerprint").cast("long").alias("point_id"))
+
+
+_SYNC = """r AS (SELECT l_orderkey AS paper_id, (l_partkey % 50)::VARCHAR AS fp, l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey AS so, l_linenumber % 3 AS kind FROM lineitem), e AS (SELECT DISTINCT paper_id, fp FROM r WHERE so % 3 = 0),
+i AS (SELECT paper_id, fp, CASE WHEN max_by(kind, so) = 0 THEN 'group' ELSE 'standalone' END AS role FROM r WHERE so % 3 > 0 GROUP BY 1, 2), p AS (SELECT DISTINCT paper_id FROM i)"""
+
+
+@query("d8_sync_tags", f"WITH {_SYNC} SELECT paper_id, fp AS fingerprint, fp::BIGINT AS point_id FROM e WHERE paper_id NOT IN (SELECT paper_id FROM p) OR EXISTS (SELECT 1 FROM i WHERE i.paper_id = e.paper_id AND i.fp = e.fp)")
+def d8_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    synced, _, tags = _synced(spark, sf_dir)
+    return Q.sync_tags(tags, synced)
+
+
+@query("d8_synced_papers", f"""WITH {_SYNC}, j AS (SELECT coalesce(i.paper_id, e.paper_id) AS paper_id, i.fp AS new, e.fp AS old, role FROM i FULL JOIN (SELECT * FROM e WHERE paper_id IN (SELECT paper_id FROM p)) e ON e.paper_id = i.paper_id AND e.fp = i.fp)
+SELECT paper_id, count(*) FILTER (WHERE old IS NULL) AS inserted, count(*) FILTER (WHERE old IS NOT NULL AND new IS NOT NULL) AS updated, count(*) FILTER (WHERE new IS NULL) AS deleted, count(*) FILTER (WHERE role <> 'group') AS leaves FROM j GROUP BY 1""")
+def d8_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    synced, new, _ = _synced(spark, sf_dir)
+    return Q.synced_papers(synced, new)
+
+
 @query("d9_roots", "SELECT id, coalesce(parent_id, id) AS root_id FROM bank_items")
 def d9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.roots(table(spark, sf_dir, "bank_items"))
@@ -167,15 +216,18 @@ def d9_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.leaf_counts(table(spark, sf_dir, "bank_items"))
 
 
-_REVIEW = "rv AS (SELECT id, subject_id AS paper_id, parent_id, node_role, CASE id % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' WHEN 2 THEN 'odd' END AS status, CASE WHEN id % 5 > 0 THEN 'A' END AS answer_text, CASE WHEN id % 7 > 0 THEN 'x' ELSE ' ' END AS analysis_text, stem_text, CAST(NULL AS VARCHAR) AS material_text FROM bank_items)"
+_REVIEW_COLUMNS = """id, subject_id AS paper_id, parent_id, node_role, CASE id % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' WHEN 2 THEN 'odd' END AS status, CASE WHEN id % 5 > 0 THEN 'A' END AS answer_text, CASE WHEN id % 7 > 0 THEN 'x' ELSE ' ' END AS analysis_text, stem_text, CAST(NULL AS {string}) AS material_text,
+  CASE id % 6 WHEN 0 THEN 'needs_revision' WHEN 1 THEN 'passed' END AS ai_status, CASE WHEN id % 6 < 3 THEN 1 END AS ai_reviewed_at, CAST(id % 90 AS BIGINT) AS sort_order, CASE WHEN id % 3 = 0 THEN id % 5 END AS section_id, concat(' ', question_type) AS section_name, concat('No. ', id) AS question_no, category AS group_stem"""
+_REVIEW = f"rv AS (SELECT {_REVIEW_COLUMNS.format(string='VARCHAR')} FROM bank_items)"
 
 
 def _review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "bank_items").selectExpr("id", "subject_id AS paper_id", "parent_id", "node_role", "CASE id % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' WHEN 2 THEN 'odd' END AS status", "CASE WHEN id % 5 > 0 THEN 'A' END AS answer_text", "CASE WHEN id % 7 > 0 THEN 'x' ELSE ' ' END AS analysis_text", "stem_text", "CAST(NULL AS STRING) AS material_text")
+    return spark.sql(f"SELECT {_REVIEW_COLUMNS.format(string='STRING')} FROM {{items}}", items=table(spark, sf_dir, "bank_items"))
 
 
-@query("d10_review_summary", f"""WITH {_REVIEW} SELECT paper_id, count(*) FILTER (WHERE parent_id IS NULL) AS roots, count(*) FILTER (WHERE parent_id IS NULL AND status = 'approved') AS approved, count(*) FILTER (WHERE parent_id IS NULL AND status = 'rejected') AS rejected,
-  count(*) FILTER (WHERE parent_id IS NULL AND coalesce(status, 'odd') NOT IN ('approved', 'rejected')) AS pending, count(*) FILTER (WHERE node_role <> 'group' AND (answer_text IS NULL OR analysis_text = ' ')) AS missing_solution FROM rv GROUP BY 1""")
+@query("d10_review_summary", f"""WITH {_REVIEW}, z AS (SELECT *, parent_id IS NULL AS r, node_role <> 'group' AS l FROM rv) SELECT paper_id, count(*) FILTER (WHERE r) AS roots, count(*) FILTER (WHERE r AND status = 'approved') AS approved, count(*) FILTER (WHERE r AND status = 'needs_revision') AS needs_revision, count(*) FILTER (WHERE r AND status = 'rejected') AS rejected,
+  count(*) FILTER (WHERE r AND coalesce(status, 'odd') NOT IN ('approved', 'rejected')) AS pending, count(*) FILTER (WHERE r AND NOT l) AS groups, count(*) FILTER (WHERE l) AS leaves, count(*) FILTER (WHERE r AND ai_status = 'needs_revision') AS ai_flagged, count(*) FILTER (WHERE r AND ai_reviewed_at = 1) AS ai_reviewed,
+  count(*) FILTER (WHERE l AND (answer_text IS NULL OR analysis_text = ' ')) AS missing_solution FROM z GROUP BY 1""")
 def d10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.review_summary(_review(spark, sf_dir))
 
@@ -195,21 +247,27 @@ def d14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.bulk_review(rows, changes, B.bank_ready(rows)).select("root_id", "status")
 
 
-_SPACE = f"""{_REVIEW}, ro AS (SELECT id, coalesce(parent_id, id) AS root_id FROM rv), tg AS (SELECT l_partkey AS question_id, l_suppkey % 25 + 1 AS point_id, CASE l_returnflag WHEN 'A' THEN 'confirmed' WHEN 'N' THEN 'suggested' ELSE 'rejected' END AS status FROM lineitem),
+_SPACE = f"""{_REVIEW}, se AS (SELECT DISTINCT subject_id AS paper_id, length(question_type) * 10 + subject_id AS id, question_type AS name FROM bank_items),
+rs AS (SELECT rv.*, coalesce(rv.section_id, (SELECT max(se.id) FROM se WHERE se.paper_id = rv.paper_id AND se.name = trim(rv.section_name))) AS sec, lower(concat_ws(chr(10), question_no, trim(section_name), group_stem, material_text, stem_text, answer_text, analysis_text)) AS search FROM rv),
+ro AS (SELECT id, coalesce(parent_id, id) AS root_id FROM rv), tg AS (SELECT l_partkey AS question_id, l_suppkey % 25 + 1 AS point_id, CASE l_returnflag WHEN 'A' THEN 'confirmed' WHEN 'N' THEN 'suggested' ELSE 'rejected' END AS status FROM lineitem),
 sh AS (SELECT root_id, coalesce(array_to_string(list_sort(list(DISTINCT point_id) FILTER (WHERE tg.status = 'confirmed')), ','), '') AS confirmed, coalesce(array_to_string(list_sort(list(DISTINCT point_id) FILTER (WHERE tg.status = 'suggested')), ','), '') AS suggested FROM tg JOIN ro ON ro.id = tg.question_id GROUP BY 1),
-ch AS (SELECT parent_id, count(*) AS n, bool_or(coalesce(status, 'pending') = 'odd') AS odd, bool_or(contains(lower(stem_text), 'red')) AS red FROM rv WHERE parent_id IS NOT NULL GROUP BY 1)"""
+ch AS (SELECT parent_id, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY sort_order, id) AS ids, bool_or(ai_status = 'passed') AS passed, bool_or(contains(lower(concat_ws(chr(10), question_no, stem_text, answer_text, analysis_text)), 'red')) AS red FROM rv WHERE parent_id IS NOT NULL GROUP BY 1)"""
 
 
 def _workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = table(spark, sf_dir, "lineitem").selectExpr("l_partkey AS question_id", "l_suppkey % 25 + 1 AS point_id", "CASE l_returnflag WHEN 'A' THEN 'confirmed' WHEN 'N' THEN 'suggested' ELSE 'rejected' END AS status")
-    return Q.workspace(_review(spark, sf_dir), tags)
+    sections = table(spark, sf_dir, "bank_items").selectExpr("subject_id AS paper_id", "length(question_type) * 10 + subject_id AS id", "question_type AS name").distinct()
+    return Q.workspace(_review(spark, sf_dir), tags, sections)
 
 
-@query("d11_workspace", f"WITH {_SPACE} SELECT rv.id, status, coalesce(n, 0)::BIGINT AS children, confirmed, suggested FROM rv LEFT JOIN ch ON ch.parent_id = rv.id LEFT JOIN sh ON sh.root_id = rv.id WHERE rv.parent_id IS NULL")
+@query("d11_workspace", f"WITH {_SPACE} SELECT rs.id, status, sec AS section_id, coalesce(ids, '') AS children, confirmed, suggested FROM rs LEFT JOIN ch ON ch.parent_id = rs.id LEFT JOIN sh ON sh.root_id = rs.id WHERE rs.parent_id IS NULL")
 def d11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _workspace(spark, sf_dir).select("id", "status", F.size("children").cast("long").alias("children"), "confirmed", "suggested")
+    ids = F.coalesce(F.array_join(F.transform("children", lambda c: c["child_id"]), ","), F.lit(""))
+    return _workspace(spark, sf_dir).select("id", "status", "section_id", ids.alias("children"), F.array_join("confirmed", ",").alias("confirmed"), F.array_join("suggested", ",").alias("suggested"))
 
 
-@query("d12_filter_workspace", f"WITH {_SPACE} SELECT rv.id FROM rv LEFT JOIN ch ON ch.parent_id = rv.id WHERE rv.parent_id IS NULL AND (status = 'odd' OR odd) AND (contains(lower(stem_text), 'red') OR red)")
+@query("d12_filter_workspace", f"WITH {_SPACE} SELECT 'passed' AS filter, rs.id FROM rs LEFT JOIN ch ON ch.parent_id = rs.id WHERE rs.parent_id IS NULL AND (ai_status = 'passed' OR passed) AND (contains(search, 'red') OR red) UNION ALL SELECT 'section', id FROM rs WHERE parent_id IS NULL AND status = 'odd' AND sec = 1")
 def d12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.filter_workspace(_workspace(spark, sf_dir), child_status="odd", keyword="RED").select("id")
+    rows = _workspace(spark, sf_dir)
+    a, b = Q.filter_workspace(rows, ai_status="passed", keyword=" RED"), Q.filter_workspace(rows, status="odd", section_id=1)
+    return a.select(F.lit("passed").alias("filter"), "id").unionByName(b.select(F.lit("section").alias("filter"), "id"))
