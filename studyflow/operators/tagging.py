@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,52 +39,118 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.concat(even, odd))
 
 
-def match_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
+#: Distinct terms up to which texts are read by one automaton.
+AUTOMATON_TERMS = 20_000
+
+
+def match_terms(texts: DataFrame, terms: DataFrame, most: int = AUTOMATON_TERMS) -> DataFrame:
     """(id, term columns) for every text (id, body) that contains a term.
 
-    A containment join by two-character pieces: each term is known by its rarest piece (by terms that hold it), texts
-    meet it on that piece, and containment is then checked.  No pair of text and term that share no piece is made.
+    Up to ``most`` distinct terms go to the tasks as one automaton, which reads each text once.  More terms meet the texts
+    by two-character pieces: each term is known by the piece that the fewest texts hold, texts meet it on that piece, and
+    containment is then checked.  No pair of text and term that share no piece is made.
     """
+    names = [r.term for r in terms.select("term").distinct().limit(most + 1).collect()]
+    found = _by_automaton(texts, names) if len(names) <= most else _by_pieces(texts, terms)
+    return found.join(terms, "term")
+
+
+def _by_automaton(texts: DataFrame, names: list[str]) -> DataFrame:
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        reader = ahocorasick.Automaton()
+        for name in names:
+            reader.add_word(name, name)
+        reader.make_automaton()
+        for pdf in batches:
+            held = [sorted({x for _, x in reader.iter(t)}) if t and names else [] for t in pdf["low"]]
+            yield pd.DataFrame({"id": pdf["id"].repeat([len(h) for h in held]).to_numpy(), "term": [x for h in held for x in h]})
+
+    return texts.select("id", F.lower("body").alias("low")).mapInPandas(run, f"id {kind}, term string").distinct()
+
+
+def _by_pieces(texts: DataFrame, terms: DataFrame) -> DataFrame:
     pieces = terms.select("term").distinct().select("term", F.explode(_grams(F.col("term"))).alias("gram"))
-    common = pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = pieces.join(common, "gram").groupBy("term").agg(F.min(F.struct("n", "gram")).alias("m")).select("term", F.col("m.gram").alias("gram"))
-    used = rarest.select("gram").distinct()
-    met = texts.select("id", F.explode(_grams(F.lower("body"))).alias("gram")).join(used, "gram", "left_semi").join(rarest, "gram").select("id", "term")
-    held = met.join(texts.select("id", F.lower("body").alias("low")), "id").where(F.contains(F.col("low"), F.col("term")))
-    return held.select("id", "term").distinct().join(terms, "term")
+    used = pieces.select("gram").distinct()
+    held = texts.select("id", F.explode(_grams(F.lower("body"))).alias("gram")).join(used, "gram", "left_semi")
+    common = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # A piece that no text holds rules its terms out.
+    rarest = pieces.join(common, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m")).where("m.n > 0").select("term", F.col("m.gram").alias("gram"))
+    met = held.join(rarest, "gram").select("id", "term")
+    return met.join(texts.select("id", F.lower("body").alias("low")), "id").where(F.contains(F.col("low"), F.col("term"))).select("id", "term").distinct()
 
 
-def match_points(texts: DataFrame, terms: DataFrame) -> DataFrame:
+def match_points(texts: DataFrame, terms: DataFrame, most: int = AUTOMATON_TERMS) -> DataFrame:
     """Best score per text and point; of equal scores the first term's."""
     best = F.max_by(F.struct("score", "term"), F.struct("score", -F.col("ord")))
-    return match_terms(texts, terms).groupBy("id", "point_id").agg(best.alias("b")).select("id", "point_id", F.col("b.score").alias("score"), F.col("b.term").alias("reason"))
+    return match_terms(texts, terms, most).groupBy("id", "point_id").agg(best.alias("b")).select("id", "point_id", F.col("b.score").alias("score"), F.col("b.term").alias("reason"))
 
 
-def suggest_tags(matches: DataFrame, confirmed: DataFrame, k: int = 5) -> DataFrame:
-    """The k best points per text that are not confirmed: (id, point_id, rank_no, relation_type, confidence)."""
-    rest = matches.join(confirmed.select("id", "point_id"), ["id", "point_id"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "point_id"))
+def suggest_tags(matches: DataFrame, confirmed: DataFrame, points: DataFrame, k: int = 5) -> DataFrame:
+    """The k best points per text that are not confirmed, by score, the point's ``sort_order`` and id: (id, point_id, rank_no, relation_type, confidence)."""
+    rest = matches.join(confirmed.select("id", "point_id"), ["id", "point_id"], "left_anti").join(points.select(F.col("id").alias("point_id"), "sort_order"), "point_id")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "sort_order", "point_id"))
     return rest.withColumn("rank_no", rank).where(F.col("rank_no") <= k).select(
         "id", "point_id", "rank_no", F.when(F.col("rank_no") == 1, "primary").otherwise("secondary").alias("relation_type"), F.bround(F.least(F.col("score") / 100, F.lit(1.0)), 2).alias("confidence")
     )
 
 
-def merge_external_tags(tags: DataFrame, incoming: DataFrame, points: DataFrame, k: int = 3) -> DataFrame:
-    """Confirmed tags stay; suggested ones of questions with valid incoming tags are replaced by the first k of these.
+def by_model(source: Column) -> Column:
+    """Whether a tag comes from a model."""
+    return F.startswith(F.lower(F.trim(F.coalesce(source, F.lit("")))), F.lit("ai"))
+
+
+def tag_targets(questions: DataFrame, tags: DataFrame, forced: DataFrame | None = None) -> DataFrame:
+    """(question_id, paper_id, skipped): questions (id, paper_id, parent_id, node_role) that a model is to tag.
 
-    ``incoming`` is (question_id, point_id, ord, confidence); a point must exist, be new to the question and come once.
+    These are all that are no group; those that a model has tagged are skipped.  Where ``forced`` (id) is given, these
+    alone, a group by its children, and none is skipped.
     """
-    confirmed = tags.where("status = 'confirmed'")
-    known = incoming.join(points.select(F.col("id").alias("point_id")), "point_id", "left_semi").join(confirmed.select("question_id", "point_id"), ["question_id", "point_id"], "left_anti")
+    leaves = questions.where("node_role <> 'group'")
+    if forced is not None:
+        ids = forced.select(F.col("id").alias("forced_id")).distinct()
+        leaves = leaves.join(ids, (F.col("id") == F.col("forced_id")), "left_semi").unionByName(leaves.join(ids, F.col("parent_id") == F.col("forced_id"), "left_semi")).distinct()
+        return leaves.select(F.col("id").alias("question_id"), "paper_id", F.lit(False).alias("skipped"))
+    done = tags.where(by_model(F.col("source"))).select(F.col("question_id").alias("id")).distinct().withColumn("skipped", F.lit(True))
+    return leaves.join(done, "id", "left").select(F.col("id").alias("question_id"), "paper_id", F.coalesce("skipped", F.lit(False)).alias("skipped"))
+
+
+def _accepted(incoming: DataFrame, points: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """The first k known points, each once, that came in for a question that is to be tagged."""
+    known = incoming.join(points.select(F.col("id").alias("point_id")), "point_id", "left_semi").join(targets.where("NOT skipped").select("question_id"), "question_id", "left_semi")
     once = known.groupBy("question_id", "point_id").agg(F.min(F.struct("ord", "confidence")).alias("m"))
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy("m.ord", "point_id"))
-    fresh = once.withColumn("rank_no", rank).where(F.col("rank_no") <= k).select(
-        "question_id", "point_id", F.lit("suggested").alias("status"), F.when(F.col("rank_no") == 1, "primary").otherwise("secondary").alias("relation_type"),
-        F.col("rank_no").cast("long").alias("rank_no"), F.least(F.greatest(F.col("m.confidence"), F.lit(0.0)), F.lit(1.0)).alias("confidence"),
+    return once.withColumn("rank_no", rank.cast("long")).where(F.col("rank_no") <= k)
+
+
+def merge_external_tags(tags: DataFrame, incoming: DataFrame, points: DataFrame, targets: DataFrame, k: int = 3) -> DataFrame:
+    """Tags after those of a model, ``incoming`` (question_id, point_id, ord, confidence), came in for :func:`tag_targets`.
+
+    A target with at least one known point keeps its confirmed tags and gets the first k points instead of all others;
+    a point that is confirmed already is left out, but keeps its rank, and only rank 1 is primary.  All other questions
+    keep what they had.
+    """
+    accepted = _accepted(incoming, points, targets, k)
+    confirmed = tags.where("status = 'confirmed'").select("question_id", "point_id").distinct()
+    new = accepted.join(confirmed, ["question_id", "point_id"], "left_anti").select(
+        "question_id", "point_id", F.lit("suggested").alias("status"), F.when(F.col("rank_no") == 1, "primary").otherwise("secondary").alias("relation_type"), F.lit("ai").alias("source"),
+        "rank_no", F.least(F.greatest(F.col("m.confidence"), F.lit(0.0)), F.lit(1.0)).alias("confidence"),
     )
-    old = tags.where("status = 'suggested'").join(fresh.select("question_id").distinct(), "question_id", "left_anti")
-    columns = ["question_id", "point_id", "status", "relation_type", "rank_no", "confidence"]
-    return confirmed.select(columns).unionByName(old.select(columns)).unionByName(fresh.select(columns))
+    touched = accepted.select("question_id", F.lit(True).alias("touched")).distinct()
+    old = tags.join(touched, "question_id", "left").where("touched IS NULL OR status = 'confirmed'")
+    return old.select(*new.columns).unionByName(new)
+
+
+def external_tag_counts(incoming: DataFrame, points: DataFrame, targets: DataFrame, k: int = 3) -> DataFrame:
+    """Per paper: questions asked for, updated, failed (no known point came in) and skipped."""
+    done = _accepted(incoming, points, targets, k).select("question_id", F.lit(True).alias("done")).distinct()
+    asked = ~F.col("skipped")
+    return targets.join(done, "question_id", "left").groupBy("paper_id").agg(
+        F.count_if(asked).alias("requested"), F.count_if(asked & F.col("done").isNotNull()).alias("updated"), F.count_if(asked & F.col("done").isNull()).alias("failed"), F.count_if("skipped").alias("skipped")
+    )
 
 
 def check_tags(tags: DataFrame, points: DataFrame, groups: DataFrame) -> DataFrame:
@@ -102,3 +171,18 @@ def item_points(links: DataFrame, tags: DataFrame) -> DataFrame:
     once = rows.groupBy("bank_question_id", "point_id").agg(F.min(order).alias("o"))
     place = F.row_number().over(Window.partitionBy("bank_question_id").orderBy("o", "point_id"))
     return once.select("bank_question_id", "point_id", place.cast("long").alias("place"))
+
+
+def child_order(number: Column, id_: Column) -> list[Column]:
+    """Children by the first number in theirs, by the whole number (the id where there is none), and by id."""
+    no = F.trim(F.coalesce(number, F.lit("")))
+    return [F.coalesce(F.nullif(F.regexp_extract(no, "[0-9]+", 0), F.lit("")).cast("long"), F.lit(10**9)), F.coalesce(F.nullif(no, F.lit("")), id_.cast("string")), id_]
+
+
+def group_points(shown: DataFrame, items: DataFrame) -> DataFrame:
+    """Points of groups, from those shown for items (:func:`item_points`): the union over a group's children in order, each point once.  ``items`` is (id, parent_id, question_no)."""
+    keys = [c.alias(f"k{n}") for n, c in enumerate(child_order(F.col("question_no"), F.col("id")))]
+    rows = shown.join(items.where("parent_id IS NOT NULL").select(F.col("id").alias("bank_question_id"), "parent_id", F.struct(*keys).alias("child")), "bank_question_id")
+    once = rows.groupBy("parent_id", "point_id").agg(F.min(F.struct("child", "place")).alias("o"))
+    place = F.row_number().over(Window.partitionBy("parent_id").orderBy("o", "point_id"))
+    return once.select(F.col("parent_id").alias("bank_question_id"), "point_id", place.cast("long").alias("place"))

@@ -36,26 +36,44 @@ def e1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matches(spark, sf_dir)
 
 
-@query("e2_suggest_tags", f"""{_E1}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, point_id) AS rank_no FROM x WHERE point_id % 7 <> 0)
+@query("e1_match_points_by_pieces", f"{_E1} SELECT id, point_id, score, reason FROM x")
+def e1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, in the way for more terms than an automaton takes."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    return X.match_points(texts, _terms(spark, sf_dir), most=0)
+
+
+@query("e2_suggest_tags", f"""{_E1}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, point_id % 4, point_id) AS rank_no FROM x WHERE point_id % 7 <> 0)
 SELECT id, point_id, rank_no::INT AS rank_no, CASE WHEN rank_no = 1 THEN 'primary' ELSE 'secondary' END AS relation_type, round_even(least(score::DOUBLE / 100, 1), 2) AS confidence FROM r WHERE rank_no <= 5""")
 def e2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _matches(spark, sf_dir)
-    return X.suggest_tags(found, found.where("point_id % 7 = 0"))
+    points = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), (F.col("item_id") % 4).alias("sort_order"))
+    return X.suggest_tags(found, found.where("point_id % 7 = 0"), points)
+
+
+_E3 = """t AS (SELECT *, CASE WHEN tag_id % 9 = 0 THEN 'AI model' ELSE 'rule' END AS source FROM question_tags), g AS (SELECT DISTINCT question_id, question_id // 10 AS paper_id, EXISTS (SELECT 1 FROM t WHERE t.question_id = q.question_id AND source = 'AI model') AS skipped FROM question_tags q WHERE question_id % 10 <> 7),
+inc AS (SELECT question_id, point_id % 30 + 1 AS point_id, min((rank_no, confidence)) AS m FROM question_tags WHERE status <> 'confirmed' AND question_id % 10 <> 3 GROUP BY 1, 2),
+v AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY m[1], point_id) AS r FROM inc WHERE point_id IN (SELECT id FROM knowledge_points) AND question_id IN (SELECT question_id FROM g WHERE NOT skipped)), n AS (SELECT * FROM v WHERE r <= 3)"""
+_LIVE = "SELECT question_id, point_id, status, relation_type, source, rank_no, confidence"
 
 
-_LIVE = "SELECT question_id, point_id, status, relation_type, rank_no, confidence"
+def _external(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    tags = table(spark, sf_dir, "question_tags").withColumn("source", F.when(F.col("tag_id") % 9 == 0, "AI model").otherwise("rule"))
+    questions = tags.select(F.col("question_id").alias("id"), F.expr("question_id div 10").alias("paper_id"), F.lit(None).cast("long").alias("parent_id"), F.when(F.col("question_id") % 10 == 7, "group").otherwise("standalone").alias("node_role")).distinct()
+    incoming = tags.where("status <> 'confirmed' AND question_id % 10 <> 3").select("question_id", (F.col("point_id") % 30 + 1).alias("point_id"), F.col("rank_no").alias("ord"), "confidence")
+    return tags, incoming, table(spark, sf_dir, "knowledge_points"), X.tag_targets(questions, tags)
 
 
-@query("e3_merge_tags", f"""WITH inc AS (SELECT question_id, point_id % 30 + 1 AS point_id, min(rank_no) AS ord, confidence FROM (SELECT *, row_number() OVER (PARTITION BY question_id, point_id % 30 + 1 ORDER BY rank_no, confidence) AS k
-  FROM question_tags WHERE status <> 'confirmed') WHERE k = 1 GROUP BY question_id, point_id, confidence),
-v AS (SELECT * FROM inc WHERE point_id IN (SELECT id FROM knowledge_points) AND NOT EXISTS (SELECT 1 FROM question_tags t WHERE t.status = 'confirmed' AND t.question_id = inc.question_id AND t.point_id = inc.point_id)),
-n AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY ord, point_id) AS r FROM v)
-{_LIVE} FROM question_tags WHERE status = 'confirmed' UNION ALL {_LIVE} FROM question_tags WHERE status = 'suggested' AND question_id NOT IN (SELECT question_id FROM n)
-UNION ALL SELECT question_id, point_id, 'suggested', CASE WHEN r = 1 THEN 'primary' ELSE 'secondary' END, r, least(greatest(confidence, 0), 1) FROM n WHERE r <= 3""")
+@query("e3_merge_tags", f"""WITH {_E3} {_LIVE} FROM t WHERE status = 'confirmed' OR question_id NOT IN (SELECT question_id FROM n)
+UNION ALL SELECT question_id, point_id, 'suggested', CASE WHEN r = 1 THEN 'primary' ELSE 'secondary' END, 'ai', r, least(greatest(m[2], 0), 1) FROM n WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.status = 'confirmed' AND t.question_id = n.question_id AND t.point_id = n.point_id)""")
 def e3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = table(spark, sf_dir, "question_tags")
-    incoming = tags.where("status <> 'confirmed'").select("question_id", (F.col("point_id") % 30 + 1).alias("point_id"), F.col("rank_no").alias("ord"), "confidence")
-    return X.merge_external_tags(tags, incoming, table(spark, sf_dir, "knowledge_points"))
+    return X.merge_external_tags(*_external(spark, sf_dir))
+
+
+@query("e3_tag_counts", f"""WITH {_E3} SELECT paper_id, count(*) FILTER (WHERE NOT skipped) AS requested, count(*) FILTER (WHERE NOT skipped AND question_id IN (SELECT question_id FROM n)) AS updated,
+  count(*) FILTER (WHERE NOT skipped AND question_id NOT IN (SELECT question_id FROM n)) AS failed, count(*) FILTER (WHERE skipped) AS skipped FROM g GROUP BY 1""")
+def e3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.external_tag_counts(*_external(spark, sf_dir)[1:])
 
 
 @query("e4_check_tags", """WITH live AS (SELECT * FROM question_tags WHERE status <> 'rejected')
@@ -80,3 +98,15 @@ def e5(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT bank_question_id, point_id, row_number() OVER (PARTITION BY bank_question_id ORDER BY o, point_id) AS place FROM o""")
 def e6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.item_points(*tables(spark, sf_dir, "bank_links", "question_tags"))
+
+
+@query("e6_group_points", """WITH r AS (SELECT l.bank_question_id, t.point_id, CASE WHEN t.status = 'confirmed' THEN 0 ELSE 1 END AS s, t.rank_no, t.tag_id FROM bank_links l JOIN question_tags t ON t.question_id = l.source_question_id
+  WHERE l.status = 'active' AND t.status IN ('confirmed', 'suggested')), o AS (SELECT bank_question_id, point_id, min((s, rank_no, tag_id)) AS o FROM r GROUP BY ALL),
+p AS (SELECT bank_question_id, point_id, row_number() OVER (PARTITION BY bank_question_id ORDER BY o, point_id) AS place FROM o),
+c AS (SELECT id, parent_id, CASE WHEN id % 3 > 0 THEN 'No. ' || id % 40 ELSE '' END AS no FROM bank_items WHERE parent_id IS NOT NULL),
+u AS (SELECT parent_id, point_id, min((coalesce(nullif(regexp_extract(no, '[0-9]+'), '')::BIGINT, 1000000000), coalesce(nullif(no, ''), id::VARCHAR), id, place)) AS o FROM p JOIN c ON c.id = p.bank_question_id GROUP BY ALL)
+SELECT parent_id AS bank_question_id, point_id, row_number() OVER (PARTITION BY parent_id ORDER BY o, point_id) AS place FROM u""")
+def e6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links, tags, items = tables(spark, sf_dir, "bank_links", "question_tags", "bank_items")
+    numbered = items.select("id", "parent_id", F.expr("CASE WHEN id % 3 > 0 THEN concat('No. ', id % 40) END").alias("question_no"))
+    return X.group_points(X.item_points(links, tags), numbered)
