@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fields as N
+from .tagging import child_order
+
 
 def blank(c: Column) -> Column:
     return F.coalesce(F.trim(c), F.lit("")) == ""
@@ -26,49 +29,85 @@ def bank_ready(questions: DataFrame) -> DataFrame:
     return rows.select("id", (F.size(missing) == 0).alias("ready"), F.array_join(missing, ",").alias("missing"))
 
 
-def plain_text(c: Column) -> Column:
-    """Lower case without white space, for comparing content."""
-    return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s\x{00A0}\x{3000}]+", ""))
+def _signature(names: list[str], labels: bool) -> Column:
+    """Parts of a question in their form for comparing, joined by a bar; options without their labels and repeats, unless ``labels`` keeps them as they are."""
+    options = F.coalesce("options", F.array().cast("array<string>")) if labels else N.options(F.col("options"))
+    joined = F.array_join(F.transform(options, lambda o: N.match_text(o)), "||")
+    return F.concat_ws("|", *(joined if c == "options" else N.match_text(F.col(c)) for c in names))
 
 
 def bank_fingerprint(items: DataFrame) -> DataFrame:
-    """(id, fingerprint, uid): SHA-1 over a question's role, type, stem and answer, and the signatures of its children in order of number and id."""
-    signature = F.concat_ws("|", "node_role", plain_text(F.col("question_type")), plain_text(F.col("stem_text")), plain_text(F.col("answer_text")))
-    rows = items.withColumn("signature", signature)
-    number = F.coalesce(F.nullif(F.regexp_extract(F.col("question_no"), "([0-9]+)", 1), F.lit("")).cast("long"), F.lit(1 << 40))
-    children = rows.where("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(number.alias("n"), "question_no", F.col("id").alias("c"), "signature"))).alias("kids"))
-    whole = F.concat_ws("||", "signature", F.array_join(F.transform("kids", lambda k: k["signature"]), "||"))
-    made = rows.join(children, "id", "left").select("id", F.sha1(F.encode(whole, "UTF-8")).alias("fingerprint"))
-    return made.withColumn("uid", F.concat(F.lit("QB"), F.substring("fingerprint", 1, 24)))
+    """(id, fingerprint, uid, legacy) of items (id, parent_id, question_no, node_role, question_type, group_stem, material_text, stem_text, options, answer_text).
+
+    SHA-1 over an item's own parts, and those of its children in order; the legacy form leaves options as they are.
+    """
+    own, child = ["node_role", "question_type", "group_stem", "material_text", "stem_text", "options", "answer_text"], ["question_no", "question_type", "stem_text", "options", "answer_text"]
+    rows = items.withColumn("node_role", F.coalesce("node_role", F.lit("standalone")))
+    rows = rows.select("id", "parent_id", "question_no", *(_signature(names, labels).alias(name) for name, names, labels in (("a", own, False), ("b", own, True), ("ca", child, False), ("cb", child, True))))
+    keys = [c.alias(f"k{n}") for n, c in enumerate(child_order(F.col("question_no"), F.col("id")))]
+    kids = rows.where("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(*keys, "ca", "cb"))).alias("kids"))
+    whole = lambda own, child: F.concat_ws("|", F.col(own), F.array_join(F.transform("kids", lambda k: k[child]), "|"))
+    joined = rows.select("id", "a", "b").join(kids, "id", "left")
+    made = joined.select("id", *(F.sha1(F.encode(whole(*c), "UTF-8")).alias(name) for name, c in (("fingerprint", ("a", "ca")), ("legacy", ("b", "cb")))))
+    return made.select("id", "fingerprint", F.concat(F.lit("QB"), F.substring("fingerprint", 1, 24)).alias("uid"), "legacy")
 
 
 def bank_merge(items: DataFrame, links: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items and links after sources (fingerprint, source_type, source_question_id, subject_id, stem_text, ord) came in.
+    """Items and links after sources (fingerprint, legacy, source_type, source_question_id, subject_id, category_id, stem_text, ord) came in.
 
-    An item is known by its fingerprint; the latest source overwrites its text, and fills the subject only where there
-    is none.  A link is unique per (source_type, source_question_id) and moves with it; ``source_count`` counts an
-    item's links afterwards.
+    An item is known by its fingerprint, or else by the legacy one.  The latest source overwrites its text; subject and
+    category are filled only where there is none, by the first source that has one.  A link is unique per (source_type,
+    source_question_id) and moves with it; ``source_count`` counts an item's active links afterwards.
     """
-    latest = incoming.groupBy("fingerprint").agg(F.max_by(F.struct("subject_id", "stem_text"), "ord").alias("n"))
-    merged = items.join(latest, "fingerprint", "full").select("fingerprint", F.coalesce("subject_id", "n.subject_id").alias("subject_id"), F.coalesce("n.stem_text", "stem_text").alias("stem_text"))
-    moved = incoming.groupBy("source_type", "source_question_id").agg(F.max_by("fingerprint", "ord").alias("fingerprint"))
+    known = items.select("fingerprint").distinct()
+    met = incoming.join(known.select("fingerprint", F.lit(True).alias("own")), "fingerprint", "left").join(known.select(F.col("fingerprint").alias("legacy"), F.lit(True).alias("old")), "legacy", "left")
+    met = met.withColumn("fingerprint", F.when(F.col("own").isNull() & F.col("old"), F.col("legacy")).otherwise(F.col("fingerprint")))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(f"new_{c}")
+    latest = met.groupBy("fingerprint").agg(F.max_by("stem_text", "ord").alias("new_stem"), first("subject_id"), first("category_id"))
+    merged = items.join(latest, "fingerprint", "full").select("fingerprint", F.coalesce("subject_id", "new_subject_id").alias("subject_id"), F.coalesce("category_id", "new_category_id").alias("category_id"), F.coalesce("new_stem", "stem_text").alias("stem_text"))
+    moved = met.groupBy("source_type", "source_question_id").agg(F.max_by("fingerprint", "ord").alias("fingerprint")).withColumn("status", F.lit("active"))
     stay = links.join(moved, ["source_type", "source_question_id"], "left_anti")
-    all_links = stay.select("source_type", "source_question_id", "fingerprint").unionByName(moved)
-    counts = all_links.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("source_count"))
+    all_links = stay.select("source_type", "source_question_id", "fingerprint", "status").unionByName(moved)
+    counts = all_links.where("status = 'active'").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("source_count"))
     return merged.join(counts, "fingerprint", "left").na.fill(0, ["source_count"]), all_links
 
 
-def search_bank(items: DataFrame, keyword: str, status: str | None = None, limit: int = 50, after: int | None = None) -> DataFrame:
-    """Roots whose text, or a child's, has the keyword; newest first, a page after the id ``after``."""
-    word = keyword.lower()
-    hit = F.contains(F.lower("stem_text"), F.lit(word)) | F.contains(F.lower("question_type"), F.lit(word))
-    children = items.where(F.col("parent_id").isNotNull() & hit).select(F.col("parent_id").alias("id")).distinct()
+#: Texts of a root, and of a child, that a search reads.
+ROOT_TEXTS, CHILD_TEXTS = ("stem_text", "group_stem", "material_text", "answer_text", "analysis_text"), ("stem_text", "answer_text", "analysis_text")
+
+
+def matching_items(items: DataFrame, keyword: str | None = None, status: str | None = None, subject_id: int | None = None, category_id: int | None = None, question_type: str | None = None) -> DataFrame:
+    """Roots by status, subject, category and type, whose texts, or a child's, hold the keyword (case does not count)."""
     roots = items.where("parent_id IS NULL")
-    if status is not None:
-        roots = roots.where(F.col("status") == status)
-    found = roots.where(hit).select("id").unionByName(roots.join(children, "id", "left_semi").select("id")).distinct()
-    page = found if after is None else found.where(F.col("id") < after)
-    return page.orderBy(F.desc("id")).limit(limit)
+    for name, value in (("status", status), ("subject_id", subject_id), ("category_id", category_id), ("question_type", question_type)):
+        if value is not None and value != "":
+            roots = roots.where(F.col(name) == value)
+    if not keyword:
+        return roots
+
+    def hit(names: tuple[str, ...]) -> Column:
+        out = F.lit(False)
+        for c in names:
+            out = out | F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(keyword.lower()))
+        return out
+
+    children = items.where(F.col("parent_id").isNotNull() & hit(CHILD_TEXTS)).select(F.col("parent_id").alias("id"), F.lit(True).alias("by_child")).distinct()
+    return roots.join(children, "id", "left").where(hit(ROOT_TEXTS) | F.col("by_child")).drop("by_child")
+
+
+def search_bank(items: DataFrame, reviews: DataFrame, limit: int = 100, offset: int = 0, after: tuple | None = None, **filters: object) -> DataFrame:
+    """A page of :func:`matching_items`, latest ``updated_at`` first, then largest id: (id, updated_at, paper_id of its first source, total).
+
+    Deep pages go by ``after``, the (updated_at, id) of the last row of the page before, rather than by offset.
+    ``reviews`` is (source_question_id, paper_id).
+    """
+    found = matching_items(items, **filters)
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    if after is not None:
+        found = found.where((F.col("updated_at") < after[0]) | ((F.col("updated_at") == after[0]) & (F.col("id") < after[1])))
+    page = found.orderBy(F.desc("updated_at"), F.desc("id")).offset(offset).limit(limit).select("id", "updated_at", "first_source_question_id")
+    source = reviews.groupBy(F.col("source_question_id").alias("first_source_question_id")).agg(F.min("paper_id").alias("paper_id"))
+    return page.join(source, "first_source_question_id", "left").join(F.broadcast(total)).select("id", "updated_at", "paper_id", "total")  # total is one row
 
 
 def status_counts(items: DataFrame) -> DataFrame:
@@ -91,45 +130,143 @@ def export_papers(items: DataFrame, links: DataFrame, papers: DataFrame) -> Data
 
 
 def option_labels(options: Column) -> Column:
-    """Options labelled A., B. and so on, without the labels that they had."""
-    bare = F.transform(options, lambda o: F.trim(F.regexp_replace(o, r"^\s*[A-Ha-h][.、．)）]\s*", "")))
-    return F.transform(F.filter(bare, lambda o: o != ""), lambda o, i: F.concat(F.chr(F.lit(65) + i), F.lit(". "), o))
+    """Options in their normal form, labelled A., B. and so on."""
+    return F.transform(N.options(options), lambda o, i: F.concat(F.chr(F.lit(65) + i), F.lit(". "), o))
+
+
+def _kept(*cs: Column) -> Column:
+    """The first text that is not blank, trimmed, else null."""
+    return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in cs))
+
+
+def child_records(items: DataFrame, links: DataFrame, reviews: DataFrame) -> DataFrame:
+    """(parent_id, children) with the children of groups in order, from the bank, else from the review of their oldest source: (no, type, stem, options, answer, analysis)."""
+    oldest = links.groupBy("bank_question_id").agg(F.min_by(F.struct("source_question_id", "question_no"), F.struct("created_at", "source_question_id")).alias("l"))
+    rows = items.where("parent_id IS NOT NULL").join(oldest, F.col("id") == F.col("bank_question_id"), "left").join(reviews, F.col("l.source_question_id") == F.col("source_question_id"), "left")
+    number = _kept(F.col("l.question_no"), F.col("review_no"), F.col("question_uid"))
+    keys = [c.alias(f"k{n}") for n, c in enumerate(child_order(F.col("review_no"), F.col("id")))]
+    rows = rows.select(
+        "parent_id", *keys, number.alias("no"), F.coalesce(_kept(F.col("question_type"), F.col("review_type")), F.lit("mixed")).alias("type"), N.clean(_kept(F.col("stem_text"), F.col("review_stem"))).alias("stem"),
+        option_labels(F.when(F.size("options") > 0, F.col("options")).otherwise(F.col("review_options"))).alias("options"), _kept(F.col("answer_text"), F.col("review_answer")).alias("answer"), _kept(F.col("analysis_text"), F.col("review_analysis")).alias("analysis"),
+    )
+    child = F.struct("k0", "k1", "k2", "no", "type", "stem", "options", "answer", "analysis")
+    return rows.groupBy("parent_id").agg(F.array_sort(F.collect_list(child)).alias("children"))
+
+
+#: Name of a section without one (fixed value).
+NO_SECTION = "未分区"
 
 
-def export_records(links: DataFrame, items: DataFrame, reviews: DataFrame, papers: DataFrame) -> DataFrame:
-    """Records of a paper in order: the bank's value, else the review's; number from the review, else the place."""
-    rows = links.where("status = 'active'").join(items.select(F.col("id").alias("bank_question_id"), "stem_text", "question_type"), "bank_question_id").join(reviews, "source_question_id", "left")
-    rows = rows.join(papers.select(F.col("id").alias("paper_id"), "exam_year"), "paper_id")
-    value = lambda a, b: F.coalesce(F.when(~blank(F.col(a)), F.col(a)), F.col(b))
+def export_records(items: DataFrame, links: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Records of papers' roots in order: the bank's value, else the review's.
+
+    ``items`` has the bank's fields, ``links`` is (bank_question_id, paper_id, source_question_id, question_no, status,
+    created_at), ``reviews`` (source_question_id, review_no, review_type, section_name, sort_order, review_stem,
+    review_group_stem, review_material, review_options, review_answer, review_analysis, source_raw_text).  A group has its
+    children, shared stem and material; another question the shared stem that :func:`split_shared_stem` finds.
+    """
+    roots = items.where("parent_id IS NULL").withColumnRenamed("id", "bank_question_id")
+    rows = links.where("status = 'active'").join(roots.drop("status", "question_no"), "bank_question_id").join(reviews, "source_question_id")
+    rows = rows.join(child_records(items, links, reviews).withColumnRenamed("parent_id", "bank_question_id"), "bank_question_id", "left")
     place = F.row_number().over(Window.partitionBy("paper_id").orderBy("sort_order", "source_question_id", "bank_question_id"))
-    return rows.select("paper_id", "exam_year", place.cast("long").alias("place"), F.coalesce("review_no", place.cast("string")).alias("question_no"), value("stem_text", "review_stem").alias("stem"), "question_type", "bank_question_id")
+    group = F.coalesce(F.col("node_role") == "group", F.lit(False)) | F.col("children").isNotNull()
+    full = N.clean(_kept(F.col("stem_text"), F.col("review_stem")))
+    shared, own = shared_and_own(full, F.col("source_raw_text"), F.col("review_stem"))
+    group_stem = N.clean(_kept(F.col("group_stem"), F.col("review_group_stem"), F.col("stem_text")))
+    options = option_labels(F.when(F.size("options") > 0, F.col("options")).otherwise(F.col("review_options")))
+    none = F.lit(None).cast("string")
+    return rows.select(
+        "paper_id", place.cast("long").alias("place"), "bank_question_id", F.coalesce(_kept(F.col("question_no"), F.col("review_no")), F.col("source_question_id").cast("string")).alias("no"),
+        F.coalesce(_kept(F.col("question_type"), F.col("review_type")), F.when(group, "material_analysis").otherwise("mixed")).alias("type"), F.coalesce(_kept(F.col("section_name")), F.lit(NO_SECTION)).alias("section"), group.alias("is_group"),
+        F.when(group, group_stem).otherwise(shared).alias("shared_stem"), F.when(group, N.clean(_kept(F.col("material_text"), F.col("review_material")))).otherwise("").alias("material"), F.when(group, "").otherwise(own).alias("stem"),
+        F.when(group, F.array().cast("array<string>")).otherwise(options).alias("options"), F.when(group, none).otherwise(_kept(F.col("answer_text"), F.col("review_answer"))).alias("answer"),
+        F.when(group, none).otherwise(_kept(F.col("analysis_text"), F.col("review_analysis"))).alias("analysis"), "children",
+    )
+
+
+#: Beginnings of lines that end a stem (fixed values).
+STEM_ENDS = r"^(答案[:：]|参考答案[:：]|正确答案[:：]|解析[:：]|答案解析[:：]|【解析】|\s*[A-Ha-h]\s*[.、．)]\s*)"
+
+
+def shared_and_own(full: Column, raw: Column, stem: Column) -> tuple[Column, Column]:
+    """The shared and the own part of a clean stem: if it ends with what the source's lines before the first option, answer or analysis say, that is its own, and the rest before is shared."""
+    lines = F.filter(F.split(N.clean(raw), "\n"), lambda x: x != "")
+    stop = F.array_position(F.transform(lines, lambda x: x.rlike(STEM_ENDS)), True)
+    source = F.array_join(F.slice(lines, F.lit(1), F.when(stop > 0, stop - 1).otherwise(F.size(lines)).cast("int")), "\n")
+    own = F.when(source != "", source).otherwise(N.clean(stem))
+    before = F.trim(F.substr(full, F.lit(1), F.greatest(F.length(full) - F.length(own), F.lit(0))))
+    ends = (own != "") & (full != own) & F.endswith(full, own) & (before != "")
+    return F.when(ends, before).otherwise(""), F.when(ends, own).otherwise(full)
 
 
 def split_shared_stem(questions: DataFrame) -> DataFrame:
-    """(id, shared_stem, own_stem): the source's lines before the first answer or option are its own stem; if the full stem ends with it, the rest before is shared."""
-    lines = F.split(F.coalesce("source_raw_text", F.lit("")), "\n")
-    stop = r"^\s*([A-H][.、．)）]|答案|解析|【答案】|【解析】)"
-    own = F.aggregate(lines, F.struct(F.lit(True).alias("go"), F.array().cast("array<string>").alias("kept")), lambda acc, x: F.struct((acc["go"] & ~x.rlike(stop)).alias("go"), F.when(acc["go"] & ~x.rlike(stop), F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept")))
-    text = F.trim(F.regexp_replace(F.array_join(own["kept"], "\n"), r"^\s*[0-9]+[.、．]\s*", ""))
-    rows = questions.select("id", F.trim("stem_text").alias("stem"), text.alias("own"))
-    ends = (F.col("own") != "") & F.endswith("stem", "own") & (F.length("stem") > F.length("own"))
-    shared = F.when(ends, F.trim(F.substr("stem", F.lit(1), F.length("stem") - F.length("own"))))
-    return rows.select("id", shared.alias("shared_stem"), F.when(ends, F.col("own")).otherwise(F.col("stem")).alias("own_stem"))
-
-
-def export_markdown(records: DataFrame, inline: bool = True) -> DataFrame:
-    """One document per paper: a heading where the question type changes, then the numbered questions in order."""
-    order = Window.partitionBy("paper_id").orderBy("place")
-    changed = ~F.col("question_type").eqNullSafe(F.lag("question_type").over(order))
-    head = F.when(changed, F.concat(F.lit("## "), F.coalesce("question_type", F.lit("-")), F.lit("\n\n"))).otherwise(F.lit(""))
-    rows = records.withColumn("md", F.concat(head, F.col("question_no"), F.lit(". "), F.coalesce("stem", F.lit(""))))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "md"))), lambda x: x["md"]), "\n\n")
-    name = F.concat(F.lit("paper-"), F.col("paper_id"), F.lit(".md"))
-    return rows.groupBy("paper_id").agg(F.concat(F.lit("# Paper "), F.col("paper_id"), F.lit("\n\n"), body).alias("markdown")).select("paper_id", name.alias("file"), "markdown")
+    """(id, shared_stem, own_stem) of questions (id, stem_text, source_raw_text); no shared stem is null."""
+    shared, own = shared_and_own(N.clean(F.col("stem_text")), F.col("source_raw_text"), F.col("stem_text"))
+    return questions.select("id", F.nullif(shared, F.lit("")).alias("shared_stem"), own.alias("own_stem"))
+
+
+#: Section names that stand as they are, the names that types give to all others, and the rest's; a value that is missing (fixed values).
+SECTIONS = "单选题 单项选择题 多选题 多项选择题 不定项选择题 判断题 填空题 简答题 问答题 计算题 计算分析题 综合题 案例分析题 材料题 选择题 客观题 主观题 真题 练习题 模拟题".split()
+TYPE_SECTIONS = {
+    "single_choice": "单选题", "multiple_choice": "多选题", "judge": "判断题", "fill_blank": "填空题", "short_answer": "简答题", "calculation": "计算题", "case_analysis": "案例分析题",
+    "material_analysis": "材料题", "composite": "综合题", "mixed": "练习题",
+}
+OTHER_SECTION, ABSENT = "练习题", "暂无"
+
+
+def _lines(*parts: Column | str) -> Column:
+    """Lines, each with its end; null ones are left out."""
+    return F.concat(*(F.coalesce(F.concat(F.lit(p) if isinstance(p, str) else p, F.lit("\n")), F.lit("")) for p in parts))
+
+
+def _heading(no: Column) -> Column:
+    return F.concat(F.lit("第"), no, F.lit("题"))
+
+
+def _solution(title: Column | None, answer: Column, analysis: Column) -> Column:
+    said = lambda name, c: F.concat(F.lit(name), F.coalesce(c, F.lit(ABSENT)))
+    head = F.lit(":::answer-block") if title is None else F.concat(F.lit(":::answer-block "), title)
+    return _lines(head, said("答案：", answer), "", said("解析：", analysis), ":::", "")
+
+
+def _question(q, inline: bool) -> Column:
+    """A question's heading and stem, its options, and inline its solution; ``q`` gives its fields by name."""
+    options = F.when(F.size(q("options")) > 0, _lines(F.array_join(q("options"), "\n"), "")).otherwise("")
+    body = F.concat(_lines(F.trim(F.concat(_heading(q("no")), F.lit(" "), F.trim(q("stem")))), ""), options)
+    return F.concat(body, _solution(None, q("answer"), q("analysis"))) if inline else body
+
+
+def export_markdown(records: DataFrame, papers: DataFrame, mode: str = "inline") -> DataFrame:
+    """(paper_id, file, markdown): a document per paper (paper_id, name), from :func:`export_records`.
+
+    A heading stands where the section changes, shared material once for a run of questions that share it; solutions
+    follow each question (``inline``) or all of them (``appendix``).  A paper's records meet in one row.
+    """
+    inline = mode == "inline"
+    own, order = F.col, Window.partitionBy("paper_id").orderBy("place")
+    named = F.create_map(*(F.lit(x) for kv in TYPE_SECTIONS.items() for x in kv))
+    section = F.when(F.col("section").isin(*SECTIONS), F.col("section")).otherwise(F.coalesce(F.try_element_at(named, F.col("type")), F.lit(OTHER_SECTION)))
+    rows = records.withColumn("head", section)
+    changed = ~F.col("head").eqNullSafe(F.lag("head").over(order))
+    before = F.when(F.lag("is_group").over(order), "").otherwise(F.lag("shared_stem").over(order))
+    once = (F.col("shared_stem") != "") & (F.col("is_group") | changed | ~F.col("shared_stem").eqNullSafe(before))
+    shared = F.when(once, _lines("### 共用材料", "", own("shared_stem"), "")).otherwise("")
+    material = F.when(own("is_group") & (own("material") != ""), _lines("材料：", "", own("material"), "")).otherwise("")
+    kids = F.coalesce("children", F.array().cast(records.schema["children"].dataType))
+    each = lambda f: F.array_join(F.transform(kids, f), "")
+    body = F.when(own("is_group"), each(lambda c: _question(lambda name: c[name], inline))).otherwise(_question(own, inline))
+    late = F.when(own("is_group"), each(lambda c: _solution(_heading(c["no"]), c["answer"], c["analysis"]))).otherwise(_solution(_heading(own("no")), own("answer"), own("analysis")))
+    rows = rows.select("paper_id", "place", F.concat(F.when(changed, _lines(F.concat(F.lit("## "), "head"), "")).otherwise(""), shared, material, body).alias("md"), (F.lit("") if inline else late).alias("late"))
+    joined = rows.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("place", "md", "late"))).alias("r"))
+    part = lambda name: F.array_join(F.transform("r", lambda x: x[name]), "")
+    appendix = F.lit("") if inline else F.concat(_lines("", "## 答案与解析", ""), part("late"))
+    text = F.regexp_replace(F.concat(_lines(F.concat(F.lit("# "), "name"), ""), part("md"), appendix), r"\s+$", "")
+    plain = F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.trim("name"), r'[\\/:*?"<>|]+', "_"), r"^[ .]+|[ .]+$", ""), F.lit("")), F.lit("question-bank-paper"))
+    return joined.join(papers.select("paper_id", "name"), "paper_id").select("paper_id", F.concat(plain, F.lit("-inline.md" if inline else "-appendix.md")).alias("file"), F.concat(text, F.lit("\n")).alias("markdown"))
 
 
 def delete_items(items: DataFrame, links: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items and links without the given roots, their children and their links; review rows stay."""
-    gone = items.join(ids, (F.col("id") == ids["gone_id"]) | F.lit(False), "left_semi").select("id")
+    gone = items.join(ids, F.col("id") == ids["gone_id"], "left_semi").select("id")
     gone = gone.unionByName(items.join(ids, F.col("parent_id") == ids["gone_id"], "left_semi").select("id")).distinct()
     return items.join(gone, "id", "left_anti"), links.join(gone.select(F.col("id").alias("bank_question_id")), "bank_question_id", "left_anti")

@@ -9,27 +9,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Codes of reasons for a wrong answer, and days until the next review by streak (fixed values).
-REASONS = ("concept", "careless", "misread", "calculation", "memory", "time")
+#: Codes of reasons for a wrong answer with what to do about each, and days until the next review by streak (fixed values).
+REASONS = {
+    "concept_unclear": "read the definitions and typical examples again, then go on", "memory_unstable": "make short cards of what gets mixed up", "misread_question": "mark the key words before answering",
+    "calculation_error": "write down the key steps", "careless": "slow down", "method_unfamiliar": "repeat questions of this kind",
+}
 REVIEW_DAYS = (0, 1, 3)
 
 
-
 def is_right(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def candidates(items: DataFrame, links: DataFrame, subject_id: int | None = None, question_type: str | None = None, paper_id: int | None = None) -> DataFrame:
-    """Active non-group questions for a session, each once, newest first (or in a paper's order): (id, ord)."""
+def candidates(
+    items: DataFrame, subject_id: int | None = None, category_id: int | None = None, question_type: str | None = None, chapter: DataFrame | None = None, paper: DataFrame | None = None, wrong_book: DataFrame | None = None
+) -> DataFrame:
+    """(id, subject_id, ord) of the active questions that are no group, each once; ``ord`` counts from 1 within a subject, in the order they are taken in.
+
+    By subject, category and type.  ``chapter`` (question_id) keeps those whose first source has a tag of the chapter (see
+    :func:`chapter_questions`).  The order is that of a paper's ``paper`` (bank_question_id, sort_order), or for
+    ``wrong_book``, a user's entries, most wrong answers first, then the latest, then by id; both keep what they have.
+    Otherwise the last updated comes first.
+    """
     chosen = items.where("status = 'active' AND node_role <> 'group'")
-    if subject_id is not None:
-        chosen = chosen.where(F.col("subject_id") == subject_id)
-    if question_type is not None:
-        chosen = chosen.where(F.col("question_type") == question_type)
-    if paper_id is not None:
-        place = links.where((F.col("status") == "active") & (F.col("paper_id") == paper_id)).groupBy(F.col("bank_question_id").alias("id")).agg(F.min("sort_order").alias("ord"))
-        return chosen.join(place, "id").select("id", "ord")
-    return chosen.select("id", (-F.col("id")).alias("ord"))
+    for name, value in (("subject_id", subject_id), ("category_id", category_id), ("question_type", question_type)):
+        if value is not None and value != "":
+            chosen = chosen.where(F.col(name) == value)
+    if chapter is not None:
+        chosen = chosen.join(chapter.select(F.col("question_id").alias("first_source_question_id")).distinct(), "first_source_question_id", "left_semi")
+    if paper is not None:
+        chosen = chosen.join(paper.groupBy(F.col("bank_question_id").alias("id")).agg(F.min("sort_order").alias("place")), "id")
+        order = [F.col("place"), F.col("id")]
+    elif wrong_book is not None:
+        chosen = chosen.join(wrong_book.where(~F.col("mastered")).select(F.col("question_id").alias("id"), "wrong_count", "last_wrong"), "id")
+        order = [F.desc("wrong_count"), F.desc("last_wrong"), F.col("id")]
+    else:
+        order = [F.desc("updated_at"), F.desc("id")]
+    ranked = F.row_number().over(Window.partitionBy("subject_id").orderBy(*order))
+    return chosen.select("id", "subject_id", ranked.cast("long").alias("ord"))
+
+
+def chapter_questions(tags: DataFrame, points: DataFrame, chapter_id: int) -> DataFrame:
+    """(question_id) of source questions with a confirmed or suggested tag of the chapter."""
+    inside = points.where(F.col("chapter_id") == chapter_id).select(F.col("id").alias("point_id"))
+    return tags.where("status IN ('confirmed', 'suggested')").join(inside, "point_id", "left_semi").select("question_id").distinct()
 
 
 def assemble_sessions(cands: DataFrame, requests: DataFrame, seed: int = 1) -> DataFrame:
@@ -66,17 +89,25 @@ def grade(actual: Column, expected: Column, question_type: Column) -> Column:
 
 
 def session_summary(sessions: DataFrame, answers: DataFrame) -> DataFrame:
-    """Per session: items, answered, correct, accuracy (2 dp over all items), seconds, incomplete."""
-    by = answers.groupBy(F.col("session_id").alias("id")).agg(F.count(F.lit(1)).alias("items"), F.count_if("answered").alias("answered"), F.count_if(F.col("answered") & is_right(F.col("is_correct"))).alias("correct"))
-    rows = sessions.join(by, "id", "left").na.fill(0, ["items", "answered", "correct"])
+    """Per session (id, user_id, status, started_at, submitted_at): items, answered, correct, wrong, accuracy (2 dp over all items), seconds, incomplete, can_submit.
+
+    A running session shows no wrong answers; it can be submitted once all its items, one at least, are answered.
+    """
+    right, wrong = is_right(F.col("is_correct")), F.coalesce(~F.col("is_correct"), F.lit(False))
+    by = answers.groupBy(F.col("session_id").alias("id")).agg(F.count(F.lit(1)).alias("items"), F.count_if("answered").alias("answered"), F.count_if(F.col("answered") & right).alias("correct"), F.count_if(F.col("answered") & wrong).alias("wrong"))
+    rows = sessions.join(by, "id", "left").na.fill(0, ["items", "answered", "correct", "wrong"])
     accuracy = F.bround(F.coalesce(F.try_divide(100 * F.col("correct"), F.col("items")), F.lit(0.0)), 2)
     seconds = F.greatest(F.unix_timestamp(F.col("submitted_at").cast("timestamp")) - F.unix_timestamp(F.col("started_at").cast("timestamp")), F.lit(0))
-    return rows.select("id", "user_id", "items", "answered", "correct", accuracy.alias("accuracy"), seconds.cast("long").alias("seconds"), (F.col("answered") < F.col("items")).alias("incomplete"))
+    done = F.coalesce(F.col("status") == "submitted", F.lit(False))
+    return rows.select(
+        "id", "user_id", "items", "answered", "correct", F.when(done, F.col("wrong")).otherwise(0).cast("long").alias("wrong"), accuracy.alias("accuracy"), seconds.cast("long").alias("seconds"),
+        (F.col("items") - F.col("answered")).alias("incomplete"), (~done & (F.col("answered") == F.col("items")) & (F.col("items") > 0)).alias("can_submit"),
+    )
 
 
 def kept_reasons(tags: Column, most: int = 4) -> Column:
-    """Known reason codes, each once, in order, at most four."""
-    return F.slice(F.array_distinct(F.filter(tags, lambda x: x.isin(*REASONS))), 1, most)
+    """Known reason codes, trimmed, each once, in order, at most four."""
+    return F.slice(F.array_distinct(F.filter(F.transform(tags, lambda x: F.trim(x)), lambda x: x.isin(*REASONS))), 1, most)
 
 
 def reason_counts(answers: DataFrame) -> DataFrame:
@@ -150,14 +181,17 @@ def session_top_points(answers: DataFrame, question_points: DataFrame, k: int =
     return counts.withColumn("place", rank.cast("long")).where(F.col("place") <= k)
 
 
-def similar_questions(top: DataFrame, shown: DataFrame, items: DataFrame, used: DataFrame, limit: int = 5) -> DataFrame:
-    """Per session: active questions on its top points that it did not use, newest first, ``limit`` at most."""
-    live = items.where("status = 'active' AND node_role <> 'group'").select(F.col("id").alias("question_id"))
-    by_point = shown.select("point_id", F.col("bank_question_id").alias("question_id")).distinct().join(live, "question_id", "left_semi")
-    # Only the newest questions of a point, as many as a session can use and skip, can be among a session's newest.
-    most = used.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"))
-    ranked = by_point.withColumn("r", F.row_number().over(Window.partitionBy("point_id").orderBy(F.desc("question_id")))).crossJoin(most).where(F.col("r") <= F.col("most") + limit)
-    rows = top.select("session_id", "point_id").join(ranked, "point_id").select("session_id", "question_id").distinct().join(used, ["session_id", "question_id"], "left_anti")
+def similar_questions(top: DataFrame, shown: DataFrame, items: DataFrame, used: DataFrame, sessions: DataFrame, limit: int = 5) -> DataFrame:
+    """Per session (id, subject_id): active questions of its subject (any, if it has none) on its top points that it did not use, newest first, ``limit`` at most."""
+    live = items.where("status = 'active' AND node_role <> 'group'").select(F.col("id").alias("question_id"), "subject_id")
+    by_point = shown.select("point_id", F.col("bank_question_id").alias("question_id")).distinct().join(live, "question_id")
+    # Only the newest questions of a point and subject, as many as a session can use and skip, can be among a session's newest.
+    most = (used.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) + limit
+    newest = lambda *by: by_point.withColumn("r", F.row_number().over(Window.partitionBy("point_id", *by).orderBy(F.desc("question_id")))).where(F.col("r") <= most)
+    asked = top.select("session_id", "point_id").join(sessions.select(F.col("id").alias("session_id"), F.col("subject_id").alias("wanted")), "session_id")
+    own = asked.join(newest("subject_id").withColumnRenamed("subject_id", "wanted"), ["point_id", "wanted"])
+    any_ = asked.where("wanted IS NULL").join(newest(), "point_id")
+    rows = own.select("session_id", "question_id").unionByName(any_.select("session_id", "question_id")).distinct().join(used, ["session_id", "question_id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("question_id")))
     return rows.withColumn("place", rank.cast("long")).where(F.col("place") <= limit)
 
@@ -168,12 +202,14 @@ def retry_wrong(answers: DataFrame, n: int = 10) -> DataFrame:
     return answers.where("answered AND is_correct = false").withColumn("place", rank.cast("long")).where(F.col("place") <= n).select("session_id", "question_id", "place")
 
 
-def review_suggestions(summaries: DataFrame, due: DataFrame, weak: DataFrame) -> DataFrame:
-    """Per session up to four hints: accuracy band, number due, weakest point."""
+def review_suggestions(summaries: DataFrame, reasons: DataFrame, due: DataFrame, weak: DataFrame) -> DataFrame:
+    """Per session up to four hints: accuracy band, what to do about its most frequent reason (:func:`reason_counts`), number due, weakest point."""
     counts = due.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = summaries.join(counts, "user_id", "left").join(weak.where("place = 1").select("user_id", "point_id"), "user_id", "left")
+    top = reasons.where("place = 1").select(F.col("session_id").alias("id"), "reason")
+    rows = summaries.join(top, "id", "left").join(counts, "user_id", "left").join(weak.where("place = 1").select("user_id", "point_id"), "user_id", "left")
     band = F.when(F.col("accuracy") < 60, "rebuild the basics").when(F.col("accuracy") < 80, "review the wrong answers").otherwise("try harder questions")
-    hints = F.array_compact(F.array(band, F.when(F.col("n") > 0, F.concat(F.lit("due: "), F.col("n"))), F.when(F.col("point_id").isNotNull(), F.concat(F.lit("weakest point: "), F.col("point_id")))))
+    todo = F.try_element_at(F.create_map(*(F.lit(x) for kv in REASONS.items() for x in kv)), F.col("reason"))
+    hints = F.array_compact(F.array(band, todo, F.when(F.col("n") > 0, F.concat(F.lit("due: "), F.col("n"))), F.when(F.col("point_id").isNotNull(), F.concat(F.lit("weakest point: "), F.col("point_id")))))
     return rows.select("id", F.posexplode(F.slice(hints, 1, 4)).alias("place", "hint"))
 
 

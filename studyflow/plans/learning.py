@@ -20,7 +20,7 @@ _MASTERY = """ma AS (SELECT a.user_id, q.point_id, count(*) AS answered, count(*
   FROM answers a JOIN question_points q ON q.question_id = a.question_id WHERE answered AND session_id IN (SELECT id FROM sessions WHERE subject_id IS NOT NULL AND status = 'submitted') GROUP BY 1, 2),
 weak AS (SELECT * FROM (SELECT user_id, point_id, score, answered, row_number() OVER (PARTITION BY user_id ORDER BY score, answered DESC, point_id) AS place FROM ma) WHERE place <= 3)"""
 _SUM = """ss AS (SELECT s.id, s.user_id, s.status, count(*) AS items, count(*) FILTER (WHERE answered) AS answered, count(*) FILTER (WHERE answered AND is_correct) AS correct,
-  round_even(100 * count(*) FILTER (WHERE answered AND is_correct)::DOUBLE / count(*), 2) AS accuracy, greatest(floor(epoch(s.submitted_at))::BIGINT - floor(epoch(s.started_at))::BIGINT, 0) AS seconds, count(*) FILTER (WHERE answered) < count(*) AS incomplete
+  round_even(100 * count(*) FILTER (WHERE answered AND is_correct)::DOUBLE / count(*), 2) AS accuracy, greatest(floor(epoch(s.submitted_at))::BIGINT - floor(epoch(s.started_at))::BIGINT, 0) AS seconds, count(*) FILTER (WHERE NOT answered) AS incomplete, CASE WHEN s.status = 'submitted' THEN count(*) FILTER (WHERE answered AND is_correct = false) ELSE 0 END AS wrong, s.status <> 'submitted' AND bool_and(answered) AS can_submit
   FROM sessions s JOIN answers a ON a.session_id = s.id GROUP BY s.id, s.user_id, s.status, s.submitted_at, s.started_at)"""
 _TOP = """sw AS (SELECT *, bool_or(answered AND is_correct = false) OVER (PARTITION BY session_id) AS any_wrong FROM answers),
 tc AS (SELECT session_id, point_id, count(*) AS n FROM sw JOIN question_points q ON q.question_id = sw.question_id WHERE is_correct = false OR NOT coalesce(any_wrong, false) GROUP BY ALL),
@@ -44,18 +44,44 @@ def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.session_summary(sessions, answers).join(sessions.select("id", "status"), "id")
 
 
-@query("h1_candidates", """SELECT id, min(l.sort_order) AS ord FROM bank_items i JOIN bank_links l ON l.bank_question_id = i.id WHERE i.status = 'active' AND node_role <> 'group' AND l.status = 'active' AND l.paper_id = 7 GROUP BY id""")
+_BANK = "bk AS (SELECT *, subject_id % 3 AS category_id, id * 10 + 1 AS first_source_question_id, id % 97 AS updated_at FROM bank_items WHERE status = 'active' AND node_role <> 'group')"
+
+
+def _bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "bank_items").selectExpr("*", "subject_id % 3 AS category_id", "id * 10 + 1 AS first_source_question_id", "id % 97 AS updated_at")
+
+
+@query("h1_candidates", f"WITH {_BANK} SELECT id, subject_id, row_number() OVER (PARTITION BY subject_id ORDER BY updated_at DESC, id DESC) AS ord FROM bk WHERE category_id = 1")
 def h1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.candidates(*tables(spark, sf_dir, "bank_items", "bank_links"), paper_id=7)
+    return X.candidates(_bank(spark, sf_dir), category_id=1)
+
+
+@query("h1_paper", f"WITH {_BANK}, p AS (SELECT bank_question_id, min(sort_order) AS place FROM bank_links WHERE status = 'active' AND paper_id % 10 = 7 GROUP BY 1) SELECT id, subject_id, row_number() OVER (PARTITION BY subject_id ORDER BY place, id) AS ord FROM bk JOIN p ON bank_question_id = id")
+def h1_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = table(spark, sf_dir, "bank_links").where("status = 'active' AND paper_id % 10 = 7")
+    return X.candidates(_bank(spark, sf_dir), paper=links)
+
+
+@query("h1_chapter", f"WITH {_BANK} SELECT id, subject_id, row_number() OVER (PARTITION BY subject_id ORDER BY updated_at DESC, id DESC) AS ord FROM bk WHERE first_source_question_id IN (SELECT question_id FROM question_tags t JOIN knowledge_points k ON k.id = t.point_id WHERE t.status IN ('confirmed', 'suggested') AND k.chapter_id = 2)")
+def h1_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags, points = tables(spark, sf_dir, "question_tags", "knowledge_points")
+    return X.candidates(_bank(spark, sf_dir), chapter=X.chapter_questions(tags, points, 2))
+
+
+@query("h1_wrong_book", f"WITH {_BOOK}, {_BANK}, b AS (SELECT question_id, sum(wrong_count) AS wrong_count, max(last_wrong) AS last_wrong FROM book WHERE streak < 2 GROUP BY 1) SELECT id, subject_id, row_number() OVER (PARTITION BY subject_id ORDER BY wrong_count DESC, last_wrong DESC, id) AS ord FROM bk JOIN b ON question_id = id")
+def h1_wrong_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The book of all users together, as one user's."""
+    book = _book(spark, sf_dir).where(~F.col("mastered")).groupBy("question_id").agg(F.sum("wrong_count").alias("wrong_count"), F.max("last_wrong").alias("last_wrong"), F.lit(False).alias("mastered"))
+    return X.candidates(_bank(spark, sf_dir), wrong_book=book)
 
 
 @query("h2_sessions", """WITH r AS (SELECT DISTINCT user_id AS request_id, user_id % 5 AS subject_id FROM events WHERE event_type = 'signup')
 SELECT request_id, item_no, id AS question_id FROM (SELECT request_id, i.id, row_number() OVER (PARTITION BY request_id ORDER BY md5(request_id || ':' || i.id || ':1'), i.id) AS item_no
 FROM r JOIN bank_items i ON i.subject_id = r.subject_id AND i.status = 'active' AND i.node_role <> 'group') WHERE item_no <= 10""")
 def h2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, links, events = tables(spark, sf_dir, "bank_items", "bank_links", "events")
+    events = table(spark, sf_dir, "events")
     requests = events.where("event_type = 'signup'").select(F.col("user_id").alias("request_id"), (F.col("user_id") % 5).alias("subject_id"), F.lit(10).alias("n")).distinct()
-    return X.assemble_sessions(X.candidates(items, links).join(items.select("id", "subject_id"), "id"), requests)
+    return X.assemble_sessions(X.candidates(_bank(spark, sf_dir)), requests)
 
 
 @query("h3_snapshot", """WITH r AS (SELECT l.bank_question_id, t.point_id, CASE WHEN t.status = 'confirmed' THEN 0 ELSE 1 END AS s, t.rank_no, t.tag_id FROM bank_links l JOIN question_tags t ON t.question_id = l.source_question_id
@@ -78,19 +104,26 @@ def h4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("id"), X.grade(actual, expected, kind).alias("is_correct"))
 
 
-@query("h5_session_summary", f"WITH {_SUM} SELECT id, user_id, items, answered, correct, accuracy, seconds, incomplete FROM ss")
+@query("h5_session_summary", f"WITH {_SUM} SELECT id, user_id, items, answered, correct, wrong, accuracy, seconds, incomplete, can_submit FROM ss")
 def h5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.session_summary(*tables(spark, sf_dir, "sessions", "answers"))
 
 
-@query("h6_reasons", """WITH a AS (SELECT session_id, unnest(CASE id % 4 WHEN 0 THEN ['careless', 'careless', 'noise'] WHEN 1 THEN ['concept', 'time'] WHEN 2 THEN ['noise'] ELSE ['misread', 'concept', 'memory', 'time', 'careless'] END) AS reason, id FROM answers WHERE is_correct = false),
-d AS (SELECT DISTINCT id, session_id, reason FROM a WHERE reason IN ('concept', 'careless', 'misread', 'calculation', 'memory', 'time') AND NOT (id % 4 = 3 AND reason = 'careless')), c AS (SELECT session_id, reason, count(*) AS n FROM d GROUP BY ALL)
-SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, reason) AS place FROM c""")
-def h6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reasons = F.expr("CASE id % 4 WHEN 0 THEN array('careless', 'careless', 'noise') WHEN 1 THEN array('concept', 'time') WHEN 2 THEN array('noise') ELSE array('misread', 'concept', 'memory', 'time', 'careless') END")
+_REASONS = """re0 AS (SELECT session_id, unnest(CASE id % 4 WHEN 0 THEN ['careless', ' careless', 'noise'] WHEN 1 THEN ['concept_unclear', 'method_unfamiliar'] WHEN 2 THEN ['noise'] ELSE ['misread_question', 'concept_unclear', 'memory_unstable', 'calculation_error', 'careless'] END) AS reason, id FROM answers WHERE is_correct = false),
+re1 AS (SELECT DISTINCT id, session_id, trim(reason) AS reason FROM re0 WHERE reason <> 'noise' AND NOT (id % 4 = 3 AND reason = 'careless')), re2 AS (SELECT session_id, reason, count(*) AS n FROM re1 GROUP BY ALL),
+rc AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, reason) AS place FROM re2)"""
+
+
+def _reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reasons = F.expr("CASE id % 4 WHEN 0 THEN array('careless', ' careless', 'noise') WHEN 1 THEN array('concept_unclear', 'method_unfamiliar') WHEN 2 THEN array('noise') ELSE array('misread_question', 'concept_unclear', 'memory_unstable', 'calculation_error', 'careless') END")
     return X.reason_counts(table(spark, sf_dir, "answers").where("is_correct = false").withColumn("reasons", reasons))
 
 
+@query("h6_reasons", f"WITH {_REASONS} SELECT * FROM rc")
+def h6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reasons(spark, sf_dir)
+
+
 @query("h6_mask_solutions", "SELECT a.id, CASE WHEN s.status = 'submitted' OR (a.user_id % 2 = 0 AND answered) THEN 'S' || question_id END AS solution FROM answers a JOIN sessions s ON s.id = a.session_id")
 def h6_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers, sessions = tables(spark, sf_dir, "answers", "sessions")
@@ -132,13 +165,13 @@ def h12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.session_top_points(*tables(spark, sf_dir, "answers", "question_points"))
 
 
-@query("h13_similar_questions", f"""WITH {_TOP}, sh AS (SELECT DISTINCT t.point_id, l.bank_question_id FROM bank_links l JOIN question_tags t ON t.question_id = l.source_question_id JOIN bank_items i ON i.id = l.bank_question_id
+@query("h13_similar_questions", f"""WITH {_TOP}, sh AS (SELECT DISTINCT t.point_id, l.bank_question_id, i.subject_id FROM bank_links l JOIN question_tags t ON t.question_id = l.source_question_id JOIN bank_items i ON i.id = l.bank_question_id
   WHERE l.status = 'active' AND t.status IN ('confirmed', 'suggested') AND i.status = 'active' AND i.node_role <> 'group'),
-r AS (SELECT DISTINCT top.session_id, sh.bank_question_id AS question_id FROM top JOIN sh ON sh.point_id = top.point_id WHERE NOT EXISTS (SELECT 1 FROM answers a WHERE a.session_id = top.session_id AND a.question_id = sh.bank_question_id))
+r AS (SELECT DISTINCT top.session_id, sh.bank_question_id AS question_id FROM top JOIN sh ON sh.point_id = top.point_id JOIN sessions s ON s.id = top.session_id AND (s.subject_id IS NULL OR s.subject_id = sh.subject_id) WHERE NOT EXISTS (SELECT 1 FROM answers a WHERE a.session_id = top.session_id AND a.question_id = sh.bank_question_id))
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY question_id DESC) AS place FROM r) WHERE place <= 5""")
 def h13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers, points, links, tags, items = tables(spark, sf_dir, "answers", "question_points", "bank_links", "question_tags", "bank_items")
-    return X.similar_questions(X.session_top_points(answers, points), tagging.item_points(links, tags), items, answers.select("session_id", "question_id").distinct())
+    answers, points, links, tags, items, sessions = tables(spark, sf_dir, "answers", "question_points", "bank_links", "question_tags", "bank_items", "sessions")
+    return X.similar_questions(X.session_top_points(answers, points), tagging.item_points(links, tags), items, answers.select("session_id", "question_id").distinct(), sessions)
 
 
 @query("h14_retry_wrong", "SELECT session_id, question_id, place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY submitted_at, id) AS place FROM answers WHERE answered AND is_correct = false) WHERE place <= 10")
@@ -146,11 +179,14 @@ def h14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.retry_wrong(table(spark, sf_dir, "answers"))
 
 
-@query("h15_suggestions", f"""WITH {_DUE}, {_MASTERY}, {_SUM}, n AS (SELECT user_id, count(*) AS n FROM due GROUP BY 1), h AS (SELECT ss.id, list_filter([CASE WHEN accuracy < 60 THEN 'rebuild the basics' WHEN accuracy < 80 THEN 'review the wrong answers' ELSE 'try harder questions' END,
-  'due: ' || n.n, 'weakest point: ' || w.point_id], lambda x: x IS NOT NULL) AS hints FROM ss LEFT JOIN n USING (user_id) LEFT JOIN weak w ON w.user_id = ss.user_id AND w.place = 1)
+_TODO = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.REASONS.items())
+
+
+@query("h15_suggestions", f"""WITH {_DUE}, {_MASTERY}, {_SUM}, {_REASONS}, n AS (SELECT user_id, count(*) AS n FROM due GROUP BY 1), h AS (SELECT ss.id, list_filter([CASE WHEN accuracy < 60 THEN 'rebuild the basics' WHEN accuracy < 80 THEN 'review the wrong answers' ELSE 'try harder questions' END,
+  CASE rc.reason {_TODO} END, 'due: ' || n.n, 'weakest point: ' || w.point_id], lambda x: x IS NOT NULL) AS hints FROM ss LEFT JOIN n USING (user_id) LEFT JOIN weak w ON w.user_id = ss.user_id AND w.place = 1 LEFT JOIN rc ON rc.session_id = ss.id AND rc.place = 1)
 SELECT id, (generate_subscripts(hints, 1) - 1)::INT AS place, unnest(hints) AS hint FROM h""")
 def h15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.review_suggestions(_summaries(spark, sf_dir), _due(spark, sf_dir), X.weakest_points(_mastery(spark, sf_dir)))
+    return X.review_suggestions(_summaries(spark, sf_dir), _reasons(spark, sf_dir), _due(spark, sf_dir), X.weakest_points(_mastery(spark, sf_dir)))
 
 
 @query("h16_recent_sessions", "SELECT id, user_id, status, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id DESC) AS place FROM sessions) WHERE place <= 50")
