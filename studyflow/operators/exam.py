@@ -36,6 +36,14 @@ def year_axis(base: DataFrame, low: int | None = None, high: int | None = None)
     return ends.select(F.explode(F.sequence(F.least(a, b), F.greatest(a, b))).alias("exam_year"), (F.greatest(a, b) + 1).alias("prediction_year"))
 
 
+def analysis_cells(base: DataFrame) -> DataFrame:
+    """Rows ``n`` by point, year and paper: the one aggregate of the base that distributions and the year axis start from.
+
+    It is persisted, since all of them read it; it has a row for a paper and point.
+    """
+    return base.groupBy("point_id", "point_name", "chapter_id", "path", "exam_year", "paper_id").agg(F.count(F.lit(1)).alias("n")).persist()
+
+
 def yearly_overview(base: DataFrame, years: DataFrame) -> DataFrame:
     """Distinct papers, questions and tagged questions per year; years without any are zero."""
     tagged = F.when(F.col("point_id").isNotNull(), F.col("source_question_id"))
@@ -44,19 +52,25 @@ def yearly_overview(base: DataFrame, years: DataFrame) -> DataFrame:
     return years.select("exam_year").join(counts, "exam_year", "left").select("exam_year", zero("papers"), zero("questions"), zero("tagged"))
 
 
-def distribution(base: DataFrame, years: DataFrame, key: Column, name: Column) -> DataFrame:
-    """Per key: total rows, distinct papers, share of all, and the dense yearly series as an array in order of years."""
-    rows = base.where(key.isNotNull()).select(key.alias("key"), name.alias("name"), "exam_year", "paper_id")
-    totals = rows.groupBy("key").agg(F.count(F.lit(1)).alias("total"), F.count_distinct("paper_id").alias("papers"), F.min("name").alias("name"))
-    cells = rows.where("exam_year IS NOT NULL").groupBy("key", "exam_year").agg(F.count(F.lit(1)).alias("n"))
+def with_share(counts: DataFrame, n: str, places: int = 4) -> DataFrame:
+    """Adds ``share``: a row's part of the sum of column ``n``, which joins as one row."""
+    total = counts.agg(F.sum(n).alias("_all"))
+    return counts.join(F.broadcast(total)).withColumn("share", F.bround(F.try_divide(F.col(n), F.col("_all")), places)).drop("_all")
+
+
+def distribution(cells: DataFrame, years: DataFrame, key: Column, name: Column) -> DataFrame:
+    """Per key: total rows, distinct papers, share of all, and the dense yearly series as an array in order of years; from :func:`analysis_cells`."""
+    rows = cells.where(key.isNotNull()).select(key.alias("key"), name.alias("name"), "exam_year", "paper_id", "n")
+    totals = rows.groupBy("key").agg(F.sum("n").alias("total"), F.count_distinct("paper_id").alias("papers"), F.min("name").alias("name"))
+    by_year = rows.where("exam_year IS NOT NULL").groupBy("key", "exam_year").agg(F.sum("n").alias("n"))
     grid = totals.select("key").crossJoin(F.broadcast(years.select("exam_year")))  # keys by years: both are small dimensions
-    series = grid.join(cells, ["key", "exam_year"], "left").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("exam_year", F.coalesce("n", F.lit(0)).alias("n")))).alias("s"))
-    share = F.bround(F.col("total") / F.sum("total").over(Window.partitionBy(F.lit(1))), 4)
-    return totals.join(series, "key", "left").select("key", "name", "total", "papers", share.alias("share"), F.transform("s", lambda x: x["n"]).alias("series"), F.transform("s", lambda x: x["exam_year"]).alias("years"))
+    series = grid.join(by_year, ["key", "exam_year"], "left").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("exam_year", F.coalesce("n", F.lit(0)).alias("n")))).alias("s"))
+    found = with_share(totals, "total").join(series, "key", "left")
+    return found.select("key", "name", "total", "papers", "share", F.transform("s", lambda x: x["n"]).alias("series"), F.transform("s", lambda x: x["exam_year"]).alias("years"))
 
 
-def point_distribution(base: DataFrame, years: DataFrame) -> DataFrame:
-    return distribution(base, years, F.col("point_id"), F.col("point_name"))
+def point_distribution(cells: DataFrame, years: DataFrame) -> DataFrame:
+    return distribution(cells, years, F.col("point_id"), F.col("point_name"))
 
 
 def chapter_key() -> Column:
@@ -65,9 +79,9 @@ def chapter_key() -> Column:
     return F.when(F.size(parts) >= 1, F.array_join(F.slice(parts, 1, 2), "/")).when(F.col("chapter_id").isNotNull(), F.concat(F.lit("chapter-"), F.col("chapter_id"))).otherwise(F.lit("unbound"))
 
 
-def chapter_distribution(base: DataFrame, years: DataFrame) -> DataFrame:
+def chapter_distribution(cells: DataFrame, years: DataFrame) -> DataFrame:
     key = F.when(F.col("point_id").isNotNull(), chapter_key())
-    return distribution(base, years, key, key)
+    return distribution(cells, years, key, key)
 
 
 def series_metrics(series: Column) -> Column:
@@ -94,7 +108,7 @@ def series_metrics(series: Column) -> Column:
 def top_predictions(dist: DataFrame, k: int = 5) -> DataFrame:
     """The k keys with the largest predictions (then total, papers, name), with evidence."""
     rows = dist.withColumn("m", series_metrics(F.col("series"))).select("key", "name", "total", "papers", "share", "m.*")
-    evidence = F.format_string("total %d in %d papers; trend %s", F.col("total"), F.col("papers"), F.col("trend"))
+    evidence = F.format_string("mean of the last years %.2f, last year %d, slope %.2f, examined in %d years", F.col("recent"), F.col("last"), F.col("slope"), F.col("present"))
     return rows.withColumn("evidence", evidence).orderBy(F.desc("prediction"), F.desc("total"), F.desc("papers"), "name").limit(k)
 
 
@@ -109,12 +123,36 @@ def analysis_summary(base: DataFrame, dist: DataFrame, k: int = 5) -> DataFrame:
     return one.select("papers", "items", "questions", "tagged", "points", ratio("tagged", "questions").alias("coverage"), ratio("top", "all").alias("concentration"))
 
 
-def analysis_report(summary: DataFrame, top: DataFrame) -> DataFrame:
-    """Lines of a short report, in order."""
-    first = summary.select(F.lit(1).alias("line"), F.format_string("%d papers, %d questions, %d tagged", "papers", "questions", "tagged").alias("text"))
-    names = top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("prediction")).alias("p"), (-F.col("total")).alias("t"), "name"))), lambda x: x["name"]), ", ").alias("names"))
-    second = names.select(F.lit(2).alias("line"), F.concat(F.lit("expected next: "), "names").alias("text"))
-    return first.unionByName(second)
+def _top_names(dist: DataFrame, k: int, trend: str | None = None) -> DataFrame:
+    """One row: the names of the first k keys by prediction, total, papers and name, of a trend if one is given."""
+    rows = dist.withColumn("m", series_metrics(F.col("series")))
+    rows = rows if trend is None else rows.where(F.col("m.trend") == trend)
+    first = rows.orderBy(F.desc("m.prediction"), F.desc("total"), F.desc("papers"), "name").limit(k)
+    order = F.struct((-F.col("m.prediction")).alias("a"), (-F.col("total")).alias("b"), (-F.col("papers")).alias("c"), "name")
+    return first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["name"]), ", ").alias("names"))
+
+
+def analysis_report(summary: DataFrame, years: DataFrame, points: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(line, part, text) of a report in five parts: overview, points, chapters, forecast and what to keep in mind.
+
+    It says what the sample holds and how much of it is tagged, which points and chapters lead, which points rise and
+    which chapters stay, and what to expect next year.
+    """
+    span = years.agg(F.min("exam_year").alias("low"), F.max("exam_year").alias("high"), F.max("prediction_year").alias("next"))
+    row = summary.join(F.broadcast(span))
+    for name, dist, k, trend in (("p3", points, 3, None), ("c3", chapters, 3, None), ("rise", points, 3, "rising"), ("stay", chapters, 3, "stable"), ("p5", points, 5, None), ("c5", chapters, 5, None)):
+        row = row.join(F.broadcast(_top_names(dist, k, trend).withColumnRenamed("names", name)))  # one row each
+    or_none = lambda c: F.when(F.col(c) != "", F.col(c)).otherwise("none")
+    percent = lambda c: F.bround(F.round(F.col(c) * 100, 6), 0).cast("long")
+    period = F.when(F.col("low").isNull(), "the sample").otherwise(F.format_string("%d-%d", "low", "high"))
+    parts = [
+        ("overview", F.format_string("%d papers with %d questions in %s; %d of them (%d%%) have a primary point.", "papers", "questions", period, "tagged", percent("coverage"))),
+        ("points", F.format_string("The five most frequent points make up %d%%. Leading: %s. Rising: %s.", percent("concentration"), or_none("p3"), or_none("rise"))),
+        ("chapters", F.format_string("Leading chapters: %s. Stable over the years: %s. Chapters count by their points.", or_none("c3"), or_none("stay"))),
+        ("forecast", F.format_string("For %s look first at the points %s and the chapters %s. Weighted from the last year, the mean of three years and the slope; no certainty.", F.coalesce(F.col("next").cast("string"), F.lit("next year")), or_none("p5"), or_none("c5"))),
+        ("caution", F.lit("Only active questions that go back to real papers count; missing tags, years or papers move the figures.")),
+    ]
+    return row.select(F.posexplode(F.array(*(F.struct(F.lit(n).alias("part"), t.alias("text")) for n, t in parts))).alias("line", "x")).select((F.col("line") + 1).alias("line"), "x.part", "x.text")
 
 
 def hot_score(base: DataFrame, years: DataFrame) -> DataFrame:
@@ -130,8 +168,10 @@ def hot_score(base: DataFrame, years: DataFrame) -> DataFrame:
         F.count(F.lit(1)).cast("double").alias("freq"), F.count_distinct("paper_id").cast("double").alias("cover"), (in_last(0, 3) - in_last(3, 6)).alias("growth"),
         (F.count(F.lit(1)) / F.count_distinct("paper_id")).alias("weight"), F.avg("difficulty").alias("hard"), in_last(0, 3).cast("long").alias("last3"), in_last(0, 5).cast("long").alias("last5"),
     )
-    one = Window.partitionBy(F.lit(1))
-    scaled = lambda c: F.coalesce(F.try_divide(F.col(c) - F.min(c).over(one), F.max(c).over(one) - F.min(c).over(one)), F.lit(0.0))
+    names = ("freq", "cover", "growth", "weight", "hard")
+    ends = parts.agg(*(f(c).alias(f"{k}_{c}") for c in names for k, f in (("low", F.min), ("high", F.max))))  # one row
+    parts = parts.join(F.broadcast(ends))
+    scaled = lambda c: F.coalesce(F.try_divide(F.col(c) - F.col(f"low_{c}"), F.col(f"high_{c}") - F.col(f"low_{c}")), F.lit(0.0))
     score = 0.35 * scaled("freq") + 0.25 * scaled("cover") + 0.20 * scaled("growth") + 0.10 * scaled("weight") + 0.10 * scaled("hard")
     return parts.select("point_id", "last3", "last5", F.bround(score, 6).alias("hot"))
 
@@ -143,20 +183,25 @@ def heatmap(base: DataFrame) -> DataFrame:
 
 def mix(base: DataFrame, dim: str) -> DataFrame:
     """Rows per value of a dimension, and their share."""
-    counts = base.groupBy(F.col(dim).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.bround(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 4))
+    return with_share(base.groupBy(F.col(dim).alias("value")).agg(F.count(F.lit(1)).alias("n")), "n")
 
 
-def cooccurrence(tags: DataFrame, base: DataFrame) -> DataFrame:
-    """Pairs of points that occur in the same paper: papers with both, and lift.  Points are a small dimension, so a paper holds few."""
-    rows = base.where("point_id IS NOT NULL").select("paper_id", "point_id").distinct()
-    sets = rows.groupBy("paper_id").agg(F.array_sort(F.collect_set("point_id")).alias("s")).where(F.size("s") > 1)
+def _pairs(rows: DataFrame, unit: str) -> DataFrame:
+    """(a, b, n, lift) of points that share units (unit, point_id), with how many; a unit holds few points, since these are a small dimension."""
+    rows = rows.where("point_id IS NOT NULL").select(unit, "point_id").distinct()
+    sets = rows.groupBy(unit).agg(F.array_sort(F.collect_set("point_id")).alias("s")).where(F.size("s") > 1)
     pairs = F.flatten(F.transform("s", lambda x: F.transform(F.filter("s", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     both = sets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
     single = rows.groupBy("point_id").agg(F.count(F.lit(1)).alias("c"))
-    total = rows.agg(F.count_distinct("paper_id").alias("papers"))
-    joined = both.join(single.select(F.col("point_id").alias("a"), F.col("c").alias("ca")), "a").join(single.select(F.col("point_id").alias("b"), F.col("c").alias("cb")), "b").crossJoin(total)
-    return joined.select("a", "b", "n", F.bround(F.col("n") * F.col("papers") / (F.col("ca") * F.col("cb")), 6).alias("lift"))
+    total = rows.agg(F.count_distinct(unit).alias("units"))
+    joined = both.join(single.select(F.col("point_id").alias("a"), F.col("c").alias("ca")), "a").join(single.select(F.col("point_id").alias("b"), F.col("c").alias("cb")), "b").join(F.broadcast(total))
+    return joined.select("a", "b", "n", F.bround(F.col("n") * F.col("units") / (F.col("ca") * F.col("cb")), 6).alias("lift"))
+
+
+def cooccurrence(tags: DataFrame, base: DataFrame) -> DataFrame:
+    """(unit, a, b, n, lift): pairs of points on the same question (by its confirmed and suggested tags), and in the same paper (by the primary points)."""
+    live = tags.where("status IN ('confirmed', 'suggested')")
+    return _pairs(live, "question_id").select(F.lit("question").alias("unit"), "*").unionByName(_pairs(base, "paper_id").select(F.lit("paper").alias("unit"), "*"))
 
 
 def type_combos(base: DataFrame) -> DataFrame:
@@ -165,8 +210,13 @@ def type_combos(base: DataFrame) -> DataFrame:
     return sets.groupBy("types").agg(F.count(F.lit(1)).alias("papers"))
 
 
-def error_prone(answers: DataFrame, question_points: DataFrame, min_answers: int = 20) -> DataFrame:
-    """Points by share of wrong answers among graded ones, with at least ``min_answers`` of them."""
+def error_prone(answers: DataFrame, question_points: DataFrame, dist: DataFrame, min_answers: int = 20) -> DataFrame:
+    """Points with at least ``min_answers`` graded answers: share of wrong ones, how often exams have the point, and ``priority``, their product.
+
+    A point that no exam has has frequency 0; what is often examined and often wrong has the largest priority.
+    """
     rows = answers.where("answered AND is_correct IS NOT NULL").join(question_points, "question_id")
-    by = rows.groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("is_correct")).alias("wrong"))
-    return by.where(F.col("n") >= min_answers).withColumn("rate", F.bround(F.col("wrong") / F.col("n"), 4))
+    by = rows.groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("is_correct")).alias("wrong")).where(F.col("n") >= min_answers)
+    joined = by.join(dist.select(F.col("key").alias("point_id"), "total"), "point_id", "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    rate = F.col("wrong") / F.col("n")
+    return joined.select("point_id", "n", "wrong", F.bround(rate, 4).alias("rate"), F.col("total").alias("frequency"), F.bround(rate * F.col("total"), 4).alias("priority")).orderBy(F.desc("priority"), F.desc("rate"), "point_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +34,9 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = base(spark, sf_dir)
-    years = X.year_axis(rows)
-    return rows, years, X.point_distribution(rows, years)
+    cells = X.analysis_cells(rows)
+    years = X.year_axis(cells)
+    return rows, years, X.point_distribution(cells, years)
 
 
 @query("g1_analysis_base", f"WITH {_BASE} SELECT bank_question_id, source_question_id, paper_id, exam_year, question_type, difficulty, point_id, point_name, chapter_id, path FROM b")
@@ -68,8 +71,8 @@ def g4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("g5_chapter_distribution", f"WITH {_BASE}, {_CHAPTERS} {_SERIES}")
 def g5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = base(spark, sf_dir)
-    return _exploded(X.chapter_distribution(rows, X.year_axis(rows)))
+    cells = X.analysis_cells(base(spark, sf_dir))
+    return _exploded(X.chapter_distribution(cells, X.year_axis(cells)))
 
 
 @query("g6_series_metrics", f"WITH {_BASE}, {_POINTS}, {_METRICS} SELECT key, last::BIGINT AS last, round(recent, 6) AS recent, round(slope, 6) AS slope, present, round(confidence, 6) AS confidence, prediction, trend FROM m")
@@ -78,7 +81,7 @@ def g6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 6) for c in ("recent", "slope", "confidence")})
 
 
-@query("g7_top_predictions", f"""WITH {_BASE}, {_POINTS}, {_METRICS} SELECT key, name, total, papers, prediction, trend, 'total ' || total || ' in ' || papers || ' papers; trend ' || trend AS evidence
+@query("g7_top_predictions", f"""WITH {_BASE}, {_POINTS}, {_METRICS} SELECT key, name, total, papers, prediction, trend, printf('mean of the last years %.2f, last year %d, slope %.2f, examined in %d years', recent, last::BIGINT, slope, present) AS evidence
   FROM m ORDER BY prediction DESC, total DESC, papers DESC, name LIMIT 5""")
 def g7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.top_predictions(_points(spark, sf_dir)[2]).select("key", "name", "total", "papers", "prediction", "trend", "evidence")
@@ -95,11 +98,36 @@ def g8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.analysis_summary(rows, dist)
 
 
-@query("g9_report", f"""WITH {_BASE}, {_POINTS}, {_METRICS}, {_SUMMARY} SELECT 1::INT AS line, papers || ' papers, ' || questions || ' questions, ' || tagged || ' tagged' AS text FROM s
-  UNION ALL SELECT 2::INT, 'expected next: ' || string_agg(name, ', ' ORDER BY prediction DESC, total DESC, name) FROM (SELECT * FROM m ORDER BY prediction DESC, total DESC, papers DESC, name LIMIT 5)""")
+def _renamed(sql: str, tag: str) -> str:
+    """The CTEs of a distribution and its metrics under names of their own."""
+    out = sql
+    for name in ("r", "t", "c", "d", "m0", "m"):
+        out = re.sub(rf"(?<![\w.']){name}(?= AS \()|(?<=FROM ){name}\b|(?<=\bFROM ){name}(?=[, )])", f"{name}{tag}", out)
+        out = re.sub(rf"(?<![\w.']){name}(?=\.)", f"{name}{tag}", out)
+    return out
+
+
+_CHAPTER_METRICS = _renamed(f"{_CHAPTERS}, {_METRICS}", "_ch")
+
+
+def _names(m: str, k: int, trend: str = "") -> str:
+    where = f"WHERE trend = '{trend}'" if trend else ""
+    return f"coalesce((SELECT string_agg(name, ', ' ORDER BY prediction DESC, total DESC, papers DESC, name) FROM (SELECT * FROM {m} {where} ORDER BY prediction DESC, total DESC, papers DESC, name LIMIT {k})), 'none')"
+
+
+@query("g9_report", f"""WITH {_BASE}, {_POINTS}, {_METRICS}, {_CHAPTER_METRICS}, {_SUMMARY}, q AS (SELECT *, round_even(round(round_even(tagged::DOUBLE / questions, 4) * 100, 6), 0)::BIGINT AS cov,
+  round_even(round(round_even((SELECT sum(total) FROM (SELECT total FROM d ORDER BY total DESC, key LIMIT 5))::DOUBLE / (SELECT sum(total) FROM d), 4) * 100, 6), 0)::BIGINT AS con, (SELECT min(exam_year) FROM y) AS low, (SELECT max(exam_year) FROM y) AS high FROM s)
+SELECT 1::INT AS line, 'overview' AS part, papers || ' papers with ' || questions || ' questions in ' || low || '-' || high || '; ' || tagged || ' of them (' || cov || '%) have a primary point.' AS text FROM q
+UNION ALL SELECT 2::INT, 'points', 'The five most frequent points make up ' || con || '%. Leading: ' || {_names('m', 3)} || '. Rising: ' || {_names('m', 3, 'rising')} || '.' FROM q
+UNION ALL SELECT 3::INT, 'chapters', 'Leading chapters: ' || {_names('m_ch', 3)} || '. Stable over the years: ' || {_names('m_ch', 3, 'stable')} || '. Chapters count by their points.' FROM q
+UNION ALL SELECT 4::INT, 'forecast', 'For ' || (high + 1) || ' look first at the points ' || {_names('m', 5)} || ' and the chapters ' || {_names('m_ch', 5)} || '. Weighted from the last year, the mean of three years and the slope; no certainty.' FROM q
+UNION ALL SELECT 5::INT, 'caution', 'Only active questions that go back to real papers count; missing tags, years or papers move the figures.'""")
 def g9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _, dist = _points(spark, sf_dir)
-    return X.analysis_report(X.analysis_summary(rows, dist), X.top_predictions(dist))
+    rows = base(spark, sf_dir)
+    cells = X.analysis_cells(rows)
+    years = X.year_axis(cells)
+    points = X.point_distribution(cells, years)
+    return X.analysis_report(X.analysis_summary(rows, points), years, points, X.chapter_distribution(cells, years))
 
 
 @query("g10_hot_score", f"""WITH {_BASE}, z AS (SELECT max(exam_year) AS last FROM y),
@@ -124,9 +152,12 @@ def g11_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.mix(base(spark, sf_dir), "question_type")
 
 
-@query("g12_cooccurrence", f"""WITH {_BASE}, r AS (SELECT DISTINCT paper_id, point_id FROM b WHERE point_id IS NOT NULL), s AS (SELECT point_id, count(*) AS c FROM r GROUP BY 1),
-n AS (SELECT x.point_id AS a, z.point_id AS b, count(*) AS n FROM r x JOIN r z ON x.paper_id = z.paper_id AND x.point_id < z.point_id GROUP BY 1, 2)
-SELECT a, n.b, n, round_even(n::DOUBLE * (SELECT count(DISTINCT paper_id) FROM r) / (sa.c * sb.c), 6) AS lift FROM n JOIN s sa ON sa.point_id = a JOIN s sb ON sb.point_id = n.b""")
+def _pair_sql(unit: str, key: str, rows: str) -> str:
+    return f"""SELECT '{unit}' AS unit, n.a, n.b, n.n, round_even(n.n::DOUBLE * (SELECT count(DISTINCT {key}) FROM {rows}) / (sa.c * sb.c), 6) AS lift FROM (SELECT x.point_id AS a, z.point_id AS b, count(*) AS n FROM {rows} x JOIN {rows} z ON x.{key} = z.{key} AND x.point_id < z.point_id GROUP BY 1, 2) n
+  JOIN (SELECT point_id, count(*) AS c FROM {rows} GROUP BY 1) sa ON sa.point_id = n.a JOIN (SELECT point_id, count(*) AS c FROM {rows} GROUP BY 1) sb ON sb.point_id = n.b"""
+
+
+@query("g12_cooccurrence", f"WITH {_BASE}, rp AS (SELECT DISTINCT paper_id, point_id FROM b WHERE point_id IS NOT NULL), rq AS (SELECT DISTINCT question_id, point_id FROM question_tags WHERE status IN ('confirmed', 'suggested')) {_pair_sql('paper', 'paper_id', 'rp')} UNION ALL {_pair_sql('question', 'question_id', 'rq')}")
 def g12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.cooccurrence(table(spark, sf_dir, "question_tags"), base(spark, sf_dir))
 
@@ -136,7 +167,8 @@ def g12_combos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.type_combos(base(spark, sf_dir))
 
 
-@query("g13_error_prone", """SELECT point_id, count(*) AS n, count(*) FILTER (WHERE NOT is_correct) AS wrong, round_even(count(*) FILTER (WHERE NOT is_correct)::DOUBLE / count(*), 4) AS rate
-  FROM answers a JOIN question_points q ON q.question_id = a.question_id WHERE answered AND is_correct IS NOT NULL GROUP BY 1 HAVING count(*) >= 20""")
+@query("g13_error_prone", f"""WITH {_BASE}, e AS (SELECT point_id, count(*) AS n, count(*) FILTER (WHERE NOT is_correct) AS wrong FROM answers a JOIN question_points q ON q.question_id = a.question_id WHERE answered AND is_correct IS NOT NULL GROUP BY 1 HAVING count(*) >= 20),
+f AS (SELECT e.*, (SELECT count(*) FROM b WHERE b.point_id = e.point_id) AS frequency FROM e) SELECT point_id, n, wrong, round_even(wrong::DOUBLE / n, 4) AS rate, frequency, round_even(wrong::DOUBLE / n * frequency, 4) AS priority FROM f""")
 def g13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.error_prone(*tables(spark, sf_dir, "answers", "question_points"))
+    answers, points = tables(spark, sf_dir, "answers", "question_points")
+    return X.error_prone(answers, points, _points(spark, sf_dir)[2])
