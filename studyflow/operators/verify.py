@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,14 +21,22 @@ def extract_claims(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.slice(F.slice(kept, 1, SENTENCES), 1, CLAIMS)).alias("claim_no", "text"))
 
 
-def check_citations(claims: DataFrame, citations: DataFrame, sources: DataFrame) -> DataFrame:
-    """Per document: claims, claims without citation, citations of no source, and whether it passes."""
+def check_citations(claims: DataFrame, citations: DataFrame, sources: DataFrame, strict: bool = True) -> DataFrame:
+    """Per document: claims, claims without citation (if ``strict``), invalid citations, and whether it passes.
+
+    A citation (doc_id, claim_no, label, file_id, chunk_id) is invalid if its label, or a file or chunk that it names, is
+    none of the document's sources (doc_id, label, file_id, chunk_id).
+    """
     cited = citations.select("doc_id", "claim_no").distinct()
-    missing = claims.join(cited, ["doc_id", "claim_no"], "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("missing"))
-    invalid = citations.join(sources.select("doc_id", "label").distinct(), ["doc_id", "label"], "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("invalid"))
+    missing = claims.join(cited, ["doc_id", "claim_no"], "left_anti").where(F.lit(strict)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("missing"))
+    rows = citations
+    for name in ("label", "file_id", "chunk_id"):
+        rows = rows.join(sources.where(F.col(name).isNotNull()).select("doc_id", name).distinct().withColumn(f"{name}_ok", F.lit(True)), ["doc_id", name], "left")
+    ok = F.coalesce("label_ok", F.lit(False)) & (F.col("file_id").isNull() | F.coalesce("file_id_ok", F.lit(False))) & (F.col("chunk_id").isNull() | F.coalesce("chunk_id_ok", F.lit(False)))
+    invalid = rows.where(~ok).groupBy("doc_id").agg(F.count(F.lit(1)).alias("invalid"))
     total = claims.groupBy("doc_id").agg(F.count(F.lit(1)).alias("claims"))
-    rows = total.join(missing, "doc_id", "left").join(invalid, "doc_id", "left").na.fill(0, ["missing", "invalid"])
-    return rows.withColumn("passed", (F.col("missing") == 0) & (F.col("invalid") == 0))
+    found = total.join(missing, "doc_id", "left").join(invalid, "doc_id", "left").na.fill(0, ["missing", "invalid"])
+    return found.withColumn("passed", (F.col("missing") == 0) & (F.col("invalid") == 0))
 
 
 def source_text(sources: DataFrame) -> DataFrame:
@@ -58,48 +68,142 @@ def years_of(c: Column) -> Column:
 
 
 def check_years(docs: DataFrame, sources: DataFrame) -> DataFrame:
-    """Documents whose years are not all among their sources': the missing years, sorted, twenty at most."""
+    """Documents whose years are not all among their sources', where these have any: the missing years, sorted, twenty at most."""
     rows = docs.join(source_text(sources), "doc_id")
     odd = F.array_except(years_of(F.col("text")), years_of(F.col("source")))
-    return rows.where(F.size(odd) > 0).select("doc_id", F.array_join(F.slice(odd, 1, 20), ",").alias("years"))
+    return rows.where((F.size(odd) > 0) & (F.size(years_of(F.col("source"))) > 0)).select("doc_id", F.array_join(F.slice(odd, 1, 20), ",").alias("years"))
+
+
+#: Issues and what to do about each; N stands for a count.
+ISSUES = {
+    "no_sources": ("no documents to check against", "upload documents, or review by model or hybrid"), "no_model": ("no model to review with", "set up a review model"),
+    "citations": ("claims with missing or invalid citations", "cite a source for every claim"), "entailment": ("N claims not supported by the sources", "tone down, or add closer sources"),
+    "years": ("years that the sources do not have", "filter the sources by year and edition"), "numbers": ("N numbers not found in the sources", "check the numbers before use"),
+    "unverified": ("no authoritative sources, so unverified", "upload sources for a strict review"),
+}
+
 
+def review_report(docs: DataFrame, sources: DataFrame, citations: DataFrame, entailed: DataFrame, numbers: DataFrame, years: DataFrame, model: DataFrame | None = None, mode: str = "hybrid", strict_with_sources: bool = True) -> DataFrame:
+    """Per document (doc_id): (doc_id, strict, issues, suggestions, item_ids, passed), lists in order.
 
-def review_report(citations: DataFrame, entailed: DataFrame, numbers: DataFrame, years: DataFrame, mode: str = "hybrid") -> DataFrame:
-    """Per document the issues in order, each with an id, and whether it passes; ``llm_only`` asks for no citations."""
-    strict = mode == "document_only"
-    weak = entailed.groupBy("doc_id").agg(F.count_if(~F.col("entailed")).alias("weak"), F.count(F.lit(1)).alias("n"))
-    rows = citations.join(weak, "doc_id", "left").join(numbers, "doc_id", "left").join(years, "doc_id", "left")
+    Modes are ``llm_only``, ``document_only`` and ``hybrid``; a review is strict where documents count and the document
+    has sources.  Citations, entailment and numbers count if strict, years wherever documents do.  ``model`` (doc_id,
+    issues, suggestions) is what a model found; its issues come before the note that a result is unverified.  Repeated
+    issues and suggestions count once.  An item's id is made of its place and a digest of issue, suggestion and place.
+    """
+    by_documents = mode in ("document_only", "hybrid")
+    weak = entailed.groupBy("doc_id").agg(F.count_if(~F.col("entailed")).alias("weak"))
+    having = sources.select("doc_id").distinct().withColumn("has_sources", F.lit(True))
+    rows = docs.select("doc_id").join(having, "doc_id", "left").join(citations.select("doc_id", "missing", "invalid"), "doc_id", "left").join(weak, "doc_id", "left").join(numbers, "doc_id", "left").join(years, "doc_id", "left")
+    texts = F.array().cast("array<string>")
+    rows = rows.join(model.select("doc_id", F.col("issues").alias("m_issues"), F.col("suggestions").alias("m_suggestions")), "doc_id", "left") if model is not None else rows.withColumns({"m_issues": texts, "m_suggestions": texts})
+    some, strict = F.coalesce("has_sources", F.lit(False)), F.lit(by_documents and strict_with_sources) & F.coalesce("has_sources", F.lit(False))
+    n = lambda c: F.coalesce(c, F.lit(0))
     found = [
-        F.when((F.col("missing") > 0) & F.lit(mode != "llm_only"), F.lit("citation_missing")), F.when(F.col("invalid") > 0, F.lit("citation_invalid")),
-        F.when(F.col("weak") > F.when(F.lit(strict), 0).otherwise(F.col("n") / 2), F.lit("not_entailed")), F.when(F.col("unsupported") > 0, F.lit("number_unsupported")), F.when(F.col("years").isNotNull(), F.lit("year_conflict")),
+        ("no_sources", F.lit(mode == "document_only") & ~some, None), ("no_model", F.lit(mode == "llm_only" and model is None), None), ("citations", strict & (n("missing") + n("invalid") > 0), None),
+        ("entailment", strict & (n("weak") > 0), "weak"), ("years", F.lit(by_documents) & F.col("years").isNotNull(), None), ("numbers", strict & (n("unsupported") > 0), "unsupported"),
     ]
-    issues = F.array_compact(F.array(*found))
-    named = F.transform(issues, lambda x, i: F.concat(F.lit("ri_"), (i + 1).cast("string"), F.lit("_"), F.substring(F.sha1(F.encode(x, "UTF-8")), 1, 10)))
-    return rows.select("doc_id", F.array_join(issues, ",").alias("issues"), F.array_join(named, ",").alias("item_ids"), (F.size(issues) == 0).alias("passed"))
+    last = ("unverified", F.lit(mode == "hybrid") & ~strict & ~some, None)
+
+    def text(kind: str, count: str | None, k: int) -> Column:
+        return F.lit(ISSUES[kind][k]) if count is None or k else F.regexp_replace(F.lit(ISSUES[kind][k]), "^N", F.col(count).cast("string"))
+
+    def listed(k: int, extra: str) -> Column:
+        own = F.array_compact(F.array(*(F.when(cond, text(kind, count, k)) for kind, cond, count in found)))
+        end = F.array_compact(F.array(F.when(last[1], text(last[0], None, k))))
+        return F.array_distinct(F.filter(F.concat(own, F.coalesce(extra, texts), end), lambda x: F.trim(x) != ""))
+
+    rows = rows.select("doc_id", strict.alias("strict"), listed(0, "m_issues").alias("issues"), listed(1, "m_suggestions").alias("suggestions"))
+    digest = lambda x, i: F.sha1(F.encode(F.concat_ws("|", F.trim(x), F.trim(F.coalesce(F.get("suggestions", i), F.lit(""))), i.cast("string")), "UTF-8"))
+    named = F.transform("issues", lambda x, i: F.concat(F.lit("ri_"), (i + 1).cast("string"), F.lit("_"), F.substring(digest(x, i), 1, 10)))
+    return rows.select("doc_id", "strict", "issues", "suggestions", named.alias("item_ids"), (F.size("issues") == 0).alias("passed"))
 
 
-def locate_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
-    """(doc_id, quote_no, start, length): where a quote stands, exactly, or else without white space, marks and case; -1 if nowhere."""
+#: Headings of the body, and of the sections that are not the body (fixed values).
+BODY = r"(?m)^\s{0,3}#{1,6}\s*(?:正文|发布正文)\s*$"
+NOT_BODY = r"(?m)^\s{0,3}#{1,6}\s*(?:笔记标题(?:\s*5\s*个)?备选|标题(?:备选|建议)?|封面文案|轮播图逐页文案|轮播图|标签建议|评论区引导|评论引导)\s*$"
+#: Punctuation that counts as equal in quotes (fixed values).
+FOLDED = dict(zip("“”‘’（）：，；。、＋－—–−＝·", "\"\"''():,;.,+----=.")) | {"…": "..."}
 
-    def fold(text: str) -> tuple[str, list[int]]:
-        kept = [(c.lower(), i) for i, c in enumerate(text) if not c.isspace() and c not in "*_`#>"]
-        return "".join(c[0] for c, _ in kept), [i for _, i in kept]
+
+def body_span(text: str) -> tuple[int, int]:
+    """Where the body of a Markdown text lies: after its heading, up to the next section that is not the body; without that heading, all before the first such section."""
+    head = re.search(BODY, text)
+    start = head.end() if head else 0
+    after = re.compile(NOT_BODY).search(text, start)
+    return start, after.start() if after else len(text)
+
+
+def _folded(text: str) -> tuple[str, list[int]]:
+    """The text without white space and emphasis, punctuation and forms of letters made alike, and where each character came from."""
+    out, at = [], []
+    for i, c in enumerate(text):
+        if not c.isspace() and c not in "*`_":
+            for x in unicodedata.normalize("NFKC", FOLDED.get(c, c)):
+                if not x.isspace():
+                    out.append(x)
+                    at.append(i)
+    return "".join(out), at
+
+
+def quote_spans(text: str, quote: str) -> list[tuple[int, int]]:
+    """(start, length) of a quote: its first place as it is, else all places where it stands when both are folded."""
+    if not text or not quote:
+        return []
+    k = text.find(quote)
+    if k >= 0:
+        return [(k, len(quote))]
+    body, at = _folded(text)
+    bare = _folded(quote)[0]
+    spans: list[tuple[int, int]] = []
+    k = body.find(bare) if bare else -1
+    while k >= 0:
+        span = at[k], at[k + len(bare) - 1] + 1 - at[k]
+        if span not in spans:
+            spans.append(span)
+        k = body.find(bare, k + 1)
+    return spans
+
+
+def locate_quotes(docs: DataFrame, quotes: DataFrame, body_only: bool = False) -> DataFrame:
+    """(doc_id, quote_no, hit, start, length): places of quotes (doc_id, quote_no, quote) in texts (doc_id, text), or in their bodies; a quote that stands nowhere has one row with start -1."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for doc, no, text, quote in zip(pdf["doc_id"], pdf["quote_no"], pdf["text"], pdf["quote"]):
-                start, length = text.find(quote) if quote else -1, len(quote or "")
-                if start < 0 and quote:
-                    body, at = fold(text)
-                    bare = fold(quote)[0]
-                    k = body.find(bare) if bare else -1
-                    start, length = (at[k], at[k + len(bare) - 1] - at[k] + 1) if k >= 0 else (-1, 0)
-                out.append((doc, no, start, length if start >= 0 else 0))
-            yield pd.DataFrame(out, columns=["doc_id", "quote_no", "start", "length"])
+                a, b = body_span(text or "") if body_only else (0, len(text or ""))
+                found = quote_spans((text or "")[a:b], quote or "")
+                out += [(doc, no, k, a + s, n) for k, (s, n) in enumerate(found)] or [(doc, no, 0, -1, 0)]
+            yield pd.DataFrame(out, columns=["doc_id", "quote_no", "hit", "start", "length"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").join(quotes, "doc_id").select("doc_id", "quote_no", "text", "quote").mapInPandas(run, f"doc_id {kind}, quote_no long, hit long, start long, length long")
+
+
+def replace_quotes(docs: DataFrame, quotes: DataFrame, every: bool = False) -> DataFrame:
+    """(doc_id, text, replaced): texts whose quotes (doc_id, quote_no, quote, replacement) are replaced in the body, in order of quote_no; the first place of each, or every."""
+    changes = quotes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("quote_no", "quote", "replacement"))).alias("changes"))
+    rows = docs.select("doc_id", "text").join(changes, "doc_id", "left").select("doc_id", "text", F.col("changes.quote").alias("quotes"), F.col("changes.replacement").alias("replacements"))
+
+    def changed(text: str, quotes: list, replacements: list) -> tuple[str, int]:
+        n = 0
+        for quote, new in zip(quotes, replacements):
+            a, b = body_span(text)
+            body = text[a:b]
+            spans = quote_spans(body, quote or "")
+            for s, length in sorted(spans if every else spans[:1], reverse=True):
+                body, n = body[:s] + (new or "") + body[s + length :], n + 1
+            text = text[:a] + body + text[b:]
+        return text, n
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            done = [changed(t or "", [] if q is None else list(q), [] if r is None else list(r)) for t, q, r in zip(pdf["text"], pdf["quotes"], pdf["replacements"])]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [t for t, _ in done], "replaced": [n for _, n in done]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").join(quotes, "doc_id").select("doc_id", "quote_no", "text", "quote").mapInPandas(run, f"doc_id {kind}, quote_no long, start long, length long")
+    return rows.mapInPandas(run, f"doc_id {kind}, text string, replaced long")
 
 
 def top_k_similar(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 5000) -> DataFrame:
@@ -124,8 +228,50 @@ def top_k_similar(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int
     return out
 
 
+#: Tags of every publication, forms of its titles, the mark of unverified texts, and how many points, tags and titles there are (fixed values).
+COMMON_TAGS = ("备考", "考前冲刺", "小红书学习")
+TITLES = ("{chapter}别再死记硬背：一篇理顺", "{topic}考前速记版，收藏就能背", "{point}，很多人第一遍都会错", "{subject}备考人必看：{chapter}核心笔记", "{topic}一图流复盘，考前快速过一遍")
+NO_POINT, UNVERIFIED, PADDED = "高频考点", "> 未核验", "{title}备考重点 {k}"
+POINTS, TAGS, N_TITLES, POINT_CHARS, SHORT = 8, 8, 5, 8, 22
+
+
+def _one_line(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s\x{00A0}\x{3000}]+", " "))
+
+
+def _distinct(c: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(c, _one_line), lambda x: x != ""))
+
+
+def body_text(text: Column) -> Column:
+    """The body of a Markdown text, as :func:`body_span` has it."""
+    after = F.when(text.rlike(BODY), F.regexp_replace(text, rf"(?s)^.*?{BODY}", "")).otherwise(text)
+    return F.trim(F.regexp_replace(after, rf"(?s){NOT_BODY}.*$", ""), F.lit(" \t\n\r"))
+
+
 def publish_fields(docs: DataFrame) -> DataFrame:
-    """(doc_id, title, points, n_points): the first line, and up to eight distinct further lines of at least eight characters."""
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    points = F.slice(F.array_distinct(F.filter(F.slice(lines, 2, 1000000), lambda x: F.length(x) >= 8)), 1, 8)
-    return docs.select("doc_id", F.substring(F.get(lines, 0), 1, 20).alias("title"), F.array_join(points, "\n").alias("points"), F.size(points).cast("long").alias("n_points"))
+    """(doc_id, body, points, tags, titles) of texts (doc_id, title, text, subject, category, chapter).
+
+    The body has a heading; key points are its lines of at least eight characters without marks, distinct, eight at most;
+    tags are subject, category, chapter and the common ones, without # and white space; five titles are made of them.
+    """
+    body = body_text(F.col("text"))
+    rows = docs.withColumn("body", F.when(F.startswith(body, F.lit("#")), body).otherwise(F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), body)))
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"^#{1,6}\s*", ""), r"^[ \-*|]+|[ \-*|]+$", "")
+    lines = F.filter(F.transform(F.split("body", "\n"), lambda x: F.trim(x)), lambda x: ~F.startswith(x, F.lit(UNVERIFIED)))
+    points = F.slice(_distinct(F.filter(F.transform(lines, bare), lambda x: F.length(x) >= POINT_CHARS)), 1, POINTS)
+    tags = F.slice(_distinct(F.transform(F.array("subject", "category", "chapter", *map(F.lit, COMMON_TAGS)), lambda x: F.regexp_replace(x, r"[#\s]+", ""))), 1, TAGS)
+    rows = rows.withColumn("points", points).withColumn("tags", tags)
+    kept = lambda c: F.nullif(F.col(c), F.lit(""))
+    topic = F.coalesce(F.nullif(F.concat_ws(" · ", kept("subject"), kept("category"), kept("chapter")), F.lit("")), F.col("title"))
+    first = _one_line(F.get("points", F.lit(0)))
+    point = F.when(F.size("points") == 0, NO_POINT).otherwise(F.when(F.length(first) <= SHORT, first).otherwise(F.concat(F.substring(first, 1, SHORT), F.lit("..."))))
+    values = {"chapter": F.coalesce(kept("chapter"), kept("category"), kept("subject"), F.lit("")), "topic": topic, "point": point, "subject": F.coalesce("subject", F.lit(""))}
+
+    def filled(form: str) -> Column:
+        return F.concat(*(values[p[1:-1]] if p.startswith("{") else F.lit(p) for p in re.split(r"(\{\w+\})", form) if p))
+
+    made = F.slice(_distinct(F.array(*map(filled, TITLES))), 1, N_TITLES)
+    more = F.transform(F.sequence(F.lit(1), F.lit(N_TITLES)), lambda k: F.concat("title", F.lit(PADDED.split("{title}")[1].split("{k}")[0]), k.cast("string")))
+    titles = F.concat(made, F.slice(more, F.size(made) + 1, F.lit(N_TITLES) - F.size(made)))
+    return rows.select("doc_id", "body", "points", "tags", titles.alias("titles"))
