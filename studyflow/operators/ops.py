@@ -6,10 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def search_library(files: DataFrame, keyword: str, file_type: str | None = None) -> DataFrame:
-    """Files whose title or text has the keyword, newest first."""
-    found = files if file_type is None else files.where(F.col("file_type") == file_type)
-    return found.where(F.contains(F.lower("title"), F.lit(keyword.lower())) | F.contains(F.lower("text"), F.lit(keyword.lower()))).orderBy(F.desc("id"))
+def _contains(names: tuple[str, ...], word: str) -> Column:
+    out = F.lit(False)
+    for c in names:
+        out = out | F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(word.lower()))
+    return out
+
+
+def _equal(rows: DataFrame, **wanted: object) -> DataFrame:
+    for name, value in wanted.items():
+        if value is not None and value != "":
+            rows = rows.where(F.col(name) == value)
+    return rows
+
+
+def search_library(files: DataFrame, keyword: str | None = None, subject: str | None = None, category: str | None = None, source_type: str | None = None) -> DataFrame:
+    """Files by subject, category and type, whose name, title or tags (a text) have the keyword, newest first."""
+    found = _equal(files, subject=subject, category=category, source_type=source_type)
+    found = found.where(_contains(("filename", "title", "tags"), keyword)) if keyword else found
+    return found.orderBy(F.desc("created_at"), F.desc("id"))
 
 
 def keep_latest(results: DataFrame, key: str, order: list[str], n: int = 2) -> DataFrame:
@@ -20,6 +35,12 @@ def keep_latest(results: DataFrame, key: str, order: list[str], n: int = 2) -> D
     return results.withColumn("seq", seq).withColumn("back", back).where(F.col("back") <= n).withColumn("is_latest", F.col("back") == 1).drop("back")
 
 
+def file_texts(files: DataFrame, results: DataFrame) -> DataFrame:
+    """Files with the text and token count of their latest parse result (file_id, seq, text, tokens), and its number; files without one keep theirs."""
+    last = results.groupBy(F.col("file_id").alias("id")).agg(F.max_by(F.struct("text", "tokens", "seq"), "seq").alias("r"))
+    return files.join(last, "id", "left").select("id", F.when(F.col("r").isNotNull(), F.col("r.text")).otherwise(F.col("text")).alias("text"), F.coalesce("r.tokens", "tokens").alias("tokens"), F.col("r.seq").alias("seq"))
+
+
 def version_events(events: DataFrame) -> DataFrame:
     """Versions 1, 2, ... per topic in order of time and id; the version's id is ``topic:version``."""
     version = F.row_number().over(Window.partitionBy("topic_id").orderBy("created_at", "id")).cast("long")
@@ -32,18 +53,34 @@ def latest_state(events: DataFrame) -> DataFrame:
     return events.groupBy("topic_id").agg(last.alias("s"), F.count(F.lit(1)).alias("versions")).select("topic_id", "s.status", "s.scheduled_date", F.col("s.created_at").alias("updated_at"), "versions")
 
 
-def list_topics(topics: DataFrame, date_from: Column | None = None, date_to: Column | None = None, status: str | None = None) -> DataFrame:
-    """Topics by date, undated last, then newest; with a range, undated ones fall out."""
-    found = topics if status is None else topics.where(F.col("status") == status)
+def list_topics(topics: DataFrame, date_from: Column | None = None, date_to: Column | None = None, status: str | None = None, owner: str | None = None, search: str | None = None) -> DataFrame:
+    """Topics by status, owner, date, and words in title, brief, chapter or goal; by date, undated last, then newest; with a range, undated ones fall out."""
+    found = _equal(topics, status=status, owner=owner)
     if date_from is not None:
         found = found.where(F.col("scheduled_date") >= date_from)
     if date_to is not None:
         found = found.where(F.col("scheduled_date") <= date_to)
+    if search:
+        found = found.where(_contains(("title", "brief", "chapter", "content_goal"), search))
     return found.orderBy(F.col("scheduled_date").asc_nulls_last(), F.desc("updated_at"), "topic_id")
 
 
-def board(topics: DataFrame) -> DataFrame:
-    return topics.groupBy("status").agg(F.count(F.lit(1)).alias("topics"), F.count("scheduled_date").alias("dated"))
+#: States of topics in the order of the board's columns (fixed values).
+BOARD = ("idea", "planned", "generated", "needs_changes", "awaiting_confirm", "approved")
+
+
+def board(topics: DataFrame, columns: tuple[str, ...] | None = BOARD) -> DataFrame:
+    """(place, status, topics, dated): the board's columns with their topics, empty ones too; all states by name if there are no columns."""
+    counts = topics.groupBy("status").agg(F.count(F.lit(1)).alias("topics"), F.count("scheduled_date").alias("dated"))
+    if columns is None:
+        return counts.select(F.lit(None).cast("long").alias("place"), "status", "topics", "dated")
+    named = topics.sparkSession.createDataFrame([(k, c) for k, c in enumerate(columns)], "place long, status string")
+    return F.broadcast(named).join(counts, "status", "left").select("place", "status", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("topics", "dated")))
+
+
+def owners(topics: DataFrame) -> DataFrame:
+    """Each owner once, with the number of topics."""
+    return topics.where("coalesce(owner, '') <> ''").groupBy("owner").agg(F.count(F.lit(1)).alias("topics"))
 
 
 def reconcile(jobs: DataFrame, papers: DataFrame) -> DataFrame:
@@ -62,11 +99,13 @@ def orphan_entries(entries: DataFrame, namespaces: DataFrame, hashes: DataFrame)
     return rows.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def removable_assets(papers: DataFrame, paper_ids: DataFrame) -> DataFrame:
-    """Assets of the given papers that no other paper uses."""
+def removable_assets(papers: DataFrame, paper_ids: DataFrame, assets: DataFrame) -> DataFrame:
+    """(asset_id, drop_cache): assets (id, sha256) of the given papers that no other paper uses, and whether the cache of their hash can go too, since no asset that stays has it."""
     going = papers.join(paper_ids, "id", "left_semi").select("asset_id").distinct()
     staying = papers.join(paper_ids, "id", "left_anti").select("asset_id").distinct()
-    return going.join(staying, "asset_id", "left_anti")
+    gone = going.join(staying, "asset_id", "left_anti").join(assets.select(F.col("id").alias("asset_id"), "sha256"), "asset_id", "left")
+    live = assets.join(gone.select(F.col("asset_id").alias("id")), "id", "left_anti").select("sha256").distinct().withColumn("live", F.lit(True))
+    return gone.join(live, "sha256", "left").select("asset_id", (F.col("sha256").isNotNull() & F.col("live").isNull()).alias("drop_cache"))
 
 
 def audit_feed(logs: DataFrame, users: DataFrame) -> DataFrame:
@@ -77,5 +116,15 @@ def audit_feed(logs: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def list_papers(papers: DataFrame, status: str | None = None) -> DataFrame:
-    found = papers if status is None else papers.where(F.col("status") == status)
-    return found.orderBy(F.desc("exam_year"), "id")
+    """Papers by year and id, newest first."""
+    return _equal(papers, status=status).orderBy(F.desc("exam_year"), F.desc("id"))
+
+
+def list_textbooks(assets: DataFrame, subject_id: int | None = None) -> DataFrame:
+    """Assets that are textbooks, of a subject if one is given, newest first."""
+    return _equal(assets, source_type="textbook", subject_id=subject_id).orderBy(F.desc("created_at"), F.desc("id"))
+
+
+def list_generations(jobs: DataFrame, status: str | None = None) -> DataFrame:
+    """Generation jobs, newest first."""
+    return _equal(jobs, status=status).orderBy(F.desc("created_at"), F.desc("id"))

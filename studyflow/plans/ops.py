@@ -9,9 +9,16 @@ from ..operators import ops as X
 from .base import query, table, tables
 
 
-@query("k1_search_library", "SELECT id, title, file_type FROM files WHERE file_type = 'en' AND (contains(lower(title), 'license') OR contains(lower(text), 'license'))")
+_LIBRARY = "SELECT id, concat('file-', id, '.txt') AS filename, title, CASE WHEN id % 4 = 0 THEN 'license, old' WHEN id % 4 = 1 THEN concat('tag', id % 10) END AS tags, CASE WHEN id % 3 = 0 THEN 'law' ELSE 'math' END AS subject, file_type AS category, CASE WHEN id % 5 = 0 THEN 'textbook' ELSE 'note' END AS source_type, id % 50 AS created_at, id % 7 AS subject_id FROM files"
+
+
+def _library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_LIBRARY.replace("FROM files", "FROM {files}"), files=table(spark, sf_dir, "files"))
+
+
+@query("k1_search_library", f"WITH lb AS ({_LIBRARY}) SELECT id, title FROM lb WHERE subject = 'law' AND source_type = 'note' AND (contains(filename, 'src1') OR contains(lower(title), 'src1') OR contains(coalesce(tags, ''), 'src1'))")
 def k1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.search_library(table(spark, sf_dir, "files"), "License", "en").select("id", "title", "file_type")
+    return X.search_library(_library(spark, sf_dir), "SRC1", subject="law", source_type="note").select("id", "title")
 
 
 @query("k2_keep_latest", """SELECT id, topic_id, seq, back = 1 AS is_latest FROM (SELECT id, topic_id, row_number() OVER (PARTITION BY topic_id ORDER BY created_at, id) AS seq, row_number() OVER (PARTITION BY topic_id ORDER BY created_at DESC, id DESC) AS back FROM topic_events) WHERE back <= 2""")
@@ -19,6 +26,14 @@ def k2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.keep_latest(table(spark, sf_dir, "topic_events"), "topic_id", ["created_at", "id"]).select("id", "topic_id", "seq", "is_latest")
 
 
+@query("k2_file_texts", """WITH r AS (SELECT topic_id AS file_id, row_number() OVER (PARTITION BY topic_id ORDER BY created_at, id) AS seq, props AS text, id AS tokens FROM topic_events), l AS (SELECT file_id, max_by({'t': text, 'k': tokens}, seq) AS r, max(seq) AS seq FROM r GROUP BY 1)
+SELECT c_custkey AS id, CASE WHEN seq IS NULL THEN c_name ELSE r.t END AS text, coalesce(r.k, 1) AS tokens, seq FROM customer LEFT JOIN l ON file_id = c_custkey""")
+def k2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = X.keep_latest(table(spark, sf_dir, "topic_events").select(F.col("topic_id").alias("file_id"), "created_at", F.col("id").alias("tokens"), F.col("props").alias("text")), "file_id", ["created_at", "tokens"])
+    files = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("text"), F.lit(1).cast("long").alias("tokens"))
+    return X.file_texts(files, results)
+
+
 @query("k3_versions", "SELECT id, topic_id, status, row_number() OVER w AS version, topic_id || ':' || row_number() OVER w AS version_id FROM topic_events WINDOW w AS (PARTITION BY topic_id ORDER BY created_at, id)")
 def k3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.version_events(table(spark, sf_dir, "topic_events")).select("id", "topic_id", "status", "version", "version_id")
@@ -32,14 +47,26 @@ def k3_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.latest_state(table(spark, sf_dir, "topic_events"))
 
 
-@query("k4_list_topics", f"WITH {_STATE} SELECT * FROM st WHERE scheduled_date >= DATE '2024-01-10'")
+_TOPIC = "SELECT topic_id, status, scheduled_date, updated_at, versions, concat('owner', topic_id % 3) AS owner, concat('Topic ', topic_id) AS title, CASE WHEN topic_id % 4 = 0 THEN 'a Brief' END AS brief, CAST(NULL AS {string}) AS chapter, concat('goal ', versions) AS content_goal FROM {st}"
+
+
+def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_TOPIC.format(string="STRING", st="{st}"), st=X.latest_state(table(spark, sf_dir, "topic_events")))
+
+
+@query("k4_list_topics", f"WITH {_STATE}, tp AS ({_TOPIC.format(string='VARCHAR', st='st')}) SELECT topic_id, status, scheduled_date, updated_at FROM tp WHERE scheduled_date >= DATE '2024-01-10' AND owner = 'owner1' AND (contains(lower(title), 'brief') OR contains(lower(coalesce(brief, '')), 'brief') OR contains(content_goal, 'brief'))")
 def k4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.list_topics(X.latest_state(table(spark, sf_dir, "topic_events")), F.lit("2024-01-10").cast("date"))
+    return X.list_topics(_topics(spark, sf_dir), F.lit("2024-01-10").cast("date"), owner="owner1", search="BRIEF").select("topic_id", "status", "scheduled_date", "updated_at")
 
 
-@query("k4_board", f"WITH {_STATE} SELECT status, count(*) AS topics, count(scheduled_date) AS dated FROM st GROUP BY 1")
+@query("k4_board", f"WITH {_STATE}, b AS (SELECT unnest(['view', 'idea', 'click', 'error']) AS status, unnest([0, 1, 2, 3])::BIGINT AS place) SELECT place, b.status, count(topic_id) AS topics, count(scheduled_date) AS dated FROM b LEFT JOIN st ON st.status = b.status GROUP BY 1, 2")
 def k4_board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.board(X.latest_state(table(spark, sf_dir, "topic_events")))
+    return X.board(_topics(spark, sf_dir), ("view", "idea", "click", "error"))
+
+
+@query("k4_owners", f"WITH {_STATE} SELECT 'owner' || topic_id % 3 AS owner, count(*) AS topics FROM st GROUP BY 1")
+def k4_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.owners(_topics(spark, sf_dir))
 
 
 @query("k5_reconcile", """WITH j AS (SELECT l_orderkey AS paper_id, max_by(CASE l_linenumber % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' WHEN 2 THEN 'running' ELSE 'queued' END, l_orderkey * 10 + l_linenumber) AS s FROM lineitem WHERE l_orderkey % 3 > 0 GROUP BY 1),
@@ -58,10 +85,12 @@ def k6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.orphan_entries(entries, files.where("file_type <> 'de'").select(F.col("file_type").alias("namespace")), files.where("id % 2 = 0"))
 
 
-@query("k7_removable_assets", "SELECT DISTINCT asset_id FROM papers WHERE status = 'F' AND asset_id NOT IN (SELECT asset_id FROM papers WHERE status <> 'F')")
+@query("k7_removable_assets", """WITH g AS (SELECT DISTINCT asset_id FROM papers WHERE status = 'F' AND asset_id NOT IN (SELECT asset_id FROM papers WHERE status <> 'F')), a AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 6 > 0 THEN md5((c_custkey // 3)::VARCHAR) END AS sha256 FROM customer)
+SELECT asset_id, sha256 IS NOT NULL AND NOT EXISTS (SELECT 1 FROM a o WHERE o.sha256 = a.sha256 AND o.id NOT IN (SELECT asset_id FROM g)) AS drop_cache FROM g LEFT JOIN a ON a.id = asset_id""")
 def k7(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = table(spark, sf_dir, "papers")
-    return X.removable_assets(papers, papers.where("status = 'F'").select("id"))
+    assets = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 6 > 0, F.md5(F.expr("CAST(c_custkey div 3 AS STRING)"))).alias("sha256"))
+    return X.removable_assets(papers, papers.where("status = 'F'").select("id"), assets)
 
 
 @query("k8_audit_feed", """SELECT e.event_id AS id, e.event_type AS module, c.c_name AS user_name, CASE WHEN e.event_id % 2 = 0 THEN '***' END AS api_token, json_extract_string(props, '$.k') AS k FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id""")
@@ -76,3 +105,13 @@ def k8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("k9_list_papers", "SELECT id, exam_year FROM papers WHERE status = 'O'")
 def k9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.list_papers(table(spark, sf_dir, "papers"), "O").select("id", "exam_year")
+
+
+@query("k9_list_textbooks", f"WITH lb AS ({_LIBRARY}) SELECT id, created_at FROM lb WHERE source_type = 'textbook' AND subject_id = 3")
+def k9_textbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.list_textbooks(_library(spark, sf_dir), 3).select("id", "created_at")
+
+
+@query("k9_list_generations", "SELECT id, created_at FROM topic_events WHERE status = 'error'")
+def k9_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.list_generations(table(spark, sf_dir, "topic_events"), "error").select("id", "created_at")

@@ -23,12 +23,16 @@ def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("event_id").alias("id"), "user_id", F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("question_id"), right.alias("is_correct"), "at")
 
 
-@query("l1_graded_stream", "SELECT event_id AS id, regexp_extract(props, '([0-9]+)', 1)::BIGINT AS question_id, event_id % 4 = regexp_extract(props, '([0-9]+)', 1)::BIGINT % 4 AS is_correct FROM events")
+@query("l1_graded_stream", """WITH a AS (SELECT event_id // 2 AS id, user_id AS q, CASE event_id % 5 WHEN 0 THEN ' b a ' WHEN 1 THEN '' ELSE chr(97 + (event_id % 3)::INT) END AS answer, ts FROM events), l AS (SELECT id, q, max_by(answer, ts) AS answer FROM a GROUP BY 1, 2),
+n AS (SELECT *, nullif(upper(regexp_replace(answer, '\\s+', '', 'g')), '') AS c, CASE WHEN q % 2 = 0 THEN 'AB' ELSE 'A' END AS e FROM l)
+SELECT id, q AS question_id, CASE WHEN q % 2 = 0 THEN array_to_string(list_sort(list_distinct(regexp_extract_all(c, '[A-Z]'))), '') = e ELSE c = e END AS is_correct FROM n""")
 def l1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    number = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
-    answers = events(spark, sf_dir).select(F.col("event_id").alias("id"), number.alias("question_id"), (F.col("event_id") % 4).alias("answer"), "at")
-    expected = table(spark, sf_dir, "events").select(number.alias("question_id")).distinct().withColumn("expected", F.col("question_id") % 4)
-    return L.finished(L.graded_stream(answers, expected, "60 days")).select("id", "question_id", "is_correct")
+    """Two events are two saves of one answer, where they have the same user, which stands for the question."""
+    answer = F.expr("CASE event_id % 5 WHEN 0 THEN ' b a ' WHEN 1 THEN '' ELSE char(97 + event_id % 3) END")
+    answers = events(spark, sf_dir).select(F.expr("event_id div 2").alias("id"), F.col("user_id").alias("question_id"), answer.alias("answer"), "at")
+    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("question_id")).distinct()
+    expected = users.selectExpr("question_id", "CASE WHEN question_id % 2 = 0 THEN 'AB' ELSE 'A' END AS expected", "CASE WHEN question_id % 2 = 0 THEN 'multiple_choice' ELSE 'single' END AS question_type")
+    return L.latest(L.finished(L.graded_stream(answers, expected, "60 days"), "update"), ["id", "question_id"]).select("id", "question_id", "is_correct")
 
 
 @query("l2_wrong_book_stream", """WITH w AS (SELECT *, sum(CASE WHEN is_correct THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, question_id ORDER BY submitted_at, id) AS w FROM answers WHERE answered),

@@ -7,27 +7,20 @@ cluster by key, and late rows beyond the watermark are dropped.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def folder(spark: SparkSession) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="studyflow-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..functions.tables import shared_folder
+from ..operators.learning import grade
 
 
 def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All rows that the stream gives for what its source holds now, with ``batch_id``; a batch that runs again overwrites its own files."""
-    spark, top = stream.sparkSession, folder(stream.sparkSession)
+    spark, top = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{top}/out/batch_id={batch_id}")
@@ -45,9 +38,14 @@ def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def graded_stream(answers: DataFrame, expected: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Answers (id, question_id, answer, at), each id once, with the expected answer of a static table and the grade."""
-    once = answers.withWatermark("at", late).dropDuplicatesWithinWatermark(["id"])
-    return once.join(expected, "question_id").withColumn("is_correct", F.col("answer") == F.col("expected"))
+    """(id, question_id, answer, at, is_correct) of answers (id, question_id, answer, at), as they are saved (update mode).
+
+    A later save of an id overwrites the one before, as long as it is not later than the watermark.  The expected answer
+    and the type come from a static table (question_id, expected, question_type); grades are those of ``grade``.
+    """
+    last = answers.withWatermark("at", late).groupBy("id", "question_id").agg(F.max_by("answer", "at").alias("answer"), F.max("at").alias("saved_at"))
+    graded = last.join(expected, "question_id").withColumn("is_correct", grade(F.col("answer"), F.col("expected"), F.col("question_type")))
+    return graded.select("id", "question_id", "answer", F.col("saved_at").alias("at"), "is_correct")
 
 
 def wrong_book_stream(graded: DataFrame) -> DataFrame:
