@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Deepest level that walks of a tree go to; it also ends cycles.
-MAX_DEPTH = 20
+from ..functions.tables import stored
 
 
 def entity_key(name: Column) -> Column:
-    """Name without punctuation and white space, lower case."""
-    return F.lower(F.regexp_replace(name, r"[\s\p{Punct}，。、：；（）《》“”‘’·]+", ""))
+    """Name without white space and the punctuation that names vary in, lower case (fixed values)."""
+    return F.lower(F.regexp_replace(name, r"[\s\x{00A0}\x{3000}/／\\\-_:：、，,。.;；（）()《》]+", ""))
 
 
 def parse_outlines(lines: DataFrame) -> DataFrame:
@@ -34,22 +35,28 @@ def parse_outlines(lines: DataFrame) -> DataFrame:
     return out.where("level IS NOT NULL").select("doc_id", "line_no", F.col("level").cast("int").alias("level"), F.coalesce(F.nullif(chapter, F.lit("")), F.nullif(section, F.lit("")), F.nullif(number, F.lit(""))).alias("number"), name.alias("name")).where("name <> ''")
 
 
-def resolve_outline(drafts: DataFrame, levels: int = 4) -> DataFrame:
-    """Adds parent_line and path: the parent is the nearest earlier draft of the level above; ``ok`` is false where there is none."""
-    order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = drafts
-    for k in range(1, levels + 1):
-        rows = rows.withColumn(f"_l{k}", F.last(F.when(F.col("level") == k, F.col("line_no")), ignorenulls=True).over(order)).withColumn(f"_n{k}", F.last(F.when(F.col("level") == k, F.col("name")), ignorenulls=True).over(order))
-    parent, path = F.lit(None), F.col("name")
-    for k in range(2, levels + 1):
-        # A draft of a higher level in between ends the section.
-        fresh = F.lit(True)
-        for j in range(1, k - 1):
-            fresh = fresh & (F.col(f"_l{k - 1}") > F.coalesce(F.col(f"_l{j}"), F.lit(-1)))
-        parent = F.when((F.col("level") == k) & fresh, F.col(f"_l{k - 1}")).otherwise(parent)
-        path = F.when(F.col("level") == k, F.concat_ws("/", *(F.col(f"_n{j}") for j in range(1, k)), "name")).otherwise(path)
-    ok = (F.col("level") == 1) | parent.isNotNull()
-    return rows.select(*drafts.columns, parent.alias("parent_line"), F.when(ok, path).alias("path"), ok.alias("ok"))
+def resolve_outline(drafts: DataFrame) -> DataFrame:
+    """Adds parent_line, path and ``ok`` to drafts (doc_id, line_no, level, number, name) of any depth.
+
+    A draft numbered ``1.2`` belongs to the last one before it with the number ``1``, any other to the nearest earlier
+    draft of a lower level.  ``ok`` is false where a draft below level 1 has no parent; such drafts, and what hangs on
+    them, have no path.
+    """
+    deepest = drafts.agg(F.max("level")).first()[0] or 1
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    upto = order.rowsBetween(Window.unboundedPreceding, -1)
+    above = F.regexp_extract(F.coalesce("number", F.lit("")), r"^(.*)\.[0-9]+$", 1)
+    rows = drafts.withColumns({f"_l{k}": F.last(F.when(F.col("level") == k, F.col("line_no")), ignorenulls=True).over(upto) for k in range(1, deepest)}).withColumn("_above", F.nullif(above, F.lit("")))
+    nearest = F.greatest(F.lit(None).cast("long"), F.lit(None).cast("long"), *(F.when(F.col("level") > k, F.col(f"_l{k}")) for k in range(1, deepest)))
+    # Numbers meet the numbers above them: of those before a line the last one counts.
+    numbered = drafts.where("number IS NOT NULL").select("doc_id", F.col("number").alias("_above"), F.col("line_no").alias("_at"))
+    by_number = rows.where("_above IS NOT NULL").select("doc_id", "line_no", "_above").join(numbered, ["doc_id", "_above"]).where("_at < line_no").groupBy("doc_id", "line_no").agg(F.max("_at").alias("_by_number"))
+    rows = rows.join(by_number, ["doc_id", "line_no"], "left").withColumn("parent_line", F.when(F.col("_above").isNotNull(), F.col("_by_number")).otherwise(nearest))
+    rows = rows.withColumn("ok", (F.col("level") == 1) | F.col("parent_line").isNotNull()).select(*drafts.columns, "parent_line", "ok")
+    key = lambda c: F.when(F.col(c).isNotNull(), F.struct("doc_id", F.col(c).alias("line")))
+    walked = walk(rows.where("ok").select(key("line_no").alias("id"), key("parent_line").alias("parent_id"), "name"))
+    paths = walked.select(F.col("id.doc_id").alias("doc_id"), F.col("id.line").alias("line_no"), "path")
+    return rows.join(paths, ["doc_id", "line_no"], "left").select(*drafts.columns, "parent_line", "path", "ok")
 
 
 def merge_nodes(existing: DataFrame, drafts: DataFrame) -> DataFrame:
@@ -62,6 +69,28 @@ def merge_nodes(existing: DataFrame, drafts: DataFrame) -> DataFrame:
     return new.join(last, "p", "left").select("d.parent_id", "d.name", (F.coalesce("top", F.lit(0)) + place).cast("long").alias("sort_order"))
 
 
+def merge_counts(drafts: DataFrame, created: DataFrame) -> DataFrame:
+    """One row: drafts that were created, and those that were skipped since they exist already or come twice."""
+    return drafts.agg(F.count(F.lit(1)).alias("all")).join(F.broadcast(created.agg(F.count(F.lit(1)).alias("created")))).select("created", (F.col("all") - F.col("created")).alias("skipped"))  # one row each
+
+
+def bind_points(chapters: DataFrame, drafts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Drafts of points (chapter_name, section_name, name, ord) bound to chapters (id, parent_id, name), and those that cannot be.
+
+    The first are (parent_id, name, ord), for :func:`merge_nodes`; the second (name, ord, violation): ``unknown_chapter``,
+    ``unknown_section``, or ``section_missing`` where a chapter has sections and the draft names none.
+    """
+    roots = chapters.where("parent_id IS NULL").groupBy(entity_key(F.col("name")).alias("ck")).agg(F.max("id").alias("chapter_id"))
+    sections = chapters.where("parent_id IS NOT NULL")
+    named = sections.groupBy(F.col("parent_id").alias("chapter_id"), entity_key(F.col("name")).alias("sk")).agg(F.max("id").alias("section_id"))
+    having = sections.select(F.col("parent_id").alias("chapter_id"), F.lit(True).alias("divided")).distinct()
+    rows = drafts.withColumn("ck", entity_key(F.col("chapter_name"))).withColumn("sk", F.nullif(entity_key(F.coalesce("section_name", F.lit(""))), F.lit("")))
+    rows = rows.join(roots, "ck", "left").join(having, "chapter_id", "left").join(named, ["chapter_id", "sk"], "left")
+    wrong = F.when(F.col("chapter_id").isNull(), "unknown_chapter").when(F.col("sk").isNotNull() & F.col("section_id").isNull(), "unknown_section").when(F.col("sk").isNull() & F.col("divided"), "section_missing")
+    rows = rows.withColumn("violation", wrong)
+    return rows.where("violation IS NULL").select(F.coalesce("section_id", "chapter_id").alias("parent_id"), "name", "ord"), rows.where("violation IS NOT NULL").select("name", "ord", "violation")
+
+
 def auto_keywords(points: DataFrame, most: int = 8) -> DataFrame:
     """Keywords of points (id, name, chapter, subject, category): distinct, in order."""
     chapter = F.regexp_replace("chapter", r"^第[0-9一二三四五六七八九十百]+[章节]\s*", "")
@@ -69,29 +98,50 @@ def auto_keywords(points: DataFrame, most: int = 8) -> DataFrame:
     return points.select("id", F.posexplode(F.slice(F.array_distinct(F.transform(words, lambda x: F.trim(x))), 1, most)).alias("place", "keyword"))
 
 
-def walk(nodes: DataFrame) -> DataFrame:
-    """Each node (id, parent_id, name) with its root, level and path, by joining level after level; ends at ``MAX_DEPTH``."""
-    out = level = nodes.where("parent_id IS NULL").select("id", F.col("id").alias("root_id"), F.lit(1).alias("level"), F.col("name").alias("path"))
-    rest = nodes.where("parent_id IS NOT NULL")
-    for depth in range(2, MAX_DEPTH + 1):
-        up = level.select(F.col("id").alias("parent_id"), "root_id", F.col("path").alias("above"))
-        level = rest.join(up, "parent_id").select("id", "root_id", F.lit(depth).alias("level"), F.concat_ws("/", "above", "name").alias("path"))
-        if not level.take(1):
-            break
-        out = out.unionByName(level)
-    return out
+def walk(nodes: DataFrame, carried: list[str] | None = None) -> DataFrame:
+    """(id, root_id, level, path) of each node (id, parent_id, name) that a root is above of, and the root's values of the columns ``carried``.
+
+    Pointers to ancestors double in reach with each round, so there are as many rounds as the depth has binary digits;
+    each round is written to the shared folder.  Nodes below a missing parent are left out; a cycle raises an error.
+    """
+    carried = carried or []
+    state = stored(nodes.select("id", F.col("parent_id").alias("up"), F.col("id").alias("root_id"), F.lit(1).alias("level"), F.col("name").alias("path"), *carried))
+    reach, total = 1, nodes.count()
+    while state.where("up IS NOT NULL").take(1):
+        if reach > total:
+            raise ValueError(f"the tree has a cycle, for example above {[r.id for r in state.where('up IS NOT NULL').select('id').take(3)]}")
+        above = state.select(F.col("id").alias("a_id"), F.col("up").alias("a_up"), F.col("root_id").alias("a_root"), F.col("level").alias("a_level"), F.col("path").alias("a_path"), *(F.col(c).alias(f"a_{c}") for c in carried))
+        moved = state.where("up IS NOT NULL").join(above, F.col("up") == F.col("a_id")).select(
+            "id", F.col("a_up").alias("up"), F.col("a_root").alias("root_id"), (F.col("level") + F.col("a_level")).alias("level"), F.concat_ws("/", "a_path", "path").alias("path"), *(F.col(f"a_{c}").alias(c) for c in carried)
+        )
+        state, reach = stored(state.where("up IS NULL").unionByName(moved)), 2 * reach
+    return state.select("id", "root_id", "level", "path", *carried)
+
+
+def sync_points(points: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(id, subject_id, category_id, chapter_id, level, path) of points (id, parent_id, chapter_id, name), as their chapters (id, subject_id, category_id, path) have it.
+
+    Details hang on points and follow them; points without a known chapter are left out.
+    """
+    top = walk(points)
+    rows = top.join(points.select(F.col("id").alias("root_id"), "chapter_id"), "root_id").join(chapters.select(F.col("id").alias("chapter_id"), "subject_id", "category_id", F.col("path").alias("above")), "chapter_id")
+    return rows.select("id", "subject_id", "category_id", "chapter_id", "level", F.concat_ws("/", "above", "path").alias("path"))
 
 
 def descendants(nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    """The given nodes and all below them, with their distance, leaf first when sorted by it downwards."""
-    out = level = ids.select("id", F.col("id").alias("of"), F.lit(0).alias("distance"))
-    for depth in range(1, MAX_DEPTH + 1):
-        up = level.select(F.col("id").alias("parent_id"), "of")
-        level = nodes.join(up, "parent_id").select("id", "of", F.lit(depth).alias("distance"))
-        if not level.take(1):
-            break
-        out = out.unionByName(level)
-    return out.groupBy("of", "id").agg(F.min("distance").alias("distance"))
+    """The given nodes and all below them, with their distance, leaf first when sorted by it downwards.
+
+    Each round reads what the round before it wrote and goes a level down, as deep as the tree is; nodes that were
+    reached already are not taken again, which also ends cycles.
+    """
+    level = stored(ids.select("id", F.col("id").alias("of"), F.lit(0).alias("distance")).distinct())
+    found, depth = [level], 0
+    while level.take(1):
+        depth += 1
+        below = nodes.join(level.select(F.col("id").alias("parent_id"), "of"), "parent_id").select("id", "of", F.lit(depth).alias("distance")).distinct()
+        level = stored(reduce(lambda rows, seen: rows.join(seen.select("id", "of"), ["id", "of"], "left_anti"), found, below))
+        found = [stored(found[0].unionByName(level))]
+    return found[0].select("of", "id", "distance")
 
 
 def cascade_counts(gone: DataFrame, tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
@@ -108,6 +158,12 @@ def cascade_delete(gone: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return rows.join(gone.select(F.col("id").alias(key)).distinct(), key, "left_anti")
 
 
+def papers_of_files(gone: DataFrame, assets: DataFrame, papers: DataFrame) -> DataFrame:
+    """(id) of papers (id, asset_id) that go with deleted files (sha256): those whose asset (id, sha256) has the same hash."""
+    same = assets.join(gone.select("sha256").distinct(), "sha256", "left_semi").select(F.col("id").alias("asset_id"))
+    return papers.join(same, "asset_id", "left_semi").select("id")
+
+
 def dependency_counts(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """(subject_id, table_name, n): rows per subject and table; zeros are left out."""
     out = None
@@ -122,32 +178,111 @@ def tag_value(tags: Column, prefix: str) -> Column:
     return F.get(F.transform(F.filter(tags, lambda t: t.startswith(f"{prefix}:")), lambda t: F.trim(F.substr(t, F.lit(len(prefix) + 2)))), 0)
 
 
-#: Words that no chapter heading has (fixed values).
-NOT_CHAPTERS = ("目录", "前言", "附录", "参考文献", "版权")
+#: Marks of chapters, sections, numbered headings and labelled points, and words that no heading has (fixed values).
+_COUNT = r"[零〇一二三四五六七八九十百千万0-9]"
+_GAP = r"[\s　、.．:：-]*"
+CHAPTERS = (rf"^(第{_COUNT}+[章节篇编单元讲部分]){_GAP}(.+)?$", rf"^((?:专题|模块)\s*{_COUNT}+){_GAP}(.+)?$")
+POINT_MARKS = (rf"^(?:知识点|考点|要点)\s*[零〇一二三四五六七八九十0-9]*{_GAP}(.+)$", rf"^第{_COUNT}+节{_GAP}(.+)$", r"^(?:[（(]?[一二三四五六七八九十0-9]{1,3}[）)、.．]|[0-9]{1,2}[.．、])\s*(.+)$")
+NOT_HEADINGS = ("目录", "本章小结", "复习思考题", "练习题", "学习目标", "考试大纲", "参考答案", "附录", "二维码")
+PREFIXES = (rf"^第{_COUNT}+[章节篇编单元讲部分]\s*", rf"^(?:专题|模块)\s*{_COUNT}+\s*")
+CHAPTER_CHARS, POINT_LINE_CHARS, POINT_CHARS, TOPIC_CHARS = 64, 56, (2, 40), (2, 18)
+#: What to add to a chapter by the words that it has; the last holds for all others (fixed values).
+HINTS = (
+    (("税", "纳税"), ("征税范围", "计税依据", "应纳税额计算", "税收优惠与征管", "易错辨析")), (("会计", "资产", "负债", "收入", "报表"), ("确认条件", "初始计量", "后续计量", "列报与披露", "典型分录")),
+    (("审计", "证据", "控制"), ("目标与程序", "风险识别", "证据获取", "底稿与结论", "易错辨析")), (("财务", "财管", "成本", "预算"), ("指标口径", "计算模型", "决策方法", "风险与评价", "综合题型")),
+    (("法", "合同", "公司", "证券"), ("主体与权利义务", "成立与效力", "责任承担", "争议处理", "案例辨析")), ((), ("基本概念", "核心规则", "方法步骤", "典型题型", "易错辨析")),
+)
+TOPIC_POINT, BASE_CHAPTERS = "核心考点", ("基础知识", "核心概念", "规则与方法", "综合应用", "真题与易错点")
+
+
+def clean_heading(c: Column) -> Column:
+    """One line with single blanks, without leader dots and a page number, or dashes around it."""
+    text = F.regexp_replace(F.trim(F.regexp_replace(c, r"[\s\x{00A0}\x{3000}]+", " ")), r"[.·•…]{2,}\s*[0-9]+\s*$", "")
+    return F.regexp_replace(text, r"^[ \-—_]+|[ \-—_]+$", "")
+
+
+def _noisy(c: Column) -> Column:
+    return reduce(lambda a, w: a | F.contains(c, F.lit(w)), NOT_HEADINGS, F.lit(False))
+
+
+def chapter_heading(line: Column) -> Column:
+    """The chapter that a clean line names, else null."""
+    parts = lambda p: clean_heading(F.concat_ws(" ", F.regexp_extract(line, p, 1), F.nullif(F.regexp_extract(line, p, 2), F.lit(""))))
+    return F.when((F.length(line) <= CHAPTER_CHARS) & ~_noisy(line), F.coalesce(*(F.when(line.rlike(p), parts(p)) for p in CHAPTERS)))
+
+
+def point_heading(line: Column) -> Column:
+    """The point that a clean line names, else null."""
+    name = F.coalesce(*(F.when(line.rlike(p), clean_heading(F.regexp_extract(line, p, 1))) for p in POINT_MARKS))
+    fits = F.length(name).between(*POINT_CHARS) & ~_noisy(name) & ~name.rlike(r"^[0-9\s.．、]+$") & ~name.rlike("[。；;]$")
+    return F.when((F.length(line) <= POINT_LINE_CHARS) & ~_noisy(line) & chapter_heading(line).isNull() & fits, name)
+
+
+def _first_of_each(names: Column) -> Column:
+    """Clean names, each key once."""
+    clean = F.filter(F.transform(names, clean_heading), lambda x: x != "")
+    return F.get(F.transform(F.array(clean), lambda all_: F.filter(all_, lambda x, i: F.array_position(F.transform(all_, lambda y: entity_key(y)), entity_key(x)) == i + 1)), 0)
+
+
+def chapter_core(chapter: Column) -> Column:
+    """A chapter's name without its number."""
+    bare = reduce(lambda c, p: F.trim(F.regexp_replace(c, p, "")), PREFIXES, chapter)
+    return F.coalesce(F.nullif(bare, F.lit("")), chapter)
+
+
+def topics_of(c: Column) -> Column:
+    """Parts of a name between commas and conjunctions, of 2 to 18 characters."""
+    return F.filter(F.transform(F.split(c, r"[、，,和与及/／]+"), clean_heading), lambda x: F.length(x).between(*TOPIC_CHARS))
+
+
+def fallback_points(chapter: Column, signal: Column) -> Column:
+    """Points made up for a chapter: one for each of its topics, and hints by the words of chapter and signal."""
+    core = chapter_core(chapter)
+    said = F.concat(core, signal)
+    hints = None
+    for words, own in reversed(HINTS):
+        named = F.array(*map(F.lit, own))
+        hints = named if hints is None else F.when(reduce(lambda a, w: a | F.contains(said, F.lit(w)), words, F.lit(False)), named).otherwise(hints)
+    made = F.transform(F.filter(topics_of(core), lambda t: t != core), lambda t: F.concat(t, F.lit(TOPIC_POINT)))
+    return _first_of_each(F.concat(made, F.transform(hints, lambda h: F.concat(core, h))))
 
 
 def textbook_outline(lines: DataFrame, max_chapters: int = 40, max_points: int = 12) -> DataFrame:
     """(doc_id, chapter_no, chapter, point_no, point) from lines (doc_id, line_no, text) of books.
 
-    Headings are marked lines of at most 64 characters without a noise word, each name once, the first ``max_chapters``;
-    the lines of 2 to 40 characters from one heading to the next are its points, each once, the first ``max_points``.
-    A chapter without points has one row with a null point.
+    The first ``max_chapters`` chapter headings of different names cut a book; the point headings up to the next of them
+    are a chapter's points, each name once, topped up with made-up ones to ``max_points``.
     """
     order = Window.partitionBy("doc_id").orderBy("line_no")
-    text = F.trim("text")
-    marked = text.rlike(r"^(#\s+|第\s*[0-9一二三四五六七八九十百]+\s*章)")
-    noisy = F.lit(False)
-    for w in NOT_CHAPTERS:
-        noisy = noisy | F.contains(text, F.lit(w))
-    name = F.trim(F.regexp_replace(text, r"^(#\s+)?(第\s*[0-9一二三四五六七八九十百]+\s*章)?\s*", ""))
-    rows = lines.withColumn("head", marked & ~noisy & (F.length(text) <= 64) & (name != "")).withColumn("name", name).withColumn("segment", F.sum(F.col("head").cast("int")).over(order))
-    heads = rows.where("head").groupBy("doc_id", "name").agg(F.min("segment").alias("segment"))
-    heads = heads.withColumn("chapter_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("segment")).cast("long")).where(F.col("chapter_no") <= max_chapters)
-    point = F.trim(F.regexp_replace(text, r"^([-*+]|##+|[0-9]+[.、])\s+", ""))
-    points = rows.where("NOT head AND segment > 0").select("doc_id", "segment", point.alias("point"), "line_no").where((F.length("point") >= 2) & (F.length("point") <= 40))
-    points = points.groupBy("doc_id", "segment", "point").agg(F.min("line_no").alias("at"))
-    points = points.withColumn("point_no", F.row_number().over(Window.partitionBy("doc_id", "segment").orderBy("at")).cast("long")).where(F.col("point_no") <= max_points)
-    return heads.join(points, ["doc_id", "segment"], "left").select("doc_id", "chapter_no", F.col("name").alias("chapter"), "point_no", "point")
+    rows = lines.select("doc_id", "line_no", clean_heading(F.coalesce("text", F.lit(""))).alias("line")).where("line <> ''").withColumn("chapter", chapter_heading(F.col("line")))
+    heads = rows.where("chapter IS NOT NULL").groupBy("doc_id", entity_key(F.col("chapter")).alias("k")).agg(F.min(F.struct("line_no", "chapter")).alias("h"))
+    heads = heads.select("doc_id", "h.line_no", F.col("h.chapter").alias("name"), F.row_number().over(Window.partitionBy("doc_id").orderBy("h.line_no")).cast("long").alias("chapter_no")).where(F.col("chapter_no") <= max_chapters)
+    cut = rows.join(heads.select("doc_id", "line_no", "chapter_no"), ["doc_id", "line_no"], "left").withColumn("of", F.last("chapter_no", ignorenulls=True).over(order))
+    points = cut.where("of IS NOT NULL AND chapter IS NULL").select("doc_id", F.col("of").alias("chapter_no"), "line_no", point_heading(F.col("line")).alias("point")).where("point IS NOT NULL")
+    points = points.groupBy("doc_id", "chapter_no", entity_key(F.col("point")).alias("k")).agg(F.min(F.struct("line_no", "point")).alias("p"))
+    kept = points.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "chapter_no").orderBy("p.line_no"))).where(F.col("r") <= max_points)
+    own = kept.groupBy("doc_id", "chapter_no").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["point"]).alias("own"))
+    found = heads.join(own, ["doc_id", "chapter_no"], "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
+    topped = F.slice(F.concat("own", F.array_except(fallback_points(F.col("name"), F.col("name")), "own")), 1, max_points)
+    return found.select("doc_id", "chapter_no", F.col("name").alias("chapter"), F.posexplode_outer(topped).alias("pos", "point")).select("doc_id", "chapter_no", "chapter", (F.col("pos") + 1).cast("long").alias("point_no"), "point")
+
+
+def metadata_outline(books: DataFrame, templates: DataFrame, max_chapters: int = 40, max_points: int = 12) -> DataFrame:
+    """The same for books (doc_id, title, subject, category, tags) without chapters of their own, from ``templates`` (ord, keyword, chapters).
+
+    The template of the smallest ``ord`` whose keyword is in the category counts, else one in the book's name within 《》,
+    else one in all that is known of it; without any, five chapters are made of the category or subject.
+    """
+    name = F.regexp_extract(F.coalesce("title", F.lit("")), "《([^》]+)》", 1)
+    rows = books.select("doc_id", F.coalesce("category", F.lit("")).alias("s0"), name.alias("s1"), F.concat_ws(" ", "category", name, "title", "subject", F.array_join("tags", " ")).alias("s2"), F.coalesce(F.nullif("category", F.lit("")), F.nullif(name, F.lit("")), "subject").alias("base"))
+    listed = templates.agg(F.array_sort(F.collect_list(F.struct("ord", "keyword", "chapters"))).alias("t"))  # a small table of templates, as one row
+    rows = rows.join(F.broadcast(listed))
+    match = lambda s: F.get(F.filter("t", lambda t: F.contains(F.col(s), t["keyword"])), 0)["chapters"]
+    made = F.transform(F.array(*map(F.lit, BASE_CHAPTERS)), lambda b: F.concat("base", b))
+    chapters = F.slice(_first_of_each(F.coalesce(match("s0"), match("s1"), match("s2"), made)), 1, max_chapters)
+    rows = rows.select("doc_id", "s2", F.posexplode(chapters).alias("c", "chapter"))
+    points = F.slice(fallback_points(F.col("chapter"), F.col("s2")), 1, max_points)
+    return rows.select("doc_id", (F.col("c") + 1).cast("long").alias("chapter_no"), "chapter", F.posexplode_outer(points).alias("pos", "point")).select("doc_id", "chapter_no", "chapter", (F.col("pos") + 1).cast("long").alias("point_no"), "point")
 
 
 def outline_tasks(outline: DataFrame, open_tasks: DataFrame) -> DataFrame:

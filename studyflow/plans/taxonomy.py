@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import taxonomy as X
@@ -28,23 +28,53 @@ def j1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("j2_resolve_outline", f"""WITH {_OUTLINE}, a AS (SELECT *, max(CASE WHEN level = 1 THEN line_no END) OVER w AS l1, max(CASE WHEN level = 2 THEN line_no END) OVER w AS l2 FROM dr WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
-SELECT doc_id, line_no, level, CASE level WHEN 2 THEN l1 WHEN 3 THEN CASE WHEN l2 > coalesce(l1, -1) THEN l2 END END AS parent_line, level = 1 OR CASE level WHEN 2 THEN l1 WHEN 3 THEN CASE WHEN l2 > coalesce(l1, -1) THEN l2 END END IS NOT NULL AS ok FROM a""")
+SELECT doc_id, line_no, level, CASE level WHEN 2 THEN l1 WHEN 3 THEN greatest(l1, l2) END AS parent_line, level = 1 OR CASE level WHEN 2 THEN l1 WHEN 3 THEN greatest(l1, l2) END IS NOT NULL AS ok FROM a""")
 def j2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.resolve_outline(X.parse_outlines(_outline_lines(spark, sf_dir))).select("doc_id", "line_no", "level", "parent_line", "ok")
 
 
-@query("j3_merge_nodes", """WITH e AS (SELECT parent_id, lower(regexp_replace(name, '[^A-Za-z0-9]+', '', 'g')) AS k, row_number() OVER (PARTITION BY parent_id ORDER BY id) AS so FROM chapters),
-d AS (SELECT s_nationkey % 5 + 1 AS parent_id, lower(regexp_replace(s_name, '[^A-Za-z0-9]+', '', 'g')) AS k, s_name AS name, s_suppkey AS ord FROM supplier UNION ALL SELECT 1, 'algeria', 'Al geria', 0),
-n AS (SELECT parent_id, k, min((ord, name)) AS m FROM d WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.parent_id = d.parent_id AND e.k = d.k) GROUP BY ALL)
-SELECT parent_id, m[2] AS name, (coalesce((SELECT max(so) FROM e WHERE e.parent_id = n.parent_id), 0) + row_number() OVER (PARTITION BY parent_id ORDER BY m))::BIGINT AS sort_order FROM n""")
-def j3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chapters, supplier = tables(spark, sf_dir, "chapters", "supplier")
-    from pyspark.sql import Window
+_MERGED = """e AS (SELECT parent_id, lower(regexp_replace(name, '[\\s/\\\\_:,.;()-]+', '', 'g')) AS k, row_number() OVER (PARTITION BY parent_id ORDER BY id) AS so FROM chapters),
+d AS (SELECT s_nationkey % 5 + 1 AS parent_id, lower(regexp_replace(s_name, '[\\s/\\\\_:,.;()-]+', '', 'g')) AS k, s_name AS name, s_suppkey AS ord FROM supplier UNION ALL SELECT 1, 'algeria', 'Al geria', 0),
+n AS (SELECT parent_id, k, min((ord, name)) AS m FROM d WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.parent_id = d.parent_id AND e.k = d.k) GROUP BY ALL)"""
+
 
+def _drafts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    chapters, supplier = tables(spark, sf_dir, "chapters", "supplier")
     old = chapters.withColumn("sort_order", F.row_number().over(Window.partitionBy("parent_id").orderBy("id")))
     drafts = supplier.select((F.col("s_nationkey") % 5 + 1).alias("parent_id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("ord"))
-    drafts = drafts.union(chapters.where("id = 1").select(F.lit(1), F.lit("Al geria"), F.lit(0)))
-    return X.merge_nodes(old, drafts)
+    return old, drafts.union(chapters.where("id = 1").select(F.lit(1), F.lit("Al geria"), F.lit(0)))
+
+
+@query("j3_merge_nodes", f"""WITH {_MERGED}
+SELECT parent_id, m[2] AS name, (coalesce((SELECT max(so) FROM e WHERE e.parent_id = n.parent_id), 0) + row_number() OVER (PARTITION BY parent_id ORDER BY m))::BIGINT AS sort_order FROM n""")
+def j3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.merge_nodes(*_drafts(spark, sf_dir))
+
+
+@query("j3_merge_counts", f"WITH {_MERGED} SELECT (SELECT count(*) FROM n) AS created, (SELECT count(*) FROM d) - (SELECT count(*) FROM n) AS skipped")
+def j3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, drafts = _drafts(spark, sf_dir)
+    return X.merge_counts(drafts, X.merge_nodes(old, drafts))
+
+
+_POINT_DRAFTS = "SELECT CASE WHEN p_size % 7 = 0 THEN 'nowhere' WHEN p_size % 7 < 5 THEN lower(r_name) ELSE concat(substr(r_name, 1, 2), ' ', substr(r_name, 3)) END AS chapter_name, CASE p_size % 3 WHEN 0 THEN n_name WHEN 1 THEN 'no such' END AS section_name, p_name AS name, p_partkey AS ord FROM part JOIN nation ON n_nationkey = p_partkey % 25 JOIN region ON r_regionkey = CASE WHEN p_size % 2 = 0 THEN n_regionkey ELSE (n_regionkey + 1) % 5 END"
+_BOUND = f"pd AS ({_POINT_DRAFTS}), r AS (SELECT id, replace(lower(name), ' ', '') AS k FROM chapters WHERE parent_id IS NULL), b AS (SELECT pd.*, r.id AS cid, s.id AS sid FROM pd LEFT JOIN r ON r.k = replace(lower(pd.chapter_name), ' ', '') LEFT JOIN chapters s ON s.parent_id = r.id AND replace(lower(s.name), ' ', '') = replace(lower(pd.section_name), ' ', ''))"
+
+
+def _bound(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    part, nation, region, chapters = tables(spark, sf_dir, "part", "nation", "region", "chapters")
+    sql = _POINT_DRAFTS.replace("FROM part", "FROM {part}").replace("JOIN nation", "JOIN {nation}").replace("JOIN region", "JOIN {region}")
+    return X.bind_points(chapters, spark.sql(sql, part=part, nation=nation, region=region))
+
+
+@query("j3_bind_points", f"WITH {_BOUND} SELECT sid AS parent_id, name, ord FROM b WHERE sid IS NOT NULL")
+def j3_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bound(spark, sf_dir)[0]
+
+
+@query("j3_point_violations", f"WITH {_BOUND} SELECT name, ord, CASE WHEN cid IS NULL THEN 'unknown_chapter' WHEN section_name IS NOT NULL THEN 'unknown_section' ELSE 'section_missing' END AS violation FROM b WHERE sid IS NULL")
+def j3_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bound(spark, sf_dir)[1]
 
 
 @query("j5_auto_keywords", """WITH w AS (SELECT p_partkey AS id, list_filter(list_concat([p_name, p_brand, p_type, NULL], regexp_split_to_array(p_name, '[\\s/,]+')), lambda x: length(trim(x)) >= 2) AS l FROM part),
@@ -55,9 +85,22 @@ def j5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.auto_keywords(part)
 
 
-@query("j6_sync_tree", "SELECT id, id AS root_id, 1::INT AS level, name AS path FROM chapters WHERE parent_id IS NULL UNION ALL SELECT c.id, p.id, 2::INT, p.name || '/' || c.name FROM chapters c JOIN chapters p ON p.id = c.parent_id")
+_TREE = "tr AS (SELECT id, id AS root_id, 1::INT AS level, name AS path FROM chapters WHERE parent_id IS NULL UNION ALL SELECT c.id, p.id, 2::INT, p.name || '/' || c.name FROM chapters c JOIN chapters p ON p.id = c.parent_id)"
+
+
+@query("j6_sync_tree", f"WITH {_TREE} SELECT *, root_id % 3 AS subject_id, root_id % 2 AS category_id FROM tr")
 def j6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.walk(table(spark, sf_dir, "chapters"))
+    chapters = table(spark, sf_dir, "chapters").withColumn("subject_id", F.col("id") % 3).withColumn("category_id", F.col("id") % 2)
+    return X.walk(chapters, ["subject_id", "category_id"])
+
+
+@query("j6_sync_points", f"""WITH {_TREE}, p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 3 THEN p_partkey - 1 WHEN p_partkey % 4 = 2 THEN p_partkey - 1 END AS parent_id, p_name AS name, 100 + p_size % 30 AS chapter_id FROM part),
+w AS (SELECT id, id AS root, 1::INT AS level, name AS path FROM p WHERE parent_id IS NULL UNION ALL SELECT c.id, b.id, 2::INT, b.name || '/' || c.name FROM p c JOIN p b ON b.id = c.parent_id AND b.parent_id IS NULL UNION ALL SELECT c.id, a.id, 3::INT, a.name || '/' || b.name || '/' || c.name FROM p c JOIN p b ON b.id = c.parent_id JOIN p a ON a.id = b.parent_id)
+SELECT w.id, tr.root_id % 3 AS subject_id, tr.root_id % 2 AS category_id, p.chapter_id, w.level, tr.path || '/' || w.path AS path FROM w JOIN p ON p.id = w.root JOIN tr ON tr.id = p.chapter_id""")
+def j6_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chapters = table(spark, sf_dir, "chapters").withColumn("subject_id", F.col("id") % 3).withColumn("category_id", F.col("id") % 2)
+    points = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "CASE WHEN p_partkey % 4 >= 2 THEN p_partkey - 1 END AS parent_id", "p_name AS name", "100 + p_size % 30 AS chapter_id")
+    return X.sync_points(points, X.walk(chapters, ["subject_id", "category_id"]))
 
 
 @query("j7_descendants", 'SELECT id AS "of", id, 0::INT AS distance FROM chapters WHERE id <= 2 UNION ALL SELECT parent_id, id, 1::INT FROM chapters WHERE parent_id <= 2')
@@ -73,6 +116,13 @@ def j8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.cascade_counts(gone, {"customers": (customer.withColumn("chapter_id", F.col("c_nationkey") + 100), "chapter_id"), "suppliers": (supplier.withColumn("chapter_id", F.col("s_nationkey") + 100), "chapter_id")})
 
 
+@query("j8_papers_of_files", "SELECT id FROM papers WHERE asset_id IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey % 70 = 0))")
+def j8_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as assets, whose nation stands for the hash."""
+    assets = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.md5(F.col("c_nationkey").cast("string")).alias("sha256"))
+    return X.papers_of_files(assets.where("id % 70 = 0").select("sha256"), assets, table(spark, sf_dir, "papers"))
+
+
 @query("j9_dependency_counts", "SELECT subject_id, 'items' AS table_name, count(*) AS n FROM bank_items GROUP BY 1 UNION ALL SELECT subject_id, 'sessions', count(*) FROM sessions WHERE subject_id IS NOT NULL GROUP BY 1")
 def j9(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, sessions = tables(spark, sf_dir, "bank_items", "sessions")
@@ -85,18 +135,41 @@ def j10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.tag_value(tags, "category").alias("category"))
 
 
-_BOOKS = """b0 AS (SELECT p_type AS doc_id, p_partkey AS line_no, p_partkey % 7 = 0 AS head, CASE WHEN p_partkey % 7 = 0 THEN p_brand WHEN p_partkey % 7 < 4 THEN p_size::VARCHAR WHEN p_partkey % 7 = 6 AND p_partkey % 3 = 0 THEN '```' ELSE p_name END AS name FROM part),
-b1 AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS segment FROM b0), h0 AS (SELECT doc_id, name, min(segment) AS segment FROM b1 WHERE head GROUP BY 1, 2),
-h1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY segment) AS chapter_no FROM h0), p0 AS (SELECT doc_id, segment, name AS point, min(line_no) AS fst FROM b1 WHERE NOT head AND segment > 0 AND length(name) BETWEEN 2 AND 40 GROUP BY 1, 2, 3),
-p1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, segment ORDER BY fst) AS point_no FROM p0)"""
+_BOOK_LINE = "CASE p_partkey % 7 WHEN 0 THEN concat('第', p_size, '章  ', p_brand, '......', p_size) WHEN 1 THEN concat('第', p_size, '节 ', p_name) WHEN 2 THEN concat('考点', p_size, '：', p_type) WHEN 3 THEN concat('（', p_size % 9 + 1, '）', p_name, '。') WHEN 4 THEN concat(p_size, '. ', p_name, ' ', p_brand) WHEN 5 THEN concat('第', p_size, '章 本章小结') ELSE p_name END"
+
+
+def _book_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr("p_type AS doc_id", "p_partkey AS line_no", f"{_BOOK_LINE} AS text")
+
 
+# A section heading ("第…节") is a chapter heading too, by the marks; so only labelled and numbered lines give points.
+_BOOKS = """b0 AS (SELECT p_type AS doc_id, p_partkey AS line_no, CASE p_partkey % 7 WHEN 0 THEN '第' || p_size || '章 ' || p_brand WHEN 1 THEN '第' || p_size || '节 ' || p_name END AS head, CASE p_partkey % 7 WHEN 0 THEN p_brand WHEN 1 THEN p_name END AS core,
+  CASE p_partkey % 7 WHEN 2 THEN p_type WHEN 4 THEN p_name || ' ' || p_brand END AS point FROM part), h0 AS (SELECT doc_id, lower(replace(head, ' ', '')) AS k, min((line_no, head, core)) AS h FROM b0 WHERE head IS NOT NULL GROUP BY 1, 2),
+h1 AS (SELECT doc_id, h[1] AS line_no, h[2] AS chapter, h[3] AS core, row_number() OVER (PARTITION BY doc_id ORDER BY h[1]) AS chapter_no FROM h0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY h[1]) <= 40),
+s0 AS (SELECT b0.*, last_value(h1.chapter_no IGNORE NULLS) OVER (PARTITION BY b0.doc_id ORDER BY b0.line_no) AS seg FROM b0 LEFT JOIN h1 ON h1.doc_id = b0.doc_id AND h1.line_no = b0.line_no),
+p0 AS (SELECT doc_id, seg AS chapter_no, lower(replace(point, ' ', '')) AS k, min((line_no, point)) AS p FROM s0 WHERE seg IS NOT NULL AND head IS NULL AND point IS NOT NULL AND length(point) <= 40 GROUP BY 1, 2, 3),
+p1 AS (SELECT doc_id, chapter_no, p[2] AS point, row_number() OVER (PARTITION BY doc_id, chapter_no ORDER BY p[1]) AS r FROM p0),
+fb AS (SELECT doc_id, chapter_no, core || unnest(['基本概念', '核心规则', '方法步骤', '典型题型', '易错辨析']) AS point, 1000 + unnest(range(5)) AS r FROM h1),
+al AS (SELECT * FROM p1 WHERE r <= 12 UNION ALL SELECT * FROM fb), nu AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chapter_no ORDER BY r) AS point_no FROM al)"""
 
-@query("j4_textbook_outline", f"WITH {_BOOKS} SELECT h1.doc_id, chapter_no, h1.name AS chapter, point_no, point FROM h1 LEFT JOIN p1 ON p1.doc_id = h1.doc_id AND p1.segment = h1.segment AND point_no <= 12 WHERE chapter_no <= 40")
+
+@query("j4_textbook_outline", f"WITH {_BOOKS} SELECT h1.doc_id, h1.chapter_no, chapter, point_no, point FROM h1 JOIN nu ON nu.doc_id = h1.doc_id AND nu.chapter_no = h1.chapter_no AND point_no <= 12")
 def j4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.textbook_outline(_outline_lines(spark, sf_dir))
+    return X.textbook_outline(_book_lines(spark, sf_dir))
+
+
+@query("j4_metadata_outline", """WITH b AS (SELECT p_partkey AS doc_id, p_type AS category, p_brand, CASE p_type WHEN 'ECONOMY' THEN ['Money, Trade', 'Law与税'] WHEN 'PROMO' THEN ['Ads'] ELSE list_transform(['基础知识', '核心概念', '规则与方法', '综合应用', '真题与易错点'], lambda x: p_type || x) END AS ch FROM part),
+c AS (SELECT doc_id, unnest(ch) AS chapter, generate_subscripts(ch, 1) AS chapter_no FROM b),
+p AS (SELECT *, CASE chapter WHEN 'Money, Trade' THEN ['Money核心考点', 'Trade核心考点', 'Money, Trade基本概念', 'Money, Trade核心规则', 'Money, Trade方法步骤', 'Money, Trade典型题型', 'Money, Trade易错辨析'] WHEN 'Law与税' THEN ['Law核心考点', 'Law与税征税范围', 'Law与税计税依据', 'Law与税应纳税额计算', 'Law与税税收优惠与征管', 'Law与税易错辨析']
+  ELSE list_concat(CASE WHEN contains(chapter, '与') THEN list_transform(string_split(chapter, '与'), lambda x: x || '核心考点') ELSE [] END, list_transform(CASE WHEN contains(chapter, '法') THEN ['主体与权利义务', '成立与效力', '责任承担', '争议处理', '案例辨析'] ELSE ['基本概念', '核心规则', '方法步骤', '典型题型', '易错辨析'] END, lambda x: chapter || x)) END AS ps FROM c)
+SELECT doc_id, chapter_no, chapter, generate_subscripts(ps[1:6], 1) AS point_no, unnest(ps[1:6]) AS point FROM p""")
+def j4_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books = table(spark, sf_dir, "part").selectExpr("p_partkey AS doc_id", "concat('《', p_brand, '》') AS title", "p_name AS subject", "p_type AS category", "array('x') AS tags")
+    known = table(spark, sf_dir, "part").agg(F.lit(1).alias("one")).selectExpr("explode(array(struct(2 AS ord, 'PROMO' AS keyword, array('Ads', ' ads') AS chapters), struct(1 AS ord, 'ECONOMY' AS keyword, array('Money, Trade', 'Law与税') AS chapters))) AS t").select("t.*")
+    return X.metadata_outline(books, known, max_points=6)
 
 
 @query("j4_outline_tasks", "SELECT DISTINCT p_type AS doc_id, 'review_outline' AS task FROM part WHERE p_type NOT IN (SELECT min(p_type) FROM part)")
 def j4_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _outline_lines(spark, sf_dir)
+    lines = _book_lines(spark, sf_dir)
     return X.outline_tasks(X.textbook_outline(lines), lines.agg(F.min("doc_id").alias("doc_id")))
