@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.tables import shared_folder
 from ..operators import bank as B
 from ..operators import questions as Q
 from ..sources import files as S
@@ -38,11 +39,24 @@ def a4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.apply_overrides(docs.select(F.col("doc_id").alias("id")), {"subject": "math", "version": "2024"}, docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), meta.alias("meta")))
 
 
-@query("a5_copy_columns", "SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events")
+_COPY = "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN concat('{{', event_id) ELSE props END AS props, CASE WHEN event_id % 5 = 0 THEN 'n/a' ELSE CAST(value AS {string}) END AS value, user_id AS unused FROM events"
+
+
+def _copied(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    rows = spark.sql(_COPY.format(string="STRING").replace("concat('{'", "concat('{{'").replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+    target = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("props", T.MapType(T.StringType(), T.IntegerType())), T.StructField("value", T.DoubleType()), T.StructField("absent", T.StringType())])
+    return S.copy_columns(rows, target)
+
+
+@query("a5_copy_columns", f"WITH r AS ({_COPY.format(string='VARCHAR')}) SELECT event_id, CASE WHEN event_id % 7 > 0 THEN json_extract_string(props, '$.k')::INT END AS k, CASE WHEN event_id % 5 > 0 THEN round(value::DOUBLE, 6) END AS value, CASE WHEN event_id % 7 = 0 THEN '{{' || event_id END AS raw_props, CASE WHEN event_id % 5 = 0 THEN 'n/a' END AS raw_value FROM r")
 def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("props", T.MapType(T.StringType(), T.IntegerType())), T.StructField("absent", T.StringType())])
-    found, _ = S.copy_columns(table(spark, sf_dir, "events"), target)
-    return found.select("event_id", F.try_element_at("props", F.lit("k")).alias("k"))
+    raw = lambda c: F.try_element_at("raw", F.lit(c)).alias(f"raw_{c}")
+    return _copied(spark, sf_dir)[0].select("event_id", F.try_element_at("props", F.lit("k")).alias("k"), F.round("value", 6).alias("value"), raw("props"), raw("value"))
+
+
+@query("a5_copy_counts", "SELECT count(*) AS rows, count(*) FILTER (WHERE event_id % 7 = 0 OR event_id % 5 = 0) AS raw_rows, 1::BIGINT AS missing_columns FROM events")
+def a5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.copy_counts(*_copied(spark, sf_dir))
 
 
 _LINES = "q AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey AS paper_id, l_orderkey * 10 + l_linenumber AS id, l_linenumber AS n FROM lineitem ORDER BY l_orderkey, l_linenumber)"
@@ -54,12 +68,23 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.withColumn("id", F.col("paper_id") * 10 + F.col("n"))
 
 
-@query("a6_export_dataset", f"""WITH {_LINES} SELECT paper_id, count(*) AS n_questions, count(DISTINCT n % 2) AS n_sections, sum(length('stem ' || n))::BIGINT AS chars FROM q GROUP BY 1""")
+@query("a6_export_dataset", f"""WITH {_LINES}, r AS (SELECT *, CASE WHEN n % 3 = 0 AND n > 1 THEN 1 END AS parent FROM q), p AS (SELECT paper_id, count(*) FILTER (WHERE parent IS NULL) AS roots, count(*) FILTER (WHERE parent = 1) AS kids, bool_or(n = 1) AS one, count(DISTINCT n % 2) FILTER (WHERE parent IS NULL) AS n_sections,
+  sum(length('stem ' || n)) FILTER (WHERE parent IS NULL)::BIGINT AS chars FROM r GROUP BY 1)
+SELECT p.paper_id, 'new' AS paper_name, CASE WHEN p.paper_id % 2 = 0 THEN 'ai_source.txt' ELSE 'source.txt' END AS prediction_source_file, CASE WHEN p.paper_id % 2 = 0 THEN 2 ELSE 0 END::INT AS ai_source_text_length, p.paper_id % 2 = 0 AS has_ai_source_text, n_sections::INT AS n_sections,
+  (roots + CASE WHEN one AND kids > 0 THEN kids - 1 ELSE 0 END)::BIGINT AS n_questions, chars FROM p WHERE roots > 0""")
 def a6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir).select("paper_id", (F.col("n") % 2).cast("string").alias("section"), "id", F.lit(None).cast("long").alias("parent_id"), F.col("n").alias("sort_order"), F.concat(F.lit("stem "), "n").alias("stem"))
-    found = S.export_dataset(rows.select("paper_id").distinct(), rows)
-    stems = F.regexp_extract_all("sample", F.lit('"stem":"([^"]*)"'), 1)
-    return found.select("paper_id", "n_questions", "n_sections", F.aggregate(stems, F.lit(0), lambda s, x: s + F.length(x)).cast("long").alias("chars"))
+    """Samples written, written again under a new name, and read back: the newer ones are there alone."""
+    rows = _rows(spark, sf_dir).selectExpr("paper_id", "CAST(n % 2 AS STRING) AS section", "id", "CASE WHEN n % 3 = 0 AND n > 1 THEN paper_id * 10 + 1 END AS parent_id", "n AS sort_order", "concat('stem ', n) AS stem")
+    papers = rows.select("paper_id").distinct().selectExpr("paper_id", "'old' AS paper_name", "'text' AS source_text", "CASE WHEN paper_id % 2 = 0 THEN 'ai' END AS ai_source_text", "CAST(NULL AS STRING) AS raw_source_text", "CAST(1 AS BIGINT) AS stored_question_count")
+    path = shared_folder(spark, "dataset")
+    S.write_dataset(S.export_dataset(papers, rows), path)
+    S.write_dataset(S.export_dataset(papers.where("paper_id % 8 > 0").withColumn("paper_name", F.lit("new")), rows), path)
+    found = S.write_dataset(S.export_dataset(papers.where("paper_id % 8 = 0").withColumn("paper_name", F.lit("new")), rows), path)
+    stems = F.regexp_extract_all("sample", F.lit('"stem":"([^"]*)"'), F.lit(1))
+    return found.select(
+        "paper_id", "meta.paper_name", "meta.prediction_source_file", "meta.ai_source_text_length", "meta.has_ai_source_text", F.col("meta.predicted_section_count").alias("n_sections"), F.col("meta.predicted_question_count").alias("n_questions"),
+        F.aggregate(stems, F.lit(0), lambda s, x: s + F.length(x)).cast("long").alias("chars"),
+    )
 
 
 @query("a7_gold_template", f"WITH {_LINES} SELECT paper_id, id, 's' || n % 2 AS section, 'stem ' || n AS stem, 1::INT AS version, 'draft' AS label_status FROM q")
@@ -82,11 +107,23 @@ def a8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.pick_sync_source(*_gold(spark, sf_dir))
 
 
-@query("a9_dataset_summary", f"WITH {_GOLD} SELECT count(*) AS samples, count(has_gold) AS gold, count(has_pred) AS predictions, count(*) FILTER (WHERE st IS DISTINCT FROM 'done') AS unlabelled FROM s")
-def a9(spark: SparkSession, sf_dir: str) -> DataFrame:
+_SAMPLES = f"WITH {_GOLD}, sm AS (SELECT *, id % 7 > 0 AS has_source, 'paper ' || id AS paper_name, CASE WHEN id % 3 = 0 THEN 'Law' END AS subject_name, id % 11 AS updated_at FROM s)"
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold, pred = _gold(spark, sf_dir)
-    rows = gold.withColumn("has_gold", F.lit(True)).join(pred.withColumn("has_pred", F.lit(True)), "paper_id", "full").na.fill(False, ["has_gold", "has_pred"])
-    return S.dataset_summary(rows)
+    rows = gold.withColumn("has_gold", F.lit(True)).join(pred.withColumn("has_prediction", F.lit(True)), "paper_id", "full").na.fill(False, ["has_gold", "has_prediction"]).withColumnRenamed("paper_id", "id")
+    return rows.selectExpr("*", "id % 7 > 0 AS has_source", "concat('paper ', id) AS paper_name", "CASE WHEN id % 3 = 0 THEN 'Law' END AS subject_name", "CAST(NULL AS STRING) AS category_name", "id % 11 AS updated_at")
+
+
+@query("a9_dataset_summary", f"{_SAMPLES} SELECT count(*) AS samples, count(has_gold) AS gold, count(has_pred) AS predictions, count(*) FILTER (WHERE has_source) AS sources, count(*) FILTER (WHERE st IS DISTINCT FROM 'done') AS unlabelled FROM sm")
+def a9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.dataset_summary(_samples(spark, sf_dir))
+
+
+@query("a9_list_samples", f"{_SAMPLES} SELECT id, paper_name, updated_at FROM sm WHERE subject_name = 'Law' OR contains(paper_name, 'law')")
+def a9_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.list_samples(_samples(spark, sf_dir), " LAW").select("id", "paper_name", "updated_at")
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
