@@ -34,7 +34,7 @@ _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Base phrases and their labels (fixed values).
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Templates by label: common short notices of well-known public licenses.
+#: Templates by label (fixed values): short notices of well-known public licenses, and the whole wording of some.
 TEMPLATES = {
     "apache-2.0": "[[this [[work|file|software]] is]] licensed under the apache license [[version]] 2 0 [[the license]]",
     "cc-by-version": "[[this work is]] licensed under [[a|the]] [[creative commons]] cc by <<1-1:[1-4]>> 0",
@@ -42,9 +42,32 @@ TEMPLATES = {
     "gpl-2.0": "licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] version 2 [[of the license]]",
     "gpl-3.0": "licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] version 3 [[of the license]]",
     "mit": "released under the [[terms of the]] mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
-    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "notice": "copyright [[c]] <<1-4:[0-9]{4}|[a-z]+>> <<0-8:.+>> all rights reserved",
+    "apache-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at <<0-1:https?>> www apache org licenses license 2 0 "
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+    "see the license for the specific language governing permissions and limitations under the license",
+    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice "
+    "this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials "
+    "provided with the distribution [[[[3]] neither the name of <<1-10:.+>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission]] "
+    "this software is provided by the <<1-6:.+>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the <<1-6:.+>> "
+    "be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused "
+    "and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "gpl-header": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version <<1-1:[23]>> of the license "
+    "or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose "
+    "see the gnu general public license for more details",
+    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+    "the software is provided as is and <<1-6:.+>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<1-6:.+>> be liable for any special direct indirect "
+    "or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights "
+    "to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+    "the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software "
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<1-8:.+>> be liable for any claim "
+    "damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "mpl-header": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <<0-1:https?>> mozilla org mpl 2 0",
+    "zlib-text": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software "
+    "for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions [[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software "
+    "if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required [[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software "
+    "[[3]] this notice may not be removed or altered from any source distribution",
 }
 
 
@@ -223,15 +246,18 @@ class LicenseScan:
 
 
 #: Words after an anchor that an automaton may read; longer than any template's wording (checked when a scan is made).
-_REACH = 200
+_REACH = 600
 
 
-def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None) -> DataFrame:
+def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, spans of accepted templates, score.
 
     ``score`` is the largest share of a template's mandatory wording that an automaton read in a row (1: accepted); a
-    phrase alone counts 0.5 at least, and a text with neither 0.
+    phrase alone counts 0.5 at least, and a text with neither 0.  Templates may come as a table (label, template), which
+    has a row a license and is compiled on the driver.
     """
+    if isinstance(templates, DataFrame):
+        templates = {r.label: r.template for r in templates.collect()}
     phrases, templates = phrases or PHRASES, templates or TEMPLATES
     scan = LicenseScan(phrases, templates)
     for a in scan.automata:
