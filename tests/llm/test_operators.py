@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import html
+import itertools
 import math
+import random
 import re
 import weakref
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 
 from studyflow.llm import decontaminate, extraction, jaccard, licenses, lines, mixing, quality, queries, sharding, urls, warc
 from studyflow.llm.components import connected_components
-from studyflow.llm.html_tree import parse
+from studyflow.llm.html_tree import Node, parse
 from studyflow.llm.shared import shared_dir
 from tests.oracle import difference
 
@@ -149,6 +152,67 @@ def test_template_automata(text, accepted):
     assert got == ({accepted} if accepted else set())
 
 
+def ends_of(way, words, k):
+    """Where a part list can end, from word k, by plain recursion."""
+    if not way:
+        return {k}
+    part, rest = way[0], way[1:]
+    if isinstance(part, tuple):
+        starts = {k} | {e for w in part[1] for e in ends_of(w, words, k)}
+    elif hasattr(part, "least"):
+        starts = {k + m for m in range(part.least, part.most + 1) if k + m <= len(words) and all(part.pattern.fullmatch(w) for w in words[k : k + m])}
+    else:
+        starts = {k + 1} if k < len(words) and words[k] == part.word else set()
+    return {e for at in starts for e in ends_of(rest, words, at)}
+
+
+def naive_scan(words, templates):
+    """Labels, and the largest share of a template's mandatory words read in a row, from starts as far before an anchor as the wording allows."""
+    labels, score = set(), 0.0
+    for label, text in templates.items():
+        parts = licenses.parse_template(text)
+        mandatory = [p.word for p in parts if hasattr(p, "word")]
+        anchor = max(mandatory, key=lambda w: (len(w), w))
+        longest = lambda p: max(sum(map(longest, w)) for w in p[1]) if isinstance(p, tuple) else getattr(p, "most", 1)
+        before = sum(map(longest, parts[: next(i for i, p in enumerate(parts) if getattr(p, "word", None) == anchor)]))
+        for start in {s for p in range(len(words)) if words[p] == anchor for s in range(max(0, p - before), p + 1)}:
+            at, read = {start}, 0
+            for i, part in enumerate(parts):
+                at = {e for k in at for e in ends_of([part], words, k)}
+                if not at:
+                    break
+                read += hasattr(part, "word")
+            score = max(score, read / len(mandatory))
+            if at:
+                labels.add(label)
+    return labels, score
+
+
+def test_license_labels_and_score_against_a_naive_matcher(spark, docs):
+    """Over the fixture, the templates' own wordings, and these with a word changed, dropped or put in."""
+    rng = random.Random(8)
+
+    def wording(parts):
+        return [w for p in parts for w in (wording(rng.choice(p[1])) if isinstance(p, tuple) and rng.random() < 0.5 else [] if isinstance(p, tuple) else [p.word.decode()] if hasattr(p, "word") else ["2" if p.pattern.fullmatch(b"2") else "http"] * rng.randint(p.least, p.most))]
+
+    rows = [t for _, t in texts(docs)]
+    for text in licenses.TEMPLATES.values():
+        for change in range(6):
+            w = ["x", "y"] + wording(licenses.parse_template(text)) + ["z"]
+            k = rng.randrange(2, len(w) - 1)
+            w = w if change < 3 else w[:k] + w[k + 1 :] if change == 3 else w[:k] + ["odd"] + w[k:] if change == 4 else w[:k] + ["odd"] + w[k + 1 :]
+            rows.append(", ".join(w))
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    table = spark.createDataFrame(list(licenses.TEMPLATES.items()), "label string, template string")
+    base = licenses.PHRASES
+    for r in licenses.scan_licenses(frame, templates=table).collect():
+        words = ALNUM.findall(rows[r.doc_id].encode().lower())
+        labels, score = naive_scan(words, licenses.TEMPLATES)
+        phrases = {label for p, label in base.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.encode().split()}
+        assert set(r.labels.split(",")) - {""} == labels | phrases, rows[r.doc_id][:200]
+        assert abs(r.score - max(score, 0.5 if phrases else 0.0)) < 1e-12
+
+
 def test_bad_templates():
     for bad in ("a ]] b", "[[ a", "<<3-1:x>> a", "[[a]]"):
         with pytest.raises(ValueError):
@@ -369,6 +433,66 @@ def test_extraction_held_out(model):
     assert right / (right + wrong) > 0.9
 
 
+def test_sum_product_against_all_labelings():
+    """Marginals of small random trees, by enumeration."""
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        size = int(rng.integers(1, 8))
+        nodes = [Node("root", -1)]
+        for k in range(1, size):
+            parent = int(rng.choice([i for i, n in enumerate(nodes) if n.tag]))
+            nodes.append(Node("div" if rng.random() < 0.6 else "", parent, depth=nodes[parent].depth + 1))
+        odds, edges = rng.normal(0, 2, size), rng.normal(0, 1, (2, 2))
+        forest = extraction.Forest([nodes, nodes])
+        p, pairs = extraction.sum_product(forest, np.concatenate([odds, odds]), edges)
+        total, one, both = 0.0, np.zeros(size), np.zeros((2, size))
+        for labels in itertools.product((0, 1), repeat=size):
+            value = sum(o * y for o, y in zip(odds, labels))
+            for k in range(1, size):
+                leaf = int(not nodes[k].tag)
+                value += (edges[leaf][labels[k]] if labels[nodes[k].parent] else extraction._NEVER * labels[k])
+            weight = math.exp(value)
+            total += weight
+            one += weight * np.array(labels)
+            for k in range(1, size):
+                if labels[nodes[k].parent]:
+                    both[labels[k]][k] += weight
+        assert np.allclose(p[:size], one / total) and np.allclose(p[size:], one / total)
+        assert np.allclose(pairs[:, 1:size], both[:, 1:] / total)
+
+
+def test_extraction_of_an_empty_table(spark, model):
+    pages = spark.createDataFrame([], "page_id long, url string, html string, text int")
+    assert extraction.extract_main_text(pages, model).count() == 0
+    assert extraction.extract_main_text(pages, extraction.train(pages, made_pages=40)).count() == 0
+
+
+def test_queries_without_sql_have_their_columns(spark):
+    want = {
+        "op3_license_scan": "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double",
+        "op9_html_extraction": "page_id bigint, url string, text string, n_chars bigint",
+        "op10_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    }
+    rows = {name: queries.queries()[name](spark, SF) for name in want}
+    assert {name: ", ".join(f"{n} {t}" for n, t in df.dtypes) for name, df in rows.items()} == want
+    got = {name: df.collect() for name, df in rows.items()}
+    source = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert len(got["op3_license_scan"]) == len(source) and all(r.n_chars == len(r.text) for r in got["op9_html_extraction"])
+    shards = got["op10_sharding"]
+    assert sorted(r.doc_id for r in shards) == sorted(source)
+    sizes, slots = Counter(), defaultdict(list)
+    for r in shards:
+        raw = source[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), "bytes", None)
+        sizes[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(sizes) <= set(range(40))
+    place, total = 0, sum(sizes.values())
+    for r in sorted(shards, key=lambda r: (hashlib.md5(source[r.doc_id].encode()).hexdigest(), r.doc_id)):
+        assert r.shard == min(39, place * 40 // total)
+        place += r.size
+
+
 @pytest.mark.parametrize(
     "page,want",
     [
