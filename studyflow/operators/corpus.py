@@ -159,7 +159,7 @@ def split_lines(lines: DataFrame) -> DataFrame:
         for pdf in batches:
             parts = [list(enumerate(split_structural(t or ""))) for t in pdf["text"]]
             out = pdf.drop(columns="text").loc[pdf.index.repeat([len(p) for p in parts])]
-            yield out.assign(part_no=[k for p in parts for k, _ in p], text=[x for p in parts for _, x in p])[schema.fieldNames()]
+            yield out.assign(part_no=[k for p in parts for k, _ in p], text=pd.Series([x for p in parts for _, x in p], dtype=object, index=out.index))[schema.fieldNames()]
 
     return lines.mapInPandas(run, schema)
 
@@ -172,7 +172,7 @@ def folded_pages(classified: DataFrame) -> DataFrame:
         found = clean_page(pdf["text"].tolist(), [r if isinstance(r, str) else None for r in pdf["reason"]])
         n = len(found.lines)
         return pd.DataFrame({
-            "document_id": pdf["document_id"].iloc[0], "page_number": pdf["page_number"].iloc[0], "line_no": [*range(n), -1], "text": [*found.lines, None],
+            "document_id": pdf["document_id"].iloc[0], "page_number": pdf["page_number"].iloc[0], "line_no": [*range(n), -1], "text": pd.Series([*found.lines, None], dtype=object),
             "merged": [0] * n + [found.merged], "split": [0] * n + [found.split],
         })
 
@@ -330,7 +330,7 @@ def chunk(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             cut = [chunk_text(t or "", size) for t in pdf["text"]]
-            yield pd.DataFrame({"document_id": pdf["document_id"].repeat([len(c) for c in cut]).to_numpy(), "chunk_no": [k for c in cut for k in range(len(c))], "text": [x for c in cut for x in c]})
+            yield pd.DataFrame({"document_id": pdf["document_id"].repeat([len(c) for c in cut]).to_numpy(), "chunk_no": [k for c in cut for k in range(len(c))], "text": pd.Series([x for c in cut for x in c], dtype=object)})
 
     kind = docs.schema["document_id"].dataType.simpleString()
     return docs.select("document_id", "text").mapInPandas(run, f"document_id {kind}, chunk_no long, text string")

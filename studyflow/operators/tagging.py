@@ -67,7 +67,7 @@ def _by_automaton(texts: DataFrame, names: list[str]) -> DataFrame:
         reader.make_automaton()
         for pdf in batches:
             held = [sorted({x for _, x in reader.iter(t)}) if t and names else [] for t in pdf["low"]]
-            yield pd.DataFrame({"id": pdf["id"].repeat([len(h) for h in held]).to_numpy(), "term": [x for h in held for x in h]})
+            yield pd.DataFrame({"id": pdf["id"].repeat([len(h) for h in held]).to_numpy(), "term": pd.Series([x for h in held for x in h], dtype=object)})
 
     return texts.select("id", F.lower("body").alias("low")).mapInPandas(run, f"id {kind}, term string").distinct()
 

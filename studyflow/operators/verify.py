@@ -200,7 +200,7 @@ def replace_quotes(docs: DataFrame, quotes: DataFrame, every: bool = False) -> D
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             done = [changed(t or "", [] if q is None else list(q), [] if r is None else list(r)) for t, q, r in zip(pdf["text"], pdf["quotes"], pdf["replacements"])]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [t for t, _ in done], "replaced": [n for _, n in done]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": pd.Series([t for t, _ in done], dtype=object), "replaced": [n for _, n in done]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInPandas(run, f"doc_id {kind}, text string, replaced long")

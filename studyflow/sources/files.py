@@ -34,7 +34,7 @@ def decode_contents(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"path": pdf["path"], "text": [decode(bytes(c)) if c is not None else None for c in pdf["content"]]})
+            yield pd.DataFrame({"path": pdf["path"], "text": pd.Series([decode(bytes(c)) if c is not None else None for c in pdf["content"]], dtype=object)})
 
     return files.select("path", "content").mapInPandas(run, "path string, text string")
 

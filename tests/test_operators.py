@@ -190,12 +190,13 @@ def test_tag_matches_keep_the_first_reason(spark):
 
 
 def test_bank_merge_is_idempotent(spark):
-    incoming = spark.createDataFrame([("f1", "q", 1, 5, "old", 1), ("f1", "q", 2, 6, "new", 2), ("f2", "q", 3, 7, "x", 3)], "fingerprint string, source_type string, source_question_id long, subject_id long, stem_text string, ord long")
-    items = spark.createDataFrame([], "fingerprint string, subject_id long, stem_text string")
-    links = spark.createDataFrame([], "source_type string, source_question_id long, fingerprint string")
+    rows = [("f1", "g1", "q", 1, 5, None, "old", 1), ("f1", "g1", "q", 2, 6, 3, "new", 2), ("f2", "g2", "q", 3, 7, None, "x", 3)]
+    incoming = spark.createDataFrame(rows, "fingerprint string, legacy string, source_type string, source_question_id long, subject_id long, category_id long, stem_text string, ord long")
+    items = spark.createDataFrame([], "fingerprint string, subject_id long, category_id long, stem_text string")
+    links = spark.createDataFrame([], "source_type string, source_question_id long, fingerprint string, status string")
     a, la = bank.bank_merge(items, links, incoming)
     b, lb = bank.bank_merge(a.drop("source_count"), la, incoming)
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and sorted(map(tuple, la.collect())) == sorted(map(tuple, lb.collect()))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) == [("f1", 5, 3, "new", 2), ("f2", 7, None, "x", 1)] and sorted(map(tuple, la.collect())) == sorted(map(tuple, lb.collect()))
 
 
 def test_options_and_markdown(spark):
@@ -219,12 +220,12 @@ def test_outline(spark):
     text = ["第1章 总论", "第一节 概述", "- 要点", "```", "# not", "```", "2.1 其他", "# 标题"]
     lines = spark.createDataFrame([("d", k, t) for k, t in enumerate(text)], "doc_id string, line_no int, text string")
     got = [(r.level, r.name, r.parent_line) for r in taxonomy.resolve_outline(taxonomy.parse_outlines(lines)).orderBy("line_no").collect()]
-    assert got == [(1, "总论", None), (2, "概述", 0), (3, "要点", 1), (2, "其他", 0), (1, "标题", None)]
+    assert got == [(1, "总论", None), (2, "概述", 0), (3, "要点", 1), (2, "其他", None), (1, "标题", None)]
 
 
 def test_quotes(spark):
     docs = spark.createDataFrame([(1, "He said **hello   World** today")], "doc_id long, text string")
-    quotes = spark.createDataFrame([(1, 0, "hello world"), (1, 1, "said"), (1, 2, "absent"), (1, 3, "")], "doc_id long, quote_no long, quote string")
+    quotes = spark.createDataFrame([(1, 0, "hello World"), (1, 1, "said"), (1, 2, "absent"), (1, 3, "")], "doc_id long, quote_no long, quote string")
     got = {r.quote_no: (r.start, r.length) for r in verify.locate_quotes(docs, quotes).collect()}
     assert got == {0: (10, 13), 1: (3, 4), 2: (-1, 0), 3: (-1, 0)}
 
@@ -243,9 +244,11 @@ def test_review_reports_years_of_no_source(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     from studyflow.plans.verify import i6
 
-    got = {r.doc_id: (r.issues.split(","), r.item_ids.split(","), r.passed) for r in i6(spark, str(tmp_path)).collect()}
-    assert got[1][0][-1] == "year_conflict" and len(got[1][1]) == len(got[1][0]) and not got[1][2]
-    assert "year_conflict" not in got[2][0]
+    got = {r.doc_id: (r.issues.split("; "), r.item_ids.split(","), r.passed) for r in i6(spark, str(tmp_path)).collect()}
+    conflict = "years that the sources do not have"
+    assert conflict in got[2][0] and len(got[2][1]) == len(got[2][0]) and not got[2][2]
+    years = verify.check_years(spark.createDataFrame([(1, "in 2003 and 1998"), (2, "1998"), (3, "2003"), (4, "none")], "doc_id long, text string"), spark.createDataFrame([(1, 0, "1998"), (2, 0, "1998"), (3, 0, "no year"), (4, 0, "1998")], "doc_id long, label long, text string"))
+    assert [tuple(r) for r in years.collect()] == [(1, "2003")]
 
 
 def test_short_numbers_of_entries_stay(spark):
