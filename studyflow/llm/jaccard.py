@@ -378,15 +378,28 @@ def _answers(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 
 def _verified(pairs: DataFrame, held: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Edges (node, root) of the pairs (a, b) that link: each ``a`` is answered among all its ``b``."""
-    rows = pairs.select(F.col("a").alias("group"), F.col("b").alias("node"), F.lit(False).alias("asked")).union(pairs.select("a", "a", F.lit(True)).distinct())
-    return _joined(rows.join(held, "node"), ["group"], shingle, percent)
+    """Edges (node, root) of the pairs (a, b) that link: each ``a`` is answered among its ``b``, ``ASK_SETS`` at a time.
 
-
-def _by_block(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows (node, block, ...) with what ``right`` says of their block, a row each; a block of many rows is dealt out by a salt."""
-    salted = left.withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(_SALTS)).cast("int"))
-    return salted.join(right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))), ["block", "salt"]).drop("salt")
+    A set of many pairs is an ``a``, so that it comes once for each ``ASK_SETS`` of them and not for every pair.
+    """
+    degrees = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("pairs"))
+    busy = written(degrees.where(F.col("pairs") > ASK_SETS))
+    turned, part = pairs, F.lit(0)
+    if busy.take(1):
+        of = lambda c: busy.select(F.col("node").alias(c), F.col("pairs").alias(f"p{c}"))
+        both = _with(_with(pairs, of("a"), "a", "b", "left"), of("b"), "b", "a", "left").na.fill(0, ["pa", "pb"])
+        turn = F.col("pb") > F.col("pa")
+        turned = both.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"), F.ceil(F.greatest("pa", "pb") / ASK_SETS).cast("int").alias("parts"))
+        part = F.pmod(F.xxhash64(F.lit(5), "b"), F.greatest("parts", F.lit(1))).cast("int")
+    cut = turned.select("a", "b", part.alias("part"))
+    rows = cut.select(F.col("a").alias("group"), "part", F.col("b").alias("node"), F.lit(False).alias("asked")).union(cut.select("a", "part", "a", F.lit(True)).distinct())
+    return _joined(rows.join(held, "node"), ["group", "part"], shingle, percent)
+
+
+def _with(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """Rows with what ``right`` says of their key, a row each; rows of a hot key are dealt out by a salt from column ``by``."""
+    salted = left.withColumn("salt", F.pmod(F.xxhash64(F.lit(3), by), F.lit(_SALTS)).cast("int"))
+    return salted.join(right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))), [key, "salt"], how).drop("salt")
 
 
 def _folded(maps: np.ndarray, size: int) -> np.ndarray:
@@ -398,15 +411,15 @@ def _folded(maps: np.ndarray, size: int) -> np.ndarray:
 
 
 def possible_pairs(askers: list[tuple], others: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """(node, node) of the pairs of askers and others, rows (node, n, bits, root) each, with different roots whose bit maps let them link."""
+    """(asker, other) of the pairs of rows (node, n, bits, root, asked) with different roots whose bit maps let them link; of two that both ask, once."""
     out = []
     for size in {len(o[2]) for o in others}:
         rows = [o for o in others if len(o[2]) == size]
-        node, n, root = (np.array([o[k] for o in rows]) for k in (0, 1, 3))
+        node, n, root, asks = (np.array([o[k] for o in rows]) for k in (0, 1, 3, 4))
         maps = np.frombuffer(b"".join(o[2] for o in rows), np.uint8).reshape(len(rows), size)
         small: dict[int, np.ndarray] = {}
-        for a, m, bits, there in askers:
-            fits = np.flatnonzero((n * 100 >= m * percent) & (m * 100 >= n * percent) & (root != there))
+        for a, m, bits, there, _ in askers:
+            fits = np.flatnonzero((n * 100 >= m * percent) & (m * 100 >= n * percent) & (root != there) & (~asks | (a < node)))
             if len(fits):
                 at = min(size, len(bits))
                 if at not in small:
@@ -419,30 +432,30 @@ def possible_pairs(askers: list[tuple], others: list[tuple], percent: int) -> li
 
 
 def _outside_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): sets of a block outside its largest component with all its sets of other components, if their bit maps allow.
+    """(a, b): each set ``a`` of a block outside its largest component with all its sets ``b`` of other components, if their bit maps allow.
 
     ``members`` is (node, n, bits, block, root, asked, parts, askers).  The sets of a block, and those that ask, are cut by hash
-    into parts of ``ASK_SETS``; each part of askers meets each part of sets in a task of its own.
+    into parts of ``ASK_SETS``; each part of askers meets each part of sets in a task of its own, so no pair comes twice.
     """
     part = lambda seed, c: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(c)).cast("int")
-    column = ["node", "n", "bits", "root"]
-    targets = members.select(*column, F.lit(False).alias("asked"), "block", part(1, "parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("to"))
-    asking = members.where("asked").select(*column, "asked", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), part(2, "askers").alias("to"))
-    dealt = targets.union(asking).repartition("block", "part", "to").sortWithinPartitions("block", "part", "to", F.desc("asked"))
+    column = ["node", "n", "bits", "root", "asked"]
+    targets = members.select(*column, F.lit(False).alias("asking"), "block", part(1, "parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("to"))
+    asking = members.where("asked").select(*column, F.lit(True).alias("asking"), "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), part(2, "askers").alias("to"))
+    dealt = targets.union(asking).repartition("block", "part", "to").sortWithinPartitions("block", "part", "to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, askers, others = None, [], []
         for batch in batches:
             out = []
-            for node, n, bits, root, asked, *own in zip(*(c.to_pylist() for c in batch.columns)):
+            for node, n, bits, root, asked, asks_here, *own in zip(*(c.to_pylist() for c in batch.columns)):
                 if own != key:
                     out += possible_pairs(askers, others, percent)
                     key, askers, others = own, [], []
-                (askers if asked else others).append((node, n, bits, root))
+                (askers if asks_here else others).append((node, n, bits, root, asked))
             yield from _pairs(out)
         yield from _pairs(possible_pairs(askers, others, percent))
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def _pairs(out: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
@@ -460,7 +473,7 @@ def set_components(docs: DataFrame, first: DataFrame, shingle: int, percent: int
     dropped(entries)
     sized = blocks.join(maps.select("node", "n"), "node")
     size = sized.groupBy("block").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    named = written(_by_block(blocks, size).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
+    named = written(_with(blocks, size, "block", "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(named.select("node")).distinct()
     held = written(_held(docs, needed, shingle, clash))
     by_pair = written(_verified(pairs, held, shingle, percent))
@@ -475,7 +488,7 @@ def set_components(docs: DataFrame, first: DataFrame, shingle: int, percent: int
     state = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sums = state.groupBy("block", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("block").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all"))
     cut = sums.where("all > most").select("block", "main", F.ceil(F.col("all") / ASK_SETS).cast("int").alias("parts"), F.ceil((F.col("all") - F.col("most")) / ASK_SETS).cast("int").alias("askers"))
-    members = _by_block(state, cut).withColumn("asked", F.col("root") != F.col("main")).join(maps, "node")
+    members = _with(state, cut, "block", "node").withColumn("asked", F.col("root") != F.col("main")).join(maps, "node")
     late = _verified(written(_outside_pairs(members, percent)), held, shingle, percent)
     return connected_components(edges.union(late.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
