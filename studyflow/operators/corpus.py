@@ -229,10 +229,15 @@ def _capped(signals: list[Column], worth: tuple[tuple[float, float], ...]) -> Co
     return out
 
 
+def _two_places(c: Column) -> Column:
+    """Rounded half to even as the binary number stands, not as its decimal text."""
+    return F.bround(F.round(c, 9) * 100, 0) / 100
+
+
 def _score(signals: list[Column], short: Column, lines: Column, removed: Column, lines_in: Column) -> Column:
     lost = F.least(F.lit(MOST_REMOVED), removed / F.greatest(lines_in, F.lit(1)) * PENALTY) + F.least(F.lit(MOST_SHORT), short / F.greatest(lines, F.lit(1)) * PENALTY)
     raw = F.lit(BASE) + _capped(signals, WORTH) - lost
-    return F.bround(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 9), 2)
+    return _two_places(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
 
 
 def _line_list(c: Column) -> Column:
@@ -252,7 +257,7 @@ def parse_score(c: Column) -> Column:
     lines = _line_list(c)
     short = F.size(F.filter(lines, lambda x: F.regexp_count(x, F.lit(M.SIGN)) <= 3)) / F.greatest(F.size(lines), F.lit(1))
     raw = _capped(_signals(strip(c)), PARSE_WORTH) - F.least(F.lit(2.0), short * 2)
-    return F.when(strip(F.coalesce(c, F.lit(""))) == "", 0.0).otherwise(F.greatest(F.lit(0.0), F.bround(F.round(raw, 9), 2)))
+    return F.when(strip(F.coalesce(c, F.lit(""))) == "", 0.0).otherwise(F.greatest(F.lit(0.0), _two_places(raw)))
 
 
 def meaningful(c: Column) -> Column:
