@@ -66,7 +66,9 @@ def repeated_noise(lines: DataFrame, min_hits: int = 2, min_pages: int = 2, max_
 
     Counts are per (document, page, key) before they meet, so a line on every page of a large document is no hot group.
     """
-    keyed = lines.withColumn("key", noise_key(F.col("text"))).where((F.col("key") != "") & (F.length("key") <= max_chars))
+    # A generator makes each key once, where a filter on it would make it again.
+    short = F.filter(F.array(noise_key(F.col("text"))), lambda k: (k != "") & (F.length(k) <= max_chars))
+    keyed = lines.select("document_id", "page_number", F.explode(short).alias("key"))
     pages = keyed.groupBy("document_id", "page_number", "key").agg(F.count(F.lit(1)).alias("n"))
     counts = pages.groupBy("document_id", "key").agg(F.sum("n").alias("hits"), F.count(F.lit(1)).alias("pages"))
     return counts.where((F.col("hits") >= min_hits) & (F.col("pages") >= min_pages) & ~high_signal(F.col("key")))

@@ -55,17 +55,25 @@ def _length_name(n: Column) -> Column:
     return out.otherwise(f"len:> {LENGTHS[-1]}")
 
 
-def _named(text: Column, found: list[tuple[Column, str]]) -> Column:
-    names = F.array(_length_name(F.length(compact(text))), *(F.when(c, name) for c, name in found))
-    return F.when(text == "", F.array(F.lit("empty"))).otherwise(F.array_compact(names))
+def _once(line: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """``f`` of a line with single blanks, and of it without white space; bound by a lambda, so that both are made once and not for every feature."""
+    text = F.regexp_replace(F.trim(F.coalesce(line, F.lit(""))), f"{SPACE}+", " ")
+    return F.get(F.transform(F.array(F.struct(F.trim(text).alias("t"), compact(line).alias("b"))), lambda s: f(s["t"], s["b"])), 0)
+
+
+def _named(text: Column, bare: Column, found: list[tuple[Column, str]]) -> Column:
+    names = F.array(_length_name(F.length(bare)), *(F.when(c, name) for c, name in found))
+    return F.when(text == "", F.array(F.lit("empty"))).otherwise(F.filter(names, lambda x: x.isNotNull()))
 
 
 def line_features(line: Column) -> Column:
     """Names of the features that a line has, for keeping or deleting it."""
-    text = F.regexp_replace(strip(F.coalesce(line, F.lit(""))), f"{SPACE}+", " ")
-    bare = compact(line)
+    return _once(line, _line_features)
+
+
+def _line_features(text: Column, bare: Column) -> Column:
     share = lambda pattern: F.regexp_count(bare, F.lit(pattern)) / F.greatest(F.length(bare), F.lit(1))
-    return _named(text, [
+    return _named(text, bare, [
         (_has(text, M.HINTS), "noise_hint"), (text.rlike(M.PAGE_NUMBER) | text.rlike(M.PAGE_OF), "page_number"), (text.rlike(M.SYMBOLS), "symbol_only"), (text.rlike(r"(?i)https?://|www\\."), "url"),
         (_has(F.lower(text), ("<img", "imgs/")), "image_ref"), (text.rlike(M.OPTION), "option_line"), (text.rlike(M.QUESTION), "question_start"), (text.rlike(M.SECTION_START), "section_header"),
         (_has(text, ("答案",)), "answer_marker"), (_has(text, ("解析",)), "analysis_marker"), (bare.rlike(M.SHORT_NUMBER), "digits_only_short"), (share("[0-9]") >= MOST_DIGITS, "mostly_digits"),
@@ -75,9 +83,11 @@ def line_features(line: Column) -> Column:
 
 def start_features(line: Column) -> Column:
     """Names of the features that a line has, for starting a question."""
-    text = F.regexp_replace(strip(F.coalesce(line, F.lit(""))), f"{SPACE}+", " ")
-    bare = compact(line)
-    return _named(text, [
+    return _once(line, _start_features)
+
+
+def _start_features(text: Column, bare: Column) -> Column:
+    return _named(text, bare, [
         (text.rlike(M.QUESTION), "regex_question_start"), (text.rlike(M.SECTION_START), "section_header"), (text.rlike(M.OPTION), "option_line"), (text.rlike(M.ANSWER_HEAD), "answer_line"),
         (text.rlike(M.ANALYSIS_LINE), "analysis_line"), (F.regexp_count(text, F.lit(M.LABEL)) >= 2, "dense_options"), (_has(text, ("（）", "()")) | _has(bare, ("()",)), "blank_slot"),
         (_has(text, ASKING), "question_prompt_word"), (_has(text, SHARED), "shared_context_word"), (bare.rlike(M.SHORT_NUMBER), "digits_only"),
@@ -86,8 +96,7 @@ def start_features(line: Column) -> Column:
 
 def never_dropped(line: Column) -> Column:
     """Lines that the keep/delete model leaves alone: starts, sections, options, answers and analyses."""
-    text = F.regexp_replace(strip(F.coalesce(line, F.lit(""))), f"{SPACE}+", " ")
-    return (text == "") | text.rlike(M.QUESTION) | text.rlike(M.SECTION_START) | text.rlike(M.OPTION) | (F.regexp_count(text, F.lit(M.LABEL)) >= 2) | _has(text, ("答案", "解析"))
+    return _once(line, lambda t, _: (t == "") | t.rlike(M.QUESTION) | t.rlike(M.SECTION_START) | t.rlike(M.OPTION) | (F.regexp_count(t, F.lit(M.LABEL)) >= 2) | _has(t, ("答案", "解析")))
 
 
 def question_key(line: Column) -> Column:
