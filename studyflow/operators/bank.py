@@ -170,8 +170,9 @@ def export_records(items: DataFrame, links: DataFrame, reviews: DataFrame) -> Da
     rows = rows.join(child_records(items, links, reviews).withColumnRenamed("parent_id", "bank_question_id"), "bank_question_id", "left")
     place = F.row_number().over(Window.partitionBy("paper_id").orderBy("sort_order", "source_question_id", "bank_question_id"))
     group = F.coalesce(F.col("node_role") == "group", F.lit(False)) | F.col("children").isNotNull()
-    full = N.clean(_kept(F.col("stem_text"), F.col("review_stem")))
-    shared, own = shared_and_own(full, F.col("source_raw_text"), F.col("review_stem"))
+    # Columns of their own, so that each is made once and not wherever it is used.
+    rows = rows.withColumns({"_full": N.clean(_kept(F.col("stem_text"), F.col("review_stem"))), "_raw": N.clean(F.col("source_raw_text")), "_review": N.clean(F.col("review_stem"))})
+    shared, own = shared_and_own(F.col("_full"), F.col("_raw"), F.col("_review"))
     group_stem = N.clean(_kept(F.col("group_stem"), F.col("review_group_stem"), F.col("stem_text")))
     options = option_labels(F.when(F.size("options") > 0, F.col("options")).otherwise(F.col("review_options")))
     none = F.lit(None).cast("string")
@@ -189,11 +190,11 @@ STEM_ENDS = r"^(答案[:：]|参考答案[:：]|正确答案[:：]|解析[:：]|
 
 
 def shared_and_own(full: Column, raw: Column, stem: Column) -> tuple[Column, Column]:
-    """The shared and the own part of a clean stem: if it ends with what the source's lines before the first option, answer or analysis say, that is its own, and the rest before is shared."""
-    lines = F.filter(F.split(N.clean(raw), "\n"), lambda x: x != "")
+    """The shared and the own part of a stem, from clean texts: if it ends with what the source's lines before the first option, answer or analysis say, that is its own, and the rest before is shared."""
+    lines = F.filter(F.split(raw, "\n"), lambda x: x != "")
     stop = F.array_position(F.transform(lines, lambda x: x.rlike(STEM_ENDS)), True)
     source = F.array_join(F.slice(lines, F.lit(1), F.when(stop > 0, stop - 1).otherwise(F.size(lines)).cast("int")), "\n")
-    own = F.when(source != "", source).otherwise(N.clean(stem))
+    own = F.when(source != "", source).otherwise(stem)
     before = F.trim(F.substr(full, F.lit(1), F.greatest(F.length(full) - F.length(own), F.lit(0))))
     ends = (own != "") & (full != own) & F.endswith(full, own) & (before != "")
     return F.when(ends, before).otherwise(""), F.when(ends, own).otherwise(full)
@@ -201,8 +202,9 @@ def shared_and_own(full: Column, raw: Column, stem: Column) -> tuple[Column, Col
 
 def split_shared_stem(questions: DataFrame) -> DataFrame:
     """(id, shared_stem, own_stem) of questions (id, stem_text, source_raw_text); no shared stem is null."""
-    shared, own = shared_and_own(N.clean(F.col("stem_text")), F.col("source_raw_text"), F.col("stem_text"))
-    return questions.select("id", F.nullif(shared, F.lit("")).alias("shared_stem"), own.alias("own_stem"))
+    rows = questions.select("id", N.clean(F.col("stem_text")).alias("_stem"), N.clean(F.col("source_raw_text")).alias("_raw"))
+    shared, own = shared_and_own(F.col("_stem"), F.col("_raw"), F.col("_stem"))
+    return rows.select("id", F.nullif(shared, F.lit("")).alias("shared_stem"), own.alias("own_stem"))
 
 
 #: Section names that stand as they are, the names that types give to all others, and the rest's; a value that is missing (fixed values).
