@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op1_benchmark_decontamination
+from .exact import OP13_SQL, op13_exact_dedup
 from .extraction import op9_html_extraction
 from .jaccard import op5_ngram_jaccard_join
 from .licenses import op3_license_scan
@@ -22,7 +23,7 @@ from .warc import OP8_SQL, op8_warc
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_benchmark_decontamination, op2_quality_rules, op3_license_scan, op4_line_dedup, op5_ngram_jaccard_join,
-        op6_url_filters, op7_mixing_sources, op8_warc, op9_html_extraction, op10_sharding,
+        op6_url_filters, op7_mixing_sources, op8_warc, op9_html_extraction, op10_sharding, op13_exact_dedup,
     )
     return {f.__name__: f for f in found}
 
@@ -30,5 +31,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_benchmark_decontamination": OP1_SQL, "op2_quality_rules": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_ngram_jaccard_join": OP5_SQL,
-        "op6_url_filters": OP6_SQL, "op7_mixing_sources": OP7_SQL, "op8_warc": OP8_SQL,
+        "op6_url_filters": OP6_SQL, "op7_mixing_sources": OP7_SQL, "op8_warc": OP8_SQL, "op13_exact_dedup": OP13_SQL,
     }
