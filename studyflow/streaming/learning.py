@@ -1,32 +1,46 @@
 """Learning state kept up to date as answers and events arrive.
 
-Streams are DataFrames from ``readStream``; each function returns a streaming DataFrame, and :func:`finished` runs one
-to the end of its input into Parquet files below the checkpoint folder.  State is keyed, so it is dealt out over the
-cluster by key, and late rows beyond the watermark are dropped.
+Streams are DataFrames from ``readStream``.  State is keyed, so it is dealt out over the cluster by key, lies in RocksDB,
+and ends with the watermark; rows that come later than it are dropped.  Saves of answers become changes (what a grade was
+and what it is now); the wrong book and the mastery counters follow the changes, so a save that overwrites another counts
+once.  A sink is a file sink or a :class:`~studyflow.streaming.keyed.KeyedTable`: a batch that runs again changes nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.tables import shared_folder
 from ..operators.learning import grade
+from .keyed import KeyedTable
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_end(stream: DataFrame, folder: str, batch: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> None:
+    """Run a stream over what its source holds now: each batch to ``batch``, or to Parquet files in ``folder``/out; its state lies in ``folder``/state."""
+    spark = stream.sparkSession
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKS)
+    try:
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        writer = writer.foreachBatch(batch) if batch else writer.format("parquet").option("path", f"{folder}/out")
+        writer.start().awaitTermination()
+    finally:
+        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
 
 
 def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All rows that the stream gives for what its source holds now, with ``batch_id``; a batch that runs again overwrites its own files."""
     spark, top = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
-
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{top}/out/batch_id={batch_id}")
-
-    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    run_to_end(stream, top, lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{top}/out/batch_id={batch_id}"), mode)
     spec = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema)
     return spark.read.schema(f"{spec}, batch_id int").parquet(f"{top}/out")
 
@@ -37,44 +51,196 @@ def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("s")).select(*keys, *(F.col(f"s.{c}").alias(c) for c in rest))
 
 
-def graded_stream(answers: DataFrame, expected: DataFrame, late: str = "1 hour") -> DataFrame:
-    """(id, question_id, answer, at, is_correct) of answers (id, question_id, answer, at), as they are saved (update mode).
+#: What graded_stream gives: the save that counts now, and the grade that it replaces (``revised``: there was one).
+CHANGE = "id long, user_id long, question_id long, answer string, at timestamp, is_correct boolean, revised boolean, was_correct boolean, was_at timestamp"
+
+
+class _LastSave(StatefulProcessor):
+    """State of an answer: time and grade of the save that counts; it ends when the watermark passes that time by ``keep``."""
+
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us long, is_correct boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        best = None
+        for frame in rows:  # a frame at a time: only its best row is kept
+            order = np.lexsort((frame["answer"].fillna("").to_numpy(str), frame["us"].to_numpy()))
+            row = frame.iloc[[order[-1]]]
+            if best is None or row["us"].iloc[0] >= best["us"].iloc[0]:
+                best = row
+        us = int(best["us"].iloc[0])
+        old = self.last.get() if self.last.exists() else None
+        if old is not None and us < old[0]:
+            return
+        right = best["is_correct"].iloc[0]
+        right = None if pd.isna(right) else bool(right)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(us // 1000 + self.keep_ms + 1)
+        self.last.update((us, right))
+        yield best.drop(columns="us").assign(
+            is_correct=pd.Series([right], best.index, object), revised=old is not None, was_correct=pd.Series([old[1] if old else None], best.index, object),
+            was_at=pd.Series([pd.Timestamp(old[0], unit="us") if old else pd.NaT], best.index, "datetime64[ns]"),
+        )
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
 
-    A later save of an id overwrites the one before, as long as it is not later than the watermark.  The expected answer
-    and the type come from a static table (question_id, expected, question_type); grades are those of ``grade``.
+    def close(self) -> None:
+        pass
+
+
+def _ms(spark: SparkSession, interval: str) -> int:
+    return spark.range(1).select(F.unix_millis(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {interval}"))).first()[0]
+
+
+def graded_stream(answers: DataFrame, expected: DataFrame, late: str = "1 hour", keep: str = "0 seconds") -> DataFrame:
+    """Changes (``CHANGE``) of answers (id, user_id, question_id, answer, at) as they are saved.
+
+    A later save of an id overwrites the one before; of equal times the one that comes later counts, and within a batch
+    the greater answer.  Saves more than ``late`` behind the latest are dropped.  The state of an id ends when the
+    watermark passes its last save by ``keep``; a save after that is a new answer.  The expected answer and the type come
+    from a static table (question_id, expected, question_type); grades are those of ``grade``.
     """
-    last = answers.withWatermark("at", late).groupBy("id", "question_id").agg(F.max_by("answer", "at").alias("answer"), F.max("at").alias("saved_at"))
-    graded = last.join(expected, "question_id").withColumn("is_correct", grade(F.col("answer"), F.col("expected"), F.col("question_type")))
-    return graded.select("id", "question_id", "answer", F.col("saved_at").alias("at"), "is_correct")
+    rows = answers.withWatermark("at", late).join(expected, "question_id")
+    graded = rows.select("id", "user_id", "question_id", "answer", "at", grade(F.col("answer"), F.col("expected"), F.col("question_type")).alias("is_correct"), F.unix_micros("at").alias("us"))
+    return graded.groupBy("id").transformWithStateInPandas(_LastSave(_ms(answers.sparkSession, keep)), CHANGE, "append", "EventTime")
 
 
-def wrong_book_stream(graded: DataFrame) -> DataFrame:
-    """(user_id, question_id, wrong_count, streak, mastered) after each batch with answers of the key.
+class _WrongBook(StatefulProcessor):
+    """State of a key: what its settled answers come to, and the answers that may still change, as a list on disk.
 
-    Rows are (user_id, question_id, id, at, is_correct); within a batch they are taken in order of time and id.  The
-    state of a key is two counters.
+    Settled are answers that the watermark has passed by ``keep``.  The counts need no order but the place of the last
+    wrong answer: the streak is the number of right ones after it, so the list is read through in chunks, twice.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        wrong, streak = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(batches)).sort_values(["at", "id"], kind="stable")
-        for right in rows["is_correct"]:
-            if right is True or (right is not None and right == True):  # noqa: E712  null is wrong
-                streak += 1 if wrong else 0
-            else:
-                wrong, streak = wrong + 1, 0
-        state.update((wrong, streak))
-        if wrong:
-            yield pd.DataFrame({"user_id": [key[0]], "question_id": [key[1]], "wrong_count": [wrong], "streak": [streak], "mastered": [streak >= 2]})
+    CHUNK = 2000
+
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.settled = handle.getValueState("settled", "wrong long, us long, id long, streak long")
+        self.lists = [handle.getListState(n, "id long, us long, is_right boolean, revised boolean") for n in ("open_a", "open_b")]
+        self.turn = handle.getValueState("turn", "turn int, first long")
+
+    def _open(self, which: int) -> Iterator[tuple]:
+        return iter(self.lists[which].get()) if self.lists[which].exists() else iter(())
+
+    def _answers(self, which: int, revised: dict) -> Iterator[tuple]:
+        """(us, id, right) of every open answer, as last revised; ``revised`` has the last state of those with several."""
+        given = set()
+        for id_, us, right, _ in self._open(which):
+            if id_ not in revised:
+                yield us, id_, right
+            elif id_ not in given:
+                given.add(id_)
+                yield revised[id_]
+
+    def _counted(self, which: int, revised: dict, upto: float = float("inf")) -> tuple:
+        wrong, last_us, last_id, streak = self.settled.get() if self.settled.exists() else (0, -(1 << 62), -(1 << 62), 0)
+        last, new = (last_us, last_id), 0
+        for us, id_, right in self._answers(which, revised):
+            if us <= upto and not right:
+                new, last = new + 1, max(last, (us, id_))
+        if new and last > (last_us, last_id):
+            streak = 0  # rights settled before are older than any open answer
+        for us, id_, right in self._answers(which, revised):
+            if us <= upto and right and (us, id_) > last and wrong + new:
+                streak += 1
+        return wrong + new, *last, streak
 
+    def _revised(self, which: int) -> dict:
+        """Last state of each answer that was revised while open; few, as answers are revised within ``keep``."""
+        found: dict = {}
+        for id_, us, right, again in self._open(which):
+            if again and (id_ not in found or us >= found[id_][0]):
+                found[id_] = (us, id_, right)
+        return found
+
+    def _settle(self, upto: int) -> None:
+        """Move the answers up to a time from the list into the counts, and the others into the other list."""
+        which, first = self.turn.get() if self.turn.exists() else (0, 1 << 62)
+        if first > upto:
+            return
+        revised = self._revised(which)
+        counted = self._counted(which, revised, upto)
+        rest, left = [], 1 << 62
+        for us, id_, right in self._answers(which, revised):
+            if us > upto:
+                rest.append((id_, us, right, False))
+                left = min(left, us)
+            if len(rest) == self.CHUNK:
+                self.lists[1 - which].appendList(rest)
+                rest = []
+        if rest:
+            self.lists[1 - which].appendList(rest)
+        self.lists[which].clear()
+        self.settled.update(counted)
+        self.turn.update((1 - which, left))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self._settle(timerValues.getCurrentWatermarkInMs() * 1000 - self.keep_ms * 1000)
+        which, first = self.turn.get() if self.turn.exists() else (0, 1 << 62)
+        most = 0
+        for frame in rows:
+            right = [x is True or x == True for x in frame["is_correct"]]  # noqa: E712  null is wrong
+            held = list(zip(frame["id"].tolist(), frame["us"].tolist(), right, frame["revised"].tolist()))
+            for a in range(0, len(held), self.CHUNK):
+                self.lists[which].appendList(held[a : a + self.CHUNK])
+            first, most = min(first, *(x[1] for x in held)), max(most, *(x[1] for x in held))
+        self.turn.update((which, first))
+        self.handle.registerTimer(most // 1000 + self.keep_ms + 1)
+        wrong, _, _, streak = self._counted(which, self._revised(which))
+        yield pd.DataFrame({"user_id": [key[0]], "question_id": [key[1]], "wrong_count": [wrong], "streak": [streak], "mastered": [wrong > 0 and streak >= 2]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._settle(timerValues.getCurrentWatermarkInMs() * 1000 - self.keep_ms * 1000)
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def wrong_book_stream(changes: DataFrame, late: str = "1 hour", keep: str = "0 seconds") -> DataFrame:
+    """(user_id, question_id, wrong_count, streak, mastered) after each batch with changes of the key.
+
+    ``changes`` are those of :func:`graded_stream`, or plain graded answers (user_id, question_id, id, at, is_correct).
+    Answers count in order of time and id, whatever order they come in; one that is revised counts as last saved.
+    """
+    rows = changes if "revised" in changes.columns else changes.withColumn("revised", F.lit(False))
+    rows = rows.withWatermark("at", late).select("user_id", "question_id", "id", "at", "is_correct", "revised", F.unix_micros("at").alias("us"))
     out = "user_id long, question_id long, wrong_count long, streak long, mastered boolean"
-    return graded.groupBy("user_id", "question_id").applyInPandasWithState(step, out, "wrong long, streak long", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("user_id", "question_id").transformWithStateInPandas(_WrongBook(_ms(changes.sparkSession, keep)), out, "update", "EventTime")
+
+
+def wrong_book_table(spark: SparkSession, folder: str) -> KeyedTable:
+    types = {"user_id": "long", "question_id": "long", "wrong_count": "long", "streak": "long", "mastered": "boolean"}
+    return KeyedTable(spark, folder, ["user_id", "question_id"], types, latest=["wrong_count", "streak", "mastered"])
 
 
-def mastery_stream(graded: DataFrame, question_points: DataFrame) -> DataFrame:
-    """Running counters per (user, point): answered, correct (update mode)."""
-    rows = graded.join(question_points, "question_id")
-    return rows.groupBy("user_id", "point_id").agg(F.count(F.lit(1)).alias("answered"), F.count_if(F.coalesce("is_correct", F.lit(False))).alias("correct"))
+def mastery_table(spark: SparkSession, folder: str) -> KeyedTable:
+    types = {"user_id": "long", "point_id": "long", "answered": "long", "correct": "long"}
+    return KeyedTable(spark, folder, ["user_id", "point_id"], types, sums=["answered", "correct"])
+
+
+def mastery_changes(changes: DataFrame, question_points: DataFrame) -> DataFrame:
+    """(user_id, point_id, answered, correct): what changes add to the counters; a revision adds no answer, only the difference of its grades."""
+    rows = changes if "revised" in changes.columns else changes.withColumns({"revised": F.lit(False), "was_correct": F.lit(None).cast("boolean")})
+    right = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("long")
+    adds = rows.select("user_id", "question_id", (~F.col("revised")).cast("long").alias("answered"), (right("is_correct") - F.when(F.col("revised"), right("was_correct")).otherwise(0)).alias("correct"))
+    return adds.join(question_points, "question_id").select("user_id", "point_id", "answered", "correct")
+
+
+def mastery_stream(changes: DataFrame, question_points: DataFrame, table: KeyedTable, folder: str) -> None:
+    """Merge the counters per (user, point) into ``table`` to the end of the stream."""
+    run_to_end(changes, folder, lambda batch, n: table.merge(mastery_changes(batch, question_points), n))
 
 
 def activity_windows(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -90,13 +256,36 @@ def activity_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1
     return counts.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def version_stream(events: DataFrame) -> DataFrame:
-    """(topic_id, id, version) of topic events (topic_id, id, at) as they arrive; the state of a topic is its last version."""
+def number_batch(batch: DataFrame, last: DataFrame, scratch: str) -> DataFrame:
+    """(topic_id, id, version) of a batch (topic_id, id, at): versions go on from ``last`` (topic_id, n), in order of time and id.
+
+    Rows are cut into sorted ranges, so a topic with a large part of all rows lies in many; each range numbers its rows
+    from the counts of the ranges before.
+    """
+    spark = batch.sparkSession
+    ranged = batch.select("topic_id", "id", "at").repartitionByRange("topic_id", "at", "id").withColumn("run", F.spark_partition_id())
+    ranged.write.mode("overwrite").parquet(scratch)  # a second pass over the plan could draw other ranges
+    rows = spark.read.schema(ranged.schema).parquet(scratch)
+    counts = rows.groupBy("topic_id", "run").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("topic_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.withColumn("before", before).join(last.select("topic_id", F.col("n").alias("last")), "topic_id", "left")
+    placed = rows.join(starts.select("topic_id", "run", (F.col("before") + F.coalesce("last", F.lit(0))).alias("start")), ["topic_id", "run"])
+    within = F.row_number().over(Window.partitionBy("topic_id", "run").orderBy("at", "id"))
+    return placed.select("topic_id", "id", (F.col("start") + within).cast("long").alias("version"))
+
+
+def version_stream(events: DataFrame, folder: str | None = None) -> DataFrame:
+    """(topic_id, id, version, batch_id) of topic events (topic_id, id, at) up to the end of the stream.
+
+    A topic's events are counted in a keyed table; a batch's versions go on from the count of the batches before it.
+    """
+    spark = events.sparkSession
+    top = folder or shared_folder(spark, "stream")
+    table = KeyedTable(spark, f"{top}/topics", ["topic_id"], {"topic_id": "long", "n": "long"}, sums=["n"])
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["at", "id"], kind="stable")
-        state.update((last + len(rows),))
-        yield pd.DataFrame({"topic_id": key[0], "id": rows["id"], "version": range(last + 1, last + len(rows) + 1)})
+    def number(batch: DataFrame, n: int) -> None:
+        number_batch(batch, table.current(before=n), f"{top}/runs/batch_id={n}").write.mode("overwrite").parquet(f"{top}/out/batch_id={n}")
+        table.merge(spark.read.parquet(f"{top}/out/batch_id={n}").groupBy("topic_id").agg(F.count(F.lit(1)).alias("n")), n)
 
-    return events.groupBy("topic_id").applyInPandasWithState(step, "topic_id long, id long, version long", "last long", "append", GroupStateTimeout.NoTimeout)
+    run_to_end(events, top, number)
+    return spark.read.schema("topic_id long, id long, version long, batch_id int").parquet(f"{top}/out")
