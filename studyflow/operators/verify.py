@@ -12,12 +12,26 @@ from pyspark.sql import functions as F
 
 #: Limits of claims and tokens (fixed values).
 SENTENCES, CLAIMS, LEAST_CHARS, MOST_CHARS, TOKENS, NUMBERS, ENTAILED = 10, 8, 8, 220, 12, 80, 0.35
+#: Words that entailment compares, and years (fixed values).
+WORD, YEAR = r"[\x{4E00}-\x{9FA5}]{2,}|[A-Za-z0-9]{3,}", r"(?:19|20)\p{Nd}{2}"
+
+
+#: What counts as white space, and the marks that end a sentence (fixed values).
+SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+ENDS = "。！？!?；;"
 
 
 def extract_claims(docs: DataFrame) -> DataFrame:
-    """(doc_id, claim_no, text): sentences of at least 8 characters, cut at 220; of the first ten the first eight."""
-    parts = F.transform(F.split("text", r"[。！？!?；;.\n]+"), lambda x: F.trim(x))
-    kept = F.transform(F.filter(parts, lambda x: F.length(x) >= LEAST_CHARS), lambda x: F.substring(x, 1, MOST_CHARS))
+    """(doc_id, claim_no, text): sentences of at least 8 characters, cut at 220; of the first ten the first eight.
+
+    White space becomes one blank.  A sentence ends at a mark that a blank follows; a text without such a place is split
+    at the marks themselves.  Points end no sentence, so decimals stay whole.
+    """
+    clean = F.btrim(F.regexp_replace("text", SPACE, " "))
+    spaced = F.split(F.regexp_replace(clean, f"([{ENDS}]) ", "$1\n"), "\n")
+    parts = F.when(F.size(spaced) > 1, spaced).otherwise(F.split(clean, f"[{ENDS}]"))
+    trimmed = F.transform(parts, lambda x: F.btrim(x, F.lit(" -\t")))
+    kept = F.transform(F.filter(trimmed, lambda x: F.length(x) >= LEAST_CHARS), lambda x: F.substring(x, 1, MOST_CHARS))
     return docs.select("doc_id", F.posexplode(F.slice(F.slice(kept, 1, SENTENCES), 1, CLAIMS)).alias("claim_no", "text"))
 
 
@@ -46,17 +60,17 @@ def source_text(sources: DataFrame) -> DataFrame:
 
 
 def entail(claims: DataFrame, sources: DataFrame) -> DataFrame:
-    """Share of a claim's first twelve distinct words (two CJK or three Latin letters) that the sources contain, and whether it is enough."""
+    """Share of the distinct ones of a claim's first twelve words (two Han signs or three letters or digits, as written) that the sources contain, and whether it is enough."""
     rows = claims.join(source_text(sources), "doc_id", "left")
-    tokens = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\x{4E00}-\x{9FFF}]{2,}|[a-z0-9à-ÿ]{3,}"), 0)), 1, TOKENS)
-    held = F.size(F.filter(tokens, lambda t: F.contains(F.lower(F.coalesce("source", F.lit(""))), t)))
-    score = F.bround(F.coalesce(F.try_divide(held, F.size(tokens)), F.lit(0.0)), 2)
-    return rows.select("doc_id", "claim_no", score.alias("score"), (score >= ENTAILED).alias("entailed"))
+    words = F.array_distinct(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), 1, TOKENS))
+    held = F.size(F.filter(words, lambda t: F.contains(F.coalesce("source", F.lit("")), t)))
+    share = F.coalesce(F.try_divide(held, F.size(words)), F.lit(0.0))
+    return rows.select("doc_id", "claim_no", F.bround(share, 2).alias("score"), (share >= ENTAILED).alias("entailed"))
 
 
 def check_numbers(claims: DataFrame, sources: DataFrame) -> DataFrame:
     """Per document with sources: distinct numbers of its claims (the first 80 by claim), and how many no source contains."""
-    numbers = claims.select("doc_id", "claim_no", F.posexplode(F.regexp_extract_all("text", F.lit(r"[0-9]+(?:\.[0-9]+)?%?"), 0)).alias("pos", "number"))
+    numbers = claims.select("doc_id", "claim_no", F.posexplode(F.regexp_extract_all("text", F.lit(r"\p{Nd}+(?:\.\p{Nd}+)?%?"), 0)).alias("pos", "number"))
     first = numbers.groupBy("doc_id", "number").agg(F.min(F.struct("claim_no", "pos")).alias("o"))
     ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("o"))).where(F.col("r") <= NUMBERS)
     rows = ranked.join(source_text(sources), "doc_id")
@@ -64,14 +78,13 @@ def check_numbers(claims: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def years_of(c: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])"), 1)))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(YEAR), 0)))
 
 
 def check_years(docs: DataFrame, sources: DataFrame) -> DataFrame:
-    """Documents whose years are not all among their sources', where these have any: the missing years, sorted, twenty at most."""
-    rows = docs.join(source_text(sources), "doc_id")
-    odd = F.array_except(years_of(F.col("text")), years_of(F.col("source")))
-    return rows.where((F.size(odd) > 0) & (F.size(years_of(F.col("source"))) > 0)).select("doc_id", F.array_join(F.slice(odd, 1, 20), ",").alias("years"))
+    """(doc_id, result_years, source_years) of documents whose years are not all among their sources', where these have any; all years of the document and the first twenty of the sources, sorted."""
+    rows = docs.join(source_text(sources), "doc_id").select("doc_id", years_of(F.col("text")).alias("result_years"), years_of(F.col("source")).alias("source_years"))
+    return rows.where((F.size("source_years") > 0) & (F.size(F.array_except("result_years", "source_years")) > 0)).withColumn("source_years", F.slice("source_years", 1, 20))
 
 
 #: Issues and what to do about each; N stands for a count.
@@ -101,7 +114,7 @@ def review_report(docs: DataFrame, sources: DataFrame, citations: DataFrame, ent
     n = lambda c: F.coalesce(c, F.lit(0))
     found = [
         ("no_sources", F.lit(mode == "document_only") & ~some, None), ("no_model", F.lit(mode == "llm_only" and model is None), None), ("citations", strict & (n("missing") + n("invalid") > 0), None),
-        ("entailment", strict & (n("weak") > 0), "weak"), ("years", F.lit(by_documents) & F.col("years").isNotNull(), None), ("numbers", strict & (n("unsupported") > 0), "unsupported"),
+        ("entailment", strict & (n("weak") > 0), "weak"), ("years", F.lit(by_documents) & F.col("result_years").isNotNull(), None), ("numbers", strict & (n("unsupported") > 0), "unsupported"),
     ]
     last = ("unverified", F.lit(mode == "hybrid") & ~strict & ~some, None)
 

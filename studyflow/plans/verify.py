@@ -10,16 +10,17 @@ from .base import query, table
 
 _BASE = """dc AS (SELECT conv_id AS doc_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations WHERE role = 'assistant' GROUP BY 1),
 so AS (SELECT conv_id AS doc_id, turn AS label, length(text) % 5 AS file_id, conv_id % 3 AS chunk_id, text FROM conversations WHERE role <> 'assistant'), st AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY label, text) AS source FROM so GROUP BY 1),
-cs AS (SELECT doc_id, list_transform(list_filter(list_transform(regexp_split_to_array(text, '[。！？!?；;.\\n]+'), lambda x: trim(x)), lambda x: length(x) >= 8), lambda x: substr(x, 1, 220))[1:8] AS c FROM dc),
+cx AS (SELECT doc_id, trim(regexp_replace(text, '[\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')) AS x FROM dc),
+cy AS (SELECT doc_id, CASE WHEN regexp_matches(x, '[。！？!?；;] ') THEN string_split(regexp_replace(x, '([。！？!?；;]) ', '\\1' || chr(10), 'g'), chr(10)) ELSE regexp_split_to_array(x, '[。！？!?；;]') END AS p FROM cx),
+cs AS (SELECT doc_id, list_transform(list_filter(list_transform(p, lambda x: trim(x, ' -' || chr(9))), lambda x: length(x) >= 8), lambda x: substr(x, 1, 220))[1:8] AS c FROM cy),
 cl AS (SELECT doc_id, (generate_subscripts(c, 1) - 1)::INT AS claim_no, unnest(c) AS text FROM cs),
 ci AS (SELECT doc_id, claim_no, CASE WHEN claim_no = 4 THEN -1 ELSE (SELECT min(label) FROM so WHERE so.doc_id = cl.doc_id) END AS label, CASE WHEN claim_no % 2 = 0 THEN claim_no % 5 END AS file_id, CASE WHEN claim_no % 3 = 1 THEN 1 END AS chunk_id FROM cl WHERE (doc_id + claim_no) % 7 > 0),
 cc AS (SELECT doc_id, count(*) AS claims, count(*) FILTER (WHERE (doc_id + claim_no) % 7 = 0) AS missing,
   (SELECT count(*) FROM ci WHERE ci.doc_id = cl.doc_id AND NOT (EXISTS (SELECT 1 FROM so WHERE so.doc_id = ci.doc_id AND so.label = ci.label) AND (file_id IS NULL OR EXISTS (SELECT 1 FROM so WHERE so.doc_id = ci.doc_id AND so.file_id = ci.file_id)) AND (chunk_id IS NULL OR EXISTS (SELECT 1 FROM so WHERE so.doc_id = ci.doc_id AND so.chunk_id = ci.chunk_id)))) AS invalid FROM cl GROUP BY 1)"""
-_ENTAIL = r"""tk AS (SELECT doc_id, claim_no, regexp_extract_all(lower(text), '[\x{4E00}-\x{9FFF}]{2,}|[a-z0-9à-ÿ]{3,}') AS t FROM cl), tu AS (SELECT doc_id, claim_no, unnest(t) AS w, generate_subscripts(t, 1) AS o FROM tk),
-tf AS (SELECT doc_id, claim_no, w, row_number() OVER (PARTITION BY doc_id, claim_no ORDER BY min(o)) AS r FROM tu GROUP BY doc_id, claim_no, w),
-te AS (SELECT tf.doc_id, claim_no, count(*) FILTER (WHERE contains(lower(coalesce(source, '')), w))::DOUBLE / count(*) AS share FROM tf LEFT JOIN st ON st.doc_id = tf.doc_id WHERE r <= 12 GROUP BY 1, 2),
-en AS (SELECT cl.doc_id, cl.claim_no, round_even(coalesce(share, 0), 2) AS score FROM cl LEFT JOIN te ON te.doc_id = cl.doc_id AND te.claim_no = cl.claim_no)"""
-_NUMBERS = r"""nu AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?%?')) AS number FROM cl), nn AS (SELECT nu.doc_id, count(*) AS numbers, count(*) FILTER (WHERE NOT contains(source, number)) AS unsupported FROM nu JOIN st ON st.doc_id = nu.doc_id GROUP BY 1)"""
+_ENTAIL = r"""tk AS (SELECT doc_id, claim_no, list_distinct(regexp_extract_all(text, '[\x{4E00}-\x{9FA5}]{2,}|[A-Za-z0-9]{3,}')[1:12]) AS t FROM cl),
+tf AS (SELECT doc_id, claim_no, unnest(t) AS w FROM tk), te AS (SELECT tf.doc_id, claim_no, count(*) FILTER (WHERE contains(coalesce(source, ''), w))::DOUBLE / count(*) AS share FROM tf LEFT JOIN st ON st.doc_id = tf.doc_id GROUP BY 1, 2),
+en AS (SELECT cl.doc_id, cl.claim_no, round_even(coalesce(share, 0), 2) AS score, coalesce(share, 0) >= 0.35::DOUBLE AS entailed FROM cl LEFT JOIN te ON te.doc_id = cl.doc_id AND te.claim_no = cl.claim_no)"""
+_NUMBERS = r"""nu AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\p{Nd}+(?:\.\p{Nd}+)?%?')) AS number FROM cl), nn AS (SELECT nu.doc_id, count(*) AS numbers, count(*) FILTER (WHERE NOT contains(source, number)) AS unsupported FROM nu JOIN st ON st.doc_id = nu.doc_id GROUP BY 1)"""
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def i2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checked(spark, sf_dir)
 
 
-@query("i3_entailment", f"WITH {_BASE}, {_ENTAIL} SELECT *, score >= 0.35::DOUBLE AS entailed FROM en")
+@query("i3_entailment", f"WITH {_BASE}, {_ENTAIL} SELECT * FROM en")
 def i3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.entail(_claims(spark, sf_dir), _sources(spark, sf_dir))
 
@@ -65,21 +66,20 @@ def i4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.check_numbers(_claims(spark, sf_dir), _sources(spark, sf_dir))
 
 
-_YEARS = "(19|20)[0-9]{2}"
-
-
-@query("i5_years", """WITH d AS (SELECT o_orderkey AS doc_id, 'in ' || year(o_orderdate) || ' and ' || (year(o_orderdate) + o_orderkey % 3) || ' of 12345' AS text, 'from ' || year(o_orderdate) AS source FROM orders)
-SELECT doc_id, (regexp_extract(source, '([0-9]{4})', 1)::INT + doc_id % 3)::VARCHAR AS years FROM d WHERE doc_id % 3 > 0""")
+@query("i5_years", r"""WITH d AS (SELECT o_orderkey AS doc_id, 'in ' || year(o_orderdate) || ' and ' || (year(o_orderdate) + o_orderkey % 3) || ' of 4' || (year(o_orderdate) - o_orderkey % 2) || '7' AS text, 'from ' || year(o_orderdate) AS source FROM orders),
+y AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '(?:19|20)\p{Nd}{2}'))) AS r, list_sort(list_distinct(regexp_extract_all(source, '(?:19|20)\p{Nd}{2}'))) AS s FROM d)
+SELECT doc_id, array_to_string(r, ',') AS result_years, array_to_string(s[1:20], ',') AS source_years FROM y WHERE len(s) > 0 AND NOT list_has_all(s, r)""")
 def i5(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", "year(o_orderdate) AS y")
-    docs = o.select("doc_id", F.concat(F.lit("in "), "y", F.lit(" and "), F.col("y") + F.col("doc_id") % 3, F.lit(" of 12345")).alias("text"))
-    return X.check_years(docs, o.select("doc_id", F.lit(1).alias("label"), F.concat(F.lit("from "), "y").alias("text")))
+    docs = o.select("doc_id", F.concat(F.lit("in "), "y", F.lit(" and "), F.col("y") + F.col("doc_id") % 3, F.lit(" of 4"), F.col("y") - F.col("doc_id") % 2, F.lit("7")).alias("text"))
+    found = X.check_years(docs, o.select("doc_id", F.lit(1).alias("label"), F.concat(F.lit("from "), "y").alias("text")))
+    return found.select("doc_id", F.array_join("result_years", ",").alias("result_years"), F.array_join("source_years", ",").alias("source_years"))
 
 
 # Conversations name few years, so the report reads texts with a year each: the claims' last turn, and the sources' first.
 _REPORT = f"""yd AS (SELECT doc_id, text || ' ' || (2000 + doc_id % 4) AS text FROM dc), ys AS (SELECT doc_id, source || ' 2001 2003' AS source FROM st),
 yr AS (SELECT yd.doc_id FROM yd JOIN ys ON ys.doc_id = yd.doc_id WHERE len(list_filter(list_distinct(regexp_extract_all(yd.text, '(?:19|20)[0-9][0-9]')), lambda y: NOT list_contains(regexp_extract_all(ys.source, '(?:19|20)[0-9][0-9]'), y))) > 0),
-md AS (SELECT doc_id, ['a model says so', ' '] AS mi, ['ask again', 'cite a source for every claim'] AS ms FROM dc WHERE doc_id % 3 = 0), we AS (SELECT doc_id, count(*) FILTER (WHERE score < 0.35::DOUBLE) AS weak FROM en GROUP BY 1),
+md AS (SELECT doc_id, ['a model says so', ' '] AS mi, ['ask again', 'cite a source for every claim'] AS ms FROM dc WHERE doc_id % 3 = 0), we AS (SELECT doc_id, count(*) FILTER (WHERE NOT entailed) AS weak FROM en GROUP BY 1),
 rp AS (SELECT dc.doc_id, st.doc_id IS NOT NULL AS strict, coalesce(missing + invalid, 0) > 0 AS bad, coalesce(weak, 0) AS weak, coalesce(unsupported, 0) AS uns, yr.doc_id IS NOT NULL AS yc, coalesce(mi, []) AS mi, coalesce(ms, []) AS ms
   FROM dc LEFT JOIN st ON st.doc_id = dc.doc_id LEFT JOIN cc ON cc.doc_id = dc.doc_id LEFT JOIN we ON we.doc_id = dc.doc_id LEFT JOIN nn ON nn.doc_id = dc.doc_id LEFT JOIN yr ON yr.doc_id = dc.doc_id LEFT JOIN md ON md.doc_id = dc.doc_id),
 rl AS (SELECT doc_id, strict, list_filter(list_concat([CASE WHEN strict AND bad THEN 'claims with missing or invalid citations' END, CASE WHEN strict AND weak > 0 THEN weak || ' claims not supported by the sources' END, CASE WHEN yc THEN 'years that the sources do not have' END,

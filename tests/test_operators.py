@@ -248,7 +248,36 @@ def test_review_reports_years_of_no_source(spark, tmp_path):
     conflict = "years that the sources do not have"
     assert conflict in got[2][0] and len(got[2][1]) == len(got[2][0]) and not got[2][2]
     years = verify.check_years(spark.createDataFrame([(1, "in 2003 and 1998"), (2, "1998"), (3, "2003"), (4, "none")], "doc_id long, text string"), spark.createDataFrame([(1, 0, "1998"), (2, 0, "1998"), (3, 0, "no year"), (4, 0, "1998")], "doc_id long, label long, text string"))
-    assert [tuple(r) for r in years.collect()] == [(1, "2003")]
+    assert [tuple(r) for r in years.collect()] == [(1, ["1998", "2003"], ["1998"])]
+    joined = verify.check_years(spark.createDataFrame([(1, "no. 120207")], "doc_id long, text string"), spark.createDataFrame([(1, 0, "1999 and 1901-" + "-".join(str(y) for y in range(1950, 1990)))], "doc_id long, label long, text string"))
+    assert [(r.result_years, len(r.source_years), r.source_years[0]) for r in joined.collect()] == [(["2020"], 20, "1901")]
+
+
+def test_claims_keep_decimals(spark):
+    """Sentences end at marks, not at points; Latin and Han sentences, blank kinds, short pieces and long ones."""
+    texts = [
+        (1, "The rate was 3.5% in 2001; it fell to 12.25% later! Was it 0.75?"), (2, "今年的利润是3.5万元。明年预计达到十二点五万元；之后不再变化"), (3, "第一句话说明情况如此。 第二句话　也是这样说的？ 短。"), (4, "no mark at all, 1.5 to 2.5"), (5, "- listed item one.\n- listed item two; \t third"),
+        (6, "x" * 300 + "!"), (7, ""), (8, None), (9, " ".join(f"sentence number {k}!" for k in range(12))),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {}
+    for r in verify.extract_claims(docs).orderBy("doc_id", "claim_no").collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+    assert got == {
+        1: ["The rate was 3.5% in 2001;", "it fell to 12.25% later!", "Was it 0.75?"], 2: ["今年的利润是3.5万元", "明年预计达到十二点五万元"], 3: ["第一句话说明情况如此。", "第二句话 也是这样说的？"], 4: ["no mark at all, 1.5 to 2.5"],
+        5: ["listed item one. - listed item two;"], 6: ["x" * 220], 9: [f"sentence number {k}!" for k in range(8)],
+    }
+    sources = spark.createDataFrame([(1, 0, "13.5% and 12 and 25%"), (4, 0, "from 1.5 to 2.5"), (2, 0, "今年的利润是3.5万元")], "doc_id long, label long, text string")
+    claims = verify.extract_claims(docs)
+    assert {r.doc_id: (r.numbers, r.unsupported) for r in verify.check_numbers(claims, sources).collect()} == {1: (4, 3), 2: (1, 0), 4: (2, 0)}
+    scores = {(r.doc_id, r.claim_no): (r.score, r.entailed) for r in verify.entail(claims, sources).collect()}
+    assert scores[4, 0] == (0.0, False) and scores[2, 0] == (1.0, True) and scores[1, 0] == (0.0, False)
+
+
+def test_entailment_takes_twelve_words_as_written(spark):
+    claims = spark.createDataFrame([(1, 0, "same same same same same same same same same same same Word other")], "doc_id long, claim_no int, text string")
+    sources = spark.createDataFrame([(1, 0, "same word other")], "doc_id long, label long, text string")
+    assert verify.entail(claims, sources).first().score == 0.5
 
 
 def test_short_numbers_of_entries_stay(spark):

@@ -140,7 +140,7 @@ def test_quotes(spark):
 def test_reviews_without_sources(spark, mode, want):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     none = lambda spec: spark.createDataFrame([], spec)
-    found = verify.review_report(docs, none("doc_id long, label long"), none("doc_id long, missing long, invalid long"), none("doc_id long, entailed boolean"), none("doc_id long, unsupported long"), none("doc_id long, years string"), mode=mode).first()
+    found = verify.review_report(docs, none("doc_id long, label long"), none("doc_id long, missing long, invalid long"), none("doc_id long, entailed boolean"), none("doc_id long, unsupported long"), none("doc_id long, result_years array<string>"), mode=mode).first()
     assert (found.issues, found.strict, found.passed) == (want, False, False) and found.item_ids[0].startswith("ri_1_") and len(found.suggestions) == 1
 
 
