@@ -1,7 +1,8 @@
 """A page's tree of blocks: elements that form blocks, and the runs of text directly inside them as leaves.
 
 The parser is lenient the way browsers are: optional end tags, unclosed and stray tags, quotes only after ``=``, cut-off
-pages.  Inline elements are part of their block's text.  Scripts, styles, the head, form controls and embedded objects
+pages.  An svg or math ends at ``/>`` or at the tags that HTML lets leave it, and a form control or embedded object that
+is never closed ends at the next block.  Inline elements are part of their block's text.  Scripts, styles, the head, form controls and embedded objects
 have no text.
 """
 
@@ -37,6 +38,15 @@ CLOSES = {
 }
 #: Elements that may stand in a head; any other start tag, and text, ends an open one.
 _IN_HEAD = frozenset("title meta link base basefont bgsound script style noscript noframes template head".split())
+#: Start tags that leave an open svg or math, and elements inside those where HTML goes on (fixed values of the HTML standard).
+_BREAK_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+_POINTS = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+_FONT = re.compile(r"(?:^|\s)(?:color|face|size)\s*(?:=|\s|$)", re.I)
+#: Skipped elements that end with the next block where their own end tag is missing.
+_LOOSE = frozenset("button select datalist map object audio video canvas noscript".split())
+_ENDS = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])", re.I) for tag in _LOOSE}
 #: Void elements that part words.
 _INLINE_SPACE = frozenset("br hr img input".split())
 
@@ -61,6 +71,7 @@ class _Open:
     node: int
     skip: bool
     link: bool
+    loose: bool = False
 
 
 @dataclass(slots=True)
@@ -102,6 +113,26 @@ def parse(page: str) -> list[Node]:
         if stack[-1].tag == "head":
             stack.pop()
 
+    def foreign() -> int:
+        """The place of the open svg or math that text would be in just here; 0 if there is none."""
+        for k in range(len(stack) - 1, 0, -1):
+            if not stack[k].skip or stack[k].tag in _POINTS:
+                break
+            if stack[k].tag in ("svg", "math"):
+                return k
+        return 0
+
+    def end_loose() -> None:
+        """A block ends the skipped elements around it that have no end tag."""
+        last = 0
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].loose:
+                last = k
+            elif not stack[k].skip or stack[k].tag in SKIPPED:
+                break
+        if last:
+            pop_to(last)
+
     at = 0
     while (m := _TOKEN.search(page, at)) is not None:
         if m.start() > at:
@@ -114,6 +145,8 @@ def parse(page: str) -> list[Node]:
             continue
         tag = tag.lower()
         if m[1]:
+            if tag in ("p", "br") and stack[-1].skip and (outer := foreign()):
+                pop_to(outer)
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     pop_to(k)
@@ -121,6 +154,13 @@ def parse(page: str) -> list[Node]:
                 if stack[k].tag in ("td", "th", "table") and tag not in BLOCKS:
                     break
             continue
+        if stack[-1].skip and (outer := foreign()):
+            if tag in _BREAK_OUT or tag == "font" and _FONT.search(m[3]):
+                pop_to(outer)
+            else:
+                if not m[3].endswith("/"):
+                    stack.append(_Open(tag, stack[-1].node, True, False))
+                continue
         if tag not in _IN_HEAD:
             end_head()
         if tag in RAW:
@@ -132,13 +172,17 @@ def parse(page: str) -> list[Node]:
                 add(" ")
             continue
         if tag in SKIPPED:
-            stack.append(_Open(tag, stack[-1].node, True, False))
+            if tag not in ("svg", "math") or not m[3].endswith("/"):
+                own_end = _ENDS[tag].search(page, at) if tag in _LOOSE else None
+                stack.append(_Open(tag, stack[-1].node, True, False, tag in _LOOSE and (own_end is None or not own_end[1])))
             continue
         if tag not in BLOCKS:
             if not m[3].endswith("/"):
                 top = stack[-1]
                 stack.append(_Open(tag, top.node, top.skip, top.link or tag == "a"))
             continue
+        if stack[-1].skip:
+            end_loose()
         if tag in ("html", "body"):
             flush()
             # The head ends where the body begins, closed or not.
@@ -156,7 +200,7 @@ def parse(page: str) -> list[Node]:
             if stack[k].tag == "p":
                 pop_to(k)
                 break
-            if stack[k].tag in BLOCKS:
+            if stack[k].tag in BLOCKS or stack[k].tag in SKIPPED:
                 break
         flush()
         top = stack[-1]

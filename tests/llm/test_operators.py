@@ -517,6 +517,19 @@ def test_extraction_query(spark, model):
     assert right >= math.floor(0.95 * pages.count())
 
 
+@pytest.mark.parametrize("odd", [
+    "<svg class='icon'/>", "<svg><path d='M0 0'/></svg>", "<svg><path d='M0 0'>", "<svg><g><circle r=1></g>", "<math><mi>x</mi>", "<math/>", "<svg><style/>", "<svg viewBox='0 0 1 1'><title>icon<path></svg>", "<p><svg><use href='#a'/></svg></p>",
+    "<button>press", "<button type=submit><span>press", "<select><option>one<option>two", "<select><option>one</select>", "<button><div>press</div></button>", "<video src=x><source src=y>", "<object data=x>", "<svg><foreignObject><p>inside</p></foreignObject></svg>", "<noscript><img src=x>",
+])
+def test_foreign_and_unclosed_elements_end(odd):
+    """Pictures, formulas and controls, closed or not, cost the article nothing, and what is in them is no text."""
+    page = f"<html><body><article><h1>Head</h1>{odd}<p>first text</p><div>second text</div></article><p>third</p></body></html>"
+    assert [n.text for n in parse(page) if not n.tag] == ["Head", "first text", "second text", "third"]
+    nested = f"<article><h1>Head</h1><p>before {odd}</article><p>after</p>"
+    assert [n.text for n in parse(nested) if not n.tag] == ["Head", "before", "after"]
+    assert parse("<template><button>x<p>not shown</p></template><p>shown</p>")[-1].text == "shown"
+
+
 def test_head_ends_without_tags():
     words = lambda page: [n.text for n in parse(page) if not n.tag and n.text]
     head = "<!doctype html><html><head>\n<meta charset=utf-8><title>t</title><link href=x><script>s</script><style>p{}</style><noscript><p>n</p></noscript><template><p>m</p></template>"
