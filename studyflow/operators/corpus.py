@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import marks as M
 from ..functions.text import SPACE, normalize_text, strip, token_estimate
-from .pages import clean_page, split_structural
+from .structure import fold_page, structural_parts
 
 
 def to_lines(docs: DataFrame, document_id: str = "document_id", page: str = "page_number", text: str = "text", normalize: bool = False) -> DataFrame:
@@ -142,7 +142,7 @@ def keep_entry_numbers(classified: DataFrame) -> DataFrame:
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("line_no", kind="stable")
-        held = clean_page(pdf["text"].tolist(), [r if isinstance(r, str) else None for r in pdf["reason"]]).numbers
+        held = fold_page(pdf["text"].tolist(), [r if isinstance(r, str) else None for r in pdf["reason"]]).numbers
         return pdf.loc[held, [*page, "line_no"]].set_axis(["_document_id", "_page_number", "_line_no"], axis=1)
 
     kinds = {f.name: f.dataType.simpleString() for f in classified.schema}
@@ -159,7 +159,7 @@ def split_lines(lines: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parts = [list(enumerate(split_structural(t or ""))) for t in pdf["text"]]
+            parts = [list(enumerate(structural_parts(t or ""))) for t in pdf["text"]]
             out = pdf.drop(columns="text").loc[pdf.index.repeat([len(p) for p in parts])]
             yield out.assign(part_no=[k for p in parts for k, _ in p], text=pd.Series([x for p in parts for _, x in p], dtype=object, index=out.index))[schema.fieldNames()]
 
@@ -171,10 +171,10 @@ def folded_pages(classified: DataFrame) -> DataFrame:
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("line_no", kind="stable")
-        found = clean_page(pdf["text"].tolist(), [r if isinstance(r, str) else None for r in pdf["reason"]])
+        found = fold_page(pdf["text"].tolist(), [r if isinstance(r, str) else None for r in pdf["reason"]])
         n = len(found.lines)
         return pd.DataFrame({
-            "document_id": pdf["document_id"].iloc[0], "page_number": pdf["page_number"].iloc[0], "line_no": [*range(n), -1], "text": pd.Series([*found.lines, None], dtype=object),
+            "document_id": pdf["document_id"].iloc[0], "page_number": pdf["page_number"].iloc[0], "line_no": [*range(n), -1], "text": pd.Series([*(x.text for x in found.lines), None], dtype=object),
             "merged": [0] * n + [found.merged], "split": [0] * n + [found.split],
         })
 

@@ -9,7 +9,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from studyflow.functions import text as X
-from studyflow.operators import bank, corpus, exam, learning, lineclf, pages, questions, tagging, taxonomy, verify
+from studyflow.operators import bank, corpus, exam, learning, lineclf, questions, structure, tagging, taxonomy, verify
 from studyflow.sources import files
 
 
@@ -94,21 +94,22 @@ DENSE = "1. 下列说法正确的是()。A. 甲B. 乙C. 丙D. 丁答案:A解析:
 
 
 def test_dense_lines_are_cut():
-    assert pages.split_structural(DENSE) == ["1. 下列说法正确的是()。", "A. 甲", "B. 乙", "C. 丙", "D. 丁", "答案:A", "解析:因为甲正确。"]
-    assert pages.split_structural(DENSE + DENSE.replace("1. ", "2. "))[6:8] == ["解析:因为甲正确。", "2. 下列说法正确的是()。"]
-    assert pages.split_structural("A. alone") == ["A. alone"] and pages.split_structural("按 A. 甲 B. 乙 计") == ["按 A. 甲 B. 乙 计"] and pages.split_structural("") == []
-    assert pages.split_structural("税率为 3. 5%。") == ["税率为 3. 5%。"] and pages.split_structural("解析:甲。答案:B") == ["答案:B"]
-    assert pages.split_structural("单项选择题1. 关于资产") == ["单项选择题", "1. 关于资产"]
+    assert structure.structural_parts(DENSE) == ["1. 下列说法正确的是()。", "A. 甲", "B. 乙", "C. 丙", "D. 丁", "答案:A", "解析:因为甲正确。"]
+    assert structure.structural_parts(DENSE + DENSE.replace("1. ", "2. "))[6:8] == ["解析:因为甲正确。", "2. 下列说法正确的是()。"]
+    assert structure.structural_parts("A. alone") == ["A. alone"] and structure.structural_parts("按 A. 甲 B. 乙 计") == ["按 A. 甲 B. 乙 计"] and structure.structural_parts("") == []
+    assert structure.structural_parts("税率为 3. 5%。") == ["税率为 3. 5%。"] and structure.structural_parts("解析:甲。答案:B") == ["答案:B"]
+    assert structure.structural_parts("单项选择题1. 关于资产") == ["单项选择题", "1. 关于资产"]
 
 
 def test_wrapped_lines_are_joined():
     text = ["单项选择题", "1. 下列各项中,关于会计主体假设的说法", "正确的是()。A. 法律主体必然是会计主体B. 会计主体可以是企业内部部门答案:B解析:会计主体限定核算空间。2. 下列处理正确的是()。A. 甲B. 乙"]
-    page = pages.clean_page(text, [None] * 3)
-    assert page.lines == ["单项选择题", "1. 下列各项中,关于会计主体假设的说法 正确的是()。", "A. 法律主体必然是会计主体", "B. 会计主体可以是企业内部部门", "答案:B", "解析:会计主体限定核算空间。", "2. 下列处理正确的是()。", "A. 甲", "B. 乙"]
+    page = structure.fold_page(text, [None] * 3)
+    assert [x.text for x in page.lines] == ["单项选择题", "1. 下列各项中,关于会计主体假设的说法 正确的是()。", "A. 法律主体必然是会计主体", "B. 会计主体可以是企业内部部门", "答案:B", "解析:会计主体限定核算空间。", "2. 下列处理正确的是()。", "A. 甲", "B. 乙"]
     assert (page.merged, page.split) == (1, 7)
-    assert pages.goes_on("短行", "下一行") and not pages.goes_on("字" * 70 + "。", "下一行") and pages.goes_on("字" * 40 + "，", "下一行") and pages.goes_on("字" * 40, "下一行")
-    assert not pages.goes_on("字" * 40 + "。", "下一行") and not pages.goes_on("A. 甲", "下一行") and not pages.goes_on("短行", "113")
-    assert pages.clean_page([], []).lines == []
+    goes_on = lambda a, b: structure.joins(structure.Line.of(a), structure.Line.of(b))
+    assert goes_on("短行", "下一行") and not goes_on("字" * 70 + "。", "下一行") and goes_on("字" * 40 + "，", "下一行") and goes_on("字" * 40, "下一行")
+    assert not goes_on("字" * 40 + "。", "下一行") and not goes_on("A. 甲", "下一行") and not goes_on("短行", "113")
+    assert structure.fold_page([], []).lines == []
 
 
 def test_pages_lose_noise_and_repeated_footers(spark):
