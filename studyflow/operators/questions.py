@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fields as N
 from ..functions.text import source_text, strip
+from .taxonomy import descendants_by_level, tree_labels
 
 _SUB = "question_no string, question_type string, stem_text string, options array<string>, answer_text string, analysis_text string, source_raw_text string"
 #: Schema of a prediction (sections, questions, subquestions); analyses that are lists or maps arrive as JSON text.
@@ -162,14 +163,21 @@ def synced_papers(synced: DataFrame, incoming: DataFrame) -> DataFrame:
     return by.join(leaves, "paper_id", "left").na.fill(0, ["leaves"])
 
 
-def roots(questions: DataFrame, depth: int = 20) -> DataFrame:
-    """(id, root_id): the topmost ancestor, at most ``depth`` up, so cycles end; children with a missing parent are their own root."""
+def roots(questions: DataFrame) -> DataFrame:
+    """(id, root_id): the topmost ancestor, at any depth; children with a missing parent are their own root, and so are questions of a cycle and below one."""
+    try:
+        return tree_labels(questions).select("id", "root_id")
+    except ValueError:
+        return _roots_beside_cycles(questions)
+
+
+def _roots_beside_cycles(questions: DataFrame) -> DataFrame:
+    """The same where there are cycles: trees without one are followed down from their roots, a level a round."""
     parent = questions.select("id", "parent_id")
-    now = parent.join(parent.select(F.col("id").alias("parent_id"), F.lit(True).alias("there")), "parent_id", "left").select("id", F.when(F.col("there"), F.col("parent_id")).otherwise(F.col("id")).alias("root_id"))
-    for _ in range(max(1, (depth - 1).bit_length())):
-        up = now.select(F.col("id").alias("root_id"), F.col("root_id").alias("above"))
-        now = now.join(up, "root_id", "left").select("id", F.coalesce("above", "root_id").alias("root_id"))
-    return now
+    there = parent.select(F.col("id").alias("parent_id")).distinct()
+    top = parent.where("parent_id IS NOT NULL").join(there, "parent_id", "left_anti").select("id").union(parent.where("parent_id IS NULL").select("id"))
+    below = descendants_by_level(parent, top).select("id", F.col("of").alias("root_id"))
+    return parent.select("id").join(below, "id", "left").select("id", F.coalesce("root_id", "id").alias("root_id"))
 
 
 def leaf_counts(questions: DataFrame) -> DataFrame:

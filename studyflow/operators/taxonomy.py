@@ -1,4 +1,4 @@
-"""Taxonomies: outlines to drafts, trees with path and level, closures, merges and cascades."""
+"""Taxonomies: trees with path and level, closures, merges and cascades; outlines of textbooks."""
 
 from __future__ import annotations
 
@@ -15,50 +15,6 @@ def entity_key(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, r"[\s\x{00A0}\x{3000}/／\\\-_:：、，,。.;；（）()《》]+", ""))
 
 
-def parse_outlines(lines: DataFrame) -> DataFrame:
-    """Drafts (doc_id, line_no, level, number, name) from outline lines (doc_id, line_no, text).
-
-    Markdown headings give their depth; ``第…章`` is level 1 and ``第…节`` level 2; ``1.2 name`` has the depth of its
-    number; list items are one below the last heading.  Lines within code fences are skipped.
-    """
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    text = F.trim("text")
-    fence = text.startswith("```")
-    rows = lines.withColumn("t", text).withColumn("in_code", (F.sum(fence.cast("int")).over(order) % 2 == 1) | fence).where("NOT in_code AND t <> ''")
-    heading, chapter, section = F.regexp_extract("t", r"^(#{1,6})\s+", 1), F.regexp_extract("t", r"^(?:#+\s*)?第\s*([0-9一二三四五六七八九十百]+)\s*章", 1), F.regexp_extract("t", r"^(?:#+\s*)?第\s*([0-9一二三四五六七八九十百]+)\s*节", 1)
-    number = F.regexp_extract("t", r"^(?:#+\s*)?([0-9]+(?:\.[0-9]+)*)[.、\s]", 1)
-    item = F.col("t").rlike(r"^[-*+]\s+")
-    level = F.when(chapter != "", 1).when(section != "", 2).when(number != "", F.size(F.split(number, r"\."))).when(heading != "", F.length(heading))
-    rows = rows.withColumn("own", level).withColumn("above", F.last("own", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    name = F.trim(F.regexp_replace("t", r"^(?:#+\s*)?(?:第\s*[0-9一二三四五六七八九十百]+\s*[章节]|[0-9]+(?:\.[0-9]+)*[.、\s]|[-*+]\s+)?\s*", ""))
-    out = rows.withColumn("level", F.coalesce("own", F.when(item, F.coalesce(F.col("above"), F.lit(0)) + 1)))
-    return out.where("level IS NOT NULL").select("doc_id", "line_no", F.col("level").cast("int").alias("level"), F.coalesce(F.nullif(chapter, F.lit("")), F.nullif(section, F.lit("")), F.nullif(number, F.lit(""))).alias("number"), name.alias("name")).where("name <> ''")
-
-
-def resolve_outline(drafts: DataFrame) -> DataFrame:
-    """Adds parent_line, path and ``ok`` to drafts (doc_id, line_no, level, number, name) of any depth.
-
-    A draft numbered ``1.2`` belongs to the last one before it with the number ``1``, any other to the nearest earlier
-    draft of a lower level.  ``ok`` is false where a draft below level 1 has no parent; such drafts, and what hangs on
-    them, have no path.
-    """
-    deepest = drafts.agg(F.max("level")).first()[0] or 1
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    upto = order.rowsBetween(Window.unboundedPreceding, -1)
-    above = F.regexp_extract(F.coalesce("number", F.lit("")), r"^(.*)\.[0-9]+$", 1)
-    rows = drafts.withColumns({f"_l{k}": F.last(F.when(F.col("level") == k, F.col("line_no")), ignorenulls=True).over(upto) for k in range(1, deepest)}).withColumn("_above", F.nullif(above, F.lit("")))
-    nearest = F.greatest(F.lit(None).cast("long"), F.lit(None).cast("long"), *(F.when(F.col("level") > k, F.col(f"_l{k}")) for k in range(1, deepest)))
-    # Numbers meet the numbers above them: of those before a line the last one counts.
-    numbered = drafts.where("number IS NOT NULL").select("doc_id", F.col("number").alias("_above"), F.col("line_no").alias("_at"))
-    by_number = rows.where("_above IS NOT NULL").select("doc_id", "line_no", "_above").join(numbered, ["doc_id", "_above"]).where("_at < line_no").groupBy("doc_id", "line_no").agg(F.max("_at").alias("_by_number"))
-    rows = rows.join(by_number, ["doc_id", "line_no"], "left").withColumn("parent_line", F.when(F.col("_above").isNotNull(), F.col("_by_number")).otherwise(nearest))
-    rows = rows.withColumn("ok", (F.col("level") == 1) | F.col("parent_line").isNotNull()).select(*drafts.columns, "parent_line", "ok")
-    key = lambda c: F.when(F.col(c).isNotNull(), F.struct("doc_id", F.col(c).alias("line")))
-    walked = walk(rows.where("ok").select(key("line_no").alias("id"), key("parent_line").alias("parent_id"), "name"))
-    paths = walked.select(F.col("id.doc_id").alias("doc_id"), F.col("id.line").alias("line_no"), "path")
-    return rows.join(paths, ["doc_id", "line_no"], "left").select(*drafts.columns, "parent_line", "path", "ok")
-
-
 def merge_nodes(existing: DataFrame, drafts: DataFrame) -> DataFrame:
     """Rows to create: drafts (parent_id, name, ord) whose key the parent lacks, each once, numbered after its last child."""
     have = existing.select(F.coalesce("parent_id", F.lit(0)).alias("p"), entity_key(F.col("name")).alias("k")).distinct()
@@ -91,13 +47,6 @@ def bind_points(chapters: DataFrame, drafts: DataFrame) -> tuple[DataFrame, Data
     return rows.where("violation IS NULL").select(F.coalesce("section_id", "chapter_id").alias("parent_id"), "name", "ord"), rows.where("violation IS NOT NULL").select("name", "ord", "violation")
 
 
-def auto_keywords(points: DataFrame, most: int = 8) -> DataFrame:
-    """Keywords of points (id, name, chapter, subject, category): distinct, in order."""
-    chapter = F.regexp_replace("chapter", r"^第[0-9一二三四五六七八九十百]+[章节]\s*", "")
-    words = F.filter(F.flatten(F.array(F.array("name", chapter, "subject", "category"), F.split("name", r"[\s/,，、]+"))), lambda x: x.isNotNull() & (F.length(F.trim(x)) >= 2))
-    return points.select("id", F.posexplode(F.slice(F.array_distinct(F.transform(words, lambda x: F.trim(x))), 1, most)).alias("place", "keyword"))
-
-
 def walk(nodes: DataFrame, carried: list[str] | None = None) -> DataFrame:
     """(id, root_id, level, path) of each node (id, parent_id, name) that a root is above of, and the root's values of the columns ``carried``.
 
@@ -128,12 +77,71 @@ def sync_points(points: DataFrame, chapters: DataFrame) -> DataFrame:
     return rows.select("id", "subject_id", "category_id", "chapter_id", "level", F.concat_ws("/", "above", "path").alias("path"))
 
 
-def descendants(nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    """The given nodes and all below them, with their distance, leaf first when sorted by it downwards.
+#: Numbers of a tree's tour that share a bucket when intervals meet nodes; parts that the children of one parent are ordered in.
+_BUCKET, _PARTS = 1024, 64
+
 
-    Each round reads what the round before it wrote and goes a level down, as deep as the tree is; nodes that were
-    reached already are not taken again, which also ends cycles.
+def _tour(nodes: DataFrame) -> DataFrame:
+    """(at, kind, next_at, next_kind): the ways in (0) and out (1) of each node of (id, parent_id), with what comes next on the way through its tree.
+
+    Nodes without a known parent are roots; a way ends where it leaves its root.  Children are ordered in parts by hash
+    and the parts in a row, so that a parent of very many is no hot group.
+    """
+    known = nodes.select(F.col("id").alias("parent_id"), F.lit(True).alias("known")).distinct()
+    rows = nodes.select("id", "parent_id").distinct().join(known, "parent_id", "left").select("id", F.when(F.col("known"), F.col("parent_id")).alias("up"))
+    children = rows.where("up IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(_PARTS))).withColumn("after", F.lead("id").over(Window.partitionBy("up", "part").orderBy("id")))
+    heads = children.groupBy("up", "part").agg(F.min("id").alias("head")).withColumn("then", F.lead("head").over(Window.partitionBy("up").orderBy("part")))  # a row a part
+    after = children.where("after IS NULL").join(heads, ["up", "part"]).select("id", F.col("then").alias("after")).union(children.where("after IS NOT NULL").select("id", "after"))
+    first = heads.groupBy(F.col("up").alias("id")).agg(F.min_by("head", "part").alias("child"))
+    rows = rows.join(after, "id", "left").join(first, "id", "left")
+    into = rows.select(F.col("id").alias("at"), F.lit(0).alias("kind"), F.coalesce("child", "id").alias("next_at"), F.when(F.col("child").isNull(), 1).otherwise(0).alias("next_kind"))
+    out = rows.select(F.col("id").alias("at"), F.lit(1).alias("kind"), F.coalesce("after", "up").alias("next_at"), F.when(F.col("after").isNotNull(), 0).when(F.col("up").isNotNull(), 1).alias("next_kind"))
+    return into.union(out)
+
+
+def tree_labels(nodes: DataFrame) -> DataFrame:
+    """(id, root_id, entry, exit, level) of nodes (id, parent_id): a node is below another of its root where its entry lies between the other's exit and entry.
+
+    The way through a tree is a list.  Pointers along it double in reach with each round, so there are as many rounds as
+    the largest tree's size has binary digits, however deep it is; entry and exit are the steps left to the end.  A cycle
+    raises an error.
     """
+    start = _tour(nodes).select("at", "kind", "next_at", "next_kind", F.col("at").alias("end"), F.when(F.col("next_at").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.when(F.col("kind") == 0, 1).otherwise(-1).cast("long").alias("turn"))
+    state = stored(start)
+    total, reach = state.count(), 1
+    while state.where("next_at IS NOT NULL").take(1):
+        if reach > total:
+            raise ValueError(f"the tree has a cycle, for example above {[r['at'] for r in state.where('next_at IS NOT NULL').select('at').take(3)]}")
+        ahead = state.select(F.col("at").alias("next_at"), F.col("kind").alias("next_kind"), F.col("next_at").alias("n_at"), F.col("next_kind").alias("n_kind"), F.col("end").alias("n_end"), F.col("steps").alias("n_steps"), F.col("turn").alias("n_turn"))
+        moved = state.where("next_at IS NOT NULL").join(ahead, ["next_at", "next_kind"]).select(
+            "at", "kind", F.col("n_at").alias("next_at"), F.col("n_kind").alias("next_kind"), F.col("n_end").alias("end"), (F.col("steps") + F.col("n_steps")).alias("steps"), (F.col("turn") + F.col("n_turn")).alias("turn")
+        )
+        state, reach = stored(state.where("next_at IS NULL").unionByName(moved)), 2 * reach
+    # What is still to be left from a way in on gives the node's level.
+    return state.groupBy(F.col("at").alias("id")).agg(F.first("end").alias("root_id"), F.max("steps").alias("entry"), F.min("steps").alias("exit"), F.max(F.when(F.col("kind") == 0, 1 - F.col("turn"))).cast("int").alias("level"))
+
+
+def descendants(nodes: DataFrame, ids: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(of, id, distance): the given nodes and all below them, leaf first when sorted by distance downwards.
+
+    Intervals of :func:`tree_labels` (made once and passed as ``labels``, or made here) meet the entries that lie in them
+    by buckets of the tour, so there is one join however deep the tree is.  Where the tree has a cycle, nodes are
+    followed level by level, and each is taken once.
+    """
+    if labels is None:
+        try:
+            labels = tree_labels(nodes)
+        except ValueError:
+            return descendants_by_level(nodes, ids)
+    bucket = lambda c: F.floor(c / _BUCKET).cast("long")
+    tops = ids.select("id").distinct().join(labels, "id").select(F.col("id").alias("of"), "root_id", F.col("exit").alias("from"), F.col("entry").alias("to"), F.col("level").alias("top"))
+    spread = tops.withColumn("bucket", F.explode(F.sequence(bucket(F.col("from")), bucket(F.col("to")))))
+    found = labels.withColumn("bucket", bucket(F.col("entry"))).join(spread, ["root_id", "bucket"]).where(F.col("entry").between(F.col("from"), F.col("to")))
+    return found.select("of", "id", (F.col("level") - F.col("top")).alias("distance"))
+
+
+def descendants_by_level(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The same, a level a round: for trees with cycles."""
     level = stored(ids.select("id", F.col("id").alias("of"), F.lit(0).alias("distance")).distinct())
     found, depth = [level], 0
     while level.take(1):
@@ -235,6 +243,13 @@ def topics_of(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"[、，,和与及/／]+"), clean_heading), lambda x: F.length(x).between(*TOPIC_CHARS))
 
 
+def auto_keywords(points: DataFrame, most: int = 8) -> DataFrame:
+    """(id, place, keyword) of points (id, name, chapter, subject, category, tags): name, chapter without its number, subject, category, topics of the name, and the edition that a tag ``version:`` names; each key once, in order."""
+    one = F.transform(F.array("name", chapter_core(F.col("chapter")), "subject", "category"), lambda x: F.coalesce(x, F.lit("")))
+    words = F.concat(one, F.coalesce(topics_of(F.col("name")), F.array()), F.array(F.coalesce(tag_value(F.col("tags"), "version"), F.lit(""))))
+    return points.select("id", F.posexplode(F.slice(_first_of_each(words), 1, most)).alias("place", "keyword"))
+
+
 def fallback_points(chapter: Column, signal: Column) -> Column:
     """Points made up for a chapter: one for each of its topics, and hints by the words of chapter and signal."""
     core = chapter_core(chapter)

@@ -5,32 +5,76 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import outlines as O
 from ..operators import taxonomy as X
 from .base import query, table, tables
 
 
+#: Lines of every form, an outline per part type.
+_OUTLINE_TEXT = """CASE WHEN p_partkey % 29 = 0 THEN '# 教材目录' WHEN p_partkey % 31 = 0 THEN '```' ELSE CASE p_partkey * 7 % 17 WHEN 0 THEN concat('# ', p_brand) WHEN 1 THEN concat('## ', p_size, '. **', p_name, '**') WHEN 2 THEN concat('第', p_size, '章 ', p_brand, ' .... ', p_size)
+  WHEN 3 THEN concat('第二节 ', p_name, ' [x](y)') WHEN 4 THEN concat('- ', p_name) WHEN 5 THEN concat(p_size, '. ', p_name) WHEN 6 THEN concat('  ', p_size % 4, '.', p_size % 3, ' ', p_name) WHEN 7 THEN concat(p_size % 4, '．2.', p_size, '  ', p_brand, '·····12') WHEN 8 THEN concat('#### 考点三：', p_name, ' ##')
+  WHEN 9 THEN concat('### 第', p_size, '章 ', p_type) WHEN 10 THEN concat('一、', p_name) WHEN 11 THEN concat('    * 知识点 ', p_name) WHEN 12 THEN concat('### ', p_brand) WHEN 13 THEN concat(p_size % 4, ' ', p_brand) WHEN 14 THEN concat('2.5', p_name) WHEN 15 THEN concat('#### ', p_size, '.1 ', p_name) ELSE p_name END END"""
+
+
 def _outline_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An outline per part type: brands as chapters, sizes as sections, names as items."""
-    part = table(spark, sf_dir, "part").selectExpr("p_type AS doc_id", "p_partkey", "p_brand", "p_size", "p_name")
-    text = F.expr("CASE WHEN p_partkey % 7 = 0 THEN concat('# ', p_brand) WHEN p_partkey % 7 < 4 THEN concat('## ', p_size) WHEN p_partkey % 7 = 6 AND p_partkey % 3 = 0 THEN '```' ELSE concat('- ', p_name) END")
-    return part.select("doc_id", F.col("p_partkey").alias("line_no"), text.alias("text"))
+    return table(spark, sf_dir, "part").selectExpr("p_type AS doc_id", "p_partkey AS line_no", f"{_OUTLINE_TEXT} AS text")
+
+
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _cut(pattern: str, k: int) -> str:
+    return f"CASE WHEN regexp_matches(t, {_q(pattern)}) THEN regexp_extract(t, {_q(pattern)}, {k}) END"
+
 
+def _name(text: str, numbered: bool = True) -> str:
+    for pattern, to in ((O.LINK, r"\1"), (O.DECORATION, ""), (O.TOC_PAGE, ""), *([(O.LEADING, "")] if numbered else [])):
+        text = f"regexp_replace({text}, {_q(pattern)}, '{to}', 'g')"
+    text = f"trim(regexp_replace({text}, '{O.S}+', ' ', 'g'), ' -—_')"
+    return f"CASE WHEN length({text}) BETWEEN 1 AND 128 AND NOT (ends_with({text}, '目录') AND length({text}) <= 32) THEN {text} END"
 
-_OUTLINE = """o AS (SELECT p_type AS doc_id, p_partkey AS line_no, CASE WHEN p_partkey % 7 = 0 THEN 1 WHEN p_partkey % 7 < 4 THEN 2 WHEN p_partkey % 7 = 6 AND p_partkey % 3 = 0 THEN -1 ELSE 0 END AS kind,
-  CASE WHEN p_partkey % 7 = 0 THEN p_brand WHEN p_partkey % 7 < 4 THEN p_size::VARCHAR ELSE p_name END AS name FROM part),
-o2 AS (SELECT *, sum((kind = -1)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) % 2 = 1 AS code FROM o), o3 AS (SELECT *, last_value(nullif(kind, 0) IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS above FROM o2 WHERE NOT code AND kind >= 0),
-dr AS (SELECT doc_id, line_no, CASE WHEN kind > 0 THEN kind ELSE coalesce(above, 0) + 1 END::INT AS level, name FROM o3)"""
 
+# Forms and names of every line, then one walk through an outline's lines in order, with what is open as its state.
+_LINES = f"""l0 AS (SELECT p_type AS doc_id, p_partkey AS line_no, {_OUTLINE_TEXT} AS t FROM part), l1 AS (SELECT *, sum((t = '```')::INT) OVER (PARTITION BY doc_id ORDER BY line_no) % 2 = 1 AS code FROM l0),
+l2 AS (SELECT doc_id, line_no, t, length({_cut(O.HEADING, 1)}) AS marks, {_cut(O.HEADING, 2)} AS head, len(string_split(replace({_cut(O.OUTLINE, 1)}, '．', '.'), '.')) AS deep, replace({_cut(O.OUTLINE, 1)}, '．', '.') AS num, {_cut(O.OUTLINE, 2)} AS outl, length({_cut(O.ITEM, 1)}) AS indent, {_cut(O.ITEM, 2)} AS item,
+  {_cut(O.NUMBERED, 1)} AS digit, {_cut(O.NUMBERED, 2)} AS nbd, {_cut(O.CHAPTER, 1)} AS chap, {_cut(O.SECTION, 1)} AS sect FROM l1 WHERE NOT code AND t <> '```')"""
+_CHAPTERS = f"""{_LINES}, dr0 AS (SELECT doc_id, line_no, (CASE WHEN head IS NOT NULL THEN least(marks, 2) WHEN outl IS NOT NULL THEN least(deep, 2) WHEN item IS NOT NULL THEN least(indent // 2 + 1, 2) WHEN nbd IS NOT NULL OR chap IS NOT NULL THEN 1 WHEN sect IS NOT NULL THEN 2 END)::INT AS level,
+  CASE WHEN head IS NOT NULL THEN NULL WHEN outl IS NOT NULL THEN num WHEN item IS NULL AND regexp_matches(digit, '^[0-9]+$') THEN digit END AS number, CASE WHEN coalesce(head, outl, item, nbd) IS NOT NULL THEN {_name("coalesce(head, outl, item, nbd)")} ELSE {_name("coalesce(chap, sect)", False)} END AS name FROM l2), dr AS (SELECT * FROM dr0 WHERE name IS NOT NULL)"""
+_WALKED = f"""{_LINES}, l3 AS (SELECT *, CASE WHEN chap IS NOT NULL OR regexp_matches(head, '{O.CHAPTER}') THEN 1 WHEN sect IS NOT NULL OR regexp_matches(head, '{O.SECTION}') THEN 2 WHEN head IS NOT NULL THEN least(marks, 4) WHEN outl IS NOT NULL THEN least(deep, 4) WHEN item IS NOT NULL THEN 4 WHEN nbd IS NOT NULL THEN 5 END AS role,
+  CASE WHEN chap IS NOT NULL OR sect IS NOT NULL OR regexp_matches(head, '{O.CHAPTER}') OR regexp_matches(head, '{O.SECTION}') THEN {_name("coalesce(chap, sect, head)", False)} ELSE {_name("coalesce(head, outl, item, nbd)")} END AS c, {_name("coalesce(head, outl, item, nbd)")} AS n FROM l2),
+l4 AS (SELECT *, CASE WHEN regexp_matches(n, {_q(O.POINT_LABEL)}) THEN nullif(trim(regexp_extract(n, {_q(O.POINT_LABEL)}, 1)), '') ELSE n END AS p FROM l3 WHERE role IS NOT NULL),
+w AS (SELECT doc_id, list_reduce(list({{'line_no': line_no, 'role': role, 'c': c, 'p': p, 'ch': NULL::VARCHAR, 'se': NULL::VARCHAR, 'po': NULL::VARCHAR, 'does': 0, 'all': []::STRUCT(line_no BIGINT, role INT, c VARCHAR, p VARCHAR, ch VARCHAR, se VARCHAR, po VARCHAR, does INT)[]}} ORDER BY line_no), lambda a, x: STEP) AS e FROM (SELECT doc_id, -1::BIGINT AS line_no, 0::INT AS role, NULL::VARCHAR AS c, NULL::VARCHAR AS p FROM l4 GROUP BY 1 UNION ALL SELECT doc_id, line_no, role::INT, c, p FROM l4) GROUP BY 1),
+u AS (SELECT doc_id, unnest(e.all, recursive := true) FROM w)"""
 
-@query("j1_parse_outlines", f"WITH {_OUTLINE} SELECT * FROM dr")
+
+def _walked(details: bool) -> str:
+    """What a line does (1 chapter, 2 section, 3 point, 4 detail) by what is open before it, and what is open after it."""
+    does = "CASE WHEN x.role < 5 THEN x.role WHEN a.po IS NOT NULL THEN 4 WHEN a.ch IS NOT NULL OR a.se IS NOT NULL THEN 3 ELSE 1 END" if details else "CASE WHEN x.role < 5 THEN least(x.role, 3) WHEN a.ch IS NOT NULL OR a.se IS NOT NULL THEN 3 ELSE 1 END"
+    after = f"CASE WHEN ({does}) = 1 THEN x.c ELSE a.ch END", f"CASE WHEN ({does}) = 1 THEN NULL WHEN ({does}) = 2 THEN x.c ELSE a.se END", f"CASE WHEN ({does}) < 3 THEN NULL WHEN ({does}) = 3 THEN x.p ELSE a.po END"
+    one = f"'line_no': x.line_no, 'role': x.role, 'c': x.c, 'p': x.p, 'ch': {after[0]}, 'se': {after[1]}, 'po': {after[2]}, 'does': ({does})::INT"
+    return _WALKED.replace("STEP", f"{{{one}, 'all': list_append(a.all, {{{one}}})}}")
+
+
+@query("j1_parse_outlines", f"WITH {_CHAPTERS} SELECT * FROM dr")
 def j1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.parse_outlines(_outline_lines(spark, sf_dir)).select("doc_id", "line_no", "level", "name")
+    return O.parse_chapters(_outline_lines(spark, sf_dir))
+
+
+@query("j1_parse_points", f"WITH {_walked(False)} SELECT doc_id, line_no, ch AS chapter_name, se AS section_name, p AS name FROM u WHERE does = 3 AND ch IS NOT NULL AND p IS NOT NULL")
+def j1_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.parse_points(_outline_lines(spark, sf_dir))
+
+
+@query("j1_parse_details", f"WITH {_walked(True)} SELECT doc_id, line_no, ch AS chapter_name, se AS section_name, po AS point_name, p AS name FROM u WHERE does = 4 AND ch IS NOT NULL AND po IS NOT NULL AND p IS NOT NULL")
+def j1_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.parse_details(_outline_lines(spark, sf_dir))
 
 
-@query("j2_resolve_outline", f"""WITH {_OUTLINE}, a AS (SELECT *, max(CASE WHEN level = 1 THEN line_no END) OVER w AS l1, max(CASE WHEN level = 2 THEN line_no END) OVER w AS l2 FROM dr WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
-SELECT doc_id, line_no, level, CASE level WHEN 2 THEN l1 WHEN 3 THEN greatest(l1, l2) END AS parent_line, level = 1 OR CASE level WHEN 2 THEN l1 WHEN 3 THEN greatest(l1, l2) END IS NOT NULL AS ok FROM a""")
+@query("j2_resolve_outline", f"""WITH {_CHAPTERS}, a AS (SELECT *, max(CASE WHEN level = 1 THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no) AS l1, CASE WHEN contains(number, '.') THEN string_split(number, '.')[1] END AS above FROM dr),
+b AS (SELECT doc_id, line_no, level, number, CASE WHEN above IS NOT NULL THEN (SELECT max(d.line_no) FROM dr d WHERE d.doc_id = a.doc_id AND d.number = above AND d.line_no < a.line_no) WHEN level = 2 THEN l1 END AS parent_line FROM a) SELECT *, level = 1 OR parent_line IS NOT NULL AS ok FROM b""")
 def j2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.resolve_outline(X.parse_outlines(_outline_lines(spark, sf_dir))).select("doc_id", "line_no", "level", "parent_line", "ok")
+    return O.resolve_outline(O.parse_chapters(_outline_lines(spark, sf_dir))).select("doc_id", "line_no", "level", "number", "parent_line", "ok")
 
 
 _MERGED = """e AS (SELECT parent_id, lower(regexp_replace(name, '[\\s/\\\\_:,.;()-]+', '', 'g')) AS k, row_number() OVER (PARTITION BY parent_id ORDER BY id) AS so FROM chapters),
@@ -77,11 +121,12 @@ def j3_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bound(spark, sf_dir)[1]
 
 
-@query("j5_auto_keywords", """WITH w AS (SELECT p_partkey AS id, list_filter(list_concat([p_name, p_brand, p_type, NULL], regexp_split_to_array(p_name, '[\\s/,]+')), lambda x: length(trim(x)) >= 2) AS l FROM part),
-u AS (SELECT id, unnest(l) AS keyword, generate_subscripts(l, 1) AS o FROM w), f AS (SELECT id, keyword, min(o) AS o FROM u GROUP BY ALL)
-SELECT id, (row_number() OVER (PARTITION BY id ORDER BY o) - 1)::INT AS place, keyword FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY o) <= 8""")
+@query("j5_auto_keywords", r"""WITH w AS (SELECT p_partkey AS id, list_concat([p_name || '与' || p_brand, CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN p_type ELSE p_brand END, p_type, ''], list_filter([p_name, p_brand], lambda x: length(x) BETWEEN 2 AND 18), [CASE WHEN p_partkey % 3 = 0 THEN p_size || '版' ELSE '' END]) AS l FROM part),
+u AS (SELECT id, unnest(l) AS keyword, generate_subscripts(l, 1) AS o FROM w), f AS (SELECT id, lower(regexp_replace(keyword, '[\s_:,.;()#-]+', '', 'g')) AS k, min((o, keyword)) AS m FROM u WHERE keyword <> '' GROUP BY ALL)
+SELECT id, (row_number() OVER (PARTITION BY id ORDER BY m) - 1)::INT AS place, m[2] AS keyword FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY m) <= 8""")
 def j5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_name AS name", "p_brand AS chapter", "p_type AS subject", "CAST(NULL AS STRING) AS category")
+    chapter = "CASE p_partkey % 4 WHEN 0 THEN concat('第', p_size, '讲 ', p_brand) WHEN 1 THEN concat('模块三 ', p_type) WHEN 2 THEN concat('第二篇', p_brand) ELSE p_brand END AS chapter"
+    part = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "concat(p_name, '与', p_brand) AS name", chapter, "p_type AS subject", "CAST(NULL AS STRING) AS category", "array('kind:x', CASE WHEN p_partkey % 3 = 0 THEN concat('version: ', p_size, '版') ELSE 'other' END) AS tags")
     return X.auto_keywords(part)
 
 

@@ -9,7 +9,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from studyflow.functions import text as X
-from studyflow.operators import bank, corpus, exam, learning, lineclf, questions, structure, tagging, taxonomy, verify
+from studyflow.operators import bank, corpus, exam, learning, lineclf, outlines, questions, structure, tagging, taxonomy, verify
 from studyflow.sources import files
 
 
@@ -208,6 +208,30 @@ def test_roots_end_in_cycles(spark):
     q = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (10, 11), (11, 10), (20, 99)], "id long, parent_id long")
     got = {r.id: r.root_id for r in questions.roots(q).collect()}
     assert [got[k] for k in (1, 2, 3, 4)] == [1, 1, 1, 1] and got[20] == 20 and got[10] in (10, 11)
+    chain = spark.range(60).selectExpr("id", "CASE WHEN id > 0 THEN id - 1 END AS parent_id")
+    assert {r.root_id for r in questions.roots(chain).collect()} == {0}
+
+
+def test_labels_of_deep_and_wide_trees(spark):
+    """A chain of 10,000 nodes, a parent of 5,000, and random trees: intervals give what following the parents gives."""
+    rng = random.Random(8)
+    parent = {k: (k - 1 if k % 10_000 else None) for k in range(10_000)} | {20_000 + k: (20_000 if k else None) for k in range(5_001)} | {40_000 + k: (40_000 + rng.randrange(k) if k and rng.random() < 0.98 else None) for k in range(2_000)} | {90_000: 99_999}
+    nodes = spark.createDataFrame(list(parent.items()), "id long, parent_id long")
+    labels = taxonomy.stored(taxonomy.tree_labels(nodes))
+    up, level = {}, {}
+    for k, p in parent.items():
+        up[k], level[k] = (up[p], level[p] + 1) if p in parent else (k, 1)
+    assert {r.id: (r.root_id, r.level) for r in labels.collect()} == {k: (up[k], level[k]) for k in parent}
+    ids = [9_990, 20_000, 40_000, 40_007, 90_000, 41_500]
+    want = set()
+    for k in parent:
+        at, steps = k, 0
+        while at is not None and steps < 10_000:
+            if at in ids:
+                want.add((at, k, steps))
+            at, steps = parent.get(at), steps + 1
+    got = {(r.of, r.id, r.distance) for r in taxonomy.descendants(nodes, spark.createDataFrame([(k,) for k in ids], "id long"), labels).collect()}
+    assert got == want
 
 
 def test_sync_keeps_review_state(spark):
@@ -220,8 +244,27 @@ def test_sync_keeps_review_state(spark):
 def test_outline(spark):
     text = ["第1章 总论", "第一节 概述", "- 要点", "```", "# not", "```", "2.1 其他", "# 标题"]
     lines = spark.createDataFrame([("d", k, t) for k, t in enumerate(text)], "doc_id string, line_no int, text string")
-    got = [(r.level, r.name, r.parent_line) for r in taxonomy.resolve_outline(taxonomy.parse_outlines(lines)).orderBy("line_no").collect()]
-    assert got == [(1, "总论", None), (2, "概述", 0), (3, "要点", 1), (2, "其他", None), (1, "标题", None)]
+    got = [(r.level, r.name, r.parent_line) for r in outlines.resolve_outline(outlines.parse_chapters(lines)).orderBy("line_no").collect()]
+    assert got == [(1, "第1章 总论", None), (2, "第一节 概述", 0), (1, "要点", None), (2, "其他", None), (1, "标题", None)]
+
+
+def test_outline_names_and_depths(spark):
+    text = ["# 教材目录", "# [总论](a.md) **重要** ....... 12", "  1.2.3 太深", "1.1 概述", "\t- 缩进", "  - 浅", "一、 绪论", "2) 计量", "3.5%的税率", "第二篇 税法 ···· 30", "第3节　纳税人", "```", "# code", "```", "普通的一行", "- " + "长" * 129]
+    lines = spark.createDataFrame([("d", k, t) for k, t in enumerate(text)], "doc_id string, line_no int, text string")
+    got = [(r.line_no, r.level, r.number, r.name) for r in outlines.parse_chapters(lines).orderBy("line_no").collect()]
+    assert got == [(1, 1, None, "总论 重要"), (2, 2, "1.2.3", "太深"), (3, 2, "1.1", "概述"), (4, 2, None, "缩进"), (5, 2, None, "浅"), (6, 1, None, "绪论"), (7, 1, "2", "计量"), (9, 1, None, "第二篇 税法"), (10, 2, None, "第3节 纳税人")]
+
+
+def test_outlines_of_points_and_details(spark):
+    points = ["1. 先有的", "2. 存货", "- 考点一：成本", "# 第二章 收入", "- 章内点", "## 合同", "### 知识点3 识别", "3. 计量", "1.1 确认", "1.1.1 时点", "# 目录", "- 没有章", "## 只有节", "- 也没有", "4. 仍没有", "# 末章", "5. 末点"]
+    details = ["# 甲章", "## 乙节", "1. 丙点", "2. 细一", "- 细二", "### 丁点", "3. 细三", "#### 考点：细四", "## 戊节", "4. 己点", "5. 细五", "1.2.3 庚点", "1.2.3.4 细六", "第二章 新", "- 无点", "6. 辛点", "- 细七"]
+    lines = spark.createDataFrame([("p", k, t) for k, t in enumerate(points)] + [("d", k, t) for k, t in enumerate(details)], "doc_id string, line_no int, text string")
+    got = [(r.chapter_name, r.section_name, r.name) for r in outlines.parse_points(lines.where("doc_id = 'p'")).orderBy("line_no").collect()]
+    assert got == [("先有的", None, "存货"), ("先有的", None, "成本"), ("第二章 收入", None, "章内点"), ("第二章 收入", "合同", "识别"), ("第二章 收入", "合同", "计量"), ("第二章 收入", "确认", "时点"), ("末章", None, "末点")]
+    got = [(r.chapter_name, r.section_name, r.point_name, r.name) for r in outlines.parse_details(lines.where("doc_id = 'd'")).orderBy("line_no").collect()]
+    assert got == [
+        ("甲章", "乙节", "丙点", "细一"), ("甲章", "乙节", "丙点", "细二"), ("甲章", "乙节", "丁点", "细三"), ("甲章", "乙节", "丁点", "细四"), ("甲章", "戊节", "己点", "细五"), ("甲章", "戊节", "庚点", "细六"), ("第二章 新", None, "辛点", "细七"),
+    ]
 
 
 def test_quotes(spark):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from studyflow.functions import fields
 from studyflow.functions import text as X
-from studyflow.operators import bank, learning, ops, questions, tagging, taxonomy, verify
+from studyflow.operators import bank, learning, ops, outlines, questions, tagging, taxonomy, verify
 from studyflow.sources import files
 
 
@@ -164,10 +164,10 @@ def test_trees_have_no_depth_limit_and_no_cycles(spark):
 
 
 def test_outlines_by_number_and_depth(spark):
-    text = ["# 1 总论", "### 1.1.1 太深", "## 1.1 概述", "###### 1.1.2 细节", "# 2 其他", "## 1.2 补", "- 条"]
+    text = ["1 总论", "1.1.1 太深", "## 概述", "2 其他", "1.2 补", "## 节", "- 条", "3.1 无章"]
     lines = spark.createDataFrame([("d", k, t) for k, t in enumerate(text)], "doc_id string, line_no int, text string")
-    got = [(r.level, r.name, r.parent_line, r.path) for r in taxonomy.resolve_outline(taxonomy.parse_outlines(lines)).orderBy("line_no").collect()]
-    assert got == [(1, "总论", None, "总论"), (3, "太深", None, None), (2, "概述", 0, "总论/概述"), (3, "细节", 2, "总论/概述/细节"), (1, "其他", None, "其他"), (2, "补", 0, "总论/补"), (3, "条", 5, "总论/补/条")]
+    got = [(r.level, r.name, r.parent_line, r.path) for r in outlines.resolve_outline(outlines.parse_chapters(lines)).orderBy("line_no").collect()]
+    assert got == [(1, "总论", None, "总论"), (2, "太深", 0, "总论/太深"), (2, "概述", 0, "总论/概述"), (1, "其他", None, "其他"), (2, "补", 0, "总论/补"), (2, "节", 3, "其他/节"), (1, "条", None, "条"), (2, "无章", None, None)]
 
 
 def test_textbooks(spark):
