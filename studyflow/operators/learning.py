@@ -55,23 +55,63 @@ def chapter_questions(tags: DataFrame, points: DataFrame, chapter_id: int) -> Da
     return tags.where("status IN ('confirmed', 'suggested')").join(inside, "point_id", "left_semi").select("question_id").distinct()
 
 
-def assemble_sessions(cands: DataFrame, requests: DataFrame, seed: int = 1) -> DataFrame:
-    """(request_id, item_no, question_id): ``n`` questions of the request's subject in an order drawn from id and seed.
+#: Kinds of sessions whose questions are drawn; the others take theirs in order (fixed values).
+DRAWN = ("random", "chapter")
+#: Rounds of the permutation that questions are drawn by.
+_ROUNDS = 16
 
-    The order follows the MD5 of request, question and seed, so it can be repeated, here and elsewhere.
+
+def _draw(place: Column, keys: Column, count: Column) -> Column:
+    """Where a permutation of 0 to ``count`` - 1 sends a place: in each round it is mirrored at the round's key, or not, by a bit that both ends of the mirror share."""
+
+    def step(x: Column, key: Column) -> Column:
+        mirrored = F.pmod(key - x, count)
+        bit = F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.greatest(x, mirrored).cast("string"))), 1, 1) >= "8"
+        return F.when(bit, mirrored).otherwise(x)
+
+    return F.aggregate(keys, place, step)
+
+
+def assemble_sessions(cands: DataFrame, requests: DataFrame, seed: int = 1, scope: str = "subject_id") -> DataFrame:
+    """(request_id, item_no, question_id, score): ``n`` questions for each request (request_id, scope, n, kind), each for 1.
+
+    Candidates (id, scope, ord) are numbered in each scope, such as a subject, a paper or a user's wrong book.  Requests
+    of a drawn kind (all, where there is no ``kind``) take the places that a permutation keyed by request and seed sends
+    the first ``n`` to, so a draw can be repeated, here and elsewhere; the others take the first ``n``.  Each item meets
+    the one candidate of its place: as many rows as are asked for are joined.
+    """
+    counts = cands.groupBy(scope).agg(F.count(F.lit(1)).alias("count"))
+    word = F.concat_ws(":", F.col("request_id").cast("string"), F.lit(str(seed)))
+    keys = F.transform(F.sequence(F.lit(1), F.lit(_ROUNDS)), lambda r: F.conv(F.substring(F.md5(F.concat_ws(":", word, r.cast("string"))), 1, 12), 16, 10).cast("long") % F.col("count"))
+    drawn = F.col("kind").isin(*DRAWN) if "kind" in requests.columns else F.lit(True)
+    rows = requests.join(counts, scope).where("n > 0").select("request_id", scope, "count", drawn.alias("drawn"), "n", F.explode(F.array(keys)).alias("keys"))
+    items = rows.select("request_id", scope, "count", "drawn", "keys", F.explode(F.sequence(F.lit(0).cast("long"), F.least("n", "count").cast("long") - 1)).alias("place"))
+    placed = items.select("request_id", scope, (F.col("place") + 1).alias("item_no"), (F.when(F.col("drawn"), _draw(F.col("place"), F.col("keys"), F.col("count"))).otherwise(F.col("place")) + 1).alias("ord"))
+    return placed.join(cands.select(scope, "ord", F.col("id").alias("question_id")), [scope, "ord"]).select("request_id", "item_no", "question_id", F.lit(1).alias("score"))
+
+
+#: What a snapshot holds of a question, as far as the bank has it.
+CONTENT = ("question_uid", "node_role", "question_type", "group_stem", "material_text", "stem_text", "options", "difficulty", "answer_text", "analysis_text")
+
+
+def question_snapshot(items: DataFrame, links: DataFrame, questions: DataFrame, papers: DataFrame, tags: DataFrame, points: DataFrame) -> DataFrame:
+    """Content of each question (``CONTENT``) with the paper name and number of its first source, and its knowledge points.
+
+    The first of the active ``links`` (id, bank_question_id, source_question_id, paper_id, question_no, status) is that
+    of the smallest ``sort_order`` of its question (id, sort_order), null first, then of the smallest link id.  Points
+    (id, name, path) are those of the confirmed and suggested tags (tag_id, question_id, point_id, relation_type, status,
+    rank_no) of the item's ``first_source_question_id``, by status, rank and tag id.
     """
-    rows = requests.join(cands, "subject_id")
-    key = F.md5(F.concat_ws(":", F.col("request_id").cast("string"), F.col("id").cast("string"), F.lit(str(seed))))
-    ranked = rows.withColumn("item_no", F.row_number().over(Window.partitionBy("request_id").orderBy(key, "id")))
-    return ranked.where(F.col("item_no") <= F.col("n")).select("request_id", F.col("item_no").cast("long").alias("item_no"), F.col("id").alias("question_id"))
-
-
-def question_snapshot(items: DataFrame, links: DataFrame, shown: DataFrame) -> DataFrame:
-    """Content of each question with its first source and the points shown for it, in order."""
-    first = links.where("status = 'active'").groupBy(F.col("bank_question_id").alias("id")).agg(F.min(F.struct("paper_id", "source_question_id")).alias("s"))
-    points = shown.groupBy(F.col("bank_question_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("place", "point_id"))).alias("p"))
-    rows = items.where("node_role <> 'group'").join(first, "id", "left").join(points, "id", "left")
-    return rows.select("id", "question_type", "stem_text", F.col("s.paper_id").alias("paper_id"), F.col("s.source_question_id").alias("source_question_id"), F.array_join(F.transform("p", lambda x: x["point_id"]), ",").alias("points"))
+    order = F.struct(F.col("sort_order").isNotNull().alias("known"), "sort_order", F.col("link_id"))
+    live = links.where("status = 'active'").select(F.col("bank_question_id").alias("id"), F.col("id").alias("link_id"), "source_question_id", "paper_id", "question_no")
+    live = live.join(questions.select(F.col("id").alias("source_question_id"), "sort_order"), "source_question_id", "left")
+    first = live.groupBy("id").agg(F.min_by(F.struct("paper_id", "question_no"), order).alias("s")).select("id", "s.paper_id", F.col("s.question_no").alias("source_question_no"))
+    first = first.join(papers.select(F.col("id").alias("paper_id"), F.col("paper_name").alias("source_paper_name")), "paper_id", "left").drop("paper_id")
+    shown = tags.where("status IN ('confirmed', 'suggested')").join(points.select(F.col("id").alias("point_id"), "name", "path"), "point_id")
+    point = F.struct("status", "rank_no", "tag_id", F.struct(F.col("point_id").alias("id"), "name", "path", "relation_type", "status").alias("point"))
+    known = shown.groupBy(F.col("question_id").alias("first_source_question_id")).agg(F.transform(F.array_sort(F.collect_list(point)), lambda x: x["point"]).alias("knowledge_points"))
+    rows = items.where("node_role <> 'group'").select("id", "first_source_question_id", *(c for c in CONTENT if c in items.columns))
+    return rows.join(first, "id", "left").join(known, "first_source_question_id", "left")
 
 
 def normalized_answer(answer: Column) -> Column:

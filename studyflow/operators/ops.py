@@ -83,13 +83,55 @@ def owners(topics: DataFrame) -> DataFrame:
     return topics.where("coalesce(owner, '') <> ''").groupBy("owner").agg(F.count(F.lit(1)).alias("topics"))
 
 
-def reconcile(jobs: DataFrame, papers: DataFrame) -> DataFrame:
-    """Status of each paper as its latest job has it: finished ones are parsed, failed and interrupted (running) ones failed."""
-    last = jobs.groupBy("paper_id").agg(F.max_by(F.struct(F.col("status").alias("job_status"), "id"), "id").alias("j"))
-    rows = papers.join(last, papers["id"] == last["paper_id"], "left").select(papers["id"], F.col("status").alias("old_status"), "j.job_status")
-    new = F.when(F.col("job_status") == "done", "parsed").when(F.col("job_status").isin("failed", "running"), "failed").when(F.col("job_status") == "queued", "pending").otherwise(F.col("old_status"))
-    reason = F.when(F.col("job_status") == "running", "interrupted")
-    return rows.select("id", new.alias("status"), reason.alias("reason"), (~new.eqNullSafe(F.col("old_status"))).alias("changed"))
+#: Jobs that a restart interrupts, and in which states; states of papers and assets that a running parse passes through (fixed values).
+RESTARTED, UNFINISHED = ("paper_parse", "library_parse"), ("pending", "running")
+PARSING = (
+    "preparing", "reading_file", "ocr_running", "layout_analyzing", "ocr_fallback_running", "vl15_running", "ai_cleaning", "splitting_questions", "building_sections", "tagging", "saving", "parsing",
+)
+FULL, OCR_ONLY, RESTART, RESTART_TEXT = "full_chain", "ocr_only", "service_restarted", "the service was restarted and the job interrupted; please start it again"
+
+
+def _unfinished() -> Column:
+    return F.col("job_type").isin(*RESTARTED) & F.col("status").isin(*UNFINISHED)
+
+
+def fail_interrupted(jobs: DataFrame) -> DataFrame:
+    """The jobs, those that a restart interrupted as failed; their columns ``progress``, ``stage``, ``termination_reason`` and ``error_message`` say so, and are null for the others."""
+    off = _unfinished()
+    return jobs.withColumns({"status": F.when(off, "failed").otherwise(F.col("status")), "progress": F.when(off, 100), "stage": F.when(off, "failed"), "termination_reason": F.when(off, RESTART), "error_message": F.when(off, RESTART_TEXT)})
+
+
+def _read(json: str, key: str, kind: str) -> Column:
+    """A value of a JSON text, null where the text or the value is not of its kind."""
+    return F.try_variant_get(F.try_parse_json(F.col(json)), f"$.{key}", kind)
+
+
+def reconcile(jobs: DataFrame, papers: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Papers (id, status, changed) and assets (id, parse_status, ocr_status, changed) as the jobs that parse papers have them.
+
+    Jobs are (id, job_type, scope_type, status, scope, summary), the last two as JSON with ``paper_id`` and
+    ``execution_mode``.  Interrupted ones fail first, with their paper and its asset.  Then the latest job of each paper
+    counts: a completed one makes paper and asset ``parsed`` (``source_ready`` if it only read the text, and they are not
+    parsed yet) and the text recognised; a failed one ends states of a running parse alone.  An asset of several papers
+    follows all their latest jobs; the outcome does not depend on their order.  All else stays as it is.
+    """
+    parses = jobs.where("scope_type = 'paper' AND job_type = 'paper_parse'").withColumn("paper_id", _read("scope", "paper_id", "bigint")).where("paper_id > 0")
+    mode = F.coalesce(F.nullif(_read("summary", "execution_mode", "string"), F.lit("")), F.nullif(_read("scope", "execution_mode", "string"), F.lit("")), F.lit(FULL))
+    last = F.max_by(F.struct(F.when(_unfinished(), "failed").otherwise(F.col("status")).alias("job"), mode.alias("mode")), "id")
+    by_paper = parses.groupBy("paper_id").agg(last.alias("last"), F.bool_or(_unfinished()).alias("broken")).select(F.col("paper_id").alias("id"), "last.job", "last.mode", "broken")
+    rows = papers.select("id", "asset_id", "status").join(by_paper, "id", "left").withColumn("broken", F.coalesce("broken", F.lit(False)))
+    read_only, done, failed = F.col("mode") == OCR_ONLY, F.coalesce(F.col("job") == "completed", F.lit(False)), F.coalesce(F.col("job") == "failed", F.lit(False))
+    was = F.when(F.col("broken"), "parse_failed").otherwise(F.col("status"))
+    status = F.when(done & read_only & ~was.eqNullSafe(F.lit("parsed")), "source_ready").when(done, "parsed").when(failed & was.isin(*PARSING), "parse_failed").otherwise(was)
+    new_papers = rows.select("id", status.alias("status"), (~status.eqNullSafe(F.col("status"))).alias("changed"))
+    flags = {"broken": F.col("broken"), "parsed": done & ~read_only, "read": done & read_only, "failed": failed}
+    by_asset = rows.where("asset_id IS NOT NULL").groupBy(F.col("asset_id").alias("id")).agg(*(F.bool_or(F.coalesce(c, F.lit(False))).alias(f"any_{n}") for n, c in flags.items()))
+    held = assets.select("id", "parse_status", "ocr_status").join(by_asset, "id", "left").na.fill(False, [f"any_{n}" for n in flags])
+    parse_was, ocr_was = (F.when(F.col("any_broken"), "failed").otherwise(F.col(c)) for c in ("parse_status", "ocr_status"))
+    parse = F.when(F.col("any_parsed") | F.col("any_read") & parse_was.eqNullSafe(F.lit("parsed")), "parsed").when(F.col("any_read"), "source_ready").when(F.col("any_failed") & parse_was.isin(*PARSING), "failed").otherwise(parse_was)
+    ocr = F.when(F.col("any_parsed") | F.col("any_read"), "completed").when(F.col("any_failed") & (ocr_was == "running"), "failed").otherwise(ocr_was)
+    changed = ~(parse.eqNullSafe(F.col("parse_status")) & ocr.eqNullSafe(F.col("ocr_status")))
+    return new_papers, held.select("id", parse.alias("parse_status"), ocr.alias("ocr_status"), changed.alias("changed"))
 
 
 def orphan_entries(entries: DataFrame, namespaces: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -109,10 +151,10 @@ def removable_assets(papers: DataFrame, paper_ids: DataFrame, assets: DataFrame)
 
 
 def audit_feed(logs: DataFrame, users: DataFrame) -> DataFrame:
-    """Log rows with the user's name; values of payload keys that hold a password or token are masked."""
+    """Log rows with the user's name, latest first (by created_at and id); values of payload keys that hold a password or token are masked."""
     secret = lambda k: F.lower(k).rlike("password|token")
     masked = F.transform_values("payload", lambda k, v: F.when(secret(k), F.lit("***")).otherwise(v))
-    return logs.withColumn("payload", masked).join(users, "user_id", "left")
+    return logs.withColumn("payload", masked).join(users, "user_id", "left").orderBy(F.desc("created_at"), F.desc("id"))
 
 
 def list_papers(papers: DataFrame, status: str | None = None) -> DataFrame:

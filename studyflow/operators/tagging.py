@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Scores of a match by kind of term (fixed values).
 NAME, ALIAS, KEYWORD, LEAF = 80, 65, 55, 35
@@ -19,16 +20,24 @@ def primary_tag(tags: DataFrame) -> DataFrame:
     return primary.groupBy("question_id").agg(F.min(order).alias("m")).select("question_id", F.col("m.tag_id").alias("tag_id"), F.col("m.point_id").alias("point_id"))
 
 
+#: Columns by which a text meets the terms of its own subject only; with a category, of that alone.
+_SCOPE, _WITHIN = "subject_id", "category_id"
+
+
+def _scoped(rows: DataFrame) -> list[str]:
+    return [c for c in (_SCOPE, _WITHIN) if c in rows.columns]
+
+
 def term_table(points: DataFrame) -> DataFrame:
-    """(term, point_id, score, ord) of points (id, name, aliases, keywords, path, chapter_id); terms shorter than two characters are left out."""
+    """(term, point_id, score, ord) of points (id, name, aliases, keywords, path, chapter_id), with their subject_id and category_id where they have them; terms shorter than two characters are left out."""
     kinds = [
         (F.array("name"), NAME, 0), (F.col("aliases"), ALIAS, 1), (F.col("keywords"), KEYWORD, 2),
         (F.when(F.col("chapter_id").isNotNull(), F.array(F.element_at(F.split("path", "/"), -1))), LEAF, 3),
     ]
     out = None
     for terms, score, kind in kinds:
-        rows = points.select(F.col("id").alias("point_id"), F.posexplode(F.coalesce(terms, F.array().cast("array<string>"))).alias("pos", "term"))
-        rows = rows.select(F.lower(F.trim("term")).alias("term"), "point_id", F.lit(score).alias("score"), (F.lit(kind * 1000) + F.col("pos")).alias("ord"))
+        rows = points.select(F.col("id").alias("point_id"), *_scoped(points), F.posexplode(F.coalesce(terms, F.array().cast("array<string>"))).alias("pos", "term"))
+        rows = rows.select(F.lower(F.trim("term")).alias("term"), "point_id", F.lit(score).alias("score"), (F.lit(kind * 1000) + F.col("pos")).alias("ord"), *_scoped(points))
         out = rows if out is None else out.unionByName(rows)
     return out.where(F.length("term") >= 2)
 
@@ -46,41 +55,63 @@ AUTOMATON_TERMS = 20_000
 def match_terms(texts: DataFrame, terms: DataFrame, most: int = AUTOMATON_TERMS) -> DataFrame:
     """(id, term columns) for every text (id, body) that contains a term.
 
-    Up to ``most`` distinct terms go to the tasks as one automaton, which reads each text once.  More terms meet the texts
-    by two-character pieces: each term is known by the piece that the fewest texts hold, texts meet it on that piece, and
-    containment is then checked.  No pair of text and term that share no piece is made.
+    Texts with a ``subject_id`` meet the terms of their subject only, and those with a ``category_id`` that is not null
+    only terms of that category.  Up to ``most`` distinct terms of subjects go to the tasks, where each subject has its
+    own automaton, which reads a text once.  More terms meet the texts by two-character pieces: each term is known by the
+    piece that the fewest texts of its subject hold, texts meet it on that piece, and containment is then checked.  No
+    pair of text and term that share no piece, or no subject, is made.
     """
-    names = [r.term for r in terms.select("term").distinct().limit(most + 1).collect()]
-    found = _by_automaton(texts, names) if len(names) <= most else _by_pieces(texts, terms)
-    return found.join(terms, "term")
-
-
-def _by_automaton(texts: DataFrame, names: list[str]) -> DataFrame:
-    kind = texts.schema["id"].dataType.simpleString()
+    scope = [_SCOPE] if _SCOPE in texts.columns and _SCOPE in terms.columns else []
+    within = scope and _WITHIN in texts.columns and _WITHIN in terms.columns
+    texts = texts.select("id", "body", *scope, *([F.col(_WITHIN).alias("only")] if within else []))
+    if scope:
+        texts = texts.where(F.col(_SCOPE).isNotNull())
+    names = terms.select("term", *scope).distinct().limit(most + 1).collect()
+    found = _by_automaton(texts, names, scope) if len(names) <= most else _by_pieces(texts, terms, scope)
+    met = found.join(terms, ["term", *scope])
+    if within:
+        met = met.where(F.col("only").isNull() | (F.col("only") == F.col(_WITHIN))).drop("only")
+    return met
+
+
+def _by_automaton(texts: DataFrame, names: list[Row], scope: list[str]) -> DataFrame:
+    by_scope: dict = {}
+    for r in names:
+        by_scope.setdefault(r[scope[0]] if scope else None, []).append(r.term)
+    rest = [f for f in texts.schema.fields if f.name != "body"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
 
-        reader = ahocorasick.Automaton()
-        for name in names:
-            reader.add_word(name, name)
-        reader.make_automaton()
+        readers: dict = {}
+
+        def reader_of(key: object) -> object:
+            if key not in readers:
+                readers[key] = ahocorasick.Automaton()
+                for name in by_scope[key]:
+                    readers[key].add_word(name, name)
+                readers[key].make_automaton()
+            return readers[key]
+
         for pdf in batches:
-            held = [sorted({x for _, x in reader.iter(t)}) if t and names else [] for t in pdf["low"]]
-            yield pd.DataFrame({"id": pdf["id"].repeat([len(h) for h in held]).to_numpy(), "term": pd.Series([x for h in held for x in h], dtype=object)})
+            keys = pdf[scope[0]] if scope else [None] * len(pdf)
+            held = [sorted({x for _, x in reader_of(k).iter(t)}) if t and k in by_scope else [] for k, t in zip(keys, pdf["low"])]
+            out = pdf.drop(columns="low").loc[pdf.index.repeat([len(h) for h in held])]
+            yield out.assign(term=pd.Series([x for h in held for x in h], index=out.index, dtype=object))
 
-    return texts.select("id", F.lower("body").alias("low")).mapInPandas(run, f"id {kind}, term string").distinct()
+    low = texts.select(*(f.name for f in rest), F.lower("body").alias("low"))
+    return low.mapInPandas(run, T.StructType([*rest, T.StructField("term", T.StringType())])).distinct()
 
 
-def _by_pieces(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    pieces = terms.select("term").distinct().select("term", F.explode(_grams(F.col("term"))).alias("gram"))
-    used = pieces.select("gram").distinct()
-    held = texts.select("id", F.explode(_grams(F.lower("body"))).alias("gram")).join(used, "gram", "left_semi")
-    common = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+def _by_pieces(texts: DataFrame, terms: DataFrame, scope: list[str]) -> DataFrame:
+    pieces = terms.select("term", *scope).distinct().select("term", *scope, F.explode(_grams(F.col("term"))).alias("gram"))
+    used = pieces.select("gram", *scope).distinct()
+    held = texts.select("id", *scope, F.explode(_grams(F.lower("body"))).alias("gram")).join(used, ["gram", *scope], "left_semi")
+    common = held.groupBy("gram", *scope).agg(F.count(F.lit(1)).alias("n"))
     # A piece that no text holds rules its terms out.
-    rarest = pieces.join(common, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m")).where("m.n > 0").select("term", F.col("m.gram").alias("gram"))
-    met = held.join(rarest, "gram").select("id", "term")
-    return met.join(texts.select("id", F.lower("body").alias("low")), "id").where(F.contains(F.col("low"), F.col("term"))).select("id", "term").distinct()
+    rarest = pieces.join(common, ["gram", *scope], "left").groupBy("term", *scope).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m")).where("m.n > 0").select("term", *scope, F.col("m.gram").alias("gram"))
+    met = held.join(rarest, ["gram", *scope]).select("id", "term")
+    return met.join(texts.withColumn("low", F.lower("body")).drop("body"), "id").where(F.contains(F.col("low"), F.col("term"))).drop("low").distinct()
 
 
 def match_points(texts: DataFrame, terms: DataFrame, most: int = AUTOMATON_TERMS) -> DataFrame:

@@ -75,22 +75,32 @@ def h1_wrong_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.candidates(_bank(spark, sf_dir), wrong_book=book)
 
 
-@query("h2_sessions", """WITH r AS (SELECT DISTINCT user_id AS request_id, user_id % 5 AS subject_id FROM events WHERE event_type = 'signup')
-SELECT request_id, item_no, id AS question_id FROM (SELECT request_id, i.id, row_number() OVER (PARTITION BY request_id ORDER BY md5(request_id || ':' || i.id || ':1'), i.id) AS item_no
-FROM r JOIN bank_items i ON i.subject_id = r.subject_id AND i.status = 'active' AND i.node_role <> 'group') WHERE item_no <= 10""")
+@query("h2_sessions", f"""WITH {_BANK}, c AS (SELECT id, subject_id, row_number() OVER (PARTITION BY subject_id ORDER BY updated_at DESC, id DESC) AS ord, count(*) OVER (PARTITION BY subject_id) AS n FROM bk),
+r AS (SELECT DISTINCT user_id AS request_id, user_id % 5 AS subject_id, 10 + user_id % 60 AS want, CASE user_id % 4 WHEN 0 THEN 'paper' WHEN 1 THEN 'chapter' WHEN 2 THEN 'wrong_book' ELSE 'random' END AS kind FROM events WHERE event_type <> 'view'),
+k AS (SELECT r.*, n, list_transform(range(1, 17), lambda i: ('0x' || substr(md5(request_id || ':1:' || i), 1, 12))::BIGINT % n) AS keys FROM r JOIN (SELECT DISTINCT subject_id, n FROM c) USING (subject_id)),
+p AS (SELECT *, unnest(range(0, least(want, n))) AS place FROM k),
+d AS (SELECT request_id, subject_id, place + 1 AS item_no, 1 + CASE WHEN kind IN ('random', 'chapter') THEN list_reduce(keys, lambda x, key: CASE WHEN substr(md5(key || ':' || greatest(x, (key - x + n) % n)), 1, 1) >= '8' THEN (key - x + n) % n ELSE x END, place) ELSE place END AS ord FROM p)
+SELECT request_id, item_no, id AS question_id, 1 AS score FROM d JOIN c USING (subject_id, ord)""")
 def h2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    requests = events.where("event_type = 'signup'").select(F.col("user_id").alias("request_id"), (F.col("user_id") % 5).alias("subject_id"), F.lit(10).alias("n")).distinct()
+    kind = F.expr("CASE user_id % 4 WHEN 0 THEN 'paper' WHEN 1 THEN 'chapter' WHEN 2 THEN 'wrong_book' ELSE 'random' END")
+    requests = table(spark, sf_dir, "events").where("event_type <> 'view'").select(F.col("user_id").alias("request_id"), (F.col("user_id") % 5).alias("subject_id"), (10 + F.col("user_id") % 60).alias("n"), kind.alias("kind")).distinct()
     return X.assemble_sessions(X.candidates(_bank(spark, sf_dir)), requests)
 
 
-@query("h3_snapshot", """WITH r AS (SELECT l.bank_question_id, t.point_id, CASE WHEN t.status = 'confirmed' THEN 0 ELSE 1 END AS s, t.rank_no, t.tag_id FROM bank_links l JOIN question_tags t ON t.question_id = l.source_question_id
-  WHERE l.status = 'active' AND t.status IN ('confirmed', 'suggested')), o AS (SELECT bank_question_id, point_id, min((s, rank_no, tag_id)) AS o FROM r GROUP BY ALL),
-f AS (SELECT bank_question_id, min((paper_id, source_question_id)) AS s FROM bank_links WHERE status = 'active' GROUP BY 1), g AS (SELECT bank_question_id, string_agg(point_id, ',' ORDER BY o, point_id) AS points FROM o GROUP BY 1)
-SELECT i.id, question_type, stem_text, s[1] AS paper_id, s[2] AS source_question_id, points FROM bank_items i LEFT JOIN f ON f.bank_question_id = i.id LEFT JOIN g ON g.bank_question_id = i.id WHERE node_role <> 'group'""")
+@query("h3_snapshot", """WITH f AS (SELECT bank_question_id, arg_min(struct_pack(p := paper_id, q := sort_order), (CASE WHEN sort_order % 3 = 0 THEN 0 ELSE sort_order END, source_question_id)) AS s FROM bank_links WHERE status = 'active' GROUP BY 1),
+g AS (SELECT question_id, string_agg(concat_ws(':', point_id, k.name, k.path, relation_type, t.status), ',' ORDER BY t.status, rank_no, tag_id) AS points FROM question_tags t JOIN knowledge_points k ON k.id = t.point_id WHERE t.status IN ('confirmed', 'suggested') GROUP BY 1),
+m AS (SELECT bank_question_id, min(source_question_id) AS source FROM bank_links GROUP BY 1)
+SELECT i.id, question_type, stem_text, difficulty, node_role, 'answer ' || i.id AS answer_text, CASE WHEN i.id % 3 > 0 THEN 'because ' || i.id END AS analysis_text, 'A. x;B. ' || i.id AS options, CASE WHEN s.p % 5 > 0 THEN 'paper ' || s.p END AS source_paper_name, 'No. ' || s.q AS source_question_no, points
+FROM bank_items i LEFT JOIN f ON f.bank_question_id = i.id LEFT JOIN m ON m.bank_question_id = i.id LEFT JOIN g ON g.question_id = m.source WHERE node_role <> 'group'""")
 def h3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, links, tags = tables(spark, sf_dir, "bank_items", "bank_links", "question_tags")
-    return X.question_snapshot(items, links, tagging.item_points(links, tags))
+    items, links, tags, points, papers = tables(spark, sf_dir, "bank_items", "bank_links", "question_tags", "knowledge_points", "papers")
+    source = links.groupBy(F.col("bank_question_id").alias("id")).agg(F.min("source_question_id").alias("first_source_question_id"))
+    full = items.join(source, "id", "left").withColumns({"answer_text": F.expr("concat('answer ', id)"), "analysis_text": F.expr("CASE WHEN id % 3 > 0 THEN concat('because ', id) END"), "options": F.expr("array('A. x', concat('B. ', id))")})
+    questions = links.select(F.col("source_question_id").alias("id"), F.expr("CASE WHEN sort_order % 3 > 0 THEN sort_order END AS sort_order"))
+    named = papers.where("id % 5 > 0").select("id", F.expr("concat('paper ', id)").alias("paper_name"))
+    found = X.question_snapshot(full, links.selectExpr("*", "source_question_id AS id", "concat('No. ', sort_order) AS question_no"), questions, named, tags, points)
+    shown = F.array_join(F.transform("knowledge_points", lambda p: F.concat_ws(":", p["id"], p["name"], p["path"], p["relation_type"], p["status"])), ",")
+    return found.select("id", "question_type", "stem_text", "difficulty", "node_role", "answer_text", "analysis_text", F.array_join("options", ";").alias("options"), "source_paper_name", "source_question_no", shown.alias("points"))
 
 
 @query("h4_grade", """WITH a AS (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'multiple_choice' ELSE 'single' END AS t, CASE event_id % 7 WHEN 0 THEN ' b a ' WHEN 1 THEN '' WHEN 2 THEN 'ab' ELSE chr(65 + (event_id % 4)::INT) END AS actual,

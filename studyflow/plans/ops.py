@@ -69,12 +69,42 @@ def k4_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.owners(_topics(spark, sf_dir))
 
 
-@query("k5_reconcile", """WITH j AS (SELECT l_orderkey AS paper_id, max_by(CASE l_linenumber % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' WHEN 2 THEN 'running' ELSE 'queued' END, l_orderkey * 10 + l_linenumber) AS s FROM lineitem WHERE l_orderkey % 3 > 0 GROUP BY 1),
-n AS (SELECT id, status AS old_status, s, CASE WHEN s = 'done' THEN 'parsed' WHEN s IN ('failed', 'running') THEN 'failed' WHEN s = 'queued' THEN 'pending' ELSE status END AS status FROM papers LEFT JOIN j ON j.paper_id = papers.id)
-SELECT id, status, CASE WHEN s = 'running' THEN 'interrupted' END AS reason, status IS DISTINCT FROM old_status AS changed FROM n""")
+_JOBS = """SELECT (l_orderkey * 10 + l_linenumber) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 AS id, CASE WHEN l_suppkey % 9 = 0 THEN 'library_parse' WHEN l_suppkey % 9 = 1 THEN 'tagging' ELSE 'paper_parse' END AS job_type, CASE WHEN l_partkey % 8 = 0 THEN 'library' ELSE 'paper' END AS scope_type,
+  CASE l_linenumber % 5 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' WHEN 2 THEN 'completed' WHEN 3 THEN CASE WHEN l_partkey % 3 = 0 THEN 'running' ELSE 'failed' END ELSE CASE WHEN l_partkey % 5 = 0 THEN 'pending' ELSE 'cancelled' END END AS status,
+  CASE l_suppkey % 7 WHEN 0 THEN concat('{"paper_id": "', l_orderkey, '"}') WHEN 1 THEN 'no json' WHEN 2 THEN '{"paper_id": "none"}' WHEN 3 THEN concat('{"paper_id": ', l_orderkey, ', "execution_mode": "ocr_only"}') WHEN 4 THEN '{}' ELSE concat('{"paper_id": ', l_orderkey, ', "execution_mode": ""}') END AS scope,
+  CASE l_partkey % 4 WHEN 0 THEN '{"execution_mode": "ocr_only"}' WHEN 1 THEN '{"execution_mode": "full_chain"}' END AS summary FROM lineitem"""
+_STATES = "SELECT id, asset_id, CASE id % 7 WHEN 0 THEN 'parsed' WHEN 1 THEN 'saving' WHEN 2 THEN 'draft' WHEN 3 THEN 'tagging' WHEN 4 THEN 'source_ready' WHEN 5 THEN 'parsing' END AS status FROM papers"
+_ASSETS = "SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'parsed' WHEN 1 THEN 'ocr_running' WHEN 2 THEN 'pending' WHEN 3 THEN 'source_ready' END AS parse_status, CASE c_custkey % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'completed' ELSE 'pending' END AS ocr_status FROM customer"
+# What a job's texts say, then the latest job of each paper, one after the other.
+_RECONCILED = f"""jb AS ({_JOBS}), pp AS ({_STATES}), aa AS ({_ASSETS}), j1 AS (SELECT *, CASE WHEN json_valid(scope) THEN try_cast(scope->>'$.paper_id' AS BIGINT) END AS paper_id, status IN ('pending', 'running') AS broken,
+  coalesce(nullif(summary->>'$.execution_mode', ''), CASE WHEN json_valid(scope) THEN nullif(scope->>'$.execution_mode', '') END, 'full_chain') = 'ocr_only' AS reads FROM jb WHERE job_type = 'paper_parse' AND scope_type = 'paper'),
+j2 AS (SELECT paper_id, bool_or(broken) AS broken, arg_max(CASE WHEN broken THEN 'failed' ELSE status END, id) AS job, arg_max(reads, id) AS reads FROM j1 WHERE paper_id > 0 GROUP BY 1),
+p1 AS (SELECT pp.id, asset_id, status AS old, CASE WHEN broken THEN 'parse_failed' ELSE status END AS was, job, reads, broken FROM pp LEFT JOIN j2 ON paper_id = pp.id),
+p2 AS (SELECT *, CASE WHEN job = 'completed' THEN CASE WHEN was = 'parsed' OR NOT reads THEN 'parsed' ELSE 'source_ready' END WHEN job = 'failed' AND was IN ('saving', 'tagging', 'parsing') THEN 'parse_failed' ELSE was END AS status FROM p1),
+a1 AS (SELECT aa.*, CASE WHEN EXISTS (SELECT 1 FROM p1 WHERE asset_id = aa.id AND broken) THEN 'failed' ELSE parse_status END AS pw, CASE WHEN EXISTS (SELECT 1 FROM p1 WHERE asset_id = aa.id AND broken) THEN 'failed' ELSE ocr_status END AS ow,
+  EXISTS (SELECT 1 FROM p1 WHERE asset_id = aa.id AND job = 'completed' AND NOT reads) AS full_, EXISTS (SELECT 1 FROM p1 WHERE asset_id = aa.id AND job = 'completed' AND reads) AS read_, EXISTS (SELECT 1 FROM p1 WHERE asset_id = aa.id AND job = 'failed') AS fail_ FROM aa),
+a2 AS (SELECT id, parse_status AS po, ocr_status AS oo, CASE WHEN full_ OR read_ AND pw IS NOT DISTINCT FROM 'parsed' THEN 'parsed' WHEN read_ THEN 'source_ready' WHEN fail_ AND pw = 'ocr_running' THEN 'failed' ELSE pw END AS parse_status, CASE WHEN full_ OR read_ THEN 'completed' WHEN fail_ AND ow = 'running' THEN 'failed' ELSE ow END AS ocr_status FROM a1)"""
+
+
+def _reconciled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    made = [spark.sql(sql.replace(f"FROM {t}", f"FROM {{{t}}}"), **{t: table(spark, sf_dir, t)}) for sql, t in ((_JOBS.replace('{"', '{{"').replace('"}', '"}}').replace("'{}'", "'{{}}'"), "lineitem"), (_STATES, "papers"), (_ASSETS, "customer"))]
+    return X.reconcile(*made)
+
+
+@query("k5_reconcile", f"WITH {_RECONCILED} SELECT id, status, status IS DISTINCT FROM old AS changed FROM p2")
 def k5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 > 0").selectExpr("l_orderkey AS paper_id", "l_orderkey * 10 + l_linenumber AS id", "CASE l_linenumber % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' WHEN 2 THEN 'running' ELSE 'queued' END AS status")
-    return X.reconcile(jobs, table(spark, sf_dir, "papers"))
+    return _reconciled(spark, sf_dir)[0]
+
+
+@query("k5_assets", f"WITH {_RECONCILED} SELECT id, parse_status, ocr_status, parse_status IS DISTINCT FROM po OR ocr_status IS DISTINCT FROM oo AS changed FROM a2")
+def k5_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reconciled(spark, sf_dir)[1]
+
+
+@query("k5_interrupted", f"WITH jb AS ({_JOBS}) SELECT id, CASE WHEN x THEN 'failed' ELSE status END AS status, CASE WHEN x THEN 100 END AS progress, CASE WHEN x THEN 'service_restarted' END AS termination_reason FROM (SELECT *, job_type <> 'tagging' AND status IN ('pending', 'running') AS x FROM jb)")
+def k5_interrupted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql = _JOBS.replace('{"', '{{"').replace('"}', '"}}').replace("'{}'", "'{{}}'").replace("FROM lineitem", "FROM {lineitem}")
+    return X.fail_interrupted(spark.sql(sql, lineitem=table(spark, sf_dir, "lineitem"))).select("id", "status", "progress", "termination_reason")
 
 
 @query("k6_orphans", """WITH e AS (SELECT id, CASE WHEN id % 3 = 0 THEN file_type END AS namespace, CASE WHEN id % 7 > 0 THEN sha256 END AS sha256 FROM files), n AS (SELECT DISTINCT file_type AS namespace FROM files WHERE file_type <> 'de'), h AS (SELECT DISTINCT sha256 FROM files WHERE id % 2 = 0)
@@ -97,7 +127,7 @@ def k7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k8(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, users = tables(spark, sf_dir, "events", "customer")
     payload = F.map_concat(F.from_json("props", "map<string,string>"), F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("api_token"), F.lit("s3"))).otherwise(F.create_map().cast("map<string,string>")))
-    logs = events.select(F.col("event_id").alias("id"), F.col("event_type").alias("module"), "user_id", payload.alias("payload"))
+    logs = events.select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.col("event_type").alias("module"), "user_id", payload.alias("payload"))
     found = X.audit_feed(logs, users.select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("user_name")))
     return found.select("id", "module", "user_name", F.try_element_at("payload", F.lit("api_token")).alias("api_token"), F.try_element_at("payload", F.lit("k")).alias("k"))
 

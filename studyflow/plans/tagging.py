@@ -43,6 +43,34 @@ def e1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.match_points(texts, _terms(spark, sf_dir), most=0)
 
 
+_SCOPED = f"""WITH w AS (SELECT item_id AS id, {_WORDS} AS w FROM benchmark), v AS (SELECT id, w, id % 3 AS sub, id % 2 AS cat FROM w UNION ALL SELECT id + 1000, w, (id + 1) % 3, 1 - id % 2 FROM w WHERE id % 4 = 0),
+t AS (SELECT id AS point_id, sub, cat, array_to_string(w[1:2], ' ') AS term, 80 AS score, 0 AS ord FROM v UNION ALL SELECT id, sub, cat, w[3], 65, 1000 FROM v WHERE len(w) >= 3 UNION ALL SELECT id, sub, cat, w[4], 55, 2000 FROM v WHERE len(w) >= 4),
+m AS (SELECT d.doc_id AS id, point_id, score, term, ord FROM (SELECT doc_id, lower(text) AS low FROM documents) d JOIN (SELECT * FROM t WHERE length(term) >= 2) t ON sub = doc_id % 3 AND (doc_id % 4 = 3 OR cat = doc_id % 2) AND contains(d.low, t.term)),
+x AS (SELECT id, point_id, max(score)::INT AS score, arg_min(term, -score * 100000 + ord) AS reason FROM m GROUP BY ALL)"""
+
+
+def _scoped_matches(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
+    """Points of three subjects and two categories; every fourth one again in another subject, with the same terms."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]+"), 0)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), words.alias("w")).selectExpr("id", "w", "id % 3 AS subject_id", "id % 2 AS category_id")
+    items = items.union(items.where("id % 4 = 0").selectExpr("id + 1000", "w", "(id + 1) % 3", "1 - id % 2"))
+    points = items.select(
+        "id", "subject_id", "category_id", F.array_join(F.slice("w", 1, 2), " ").alias("name"), F.slice("w", 3, 1).alias("aliases"), F.slice("w", 4, 1).alias("keywords"), F.lit(None).cast("long").alias("chapter_id"), F.lit("").alias("path"),
+    )
+    texts = table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "text AS body", "doc_id % 3 AS subject_id", "CASE WHEN doc_id % 4 <> 3 THEN doc_id % 2 END AS category_id")
+    return X.match_points(texts, X.term_table(points), most)
+
+
+@query("e1_scoped", f"{_SCOPED} SELECT id, point_id, score, reason FROM x")
+def e1_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scoped_matches(spark, sf_dir, X.AUTOMATON_TERMS)
+
+
+@query("e1_scoped_by_pieces", f"{_SCOPED} SELECT id, point_id, score, reason FROM x")
+def e1_scoped_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scoped_matches(spark, sf_dir, 0)
+
+
 @query("e2_suggest_tags", f"""{_E1}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, point_id % 4, point_id) AS rank_no FROM x WHERE point_id % 7 <> 0)
 SELECT id, point_id, rank_no::INT AS rank_no, CASE WHEN rank_no = 1 THEN 'primary' ELSE 'secondary' END AS relation_type, round_even(least(score::DOUBLE / 100, 1), 2) AS confidence FROM r WHERE rank_no <= 5""")
 def e2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -237,3 +237,46 @@ def test_tables_of_parsed_pages_are_taken_out(spark):
     given = 'a<div style="text-align: center;"><table>1</table></div>\n|x|\nb'
     tables = F.array(F.struct(F.lit("<table>1</table>").alias("html"), F.lit("|x|").alias("markdown")), F.struct(F.lit(" ").alias("html"), F.lit(None).cast("string").alias("markdown")))
     assert cell(spark, X.strip_tables(F.col("t"), tables), t=given) == "a\n\nb"
+
+
+def test_drawn_places_are_a_permutation(spark):
+    """Every candidate comes once, whatever the number; draws differ by request and seed, and repeat."""
+    cands = spark.range(1, 101).selectExpr("id * 10 AS id", "CASE WHEN id <= 37 THEN 1 WHEN id <= 99 THEN 2 ELSE 3 END AS subject_id").withColumn("ord", F.expr("row_number() OVER (PARTITION BY subject_id ORDER BY id)").cast("long"))
+    requests = spark.createDataFrame([(1, 1, 100, "random"), (2, 1, 100, "chapter"), (3, 2, 50, "random"), (4, 3, 5, "random"), (5, 9, 5, "random"), (6, 1, 4, "paper"), (7, 1, 0, "random"), (8, 1, 3, "wrong_book")], "request_id long, subject_id int, n int, kind string")
+    draw = lambda seed: {k: [q for _, q in sorted(v)] for k, v in _by_request(learning.assemble_sessions(cands, requests, seed)).items()}
+    got = draw(1)
+    assert sorted(got[1]) == sorted(got[2]) == [10 * k for k in range(1, 38)] and got[1] != got[2] and got[1] != sorted(got[1])
+    assert len(set(got[3])) == 50 and set(got[3]) <= {10 * k for k in range(38, 100)} and got[4] == [1000] and 5 not in got and 7 not in got
+    assert got[6] == [10, 20, 30, 40] and got[8] == [10, 20, 30] and draw(1) == got and draw(2)[1] != got[1]
+    many = spark.range(3000).selectExpr("id AS request_id", "1 AS subject_id", "1 AS n", "'random' AS kind")
+    first = learning.assemble_sessions(cands, many).groupBy("question_id").count().collect()
+    assert len(first) == 37 and max(r["count"] for r in first) < 150 and min(r["count"] for r in first) > 30
+
+
+def _by_request(df):
+    out = {}
+    for r in df.collect():
+        assert r.score == 1
+        out.setdefault(r.request_id, []).append((r.item_no, r.question_id))
+    return out
+
+
+def test_tagging_stays_in_its_subject(spark):
+    points = spark.createDataFrame([(1, 1, 1, "收入确认"), (2, 2, 1, "收入确认"), (3, 1, 2, "收入"), (4, 1, None, "成本")], "id long, subject_id long, category_id long, name string").selectExpr("*", "array() AS aliases", "array() AS keywords", "'' AS path", "NULL AS chapter_id")
+    texts = spark.createDataFrame([(1, 1, None, "关于收入确认与成本"), (2, 2, None, "收入确认"), (3, 1, 1, "收入确认"), (4, 3, None, "收入确认"), (5, None, None, "收入确认"), (6, 1, 1, None)], "id long, subject_id long, category_id long, body string")
+    for most in (tagging.AUTOMATON_TERMS, 0):
+        got = sorted((r.id, r.point_id) for r in tagging.match_points(texts, tagging.term_table(points), most).collect())
+        assert got == [(1, 1), (1, 3), (1, 4), (2, 2), (3, 1)]
+
+
+def test_reconcile_papers_and_assets(spark):
+    jobs = spark.createDataFrame([
+        (1, "paper_parse", "paper", "completed", '{"paper_id": 1}', None), (2, "paper_parse", "paper", "failed", '{"paper_id": "1"}', None), (3, "paper_parse", "paper", "completed", '{"paper_id": 2, "execution_mode": "ocr_only"}', "{}"), (4, "paper_parse", "paper", "running", '{"paper_id": 3}', None),
+        (5, "paper_parse", "paper", "cancelled", '{"paper_id": 4}', None), (6, "tagging", "paper", "failed", '{"paper_id": 4}', None), (7, "paper_parse", "paper", "completed", "[]", None), (8, "paper_parse", "paper", "completed", '{"paper_id": 5}', '{"execution_mode": "ocr_only"}'), (9, "paper_parse", "paper", "pending", '{"paper_id": 99}', None),
+    ], "id long, job_type string, scope_type string, status string, scope string, summary string")
+    papers = spark.createDataFrame([(1, 10, "tagging"), (2, 10, "draft"), (3, 11, "parsed"), (4, 12, "saving"), (5, None, "parsed"), (6, 13, "draft")], "id long, asset_id long, status string")
+    assets = spark.createDataFrame([(10, "parsing", "running"), (11, "parsed", "completed"), (12, None, None), (13, "x", "running")], "id long, parse_status string, ocr_status string")
+    p, a = ops.reconcile(jobs, papers, assets)
+    assert sorted((r.id, r.status, r.changed) for r in p.collect()) == [(1, "parse_failed", True), (2, "source_ready", True), (3, "parse_failed", True), (4, "saving", False), (5, "parsed", False), (6, "draft", False)]
+    assert sorted((r.id, r.parse_status, r.ocr_status, r.changed) for r in a.collect()) == [(10, "source_ready", "completed", True), (11, "failed", "failed", True), (12, None, None, False), (13, "x", "running", False)]
+    assert sorted((r.id, r.stage) for r in ops.fail_interrupted(jobs).where("progress = 100").collect()) == [(4, "failed"), (9, "failed")]
