@@ -9,7 +9,8 @@ the others are revisits that refer to it.  Which it is follows from an aggregate
 shuffle) joined back to the pages; each task of that join writes its own bundles, so pages move once, and Spark splits
 a task of many equal payloads.
 
-Bundles are written by the tasks through pyarrow's file systems below the cluster's shared folder.  A file's name
+Bundles are written by the tasks through pyarrow's file systems below the cluster's shared folder (``s3a`` is known to
+pyarrow as ``s3``; its region and credentials come from the tasks' environment).  A file's name
 holds the hash of its content, and only the index of successful tasks names files, so a task that runs again or twice
 writes the same file again, or one that nothing refers to.  A task holds the plain records of a frame, and the compressed
 frames of a bundle (``BUNDLE_BYTES`` and a frame at most, since its name needs its content), besides its input batch.
@@ -22,6 +23,7 @@ the largest id are all responses; an empty table gives an empty index and no bun
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -116,11 +118,21 @@ def read_seek_table(file: pa.NativeFile) -> list[tuple[int, int]]:
     return out
 
 
+#: Names by which Spark knows stores that pyarrow knows by others.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def arrow_uri(uri: str) -> str:
+    """The URI of a folder, as pyarrow has it."""
+    scheme, sign, rest = uri.partition("://")
+    return f"{SCHEMES.get(scheme.lower(), scheme)}{sign}{rest}"
+
+
 class _Writer:
     """Frames and bundles of one task."""
 
     def __init__(self, folder: str):
-        self.fs, self.folder = pafs.FileSystem.from_uri(folder)
+        self.fs, self.folder = pafs.FileSystem.from_uri(arrow_uri(folder))
         self.fs.create_dir(self.folder, recursive=True)
         self.packer = zstandard.ZstdCompressor(level=3)
         self.plain, self.pending = bytearray(), []
@@ -199,23 +211,25 @@ def read_warc(index: DataFrame, folder: str, payload: bool = False) -> DataFrame
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.binary()] * payload
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, top = pafs.FileSystem.from_uri(f"{folder}/bundles")
+        fs, top = pafs.FileSystem.from_uri(arrow_uri(f"{folder}/bundles"))
         opened: tuple = (None, None, None)
         frame_at: tuple = (None, None, b"")
-        for batch in batches:
-            out = []
-            for bundle, frame, at, n in zip(*(c.to_pylist() for c in batch.columns[1:])):
-                if opened[0] != bundle:
-                    file = fs.open_input_file(f"{top}/{bundle}")
-                    opened = bundle, file, read_seek_table(file)
-                if frame_at[:2] != (bundle, frame):
-                    start, size = opened[2][frame]
-                    opened[1].seek(start)
-                    frame_at = bundle, frame, zstandard.ZstdDecompressor().decompress(opened[1].read(size))
-                record = read_record(frame_at[2][at : at + n])
-                out.append([record[c] for c in names])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), types)], names=names)
+        with contextlib.ExitStack() as files:
+            for batch in batches:
+                out = []
+                for bundle, frame, at, n in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                    if opened[0] != bundle:
+                        files.close()  # the bundle before
+                        file = files.enter_context(fs.open_input_file(f"{top}/{bundle}"))
+                        opened = bundle, file, read_seek_table(file)
+                    if frame_at[:2] != (bundle, frame):
+                        start, size = opened[2][frame]
+                        opened[1].seek(start)
+                        frame_at = bundle, frame, zstandard.ZstdDecompressor().decompress(opened[1].read(size))
+                    record = read_record(frame_at[2][at : at + n])
+                    out.append([record[c] for c in names])
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), types)], names=names)
 
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", payload binary" * payload
     return dealt.mapInArrow(run, schema)

@@ -556,3 +556,9 @@ def test_blocks_of_the_benchmark_are_held_one_at_a_time(spark, monkeypatch):
     assert sorted(map(repr, decontaminate.find_contamination(docs, bench, max_windows=20).collect())) == whole
     assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench, max_windows=20).collect()) == clean
     assert most[0] == 1
+
+
+def test_folders_by_the_names_that_pyarrow_knows(tmp_path):
+    assert [warc.arrow_uri(x) for x in ("s3a://bucket/a/b", "S3N://bucket/a", "hdfs://host:8020/a", f"file://{tmp_path}", "abfss://c@x.dfs.core.windows.net/a")] == [
+        "s3://bucket/a/b", "s3://bucket/a", "hdfs://host:8020/a", f"file://{tmp_path}", "abfss://c@x.dfs.core.windows.net/a",
+    ]
