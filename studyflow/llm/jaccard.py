@@ -505,7 +505,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     own, roots = _own_and_roots(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle, percent, block_sets)
     nodes = own.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     nodes = written(nodes)
-    lowest = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
+    # Written, so that the join is all that deals out its sides, and Spark splits the sets of a large component.
+    lowest = written(nodes.groupBy("root").agg(F.min("low").alias("component_id")))
     joined = own.join(nodes.join(lowest, "root").select("node", "component_id"), "node", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
