@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, kind: str = "table") -> str:
@@ -27,6 +28,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def made_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with more columns, each made once a row: behind a generator, no later expression makes it again wherever it is used."""
+    return df.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_made")).select(*df.columns, "_made.*")
+
+
 def folder_names(spark: SparkSession, path: str) -> list[str]:
     """Names of the files and folders in a folder; none if there is no such folder."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fields as N
+from ..functions.tables import made_once
 from .tagging import child_order
 
 
@@ -52,22 +53,40 @@ def bank_fingerprint(items: DataFrame) -> DataFrame:
     return made.select("id", "fingerprint", F.concat(F.lit("QB"), F.substring("fingerprint", 1, 24)).alias("uid"), "legacy")
 
 
+#: What the latest source overwrites of an item, and of its link, as far as sources have it.
+OVERWRITTEN = ("parent_fingerprint", "node_role", "question_type", "group_stem", "material_text", "stem_text", "options", "answer_text", "analysis_text", "difficulty_level", "quality_score")
+LINKED = ("paper_id", "section_id", "question_no", "source_fingerprint")
+
+
 def bank_merge(items: DataFrame, links: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items and links after sources (fingerprint, legacy, source_type, source_question_id, subject_id, category_id, stem_text, ord) came in.
+    """Items and links after sources (fingerprint, legacy, source_type, source_question_id, subject_id, category_id, ord, and columns of ``OVERWRITTEN`` and ``LINKED``) came in.
 
-    An item is known by its fingerprint, or else by the legacy one.  The latest source overwrites its text; subject and
-    category are filled only where there is none, by the first source that has one.  A link is unique per (source_type,
-    source_question_id) and moves with it; ``source_count`` counts an item's active links afterwards.
+    An item is known by its fingerprint, or else by the legacy one.  The latest source overwrites its content, also with
+    nulls, and is its ``first_source_question_id``; options are brought into their normal form, and a missing role is
+    standalone.  Subject and category are filled only where there is none, by the first source that has one.  A link is
+    unique per (source_type, source_question_id) and moves with it; ``source_count`` counts an item's active links
+    afterwards, and ``created`` tells new items.
     """
     known = items.select("fingerprint").distinct()
     met = incoming.join(known.select("fingerprint", F.lit(True).alias("own")), "fingerprint", "left").join(known.select(F.col("fingerprint").alias("legacy"), F.lit(True).alias("old")), "legacy", "left")
     met = met.withColumn("fingerprint", F.when(F.col("own").isNull() & F.col("old"), F.col("legacy")).otherwise(F.col("fingerprint")))
+    content = [c for c in OVERWRITTEN if c in incoming.columns]
+    formed = {"node_role": F.coalesce("node_role", F.lit("standalone")) if "node_role" in content else None, "options": N.options(F.col("options"), F.col("question_type")) if "options" in content else None}
+    met = made_once(met, {f"_{c}": x for c, x in formed.items() if x is not None}) if any(c in content for c in formed) else met
+    taken = F.struct(*(F.col(f"_{c}" if formed.get(c) is not None else c).alias(c) for c in content), F.col("source_question_id").alias("first_source_question_id"))
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(f"new_{c}")
-    latest = met.groupBy("fingerprint").agg(F.max_by("stem_text", "ord").alias("new_stem"), first("subject_id"), first("category_id"))
-    merged = items.join(latest, "fingerprint", "full").select("fingerprint", F.coalesce("subject_id", "new_subject_id").alias("subject_id"), F.coalesce("category_id", "new_category_id").alias("category_id"), F.coalesce("new_stem", "stem_text").alias("stem_text"))
-    moved = met.groupBy("source_type", "source_question_id").agg(F.max_by("fingerprint", "ord").alias("fingerprint")).withColumn("status", F.lit("active"))
+    latest = met.groupBy("fingerprint").agg(F.max_by(taken, "ord").alias("new"), first("subject_id"), first("category_id"))
+    both = items.withColumn("there", F.lit(True)).join(latest, "fingerprint", "full")
+    held = lambda c: F.col(c) if c in items.columns else F.lit(None)
+    new = F.col("new").isNotNull()
+    merged = both.select(
+        "fingerprint", F.coalesce("subject_id", "new_subject_id").alias("subject_id"), F.coalesce("category_id", "new_category_id").alias("category_id"),
+        *(F.when(new, F.col(f"new.{c}")).otherwise(held(c)).alias(c) for c in (*content, "first_source_question_id")), F.col("there").isNull().alias("created"),
+    )
+    linked = [c for c in LINKED if c in incoming.columns]
+    moved = met.groupBy("source_type", "source_question_id").agg(F.max_by(F.struct("fingerprint", *linked), "ord").alias("l")).select("source_type", "source_question_id", "l.*", F.lit("active").alias("status"))
     stay = links.join(moved, ["source_type", "source_question_id"], "left_anti")
-    all_links = stay.select("source_type", "source_question_id", "fingerprint", "status").unionByName(moved)
+    all_links = stay.select("source_type", "source_question_id", "fingerprint", *((F.col(c) if c in links.columns else F.lit(None).cast(incoming.schema[c].dataType)).alias(c) for c in linked), "status").unionByName(moved)
     counts = all_links.where("status = 'active'").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("source_count"))
     return merged.join(counts, "fingerprint", "left").na.fill(0, ["source_count"]), all_links
 
@@ -139,15 +158,31 @@ def _kept(*cs: Column) -> Column:
     return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in cs))
 
 
+def _clean(c: str) -> Column:
+    """A clean text, null where it is blank."""
+    return F.when(_kept(F.col(c)).isNotNull(), N.clean(F.col(c)))
+
+
+def clean_items(items: DataFrame) -> DataFrame:
+    """Items with their texts and options in the form of the export, made once for each item."""
+    return made_once(items, {"c_stem": _clean("stem_text"), "c_group_stem": _clean("group_stem"), "c_material": _clean("material_text"), "c_options": F.when(F.size("options") > 0, option_labels(F.col("options")))})
+
+
+def clean_reviews(reviews: DataFrame) -> DataFrame:
+    """Reviews with their texts and options in the form of the export, and what the source's lines before the first option, answer or analysis say, made once for each review."""
+    texts = made_once(reviews, {"r_stem": _clean("review_stem"), "r_group_stem": _clean("review_group_stem"), "r_material": _clean("review_material"), "r_raw": N.clean(F.col("source_raw_text")), "r_options": option_labels(F.col("review_options"))})
+    return made_once(texts, {"r_source": stem_source(F.col("r_raw"))}).drop("r_raw")
+
+
 def child_records(items: DataFrame, links: DataFrame, reviews: DataFrame) -> DataFrame:
-    """(parent_id, children) with the children of groups in order, from the bank, else from the review of their oldest source: (no, type, stem, options, answer, analysis)."""
+    """(parent_id, children) with the children of groups in order, from the bank, else from the review of their oldest source: (no, type, stem, options, answer, analysis).  Items and reviews are clean ones."""
     oldest = links.groupBy("bank_question_id").agg(F.min_by(F.struct("source_question_id", "question_no"), F.struct("created_at", "source_question_id")).alias("l"))
     rows = items.where("parent_id IS NOT NULL").join(oldest, F.col("id") == F.col("bank_question_id"), "left").join(reviews, F.col("l.source_question_id") == F.col("source_question_id"), "left")
     number = _kept(F.col("l.question_no"), F.col("review_no"), F.col("question_uid"))
     keys = [c.alias(f"k{n}") for n, c in enumerate(child_order(F.col("review_no"), F.col("id")))]
     rows = rows.select(
-        "parent_id", *keys, number.alias("no"), F.coalesce(_kept(F.col("question_type"), F.col("review_type")), F.lit("mixed")).alias("type"), N.clean(_kept(F.col("stem_text"), F.col("review_stem"))).alias("stem"),
-        option_labels(F.when(F.size("options") > 0, F.col("options")).otherwise(F.col("review_options"))).alias("options"), _kept(F.col("answer_text"), F.col("review_answer")).alias("answer"), _kept(F.col("analysis_text"), F.col("review_analysis")).alias("analysis"),
+        "parent_id", *keys, number.alias("no"), F.coalesce(_kept(F.col("question_type"), F.col("review_type")), F.lit("mixed")).alias("type"), F.coalesce("c_stem", "r_stem", F.lit("")).alias("stem"),
+        F.coalesce("c_options", "r_options", F.array().cast("array<string>")).alias("options"), _kept(F.col("answer_text"), F.col("review_answer")).alias("answer"), _kept(F.col("analysis_text"), F.col("review_analysis")).alias("analysis"),
     )
     child = F.struct("k0", "k1", "k2", "no", "type", "stem", "options", "answer", "analysis")
     return rows.groupBy("parent_id").agg(F.array_sort(F.collect_list(child)).alias("children"))
@@ -165,21 +200,19 @@ def export_records(items: DataFrame, links: DataFrame, reviews: DataFrame) -> Da
     review_group_stem, review_material, review_options, review_answer, review_analysis, source_raw_text).  A group has its
     children, shared stem and material; another question the shared stem that :func:`split_shared_stem` finds.
     """
+    items, reviews = clean_items(items), clean_reviews(reviews)
     roots = items.where("parent_id IS NULL").withColumnRenamed("id", "bank_question_id")
     rows = links.where("status = 'active'").join(roots.drop("status", "question_no"), "bank_question_id").join(reviews, "source_question_id")
     rows = rows.join(child_records(items, links, reviews).withColumnRenamed("parent_id", "bank_question_id"), "bank_question_id", "left")
     place = F.row_number().over(Window.partitionBy("paper_id").orderBy("sort_order", "source_question_id", "bank_question_id"))
     group = F.coalesce(F.col("node_role") == "group", F.lit(False)) | F.col("children").isNotNull()
-    # Columns of their own, so that each is made once and not wherever it is used.
-    rows = rows.withColumns({"_full": N.clean(_kept(F.col("stem_text"), F.col("review_stem"))), "_raw": N.clean(F.col("source_raw_text")), "_review": N.clean(F.col("review_stem"))})
-    shared, own = shared_and_own(F.col("_full"), F.col("_raw"), F.col("_review"))
-    group_stem = N.clean(_kept(F.col("group_stem"), F.col("review_group_stem"), F.col("stem_text")))
-    options = option_labels(F.when(F.size("options") > 0, F.col("options")).otherwise(F.col("review_options")))
+    shared, own = shared_and_own(F.coalesce("c_stem", "r_stem", F.lit("")), F.col("r_source"), F.coalesce("r_stem", F.lit("")))
+    options = F.coalesce("c_options", "r_options", F.array().cast("array<string>"))
     none = F.lit(None).cast("string")
     return rows.select(
         "paper_id", place.cast("long").alias("place"), "bank_question_id", F.coalesce(_kept(F.col("question_no"), F.col("review_no")), F.col("source_question_id").cast("string")).alias("no"),
         F.coalesce(_kept(F.col("question_type"), F.col("review_type")), F.when(group, "material_analysis").otherwise("mixed")).alias("type"), F.coalesce(_kept(F.col("section_name")), F.lit(NO_SECTION)).alias("section"), group.alias("is_group"),
-        F.when(group, group_stem).otherwise(shared).alias("shared_stem"), F.when(group, N.clean(_kept(F.col("material_text"), F.col("review_material")))).otherwise("").alias("material"), F.when(group, "").otherwise(own).alias("stem"),
+        F.when(group, F.coalesce("c_group_stem", "r_group_stem", "c_stem", F.lit(""))).otherwise(shared).alias("shared_stem"), F.when(group, F.coalesce("c_material", "r_material", F.lit(""))).otherwise("").alias("material"), F.when(group, "").otherwise(own).alias("stem"),
         F.when(group, F.array().cast("array<string>")).otherwise(options).alias("options"), F.when(group, none).otherwise(_kept(F.col("answer_text"), F.col("review_answer"))).alias("answer"),
         F.when(group, none).otherwise(_kept(F.col("analysis_text"), F.col("review_analysis"))).alias("analysis"), "children",
     )
@@ -189,11 +222,15 @@ def export_records(items: DataFrame, links: DataFrame, reviews: DataFrame) -> Da
 STEM_ENDS = r"^(答案[:：]|参考答案[:：]|正确答案[:：]|解析[:：]|答案解析[:：]|【解析】|\s*[A-Ha-h]\s*[.、．)]\s*)"
 
 
-def shared_and_own(full: Column, raw: Column, stem: Column) -> tuple[Column, Column]:
-    """The shared and the own part of a stem, from clean texts: if it ends with what the source's lines before the first option, answer or analysis say, that is its own, and the rest before is shared."""
+def stem_source(raw: Column) -> Column:
+    """What the lines of a clean source say before the first option, answer or analysis."""
     lines = F.filter(F.split(raw, "\n"), lambda x: x != "")
-    stop = F.array_position(F.transform(lines, lambda x: x.rlike(STEM_ENDS)), True)
-    source = F.array_join(F.slice(lines, F.lit(1), F.when(stop > 0, stop - 1).otherwise(F.size(lines)).cast("int")), "\n")
+    before = lambda ls: F.slice(ls, F.lit(1), F.coalesce(F.nullif(F.array_position(F.transform(ls, lambda x: x.rlike(STEM_ENDS)), True), F.lit(0).cast("long")) - 1, F.size(ls)).cast("int"))
+    return F.get(F.transform(F.array(lines), lambda ls: F.array_join(before(ls), "\n")), 0)
+
+
+def shared_and_own(full: Column, source: Column, stem: Column) -> tuple[Column, Column]:
+    """The shared and the own part of a clean stem: if it ends with what its source says (:func:`stem_source`, or else ``stem``), that is its own, and the rest before is shared."""
     own = F.when(source != "", source).otherwise(stem)
     before = F.trim(F.substr(full, F.lit(1), F.greatest(F.length(full) - F.length(own), F.lit(0))))
     ends = (own != "") & (full != own) & F.endswith(full, own) & (before != "")
@@ -202,8 +239,9 @@ def shared_and_own(full: Column, raw: Column, stem: Column) -> tuple[Column, Col
 
 def split_shared_stem(questions: DataFrame) -> DataFrame:
     """(id, shared_stem, own_stem) of questions (id, stem_text, source_raw_text); no shared stem is null."""
-    rows = questions.select("id", N.clean(F.col("stem_text")).alias("_stem"), N.clean(F.col("source_raw_text")).alias("_raw"))
-    shared, own = shared_and_own(F.col("_stem"), F.col("_raw"), F.col("_stem"))
+    rows = made_once(questions.select("id", "stem_text", "source_raw_text"), {"_stem": N.clean(F.col("stem_text")), "_raw": N.clean(F.col("source_raw_text"))})
+    rows = made_once(rows, {"_source": stem_source(F.col("_raw"))})
+    shared, own = shared_and_own(F.col("_stem"), F.col("_source"), F.col("_stem"))
     return rows.select("id", F.nullif(shared, F.lit("")).alias("shared_stem"), own.alias("own_stem"))
 
 
@@ -267,8 +305,22 @@ def export_markdown(records: DataFrame, papers: DataFrame, mode: str = "inline")
     return joined.join(papers.select("paper_id", "name"), "paper_id").select("paper_id", F.concat(plain, F.lit("-inline.md" if inline else "-appendix.md")).alias("file"), F.concat(text, F.lit("\n")).alias("markdown"))
 
 
+def _going(items: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id) of the given roots and their children."""
+    gone = items.join(ids, F.col("id") == ids["gone_id"], "left_semi").select("id")
+    return gone.unionByName(items.join(ids, F.col("parent_id") == ids["gone_id"], "left_semi").select("id")).distinct()
+
+
 def delete_items(items: DataFrame, links: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items and links without the given roots, their children and their links; review rows stay."""
-    gone = items.join(ids, F.col("id") == ids["gone_id"], "left_semi").select("id")
-    gone = gone.unionByName(items.join(ids, F.col("parent_id") == ids["gone_id"], "left_semi").select("id")).distinct()
+    gone = _going(items, ids)
     return items.join(gone, "id", "left_anti"), links.join(gone.select(F.col("id").alias("bank_question_id")), "bank_question_id", "left_anti")
+
+
+def delete_counts(items: DataFrame, links: DataFrame, ids: DataFrame) -> DataFrame:
+    """(kind, removed): items and links that :func:`delete_items` takes away, and ids that are no item's."""
+    gone = _going(items, ids)
+    lost = links.join(gone.select(F.col("id").alias("bank_question_id")), "bank_question_id", "left_semi")
+    unknown = ids.select(F.col("gone_id").alias("id")).distinct().join(items.select("id"), "id", "left_anti")
+    n = lambda df, kind: df.agg(F.count(F.lit(1)).alias("removed")).select(F.lit(kind).alias("kind"), "removed")
+    return n(gone, "items").unionByName(n(lost, "links")).unionByName(n(unknown, "unknown"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import marks as M
+from ..functions.tables import stored
 from ..functions.text import SPACE, strip
 
 #: Upper ends of the length buckets, shares, words of questions and of shared material (fixed values).
@@ -164,6 +165,16 @@ def score_starts(lines: DataFrame, labels: DataFrame, features: DataFrame, thres
     return lines.withColumn("p", probability(odds(start_features(F.col("text"))))).withColumn("start", F.col("p") >= threshold)
 
 
+def fit_starts(labelled: DataFrame, threshold: float = START) -> DataFrame:
+    """Labelled lines, without their text, with ``p`` and ``start`` of a model that is trained on them.
+
+    Features are made in one pass and written; training and scores read them from there.
+    """
+    made = stored(labelled.withColumn("f", start_features(F.col("text"))).drop("text"))
+    odds = log_odds(*train_sets(made.groupBy("label", "f").agg(F.count(F.lit(1)).alias("n"))), "question_start", "other")
+    return made.withColumn("p", probability(odds(F.col("f")))).withColumn("start", F.col("p") >= threshold).drop("f")
+
+
 def probability(score: Column) -> Column:
     """Sigmoid of the log odds, held within 50."""
     return 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), score))))

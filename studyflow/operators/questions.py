@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fields as N
 from ..functions.text import source_text, strip
+from .bank import bank_ready
 from .taxonomy import descendants_by_level, tree_labels
 
 _SUB = "question_no string, question_type string, stem_text string, options array<string>, answer_text string, analysis_text string, source_raw_text string"
@@ -207,13 +208,29 @@ def solution_batches(questions: DataFrame, n: int = 10) -> DataFrame:
     return questions.where("parent_id IS NULL").join(need, "id", "left_semi").select("paper_id", "id", F.ceil(rank / n).cast("long").alias("batch"))
 
 
-def bulk_review(questions: DataFrame, changes: DataFrame, ready: DataFrame) -> DataFrame:
-    """(root_id, status, ok, reason) of changes (id, status): ids are mapped to their roots, the last of several wins; only ready roots can be approved."""
-    mapped = changes.join(questions.select("id", F.coalesce("parent_id", "id").alias("root_id")), "id", "left")
-    missing = mapped.where("root_id IS NULL").select(F.col("id").alias("root_id"), "status", F.lit(False).alias("ok"), F.lit("not_found").alias("reason"))
-    one = mapped.where("root_id IS NOT NULL").groupBy("root_id").agg(F.max_by("status", "id").alias("status")).join(ready.select(F.col("id").alias("root_id"), "missing"), "root_id", "left")
-    bad = (F.col("status") == "approved") & (F.coalesce("missing", F.lit("")) != "")
-    return one.select("root_id", "status", (~bad).alias("ok"), F.when(bad, F.col("missing")).alias("reason")).unionByName(missing)
+def bulk_review(questions: DataFrame, changes: DataFrame) -> DataFrame:
+    """(id, root_id, status, ok, reason): what changes (id, status) do to roots and their children.
+
+    Ids are mapped to their roots, and of several changes of a root that of the largest id counts.  A root takes its
+    children with it.  Approval fails, for all of them, with what :func:`..bank.bank_ready` would still miss then; ids that
+    are not there fail as ``not_found``.
+    """
+    up = roots(questions)
+    mapped = changes.join(up, "id", "left")
+    missing = mapped.where("root_id IS NULL").select("id", F.lit(None).cast("long").alias("root_id"), "status", F.lit(False).alias("ok"), F.lit("not_found").alias("reason"))
+    one = mapped.where("root_id IS NOT NULL").groupBy("root_id").agg(F.max_by("status", "id").alias("new"))
+    touched = questions.join(one.withColumnRenamed("root_id", "id"), "id").select("id", F.col("id").alias("root_id"), "new").unionByName(questions.join(one.withColumnRenamed("root_id", "parent_id"), "parent_id").select("id", F.col("parent_id").alias("root_id"), "new"))
+    after = questions.join(touched.select("id", "new"), "id", "left").withColumn("status", F.coalesce("new", "status")).drop("new")
+    checked = touched.join(bank_ready(after).select(F.col("id").alias("root_id"), "missing"), "root_id", "left")
+    bad = (F.col("new") == "approved") & (F.coalesce("missing", F.lit("")) != "")
+    return checked.select("id", "root_id", F.col("new").alias("status"), (~bad).alias("ok"), F.when(bad, F.col("missing")).alias("reason")).unionByName(missing)
+
+
+def bulk_counts(reviewed: DataFrame, changes: DataFrame) -> DataFrame:
+    """One row: ids asked for, roots that took the change, and roots and unknown ids that failed."""
+    of_roots = reviewed.where("root_id IS NULL OR id = root_id")
+    done = of_roots.agg(F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"))
+    return changes.agg(F.count_distinct("id").alias("requested")).join(F.broadcast(done))  # one row each
 
 
 #: Texts of a root, and of a child, that a search in the workspace reads.

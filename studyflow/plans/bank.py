@@ -61,26 +61,29 @@ def _merge(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "bank_links").join(table(spark, sf_dir, "bank_items").select(F.col("id").alias("bank_question_id"), "stem_text", "subject_id"), "bank_question_id")
     rows = rows.select(
         F.md5("stem_text").alias("fingerprint"), F.md5(F.concat(F.lit("old "), "stem_text")).alias("legacy"), (F.col("source_question_id") % 2).cast("string").alias("source_type"), "source_question_id", F.when(F.col("source_question_id") % 4 > 0, F.col("subject_id")).alias("subject_id"),
-        F.when(F.col("source_question_id") % 5 == 1, F.col("subject_id") + 10).alias("category_id"), "stem_text", F.struct("created_at", "paper_id", "bank_question_id").alias("ord"),
+        F.when(F.col("source_question_id") % 5 == 1, F.col("subject_id") + 10).alias("category_id"), "stem_text", F.struct("created_at", "paper_id", "bank_question_id").alias("ord"), "paper_id", F.expr("CASE WHEN source_question_id % 4 <> 1 THEN concat('No. ', source_question_id) END AS question_no"),
+        F.expr("CASE source_question_id % 3 WHEN 0 THEN 'judge' WHEN 1 THEN 'single_choice' END AS question_type"), F.expr("CASE WHEN source_question_id % 5 > 1 THEN 'group' END AS node_role"), F.expr("array('A. x', concat('b、', source_question_id), ' X ', '无') AS options"), F.expr("CASE WHEN source_question_id % 7 > 0 THEN concat('because ', source_question_id) END AS analysis_text"),
     )
     old = rows.where("source_question_id % 3 = 0").withColumn("fingerprint", F.when(F.length("stem_text") % 2 == 0, F.col("legacy")).otherwise(F.col("fingerprint")))
-    items = old.groupBy("fingerprint").agg(F.max_by(F.struct("subject_id", "category_id", "stem_text"), "ord").alias("n"))
-    links = old.groupBy("source_type", "source_question_id").agg(F.max_by("fingerprint", "ord").alias("fingerprint")).withColumn("status", F.when(F.col("source_question_id") % 11 == 0, "removed").otherwise("active"))
+    items = old.groupBy("fingerprint").agg(F.max_by(F.struct("subject_id", "category_id", "stem_text", F.lit("old").alias("node_role"), "question_type", "options", "analysis_text", F.lit(-1).cast("long").alias("first_source_question_id")), "ord").alias("n"))
+    links = old.groupBy("source_type", "source_question_id").agg(F.max_by(F.struct("fingerprint", "paper_id"), "ord").alias("l")).select("source_type", "source_question_id", "l.*", F.when(F.col("source_question_id") % 11 == 0, "removed").otherwise("active").alias("status"))
     return X.bank_merge(items.select("fingerprint", "n.*"), links, rows.where("source_question_id % 3 <> 0 OR source_question_id % 7 = 0"))
 
 
-_MERGE = """r AS (SELECT md5(stem_text) AS own, md5('old ' || stem_text) AS legacy, (source_question_id % 2)::VARCHAR AS source_type, source_question_id, CASE WHEN source_question_id % 4 > 0 THEN subject_id END AS subject_id, CASE WHEN source_question_id % 5 = 1 THEN subject_id + 10 END AS category_id, stem_text, (created_at, paper_id, bank_question_id) AS ord FROM bank_links l JOIN bank_items i ON i.id = l.bank_question_id),
-od AS (SELECT *, CASE WHEN length(stem_text) % 2 = 0 THEN legacy ELSE own END AS fingerprint FROM r WHERE source_question_id % 3 = 0), o AS (SELECT fingerprint, max_by({'s': subject_id, 'c': category_id, 't': stem_text}, ord) AS n FROM od GROUP BY 1),
-ol AS (SELECT source_type, source_question_id, max_by(fingerprint, ord) AS fingerprint, CASE WHEN source_question_id % 11 = 0 THEN 'removed' ELSE 'active' END AS status FROM od GROUP BY 1, 2),
+_MERGE = """r AS (SELECT md5(stem_text) AS own, md5('old ' || stem_text) AS legacy, (source_question_id % 2)::VARCHAR AS source_type, source_question_id, CASE WHEN source_question_id % 4 > 0 THEN subject_id END AS subject_id, CASE WHEN source_question_id % 5 = 1 THEN subject_id + 10 END AS category_id, stem_text, (created_at, paper_id, bank_question_id) AS ord, paper_id, CASE WHEN source_question_id % 4 <> 1 THEN 'No. ' || source_question_id END AS qno,
+  CASE source_question_id % 3 WHEN 0 THEN 'judge' WHEN 1 THEN 'single_choice' END AS qt, CASE WHEN source_question_id % 5 > 1 THEN 'group' END AS nr, CASE WHEN source_question_id % 7 > 0 THEN 'because ' || source_question_id END AS an FROM bank_links l JOIN bank_items i ON i.id = l.bank_question_id),
+od AS (SELECT *, CASE WHEN length(stem_text) % 2 = 0 THEN legacy ELSE own END AS fingerprint FROM r WHERE source_question_id % 3 = 0), o AS (SELECT fingerprint, max_by({'s': subject_id, 'c': category_id, 't': stem_text, 'nr': 'old', 'qt': qt, 'op': 'A. x|b、' || source_question_id || '| X |无', 'an': an, 'f': -1::BIGINT}, ord) AS n FROM od GROUP BY 1),
+ol AS (SELECT source_type, source_question_id, max_by(fingerprint, ord) AS fingerprint, max_by(paper_id, ord) AS paper_id, NULL AS question_no, CASE WHEN source_question_id % 11 = 0 THEN 'removed' ELSE 'active' END AS status FROM od GROUP BY 1, 2),
 i AS (SELECT *, CASE WHEN own NOT IN (SELECT fingerprint FROM o) AND legacy IN (SELECT fingerprint FROM o) THEN legacy ELSE own END AS fingerprint FROM r WHERE source_question_id % 3 <> 0 OR source_question_id % 7 = 0),
-il AS (SELECT fingerprint, max_by(stem_text, ord) AS t, arg_min(subject_id, ord) FILTER (WHERE subject_id IS NOT NULL) AS s, arg_min(category_id, ord) FILTER (WHERE category_id IS NOT NULL) AS c FROM i GROUP BY 1), mv AS (SELECT source_type, source_question_id, max_by(fingerprint, ord) AS fingerprint, 'active' AS status FROM i GROUP BY 1, 2),
+il AS (SELECT fingerprint, max_by({'t': stem_text, 'nr': coalesce(nr, 'standalone'), 'qt': qt, 'op': CASE WHEN qt = 'judge' THEN '正确|错误' ELSE 'x|' || source_question_id END, 'an': an, 'f': source_question_id}, ord) AS n, arg_min(subject_id, ord) FILTER (WHERE subject_id IS NOT NULL) AS s, arg_min(category_id, ord) FILTER (WHERE category_id IS NOT NULL) AS c FROM i GROUP BY 1), mv AS (SELECT source_type, source_question_id, max_by(fingerprint, ord) AS fingerprint, max_by(paper_id, ord) AS paper_id, max_by({'q': qno}, ord).q AS question_no, 'active' AS status FROM i GROUP BY 1, 2),
 al AS (SELECT * FROM ol WHERE NOT EXISTS (SELECT 1 FROM mv WHERE mv.source_type = ol.source_type AND mv.source_question_id = ol.source_question_id) UNION ALL SELECT * FROM mv)"""
 
 
-@query("f3_merge_items", f"""WITH {_MERGE} SELECT coalesce(o.fingerprint, il.fingerprint) AS fingerprint, coalesce(o.n.s, il.s) AS subject_id, coalesce(o.n.c, il.c) AS category_id, coalesce(il.t, o.n.t) AS stem_text,
-  (SELECT count(*) FROM al WHERE al.status = 'active' AND al.fingerprint = coalesce(o.fingerprint, il.fingerprint)) AS source_count FROM o FULL JOIN il ON o.fingerprint = il.fingerprint""")
+@query("f3_merge_items", f"""WITH {_MERGE}, b AS (SELECT coalesce(o.fingerprint, il.fingerprint) AS fingerprint, coalesce(o.n.s, il.s) AS subject_id, coalesce(o.n.c, il.c) AS category_id, o.fingerprint IS NULL AS created,
+  CASE WHEN il.fingerprint IS NOT NULL THEN il.n ELSE {{'t': o.n.t, 'nr': o.n.nr, 'qt': o.n.qt, 'op': o.n.op, 'an': o.n.an, 'f': o.n.f}} END AS n FROM o FULL JOIN il ON o.fingerprint = il.fingerprint)
+SELECT fingerprint, subject_id, category_id, created, n.t AS stem_text, n.nr AS node_role, n.qt AS question_type, n.op AS options, n.an AS analysis_text, n.f AS first_source_question_id, (SELECT count(*) FROM al WHERE al.status = 'active' AND al.fingerprint = b.fingerprint) AS source_count FROM b""")
 def f3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merge(spark, sf_dir)[0]
+    return _merge(spark, sf_dir)[0].withColumn("options", F.array_join("options", "|"))
 
 
 @query("f3_merge_links", f"WITH {_MERGE} SELECT * FROM al")
@@ -193,3 +196,9 @@ def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, links = tables(spark, sf_dir, "bank_items", "bank_links")
     kept, kept_links = X.delete_items(items, links, items.where("id % 4 = 0").select(F.col("id").alias("gone_id")))
     return kept.agg(F.count(F.lit(1)).alias("left_rows")).select(F.lit("items").alias("kind"), "left_rows").unionByName(kept_links.agg(F.count(F.lit(1)).alias("left_rows")).select(F.lit("links").alias("kind"), "left_rows"))
+
+
+@query("f11_delete_counts", """WITH g AS (SELECT id FROM bank_items WHERE id % 4 = 0 OR parent_id % 4 = 0) SELECT 'items' AS kind, count(*) AS removed FROM g UNION ALL SELECT 'links', count(*) FROM bank_links WHERE bank_question_id IN (SELECT id FROM g) UNION ALL SELECT 'unknown', count(*) FROM bank_items WHERE id % 8 = 0""")
+def f11_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, links = tables(spark, sf_dir, "bank_items", "bank_links")
+    return X.delete_counts(items, links, items.where("id % 4 = 0").select(F.col("id").alias("gone_id")).union(items.where("id % 8 = 0").select(-F.col("id") - 1)))

@@ -371,7 +371,7 @@ def _ratio(a: str, b: str) -> str:
 @query("c5_evaluate", f"""WITH {_SCORED}, e AS (SELECT count(*) FILTER (WHERE label = 'delete' AND predicted) AS tp, count(*) FILTER (WHERE label <> 'delete' AND predicted) AS fp, count(*) FILTER (WHERE label = 'delete' AND NOT predicted) AS fn, count(*) FILTER (WHERE label <> 'delete' AND NOT predicted) AS tn FROM pr)
 SELECT tp, fp, fn, tn, {_ratio('tp + tn', 'tp + fp + fn + tn')} AS accuracy, {_ratio('tp', 'tp + fp')} AS precision, {_ratio('tp', 'tp + fn')} AS recall, {_ratio('2 * tp', '2 * tp + fp + fn')} AS f1 FROM e""")
 def c5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = C.feature_sets(_labelled(spark, sf_dir)).persist()  # a row for each set of features and label
+    sets = stored(C.feature_sets(_labelled(spark, sf_dir)))  # a row for each set of features and label
     return C.evaluate_sets(sets, *C.train_sets(sets))
 
 
@@ -397,8 +397,7 @@ def c6_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("c6_probability", f"WITH {_STARTS_SQL}, p AS (SELECT id, label, 1 / (1 + exp(-greatest(-50, least(50, score)))) AS p FROM sc) SELECT id, label, round(p, 4) AS p, p >= 0.55::DOUBLE AS start FROM p")
 def c6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _starts(spark, sf_dir)
-    return C.score_starts(rows, *C.train_nb(rows, C.start_features)).select("id", "label", F.round("p", 4).alias("p"), "start")
+    return C.fit_starts(_starts(spark, sf_dir)).select("id", "label", F.round("p", 4).alias("p"), "start")
 
 
 @query("c7_publish_gate", """SELECT l_suppkey AS run_id, count(*) FILTER (WHERE 1 - l_discount / 2 >= 0.92::DOUBLE) AS samples, round(avg((l_linenumber > 1)::INT::DOUBLE), 6) AS pass_rate, round(avg(1 - l_discount / 2), 6) AS confidence,

@@ -29,7 +29,7 @@ def a2(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT n.id, n.sha256, coalesce(known_id, first_id) AS stored_id, 'library/202401/' || n.sha256 || '.' || ft AS path, known_id IS NULL AND n.id = first_id AS is_new FROM n JOIN f ON f.sha256 = n.sha256 LEFT JOIN k ON k.sha256 = n.sha256""")
 def a3(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "files")
-    return S.ingest(files.where("id % 3 > 0").select("id", "text", "file_type", F.lit("202401").alias("month")), files.where("id % 3 = 0").select("id", "sha256"))
+    return S.ingest(files.where("id % 3 > 0").select("id", F.encode("text", "UTF-8").alias("content"), "file_type", F.lit("202401").alias("month")), files.where("id % 3 = 0").select("id", "sha256"))
 
 
 @query("a4_overrides", "SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN source ELSE 'math' END AS subject, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN NULL ELSE '2024' END AS version FROM documents")
@@ -42,21 +42,21 @@ def a4(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COPY = "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN concat('{{', event_id) ELSE props END AS props, CASE WHEN event_id % 5 = 0 THEN 'n/a' ELSE CAST(value AS {string}) END AS value, user_id AS unused FROM events"
 
 
-def _copied(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+def _copying(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, T.StructType]:
     rows = spark.sql(_COPY.format(string="STRING").replace("concat('{'", "concat('{{'").replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
     target = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("props", T.MapType(T.StringType(), T.IntegerType())), T.StructField("value", T.DoubleType()), T.StructField("absent", T.StringType())])
-    return S.copy_columns(rows, target)
+    return rows, target
 
 
 @query("a5_copy_columns", f"WITH r AS ({_COPY.format(string='VARCHAR')}) SELECT event_id, CASE WHEN event_id % 7 > 0 THEN json_extract_string(props, '$.k')::INT END AS k, CASE WHEN event_id % 5 > 0 THEN round(value::DOUBLE, 6) END AS value, CASE WHEN event_id % 7 = 0 THEN '{{' || event_id END AS raw_props, CASE WHEN event_id % 5 = 0 THEN 'n/a' END AS raw_value FROM r")
 def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = lambda c: F.try_element_at("raw", F.lit(c)).alias(f"raw_{c}")
-    return _copied(spark, sf_dir)[0].select("event_id", F.try_element_at("props", F.lit("k")).alias("k"), F.round("value", 6).alias("value"), raw("props"), raw("value"))
+    return S.copy_columns(*_copying(spark, sf_dir))[0].select("event_id", F.try_element_at("props", F.lit("k")).alias("k"), F.round("value", 6).alias("value"), raw("props"), raw("value"))
 
 
 @query("a5_copy_counts", "SELECT count(*) AS rows, count(*) FILTER (WHERE event_id % 7 = 0 OR event_id % 5 = 0) AS raw_rows, 1::BIGINT AS missing_columns FROM events")
 def a5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.copy_counts(*_copied(spark, sf_dir))
+    return S.copy_table(*_copying(spark, sf_dir), shared_folder(spark, "copy"))
 
 
 _LINES = "q AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey AS paper_id, l_orderkey * 10 + l_linenumber AS id, l_linenumber AS n FROM lineitem ORDER BY l_orderkey, l_linenumber)"
@@ -275,13 +275,28 @@ def d13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.solution_batches(_review(spark, sf_dir))
 
 
-@query("d14_bulk_review", f"""WITH {_REVIEW}, c AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'approved' ELSE 'rejected' END AS status FROM rv WHERE id % 2 = 0 UNION ALL SELECT -1, 'approved'),
-m AS (SELECT coalesce(rv.parent_id, rv.id) AS root_id, max_by(c.status, c.id) AS status FROM c JOIN rv ON rv.id = c.id GROUP BY 1) SELECT root_id, status FROM m UNION ALL SELECT -1, 'approved'""")
+# A change names a question or a child of one; what is approved must be whole: own texts, or those of all children.
+_BULK = f"""{_REVIEW}, ch AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'rejected' ELSE 'approved' END AS status FROM rv WHERE id % 2 = 0 UNION ALL SELECT -1, 'approved'),
+mp AS (SELECT coalesce(rv.parent_id, rv.id) AS root_id, max_by(ch.status, ch.id) AS status FROM ch JOIN rv ON rv.id = ch.id GROUP BY 1), lk AS (SELECT *, concat_ws(',', CASE WHEN coalesce(trim(stem_text), '') = '' THEN 'stem_text' END, CASE WHEN coalesce(trim(answer_text), '') = '' THEN 'answer_text' END, CASE WHEN coalesce(trim(analysis_text), '') = '' THEN 'analysis_text' END) AS lacks FROM rv),
+gr AS (SELECT parent_id AS id, bool_and(lacks = '') AS whole FROM lk WHERE parent_id IS NOT NULL GROUP BY 1),
+rs AS (SELECT root_id, mp.status, CASE WHEN mp.status <> 'approved' THEN '' WHEN node_role = 'group' THEN CASE WHEN gr.id IS NULL THEN 'children' WHEN NOT whole THEN 'children_ready' ELSE '' END ELSE lacks END AS reason FROM mp JOIN lk ON lk.id = root_id LEFT JOIN gr ON gr.id = root_id)"""
+
+
+@query("d14_bulk_review", f"""WITH {_BULK} SELECT rv.id, root_id, rs.status, reason = '' AS ok, nullif(reason, '') AS reason FROM rs JOIN rv ON rv.id = root_id OR rv.parent_id = root_id UNION ALL SELECT -1, NULL, 'approved', false, 'not_found'""")
 def d14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.bulk_review(*_bulk(spark, sf_dir))
+
+
+@query("d14_bulk_counts", f"""WITH {_BULK} SELECT (SELECT count(*) FROM ch) AS requested, (SELECT count(*) FROM rs WHERE reason = '') AS succeeded, (SELECT count(*) FROM rs WHERE reason <> '') + 1 AS failed""")
+def d14_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, changes = _bulk(spark, sf_dir)
+    return Q.bulk_counts(Q.bulk_review(rows, changes), changes)
+
+
+def _bulk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = _review(spark, sf_dir)
-    changes = rows.where("id % 2 = 0").select("id", F.when(F.col("id") % 3 == 0, "approved").otherwise("rejected").alias("status"))
-    changes = changes.union(rows.agg(F.lit(-1).cast("long").alias("id"), F.lit("approved").alias("status")))
-    return Q.bulk_review(rows, changes, B.bank_ready(rows)).select("root_id", "status")
+    changes = rows.where("id % 2 = 0").select("id", F.when(F.col("id") % 3 == 0, "rejected").otherwise("approved").alias("status"))
+    return rows, changes.union(rows.agg(F.lit(-1).cast("long").alias("id"), F.lit("approved").alias("status")))
 
 
 _SPACE = f"""{_REVIEW}, se AS (SELECT DISTINCT subject_id AS paper_id, length(question_type) * 10 + subject_id AS id, question_type AS name FROM bank_items),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,12 +44,18 @@ def read_corpus(spark: SparkSession, glob: str) -> DataFrame:
     return decode_contents(spark.read.format("binaryFile").load(glob))
 
 
+def read_bytes(spark: SparkSession, glob: str) -> DataFrame:
+    """(path, content, file_type, month) of files of any kind, byte for byte; the month is that of their last change."""
+    files = spark.read.format("binaryFile").load(glob)
+    return files.select("path", "content", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("file_type"), F.date_format("modificationTime", "yyyyMM").alias("month"))
+
+
 def ingest(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """New files (id, text, file_type, month) known by the SHA-256 of their bytes: (id, sha256, stored_id, path, is_new).
+    """New files (id, content, file_type, month) known by the SHA-256 of their bytes: (id, sha256, stored_id, path, is_new).
 
-    A known hash gives the stored file; of equal ones in the batch the smallest id is stored.
+    ``content`` is what :func:`read_bytes` gives; files that have a ``text`` instead are taken as its UTF-8.  A known hash gives the stored file; of equal ones in the batch the smallest id is stored.
     """
-    rows = new.withColumn("sha256", F.sha2(F.encode("text", "UTF-8"), 256))
+    rows = new.withColumn("sha256", F.sha2("content" if "content" in new.columns else F.encode("text", "UTF-8"), 256))
     first = rows.groupBy("sha256").agg(F.min("id").alias("first_id"), F.min_by(F.struct("month", "file_type"), "id").alias("f"))
     known = existing.groupBy("sha256").agg(F.min("id").alias("known_id"))
     named = first.join(known, "sha256", "left").select("sha256", F.coalesce("known_id", "first_id").alias("stored_id"), F.concat(F.lit("library/"), "f.month", F.lit("/"), "sha256", F.lit("."), "f.file_type").alias("path"), F.col("known_id").isNull().alias("fresh"), "first_id")
@@ -93,6 +99,15 @@ def copy_counts(copied: DataFrame, missing: list[str]) -> DataFrame:
     return copied.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.size("raw") > 0).alias("raw_rows"), F.lit(len(missing)).cast("long").alias("missing_columns"))
 
 
+def copy_table(source: DataFrame, target: T.StructType, path: str) -> DataFrame:
+    """Write :func:`copy_columns` as Parquet, and give the row of :func:`copy_counts`, counted while it was written."""
+    copied, missing = copy_columns(source, target)
+    seen = Observation()
+    copied.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.size("raw") > 0).alias("raw_rows")).write.parquet(path)
+    found = seen.get
+    return source.sparkSession.createDataFrame([(found["rows"], found["raw_rows"], len(missing))], "rows long, raw_rows long, missing_columns long")
+
+
 def export_dataset(papers: DataFrame, questions: DataFrame) -> DataFrame:
     """(paper_id, meta, sample) per paper: its sections, their questions and subquestions as JSON, nested in order, and what is known of it.
 
