@@ -119,6 +119,10 @@ def parse_template(text: str) -> list:
     return sequence(0, 0)[0][0]
 
 
+#: Mandatory words from the beginning of a template among which its anchor is chosen, so that few starts lie before it however long it is.
+ANCHOR_WORDS = 600
+
+
 class Automaton:
     """Word automaton of a template: per state its word moves, region moves and empty moves."""
 
@@ -134,9 +138,11 @@ class Automaton:
         self.progress = {0: 0}
         self.end = self._build(parts, 0, main=True)
         self.closed = [self._closure({s}) for s in range(len(self.moves))]
-        self.anchor = max(self.mandatory, key=lambda w: (len(w), w))
+        self.anchor = max(self.mandatory[:ANCHOR_WORDS], key=lambda w: (len(w), w))
         first = next(i for i, p in enumerate(parts) if isinstance(p, _Word) and p.word == self.anchor)
         self.before = sum(map(self._longest, parts[:first]))
+        #: Words that an accepted run has at most.
+        self.most = sum(map(self._longest, parts))
 
     def _state(self) -> int:
         self.moves.append([]), self.empty.append([])
@@ -229,9 +235,8 @@ class LicenseScan:
                 text = int(text_of[p])
                 first, last = int(words.first[text]), int(words.first[text + 1])
                 low = max(first, p - automaton.before, accepted_until.get(text, 0))
-                # From the start the automaton reads at most its own longest run; the slice holds the rest of the text's words lazily.
-                reach = min(last, p + 1 + _REACH)
-                around = words.words(low, reach).split(b" ")
+                # A run from any start up to the anchor reads no more than the automaton's longest one.
+                around = words.words(low, min(last, p + 1 + automaton.most)).split(b" ")
                 best: tuple[float, int, int] = (0.0, 0, 0)
                 for start in range(low, p + 1):
                     end, read = automaton.longest(around, start - low)
@@ -245,10 +250,6 @@ class LicenseScan:
                     yield text, automaton.label, best[1] - first, best[2] - first, best[0]
 
 
-#: Words after an anchor that an automaton may read; longer than any template's wording (checked when a scan is made).
-_REACH = 600
-
-
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, spans of accepted templates, score.
 
@@ -260,9 +261,6 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
         templates = {r.label: r.template for r in templates.collect()}
     phrases, templates = phrases or PHRASES, templates or TEMPLATES
     scan = LicenseScan(phrases, templates)
-    for a in scan.automata:
-        if len(a.moves) > _REACH:
-            raise ValueError(f"template {a.label} is longer than {_REACH} words")
 
     def step(batch: pa.RecordBatch, column: pa.Array) -> dict[str, object]:
         n = len(column)

@@ -11,6 +11,7 @@ import re
 import weakref
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -562,3 +563,19 @@ def test_folders_by_the_names_that_pyarrow_knows(tmp_path):
     assert [warc.arrow_uri(x) for x in ("s3a://bucket/a/b", "S3N://bucket/a", "hdfs://host:8020/a", f"file://{tmp_path}", "abfss://c@x.dfs.core.windows.net/a")] == [
         "s3://bucket/a/b", "s3://bucket/a", "hdfs://host:8020/a", f"file://{tmp_path}", "abfss://c@x.dfs.core.windows.net/a",
     ]
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0", "GPL-3", "made"])
+def test_whole_licenses_of_any_length(spark, name):
+    """The whole wording is accepted, wherever it stands and with its optional region left out or filled; with a word changed at its end it is not, but scores high."""
+    path = Path("/usr/share/common-licenses") / name
+    plain = re.sub(r"[\[\]<>|]", " ", path.read_text()) if path.exists() else " ".join(f"word{k % 977} of{k}" for k in range(4000))
+    words = plain.split()
+    template = " ".join(words[:40]) + " <<0-3:.+>> " + " ".join(words[40:])
+    whole = " ".join(words)
+    texts = [(1, "before it " + whole + " and after"), (2, " ".join([*words[:40], "two", "more", *words[40:]])), (3, " ".join([*words[:-3], "other", *words[-2:]])), (4, whole + " " + whole), (5, "nothing")]
+    found = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string"), templates={"whole": template}).collect()}
+    n = len(ALNUM.findall(whole.lower().encode()))
+    assert n > 1000
+    assert [[(s["first"], s["after"] - s["first"]) for s in found[k].spans] for k in (1, 2, 3, 4, 5)] == [[(2, n)], [(0, n + 2)], [], [(0, n), (n, n)], []]
+    assert 0.95 < found[3].score < 1 and "whole" not in found[3].labels and found[5].score == 0
