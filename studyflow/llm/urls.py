@@ -25,7 +25,7 @@ rule or suffix fits nothing; empty tables have empty results; other columns play
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -99,28 +99,33 @@ def rules_by_join(rows: DataFrame, rules: DataFrame) -> DataFrame:
     return fitting.groupBy("host", "path").agg(best).select("host", "path", "b.rule", "b.by_rule")
 
 
-def _strength(children: DataFrame) -> float:
-    """How many labels a prior of this level is worth, by moments over the children with labels (n, good)."""
-    rate = F.col("good") / F.col("n")
-    sums = children.where("n > 0").agg(F.sum("n").alias("n"), F.sum("good").alias("g"), F.count(F.lit(1)).alias("c"), F.sum(F.col("n") * rate * rate).alias("s"))
-    mean = F.col("g") / F.col("n")
-    between = F.col("s") / F.col("n") - mean * mean
+def _strength(sums: Row | None) -> float:
+    """How many labels a prior of this level is worth, by moments over the children with labels (n, good): from their number c, and the sums of n, good, and good squared by n."""
+    if sums is None or not sums.n:
+        return float(MOST)
+    mean = sums.good / sums.n
+    between = sums.square / sums.n - mean * mean
     # Of the spread of rates, what the binomial draws alone would give is taken away.
-    v = (between - mean * (1 - mean) * (F.col("c") - 1) / F.col("n")) / F.greatest(1 - (F.col("c") - 1) / F.col("n"), F.lit(1e-6))
-    worth = F.when((F.col("c") < 2) | (v <= 0), F.lit(MOST)).otherwise(F.least(F.greatest(mean * (1 - mean) / v - 1, F.lit(LEAST)), F.lit(MOST)))
-    return sums.select(F.coalesce(worth, F.lit(MOST))).first()[0]
+    apart = (sums.c - 1) / sums.n
+    v = (between - mean * (1 - mean) * apart) / max(1 - apart, 1e-6)
+    return float(MOST) if sums.c < 2 or v <= 0 else float(min(max(mean * (1 - mean) / v - 1, LEAST), MOST))
 
 
 def host_reputation(pages: DataFrame, outcomes: DataFrame, min_good: float = MIN_GOOD, z: float = Z, suffixes: tuple[str, ...] | DataFrame = DEEP_SUFFIXES) -> DataFrame:
     """(host, n, good, mean, bound, verdict) of every host of ``pages`` (id, host), from ``outcomes`` (id, good: 0 or 1)."""
     seen = pages.join(outcomes.where("good is not null").select(F.col("id").alias("o_id"), "good"), F.col("id") == F.col("o_id"), "left")
     hosts = written(with_domains(seen.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")), suffixes))
-    domains = written(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
+    # All levels hang on the one table of hosts, and their sums come from one job.
+    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     ends = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    all_ = ends.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    w1, w2, w3 = _strength(ends), _strength(domains), _strength(hosts)
+    level = lambda df, k: df.where("n > 0").select(F.lit(k).alias("level"), "n", "good")
+    square = F.sum(F.col("good") * F.col("good") / F.col("n")).alias("square")
+    found = level(ends, 1).union(level(domains, 2)).union(level(hosts, 3)).groupBy("level").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"), F.sum("good").alias("good"), square).collect()
+    sums = {r.level: r for r in found}
+    w1, w2, w3 = (_strength(sums.get(k)) for k in (1, 2, 3))
+    good, n = (sums[3].good, sums[3].n) if 3 in sums else (0, 0)
     shrunk = lambda mean, weight: (F.lit(weight) * mean + F.col("good")) / (F.lit(weight) + F.col("n"))
-    s = ends.select("suffix", shrunk(F.lit((all_.good + 1) / (all_.n + 2)), w1).alias("mean1"))
+    s = ends.select("suffix", shrunk(F.lit((good + 1) / (n + 2)), w1).alias("mean1"))
     d = domains.join(s, "suffix").select("domain", "suffix", shrunk(F.col("mean1"), w2).alias("mean2"))
     h = hosts.join(d, ["domain", "suffix"])
     a = w3 * F.col("mean2") + F.col("good")

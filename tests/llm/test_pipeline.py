@@ -20,7 +20,7 @@ def test_stages(spark):
     good = written(corpus_pipeline.quality_rules(spark, docs, SF))
     assert sorted(r.doc_id for r in good.collect()) == sorted(r.doc_id for r in quality.quality_report(docs).where("kept").collect())
     one = written(corpus_pipeline.ngram_jaccard(spark, good, SF))
-    assert sorted(r.doc_id for r in one.collect()) == sorted({c for _, _, c in brute_components(texts(good))})
+    assert sorted(r.doc_id for r in one.collect()) == sorted({c for _, _, c in brute_components(texts(good), corpus_pipeline.NEAR_SHINGLE, corpus_pipeline.NEAR_PERCENT)})
     clean = written(corpus_pipeline.decontamination(spark, one, SF))
     bench = texts(spark.read.parquet(f"{SF}/benchmark.parquet").withColumnRenamed("item_id", "doc_id"))
     assert sorted(r.doc_id for r in clean.collect()) == sorted(d for d, _, hit, _ in brute_contamination(texts(one), bench) if not hit)
