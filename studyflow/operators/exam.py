@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import stored
 from .tagging import primary_tag
 
 
@@ -39,9 +40,10 @@ def year_axis(base: DataFrame, low: int | None = None, high: int | None = None)
 def analysis_cells(base: DataFrame) -> DataFrame:
     """Rows ``n`` by point, year and paper: the one aggregate of the base that distributions and the year axis start from.
 
-    It is persisted, since all of them read it; it has a row for a paper and point.
+    It is written, since all of them read it; it has a row for a paper and point.
     """
-    return base.groupBy("point_id", "point_name", "chapter_id", "path", "exam_year", "paper_id").agg(F.count(F.lit(1)).alias("n")).persist()
+    cells = base.groupBy("point_id", "point_name", "chapter_id", "path", "exam_year", "paper_id").agg(F.count(F.lit(1)).alias("n"))
+    return stored(cells)
 
 
 def yearly_overview(base: DataFrame, years: DataFrame) -> DataFrame:
