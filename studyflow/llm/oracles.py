@@ -42,3 +42,13 @@ t AS (SELECT r AS a, r AS b FROM d UNION SELECT t.a, e.b FROM t JOIN e ON e.a =
 m AS (SELECT t.a AS r, min(d.doc_id) AS component_id FROM t JOIN d ON d.r = t.b GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM d LEFT JOIN n ON n.r = d.r JOIN m ON m.r = d.r
 """
+
+# The order, the sums before each record, and the CRC of the bytes by its table of 256 entries.
+OP10_SQL = """
+WITH tb AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t),
+d AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 16 AS size FROM documents),
+o AS (SELECT *, sum(size) OVER w - size AS start, (SELECT sum(size) FROM d) AS total FROM d WINDOW w AS (ORDER BY md5(text), doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT *, least((start * 40) // total, 39)::INT AS shard FROM o)
+SELECT doc_id, size::BIGINT AS size, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT), lambda c, x: xor(t[xor(c, x) % 256 + 1], c // 256), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32,
+  'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY start, md5(text), doc_id NULLS FIRST) - 1 AS slot, NULL::INT AS grown_shard FROM p, tb
+"""

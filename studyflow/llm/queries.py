@@ -14,7 +14,7 @@ from .licenses import op3_license_scan
 from .lines import OP4_SQL, op4_line_dedup
 from .mixing import OP7_SQL, op7_mixing_sources
 from .negatives import OP12_SQL, op12_hard_negatives
-from .oracles import OP1_SQL, OP2_SQL, OP5_SQL
+from .oracles import OP1_SQL, OP2_SQL, OP5_SQL, OP10_SQL
 from .quality import op2_quality_rules
 from .search import OP11_SQL, op11_lexical_search
 from .sharding import op10_sharding
@@ -33,5 +33,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_benchmark_decontamination": OP1_SQL, "op2_quality_rules": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_ngram_jaccard_join": OP5_SQL,
-        "op6_url_filters": OP6_SQL, "op7_mixing_sources": OP7_SQL, "op8_warc": OP8_SQL, "op11_lexical_search": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_exact_dedup": OP13_SQL,
+        "op6_url_filters": OP6_SQL, "op7_mixing_sources": OP7_SQL, "op8_warc": OP8_SQL, "op10_sharding": OP10_SQL, "op11_lexical_search": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_exact_dedup": OP13_SQL,
     }
