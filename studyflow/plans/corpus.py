@@ -262,7 +262,17 @@ def b17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.context_budget(requests, turns.where("role <> 'user'").select(F.col("conv_id").alias("request_id"), "text"), 400)
 
 
-@query("b18_chunk")
+# Blocks are packed one after another: the chunks that are closed, and the one that is open, with its length. Long blocks lose their ends piece by piece.
+_CHUNKS = """d AS (SELECT doc_id AS document_id, coalesce(text, '') AS t FROM documents), b AS (SELECT document_id, list_filter(list_transform(regexp_split_to_array(t, '\\n{2,}'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS bs FROM d WHERE length(t) > 4000),
+f AS (SELECT document_id, list_reduce(bs, lambda s, x: CASE WHEN length(x) > 4000 THEN {'out': list_concat(s.out, CASE WHEN s.n > 0 THEN [s.open] ELSE [] END, [x]), 'open': '', 'n': 0} WHEN s.n > 0 AND s.n + length(x) + 2 > 4000 THEN {'out': list_append(s.out, s.open), 'open': x, 'n': length(x) + 2}
+  ELSE {'out': s.out, 'open': CASE WHEN s.n > 0 THEN s.open || chr(10) || chr(10) || x ELSE x END, 'n': s.n + length(x) + 2} END, {'out': []::VARCHAR[], 'open': '', 'n': 0::BIGINT}) AS s FROM b),
+c AS (SELECT document_id, list_concat(s.out, CASE WHEN s.n > 0 THEN [s.open] ELSE [] END) AS cs FROM f), e AS (SELECT document_id, unnest(cs) AS x, generate_subscripts(cs, 1) AS k FROM c),
+z AS (SELECT document_id, k, 0 AS j, NULL::VARCHAR AS piece, x AS rest FROM e UNION ALL SELECT document_id, k, j + 1, substr(rest, 1, cut), substr(rest, cut + 1) FROM (SELECT *, CASE WHEN length(rest) <= 4000 THEN length(rest) ELSE CASE WHEN last > 2000 THEN last ELSE 4000 END END AS cut
+  FROM (SELECT *, greatest(CASE WHEN contains(h, chr(10)) THEN 4001 - strpos(reverse(h), chr(10)) ELSE 0 END, CASE WHEN contains(h, '。') THEN 4001 - strpos(reverse(h), '。') ELSE 0 END, CASE WHEN contains(h, '；') THEN 4001 - strpos(reverse(h), '；') ELSE 0 END) AS last FROM (SELECT *, substr(rest, 1, 4000) AS h FROM z))) WHERE rest <> ''),
+y AS (SELECT document_id, k, j, regexp_replace(piece, '^\\s+|\\s+$', '', 'g') AS text FROM z WHERE j > 0)"""
+
+
+@query("b18_chunk", f"WITH RECURSIVE {_CHUNKS} SELECT document_id, 0::BIGINT AS chunk_no, t AS text FROM d WHERE length(t) <= 4000 OR document_id NOT IN (SELECT document_id FROM y WHERE text <> '') UNION ALL SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY k, j) - 1, text FROM y WHERE text <> ''")
 def b18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.chunk(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text"), 4000)
 
