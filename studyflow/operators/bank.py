@@ -15,16 +15,16 @@ def blank(c: Column) -> Column:
 
 
 def bank_ready(questions: DataFrame) -> DataFrame:
-    """(id, ready, missing) of root questions (id, parent_id, node_role, status, stem_text, material_text, answer_text, analysis_text).
+    """(id, ready, missing) of root questions (id, parent_id, node_role, status, stem_text, group_stem, material_text, answer_text, analysis_text).
 
-    A standalone question needs stem, answer and analysis; a group a stem or material and at least one child, all of
+    A standalone question needs stem, answer and analysis; a group a shared stem or material and at least one child, all of
     them approved and ready; both must be approved.
     """
     own = questions.withColumn("lacks", F.array_compact(F.array(*(F.when(blank(F.col(c)), F.lit(c)) for c in ("stem_text", "answer_text", "analysis_text")))))
     child = own.where("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("children"), F.every((F.col("status") == "approved") & (F.size("lacks") == 0)).alias("all_ready"))
     rows = own.where("parent_id IS NULL").join(child, "id", "left")
     group = F.array_compact(F.array(
-        F.when(blank(F.col("stem_text")) & blank(F.col("material_text")), F.lit("stem_text")), F.when(F.col("children").isNull(), F.lit("children")), F.when(~F.col("all_ready"), F.lit("children_ready"))))
+        F.when(blank(F.col("group_stem")) & blank(F.col("material_text")), F.lit("group_stem")), F.when(F.col("children").isNull(), F.lit("children")), F.when(~F.col("all_ready"), F.lit("children_ready"))))
     lacking = F.when(F.col("node_role") == "group", group).otherwise(F.col("lacks"))
     missing = F.concat(F.when(F.col("status") == "approved", F.array().cast("array<string>")).otherwise(F.array(F.lit("approved"))), lacking)
     return rows.select("id", (F.size(missing) == 0).alias("ready"), F.array_join(missing, ",").alias("missing"))

@@ -1,4 +1,4 @@
-"""Trainable line classifiers: naive Bayes over sets of line features.
+"""Trainable line classifiers: naive Bayes over sets of line features.  The names of the features are fixed values.
 
 Two models share the trainer: lines to keep or delete, and lines that start a question.  Lines fall into few distinct
 feature sets, so a pass over the lines counts those (:func:`feature_sets`), and all else works on the counts.

@@ -136,7 +136,9 @@ def review_report(docs: DataFrame, sources: DataFrame, citations: DataFrame, ent
 BODY = r"(?m)^\s{0,3}#{1,6}\s*(?:正文|发布正文)\s*$"
 NOT_BODY = r"(?m)^\s{0,3}#{1,6}\s*(?:笔记标题(?:\s*5\s*个)?备选|标题(?:备选|建议)?|封面文案|轮播图逐页文案|轮播图|标签建议|评论区引导|评论引导)\s*$"
 #: Punctuation that counts as equal in quotes (fixed values).
-FOLDED = dict(zip("“”‘’（）：，；。、＋－—–−＝·", "\"\"''():,;.,+----=.")) | {"…": "..."}
+FOLDED = {
+    "“": '"', "”": '"', "‘": "'", "’": "'", "（": "(", "）": ")", "：": ":", "，": ",", "；": ";", "。": ".", "、": ",", "＋": "+", "－": "-", "—": "-", "–": "-", "−": "-", "＝": "=", "·": ".", "…": "...",
+}
 
 
 def body_span(text: str) -> tuple[int, int]:

@@ -8,21 +8,21 @@ from pyspark.sql import functions as F
 from ..operators import bank as X
 from .base import query, table, tables
 
-_QUESTIONS = """q AS (SELECT id, parent_id, node_role, CASE WHEN id % 3 = 0 THEN 'pending' ELSE 'approved' END AS status, CASE WHEN id % 11 = 0 THEN ' ' ELSE stem_text END AS stem_text, CASE WHEN id % 2 = 0 THEN 'm' END AS material_text,
+_QUESTIONS = """q AS (SELECT id, parent_id, node_role, CASE WHEN id % 3 = 0 THEN 'pending' ELSE 'approved' END AS status, CASE WHEN id % 11 = 0 THEN ' ' ELSE stem_text END AS stem_text, CASE WHEN id % 2 = 0 THEN 'm' END AS material_text, CASE id % 3 WHEN 0 THEN 'g' WHEN 1 THEN '  ' END AS group_stem,
   CASE WHEN id % 5 = 0 THEN NULL ELSE 'A' END AS answer_text, CASE WHEN id % 7 = 0 THEN '' ELSE 'x' END AS analysis_text, question_type, 'No. ' || (id % 40) AS question_no FROM bank_items)"""
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "bank_items").selectExpr(
         "id", "parent_id", "node_role", "CASE WHEN id % 3 = 0 THEN 'pending' ELSE 'approved' END AS status", "CASE WHEN id % 11 = 0 THEN ' ' ELSE stem_text END AS stem_text",
-        "CASE WHEN id % 2 = 0 THEN 'm' END AS material_text", "CASE WHEN id % 5 = 0 THEN NULL ELSE 'A' END AS answer_text", "CASE WHEN id % 7 = 0 THEN '' ELSE 'x' END AS analysis_text",
+        "CASE WHEN id % 2 = 0 THEN 'm' END AS material_text", "CASE id % 3 WHEN 0 THEN 'g' WHEN 1 THEN '  ' END AS group_stem", "CASE WHEN id % 5 = 0 THEN NULL ELSE 'A' END AS answer_text", "CASE WHEN id % 7 = 0 THEN '' ELSE 'x' END AS analysis_text",
         "question_type", "concat('No. ', id % 40) AS question_no",
     )
 
 
 @query("f1_bank_ready", f"""WITH {_QUESTIONS}, o AS (SELECT *, list_filter([CASE WHEN trim(stem_text) = '' THEN 'stem_text' END, CASE WHEN trim(coalesce(answer_text, '')) = '' THEN 'answer_text' END, CASE WHEN trim(analysis_text) = '' THEN 'analysis_text' END], lambda x: x IS NOT NULL) AS lacks FROM q),
 c AS (SELECT parent_id, count(*) AS n, bool_and(status = 'approved' AND len(lacks) = 0) AS ok FROM o WHERE parent_id IS NOT NULL GROUP BY 1),
-m AS (SELECT o.id, list_filter(list_concat([CASE WHEN status <> 'approved' THEN 'approved' END], CASE WHEN node_role = 'group' THEN [CASE WHEN trim(stem_text) = '' AND material_text IS NULL THEN 'stem_text' END, CASE WHEN n IS NULL THEN 'children' END, CASE WHEN NOT ok THEN 'children_ready' END] ELSE lacks END), lambda x: x IS NOT NULL) AS missing
+m AS (SELECT o.id, list_filter(list_concat([CASE WHEN status <> 'approved' THEN 'approved' END], CASE WHEN node_role = 'group' THEN [CASE WHEN coalesce(trim(group_stem), '') = '' AND material_text IS NULL THEN 'group_stem' END, CASE WHEN n IS NULL THEN 'children' END, CASE WHEN NOT ok THEN 'children_ready' END] ELSE lacks END), lambda x: x IS NOT NULL) AS missing
   FROM o LEFT JOIN c ON c.parent_id = o.id WHERE o.parent_id IS NULL)
 SELECT id, len(missing) = 0 AS ready, array_to_string(missing, ',') AS missing FROM m""")
 def f1(spark: SparkSession, sf_dir: str) -> DataFrame:
