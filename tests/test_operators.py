@@ -197,7 +197,9 @@ def test_bank_merge_is_idempotent(spark):
     links = spark.createDataFrame([], "source_type string, source_question_id long, fingerprint string, status string")
     a, la = bank.bank_merge(items, links, incoming)
     b, lb = bank.bank_merge(a.drop("source_count"), la, incoming)
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) == [("f1", 5, 3, "new", 2), ("f2", 7, None, "x", 1)] and sorted(map(tuple, la.collect())) == sorted(map(tuple, lb.collect()))
+    both = ["fingerprint", "subject_id", "category_id", "stem_text", "first_source_question_id", "source_count"]
+    assert sorted(map(tuple, a.select(both).collect())) == sorted(map(tuple, b.select(both).collect())) == [("f1", 5, 3, "new", 2, 2), ("f2", 7, None, "x", 3, 1)]
+    assert {r.created for r in a.collect()} == {True} and {r.created for r in b.collect()} == {False} and sorted(map(tuple, la.collect())) == sorted(map(tuple, lb.collect()))
 
 
 def test_options_and_markdown(spark):

@@ -118,7 +118,7 @@ def test_a_merge_knows_items_by_their_legacy_fingerprint(spark):
     links = spark.createDataFrame([("q", 7, "old", "removed")], "source_type string, source_question_id long, fingerprint string, status string")
     incoming = spark.createDataFrame([("new", "old", "q", 1, 5, 6, "a", 1), ("new", "old", "q", 2, 8, 9, "b", 2)], "fingerprint string, legacy string, source_type string, source_question_id long, subject_id long, category_id long, stem_text string, ord long")
     merged, all_links = bank.bank_merge(items, links, incoming)
-    assert [tuple(r) for r in merged.collect()] == [("old", 5, 4, "b", 2)] and {(r.source_question_id, r.status) for r in all_links.collect()} == {(7, "removed"), (1, "active"), (2, "active")}
+    assert [(r.fingerprint, r.subject_id, r.category_id, r.stem_text, r.first_source_question_id, r.created, r.source_count) for r in merged.collect()] == [("old", 5, 4, "b", 2, False, 2)] and {(r.source_question_id, r.status) for r in all_links.collect()} == {(7, "removed"), (1, "active"), (2, "active")}
 
 
 def test_quotes(spark):
@@ -280,3 +280,15 @@ def test_reconcile_papers_and_assets(spark):
     assert sorted((r.id, r.status, r.changed) for r in p.collect()) == [(1, "parse_failed", True), (2, "source_ready", True), (3, "parse_failed", True), (4, "saving", False), (5, "parsed", False), (6, "draft", False)]
     assert sorted((r.id, r.parse_status, r.ocr_status, r.changed) for r in a.collect()) == [(10, "source_ready", "completed", True), (11, "failed", "failed", True), (12, None, None, False), (13, "x", "running", False)]
     assert sorted((r.id, r.stage) for r in ops.fail_interrupted(jobs).where("progress = 100").collect()) == [(4, "failed"), (9, "failed")]
+
+
+def test_a_merge_overwrites_content_and_moves_links(spark):
+    items = spark.createDataFrame([("k", 1, 2, "group", "judge", "old", ["x"], "A", 9)], "fingerprint string, subject_id long, category_id long, node_role string, question_type string, stem_text string, options array<string>, answer_text string, first_source_question_id long")
+    links = spark.createDataFrame([("q", 3, "k", 70, "1", "active")], "source_type string, source_question_id long, fingerprint string, paper_id long, question_no string, status string")
+    rows = [("k", "l", "q", 4, 5, 6, None, "single_choice", "new", ["A. 甲", "B、甲", "C. 乙"], None, 80, "2", 1), ("m", "n", "q", 3, None, None, "sub", "judge", "other", ["yes"], "B", 81, None, 2)]
+    incoming = spark.createDataFrame(rows, "fingerprint string, legacy string, source_type string, source_question_id long, subject_id long, category_id long, node_role string, question_type string, stem_text string, options array<string>, answer_text string, paper_id long, question_no string, ord long")
+    merged, all_links = bank.bank_merge(items, links, incoming)
+    got = {r.fingerprint: r for r in merged.collect()}
+    assert (got["k"].node_role, got["k"].question_type, got["k"].stem_text, got["k"].options, got["k"].answer_text, got["k"].first_source_question_id, got["k"].subject_id, got["k"].source_count) == ("standalone", "single_choice", "new", ["甲", "乙"], None, 4, 1, 1)
+    assert (got["m"].node_role, got["m"].options, got["m"].created, got["m"].source_count) == ("sub", ["正确", "错误"], True, 1)
+    assert sorted((r.source_question_id, r.fingerprint, r.paper_id, r.question_no) for r in all_links.collect()) == [(3, "m", 81, None), (4, "k", 80, "2")]
