@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fields as N
-from ..functions.tables import made_once
+from ..functions.tables import made_once, stored
 from .tagging import child_order
 
 
@@ -200,7 +200,7 @@ def export_records(items: DataFrame, links: DataFrame, reviews: DataFrame) -> Da
     review_group_stem, review_material, review_options, review_answer, review_analysis, source_raw_text).  A group has its
     children, shared stem and material; another question the shared stem that :func:`split_shared_stem` finds.
     """
-    items, reviews = clean_items(items), clean_reviews(reviews)
+    items, reviews = clean_items(items), stored(clean_reviews(reviews))  # reviews meet links, and the children of groups
     roots = items.where("parent_id IS NULL").withColumnRenamed("id", "bank_question_id")
     rows = links.where("status = 'active'").join(roots.drop("status", "question_no"), "bank_question_id").join(reviews, "source_question_id")
     rows = rows.join(child_records(items, links, reviews).withColumnRenamed("parent_id", "bank_question_id"), "bank_question_id", "left")
