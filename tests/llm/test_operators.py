@@ -1,4 +1,4 @@
-"""The ten operators against brute force, on the small fixture and on odd rows."""
+"""The operators against brute force, on the small fixture and on odd rows."""
 
 from __future__ import annotations
 
