@@ -211,7 +211,7 @@ k AS (SELECT doc_id, text, t2, {_ls('text')} AS l1, {_ls('t2')} AS l2, {_n('text
 SELECT doc_id AS document_id, CASE WHEN (r2, s2) > (r1, s1) THEN s2 ELSE s1 END AS score, (r2, s2) > (r1, s1) AS second FROM z""")
 def b13(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS document_id", "CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS text")
-    other = docs.select("document_id", F.substr("text", F.lit(1), F.expr("CAST(length(text) * (document_id % 3) / 2 + 0.0000001 AS INT)")).alias("text"))
+    other = docs.select("document_id", F.substr("text", F.lit(1), F.expr("CAST(bround(length(text) * (document_id % 3) / 2) AS INT)")).alias("text"))
     return X.pick_best(docs, other).select("document_id", "score", "second")
 
 
