@@ -132,8 +132,8 @@ def review_report(docs: DataFrame, sources: DataFrame, citations: DataFrame, ent
     return rows.select("doc_id", "strict", "issues", "suggestions", named.alias("item_ids"), (F.size("issues") == 0).alias("passed"))
 
 
-#: Headings of the body, and of the sections that are not the body (fixed values).
-BODY = r"(?m)^\s{0,3}#{1,6}\s*(?:正文|发布正文)\s*$"
+#: Headings of the body, up to the end of their line, and of the sections that are not the body (fixed values).
+BODY = r"(?m)^\s{0,3}#{1,6}\s*(?:正文|发布正文)[^\S\n]*$"
 NOT_BODY = r"(?m)^\s{0,3}#{1,6}\s*(?:笔记标题(?:\s*5\s*个)?备选|标题(?:备选|建议)?|封面文案|轮播图逐页文案|轮播图|标签建议|评论区引导|评论引导)\s*$"
 #: Punctuation that counts as equal in quotes (fixed values).
 FOLDED = {
@@ -144,7 +144,7 @@ FOLDED = {
 def body_span(text: str) -> tuple[int, int]:
     """Where the body of a Markdown text lies: after its heading, up to the next section that is not the body; without that heading, all before the first such section."""
     head = re.search(BODY, text)
-    start = head.end() if head else 0
+    start = min(head.end() + 1, len(text)) if head else 0  # after the heading's line end
     after = re.compile(NOT_BODY).search(text, start)
     return start, after.start() if after else len(text)
 
@@ -197,12 +197,14 @@ def locate_quotes(docs: DataFrame, quotes: DataFrame, body_only: bool = False) -
 
 
 def replace_quotes(docs: DataFrame, quotes: DataFrame, every: bool = False) -> DataFrame:
-    """(doc_id, text, replaced): texts whose quotes (doc_id, quote_no, quote, replacement) are replaced in the body, in order of quote_no; the first place of each, or every."""
+    """(doc_id, text, replaced): texts whose quotes (doc_id, quote_no, quote, replacement) are replaced in the body, in order of quote_no; the first place of each, or every.  A null text stays null."""
     changes = quotes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("quote_no", "quote", "replacement"))).alias("changes"))
     rows = docs.select("doc_id", "text").join(changes, "doc_id", "left").select("doc_id", "text", F.col("changes.quote").alias("quotes"), F.col("changes.replacement").alias("replacements"))
 
-    def changed(text: str, quotes: list, replacements: list) -> tuple[str, int]:
+    def changed(text: str | None, quotes: list, replacements: list) -> tuple[str | None, int]:
         n = 0
+        if text is None:
+            return None, 0
         for quote, new in zip(quotes, replacements):
             a, b = body_span(text)
             body = text[a:b]
@@ -214,7 +216,7 @@ def replace_quotes(docs: DataFrame, quotes: DataFrame, every: bool = False) -> D
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            done = [changed(t or "", [] if q is None else list(q), [] if r is None else list(r)) for t, q, r in zip(pdf["text"], pdf["quotes"], pdf["replacements"])]
+            done = [changed(t, [] if q is None else list(q), [] if r is None else list(r)) for t, q, r in zip(pdf["text"], pdf["quotes"], pdf["replacements"])]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": pd.Series([t for t, _ in done], dtype=object), "replaced": [n for _, n in done]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
