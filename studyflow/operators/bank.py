@@ -177,7 +177,7 @@ def clean_reviews(reviews: DataFrame) -> DataFrame:
 def child_records(items: DataFrame, links: DataFrame, reviews: DataFrame) -> DataFrame:
     """(parent_id, children) with the children of groups in order, from the bank, else from the review of their oldest source: (no, type, stem, options, answer, analysis).  Items and reviews are clean ones."""
     oldest = links.groupBy("bank_question_id").agg(F.min_by(F.struct("source_question_id", "question_no"), F.struct("created_at", "source_question_id")).alias("l"))
-    rows = items.where("parent_id IS NOT NULL").join(oldest, F.col("id") == F.col("bank_question_id"), "left").join(reviews, F.col("l.source_question_id") == F.col("source_question_id"), "left")
+    rows = items.where("parent_id IS NOT NULL").join(oldest.hint("merge"), F.col("id") == F.col("bank_question_id"), "left").join(reviews, F.col("l.source_question_id") == F.col("source_question_id"), "left")
     number = _kept(F.col("l.question_no"), F.col("review_no"), F.col("question_uid"))
     keys = [c.alias(f"k{n}") for n, c in enumerate(child_order(F.col("review_no"), F.col("id")))]
     rows = rows.select(
@@ -200,10 +200,12 @@ def export_records(items: DataFrame, links: DataFrame, reviews: DataFrame) -> Da
     review_group_stem, review_material, review_options, review_answer, review_analysis, source_raw_text).  A group has its
     children, shared stem and material; another question the shared stem that :func:`split_shared_stem` finds.
     """
-    items, reviews = clean_items(items), stored(clean_reviews(reviews))  # reviews meet links, and the children of groups
+    # Reviews meet links, and the children of groups.  Texts that repeat lie small in files and are large in memory, so
+    # Spark would broadcast tables by their files' size that the driver cannot hold: the hints have them merged instead.
+    items, reviews = clean_items(items), stored(clean_reviews(reviews)).hint("merge")
     roots = items.where("parent_id IS NULL").withColumnRenamed("id", "bank_question_id")
-    rows = links.where("status = 'active'").join(roots.drop("status", "question_no"), "bank_question_id").join(reviews, "source_question_id")
-    rows = rows.join(child_records(items, links, reviews).withColumnRenamed("parent_id", "bank_question_id"), "bank_question_id", "left")
+    rows = links.where("status = 'active'").join(roots.drop("status", "question_no").hint("merge"), "bank_question_id").join(reviews, "source_question_id")
+    rows = rows.join(child_records(items, links, reviews).withColumnRenamed("parent_id", "bank_question_id").hint("merge"), "bank_question_id", "left")
     place = F.row_number().over(Window.partitionBy("paper_id").orderBy("sort_order", "source_question_id", "bank_question_id"))
     group = F.coalesce(F.col("node_role") == "group", F.lit(False)) | F.col("children").isNotNull()
     shared, own = shared_and_own(F.coalesce("c_stem", "r_stem", F.lit("")), F.col("r_source"), F.coalesce("r_stem", F.lit("")))
@@ -302,7 +304,7 @@ def export_markdown(records: DataFrame, papers: DataFrame, mode: str = "inline")
     appendix = F.lit("") if inline else F.concat(_lines("", "## 答案与解析", ""), part("late"))
     text = F.regexp_replace(F.concat(_lines(F.concat(F.lit("# "), "name"), ""), part("md"), appendix), r"\s+$", "")
     plain = F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.trim("name"), r'[\\/:*?"<>|]+', "_"), r"^[ .]+|[ .]+$", ""), F.lit("")), F.lit("question-bank-paper"))
-    return joined.join(papers.select("paper_id", "name"), "paper_id").select("paper_id", F.concat(plain, F.lit("-inline.md" if inline else "-appendix.md")).alias("file"), F.concat(text, F.lit("\n")).alias("markdown"))
+    return joined.join(papers.select("paper_id", "name").hint("merge"), "paper_id").select("paper_id", F.concat(plain, F.lit("-inline.md" if inline else "-appendix.md")).alias("file"), F.concat(text, F.lit("\n")).alias("markdown"))
 
 
 def _going(items: DataFrame, ids: DataFrame) -> DataFrame:
