@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studyflow.llm import decontaminate, jaccard, mixing, quality, sharding
-from studyflow.llm.shared import fresh, written
+from studyflow.llm.shared import dropped, fresh, written
 
 #: Words of a shingle, and least similarity in percent, of near duplicates (op5's query has its own).
 NEAR_SHINGLE, NEAR_PERCENT = 5, 80
@@ -59,8 +59,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs)
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        if k:
+            dropped(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -465,9 +465,11 @@ def _pairs(out: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
 
 def set_components(docs: DataFrame, first: DataFrame, shingle: int, percent: int, clash: np.ndarray = _NO_CLASH, block_sets: int = BLOCK_SETS, short: int = SHORT) -> DataFrame:
     """(node, root) of the nodes that links connect with others."""
-    postings = written(_postings(docs, _sketch(first), shingle, percent, clash))
-    maps = postings.select("node", "n", "bits").dropDuplicates(["node"])
+    # One row a node, so that copies neither lengthen lists nor take disk; what is no longer read is deleted on the way.
+    postings = written(_postings(docs, _sketch(first), shingle, percent, clash).dropDuplicates(["node"]))
+    maps = written(postings.select("node", "n", "bits"))
     entries = _entries(postings)
+    dropped(postings)
     pairs = written(_possible(_short_pairs(entries, percent, short), maps, percent))
     blocks = written(connected_components(_stars(entries, percent, short)).withColumnRenamed("root", "block"))
     dropped(entries)
@@ -477,20 +479,28 @@ def set_components(docs: DataFrame, first: DataFrame, shingle: int, percent: int
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(named.select("node")).distinct()
     held = written(_held(docs, needed, shingle, clash))
     by_pair = written(_verified(pairs, held, shingle, percent))
+    dropped(pairs)
     # Each part of a block meets part 0, whose sets are the pivots.
     goes = F.when(F.col("part") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
     meets = named.select("node", "block", F.explode(goes).alias("to")).join(held, "node").withColumn("asked", F.lit(True))
     edges = written(by_pair.union(_joined(meets, ["block", "to"], shingle, percent))).select(F.col("node").alias("a"), F.col("root").alias("b"))
+    dropped(by_pair)
     roots = written(connected_components(edges))
     large = named.where("parts > 1").select("node", "block")
     if not large.take(1):
+        for done in (maps, blocks, named, held, edges):
+            dropped(done)
         return roots
     state = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sums = state.groupBy("block", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("block").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all"))
     cut = sums.where("all > most").select("block", "main", F.ceil(F.col("all") / ASK_SETS).cast("int").alias("parts"), F.ceil((F.col("all") - F.col("most")) / ASK_SETS).cast("int").alias("askers"))
     members = _with(state, cut, "block", "node").withColumn("asked", F.col("root") != F.col("main")).join(maps, "node")
-    late = _verified(written(_outside_pairs(members, percent)), held, shingle, percent)
-    return connected_components(edges.union(late.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    outside = written(_outside_pairs(members, percent))
+    late = _verified(outside, held, shingle, percent)
+    found = connected_components(edges.union(late.select(F.col("node").alias("a"), F.col("root").alias("b"))))  # which is written
+    for done in (maps, blocks, named, held, edges, roots, outside):
+        dropped(done)
+    return found
 
 
 def _own_and_roots(rows: DataFrame, shingle: int, percent: int, block_sets: int) -> tuple[DataFrame, DataFrame]:

@@ -27,11 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+#: With this, Spark deletes the shuffle files of a query when it ends, not when its plan is forgotten.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again, so that its lineage ends there."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet to the shared folder and read it again, so that its lineage, and the disk that its shuffles take, end there."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before else spark.conf.unset(_CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:
