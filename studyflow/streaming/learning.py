@@ -8,11 +8,10 @@ once.  A sink is a file sink or a :class:`~studyflow.streaming.keyed.KeyedTable`
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -53,6 +52,9 @@ def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 #: What graded_stream gives: the save that counts now, and the grade that it replaces (``revised``: there was one).
 CHANGE = "id long, user_id long, question_id long, answer string, at timestamp, is_correct boolean, revised boolean, was_correct boolean, was_at timestamp"
+_TIMES = ("at", "was_at")
+#: The same with times in microseconds, as rows leave the state.
+_CHANGED = Row(*(c.split()[0] for c in CHANGE.split(", ")))
 
 
 class _LastSave(StatefulProcessor):
@@ -65,29 +67,21 @@ class _LastSave(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "us long, is_correct boolean")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = None
-        for frame in rows:  # a frame at a time: only its best row is kept
-            order = np.lexsort((frame["answer"].fillna("").to_numpy(str), frame["us"].to_numpy()))
-            row = frame.iloc[[order[-1]]]
-            if best is None or row["us"].iloc[0] >= best["us"].iloc[0]:
-                best = row
-        us = int(best["us"].iloc[0])
-        old = self.last.get() if self.last.exists() else None
-        if old is not None and us < old[0]:
-            return
-        right = best["is_correct"].iloc[0]
-        right = None if pd.isna(right) else bool(right)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(us // 1000 + self.keep_ms + 1)
-        self.last.update((us, right))
-        yield best.drop(columns="us").assign(
-            is_correct=pd.Series([right], best.index, object), revised=old is not None, was_correct=pd.Series([old[1] if old else None], best.index, object),
-            was_at=pd.Series([pd.Timestamp(old[0], unit="us") if old else pd.NaT], best.index, "datetime64[ns]"),
-        )
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        best = max(rows, key=lambda r: (r.us, r.answer or ""))
+        old = self.last.get()
+        if old is not None:
+            if best.us < old[0]:
+                return
+            self.handle.deleteTimer(self._end(old[0]))
+        self.handle.registerTimer(self._end(best.us))
+        self.last.update((best.us, best.is_correct))
+        yield _CHANGED(best.id, best.user_id, best.question_id, best.answer, best.us, best.is_correct, old is not None, old[1] if old else None, old[0] if old else None)
+
+    def _end(self, us: int) -> int:
+        return us // 1000 + self.keep_ms + 1
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.last.clear()
         return iter(())
 
@@ -109,7 +103,11 @@ def graded_stream(answers: DataFrame, expected: DataFrame, late: str = "1 hour",
     """
     rows = answers.withWatermark("at", late).join(expected, "question_id")
     graded = rows.select("id", "user_id", "question_id", "answer", "at", grade(F.col("answer"), F.col("expected"), F.col("question_type")).alias("is_correct"), F.unix_micros("at").alias("us"))
-    return graded.groupBy("id").transformWithStateInPandas(_LastSave(_ms(answers.sparkSession, keep)), CHANGE, "append", "EventTime")
+    changed = graded.groupBy("id").transformWithState(_LastSave(_ms(answers.sparkSession, keep)), CHANGE.replace(" timestamp", " long"), "append", "EventTime")
+    return changed.withColumns({c: F.timestamp_micros(c) for c in _TIMES})
+
+
+_BOOK = Row("user_id", "question_id", "wrong_count", "streak", "mastered")
 
 
 class _WrongBook(StatefulProcessor):
@@ -129,9 +127,18 @@ class _WrongBook(StatefulProcessor):
         self.settled = handle.getValueState("settled", "wrong long, us long, id long, streak long")
         self.lists = [handle.getListState(n, "id long, us long, is_right boolean, revised boolean") for n in ("open_a", "open_b")]
         self.turn = handle.getValueState("turn", "turn int, first long")
+        self.held: list | None = None
+
+    def _open(self, which: int) -> Iterable[tuple]:
+        """The list of open answers: in memory if it is short, so that it is read once, else read anew each time."""
+        if self.held is not None:
+            return self.held
+        return (tuple(x) for x in self.lists[which].get())
 
-    def _open(self, which: int) -> Iterator[tuple]:
-        return iter(self.lists[which].get()) if self.lists[which].exists() else iter(())
+    def _hold(self, which: int) -> None:
+        """Take a short list into memory."""
+        found = list(islice(self._open(which), self.CHUNK + 1))
+        self.held = found if len(found) <= self.CHUNK else None
 
     def _answers(self, which: int, revised: dict) -> Iterator[tuple]:
         """(us, id, right) of every open answer, as last revised; ``revised`` has the last state of those with several."""
@@ -143,8 +150,8 @@ class _WrongBook(StatefulProcessor):
                 given.add(id_)
                 yield revised[id_]
 
-    def _counted(self, which: int, revised: dict, upto: float = float("inf")) -> tuple:
-        wrong, last_us, last_id, streak = self.settled.get() if self.settled.exists() else (0, -(1 << 62), -(1 << 62), 0)
+    def _counted(self, which: int, revised: dict, settled: tuple | None, upto: float = float("inf")) -> tuple:
+        wrong, last_us, last_id, streak = settled or (0, -(1 << 62), -(1 << 62), 0)
         last, new = (last_us, last_id), 0
         for us, id_, right in self._answers(which, revised):
             if us <= upto and not right:
@@ -164,13 +171,14 @@ class _WrongBook(StatefulProcessor):
                 found[id_] = (us, id_, right)
         return found
 
-    def _settle(self, upto: int) -> None:
-        """Move the answers up to a time from the list into the counts, and the others into the other list."""
-        which, first = self.turn.get() if self.turn.exists() else (0, 1 << 62)
-        if first > upto:
-            return
+    def _settle(self, turn: tuple | None, upto: int) -> tuple | None:
+        """Move the answers up to a time from the list into the counts, and the others into the other list; the turn after that."""
+        if turn is None or turn[1] > upto:
+            return turn
+        which = turn[0]
+        self._hold(which)
         revised = self._revised(which)
-        counted = self._counted(which, revised, upto)
+        counted = self._counted(which, revised, self.settled.get(), upto)
         rest, left = [], 1 << 62
         for us, id_, right in self._answers(which, revised):
             if us > upto:
@@ -184,24 +192,30 @@ class _WrongBook(StatefulProcessor):
         self.lists[which].clear()
         self.settled.update(counted)
         self.turn.update((1 - which, left))
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        self._settle(timerValues.getCurrentWatermarkInMs() * 1000 - self.keep_ms * 1000)
-        which, first = self.turn.get() if self.turn.exists() else (0, 1 << 62)
-        most = 0
-        for frame in rows:
-            right = [x is True or x == True for x in frame["is_correct"]]  # noqa: E712  null is wrong
-            held = list(zip(frame["id"].tolist(), frame["us"].tolist(), right, frame["revised"].tolist()))
-            for a in range(0, len(held), self.CHUNK):
-                self.lists[which].appendList(held[a : a + self.CHUNK])
-            first, most = min(first, *(x[1] for x in held)), max(most, *(x[1] for x in held))
+        self.held = None
+        return 1 - which, left
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        self.held = None
+        turn = self._settle(self.turn.get(), timerValues.getCurrentWatermarkInMs() * 1000 - self.keep_ms * 1000)
+        which, first = turn or (0, 1 << 62)
+        most, new, given = 0, None, ((r.id, r.us, r.is_correct is True, r.revised) for r in rows)  # null is wrong
+        while part := list(islice(given, self.CHUNK)):
+            self.lists[which].appendList(part)
+            new = part if turn is None and first == 1 << 62 else None
+            first, most = min(first, *(x[1] for x in part)), max(most, *(x[1] for x in part))
         self.turn.update((which, first))
         self.handle.registerTimer(most // 1000 + self.keep_ms + 1)
-        wrong, _, _, streak = self._counted(which, self._revised(which))
-        yield pd.DataFrame({"user_id": [key[0]], "question_id": [key[1]], "wrong_count": [wrong], "streak": [streak], "mastered": [wrong > 0 and streak >= 2]})
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._settle(timerValues.getCurrentWatermarkInMs() * 1000 - self.keep_ms * 1000)
+        if new is None:
+            self._hold(which)
+        else:
+            self.held = new  # a key without state, whose rows are all here
+        wrong, _, _, streak = self._counted(which, self._revised(which), None if turn is None else self.settled.get())
+        yield _BOOK(key[0], key[1], wrong, streak, wrong > 0 and streak >= 2)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.held = None
+        self._settle(self.turn.get(), timerValues.getCurrentWatermarkInMs() * 1000 - self.keep_ms * 1000)
         return iter(())
 
     def close(self) -> None:
@@ -217,7 +231,7 @@ def wrong_book_stream(changes: DataFrame, late: str = "1 hour", keep: str = "0 s
     rows = changes if "revised" in changes.columns else changes.withColumn("revised", F.lit(False))
     rows = rows.withWatermark("at", late).select("user_id", "question_id", "id", "at", "is_correct", "revised", F.unix_micros("at").alias("us"))
     out = "user_id long, question_id long, wrong_count long, streak long, mastered boolean"
-    return rows.groupBy("user_id", "question_id").transformWithStateInPandas(_WrongBook(_ms(changes.sparkSession, keep)), out, "update", "EventTime")
+    return rows.groupBy("user_id", "question_id").transformWithState(_WrongBook(_ms(changes.sparkSession, keep)), out, "update", "EventTime")
 
 
 def wrong_book_table(spark: SparkSession, folder: str) -> KeyedTable:
