@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fields as N
+from ..functions.tables import made_once
 from ..functions.text import source_text, strip
 from .bank import bank_ready
 from .taxonomy import descendants_by_level, tree_labels
@@ -45,43 +46,51 @@ def normalize_prediction(docs: DataFrame) -> DataFrame:
     or its material, and its subquestions inherit shared stem and material.  What has no stem is dropped, and counts are
     made anew: a group counts its subquestions.
     """
-    parsed = docs.select("paper_id", F.from_json("prediction", PREDICTION).alias("p"))
+    parsed = made_once(docs.select("paper_id", "prediction"), {"p": F.from_json("prediction", PREDICTION)})
     subs = lambda q: F.coalesce(q["subquestions"], F.array().cast(f"array<struct<{_SUB}>>"))
 
-    def question(q: Column, section: Column) -> Column:
-        shared, material = _text(_first(q["group_stem"], q["shared_stem"], section["shared_stem"])), _text(q["material_text"])
+    # Cleaned first and put together after, in a transform of its own: a lambda makes an expression again wherever it is used.
+    def cleaned(q: Column, section: Column) -> Column:
         role = F.when(~_empty(q["node_role"]), F.trim(q["node_role"])).otherwise(F.when(F.size(subs(q)) > 0, "group").otherwise("standalone"))
-        group = role == "group"
         children = F.filter(F.transform(subs(q), lambda c: F.struct(*_body(c), _first(c["question_type"], F.lit(MIXED)).alias("question_type"), _text(c["stem_text"]).alias("stem_text"))), lambda c: c["stem_text"] != "")
-        own = _text(q["stem_text"])
+        shared = _text(_first(q["group_stem"], q["shared_stem"], section["shared_stem"]))
+        return F.struct(*_body(q), (role == "group").alias("group"), q["question_type"].alias("question_type"), shared.alias("shared"), _text(q["material_text"]).alias("material"), _text(q["stem_text"]).alias("own"), children.alias("children"))
+
+    def question(q: Column) -> Column:
+        group = q["group"]
         return F.struct(
-            *_body(q), F.when(group, "group").otherwise("standalone").alias("node_role"), _first(q["question_type"], F.when(group, GROUP_TYPE).otherwise(MIXED)).alias("question_type"), shared.alias("group_stem"), material.alias("material_text"),
-            F.when(group, _first(own, shared, material)).otherwise(own).alias("stem_text"), F.when(group, children).otherwise(F.filter(children, lambda c: F.lit(False))).alias("subquestions"),
+            *(q[c].alias(c) for c in ("question_no", "options", "answer_text", "analysis_text", "raw")), F.when(group, "group").otherwise("standalone").alias("node_role"), _first(q["question_type"], F.when(group, GROUP_TYPE).otherwise(MIXED)).alias("question_type"),
+            q["shared"].alias("group_stem"), q["material"].alias("material_text"), F.when(group, _first(q["own"], q["shared"], q["material"])).otherwise(q["own"]).alias("stem_text"),
+            F.when(group, q["children"]).otherwise(F.filter(q["children"], lambda c: F.lit(False))).alias("subquestions"),
         )
 
     def section(s: Column, i: Column) -> Column:
-        questions = F.filter(F.transform(s["questions"], lambda q: question(q, s)), lambda q: q["stem_text"] != "")
+        questions = F.filter(F.transform(F.transform(s["questions"], lambda q: cleaned(q, s)), question), lambda q: q["stem_text"] != "")
         title = _first(F.trim(s["title"]), F.trim(s["section_title"]), F.concat(F.lit(SECTION_NAME), (i + 1).cast("string")))
         return F.struct(
             title.alias("title"), F.trim(_first(s["section_type"], F.lit(MIXED))).alias("section_type"), F.coalesce(F.nullif(s["sort_order"], F.lit(0)), F.nullif(s["section_no"], F.lit(0)), i + 1).alias("sort_order"),
-            _text(s["shared_stem"]).alias("shared_stem"), F.coalesce(s["question_count"], F.size(questions)).alias("question_count"), questions.alias("questions"),
+            _text(s["shared_stem"]).alias("shared_stem"), s["question_count"].alias("question_count"), questions.alias("questions"),
         )
 
-    made = F.filter(F.transform(F.coalesce("p.sections", F.array()), section), lambda s: s["questions"].isNotNull())
+    counted = lambda s: s.withField("question_count", F.coalesce(s["question_count"], F.size(s["questions"])))
+    made = F.filter(F.transform(F.transform(F.coalesce("p.sections", F.array()), section), counted), lambda s: s["questions"].isNotNull())
     leaves = lambda q: F.when(q["node_role"] == "group", F.size(q["subquestions"])).otherwise(1)
     total = F.aggregate(F.flatten(F.transform("sections", lambda s: s["questions"])), F.lit(0), lambda n, q: n + leaves(q))
-    return parsed.select("paper_id", made.alias("sections")).withColumn("question_count", F.coalesce(total, F.lit(0)).cast("long"))
+    return made_once(parsed, {"sections": made}).select("paper_id", "sections").withColumn("question_count", F.coalesce(total, F.lit(0)).cast("long"))
 
 
 def flatten_questions(docs: DataFrame) -> DataFrame:
     """(paper_id, section, question_no, parent_no, node_role, stem, material, sort_order): parents in order of sections, each followed by its children; children inherit the group's stem."""
     rows = docs.select("paper_id", F.posexplode("sections").alias("s", "section")).select("paper_id", "section.sort_order", "s", F.col("section.title").alias("section"), F.posexplode("section.questions").alias("q", "question"))
-    keys = ["paper_id", "sort_order", "s", "section", "q"]
-    parents = rows.select(*keys, F.lit(-1).alias("c"), "question.question_no", F.lit(None).cast("string").alias("parent_no"), "question.node_role", F.col("question.stem_text").alias("stem"), F.lit(None).cast("string").alias("material"))
-    children = rows.select(*keys, F.col("question.question_no").alias("parent_no"), F.col("question.stem_text").alias("material"), F.posexplode("question.subquestions").alias("c", "sub"))
-    children = children.select(*keys, "c", "sub.question_no", "parent_no", F.lit("subquestion").alias("node_role"), F.col("sub.stem_text").alias("stem"), "material")
+    none = F.lit(None).cast("string")
+    row = lambda number, parent, role, stem, material: F.struct(number.alias("question_no"), parent.alias("parent_no"), role.alias("node_role"), stem.alias("stem"), material.alias("material"))
+    number, stem = F.col("question.question_no"), F.col("question.stem_text")
+    children = F.transform("question.subquestions", lambda c: row(c["question_no"], number, F.lit("subquestion"), c["stem_text"], stem))
+    parent = F.array(row(number, none, F.col("question.node_role"), stem, none))
+    family = F.coalesce(F.concat(parent, children), parent)
     order = F.row_number().over(Window.partitionBy("paper_id").orderBy("sort_order", "s", "q", "c"))
-    return parents.unionByName(children).withColumn("place", order.cast("long")).drop("s", "q", "c", "sort_order").withColumnRenamed("place", "sort_order")
+    placed = rows.select("paper_id", "section", "sort_order", "s", "q", F.posexplode(family).alias("c", "row")).withColumn("place", order.cast("long"))
+    return placed.select("paper_id", "section", "row.*", F.col("place").alias("sort_order"))
 
 
 def number_sections(questions: DataFrame) -> DataFrame:
