@@ -6,7 +6,10 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -223,26 +226,76 @@ def replace_quotes(docs: DataFrame, quotes: DataFrame, every: bool = False) -> D
     return rows.mapInPandas(run, f"doc_id {kind}, text string, replaced long")
 
 
+#: Vectors that meet a block of queries at a time; scores of pairs without one (null, below all) and of such that are no number (above all).
+_STRIP, _NO_SCORE, _NAN = 1000, -2.0, 3.0
+
+
+def _unit(vectors: pa.ListArray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors divided by their norms, and which have no score (null, of another length, or with null components)."""
+    flat = vectors.flatten()
+    if vectors.null_count or flat.null_count or len(flat) != len(vectors) * size or pc.any(pc.not_equal(pc.list_value_length(vectors), size)).as_py():
+        rows = [v if v is not None and len(v) == size and None not in v else None for v in vectors.to_pylist()]
+        made, bad = np.array([v or [1.0] * size for v in rows], "float64").reshape(-1, size), np.array([v is None for v in rows], bool)
+    else:
+        made, bad = flat.to_numpy(zero_copy_only=False).astype("float64").reshape(-1, size), np.zeros(len(vectors), bool)
+    with np.errstate(all="ignore"):
+        return made / np.sqrt((made * made).sum(axis=1, keepdims=True)), bad
+
+
+def _best(pair: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query (``pair``), of equal scores the smaller id first."""
+    order = np.lexsort((ids, -score, pair))
+    pair, score, ids = pair[order], score[order], ids[order]
+    place = np.arange(len(pair)) - np.searchsorted(pair, pair)
+    return pair[place < k], score[place < k], ids[place < k]
+
+
 def top_k_similar(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 5000) -> DataFrame:
-    """The k most similar vectors (cosine) per query, by exact search: a stated query set against all rows.
+    """The k most similar vectors (cosine, six digits) per query, by exact search: a stated query set against all rows.
 
     Queries reach the tasks in blocks of about ``block``, so what is broadcast has a fixed bound; more queries take more
-    passes over the vectors.  Each task keeps its k best per query before they meet.
+    passes over the vectors.  A task multiplies its vectors with the block in strips and keeps the k best per query; these
+    meet in the end.  A pair with a null in a vector has a null score.
     """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda a: F.sqrt(dot(a, a))
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).withColumn("qn", norm(F.col("q")))
-    rows = vectors.withColumn("vn", norm(F.col("embedding")))
+    spark = vectors.sparkSession
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+    rows = vectors.select(F.col("vec_id").cast("long"), "embedding").repartition(max(spark.sparkContext.defaultParallelism, 1))
     blocks = max(1, -(-queries.count() // block))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     out = None
     for part in range(blocks):
-        asked = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == part)
-        met = rows.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id"))
-        scored = met.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")) / (F.col("qn") * F.col("vn")), 6).alias("score"))
+        found = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == part).select(F.col("vec_id").cast("long"), "embedding").toArrow().combine_chunks()
+        asked = spark.sparkContext.broadcast((found.column("vec_id").to_numpy(), found.column("embedding").to_pylist()))
+
+        def run(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
+            ids, held = asked.value
+            size = next((len(v) for v in held if v is not None), 0)
+            q, none = _unit(pa.array(held, pa.list_(pa.float64())), size)
+            best = np.zeros(0, "int64"), np.zeros(0), np.zeros(0, "int64")
+            least = np.full(len(ids), -np.inf)
+            strips = (b.slice(i, _STRIP) for b in batches for i in range(0, b.num_rows, _STRIP)) if len(ids) else ()
+            for strip in strips:
+                there = strip.column(0).to_numpy()
+                v, bad = _unit(strip.column(1), size)
+                with np.errstate(all="ignore"):
+                    y = (q @ v.T) * 1e6
+                    score = np.trunc(y + np.copysign(0.5, y)) / 1e6
+                score[np.isnan(score)] = _NAN
+                score[none], score[:, bad] = _NO_SCORE, _NO_SCORE
+                score[ids[:, None] == there[None, :]] = -np.inf  # itself
+                if len(there) > k:
+                    least = np.maximum(least, np.partition(score, len(there) - k, axis=1)[:, len(there) - k])
+                pair, at = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+                best = _best(np.concatenate([best[0], pair]), np.concatenate([best[1], score[pair, at]]), np.concatenate([best[2], there[at]]), k)
+                full = np.flatnonzero(np.bincount(best[0], minlength=len(ids)) == k)
+                least[full] = np.maximum(least[full], best[1][np.searchsorted(best[0], full, "right") - 1])
+            made = np.where(best[1] == _NAN, np.nan, best[1])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[2]), pa.array(made, mask=best[1] == _NO_SCORE)], ["query_id", "vec_id", "score"])
+
+        scored = rows.mapInArrow(run, "query_id long, vec_id long, score double")
         best = scored.withColumn("place", rank.cast("long")).where(F.col("place") <= k)
         out = best if out is None else out.unionByName(best)
-    return out
+    return out.withColumns({c: F.col(c).cast(kind) for c in ("query_id", "vec_id")})
 
 
 #: Tags of every publication, forms of its titles, the mark of unverified texts, and how many points, tags and titles there are (fixed values).
