@@ -151,9 +151,15 @@ def apply_proposals(questions: DataFrame, proposals: DataFrame, fields: list[str
     return rows.select(*(F.coalesce(f"_{f}", f).alias(f) if f in fields else F.col(f) for f in questions.columns), changed.alias("changed"))
 
 
+def _latest(incoming: DataFrame, value: str) -> DataFrame:
+    """(paper_id, fingerprint, value) of the greatest sort_order; of equal ones, of the row that comes first in the table."""
+    placed = incoming.select("paper_id", "fingerprint", value, F.struct("sort_order", (-F.monotonically_increasing_id()).alias("place")).alias("order"))
+    return placed.groupBy("paper_id", "fingerprint").agg(F.max_by(value, "order").alias(value))
+
+
 def sync_questions(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """(paper_id, fingerprint, action, review_status, stem): upsert by fingerprint for the papers that came in; survivors keep their review status, the later of two equal fingerprints wins."""
-    latest = incoming.groupBy("paper_id", "fingerprint").agg(F.max_by("stem", "sort_order").alias("stem"), F.lit(True).alias("inc"))
+    latest = _latest(incoming, "stem").withColumn("inc", F.lit(True))
     papers = incoming.select("paper_id").distinct()
     old = existing.join(papers, "paper_id", "left_semi").select("paper_id", "fingerprint", "review_status", F.lit(True).alias("old"))
     rows = old.join(latest, ["paper_id", "fingerprint"], "full")
@@ -168,7 +174,7 @@ def sync_tags(tags: DataFrame, synced: DataFrame) -> DataFrame:
 
 def synced_papers(synced: DataFrame, incoming: DataFrame) -> DataFrame:
     """Per paper after a sync: leaf questions that came in (incoming has node_role), and how many were inserted, updated and deleted."""
-    leaves = incoming.groupBy("paper_id", "fingerprint").agg(F.max_by("node_role", "sort_order").alias("role")).where("role <> 'group'").groupBy("paper_id").agg(F.count(F.lit(1)).alias("leaves"))
+    leaves = _latest(incoming, "node_role").where("node_role <> 'group'").groupBy("paper_id").agg(F.count(F.lit(1)).alias("leaves"))
     by = synced.groupBy("paper_id").agg(*(F.count_if(F.col("action") == a).alias(a) for a in ("inserted", "updated", "deleted")))
     return by.join(leaves, "paper_id", "left").na.fill(0, ["leaves"])
 
