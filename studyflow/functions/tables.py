@@ -33,6 +33,12 @@ def made_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_made")).select(*df.columns, "_made.*")
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """The rows dealt by key to as many tasks as a shuffle of the session has, for work per row that its bytes do not tell."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *key)
+
+
 def folder_names(spark: SparkSession, path: str) -> list[str]:
     """Names of the files and folders in a folder; none if there is no such folder."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

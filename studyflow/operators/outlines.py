@@ -7,13 +7,12 @@ segments of a document, which running maxima over its lines give, so no line wai
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .taxonomy import walk
+from .taxonomy import _once, walk
 
 #: White space, digits and numerals; forms of outline lines; parts that names lose (fixed values; groups count from 1).
 S, S_CLASS, D, N = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]", r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}", r"\p{Nd}", r"[零〇一二三四五六七八九十百千万\p{Nd}]"
@@ -28,11 +27,6 @@ LEADING = rf"^(?:{D}+(?:[.．]{D}+)*|[一二三四五六七八九十百千万]+)
 CONTENTS, CONTENTS_CHARS, NAME_CHARS, FENCE = "目录", 32, 128, "```"
 
 
-def _once(c: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a column that is made once, however often it occurs there."""
-    return F.get(F.transform(F.array(c), use), 0)
-
-
 def chapter_name(c: Column, numbered: bool = True) -> Column:
     """A name without links, decorations, the page of a contents line and (``numbered``) a leading number; null where nothing fit is left."""
     steps = [(rf"^{S}+|{S}+$", ""), (LINK, "$1"), (DECORATION, ""), (TOC_PAGE, ""), *([(LEADING, "")] if numbered else [])]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import stored
+from ..functions.tables import spread, stored
 
 
 def entity_key(name: Column) -> Column:
@@ -226,10 +227,17 @@ def point_heading(line: Column) -> Column:
     return F.when((F.length(line) <= POINT_LINE_CHARS) & ~_noisy(line) & chapter_heading(line).isNull() & fits, name)
 
 
+def _once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a column that is made once, however often it occurs there."""
+    return F.get(F.transform(F.array(c), use), 0)
+
+
 def _first_of_each(names: Column) -> Column:
     """Clean names, each key once."""
     clean = F.filter(F.transform(names, clean_heading), lambda x: x != "")
-    return F.get(F.transform(F.array(clean), lambda all_: F.filter(all_, lambda x, i: F.array_position(F.transform(all_, lambda y: entity_key(y)), entity_key(x)) == i + 1)), 0)
+    # Names and keys are bound by lambdas: each is made once, and not for every pair of names.
+    first = lambda found, keys: F.filter(found, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    return _once(clean, lambda found: _once(F.transform(found, entity_key), lambda keys: first(found, keys)))
 
 
 def chapter_core(chapter: Column) -> Column:
@@ -252,14 +260,19 @@ def auto_keywords(points: DataFrame, most: int = 8) -> DataFrame:
 
 def fallback_points(chapter: Column, signal: Column) -> Column:
     """Points made up for a chapter: one for each of its topics, and hints by the words of chapter and signal."""
-    core = chapter_core(chapter)
-    said = F.concat(core, signal)
-    hints = None
-    for words, own in reversed(HINTS):
-        named = F.array(*map(F.lit, own))
-        hints = named if hints is None else F.when(reduce(lambda a, w: a | F.contains(said, F.lit(w)), words, F.lit(False)), named).otherwise(hints)
-    made = F.transform(F.filter(topics_of(core), lambda t: t != core), lambda t: F.concat(t, F.lit(TOPIC_POINT)))
-    return _first_of_each(F.concat(made, F.transform(hints, lambda h: F.concat(core, h))))
+
+    def hints(said: Column) -> Column:
+        found = None
+        for words, own in reversed(HINTS):
+            named = F.array(*map(F.lit, own))
+            found = named if found is None else F.when(reduce(lambda a, w: a | F.contains(said, F.lit(w)), words, F.lit(False)), named).otherwise(found)
+        return found
+
+    def points(core: Column) -> Column:
+        made = F.transform(F.filter(topics_of(core), lambda t: t != core), lambda t: F.concat(t, F.lit(TOPIC_POINT)))
+        return F.concat(made, F.transform(_once(F.concat(core, signal), hints), lambda h: F.concat(core, h)))
+
+    return _first_of_each(_once(chapter_core(chapter), points))
 
 
 def textbook_outline(lines: DataFrame, max_chapters: int = 40, max_points: int = 12) -> DataFrame:
@@ -291,7 +304,8 @@ def metadata_outline(books: DataFrame, templates: DataFrame, max_chapters: int =
     name = F.regexp_extract(F.coalesce("title", F.lit("")), "《([^》]+)》", 1)
     rows = books.select("doc_id", F.coalesce("category", F.lit("")).alias("s0"), name.alias("s1"), F.concat_ws(" ", "category", name, "title", "subject", F.array_join("tags", " ")).alias("s2"), F.coalesce(F.nullif("category", F.lit("")), F.nullif(name, F.lit("")), "subject").alias("base"))
     listed = templates.agg(F.array_sort(F.collect_list(F.struct("ord", "keyword", "chapters"))).alias("t"))  # a small table of templates, as one row
-    rows = rows.join(F.broadcast(listed))
+    # A book costs far more than its bytes say, so few small files must not make few tasks.
+    rows = spread(rows, "doc_id").join(F.broadcast(listed))
     match = lambda s: F.get(F.filter("t", lambda t: F.contains(F.col(s), t["keyword"])), 0)["chapters"]
     made = F.transform(F.array(*map(F.lit, BASE_CHAPTERS)), lambda b: F.concat("base", b))
     chapters = F.slice(_first_of_each(F.coalesce(match("s0"), match("s1"), match("s2"), made)), 1, max_chapters)
