@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,11 @@ def made_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_made")).select(*df.columns, "_made.*")
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a column that is made once, however often it occurs there."""
+    return F.get(F.transform(F.array(c), use), 0)
+
+
 def spread(df: DataFrame, *key: str) -> DataFrame:
     """The rows dealt by key to as many tasks as a shuffle of the session has, for work per row that its bytes do not tell."""
     spark = df.sparkSession

@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .taxonomy import _once, walk
+from ..functions.tables import once
+from .taxonomy import walk
 
 #: White space, digits and numerals; forms of outline lines; parts that names lose (fixed values; groups count from 1).
 S, S_CLASS, D, N = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]", r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}", r"\p{Nd}", r"[零〇一二三四五六七八九十百千万\p{Nd}]"
@@ -33,13 +34,13 @@ def chapter_name(c: Column, numbered: bool = True) -> Column:
     text = reduce(lambda t, step: F.regexp_replace(t, *step), steps, c)
     text = F.btrim(F.regexp_replace(text, rf"{S}+", " "), F.lit(" -—_"))
     fits = lambda t: F.length(t).between(1, NAME_CHARS) & ~(t.endswith(CONTENTS) & (F.length(t) <= CONTENTS_CHARS))
-    return _once(text, lambda t: F.when(fits(t), t))
+    return once(text, lambda t: F.when(fits(t), t))
 
 
 def point_name(c: Column) -> Column:
     """A clean name without a label such as a numbered key point's."""
     bare = lambda t: F.regexp_replace(F.regexp_extract(t, POINT_LABEL, 1), rf"^{S}+|{S}+$", "")
-    return _once(chapter_name(c), lambda t: F.when(t.rlike(POINT_LABEL), F.nullif(bare(t), F.lit(""))).otherwise(t))
+    return once(chapter_name(c), lambda t: F.when(t.rlike(POINT_LABEL), F.nullif(bare(t), F.lit(""))).otherwise(t))
 
 
 def _forms(lines: DataFrame) -> DataFrame:

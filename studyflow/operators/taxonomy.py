@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import spread, stored
+from ..functions.tables import once, spread, stored
 
 
 def entity_key(name: Column) -> Column:
@@ -227,17 +226,12 @@ def point_heading(line: Column) -> Column:
     return F.when((F.length(line) <= POINT_LINE_CHARS) & ~_noisy(line) & chapter_heading(line).isNull() & fits, name)
 
 
-def _once(c: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a column that is made once, however often it occurs there."""
-    return F.get(F.transform(F.array(c), use), 0)
-
-
 def _first_of_each(names: Column) -> Column:
     """Clean names, each key once."""
     clean = F.filter(F.transform(names, clean_heading), lambda x: x != "")
     # Names and keys are bound by lambdas: each is made once, and not for every pair of names.
     first = lambda found, keys: F.filter(found, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
-    return _once(clean, lambda found: _once(F.transform(found, entity_key), lambda keys: first(found, keys)))
+    return once(clean, lambda found: once(F.transform(found, entity_key), lambda keys: first(found, keys)))
 
 
 def chapter_core(chapter: Column) -> Column:
@@ -270,9 +264,9 @@ def fallback_points(chapter: Column, signal: Column) -> Column:
 
     def points(core: Column) -> Column:
         made = F.transform(F.filter(topics_of(core), lambda t: t != core), lambda t: F.concat(t, F.lit(TOPIC_POINT)))
-        return F.concat(made, F.transform(_once(F.concat(core, signal), hints), lambda h: F.concat(core, h)))
+        return F.concat(made, F.transform(once(F.concat(core, signal), hints), lambda h: F.concat(core, h)))
 
-    return _first_of_each(_once(chapter_core(chapter), points))
+    return _first_of_each(once(chapter_core(chapter), points))
 
 
 def textbook_outline(lines: DataFrame, max_chapters: int = 40, max_points: int = 12) -> DataFrame:
