@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.tables import spread
+
 #: Scores of a match by kind of term (fixed values).
 NAME, ALIAS, KEYWORD, LEAF = 80, 65, 55, 35
 
@@ -50,6 +52,8 @@ def _grams(text: Column) -> Column:
 
 #: Distinct terms up to which texts are read by one automaton.
 AUTOMATON_TERMS = 20_000
+#: Texts that a task holds as Python's strings at once.
+TEXTS_HELD = 256
 
 
 def match_terms(texts: DataFrame, terms: DataFrame, most: int = AUTOMATON_TERMS) -> DataFrame:
@@ -66,6 +70,7 @@ def match_terms(texts: DataFrame, terms: DataFrame, most: int = AUTOMATON_TERMS)
     texts = texts.select("id", "body", *scope, *([F.col(_WITHIN).alias("only")] if within else []))
     if scope:
         texts = texts.where(F.col(_SCOPE).isNotNull())
+    texts = spread(texts, "id")  # a file may hold all its texts in one piece
     names = terms.select("term", *scope).distinct().limit(most + 1).collect()
     found = _by_automaton(texts, names, scope) if len(names) <= most else _by_pieces(texts, terms, scope)
     met = found.join(terms, ["term", *scope])
@@ -79,8 +84,9 @@ def _by_automaton(texts: DataFrame, names: list[Row], scope: list[str]) -> DataF
     for r in names:
         by_scope.setdefault(r[scope[0]] if scope else None, []).append(r.term)
     rest = [f for f in texts.schema.fields if f.name != "body"]
+    names_of = [f.name for f in rest]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         readers: dict = {}
@@ -93,14 +99,15 @@ def _by_automaton(texts: DataFrame, names: list[Row], scope: list[str]) -> DataF
                 readers[key].make_automaton()
             return readers[key]
 
-        for pdf in batches:
-            keys = pdf[scope[0]] if scope else [None] * len(pdf)
-            held = [sorted({x for _, x in reader_of(k).iter(t)}) if t and k in by_scope else [] for k, t in zip(keys, pdf["low"])]
-            out = pdf.drop(columns="low").loc[pdf.index.repeat([len(h) for h in held])]
-            yield out.assign(term=pd.Series([x for h in held for x in h], index=out.index, dtype=object))
+        # Of a batch, few texts at a time become Python's strings, and the other columns stay Arrow's.
+        for part in (b.slice(at, TEXTS_HELD) for b in batches for at in range(0, b.num_rows, TEXTS_HELD)):
+            keys = part.column(scope[0]).to_pylist() if scope else [None] * part.num_rows
+            held = [sorted({x for _, x in reader_of(k).iter(t)}) if t and k in by_scope else [] for k, t in zip(keys, part.column("low").to_pylist())]
+            rows = part.select(names_of).take(pa.array([i for i, h in enumerate(held) for _ in h], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([x for h in held for x in h], pa.string())], names=[*names_of, "term"])
 
-    low = texts.select(*(f.name for f in rest), F.lower("body").alias("low"))
-    return low.mapInPandas(run, T.StructType([*rest, T.StructField("term", T.StringType())])).distinct()
+    low = texts.select(*names_of, F.lower("body").alias("low"))
+    return low.mapInArrow(run, T.StructType([*rest, T.StructField("term", T.StringType())])).distinct()
 
 
 def _by_pieces(texts: DataFrame, terms: DataFrame, scope: list[str]) -> DataFrame:
