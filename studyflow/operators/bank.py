@@ -68,26 +68,35 @@ def bank_merge(items: DataFrame, links: DataFrame, incoming: DataFrame) -> tuple
     afterwards, and ``created`` tells new items.
     """
     known = items.select("fingerprint").distinct()
-    met = incoming.join(known.select("fingerprint", F.lit(True).alias("own")), "fingerprint", "left").join(known.select(F.col("fingerprint").alias("legacy"), F.lit(True).alias("old")), "legacy", "left")
-    met = met.withColumn("fingerprint", F.when(F.col("own").isNull() & F.col("old"), F.col("legacy")).otherwise(F.col("fingerprint")))
+
+    def named(rows: DataFrame) -> DataFrame:
+        """Rows (fingerprint, legacy) under the fingerprint that the bank has for them."""
+        met = rows.join(known.select("fingerprint", F.lit(True).alias("own")), "fingerprint", "left").join(known.select(F.col("fingerprint").alias("legacy"), F.lit(True).alias("old")), "legacy", "left")
+        return met.withColumn("fingerprint", F.when(F.col("own").isNull() & F.col("old"), F.col("legacy")).otherwise(F.col("fingerprint"))).drop("legacy", "own", "old")
+
+    # Sources are many more than items: they are brought down to one row a fingerprint, or a link, before these are named and options formed.
     content = [c for c in OVERWRITTEN if c in incoming.columns]
-    formed = {"node_role": F.coalesce("node_role", F.lit("standalone")) if "node_role" in content else None, "options": N.options(F.col("options"), F.col("question_type")) if "options" in content else None}
-    met = made_once(met, {f"_{c}": x for c, x in formed.items() if x is not None}) if any(c in content for c in formed) else met
-    taken = F.struct(*(F.col(f"_{c}" if formed.get(c) is not None else c).alias(c) for c in content), F.col("source_question_id").alias("first_source_question_id"))
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(f"new_{c}")
-    latest = met.groupBy("fingerprint").agg(F.max_by(taken, "ord").alias("new"), first("subject_id"), first("category_id"))
+    taken = F.struct(*content, F.col("source_question_id").alias("first_source_question_id"))
+    filled = ("subject_id", "category_id")
+    at = lambda c: F.when(F.col(c).isNotNull(), F.col("ord"))
+    by_name = incoming.groupBy("fingerprint", "legacy").agg(F.max_by(taken, "ord").alias("new"), F.max("ord").alias("ord"), *(x for c in filled for x in (F.min_by(c, at(c)).alias(f"new_{c}"), F.min(at(c)).alias(f"ord_{c}"))))
+    latest = named(by_name).groupBy("fingerprint").agg(F.max_by("new", "ord").alias("new"), *(F.min_by(f"new_{c}", f"ord_{c}").alias(f"new_{c}") for c in filled))
+    formed = {c: x for c, x in (("node_role", F.coalesce("new.node_role", F.lit("standalone"))), ("options", N.options(F.col("new.options"), F.col("new.question_type")))) if c in content}
+    latest = made_once(latest, {f"_{c}": x for c, x in formed.items()}) if formed else latest
     both = items.withColumn("there", F.lit(True)).join(latest, "fingerprint", "full")
     held = lambda c: F.col(c) if c in items.columns else F.lit(None)
     new = F.col("new").isNotNull()
     merged = both.select(
         "fingerprint", F.coalesce("subject_id", "new_subject_id").alias("subject_id"), F.coalesce("category_id", "new_category_id").alias("category_id"),
-        *(F.when(new, F.col(f"new.{c}")).otherwise(held(c)).alias(c) for c in (*content, "first_source_question_id")), F.col("there").isNull().alias("created"),
+        *(F.when(new, F.col(f"_{c}" if c in formed else f"new.{c}")).otherwise(held(c)).alias(c) for c in (*content, "first_source_question_id")), F.col("there").isNull().alias("created"),
     )
     linked = [c for c in LINKED if c in incoming.columns]
-    moved = met.groupBy("source_type", "source_question_id").agg(F.max_by(F.struct("fingerprint", *linked), "ord").alias("l")).select("source_type", "source_question_id", "l.*", F.lit("active").alias("status"))
+    moved = incoming.groupBy("source_type", "source_question_id").agg(F.max_by(F.struct("fingerprint", "legacy", *linked), "ord").alias("l")).select("source_type", "source_question_id", "l.*", F.lit("active").alias("status"))
     stay = links.join(moved, ["source_type", "source_question_id"], "left_anti")
-    all_links = stay.select("source_type", "source_question_id", "fingerprint", *((F.col(c) if c in links.columns else F.lit(None).cast(incoming.schema[c].dataType)).alias(c) for c in linked), "status").unionByName(moved)
-    counts = all_links.where("status = 'active'").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("source_count"))
+    all_links = stay.select("source_type", "source_question_id", "fingerprint", *((F.col(c) if c in links.columns else F.lit(None).cast(incoming.schema[c].dataType)).alias(c) for c in linked), "status").unionByName(named(moved))
+    count = lambda rows, *by: rows.where("status = 'active'").groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    counted = count(stay, "fingerprint").unionByName(named(count(moved, "fingerprint", "legacy")))
+    counts = counted.groupBy("fingerprint").agg(F.sum("n").alias("source_count"))
     return merged.join(counts, "fingerprint", "left").na.fill(0, ["source_count"]), all_links
 
 
