@@ -3,13 +3,13 @@
 Texts become sets of word shingles; texts with equal sets are one *node* from there on.  Two nodes link when
 ``100 * |x & y| >= percent * |x | y|``.  The result is exact: no cap, and every link between different sets counts.
 
-Index.  Shingles are ordered from rare to frequent, by a counting sketch of fixed width over the whole corpus (an order
-needs no exact counts, only to be the same everywhere).  A set of n shingles is probed with its first
+Index.  Shingles are ordered from rare to frequent, by a counting sketch over the whole corpus, as wide as its text is long
+(an order needs no exact counts, only to be the same everywhere).  A set of n shingles is probed with its first
 n - ceil(t*n) + 1 shingles and indexed with its first n - ceil(2t/(1+t)*n) + 1: of a linked pair, the smaller set's
 index part meets the larger one's probe part.
 
 Index-level skipping.  Lists are held in two blocks by position, index part and probe-only part.  A list with one set,
-or with no entry in its index part, is skipped whole (an aggregate finds the others, a filter of fixed size passes
+or with no entry in its index part, is skipped whole (an aggregate finds the others, a filter sized by their number passes
 their entries on); an entry is skipped where no set of fitting size is in the block that it must meet.
 
 Short lists (up to ``short`` entries) give their pairs, at most ``short`` for an entry.  Longer lists come from groups
@@ -35,8 +35,8 @@ with different second hashes share one, which an aggregate finds, the second has
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,10 +50,16 @@ from .shared import dropped, fresh, lists, map_text, steps, text_bytes, text_col
 from .tokens import SPACED_LOWER, mix, shingle_sets, split_words
 
 SHINGLE, PERCENT = 4, 85
-#: Buckets of the counting sketch, in chunks; bits of the filter that holds the nodes in blocks.
-_BUCKETS, _CHUNK, _FILTER_BITS = 1 << 20, 1 << 16, 1 << 23
+#: Least and most buckets of the counting sketch, bytes of text for each, and buckets of a chunk, as which it is sent.
+_BUCKETS, _MOST_BUCKETS, _BUCKET_BYTES, _CHUNK = 1 << 20, 1 << 26, 1 << 10, 1 << 16
+#: Levels an octave of the counts that the sketch ends with, a byte each.
+_LEVELS = 11
+#: Least and most bits of a filter, bits for each key, and bits of a part, which one task sets.
+_FILTER_BITS, _MOST_FILTER_BITS, _KEY_BITS, _FILTER_PART = 1 << 23, 1 << 30, 16, 1 << 20
 #: Entries up to which the pairs of a list are made; sets, and shingles, that a part of a block holds; sets of a part when outsiders ask.
 SHORT, BLOCK_SETS, BLOCK_SHINGLES, ASK_SETS = 16, 64, 1 << 20, 512
+#: Parts of asking sets that a block's sets are dealt out to at once.
+ASK_ROUND = 16
 #: Parts that the rows of a block are dealt out in where they join what is said of the block.
 _SALTS = 32
 
@@ -79,30 +85,40 @@ def _sets(column: pa.Array, shingle: int, clash: np.ndarray) -> tuple[np.ndarray
     return h, at, np.where(np.diff(at) > 0, _apart(node, check, clash), 0), check
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(40)) & np.uint64(_BUCKETS - 1)
+def _power(least: int, wanted: int, most: int) -> int:
+    """The power of two from ``wanted`` on, between two others."""
+    return min(most, max(least, 1 << max(0, wanted - 1).bit_length()))
 
 
-def _first_pass(docs: DataFrame, shingle: int) -> DataFrame:
+def _buckets(docs: DataFrame) -> int:
+    """Buckets of the sketch: as the text grows, as many shingles fall into each, so that rare ones are still told from frequent ones."""
+    return _power(_BUCKETS, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // _BUCKET_BYTES, _MOST_BUCKETS)
+
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) & np.uint64(buckets - 1)).astype(np.int64)
+
+
+def _first_pass(docs: DataFrame, shingle: int, buckets: int = _BUCKETS) -> DataFrame:
     """The columns of every document but its text, n_shingles, node and check; and each task's counts of shingles by bucket in rows with a chunk."""
     carried = [f for f in docs.schema.fields if f.name != "text"]
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in carried), *T._parse_datatype_string("n_shingles bigint, node bigint, check bigint, chunk int, counts binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(_BUCKETS, np.uint32)
-        some = False
+        counts = np.zeros(buckets, np.uint16)
         for batch in batches:
             column = text_column(batch, "text")
             for a, b in steps(column):
                 h, at, node, check = _sets(column.slice(a, b - a), shingle, _NO_CLASH)
-                counts += np.bincount(_bucket(h).astype(np.int64), minlength=_BUCKETS).astype(np.uint32)
+                held, more = np.unique(_bucket(h, buckets), return_counts=True)
+                counts[held] = np.minimum(counts[held] + more, 0xFFFF)  # beyond that, one is as frequent as the other
                 own = [batch.column(batch.schema.get_field_index(f.name)).slice(a, b - a) for f in carried]
                 none = [None] * (b - a)
-                some = True
                 yield _batch(schema, *own, np.diff(at), node, check, none, none)
-        for k in range(_BUCKETS // _CHUNK) if some else ():
-            part = zlib.compress(counts[k * _CHUNK : (k + 1) * _CHUNK].tobytes(), 1)
-            yield _batch(schema, *([[None]] * (len(carried) + 3)), [k], [part])
+        packer = zstandard.ZstdCompressor(level=1)
+        for k, part in enumerate(counts.reshape(-1, _CHUNK)):
+            if part.any():
+                yield _batch(schema, *([[None]] * (len(carried) + 3)), [k], [packer.compress(part)])
 
     return docs.mapInArrow(run, schema)
 
@@ -135,22 +151,26 @@ def _set_apart(first: DataFrame, clash: np.ndarray) -> DataFrame:
     return own.mapInArrow(run, own.schema).drop("check")
 
 
-def _sketch(first: DataFrame) -> np.ndarray:
-    """The tasks' counts, summed as they stream by; the result has a fixed size."""
+def _sketch(first: DataFrame, buckets: int) -> np.ndarray:
+    """The logarithms of the tasks' counts, summed as they stream by, a byte a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sums.setdefault(k, np.zeros(_CHUNK, np.uint64))
-                sums[k] += np.frombuffer(zlib.decompress(raw), np.uint32)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(v, 0xFFFFFFFF).astype(np.uint32).tobytes() for v in sums.values()], pa.binary())], names=["chunk", "counts"])
-
-    chunks = first.where("chunk is not null").select("chunk", "counts").repartition(_BUCKETS // _CHUNK, "chunk")
-    out = np.zeros(_BUCKETS, np.uint32)
-    for r in chunks.mapInArrow(run, "chunk int, counts binary").collect():
-        out[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r.counts, np.uint32)
+                sums[k] += np.frombuffer(unpack(raw), np.uint16)
+        for k, v in sums.items():
+            levels = np.minimum(np.rint(np.log2(v + 1.0) * _LEVELS), 0xFF).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([levels.tobytes()], pa.binary())], names=["chunk", "counts"])
+
+    chunks = first.where("chunk is not null").select("chunk", "counts").repartition(buckets // _CHUNK, "chunk")
+    summed = written(chunks.mapInArrow(run, "chunk int, counts binary"))  # which ends the disk of its shuffle
+    out = np.zeros(buckets, np.uint8)
+    for r in summed.toLocalIterator():
+        out[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r.counts, np.uint8)
+    dropped(summed)
     return out
 
 
@@ -186,7 +206,7 @@ def _postings(docs: DataFrame, sketch: np.ndarray, shingle: int, percent: int, c
 
     def step(batch: pa.RecordBatch, column: pa.Array) -> dict[str, object] | None:
         h, at, node, _ = _sets(column, shingle, clash)
-        rank = (sent.value[_bucket(h)].astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+        rank = (sent.value[_bucket(h, len(sent.value))].astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
         _, rows = np.unique(node, return_index=True)
         rows = rows[node[rows] != 0]
         tokens, bits = [], []
@@ -205,18 +225,30 @@ def _postings(docs: DataFrame, sketch: np.ndarray, shingle: int, percent: int, c
 
 
 def _filter(keys: DataFrame) -> np.ndarray:
-    """A bit table of fixed size in which the bits of all ``keys`` (a column of longs) are set."""
-    bit = F.pmod(F.col(keys.columns[0]), F.lit(_FILTER_BITS))
-    words = keys.select(F.shiftright(bit, 5).alias("w"), F.pmod(bit, F.lit(32)).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"))
-    table = np.zeros(_FILTER_BITS // 32, np.uint32)
-    for r in words.collect():  # at most a word for each 32 bits of the filter
-        table[r.w] = r.bits
+    """A bit table in which the bits of all ``keys`` (a column of longs of a written table) are set; it is as large as they are many."""
+    size = _power(_FILTER_BITS, keys.count() * _KEY_BITS, _MOST_FILTER_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            bits, part = (c.to_numpy() for c in batch.columns)
+            for k in np.unique(part).tolist():
+                parts.setdefault(k, np.zeros(_FILTER_PART, bool))[bits[part == k] % _FILTER_PART] = True
+        for k, v in parts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(v, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
+    bit = F.pmod(F.col(keys.columns[0]), F.lit(size).cast("long"))
+    dealt = keys.select(bit.alias("bit"), F.expr(f"int(bit div {_FILTER_PART})").alias("part")).repartition(size // _FILTER_PART, "part")
+    table = np.zeros(size // 32, np.uint32)
+    words = _FILTER_PART // 32
+    for r in dealt.mapInArrow(run, "part int, bits binary").toLocalIterator():
+        table[r.part * words : (r.part + 1) * words] = np.frombuffer(r.bits, np.uint32)
     return table
 
 
 def _maybe(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """False only for keys that were not among those of the filter."""
-    bits = keys % _FILTER_BITS
+    bits = keys % (len(table) * 32)
     return (table[bits >> 5] >> (bits & 31).astype(np.uint32)) & 1 == 1
 
 
@@ -225,7 +257,7 @@ def _entries(postings: DataFrame) -> DataFrame:
     rows = postings.select("node", "n", "indexed", F.posexplode("tokens").alias("pos", "token")).select("node", "n", (F.col("pos") < F.col("indexed")).alias("low"), "token")
     found = rows.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.max("low").alias("low"), F.count(F.lit(1)).alias("held"))
     shared = written(found.where((F.col("first") < F.col("last")) & F.col("low")).select(F.col("token").alias("t"), "held"))
-    sent = rows.sparkSession.sparkContext.broadcast(_filter(shared))
+    sent = rows.sparkSession.sparkContext.broadcast(_filter(shared.select("t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,7 +305,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def _held(docs: DataFrame, nodes: DataFrame, shingle: int, clash: np.ndarray) -> DataFrame:
     """(node, packed) of the nodes in blocks, one row each: a text of the node, compressed, which is shorter than its hashed set."""
-    sent = docs.sparkSession.sparkContext.broadcast(_filter(nodes.select("node")))
+    sent = docs.sparkSession.sparkContext.broadcast(_filter(nodes))
 
     def step(batch: pa.RecordBatch, column: pa.Array) -> dict[str, object] | None:
         node = _sets(column, shingle, clash)[2]
@@ -431,16 +463,18 @@ def possible_pairs(askers: list[tuple], others: list[tuple], percent: int) -> li
     return out
 
 
-def _outside_pairs(members: DataFrame, percent: int) -> DataFrame:
+def _outside_pairs(members: DataFrame, percent: int, since: int, until: int) -> DataFrame:
     """(a, b): each set ``a`` of a block outside its largest component with all its sets ``b`` of other components, if their bit maps allow.
 
     ``members`` is (node, n, bits, block, root, asked, parts, askers).  The sets of a block, and those that ask, are cut by hash
     into parts of ``ASK_SETS``; each part of askers meets each part of sets in a task of its own, so no pair comes twice.
+    These are the pairs of the parts of askers from ``since`` to before ``until``.
     """
     part = lambda seed, c: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(c)).cast("int")
     column = ["node", "n", "bits", "root", "asked"]
-    targets = members.select(*column, F.lit(False).alias("asking"), "block", part(1, "parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("to"))
-    asking = members.where("asked").select(*column, F.lit(True).alias("asking"), "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), part(2, "askers").alias("to"))
+    last, to = F.least("askers", F.lit(until)) - 1, part(2, "askers")
+    targets = members.where(F.col("askers") > since).select(*column, F.lit(False).alias("asking"), "block", part(1, "parts").alias("part"), F.explode(F.sequence(F.lit(since), last)).alias("to"))
+    asking = members.where(F.col("asked") & to.between(since, last)).select(*column, F.lit(True).alias("asking"), "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), to.alias("to"))
     dealt = targets.union(asking).repartition("block", "part", "to").sortWithinPartitions("block", "part", "to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -463,10 +497,10 @@ def _pairs(out: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
 
-def set_components(docs: DataFrame, first: DataFrame, shingle: int, percent: int, clash: np.ndarray = _NO_CLASH, block_sets: int = BLOCK_SETS, short: int = SHORT) -> DataFrame:
+def set_components(docs: DataFrame, sketch: np.ndarray, shingle: int, percent: int, clash: np.ndarray = _NO_CLASH, block_sets: int = BLOCK_SETS, short: int = SHORT) -> DataFrame:
     """(node, root) of the nodes that links connect with others."""
     # One row a node, so that copies neither lengthen lists nor take disk; what is no longer read is deleted on the way.
-    postings = written(_postings(docs, _sketch(first), shingle, percent, clash).dropDuplicates(["node"]))
+    postings = written(_postings(docs, sketch, shingle, percent, clash).dropDuplicates(["node"]))
     maps = written(postings.select("node", "n", "bits"))
     entries = _entries(postings)
     dropped(postings)
@@ -477,7 +511,9 @@ def set_components(docs: DataFrame, first: DataFrame, shingle: int, percent: int
     size = sized.groupBy("block").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     named = written(_with(blocks, size, "block", "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(named.select("node")).distinct()
+    needed = written(needed)
     held = written(_held(docs, needed, shingle, clash))
+    dropped(needed)
     by_pair = written(_verified(pairs, held, shingle, percent))
     dropped(pairs)
     # Each part of a block meets part 0, whose sets are the pivots.
@@ -494,20 +530,29 @@ def set_components(docs: DataFrame, first: DataFrame, shingle: int, percent: int
     state = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sums = state.groupBy("block", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("block").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all"))
     cut = sums.where("all > most").select("block", "main", F.ceil(F.col("all") / ASK_SETS).cast("int").alias("parts"), F.ceil((F.col("all") - F.col("most")) / ASK_SETS).cast("int").alias("askers"))
-    members = _with(state, cut, "block", "node").withColumn("asked", F.col("root") != F.col("main")).join(maps, "node")
-    outside = written(_outside_pairs(members, percent))
-    late = _verified(outside, held, shingle, percent)
+    members = written(_with(state, cut, "block", "node").withColumn("asked", F.col("root") != F.col("main")).join(maps, "node"))
+    # In rounds, so that the disk that a block takes grows with its sets and not with their square.
+    rounds = range(0, members.agg(F.max("askers")).first()[0] or 0, ASK_ROUND)
+    outside = [written(_outside_pairs(members, percent, k, k + ASK_ROUND)) for k in rounds]
+    for done in (maps, blocks, named, members):
+        dropped(done)
+    if not outside:
+        for done in (held, edges):
+            dropped(done)
+        return roots
+    late = _verified(reduce(DataFrame.union, outside), held, shingle, percent)
     found = connected_components(edges.union(late.select(F.col("node").alias("a"), F.col("root").alias("b"))))  # which is written
-    for done in (maps, blocks, named, held, edges, roots, outside):
+    for done in (held, edges, roots, *outside):
         dropped(done)
     return found
 
 
 def _own_and_roots(rows: DataFrame, shingle: int, percent: int, block_sets: int) -> tuple[DataFrame, DataFrame]:
     """The columns of ``rows`` but the text, with n_shingles and node; and (node, root) of the nodes that others link with."""
-    first = written(_first_pass(rows, shingle))
+    buckets = _buckets(rows)
+    first = written(_first_pass(rows, shingle, buckets))
     clash = _clashes(first)
-    return _set_apart(first, clash), set_components(rows.select("text"), first, shingle, percent, clash, block_sets)
+    return _set_apart(first, clash), set_components(rows.select("text"), _sketch(first, buckets), shingle, percent, clash, block_sets)
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, block_sets: int = BLOCK_SETS) -> DataFrame:
