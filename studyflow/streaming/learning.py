@@ -3,14 +3,17 @@
 Streams are DataFrames from ``readStream``.  State is keyed, so it is dealt out over the cluster by key, lies in RocksDB,
 and ends with the watermark; rows that come later than it are dropped.  Saves of answers become changes (what a grade was
 and what it is now); the wrong book and the mastery counters follow the changes, so a save that overwrites another counts
-once.  A sink is a file sink or a :class:`~studyflow.streaming.keyed.KeyedTable`: a batch that runs again changes nothing.
+once.  Python's calls into the state take longer than its work on a row, so the state of many answers, or keys, lies in one
+packed value of their slot.  A sink is a file sink or a :class:`~studyflow.streaming.keyed.KeyedTable`: a batch that runs again changes nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
+from operator import itemgetter
 
+import numpy as np
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -57,32 +60,73 @@ _TIMES = ("at", "was_at")
 _CHANGED = Row(*(c.split()[0] for c in CHANGE.split(", ")))
 
 
+#: Slots that state is dealt out over: a prime, so that ids in even steps meet all of them.
+SLOTS = 16381
+_SAVE = np.dtype([("id", "<i8"), ("us", "<i8"), ("grade", "u1")])
+_GRADES = (False, True, None)
+
+
+def _getter(row: Row, *names: str) -> Callable[[Row], tuple]:
+    return itemgetter(*(row.__fields__.index(n) for n in names))
+
+
 class _LastSave(StatefulProcessor):
-    """State of an answer: time and grade of the save that counts; it ends when the watermark passes that time by ``keep``."""
+    """State of the answers of a slot: time and grade of the save that counts; an answer's ends when the watermark passes that time by ``keep``.
+
+    The slot has one timer, for the first answer that ends (``due``).
+    """
 
     def __init__(self, keep_ms: int) -> None:
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "us long, is_correct boolean")
+        self.last = handle.getValueState("last", "due long, saves binary")
+
+    def _read(self) -> tuple[int | None, dict[int, tuple]]:
+        due, saves = self.last.get() or (None, b"")
+        return due, {id_: (us, _GRADES[grade]) for id_, us, grade in np.frombuffer(saves, _SAVE).tolist()}
+
+    def _write(self, due: int | None, saves: dict[int, tuple]) -> None:
+        first = self._end(min(us for us, _ in saves.values()))
+        if due is None or first < due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(first)
+            due = first
+        packed = np.array([(id_, us, _GRADES.index(right)) for id_, (us, right) in saves.items()], _SAVE)
+        self.last.update((due, packed.tobytes()))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        best = max(rows, key=lambda r: (r.us, r.answer or ""))
-        old = self.last.get()
-        if old is not None:
-            if best.us < old[0]:
-                return
-            self.handle.deleteTimer(self._end(old[0]))
-        self.handle.registerTimer(self._end(best.us))
-        self.last.update((best.us, best.is_correct))
-        yield _CHANGED(best.id, best.user_id, best.question_id, best.answer, best.us, best.is_correct, old is not None, old[1] if old else None, old[0] if old else None)
+        best: dict[int | None, tuple] = {}
+        take = None
+        for r in rows:
+            take = take or _getter(r, "own", "user_id", "question_id", "answer", "us", "is_correct")
+            save = take(r)
+            now = best.get(save[0])
+            if now is None or (save[4], save[3] or "") > (now[4], now[3] or ""):
+                best[save[0]] = save
+        due, saves = self._read()
+        out = []
+        for id_, user, question, answer, us, right in best.values():
+            old = saves.get(id_ or 0)  # null ids have a slot of their own
+            if old is None or us >= old[0]:
+                saves[id_ or 0] = (us, right)
+                out.append(_CHANGED(id_, user, question, answer, us, right, old is not None, old[1] if old else None, old[0] if old else None))
+        if out:
+            self._write(due, saves)
+        return iter(out)
 
     def _end(self, us: int) -> int:
         return us // 1000 + self.keep_ms + 1
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.last.clear()
+        passed = timerValues.getCurrentWatermarkInMs()
+        left = {id_: save for id_, save in self._read()[1].items() if self._end(save[0]) >= passed}
+        if left:
+            self._write(None, left)
+        else:
+            self.last.clear()
         return iter(())
 
     def close(self) -> None:
@@ -102,7 +146,7 @@ def graded_stream(answers: DataFrame, expected: DataFrame, late: str = "1 hour",
     from a static table (question_id, expected, question_type); grades are those of ``grade``.
     """
     rows = answers.withWatermark("at", late).join(expected, "question_id")
-    graded = rows.select("id", "user_id", "question_id", "answer", "at", grade(F.col("answer"), F.col("expected"), F.col("question_type")).alias("is_correct"), F.unix_micros("at").alias("us"))
+    graded = rows.select(F.pmod("id", F.lit(SLOTS)).alias("id"), F.col("id").alias("own"), "user_id", "question_id", "answer", "at", grade(F.col("answer"), F.col("expected"), F.col("question_type")).alias("is_correct"), F.unix_micros("at").alias("us"))
     changed = graded.groupBy("id").transformWithState(_LastSave(_ms(answers.sparkSession, keep)), CHANGE.replace(" timestamp", " long"), "append", "EventTime")
     return changed.withColumns({c: F.timestamp_micros(c) for c in _TIMES})
 
@@ -110,108 +154,173 @@ def graded_stream(answers: DataFrame, expected: DataFrame, late: str = "1 hour",
 _BOOK = Row("user_id", "question_id", "wrong_count", "streak", "mastered")
 
 
+_ANSWER = np.dtype([("user", "<i8"), ("question", "<i8"), ("id", "<i8"), ("us", "<i8"), ("flags", "u1")])
+_SETTLED = np.dtype([("user", "<i8"), ("question", "<i8"), ("flags", "u1"), ("wrong", "<i8"), ("us", "<i8"), ("id", "<i8"), ("streak", "<i8")])
+_RIGHT, _REVISED, _NO_ID, _NO_USER, _NO_QUESTION = 1, 2, 4, 8, 16
+_NO_KEY = _NO_USER | _NO_QUESTION
+_NEVER = -(1 << 62)
+
+
 class _WrongBook(StatefulProcessor):
-    """State of a key: what its settled answers come to, and the answers that may still change, as a list on disk.
+    """State of a slot of keys: what their settled answers come to, and the answers that may still change, as a list of packed chunks on disk.
 
     Settled are answers that the watermark has passed by ``keep``.  The counts need no order but the place of the last
-    wrong answer: the streak is the number of right ones after it, so the list is read through in chunks, twice.
+    wrong answer: the streak is the number of right ones after it, so the list is read through in chunks, twice.  A group
+    of rows is that of a slot, whose rows name their keys, or that of a key (user, question) alone.
     """
 
-    CHUNK = 2000
+    #: Answers of a chunk, and of a list that is taken into memory.
+    CHUNK, HELD = 500, 100_000
 
     def __init__(self, keep_ms: int) -> None:
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.settled = handle.getValueState("settled", "wrong long, us long, id long, streak long")
-        self.lists = [handle.getListState(n, "id long, us long, is_right boolean, revised boolean") for n in ("open_a", "open_b")]
+        self.settled = handle.getValueState("settled", "keys binary")
+        self.lists = [handle.getListState(n, "answers binary") for n in ("open_a", "open_b")]
         self.turn = handle.getValueState("turn", "turn int, first long")
-        self.held: list | None = None
+        self.held: list[np.ndarray] | None = None
 
-    def _open(self, which: int) -> Iterable[tuple]:
-        """The list of open answers: in memory if it is short, so that it is read once, else read anew each time."""
+    def _open(self, which: int) -> Iterable[np.ndarray]:
+        """The chunks of open answers: in memory if they are few, so that they are read once, else read anew each time."""
         if self.held is not None:
             return self.held
-        return (tuple(x) for x in self.lists[which].get())
+        return (np.frombuffer(x[0], _ANSWER) for x in self.lists[which].get())
 
     def _hold(self, which: int) -> None:
         """Take a short list into memory."""
-        found = list(islice(self._open(which), self.CHUNK + 1))
-        self.held = found if len(found) <= self.CHUNK else None
-
-    def _answers(self, which: int, revised: dict) -> Iterator[tuple]:
-        """(us, id, right) of every open answer, as last revised; ``revised`` has the last state of those with several."""
-        given = set()
-        for id_, us, right, _ in self._open(which):
-            if id_ not in revised:
-                yield us, id_, right
-            elif id_ not in given:
-                given.add(id_)
-                yield revised[id_]
-
-    def _counted(self, which: int, revised: dict, settled: tuple | None, upto: float = float("inf")) -> tuple:
-        wrong, last_us, last_id, streak = settled or (0, -(1 << 62), -(1 << 62), 0)
-        last, new = (last_us, last_id), 0
-        for us, id_, right in self._answers(which, revised):
-            if us <= upto and not right:
-                new, last = new + 1, max(last, (us, id_))
-        if new and last > (last_us, last_id):
-            streak = 0  # rights settled before are older than any open answer
-        for us, id_, right in self._answers(which, revised):
-            if us <= upto and right and (us, id_) > last and wrong + new:
-                streak += 1
-        return wrong + new, *last, streak
-
-    def _revised(self, which: int) -> dict:
+        found, n = [], 0
+        for chunk in self._open(which):
+            found.append(chunk)
+            n += len(chunk)
+            if n > self.HELD:
+                return
+        self.held = found
+
+    def _rows(self, which: int, keys: set | None, some: int = 0) -> Iterator[tuple]:
+        """(key, us, id, flags) of every open answer of the keys (all by default) that has one of the flags ``some``, if any are named."""
+        users = None if keys is None else np.array(list({k[0] for k in keys}), np.int64)
+        for chunk in self._open(which):
+            if users is not None:
+                chunk = chunk[np.isin(chunk["user"], users)]
+            if some:
+                chunk = chunk[chunk["flags"] & some != 0]
+            for user, question, id_, us, flags in chunk.tolist():
+                key = (user, question, flags & _NO_KEY)
+                if keys is None or key in keys:
+                    yield key, us, id_, flags
+
+    def _revised(self, which: int, keys: set | None) -> dict:
         """Last state of each answer that was revised while open; few, as answers are revised within ``keep``."""
         found: dict = {}
-        for id_, us, right, again in self._open(which):
-            if again and (id_ not in found or us >= found[id_][0]):
-                found[id_] = (us, id_, right)
+        for key, us, id_, flags in self._rows(which, keys, _REVISED):
+            answer = (key, id_, flags & _NO_ID)
+            if answer not in found or us >= found[answer][1]:
+                found[answer] = (key, us, id_, flags)
+        return found
+
+    def _answers(self, which: int, revised: dict, keys: set | None) -> Iterator[tuple]:
+        """(key, us, id, flags) of every open answer, as last revised; ``revised`` has the last state of those with several."""
+        if not revised:
+            yield from self._rows(which, keys)
+            return
+        given = set()
+        for row in self._rows(which, keys):
+            answer = (row[0], row[2], row[3] & _NO_ID)
+            if answer not in revised:
+                yield row
+            elif answer not in given:
+                given.add(answer)
+                yield revised[answer]
+
+    def _counted(self, which: int, revised: dict, settled: dict, keys: set | None, upto: float = float("inf")) -> dict:
+        """(wrong, us, id, streak) by key, of keys with open answers up to a time; time and id are those of the last wrong answer."""
+        found: dict[tuple, list] = {}
+        for key, us, id_, flags in self._answers(which, revised, keys):
+            if us <= upto:
+                now = found.get(key)
+                if now is None:
+                    now = found[key] = list(settled.get(key, (0, _NEVER, _NEVER, 0)))
+                if not flags & _RIGHT:
+                    now[0] += 1
+                    if (us, id_) > (now[1], now[2]):
+                        now[1:] = us, id_, 0  # rights settled before are older than any open answer
+        for key, us, id_, flags in self._answers(which, revised, keys):
+            if us <= upto and flags & _RIGHT:
+                now = found[key]
+                if now[0] and (us, id_) > (now[1], now[2]):
+                    now[3] += 1
         return found
 
+    def _settled(self) -> dict:
+        found = self.settled.get()
+        return {(user, question, flags): tuple(rest) for user, question, flags, *rest in np.frombuffer(found[0], _SETTLED).tolist()} if found else {}
+
     def _settle(self, turn: tuple | None, upto: int) -> tuple | None:
         """Move the answers up to a time from the list into the counts, and the others into the other list; the turn after that."""
         if turn is None or turn[1] > upto:
             return turn
         which = turn[0]
         self._hold(which)
-        revised = self._revised(which)
-        counted = self._counted(which, revised, self.settled.get(), upto)
+        revised = self._revised(which, None)
+        settled = self._settled()
+        settled.update(self._counted(which, revised, settled, None, upto))
         rest, left = [], 1 << 62
-        for us, id_, right in self._answers(which, revised):
+        for (user, question, _), us, id_, flags in self._answers(which, revised, None):
             if us > upto:
-                rest.append((id_, us, right, False))
+                rest.append((user, question, id_, us, flags & ~_REVISED))
                 left = min(left, us)
             if len(rest) == self.CHUNK:
-                self.lists[1 - which].appendList(rest)
+                self._append(1 - which, rest)
                 rest = []
         if rest:
-            self.lists[1 - which].appendList(rest)
+            self._append(1 - which, rest)
         self.lists[which].clear()
-        self.settled.update(counted)
+        self.settled.update((np.array([(*key, *counts) for key, counts in settled.items()], _SETTLED).tobytes(),))
         self.turn.update((1 - which, left))
         self.held = None
         return 1 - which, left
 
+    def _append(self, which: int, answers: list[tuple]) -> np.ndarray:
+        chunk = np.array(answers, _ANSWER)
+        self.lists[which].appendList([(chunk.tobytes(),)])
+        return chunk
+
+    def _given(self, key: tuple, rows: Iterator[Row]) -> Iterator[tuple]:
+        """The rows as open answers; null is wrong."""
+        take = None
+        for r in rows:
+            if take is None:
+                take = _getter(r, "id", "us", "is_correct", "revised", *(("user_id", "question_id") if len(key) == 1 else ()))
+            id_, us, right, revised, *own = take(r)
+            user, question = own or key
+            flags = (_RIGHT if right is True else 0) | (_REVISED if revised else 0)
+            if id_ is None or user is None or question is None:
+                flags |= (_NO_ID if id_ is None else 0) | (_NO_USER if user is None else 0) | (_NO_QUESTION if question is None else 0)
+            yield user or 0, question or 0, id_ or 0, us, flags
+
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         self.held = None
         turn = self._settle(self.turn.get(), timerValues.getCurrentWatermarkInMs() * 1000 - self.keep_ms * 1000)
         which, first = turn or (0, 1 << 62)
-        most, new, given = 0, None, ((r.id, r.us, r.is_correct is True, r.revised) for r in rows)  # null is wrong
+        most, given, keys, new, n = 0, self._given(key, rows), set(), [], 0
         while part := list(islice(given, self.CHUNK)):
-            self.lists[which].appendList(part)
-            new = part if turn is None and first == 1 << 62 else None
-            first, most = min(first, *(x[1] for x in part)), max(most, *(x[1] for x in part))
+            chunk = self._append(which, part)
+            n += len(part)
+            if turn is None and n <= self.HELD:
+                new.append(chunk)
+            keys.update((user, question, flags & _NO_KEY) for user, question, _, _, flags in part)
+            first, most = min(first, *(x[3] for x in part)), max(most, *(x[3] for x in part))
         self.turn.update((which, first))
         self.handle.registerTimer(most // 1000 + self.keep_ms + 1)
-        if new is None:
-            self._hold(which)
+        if turn is None and n <= self.HELD:
+            self.held = new  # a slot without state, whose rows are all here
         else:
-            self.held = new  # a key without state, whose rows are all here
-        wrong, _, _, streak = self._counted(which, self._revised(which), None if turn is None else self.settled.get())
-        yield _BOOK(key[0], key[1], wrong, streak, wrong > 0 and streak >= 2)
+            self._hold(which)
+        found = self._counted(which, self._revised(which, keys), {} if turn is None else self._settled(), keys)
+        for (user, question, flags), (wrong, _, _, streak) in found.items():
+            yield _BOOK(None if flags & _NO_USER else user, None if flags & _NO_QUESTION else question, wrong, streak, wrong > 0 and streak >= 2)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.held = None
@@ -229,9 +338,10 @@ def wrong_book_stream(changes: DataFrame, late: str = "1 hour", keep: str = "0 s
     Answers count in order of time and id, whatever order they come in; one that is revised counts as last saved.
     """
     rows = changes if "revised" in changes.columns else changes.withColumn("revised", F.lit(False))
-    rows = rows.withWatermark("at", late).select("user_id", "question_id", "id", "at", "is_correct", "revised", F.unix_micros("at").alias("us"))
+    slot = F.pmod(F.xxhash64("user_id", "question_id"), F.lit(SLOTS)).alias("slot")
+    rows = rows.withWatermark("at", late).select(slot, "user_id", "question_id", "id", "at", "is_correct", "revised", F.unix_micros("at").alias("us"))
     out = "user_id long, question_id long, wrong_count long, streak long, mastered boolean"
-    return rows.groupBy("user_id", "question_id").transformWithState(_WrongBook(_ms(changes.sparkSession, keep)), out, "update", "EventTime")
+    return rows.groupBy("slot").transformWithState(_WrongBook(_ms(changes.sparkSession, keep)), out, "update", "EventTime")
 
 
 def wrong_book_table(spark: SparkSession, folder: str) -> KeyedTable:

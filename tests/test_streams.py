@@ -8,6 +8,7 @@ import random
 import tempfile
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,33 @@ def test_versions_of_one_hot_topic(spark, top):
     events = spark.read.schema(event).parquet(f"{top}/in").join(found.select("id", "version", "batch_id"), "id")
     want = events.selectExpr("*", "row_number() OVER (PARTITION BY topic_id ORDER BY batch_id, at, id) AS want")
     assert want.count() == 400_000 and want.where("want <> version").count() == 0 and want.select("batch_id").distinct().count() == 2
+
+
+def test_answers_and_keys_share_slots(spark, top, monkeypatch):
+    """Many answers and keys lie in few rows of state, and each still counts, is revised and ends by itself."""
+    monkeypatch.setattr(L, "SLOTS", 3)
+    monkeypatch.setattr(L._WrongBook, "CHUNK", 4)
+    saves = {k: (k, k % 5 or None, 1 + k % 2, "AB"[k % 3 % 2], at(k / 10)) for k in range(30)}
+    again = {k: (k, k % 5 or None, 1 + k % 2, "AB"[k % 2], at(3 + k / 10)) for k in range(0, 30, 2)}
+    null = (None, 9, 1, "A", at(1))
+    for rows in ([*saves.values(), null], list(again.values())):
+        spark.createDataFrame(rows, SAVE).coalesce(1).write.mode("append").parquet(f"{top}/saves")
+        L.run_to_end(L.graded_stream(spark.readStream.schema(SAVE).parquet(f"{top}/saves"), expected(spark), "1 day", "1 day"), top)
+    right = lambda s: s[3] == "AB"[s[2] - 1]
+    got = [(r.id, r.user_id, r.at, r.is_correct, r.revised, r.was_correct, r.was_at) for r in spark.read.schema(L.CHANGE).parquet(f"{top}/out").collect()]
+    want = [(s[0], s[1], s[4], right(s), False, None, None) for s in [*saves.values(), null]] + [(s[0], s[1], s[4], right(s), True, right(saves[k]), saves[k][4]) for k, s in again.items()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    held = state_rows(spark, top, "last")
+    assert len(held) == 4 and sum(len(np.frombuffer(r.value.saves, L._SAVE)) for r in held) == 31, "a row for each slot, and one for null ids"
+    book = L.wrong_book_table(spark, f"{top}/book")
+    for _ in range(2):
+        L.run_to_end(L.wrong_book_stream(spark.readStream.schema(L.CHANGE).option("maxFilesPerTrigger", 2).parquet(f"{top}/out"), "1 day", "1 day"), f"{top}/book", book.merge, "update")
+    counts = defaultdict(lambda: (0, 0))
+    for s in sorted([*(saves | again).values(), null], key=lambda s: (s[4], s[0] or 0)):
+        wrong, streak = counts[s[1], s[2]]
+        counts[s[1], s[2]] = (wrong, streak + (wrong > 0)) if right(s) else (wrong + 1, 0)
+    assert sorted(((r.user_id, r.question_id, r.wrong_count, r.streak) for r in book.current().collect()), key=repr) == sorted(((*k, *v) for k, v in counts.items()), key=repr)
+    assert len({r.key for r in state_rows(spark, f"{top}/book", "open_a")}) <= 3
+    spark.createDataFrame([(99, 1, 1, "A", at(240))], SAVE).coalesce(1).write.mode("append").parquet(f"{top}/saves")
+    L.run_to_end(L.graded_stream(spark.readStream.schema(SAVE).parquet(f"{top}/saves"), expected(spark), "1 day", "1 day"), top)
+    assert [np.frombuffer(r.value.saves, L._SAVE)["id"].tolist() for r in state_rows(spark, top, "last")] == [[99]]
